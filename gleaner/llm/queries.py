@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .lm_scoring import op5_lm_scoring
+from .mixing import op7_source_mixing
+from .ngram_join import op6_ngram_jaccard_join
 
-QUERIES = {"op5_lm_scoring": op5_lm_scoring}
+QUERIES = {f.__name__: f for f in (op5_lm_scoring, op6_ngram_jaccard_join, op7_source_mixing)}
 
 ORACLE_SQL: dict[str, str] = {}
