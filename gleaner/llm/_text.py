@@ -16,7 +16,7 @@ import pyarrow as pa
 PIECE = 4 << 20
 U = np.uint64
 
-#: ``[\x20\x09-\x0D]`` separate words of kind "space"; everything but ASCII letters, digits and non-ASCII separates "alnum".
+#: What separates words. Of kind "space": ``[\x20\x09-\x0D]``; of kind "alnum": all but ASCII letters, digits and non-ASCII.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 ALNUM = np.ones(256, bool)

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from .ann_search import op10_additive_quantisation
+from .licences import op8_licence_templates
 from .lm_scoring import op5_lm_scoring
 from .mixing import op7_source_mixing
 from .ngram_join import op6_ngram_jaccard_join
+from .pii import op3_pii
+from .quality import op1_quality_fm
+from .url_filter import op2_url_filter
 
-QUERIES = {f.__name__: f for f in (op5_lm_scoring, op6_ngram_jaccard_join, op7_source_mixing)}
+_ALL = (op1_quality_fm, op2_url_filter, op3_pii, op5_lm_scoring, op6_ngram_jaccard_join, op7_source_mixing, op8_licence_templates, op10_additive_quantisation)
+QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL: dict[str, str] = {}
