@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .ann_search import op10_additive_quantisation
+from .decontaminate import op9_latent_decontamination
+from .language_id import op4_language_id, page_language_id
 from .licences import op8_licence_templates
 from .lm_scoring import op5_lm_scoring
 from .mixing import op7_source_mixing
@@ -11,7 +13,7 @@ from .pii import op3_pii
 from .quality import op1_quality_fm
 from .url_filter import op2_url_filter
 
-_ALL = (op1_quality_fm, op2_url_filter, op3_pii, op5_lm_scoring, op6_ngram_jaccard_join, op7_source_mixing, op8_licence_templates, op10_additive_quantisation)
+_ALL = (op1_quality_fm, op2_url_filter, op3_pii, op4_language_id, op5_lm_scoring, op6_ngram_jaccard_join, op7_source_mixing, op8_licence_templates, op9_latent_decontamination, op10_additive_quantisation, page_language_id)
 QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL: dict[str, str] = {}
