@@ -1,15 +1,27 @@
-"""The corpus pipeline: each stage works on all that the one before it kept."""
+"""The corpus pipeline: each stage works on all that the one before it kept, read back from Parquet."""
 
 from __future__ import annotations
 
+from gleaner.llm import stages
+from gleaner.llm._store import saved
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+STAGES = [
+    ("language ID", stages.known_language),
+    ("n-gram Jaccard join", stages.one_of_each),
+    ("benchmark decontamination", stages.decontaminated),
+    ("PII", stages.private_masked),
+    ("mixing", stages.mixed),
+]
+
+#: The first three stages learn or search by models that SQL can't express; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = saved(docs, "stage")
     return docs
