@@ -7,11 +7,13 @@ A text's set is its distinct 5-word shingles. The method:
    ``n - ceil(t n) + k`` shingles of either set, the extended prefix. Shingles of one text only can't be shared and are
    skipped, so most texts index nothing.
 3. Equal sets are one class (by a 64-bit digest of the set), so groups of exact copies weigh no more than one text.
-4. Each bucket of the index first links its members to its least class, after verifying (rows grow linearly with a bucket);
-   components of those links are found.
+4. Each bucket of the index first links its members to its most central class, the one with the smallest share of shingles
+   of its own, after verifying (rows grow linearly with a bucket); components of those links are found.
 5. Then every bucket that still holds several components joins across them: rare shingles by themselves, frequent ones
-   only in pairs of two that both texts have (a shingle is frequent for all texts or for none). Whatever shares a key and
-   isn't connected yet is verified, so no link between components is lost; pairs within one are not needed and not made.
+   only in pairs of two that both texts have (a shingle is frequent for all texts or for none). Keys also hold both size
+   classes, and a text takes part only for those sizes of a partner for which its shared shingles can be enough.
+   Whatever shares a key and isn't connected yet is verified, so no link between components is lost; pairs within one are
+   not needed and not made.
 
 Every link is checked on whole sets: ``100 * intersection >= percent * union``.
 """
@@ -34,7 +36,11 @@ from .components import connected
 BUFFER = 3_000_000
 SHARD_BYTES, LEAST_SHARDS = 24 << 20, 48
 #: A shingle of that many texts or more is frequent, unless a text has more than MOST_COMBINED frequent ones in its prefix.
-FREQUENT, MOST_COMBINED = 64, 64
+FREQUENT, MOST_COMBINED = 64, 12
+#: Size classes grow by this factor.
+STEP = 1.05
+#: First shingles of a prefix that its index rows carry.
+HEAD = 64
 _M = U(0x9FB21C651E98DF25)
 
 
@@ -135,7 +141,7 @@ def _frequencies(at: str, shards: int, h: np.ndarray) -> np.ndarray:
     return out
 
 
-_MARKS = "id long, n long, cls long, tokens array<long>, dfs array<int>, places array<int>, hot int, held binary"
+_MARKS = "id long, n long, cls long, rest long, tokens array<long>, dfs array<int>, places array<int>, hot int, held binary"
 
 
 def _mark(at: str, shards: int, width: int, percent: int):
@@ -162,8 +168,8 @@ def _mark(at: str, shards: int, width: int, percent: int):
             flat = [np.concatenate(x).astype(t) if x else np.empty(0, t) for x, t in ((tokens, np.uint64), (dfs, np.int32), (places, np.int32))]
             lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (flat[0].view(np.int64), *flat[1:])]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(cls.view(np.int64), mask=n == 0), *lists, pa.array(hot), pa.array(held, pa.binary())],
-                names=["id", "n", "cls", "tokens", "dfs", "places", "hot", "held"],
+                [batch.column("id").cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(cls.view(np.int64), mask=n == 0), pa.array((n - single).astype(np.int64)), *lists, pa.array(hot), pa.array(held, pa.binary())],
+                names=["id", "n", "cls", "rest", "tokens", "dfs", "places", "hot", "held"],
             )
 
     return run
@@ -209,35 +215,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts.repartition(parts, "shard").groupBy("shard").applyInPandas(_merge(at), "shared long").agg(F.sum("shared")).first()
     marks = saved(texts.mapInArrow(_mark(at, shards, width, percent), _MARKS), "marks")
 
-    ratio = F.lit(percent)
-    alike = (100 * F.least("n", "m") >= ratio * F.greatest("n", "m"))
-    posts = marks.where(F.size("tokens") > 0).select("cls", "n", "hot", F.explode(F.arrays_zip("tokens", "dfs", "places")).alias("p")).select("cls", "n", "hot", F.col("p.tokens").alias("token"), F.col("p.dfs").alias("df"), F.col("p.places").alias("place"))
-    buckets = posts.groupBy("token").agg(F.min(F.struct("cls", "n")).alias("least"), F.max("cls").alias("most"), F.max("hot").alias("hot_most")).where("least.cls < most")
-    posts = saved(
-        posts.drop("hot").join(buckets, "token").groupBy("token", "cls").agg(F.first("n").alias("n"), F.first("place").alias("place"), F.first("least.cls").alias("least"), F.first("least.n").alias("m"), F.first((F.col("df") >= FREQUENT) & (F.col("hot_most") <= MOST_COMBINED)).alias("frequent")),
-        "posts",
-    )
+    enough = (100 + percent) * F.least("rest", "rest_m") >= percent * (F.col("n") + F.col("m"))
+    posts = marks.where(F.size("tokens") > 0).select("cls", "n", "rest", "hot", F.explode(F.arrays_zip("tokens", "dfs", "places")).alias("p")).select("cls", "n", "rest", "hot", F.col("p.tokens").alias("token"), F.col("p.dfs").alias("df"), F.col("p.places").alias("place"))
+    central = F.struct((1 - F.col("rest") / F.col("n")).alias("own"), "cls", "n", "rest")
+    buckets = posts.groupBy("token").agg(F.min(central).alias("lead"), F.min("cls").alias("least"), F.max("cls").alias("most"), F.max("hot").alias("hot_most")).where("least < most")
+    frequent = (F.col("df") >= FREQUENT) & (F.col("hot_most") <= MOST_COMBINED)
+    posts = posts.drop("hot").join(buckets.select("token", "lead", "hot_most"), "token").groupBy("token", "cls").agg(*(F.first(c).alias(c) for c in ("n", "rest", "place")), F.first("lead").alias("lead"), F.first(frequent).alias("frequent"))
+    posts = saved(posts, "posts")
     sets = marks.where("held is not null").join(posts.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("held").alias("held"))
     sets = saved(sets, "sets")
-    star = posts.where("cls > least").where(alike).select(F.col("least").alias("a"), F.col("cls").alias("b")).distinct()
+    star = posts.select("*", F.col("lead.n").alias("m"), F.col("lead.rest").alias("rest_m")).where(F.col("cls") != F.col("lead.cls")).where(enough)
+    star = star.select(F.least("cls", "lead.cls").alias("a"), F.greatest("cls", "lead.cls").alias("b")).distinct()
     links = saved(_links(star, sets, percent), "links")
     labels = connected(links)
 
     # across the components found so far
-    posts = posts.drop("least", "m").join(labels.withColumnRenamed("id", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    posts = posts.drop("lead").join(labels.withColumnRenamed("id", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     mixed = posts.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
     posts = saved(posts.join(mixed, "token", "left_semi"), "mixed")
-    alone = posts.where(~F.col("frequent")).select(F.col("token").alias("key"), "cls", "n", "label", "place")
-    several = posts.where("frequent").groupBy("cls").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.sort_array(F.collect_set("token")).alias("tokens"))
-    several = several.select("cls", "n", "label", F.posexplode("tokens").alias("i", "x"), "tokens").select("cls", "n", "label", "x", F.explode(F.slice("tokens", F.col("i") + 2, MOST_COMBINED)).alias("y"))
-    keys = alone.unionByName(several.select(F.xxhash64("x", "y").alias("key"), "cls", "n", "label", F.lit(0).alias("place")))
+    size_class = lambda size: F.floor(F.log(size) / float(np.log(STEP))).cast("int")
+    own = size_class(F.col("n"))
+    partners = F.filter(  # what stands before the place may hold one shared shingle at most
+        F.sequence(size_class(F.greatest(F.lit(1.0), F.col("n") * percent / 100.0)), size_class(F.col("n") * 100.0 / percent)),
+        lambda c: (100 + percent) * F.least(F.col("rest"), 1 + F.col("n") - F.col("place")) >= percent * (F.col("n") + F.pow(F.lit(STEP), c) - 1e-6),
+    )
+    sized = lambda *key: F.inline(F.transform(partners, lambda c: F.struct(F.xxhash64(*key, F.least(own, c), F.greatest(own, c)).alias("key"), own.alias("own"), c.alias("for"))))
+    alone = posts.where(~F.col("frequent")).groupBy("cls").agg(*(F.first(c).alias(c) for c in ("n", "rest", "label")), F.sort_array(F.collect_list(F.struct("place", "token"))).alias("all"))
+    alone = alone.select("cls", "n", "rest", "label", F.transform(F.slice("all", 1, HEAD), lambda x: x.token).alias("head"), F.inline("all"))
+    alone = alone.select("cls", "n", "rest", "label", "place", "token", "head", sized("token"))
+    several = posts.where("frequent").groupBy("cls").agg(*(F.first(c).alias(c) for c in ("n", "rest", "label")), F.sort_array(F.collect_set("token")).alias("tokens"))
+    several = several.select("cls", "n", "rest", "label", F.lit(0).alias("place"), F.posexplode("tokens").alias("i", "x"), "tokens").select("cls", "n", "rest", "label", "place", "x", F.explode(F.slice("tokens", F.col("i") + 2, MOST_COMBINED)).alias("y"))
+    keys = alone.unionByName(several.select("cls", "n", "rest", "label", "place", F.lit(None).cast("long").alias("token"), F.lit(None).cast("array<long>").alias("head"), sized("x", "y")))
     keys = saved(keys, "keys")
     lead = keys.groupBy("key").agg(F.min("label").alias("lead"), F.max("label").alias("hi")).where("lead < hi").select("key", "lead")
     keys = keys.join(lead, "key")
-    fewer = keys.where("label <> lead").select("key", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"), F.col("place").alias("where"))
-    needed = F.ceil(ratio * (F.col("n") + F.col("m")) / (100 + ratio))
+    fewer = keys.where("label <> lead").select("key", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("rest").alias("rest_m"), F.col("label").alias("other"), F.col("place").alias("where"), F.col("head").alias("other_head"), F.col("own").alias("other_own"), F.col("for").alias("other_for"))
     reach = 1 + F.least(F.col("n") - F.col("place"), F.col("m") - F.col("where"))
-    across = keys.drop("lead").join(fewer, "key").where(F.col("label") != F.col("other")).where(alike).where(reach >= needed)
+    # a pair comes from the first shingle that both have, as far as their heads tell; it is the one with the widest reach
+    first = F.coalesce(F.get(F.array_intersect("head", "other_head"), F.lit(0)) == F.col("token"), F.lit(True))
+    across = keys.drop("lead").join(fewer, "key").where((F.col("label") != F.col("other")) & (F.col("for") == F.col("other_own")) & (F.col("own") == F.col("other_for")) & enough & ((100 + percent) * reach >= percent * (F.col("n") + F.col("m"))) & first)
     across = across.select(F.least("cls", "b").alias("a"), F.greatest("cls", "b").alias("b")).distinct()
     more = saved(_links(across, sets, percent), "links")
     if not more.isEmpty():
