@@ -30,6 +30,8 @@ FEATURES, RANK, SKIP = 1 << 13, 48, 8
 NEAR, COVER, EXACT, LOOSE = 0.25, 0.55, 0.8, 0.6
 #: Benchmark parts that one pass over the passages holds, and blocks a task works on at once.
 PARTS, AT_ONCE = 4096, 20_000
+#: Entries that are gathered at once.
+STEP = 16_384
 
 
 def lcs(a: list[int], b: list[int]) -> int:
@@ -109,15 +111,6 @@ def _weights(b: _Blocks, idf: np.ndarray) -> np.ndarray:
     return w / norm[b.block]
 
 
-def _sums(values: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
-    """Rows of values summed by sorted key."""
-    out = np.zeros((n, values.shape[1]), np.float32)
-    if len(key):
-        first = runs(key)
-        out[key[first]] = np.add.reduceat(values, first, axis=0)
-    return out
-
-
 def _omega() -> np.ndarray:
     return np.random.default_rng(17).normal(size=(FEATURES, RANK)).astype(np.float32)
 
@@ -131,12 +124,17 @@ def _sketch(idf: np.ndarray):
         for _, texts in _chunks(batches):
             b = _blocks(texts)
             w = _weights(b, idf)
-            for a in range(0, len(w), 400_000):
-                part = slice(a, a + 400_000)
-                block, feature, v = b.block[part] - b.block[a], b.feature[part], w[part, None]
-                rows = _sums(omega[feature] * v, block, int(block[-1]) + 1)  # a block cut by the piece is two rows
-                order = np.argsort(feature, kind="stable")
-                total += _sums(rows[block[order]] * v[order], feature[order], FEATURES)
+            rows = np.zeros((len(b.text), RANK), np.float32)
+            for a in range(0, len(w), STEP):  # pieces that stay in a core's cache
+                part = slice(a, a + STEP)
+                first = runs(b.block[part])
+                rows[b.block[part][first]] += np.add.reduceat(omega[b.feature[part]] * w[part, None], first, axis=0)
+            order = np.argsort(b.feature.astype(np.uint16), kind="stable")
+            feature, block, w = b.feature[order], b.block[order], w[order]
+            for a in range(0, len(w), STEP):
+                part = slice(a, a + STEP)
+                first = runs(feature[part])
+                total[feature[part][first]] += np.add.reduceat(rows[block[part]] * w[part, None], first, axis=0)
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId() % 32
@@ -187,8 +185,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def _vectors(b: _Blocks, space: Space) -> np.ndarray:
     w = (1 + np.log(b.times)) * space.idf[b.feature]
     out = np.zeros((len(b.text), space.basis.shape[1]), np.float32)
-    for a in range(0, len(w), 400_000):
-        part = slice(a, a + 400_000)
+    for a in range(0, len(w), STEP):
+        part = slice(a, a + STEP)
         block = b.block[part]
         first = runs(block)
         out[block[first]] += np.add.reduceat(space.basis[b.feature[part]] * w[part, None].astype(np.float32), first, axis=0)
@@ -228,19 +226,19 @@ def _retrieve(space: Space, parts: list[Part], exact: float, loose: float):
             found: dict[tuple[int, int], tuple[float, float, float]] = {}
             for a in range(0, len(passages), 4096):
                 near = passages[a : a + 4096] @ queries.T
-                p, q = np.nonzero(near >= NEAR)
+                q, p = np.nonzero((near >= NEAR).T)  # part by part, so that its weights stay in a core's cache
                 cosine = near[p, q]
                 p = p + a
                 last = np.minimum(p + 1, len(v) - 1)
                 last = np.where(b.text[last] == b.text[p], last, p)
                 lo, n = bounds[p], bounds[last + 1] - bounds[p]
-                for s in range(0, len(p), 20_000):  # which have enough of the part's weighted words
-                    k = n[s : s + 20_000]
+                for s in range(0, len(p), 2000):  # which have enough of the part's weighted words
+                    k = n[s : s + 2000]
                     if not len(k):
                         continue
                     row = np.repeat(np.arange(len(k)), k)
-                    entry = np.arange(len(row)) - np.repeat(np.cumsum(k) - k, k) + lo[s : s + 20_000][row]
-                    seen = weight[q[s : s + 20_000][row], b.feature[entry]]
+                    entry = np.arange(len(row)) - np.repeat(np.cumsum(k) - k, k) + lo[s : s + 2000][row]
+                    seen = weight[q[s : s + 2000][row], b.feature[entry]]
                     twice = np.bincount(row, seen, len(k))
                     for j in np.flatnonzero(twice >= COVER) + s:
                         text, part = int(b.text[p[j]]), parts[q[j]]
