@@ -4,10 +4,10 @@ from gleaner.streaming import progress
 def test_windows_and_repeats(spark, tmp_path):
     rows = [(1, 7, "crawl", 10.0, "2024-01-01 00:01:00"), (1, 7, "crawl", 10.0, "2024-01-01 00:01:00"), (2, 7, "crawl", 50.0, "2024-01-01 00:02:00"), (1, 7, "audit", 90.0, "2024-01-01 00:07:00")]
     spark.createDataFrame(rows, "job_id long, domain long, stage string, percent double, at string").selectExpr("job_id", "domain", "stage", "percent", "cast(at as timestamp) at").coalesce(1).write.json(str(tmp_path / "in"))
-    stream = progress.windowed(progress.once_each(progress.progress_source(spark, str(tmp_path / "in"))))
+    stream = progress.windowed(progress.once_each(progress.progress_source(spark, str(tmp_path / "in"))), late=None)
     done = stream.writeStream.format("memory").queryName("seen").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     done.awaitTermination(120)
     assert done.exception() is None
-    batch = progress.windowed(spark.read.schema(progress.SCHEMA).json(str(tmp_path / "in")).dropDuplicates(["job_id", "stage", "percent"]))
+    batch = progress.windowed(spark.read.schema(progress.SCHEMA).json(str(tmp_path / "in")).dropDuplicates(["job_id", "stage", "percent"]), late=None)
     got = {(str(r["start"]), r["stage"]): (r["events"], r["furthest"]) for r in batch.collect()}
     assert got == {("2024-01-01 00:00:00", "crawl"): (2, 50.0), ("2024-01-01 00:05:00", "audit"): (1, 90.0)}
