@@ -174,16 +174,16 @@ def train(docs: DataFrame) -> Model:
     spark = docs.sparkSession
     texts = docs.select("text")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(LEAST_SHARDS, -(-size // SHARD_BYTES))
+    shards = int(max(LEAST_SHARDS, -(-size // SHARD_BYTES)))
     at = new_dir(spark, "lm")
-    parts = min(shards, max(LEAST_SHARDS, spark.sparkContext.defaultParallelism))
     blocks = texts.mapInArrow(_count(shards), _BLOCK)
-    words = blocks.repartition(max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), "shard").groupBy("shard").applyInPandas(_bigrams(at, shards), _WORDS)
-    stats = words.groupBy("shard").applyInPandas(_unigrams(at), ", ".join(f"{c} long" for c in _STATS))
+    # as many tasks as shards, so that what one reads doesn't grow
+    words = blocks.repartition(shards, "shard").groupBy("shard").applyInPandas(_bigrams(at, shards), _WORDS)
+    stats = words.repartition(shards, "shard").groupBy("shard").applyInPandas(_unigrams(at), ", ".join(f"{c} long" for c in _STATS))
     row = stats.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _STATS)).first().asDict()
     uni, bi = ([row[f"{k}{i}"] for i in (1, 2, 3, 4)] for k in "ub")
     kinds = (uni[0], uni[1], row["v"] - uni[0] - uni[1])
-    return Model(at, int(shards), row["n"], row["v"], row["pairs"], tuple(_discounts(*uni)), tuple(_discounts(*bi)), kinds)
+    return Model(at, shards, row["n"], row["v"], row["pairs"], tuple(_discounts(*uni)), tuple(_discounts(*bi)), kinds)
 
 
 def _by_shard(shard: np.ndarray, shards: int) -> Iterator[tuple[int, slice]]:

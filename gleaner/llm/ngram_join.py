@@ -210,9 +210,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = int(max(LEAST_SHARDS, -(-size // SHARD_BYTES)))
     at = new_dir(spark, "shingles")
-    parts = max(LEAST_SHARDS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     counts = texts.select("text").mapInArrow(_count(shards, width), "shard int, keys binary, counts binary")
-    counts.repartition(parts, "shard").groupBy("shard").applyInPandas(_merge(at), "shared long").agg(F.sum("shared")).first()
+    counts.repartition(shards, "shard").groupBy("shard").applyInPandas(_merge(at), "shared long").agg(F.sum("shared")).first()
     marks = saved(texts.mapInArrow(_mark(at, shards, width, percent), _MARKS), "marks")
 
     enough = (100 + percent) * F.least("rest", "rest_m") >= percent * (F.col("n") + F.col("m"))

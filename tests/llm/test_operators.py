@@ -261,7 +261,7 @@ def test_licence_markup_errors():
 
 def test_licence_scan(docs, rows, none):
     got = Counter((r["doc_id"], r["n_words"]) for r in licences.scan(docs).collect())
-    assert got == Counter((i, len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t or ""))) for i, t, _, _ in rows)
+    assert got == Counter((i, len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(t)))) for i, t, _, _ in rows)
     assert licences.scan(none).count() == 0
 
 
