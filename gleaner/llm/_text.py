@@ -1,7 +1,7 @@
 """Vectorised tokenising and hashing of whole texts, straight from Arrow buffers.
 
 Words are found on UTF-8 bytes: the separators of both kinds are ASCII, so byte classes and code-point classes agree.
-Lower-casing folds A-Z only. Texts are worked on in pieces of a few MB, so memory doesn't grow with a batch; a single
+Lower-casing folds A-Z only. Texts are worked on a MB or two at a time, so memory doesn't grow with a batch; a single
 text needs about eight times its own size.
 """
 
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-PIECE = 4 << 20
+PIECE = 1 << 20
 U = np.uint64
 
 #: What separates words. Of kind "space": ``[\x20\x09-\x0D]``; of kind "alnum": all but ASCII letters, digits and non-ASCII.

@@ -26,7 +26,7 @@ from ._text import hash_word, pair, pieces, words_of
 
 END, START = np.uint64(hash_word("\n</s>")), np.uint64(hash_word("\n<s>"))
 #: Tokens a task gathers before it sends their bigrams on.
-BUFFER = 3_000_000
+BUFFER = 1_500_000
 #: Bytes of text for each shard of the model, and the fewest shards.
 SHARD_BYTES, LEAST_SHARDS = 24 << 20, 48
 _BLOCK = "shard int, left binary, times binary, right binary, counts binary"

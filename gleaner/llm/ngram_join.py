@@ -33,7 +33,7 @@ from ._text import U, by_text, mix, pieces, words_of
 from .components import connected
 
 #: Shingles a task gathers before it sends their counts on.
-BUFFER = 3_000_000
+BUFFER = 1_500_000
 SHARD_BYTES, LEAST_SHARDS = 24 << 20, 48
 #: A shingle of that many texts or more is frequent, unless a text has more than MOST_COMBINED frequent ones in its prefix.
 FREQUENT, MOST_COMBINED = 64, 12
