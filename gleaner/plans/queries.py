@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import catalog
 from ..functions import markup, scores, text, urls
-from ..operators import composite, files, history, pages, texts, visibility
+from ..operators import citability, composite, files, history, pages, texts, visibility
 from ..sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,6 +121,40 @@ def duplicate_texts(spark, sf_dir):
     return rows.where("n > 1").groupBy("source").agg(F.count("*").alias("pages"), F.sum("n").alias("in_groups"))
 
 
+_SPLIT = f"list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\\n'), lambda p: regexp_replace(p, '^{WS}+|{WS}+$', '', 'g')), lambda p: len(regexp_split_to_array(p, '{WS}+')) BETWEEN 15 AND 300)"
+_MATCH = lambda c, ps: " + ".join(f"regexp_matches({c}, {quoted('(?i)' + p)})::INTEGER" for p in ps)
+_DEF = tuple(rf"\b(?:{p})\b" for p in catalog.DEFINITIVE)
+_CITE = f"""g0 AS (SELECT doc_id, lang, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, lang, {_SPLIT} AS l FROM documents)),
+g1 AS (SELECT doc_id, lang, i - 1 AS place, l[i] AS p, len(regexp_split_to_array(l[i], '{WS}+')) AS n, regexp_extract(l[i], '^[^.!?]+[.!?]') AS f, array_to_string(regexp_split_to_array(l[i], '{WS}+')[1:60], ' ') AS ld FROM g0),
+g2 AS (SELECT *, f <> '' AND len(regexp_split_to_array(f, '{WS}+')) BETWEEN 5 AND 30 AS sh, len(list_filter(regexp_split_to_array(p, '[.!?]+'), lambda s: length(trim(s)) > 10)) AS se FROM g1),
+g3 AS (SELECT doc_id, lang, place, n, least(100, least(40, 15 * ({_MATCH('p', _DEF)})) + CASE WHEN sh THEN 15 ELSE 0 END + CASE WHEN sh AND ({_MATCH('f', _DEF)}) > 0 THEN 15 ELSE 0 END + CASE WHEN ({_MATCH('ld', _DEF)}) > 0 THEN 10 ELSE 0 END) AS answer,
+ greatest(0, least(100, 100 - 30 * regexp_matches(p, {quoted('(?i)^' + chr(92) + 's*(?:' + catalog.DEPENDENT + ')' + chr(92) + 'b')})::INTEGER - 15 * regexp_matches(p, '(?i)^\\s*(?:it|this|that|these|those|they|he|she)\\s')::INTEGER - CASE WHEN n < 25 THEN 15 ELSE 0 END - 20 * (NOT regexp_matches(p, '[.!?]'))::INTEGER - 10 * (NOT regexp_matches(p, '[.!?:]\\s*$'))::INTEGER + 10 * regexp_matches(p, '[:;]')::INTEGER)) AS self_contained,
+ least(100, 30 + CASE WHEN n BETWEEN 100 AND 200 THEN 15 WHEN n BETWEEN 50 AND 250 THEN 8 ELSE 0 END + 25 * regexp_matches(p, '(?:^|\\n)\\s*(?:[-•*]|[0-9]+[.)]) ')::INTEGER + 10 * regexp_matches(p, '\\*\\*[^*]+\\*\\*')::INTEGER + CASE WHEN se BETWEEN 2 AND 5 THEN 10 ELSE 0 END) AS structure,
+ least(100, least(60, 15 * ({_MATCH('p', tuple(p.replace('<b>', chr(92) + 'b') for p in catalog.FIGURES))})) + 20 * ({_MATCH('p', (catalog.COMPARED.replace('<b>', chr(92) + 'b'),))})) AS figures,
+ least(100, least(70, 20 * ({_MATCH('p', tuple(chr(92) + 'b(?:' + p + ')' + chr(92) + 'b' for p in catalog.UNIQUE))})) + 15 * regexp_matches(p, '"[^"]+"')::INTEGER + CASE WHEN len(regexp_extract_all(p, '\\b[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*\\b')) >= 2 THEN 15 ELSE 0 END) AS "unique" FROM g2),
+g AS (SELECT *, {half_up_sql('(answer * 30 + self_contained * 25 + structure * 20 + figures * 15 + "unique" * 10) / 100')} AS overall FROM g3)"""
+
+
+@query(f'WITH {_CITE} SELECT doc_id, place::INTEGER AS place, answer, self_contained, structure, figures, "unique", overall FROM g')
+def passage_dims(spark, sf_dir):
+    return citability.dimensions(texts.passages(table(spark, sf_dir, "documents"), "doc_id", separator="\n")).select("doc_id", "place", *catalog.CITABILITY, "overall")
+
+
+@query(f"WITH {_CITE} SELECT doc_id, count(*) AS passages, count_if(overall >= 70)::BIGINT AS high, {half_up_sql('avg(overall)')} AS score FROM g GROUP BY doc_id")
+def page_citability(spark, sf_dir):
+    return citability.by_text(table(spark, sf_dir, "documents"), "doc_id", separator="\n")
+
+
+@query(f"WITH {_CITE}, c AS (SELECT doc_id, lang, count(*) AS n, count_if(overall >= 70) AS h, {half_up_sql('avg(overall)')} AS s FROM g WHERE doc_id IN (SELECT doc_id FROM documents WHERE len({_WORDS}) > 100) GROUP BY doc_id, lang) SELECT lang, sum(n)::BIGINT AS passages, sum(h)::BIGINT AS high, {half_up_sql('sum(s * n) / sum(n)')} AS score FROM c GROUP BY lang")
+def site_citability(spark, sf_dir):
+    return citability.by_site(table(spark, sf_dir, "documents"), "doc_id", "lang", separator="\n")
+
+
+@query(f"WITH {_CITE}, r AS (SELECT doc_id, place::INTEGER AS place, overall, row_number() OVER (PARTITION BY doc_id ORDER BY overall, place DESC)::INTEGER AS rank FROM g WHERE overall < 50) SELECT doc_id, rank, place, overall FROM r WHERE rank <= 5")
+def weak_passages(spark, sf_dir):
+    return citability.weakest(table(spark, sf_dir, "documents"), "doc_id", separator="\n")
+
+
 # --- pages
 
 _SITE = r"CASE WHEN regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) = '' THEN url ELSE regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\.', '') END"
