@@ -6,11 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, language_id, mixing, ngram_join, pii
+from ._store import saved
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose doc_id isn't among ``ids``; those with a null doc_id stay. Spark sends the ids round only where they are few."""
-    return docs.join(ids.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Rows whose doc_id isn't among ``ids``; those with a null doc_id stay.
+
+    The ids are written first, so that their size is known: Spark sends them round where they are few, else it shuffles.
+    """
+    known = saved(ids.select("doc_id").where("doc_id is not null").distinct(), "ids")
+    return docs.join(known, "doc_id", "left_anti").select(docs.columns)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
