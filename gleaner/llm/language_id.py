@@ -5,7 +5,7 @@ one declares in its markup, and the prior of the host, which is smoothed towards
 towards the whole corpus's. Priors and declaration rates are sums of text-only posteriors, aggregated by group in Spark.
 
 Rejected (``accepted`` false) are texts without letters (null and empty ones too), texts whose trigrams fit their best
-language worse than chance, and texts with no language above ``least`` posterior. Null hosts, suffixes and declarations are
+language clearly worse than chance, and texts with no language above ``least`` posterior. Null hosts, suffixes and declarations are
 no evidence. Repeated rows stay rows. Whole texts are read.
 """
 
@@ -26,6 +26,8 @@ from .lm_scoring import held_out
 CODES, MOST_LANGUAGES = 1 << 14, 64
 #: Overlapping trigrams aren't independent: the log likelihood counts by this factor. Texts a level of priors weighs.
 TEMPER, STRENGTH = 0.3, 50.0
+#: Nats a trigram by which a text may fit worse than chance: a short text may hold a key or a code.
+SLACK = 1.5
 
 _FOLD = np.zeros(256, np.uint8)
 _FOLD[0x61:0x7B] = np.arange(1, 27)
@@ -123,7 +125,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     confidence = 1 / F.aggregate("logs", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top")))
     return rows.select(
         F.col("id").alias(id_col), best(F.col("logs")).alias("lang"), confidence.alias("confidence"), F.when(F.col("n") > 0, best(F.col("p"))).alias("text_lang"),
-        ((F.col("n") > 0) & (F.col("fit") >= -float(np.log(CODES))) & (confidence >= least)).alias("accepted"),
+        ((F.col("n") > 0) & (F.col("fit") >= -float(np.log(CODES)) - SLACK) & (confidence >= least)).alias("accepted"),
     )
 
 
