@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import catalog
 from ..functions import markup, scores, text, urls
-from ..operators import citability, composite, files, history, pages, texts, visibility
+from ..operators import citability, composite, files, history, pages, records, texts, visibility
 from ..sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -499,3 +499,60 @@ def upsert_latest(spark, sf_dir):
 def due_schedules(spark, sf_dir):
     rows = spark.createDataFrame([(1, "daily", True, None), (2, "weekly", True, "2024-01-31 00:00:00"), (3, "daily", False, None), (4, "daily", True, "2024-03-01 00:00:00"), (5, "monthly", True, _NOW)], "id int, frequency string, enabled boolean, at string")
     return history.due(rows.withColumn("next_run_at", F.to_timestamp("at")), _NOW).select("id", F.col("next").cast("timestamp_ntz").alias("next"))
+
+
+# --- page records, made from documents on both sides
+
+_RECORDS = """SELECT source AS site, doc_id AS page_id, CASE WHEN doc_id % 17 = 0 THEN 404 ELSE 200 END AS status, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE substring(text, 1, CAST(20 + doc_id % 40 AS INT)) END AS description, CASE WHEN doc_id % 2 = 0 THEN 't' ELSE '' END AS og_title,
+ CASE WHEN doc_id % 5 = 0 THEN NULL ELSE 'd' END AS og_description, CASE WHEN doc_id % 4 = 0 THEN 'summary' END AS tw_card, CASE WHEN doc_id % 4 < 2 THEN 't' END AS tw_title, CASE WHEN doc_id % 6 = 0 THEN 'd' END AS tw_description, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE 'width=device-width' END AS viewport,
+ CAST(doc_id * 37 % 4000 AS INT) AS response_ms, CAST(doc_id % 3 AS INT) AS hops, CAST(doc_id % 6 AS INT) AS depth, CAST(doc_id % 5 AS INT) AS images, CAST(doc_id % 5 % 3 AS INT) AS images_alt, CAST(n_chars / 6 AS INT) AS words, CASE WHEN doc_id % 7 = 0 THEN 'identity' ELSE 'gzip' END AS encoding,
+ CASE WHEN doc_id % 2 = 1 THEN 'a' END AS author, CASE WHEN doc_id % 8 = 0 THEN 'bio' END AS author_bio, doc_id % 4 AS kind FROM documents"""
+_LEVELS = ((), (1, 2, 3), (1, 3), (1, 2, 1))
+
+
+def _records_sql() -> str:
+    there = lambda c: f"coalesce({c}, '') <> ''"
+    share = lambda x, of="n": f"(CASE WHEN {of} > 0 THEN {x} / {of} ELSE 0.0 END)"
+    few = lambda x, k: f"CASE WHEN {x} = 0 THEN 'pass' WHEN {x} <= {k} THEN 'partial' ELSE 'fail' END"
+    percent = lambda x: half_up_sql(f"({x}) * 100")
+    by_score = lambda x: f"CASE WHEN {x} >= 60 THEN 'pass' WHEN {x} > 0 THEN 'partial' ELSE 'fail' END"
+    depth = f"least(100, {half_up_sql('(1 - ' + share('thin') + ') * 30 + ' + share('deep') + ' * 40 + ' + share('built') + ' * 30')})"
+    card, author, alt = percent("tw / (3 * n)"), f"least(100, {half_up_sql(share('authored', 'content') + ' * 60 + ' + share('bios', 'content') + ' * 40')})", f"CASE WHEN images = 0 THEN 100 ELSE {percent('alts / images')} END"
+    less = lambda x: percent("1 - " + share(x))
+    rows = [
+        ("Content Structure & Depth", depth, by_score(depth)), ("Heading Hierarchy", f"CASE WHEN headed > 0 THEN {percent(share('ordered', 'headed'))} ELSE 0 END", f"CASE WHEN headed = 0 THEN 'not_applicable' ELSE {status_sql(share('ordered', 'headed'), 0.8, 0.5)} END"),
+        ("Meta Descriptions", percent(share("described")), status_sql(share("described"), 0.8, 0.5)), ("Duplicate Meta Descriptions", f"CASE WHEN told > 0 THEN {percent('1 - ' + share('repeated', 'told'))} ELSE 100 END", few("repeated", 2)),
+        ("Compression", percent(share("packed")), f"CASE WHEN {share('packed')} >= 0.8 THEN 'pass' WHEN packed > 0 THEN 'partial' ELSE 'fail' END"), ("Open Graph Tags", percent(share("og")), status_sql(share("og"), 0.8, 0.5)), ("Twitter Card Tags", card, by_score(card)),
+        ("Author & Expertise Signals", f"CASE WHEN content = 0 THEN 50 ELSE {author} END", f"CASE WHEN content = 0 THEN 'partial' ELSE {by_score(author)} END"), ("Image Alt Text", alt, status_sql(f"({alt})", 80, 50)), ("Mobile Viewport", percent(share("fitted")), status_sql(share("fitted"), 0.9, 0.5)),
+        ("Broken Pages", less("broken"), f"CASE WHEN broken = 0 THEN 'pass' WHEN {share('broken')} <= 0.1 THEN 'partial' ELSE 'fail' END"), ("Page Response Time", less("slow"), few("slow", 3)), ("Redirect Chains", less("chains"), few("chains", 3)), ("Crawl Depth", less("buried"), few("buried", 5)),
+    ]
+    one = [f"SELECT site, {i} AS seq, {quoted(n)} AS name, {quoted(catalog.CATEGORY[n])} AS category, ({sc})::INTEGER AS score, {st} AS status, {quoted(catalog.SEVERITY[n])} AS own FROM j" for i, (n, sc, st) in enumerate(rows)]
+    levels = "CASE kind " + " ".join(f"WHEN {i} THEN {list(x)}::INTEGER[]" for i, x in enumerate(_LEVELS)) + " END"
+    return f"""r AS (SELECT *, {levels} AS levels FROM ({_RECORDS.replace("substring(text, 1, CAST(20 + doc_id % 40 AS INT))", "substring(text, 1, (20 + doc_id % 40)::INT)").replace("n_chars / 6", "n_chars // 6")})),
+s AS (SELECT site, count(*) AS n, count_if(words < 300) AS thin, count_if(words > 500) AS deep, count_if(words > 500 AND len(levels) >= 3) AS built, count_if(len(levels) > 0) AS headed, count_if(kind = 1) AS ordered, count_if(length(coalesce(description, '')) >= 30) AS described,
+ count_if(regexp_matches(encoding, 'gzip|br|deflate')) AS packed, count_if({there('og_title')} AND {there('og_description')}) AS og, sum(({there('tw_card')})::INT + ({there('tw_title')})::INT + ({there('tw_description')})::INT) AS tw, count_if(words > 200) AS content, count_if(words > 200 AND {there('author')}) AS authored,
+ count_if(words > 200 AND {there('author_bio')}) AS bios, sum(images) AS images, sum(images_alt) AS alts, count_if({there('viewport')}) AS fitted, count_if(status < 200 OR status >= 400) AS broken, count_if(response_ms > 3000) AS slow, count_if(hops > 1) AS chains, count_if(depth > 3) AS buried FROM r GROUP BY site),
+d AS (SELECT site, sum(k) AS told, sum(CASE WHEN k > 1 THEN k ELSE 0 END) AS repeated FROM (SELECT site, trim(description) AS t, count(*) AS k FROM r WHERE length(trim(coalesce(description, ''))) >= 20 GROUP BY site, t) GROUP BY site),
+j AS (SELECT s.*, coalesce(told, 0) AS told, coalesce(repeated, 0) AS repeated FROM s LEFT JOIN d USING (site)), i AS ({' UNION ALL '.join(one)}),
+items AS (SELECT site, seq, name, category, score, 100 AS max_score, status, CASE WHEN status IN ('pass', 'not_applicable') THEN 'info' ELSE own END AS severity FROM i)"""
+
+
+_RECORD_ITEMS = _records_sql()
+
+
+def _records(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    head = _RECORDS.split("SELECT ", 1)[1].rsplit(" FROM documents", 1)[0]
+    view = spark.sql("SELECT " + head + " FROM {docs}", docs=docs)
+    levels = F.element_at(F.array(*(F.array(*map(F.lit, x)).cast("array<int>") for x in _LEVELS)), (F.col("kind") + 1).cast("int"))
+    return view.withColumn("levels", levels)
+
+
+@query(f"WITH {_RECORD_ITEMS} SELECT * FROM items")
+def record_checks(spark, sf_dir):
+    return records.record_checks(_records(spark, sf_dir))
+
+
+@query(f"WITH {_RECORD_ITEMS}, o AS (SELECT site, {_OVERALL} AS overall FROM items WHERE status <> 'not_applicable' GROUP BY site) SELECT site, overall, {_GRADE('overall')} AS grade FROM o")
+def record_overall_score(spark, sf_dir):
+    return composite.overall(records.record_checks(_records(spark, sf_dir)))
