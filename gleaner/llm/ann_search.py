@@ -1,9 +1,11 @@
 """Approximate nearest neighbours by additive quantisation.
 
 ``M`` codebooks of ``K`` full-dimensional entries are learned from a bounded sample of unit vectors: residual k-means, then
-least squares over all books at once. Every vector is encoded by beam search and kept as ``M`` bytes and the norm of its
-reconstruction. A query's scores come from its lookup table; the best ``keep`` of each code block, then of all, are
-compared exactly, in double precision, on the original vectors.
+least squares over all books at once. Every vector is encoded by beam search and kept as ``M`` bytes, the norm of its
+reconstruction and its cosine with that. A query's scores come from its lookup table. The best ``keep`` of each code block
+are compared exactly, in double precision, on the original vectors; so is every other vector whose angle to the query can,
+by the triangle inequality over its reconstruction, be as small as the k-th best found so far. The result is exact: codes only
+spare comparisons.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, nor do null
 ids. Repeated vectors tie, and ties go to the smaller id, before and after the exact comparison. Rows of one id are
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._store import saved
+from ._store import get, new_dir, put, saved
 
 #: Vectors that the codebooks are learned from at most.
 SAMPLE = 8192
@@ -101,53 +103,85 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame,
 def _codes(model: Books, dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            order = np.argsort(ids := batch.column("id").to_numpy(), kind="stable")
-            x = _unit(_matrix(batch.column("v"), dim)[order])
-            parts = [model.encode(x[a : a + 512]) for a in range(0, len(x), 512)]
-            codes = np.concatenate(parts) if parts else np.zeros((0, len(model.entries)), np.uint8)
-            norms = np.sqrt((model.decode(codes) ** 2).sum(1)).astype(np.float32) if len(codes) else np.zeros(0, np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[order].tobytes()]), pa.array([codes.tobytes()]), pa.array([norms.tobytes()])], names=["ids", "codes", "norms"])
+            x = _unit(_matrix(batch.column("v"), dim))
+            norms, cosines, codes = np.zeros(len(x), np.float32), np.zeros(len(x), np.float32), np.zeros((len(x), len(model.entries)), np.uint8)
+            for a in range(0, len(x), 512):
+                part = slice(a, a + 512)
+                codes[part] = model.encode(x[part])
+                near = model.decode(codes[part])
+                norms[part] = np.sqrt((near * near).sum(1))
+                cosines[part] = (near * x[part]).sum(1) / np.maximum(norms[part], 1e-12)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "v")), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms), pa.array(cosines)], names=["id", "v", "codes", "norm", "cosine"])
 
     return run
 
 
 def index(rows: DataFrame, model: Books, dim: int) -> DataFrame:
-    """Every vector of ``(id, v)`` as codes and norms, a block of rows at a time."""
-    return saved(rows.mapInArrow(_codes(model, dim), "ids binary, codes binary, norms binary"), "codes")
+    """Every vector of ``(id, v)`` with its codes, their norm and its cosine with what they stand for."""
+    return rows.mapInArrow(_codes(model, dim), "id long, v array<double>, codes binary, norm float, cosine float")
 
 
-def _scan(model: Books, keep: int):
-    m, k, d = model.entries.shape
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids, norms = np.frombuffer(row["ids"], np.int64), np.maximum(np.frombuffer(row["norms"], np.float32), 1e-12)
-                codes = np.frombuffer(row["codes"], np.uint8).reshape(-1, m)
-                queries, table = np.frombuffer(row["queries"], np.int64), np.frombuffer(row["vectors"], np.float32).reshape(-1, d) @ model.entries.reshape(-1, d).T
-                found = []
-                for q, lookup in zip(queries.tolist(), table.reshape(-1, m, k)):
-                    score = sum(lookup[i, codes[:, i]] for i in range(m)) / norms
-                    score[ids == q] = -np.inf
-                    if len(ids) > keep:  # all above the last place, then ties by id (ids are sorted)
-                        last = np.partition(score, -keep)[-keep]
-                        above = np.flatnonzero(score > last)
-                        top = np.r_[above, np.flatnonzero(score == last)[: keep - len(above)]]
-                    else:
-                        top = np.arange(len(ids))
-                    top = top[np.isfinite(score[top])]
-                    found.append((np.full(len(top), q), ids[top], score[top]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["query_id", "vec_id", "near"])
+def _put(uri: str):
+    def run(pdf):
+        put(uri, int(pdf["block"].iloc[0]), {"ids": pdf["id"].to_numpy(np.int64), "vectors": np.stack(pdf["v"]).astype(np.float64)})
+        return pdf.iloc[:1][["block"]]
 
     return run
 
 
-def _exact(dim: int):
+def _length(x: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.einsum("ij,ij->i", x, x))
+
+
+def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Cosines of one vector with rows; equal rows give equal bits."""
+    return np.einsum("ij,ij->i", np.broadcast_to(q, x.shape).copy(), x) / (_length(q[None]) * _length(x))
+
+
+def _scan(model: Books, dim: int, uri: str, blocks: int, k: int, keep: int):
+    m, n, d = model.entries.shape
+    #: What single precision may lose in a lookup, with room.
+    slack = 2e-5 * float(np.sqrt((model.entries**2).sum(2)).max(1).sum())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        floor: dict[int, np.ndarray] = {}  # by query block: k-th best scores of this task so far
         for batch in batches:
-            a, b = _matrix(batch.column("q"), dim), _matrix(batch.column("v"), dim)
-            score = np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
-            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec_id"), pa.array(score)], names=["query_id", "vec_id", "score"])
+            if not batch.num_rows:
+                continue
+            order = np.argsort(batch.column("id").to_numpy(), kind="stable")
+            ids, x = batch.column("id").to_numpy()[order], _matrix(batch.column("v"), dim)[order]
+            codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(-1, m)[order]
+            norms, cosine = (np.maximum(batch.column("norm").to_numpy()[order], 1e-12)), batch.column("cosine").to_numpy()[order].astype(np.float64)
+            off = slack / norms.astype(np.float64)
+            aside = np.sqrt(np.maximum(1 - cosine * cosine, 0) + 2e-6)
+            scaled = x / np.abs(x).max(1, keepdims=True)
+            scaled /= _length(scaled)[:, None]
+            for block in range(blocks):
+                queries, vectors = np.asarray(get(uri, block, "ids")).astype(np.int64), np.asarray(get(uri, block, "vectors"))
+                if not len(queries):
+                    continue
+                unit = vectors / np.abs(vectors).max(1, keepdims=True)
+                unit /= _length(unit)[:, None]
+                table = (unit.astype(np.float32) @ model.entries.reshape(-1, d).T).reshape(-1, m, n)
+                least, found = floor.setdefault(block, np.full((len(queries), k), -np.inf)), []
+                for j, q in enumerate(queries.tolist()):
+                    score = (sum(table[j, i, codes[:, i]] for i in range(m)) / norms).astype(np.float64)
+                    other = ids != q
+                    score[~other] = -np.inf
+                    first = np.argpartition(score, -keep)[-keep:] if len(ids) > keep else np.arange(len(ids))
+                    known = np.r_[least[j], scaled[first[other[first]]] @ unit[j]]
+                    floor_now = np.sort(known)[-k] - 1e-9
+                    near = np.clip(score, -1, 1)
+                    most = near * cosine + np.sqrt(1 - near * near + 2 * off) * aside + 2 * off  # cosine of the difference of both angles
+                    reach = np.flatnonzero(other & ((most >= floor_now) | (near + off + 1e-6 >= cosine)))
+                    close = (scaled[reach] if 8 * len(reach) < len(ids) else scaled) @ unit[j]
+                    close = close if len(close) == len(reach) else close[reach]
+                    top = reach[close >= floor_now]
+                    exact = _exact(vectors[j], x[top])
+                    best = np.lexsort((ids[top], -exact))[:k]
+                    least[j] = np.sort(np.r_[least[j], exact[best]])[-k:]
+                    found.append((np.full(len(best), q), ids[top[best]], exact[best]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -159,20 +193,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     if not len(sample):
         return rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).where("false")
     model = learn(_unit(np.stack(sample["v"]).astype(np.float64)))
-    codes = index(rows, model, dim)
     asked = saved(rows.where(is_query).dropDuplicates(["id", "v"]), "queries")
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-
-    def pack(pdf):
-        return pdf.iloc[:1][["block"]].assign(queries=[pdf["id"].to_numpy().tobytes()], vectors=[_unit(np.stack(pdf["v"])).tobytes()])
-
-    packed = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).groupBy("block").applyInPandas(pack, "block int, queries binary, vectors binary")
-    each = codes.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, "block")
-    near = each.select("ids", "codes", "norms", "queries", "vectors").mapInArrow(_scan(model, keep), "query_id long, vec_id long, near float")
-    best = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
-    near = near.withColumn("place", F.row_number().over(best)).where(F.col("place") <= keep).select("query_id", "vec_id").distinct()
-    near = near.join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id").join(rows.select(F.col("id").alias("vec_id"), "v"), "vec_id")
-    exact = near.select("query_id", "vec_id", "q", "v").mapInArrow(_exact(dim), "query_id long, vec_id long, score double")
+    blocks, uri = max(1, -(-asked.count() // QUERY_BLOCK)), new_dir(rows.sparkSession, "asked")
+    asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).groupBy("block").applyInPandas(_put(uri), "block int").count()
+    exact = index(rows, model, dim).mapInArrow(_scan(model, dim, uri, blocks, k, keep), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -308,6 +308,22 @@ def test_ann(spark):
     assert ann_search.search(vectors.where("vec_id > 9999"), F.col("id") % 50 == 0).count() == 0
 
 
+def test_ann_exact_above_the_sample(spark):
+    """More vectors than codebooks are learned from, more near ones than a shortlist holds: all the same, the nearest are found."""
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=(20_000, 32))
+    x[5000:5400] = x[0] + rng.normal(size=(400, 32)) * 0.02
+    vectors = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in sorted(ann_search.search(vectors, F.col("id") % 1000 == 0).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got[r["query_id"]].append(r["vec_id"])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(0, 20_000, 1000):
+        s = unit @ unit[q]
+        s[q] = -9
+        assert got[q] == np.argsort(-s)[:5].tolist()
+
+
 def test_quality(spark, docs, none, rows):
     rng = np.random.default_rng(6)
     good = [(i, sentence(rng, 60) + ".", 1) for i in range(150)]
