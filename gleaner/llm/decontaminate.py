@@ -2,9 +2,11 @@
 
 Words become 16-bit ids once; passages are two adjacent blocks of ``BLOCK`` words. Spark counts in how many blocks each
 hashed feature stands, then sums the sketch ``A'A Omega`` of the TF-IDF blocks A, from which a randomised (Nystroem) SVD gives the
-latent directions; the first ``SKIP``, common to whole languages, are left out. Passages near a benchmark part by cosine are
-candidates. A candidate with enough of the part's weighted words is decided by the longest common subsequence with the words
-around it, and by the same for the part's last quarter, its answer: ``lcs >= EXACT``, or ``lcs >= LOOSE`` with the answer there.
+latent directions; the first ``SKIP``, common to whole languages, are left out. Passages near a benchmark part by cosine, with
+enough of its weighted words, are candidates. So is every passage around which enough of the part's words stand for a common
+subsequence to be long enough, whatever its cosine: it holds some of the part's rarest words, by which it is found, so none is
+lost. A candidate is decided by the longest common subsequence with the words around it, and by the same for the part's last
+quarter, its answer: ``lcs >= EXACT``, or ``lcs >= LOOSE`` with the answer there.
 
 Null and empty texts and items match nothing. Items longer than ``PART`` words are matched in parts. Items under ``SHORT``
 words need all their words in order. Repeated rows and items give one pair for each pair of ids. Texts are read whole, and all
@@ -13,6 +15,7 @@ passages are compared with all items, a bounded number of parts at a time.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,6 +33,8 @@ FEATURES, RANK, SKIP = 1 << 13, 48, 8
 NEAR, COVER, EXACT, LOOSE = 0.25, 0.55, 0.8, 0.6
 #: Benchmark parts that one pass over the passages holds, and blocks a task works on at once.
 PARTS, AT_ONCE = 4096, 20_000
+#: Of a part's rarest words, how many must stand around a passage before all of them are counted.
+FIRST = 3
 #: Entries that are gathered at once.
 STEP = 16_384
 
@@ -198,6 +203,15 @@ class Part:
     item: int
     words: tuple[int, ...]
 
+    def least(self, exact: float, loose: float) -> int:
+        """Fewer common words than these are never accepted."""
+        m = len(self.words)
+        return m if m < SHORT else max(1, int(np.ceil(min(exact, loose) * m - 1e-9)))
+
+    def span(self, at: int) -> slice:
+        """The words around a passage that starts at this word."""
+        return slice(max(0, at - len(self.words)), at + 2 * BLOCK + len(self.words))
+
     def decide(self, around: list[int], exact: float, loose: float) -> tuple[float, float, bool]:
         mine = list(self.words)
         share = lcs(mine, around) / len(mine)
@@ -208,6 +222,65 @@ class Part:
         return share, told, share >= exact or (share >= loose and told >= exact)
 
 
+def _holding(parts: list[Part], idf: np.ndarray, exact: float, loose: float):
+    """A function from texts and their blocks to all pairs (block, part) around which a part has words enough to be accepted."""
+    least = np.array([p.least(exact, loose) for p in parts])
+    size = np.array([len(p.words) for p in parts])
+    have = np.zeros((len(parts), FEATURES), np.uint8)
+    rare: list[tuple[int, int]] = []
+    for i, p in enumerate(parts):
+        words = np.array(p.words)
+        np.add.at(have[i], words & (FEATURES - 1), 1)
+        # of all but least - FIRST of the part's words, the rarest, at least FIRST are there
+        first = np.argsort(-idf[words & (FEATURES - 1)], kind="stable")[: len(words) - least[i] + min(FIRST, least[i])]
+        rare += [(w, i) for w in np.unique(words[first]).tolist()]
+    rare.sort()
+    word, part = (np.array(x, np.int64) for x in zip(*rare))
+    start = np.searchsorted(word, np.arange((1 << 16) + 1))
+
+    def pairs(texts: list[np.ndarray], b: _Blocks, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.concatenate(texts).astype(np.int64)
+        on = np.flatnonzero(start[ids + 1] > start[ids])
+        times = (start[ids + 1] - start[ids])[on]
+        q = part[np.repeat(start[ids[on]], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+        n = np.array([len(t) for t in texts])
+        text, zero = np.repeat(np.arange(len(n)), n)[on], np.r_[0, np.cumsum(n)]
+        first, last = np.searchsorted(b.text, np.arange(len(n))), np.searchsorted(b.text, np.arange(len(n)), "right") - 1
+        at, text = np.repeat(on - zero[text], times), np.repeat(text, times)
+        lo = np.maximum((at - 2 * BLOCK - size[q]) // BLOCK + 1, 0) + first[text]  # passages whose words around hold this one
+        hi = np.minimum(first[text] + (at + size[q]) // BLOCK, last[text])
+        many = np.maximum(hi - lo + 1, 0)
+        key = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        key += np.repeat(q, many) * len(b.text)
+        key.sort()
+        each = runs(key)
+        times, key = np.diff(np.r_[each, len(key)]), key[each]
+        key = key[times >= np.minimum(FIRST, least[key // max(len(b.text), 1)])]
+        q, p = key // len(b.text), key % len(b.text)
+        beyond = -(-size[q] // BLOCK)
+        lo, hi = np.maximum(p - beyond, first[b.text[p]]), np.minimum(p + 1 + beyond, last[b.text[p]])
+        begin, count = bounds[lo], bounds[hi + 1] - bounds[lo]
+        keep = np.zeros(len(p), bool)
+        for s in range(0, len(p), 2000):
+            k = count[s : s + 2000]
+            row = np.repeat(np.arange(len(k)), k)
+            entry = np.arange(len(row)) - np.repeat(np.cumsum(k) - k, k) + begin[s : s + 2000][row]
+            own = q[s : s + 2000]
+            common = np.minimum(b.times[entry], have[own[row], b.feature[entry]])
+            enough = np.bincount(row, common, len(k)) >= least[own]
+            on = np.flatnonzero((common > 0) & enough[row])  # a word counts no more often than the part has it, over all blocks
+            order = np.argsort(key := row[on] * FEATURES + b.feature[entry[on]], kind="stable")
+            key = key[order]
+            each = runs(key)
+            if len(each):
+                row = key[each] // FEATURES
+                capped = np.minimum(np.add.reduceat(common[on][order], each, dtype=np.int64), have[own[row], key[each] % FEATURES])
+                keep[s : s + 2000] = np.bincount(row, capped, len(k)) >= least[own]
+        return p[keep], q[keep]
+
+    return pairs
+
+
 def _retrieve(space: Space, parts: list[Part], exact: float, loose: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _Blocks(*(np.concatenate(x) for x in zip(*((np.full(len(f), i), f, c) for i, p in enumerate(parts) for f, c in [np.unique(np.array(p.words) & (FEATURES - 1), return_counts=True)]))), np.arange(len(parts)), np.zeros(len(parts), np.int64))
@@ -215,6 +288,7 @@ def _retrieve(space: Space, parts: list[Part], exact: float, loose: float):
         weight = np.zeros((len(parts), FEATURES), np.float32)
         weight[own.block, own.feature] = space.idf[own.feature]
         weight /= weight.sum(1, keepdims=True)
+        holding, least, bags = _holding(parts, space.idf, exact, loose), [p.least(exact, loose) for p in parts], [Counter(p.words) for p in parts]
         for ids, texts in _chunks(batches):
             b = _blocks(texts)
             v = _vectors(b, space)
@@ -223,11 +297,10 @@ def _retrieve(space: Space, parts: list[Part], exact: float, loose: float):
             both[follows] += v[follows + 1]
             bounds = np.searchsorted(b.block, np.arange(len(v) + 1))
             passages = _unit(both)
-            found: dict[tuple[int, int], tuple[float, float, float]] = {}
+            chosen = [holding(texts, b, bounds)]
             for a in range(0, len(passages), 4096):
                 near = passages[a : a + 4096] @ queries.T
                 q, p = np.nonzero((near >= NEAR).T)  # part by part, so that its weights stay in a core's cache
-                cosine = near[p, q]
                 p = p + a
                 last = np.minimum(p + 1, len(v) - 1)
                 last = np.where(b.text[last] == b.text[p], last, p)
@@ -240,16 +313,23 @@ def _retrieve(space: Space, parts: list[Part], exact: float, loose: float):
                     entry = np.arange(len(row)) - np.repeat(np.cumsum(k) - k, k) + lo[s : s + 2000][row]
                     seen = weight[q[s : s + 2000][row], b.feature[entry]]
                     twice = np.bincount(row, seen, len(k))
-                    for j in np.flatnonzero(twice >= COVER) + s:
-                        text, part = int(b.text[p[j]]), parts[q[j]]
-                        key = (text, int(q[j]))
-                        if key in found and found[key][1] == 1:
-                            continue
-                        at, m = int(b.at[p[j]]), len(part.words)
-                        around = texts[text][max(0, at - m) : at + 2 * BLOCK + m].tolist()
-                        share, told, leak = part.decide(around, exact, loose)
-                        if leak and share >= found.get(key, (0, 0, 0))[1]:
-                            found[key] = (float(cosine[j]), share, told)
+                    own = np.flatnonzero(twice >= COVER) + s
+                    chosen.append((p[own], q[own]))
+            found: dict[tuple[int, int], tuple[float, float, float]] = {}
+            p, q = (np.concatenate(x) for x in zip(*chosen))
+            for pair in np.unique(q * len(v) + p).tolist():
+                j, i = divmod(pair, len(v))
+                text, part = int(b.text[i]), parts[j]
+                key = (text, j)
+                if key in found and found[key][1] == 1:
+                    continue
+                around = texts[text][part.span(int(b.at[i]))].tolist()
+                seen = Counter(around)
+                if sum(min(k, seen[w]) for w, k in bags[j].items()) < least[j]:
+                    continue
+                share, told, leak = part.decide(around, exact, loose)
+                if leak and share >= found.get(key, (0, 0, 0))[1]:
+                    found[key] = (float(passages[i] @ queries[j]), share, told)
             rows = [(ids[t], parts[q].item, *x) for (t, q), x in found.items()]
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 5, kinds)], names=["id", "item_id", "cosine", "lcs", "answer"])

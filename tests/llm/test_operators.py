@@ -402,3 +402,13 @@ def test_decontamination(spark, none):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.leaks(docs, empty).count() == 0
     assert decontaminate.leaks(none, spark.createDataFrame(items, "item_id long, text string")).count() == 0
+
+
+def test_decontamination_short_items_at_every_offset(spark):
+    """Verbatim items of 1 to 64 words, at every offset in a block: none is lost."""
+    rng = np.random.default_rng(16)
+    items = [(n, " ".join(f"item{n}x{k}" if k % 3 == 0 else str(rng.choice(WORDS)) for k in range(n))) for n in range(1, 65)]
+    rows = [(32 * n + k, " ".join([sentence(rng, 64 + k), text, sentence(rng, 70)])) for n, text in items for k in range(32)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert not {(i, i // 32) for i, _ in rows} - got
