@@ -412,3 +412,29 @@ def test_decontamination_short_items_at_every_offset(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert not {(i, i // 32) for i, _ in rows} - got
+
+
+def test_decontamination_paraphrases_at_every_offset(spark):
+    """Items with 62 to 72% of their words and the whole answer, at every offset: what the rule accepts around any passage is found."""
+    rng = np.random.default_rng(17)
+    items, rows = [], []
+    for n in (20, 40, 64):
+        words = sentence(rng, n).split()
+        items.append((n, " ".join(words)))
+        for k in range(32):
+            for share in (0.62, 0.66, 0.72):
+                other = rng.choice(n - n // 4, n - int(np.ceil(share * n)), replace=False)
+                told = [f"other{rng.integers(999)}" if i in other else w for i, w in enumerate(words)]
+                rows.append((1000 * n + len(rows), " ".join([sentence(rng, 32 + k), *told, sentence(rng, 70)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    ids = lambda t: (words_of(pa.array([t])).hashes & np.uint64(0xFFFF)).astype(int).tolist()
+    expected = set()
+    for i, text in rows:
+        words = ids(text)
+        for n, item in items:
+            part = decontaminate.Part(n, tuple(ids(item)))
+            if any(part.decide(words[max(0, at - n) : at + 64 + n], decontaminate.EXACT, decontaminate.LOOSE)[2] for at in range(0, len(words), 32)):
+                expected.add((i, n))
+    assert len(expected) >= len(rows)
+    assert got == expected
