@@ -19,11 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import saved
+from ._store import get, new_dir, put, runs, saved
 from ._text import by_text, pieces, raw
-from .lm_scoring import held_out
 
-CODES, MOST_LANGUAGES = 1 << 14, 64
+CODES = 1 << 14
+#: Different (language, trigram) counts a task holds before it sends them on.
+BUFFER = 2_000_000
 #: Overlapping trigrams aren't independent: the log likelihood counts by this factor. Texts a level of priors weighs.
 TEMPER, STRENGTH = 0.3, 50.0
 #: Nats a trigram by which a text may fit worse than chance: a short text may hold a key or a code.
@@ -55,19 +56,31 @@ class Model:
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Trigram counts of all rows by their label, the most frequent labels; rows without one are left out."""
+    """Trigram counts of all rows by their label, whatever labels there are; rows without one are left out."""
     rows = docs.select(F.col(text_col).alias("text"), F.lower(F.col(lang_col)).alias("lang")).where("text is not null and lang is not null")
-    langs = sorted(r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect())
+    langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
+    place = {x: i for i, x in enumerate(langs)}
+
+    def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(keys, kind="stable")
+        at = runs(keys[order])
+        return keys[order][at], np.add.reduceat(n[order], at) if len(at) else n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((len(langs), CODES), np.int64)
+        keys, n, held, size = np.empty(0, np.int64), np.empty(0, np.int64), [], 0
         for batch in pieces(batches):
             code, first = trigrams(batch.column("text"))
-            lang = np.array([langs.index(x) if x in langs else len(langs) for x in batch.column("lang").to_pylist()], np.int64)
-            n = len(langs) + 1
-            table += np.bincount(np.repeat(lang, np.diff(first)) * CODES + code, minlength=n * CODES).reshape(n, CODES)[:-1]
-        lang, code = np.nonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(code.astype(np.int32)), pa.array(table[lang, code])], names=["lang", "code", "n"])
+            lang = np.array([place[x] for x in batch.column("lang").to_pylist()], np.int64)
+            held.append(np.unique(np.repeat(lang, np.diff(first)) * CODES + code, return_counts=True))
+            size += len(held[-1][0])
+            if size >= BUFFER:
+                keys, n = summed(np.concatenate([keys, *(k for k, _ in held)]), np.concatenate([n, *(c for _, c in held)]))
+                held, size = [], 0
+                if len(keys) >= BUFFER:
+                    yield pa.RecordBatch.from_arrays([pa.array((keys // CODES).astype(np.int32)), pa.array((keys % CODES).astype(np.int32)), pa.array(n)], names=["lang", "code", "n"])
+                    keys, n = keys[:0], n[:0]
+        keys, n = summed(np.concatenate([keys, *(k for k, _ in held)]), np.concatenate([n, *(c for _, c in held)]))
+        yield pa.RecordBatch.from_arrays([pa.array((keys // CODES).astype(np.int32)), pa.array((keys % CODES).astype(np.int32)), pa.array(n)], names=["lang", "code", "n"])
 
     counts = rows.mapInArrow(run, "lang int, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
     table = np.full((CODES, max(len(langs), 1)), 0.5)
@@ -75,10 +88,9 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
     return Model(tuple(langs) or ("und",), np.log(table / table.sum(0)))
 
 
-def _score(model: Model):
-    logs = np.ascontiguousarray(model.logs.T.astype(np.float32))
-
+def _score(at: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        logs = get(at, 0, "logs")  # languages x CODES
         for batch in pieces(batches):
             code, first = trigrams(batch.column("text"))
             n = np.diff(first)
@@ -97,7 +109,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     none = F.lit(None).cast("string")
     take = lambda c: none if c is None else c.cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), take(host).alias("host"), take(suffix).alias("suffix"), F.lower(F.regexp_extract(take(declared), "^[A-Za-z]+", 0)).alias("declared"))
-    rows = saved(rows.mapInArrow(_score(model), "id long, host string, suffix string, declared string, n long, fit double, fits array<double>, p array<double>"), "language")
+    at = new_dir(docs.sparkSession, "trigrams")
+    put(at, 0, {"logs": np.ascontiguousarray(model.logs.T.astype(np.float32))})
+    rows = saved(rows.mapInArrow(_score(at), "id long, host string, suffix string, declared string, n long, fit double, fits array<double>, p array<double>"), "language")
     size = len(model.languages)
     told = rows.where("n > 0")
     sums = [F.sum(F.col("p")[i]).alias(f"s{i}") for i in range(size)]
@@ -130,12 +144,11 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def _decide(docs: DataFrame) -> DataFrame:
-    model = train(docs.where(~held_out(F.col("doc_id"), 3, 1)))
-    return identify(docs, model, host=F.col("source"))
+    return identify(docs, train(docs), host=F.col("source"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Languages of ``documents``: trigrams are learned from the rows whose crc32(doc_id as text) mod 3 is not 1; ``source`` is the host."""
+    """Languages of ``documents``: trigrams are learned from all labelled rows; ``source`` is the host."""
     return _decide(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

@@ -20,7 +20,7 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: what it rejects goes. ``lang`` stays as it was."""
-    model = language_id.train(docs.where(~language_id.held_out(F.col("doc_id"), 3, 1)))
+    model = language_id.train(docs)
     return without(docs, language_id.identify(docs, model, host=F.col("source")).where(~F.col("accepted")))
 
 

@@ -1,6 +1,7 @@
 """Each operator on small tables, against brute force, with nulls, empty and repeated rows, ties and clashing columns."""
 
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -371,6 +372,30 @@ def test_language(spark, none):
     assert language_id.identify(none, language_id.train(none)).count() == 0
 
 
+def test_language_every_label_counts(spark, tmp_path):
+    """More than 64 labels, the rarest on one row that falls in the fold that once didn't count: all are learned."""
+    fold = next(i for i in range(5000, 6000) if zlib.crc32(str(i).encode()) % 3 == 1)
+    rng = np.random.default_rng(18)
+    own = ["".join(chr(0x4E00 + 40 * k + j) for j in rng.integers(0, 40, 30)) for k in range(70)]
+    say = lambda k: " ".join("".join(rng.choice(list(own[k]), 4)) for _ in range(60))
+    rows = [(3 * k + j, say(k), f"l{k:02}", "a") for k in range(69) for j in range(3)] + [(fold, say(69), "l69", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    from gleaner.llm import stages
+
+    got = {r["doc_id"]: (r["lang"], r["accepted"]) for r in language_id.op4_language_id(spark, str(tmp_path)).collect()}
+    assert got == {i: (lang, True) for i, _, lang, _ in rows}
+    assert stages.known_language(spark, docs, str(tmp_path)).count() == len(rows)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_language_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    fold = lm_scoring.held_out(F.col("doc_id"), 3, 1)
+    got = language_id.identify(docs.where(fold), language_id.train(docs.where(~fold)), host=F.col("source")).where("accepted").join(docs.select("doc_id", F.col("lang").alias("label")), "doc_id").collect()
+    assert got and sum(r["lang"] == r["label"] for r in got) >= 0.95 * len(got)
+
+
 def test_lcs():
     rng = np.random.default_rng(9)
 
