@@ -7,13 +7,10 @@ A text's set is its distinct 5-word shingles. The method:
    ``n - ceil(t n) + k`` shingles of either set, the extended prefix. Shingles of one text only can't be shared and are
    skipped, so most texts index nothing.
 3. Equal sets are one class (by a 64-bit digest of the set), so groups of exact copies weigh no more than one text.
-4. Each bucket of the index first links its members to its most central class, the one with the smallest share of shingles
-   of its own, after verifying (rows grow linearly with a bucket); components of those links are found.
-5. Then every bucket that still holds several components joins across them: rare shingles by themselves, frequent ones
-   only in pairs of two that both texts have (a shingle is frequent for all texts or for none). Keys also hold both size
-   classes, and a text takes part only for those sizes of a partner for which its shared shingles can be enough.
-   Whatever shares a key and isn't connected yet is verified, so no link between components is lost; pairs within one are
-   not needed and not made.
+4. Classes that share a key are candidates: rare shingles are keys by themselves, frequent ones only in pairs of two that
+   both texts have (a shingle is frequent for all texts or for none). Keys also hold both size classes, and a text takes
+   part only for those sizes of a partner for which its shared shingles can be enough. All candidates are verified, so
+   every link between two classes is found; its members are linked by membership. Components come from the links.
 
 Every link is checked on whole sets: ``100 * intersection >= percent * union``.
 """
@@ -175,30 +172,43 @@ def _mark(at: str, shards: int, width: int, percent: int):
     return run
 
 
-def _verify(percent: int):
+def _keep(at: str):
+    """Writes the sets of a shard's classes."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("cls")
+        held = [np.frombuffer(x, np.uint64) for x in pdf["held"]]
+        put(at, int(pdf["shard"].iloc[0]), {"cls": pdf["cls"].to_numpy(np.int64), "first": np.r_[0, np.cumsum([len(x) for x in held])], "held": np.concatenate(held)})
+        return pd.DataFrame({"classes": [len(pdf)]})
+
+    return run
+
+
+def _verify(at: str, shards: int, percent: int):
+    def whole(cls: int) -> np.ndarray:
+        shard = cls % shards
+        i, first = int(np.searchsorted(get(at, shard, "cls"), cls)), get(at, shard, "first")
+        return get(at, shard, "held")[first[i] : first[i + 1]]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column("held_a"), batch.column("held_b"))):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                both = int(find(y, x)[1].sum())
+            a, b = (batch.column(c).to_numpy() for c in "ab")
+            keep, last, x = np.zeros(len(a), bool), None, None
+            for i in np.argsort(a, kind="stable").tolist():
+                if a[i] != last:
+                    last, x = a[i], np.asarray(whole(int(a[i])))
+                y = np.asarray(whole(int(b[i])))
+                both = int((find(y, x) if len(x) <= len(y) else find(x, y))[1].sum())
                 keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            yield batch.filter(pa.array(keep))
 
     return run
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the candidate pairs ``(a, b)`` whose sets are similar enough."""
-    a = sets.select(F.col("cls").alias("a"), F.col("held").alias("held_a"))
-    b = sets.select(F.col("cls").alias("b"), F.col("held").alias("held_b"))
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "held_a", "held_b").mapInArrow(_verify(percent), "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
-    """One row per input row: ``id_col``, ``n_shingles``, ``component_id``.
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> tuple[DataFrame, DataFrame]:
+    """Membership and links. One row per input row: ``id_col``, ``n_shingles``, ``class_id``, ``n_links``, ``component_id``; and ``(a, b)``
+    with a < b for each two classes of different sets that link. Rows of one class link with each other and with all rows of
+    the classes theirs links with; ``n_links`` counts those rows.
 
     Rows link when their shingle sets have a Jaccard similarity of at least ``percent`` / 100; ``component_id`` is the least id
     reachable by links. Null and empty texts and texts of separators alone have no shingles and link with nothing: their
@@ -216,22 +226,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     enough = (100 + percent) * F.least("rest", "rest_m") >= percent * (F.col("n") + F.col("m"))
     posts = marks.where(F.size("tokens") > 0).select("cls", "n", "rest", "hot", F.explode(F.arrays_zip("tokens", "dfs", "places")).alias("p")).select("cls", "n", "rest", "hot", F.col("p.tokens").alias("token"), F.col("p.dfs").alias("df"), F.col("p.places").alias("place"))
-    central = F.struct((1 - F.col("rest") / F.col("n")).alias("own"), "cls", "n", "rest")
-    buckets = posts.groupBy("token").agg(F.min(central).alias("lead"), F.min("cls").alias("least"), F.max("cls").alias("most"), F.max("hot").alias("hot_most")).where("least < most")
+    buckets = posts.groupBy("token").agg(F.min("cls").alias("least"), F.max("cls").alias("most"), F.max("hot").alias("hot_most")).where("least < most")
     frequent = (F.col("df") >= FREQUENT) & (F.col("hot_most") <= MOST_COMBINED)
-    posts = posts.drop("hot").join(buckets.select("token", "lead", "hot_most"), "token").groupBy("token", "cls").agg(*(F.first(c).alias(c) for c in ("n", "rest", "place")), F.first("lead").alias("lead"), F.first(frequent).alias("frequent"))
+    posts = posts.drop("hot").join(buckets.select("token", "hot_most"), "token").groupBy("token", "cls").agg(*(F.first(c).alias(c) for c in ("n", "rest", "place")), F.first(frequent).alias("frequent"))
     posts = saved(posts, "posts")
-    sets = marks.where("held is not null").join(posts.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("held").alias("held"))
-    sets = saved(sets, "sets")
-    star = posts.select("*", F.col("lead.n").alias("m"), F.col("lead.rest").alias("rest_m")).where(F.col("cls") != F.col("lead.cls")).where(enough)
-    star = star.select(F.least("cls", "lead.cls").alias("a"), F.greatest("cls", "lead.cls").alias("b")).distinct()
-    links = saved(_links(star, sets, percent), "links")
-    labels = connected(links)
+    kept = new_dir(spark, "sets")
+    sets = marks.where("held is not null").join(posts.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("held").alias("held")).withColumn("shard", F.pmod("cls", F.lit(shards)).cast("int"))
+    sets.repartition(shards, "shard").groupBy("shard").applyInPandas(_keep(kept), "classes long").count()
 
-    # across the components found so far
-    posts = posts.drop("lead").join(labels.withColumnRenamed("id", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    mixed = posts.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
-    posts = saved(posts.join(mixed, "token", "left_semi"), "mixed")
     size_class = lambda size: F.floor(F.log(size) / float(np.log(STEP))).cast("int")
     own = size_class(F.col("n"))
     partners = F.filter(  # what stands before the place may hold one shared shingle at most
@@ -239,30 +241,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         lambda c: (100 + percent) * F.least(F.col("rest"), 1 + F.col("n") - F.col("place")) >= percent * (F.col("n") + F.pow(F.lit(STEP), c) - 1e-6),
     )
     sized = lambda *key: F.inline(F.transform(partners, lambda c: F.struct(F.xxhash64(*key, F.least(own, c), F.greatest(own, c)).alias("key"), own.alias("own"), c.alias("for"))))
-    alone = posts.where(~F.col("frequent")).groupBy("cls").agg(*(F.first(c).alias(c) for c in ("n", "rest", "label")), F.sort_array(F.collect_list(F.struct("place", "token"))).alias("all"))
-    alone = alone.select("cls", "n", "rest", "label", F.transform(F.slice("all", 1, HEAD), lambda x: x.token).alias("head"), F.inline("all"))
-    alone = alone.select("cls", "n", "rest", "label", "place", "token", "head", sized("token"))
-    several = posts.where("frequent").groupBy("cls").agg(*(F.first(c).alias(c) for c in ("n", "rest", "label")), F.sort_array(F.collect_set("token")).alias("tokens"))
-    several = several.select("cls", "n", "rest", "label", F.lit(0).alias("place"), F.posexplode("tokens").alias("i", "x"), "tokens").select("cls", "n", "rest", "label", "place", "x", F.explode(F.slice("tokens", F.col("i") + 2, MOST_COMBINED)).alias("y"))
-    keys = alone.unionByName(several.select("cls", "n", "rest", "label", "place", F.lit(None).cast("long").alias("token"), F.lit(None).cast("array<long>").alias("head"), sized("x", "y")))
-    keys = saved(keys, "keys")
-    lead = keys.groupBy("key").agg(F.min("label").alias("lead"), F.max("label").alias("hi")).where("lead < hi").select("key", "lead")
-    keys = keys.join(lead, "key")
-    fewer = keys.where("label <> lead").select("key", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("rest").alias("rest_m"), F.col("label").alias("other"), F.col("place").alias("where"), F.col("head").alias("other_head"), F.col("own").alias("other_own"), F.col("for").alias("other_for"))
+    alone = posts.where(~F.col("frequent")).groupBy("cls").agg(*(F.first(c).alias(c) for c in ("n", "rest")), F.sort_array(F.collect_list(F.struct("place", "token"))).alias("all"))
+    heads = alone.select("cls", F.transform(F.slice("all", 1, HEAD), lambda x: x.token).alias("head"))
+    alone = alone.select("cls", "n", "rest", F.inline("all"))
+    alone = alone.select("cls", "n", "rest", "place", "token", sized("token"))
+    several = posts.where("frequent").groupBy("cls").agg(*(F.first(c).alias(c) for c in ("n", "rest")), F.sort_array(F.collect_set("token")).alias("tokens"))
+    several = several.select("cls", "n", "rest", F.lit(0).alias("place"), F.posexplode("tokens").alias("i", "x"), "tokens").select("cls", "n", "rest", "place", "x", F.explode(F.slice("tokens", F.col("i") + 2, MOST_COMBINED)).alias("y"))
+    keys = alone.unionByName(several.select("cls", "n", "rest", "place", F.lit(None).cast("long").alias("token"), sized("x", "y")))
+    smaller, larger = F.col("own") <= F.col("for"), F.col("own") >= F.col("for")  # of a pair, by size class
+    shared = keys.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.bool_or(smaller).alias("some"), F.bool_or(larger).alias("others")).where("lo < hi AND some AND others").select("key")
+    keys = saved(keys.join(shared, "key", "left_semi").join(heads, "cls", "left"), "keys")
+    other = keys.where(larger).select("key", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("rest").alias("rest_m"), F.col("place").alias("where"), F.col("head").alias("other_head"), F.col("own").alias("other_own"), F.col("for").alias("other_for"))
     reach = 1 + F.least(F.col("n") - F.col("place"), F.col("m") - F.col("where"))
     # a pair comes from the first shingle that both have, as far as their heads tell; it is the one with the widest reach
-    first = F.coalesce(F.get(F.array_intersect("head", "other_head"), F.lit(0)) == F.col("token"), F.lit(True))
-    across = keys.drop("lead").join(fewer, "key").where((F.col("label") != F.col("other")) & (F.col("for") == F.col("other_own")) & (F.col("own") == F.col("other_for")) & enough & ((100 + percent) * reach >= percent * (F.col("n") + F.col("m"))) & first)
-    across = across.select(F.least("cls", "b").alias("a"), F.greatest("cls", "b").alias("b")).distinct()
-    more = saved(_links(across, sets, percent), "links")
-    if not more.isEmpty():
-        labels = connected(links.union(more))
+    first = F.coalesce(F.get(F.array_intersect("head", "other_head"), F.lit(0)) == F.col("token"), F.lit(True)) | F.col("token").isNull()
+    pairs = keys.where(smaller).join(other, "key").where(((F.col("own") < F.col("other_own")) | (F.col("cls") < F.col("b"))) & (F.col("for") == F.col("other_own")) & (F.col("own") == F.col("other_for")) & enough & ((100 + percent) * reach >= percent * (F.col("n") + F.col("m"))) & first)
+    links = saved(pairs.select(F.least("cls", "b").alias("a"), F.greatest("cls", "b").alias("b")).distinct().mapInArrow(_verify(kept, shards, percent), "a long, b long"), "links")
+    labels = connected(links)
 
     rows = marks.select("id", "n", "cls")
-    rows = saved(rows.join(labels.withColumnRenamed("id", "cls"), "cls", "left").select("id", "n", F.coalesce("label", "cls").alias("label")), "rows")
+    rows = saved(rows.join(labels.withColumnRenamed("id", "cls"), "cls", "left").select("id", "n", "cls", F.coalesce("label", "cls").alias("label")), "rows")
     least = rows.where("label is not null").groupBy("label").agg(F.min("id").alias("component_id"))
-    return rows.join(least, "label", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    members = rows.where("cls is not null").groupBy("cls").agg(F.count("*").alias("size"))
+    ends = links.union(links.select("b", "a")).toDF("cls", "to")
+    others = ends.join(members.toDF("to", "size"), "to").groupBy("cls").agg(F.sum("size").alias("others"))
+    many = members.join(others, "cls", "left").select("cls", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
+    found = rows.join(least, "label", "left").join(many, "cls", "left")
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("cls").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id")), links
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of :func:`join` without its links."""
+    return join(docs, id_col, text_col, width, percent)[0]
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")

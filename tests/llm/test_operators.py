@@ -120,6 +120,31 @@ def test_ngram_join_frequent_tokens(spark, monkeypatch):
     assert got == {i: root(i) for i in range(len(sets))}
 
 
+@pytest.mark.parametrize("frequent", [4, 64])
+def test_ngram_join_all_links(spark, monkeypatch, frequent):
+    """Many different near copies, some of them repeated: every link between different sets, and how many each row has."""
+    monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
+    rng = np.random.default_rng(19)
+    texts = []
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(70)]
+        for k in range(30):
+            words = list(base)
+            for _ in range(int(rng.integers(0, 4))):
+                words[int(rng.integers(70))] = f"z{g}_{k}"
+            texts += [words] * (2 if k % 10 == 0 else 1)
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in texts]
+    near = lambda x, y: 100 * len(x & y) >= 75 * len(x | y)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    rows, links = ngram_join.join(docs)
+    got = {r["doc_id"]: r for r in rows.collect()}
+    assert {i: r["n_links"] for i, r in got.items()} == {i: sum(near(x, y) for y in sets) - 1 for i, x in enumerate(sets)}
+    of = {r["class_id"]: sets[i] for i, r in got.items()}
+    pairs = Counter(frozenset((of[r["a"]], of[r["b"]])) for r in links.collect())
+    different = list(set(sets))
+    assert pairs == Counter(frozenset((x, y)) for i, x in enumerate(different) for y in different[:i] if near(x, y))
+
+
 def test_lm(docs, rows, none):
     model = lm_scoring.train(docs)
     got = lm_scoring.score(docs, model, "doc_id").collect()
