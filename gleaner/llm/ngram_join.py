@@ -17,7 +17,8 @@ Every link is checked on whole sets: ``100 * intersection >= percent * union``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,8 +37,10 @@ SHARD_BYTES, LEAST_SHARDS = 24 << 20, 48
 FREQUENT, MOST_COMBINED = 64, 12
 #: Size classes grow by this factor.
 STEP = 1.05
-#: First shingles of a prefix that its index rows carry.
-HEAD = 64
+#: Shingles of fewer texts than this are keys without size classes.
+SIZED = 16
+#: Classes of a bucket that one row holds, on average, and shingles that are compared at once.
+BLOCK, COLUMNS = 256, 4096
 _M = U(0x9FB21C651E98DF25)
 
 
@@ -173,34 +176,159 @@ def _mark(at: str, shards: int, width: int, percent: int):
 
 
 def _keep(at: str):
-    """Writes the sets of a shard's classes."""
+    """Writes what verifying needs of a shard's classes: sizes, whole sets, rare and frequent prefix shingles."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cls")
-        held = [np.frombuffer(x, np.uint64) for x in pdf["held"]]
-        put(at, int(pdf["shard"].iloc[0]), {"cls": pdf["cls"].to_numpy(np.int64), "first": np.r_[0, np.cumsum([len(x) for x in held])], "held": np.concatenate(held)})
+        arrays = {"cls": pdf["cls"].to_numpy(np.int64), "size": pdf["size"].to_numpy(np.int64)}
+        for name in ("held", "rare", "often"):
+            lists = [np.frombuffer(x, np.uint64) for x in pdf[name]] if name == "held" else [np.asarray(x, np.int64).view(np.uint64) for x in pdf[name]]
+            arrays |= {name: np.concatenate(lists), f"{name}_at": np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int64)}
+        put(at, int(pdf["shard"].iloc[0]), arrays)
         return pd.DataFrame({"classes": [len(pdf)]})
 
     return run
 
 
-def _verify(at: str, shards: int, percent: int):
-    def whole(cls: int) -> np.ndarray:
-        shard = cls % shards
-        i, first = int(np.searchsorted(get(at, shard, "cls"), cls)), get(at, shard, "first")
-        return get(at, shard, "held")[first[i] : first[i + 1]]
+def _common(lists: list[np.ndarray], left: int) -> np.ndarray:
+    """How many values each of the first ``left`` lists of distinct values has in common with each of the others."""
+    out = np.zeros((left, len(lists) - left), np.float32)
+    if not out.size:
+        return out
+    owner, values = np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate(lists)
+    order = np.argsort(values, kind="stable")
+    owner, first = owner[order], runs(values[order])
+    many = np.diff(np.r_[first, len(values)])
+    column = np.repeat(np.cumsum(many > 1) - 1, many)
+    held = np.repeat(many > 1, many)
+    owner, column = owner[held], column[held]
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        lo, hi = np.searchsorted(column, [a, a + COLUMNS])
+        dense = np.zeros((len(lists), int(column[hi - 1]) - a + 1), np.float32)
+        dense[owner[lo:hi], column[lo:hi] - a] = 1
+        out += dense[:left] @ dense[left:].T
+    return out
+
+
+class _Classes:
+    """What the store has of classes."""
+
+    def __init__(self, at: str, shards: int, ids: np.ndarray):
+        self.at, self.shards, self.ids = at, shards, ids
+        self.where = [int(np.searchsorted(get(at, int(c) % shards, "cls"), c)) for c in ids.tolist()]
+        self.size = np.array([get(at, c % shards, "size")[i] for c, i in zip(ids.tolist(), self.where)], np.int64)
+        bounds = [get(at, c % shards, "held_at")[i : i + 2] for c, i in zip(ids.tolist(), self.where)]
+        self.n = np.array([int(b[1] - b[0]) for b in bounds], np.int64)
+
+    def lists(self, name: str, chosen: np.ndarray | None = None) -> list[np.ndarray]:
+        out = []
+        for k in range(len(self.ids)) if chosen is None else chosen.tolist():
+            shard, i = int(self.ids[k]) % self.shards, self.where[k]
+            a, b = get(self.at, shard, f"{name}_at")[i : i + 2]
+            out.append(np.asarray(get(self.at, shard, name)[a:b]))
+        return out
+
+
+def _links(store: _Classes, left: int, key: tuple[int, int | None], percent: int) -> np.ndarray:
+    """Which of the first ``left`` classes link with which of the others, of those pairs that belong to this key.
+
+    A pair belongs to the first rare shingle that both prefixes have; without one, to the first two frequent ones.
+    """
+    n, m = store.n[:left, None], store.n[None, left:]
+    mine = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (store.ids[:left, None] != store.ids[None, left:])
+    if not mine.any():
+        return mine
+    x, y = (None if k is None else np.int64(k).view(np.uint64) for k in key)
+    rare = store.lists("rare")
+    if y is None:
+        mine &= _common([r[: int(np.flatnonzero(r == x)[0])] for r in rare], left) == 0
+    else:
+        often = store.lists("often")
+        mine &= _common(rare, left) == 0
+        if mine.any():  # sorted as signed, as in their pairs
+            signed = [o.view(np.int64) for o in often]
+            mine &= _common([o[(v < key[1]) & (v != key[0])] for o, v in zip(often, signed)], left) == 0
+    rows, columns = np.flatnonzero(mine.any(1)), np.flatnonzero(mine.any(0))
+    if not len(rows):
+        return mine
+    both = _common(store.lists("held", np.r_[rows, columns + left]), len(rows)).astype(np.int64)
+    part = np.ix_(rows, columns)
+    mine[part] &= 100 * both >= percent * (store.n[rows][:, None] + store.n[columns + left][None, :] - both)
+    return mine
+
+
+class _Forest:
+    """Union-find: of the edges seen, those that join what wasn't joined."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+        self.edges: list[tuple[int, int]] = []
+
+    def root(self, x: int) -> int:
+        while (y := self.up.setdefault(x, x)) != x:
+            self.up[x] = x = self.up[y] if y in self.up else y
+        return x
+
+    def add(self, a: int, b: int) -> None:
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.up[b] = a
+            self.edges.append((a, b))
+
+
+def _block_links(at: str, shards: int, percent: int) -> Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]:
+    """Of every row ``x, y, lo, hi`` of a batch: the linked classes a and b, and the numbers of rows in each."""
+
+    def of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        for x, y, lo, hi in zip(*(batch.column(c).to_pylist() for c in ("x", "y")), *(batch.column(c) for c in ("lo", "hi"))):
+            a, b = (v.values.to_numpy() if v.is_valid else None for v in (lo, hi))
+            alone = b is None
+            b = a if alone else b
+            store = _Classes(at, shards, np.r_[a, b])
+            found = _links(store, len(a), (x, y), percent)
+            i, j = np.nonzero(np.triu(found, 1) if alone else found)
+            if len(i):
+                yield a[i], b[j], store.size[i], store.size[len(a) + j]
+
+    return of
+
+
+def _summed(at: str, shards: int, percent: int):
+    """Rows that each class links with, as sums, and edges ``a, b`` enough to connect what is linked; pairs are never sent on."""
+    links = _block_links(at, shards, percent)
+
+    def sent(rows: dict[int, int], forest: _Forest) -> pa.RecordBatch:
+        edges = np.array(forest.edges, np.int64).reshape(-1, 2)
+        cls = np.fromiter(rows, np.int64, len(rows))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.r_[cls, edges[:, 0]]), pa.array(np.r_[cls, edges[:, 1]]), pa.array(np.r_[np.fromiter(rows.values(), np.int64, len(rows)), np.zeros(len(edges), np.int64)])], names=["a", "b", "links"]
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, forest = Counter(), _Forest()
+        for batch in batches:
+            for a, b, many, others in links(batch):
+                for ends, weights in ((a, others), (b, many)):
+                    each, to = np.unique(ends, return_inverse=True)
+                    for c, n in zip(each.tolist(), np.bincount(to, weights).astype(np.int64).tolist()):
+                        rows[c] += n
+                for pair in zip(a.tolist(), b.tolist()):
+                    forest.add(*pair)
+            if len(rows) >= 50_000:
+                yield sent(rows, forest)
+                rows, forest = Counter(), _Forest()
+        yield sent(rows, forest)
+
+    return run
+
+
+def _paired(at: str, shards: int, percent: int):
+    links = _block_links(at, shards, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (batch.column(c).to_numpy() for c in "ab")
-            keep, last, x = np.zeros(len(a), bool), None, None
-            for i in np.argsort(a, kind="stable").tolist():
-                if a[i] != last:
-                    last, x = a[i], np.asarray(whole(int(a[i])))
-                y = np.asarray(whole(int(b[i])))
-                both = int((find(y, x) if len(x) <= len(y) else find(x, y))[1].sum())
-                keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
-            yield batch.filter(pa.array(keep))
+            for a, b, _, _ in links(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return run
 
@@ -224,51 +352,53 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     counts.repartition(shards, "shard").groupBy("shard").applyInPandas(_merge(at), "shared long").agg(F.sum("shared")).first()
     marks = saved(texts.mapInArrow(_mark(at, shards, width, percent), _MARKS), "marks")
 
-    enough = (100 + percent) * F.least("rest", "rest_m") >= percent * (F.col("n") + F.col("m"))
     posts = marks.where(F.size("tokens") > 0).select("cls", "n", "rest", "hot", F.explode(F.arrays_zip("tokens", "dfs", "places")).alias("p")).select("cls", "n", "rest", "hot", F.col("p.tokens").alias("token"), F.col("p.dfs").alias("df"), F.col("p.places").alias("place"))
     buckets = posts.groupBy("token").agg(F.min("cls").alias("least"), F.max("cls").alias("most"), F.max("hot").alias("hot_most")).where("least < most")
     frequent = (F.col("df") >= FREQUENT) & (F.col("hot_most") <= MOST_COMBINED)
-    posts = posts.drop("hot").join(buckets.select("token", "hot_most"), "token").groupBy("token", "cls").agg(*(F.first(c).alias(c) for c in ("n", "rest", "place")), F.first(frequent).alias("frequent"))
-    posts = saved(posts, "posts")
+    posts = posts.drop("hot").join(buckets.select("token", "hot_most"), "token").groupBy("token", "cls").agg(*(F.first(c).alias(c) for c in ("n", "rest", "place", "df")), F.first(frequent).alias("frequent"))
+    own = F.struct("place", "token", "df")
+    texts_of = posts.groupBy("cls").agg(*(F.first(c).alias(c) for c in ("n", "rest")), F.sort_array(F.collect_list(F.when(~F.col("frequent"), own))).alias("rare"), F.sort_array(F.collect_list(F.when(F.col("frequent"), F.col("token")))).alias("often"))
+    texts_of = saved(texts_of, "prefixes")
     kept = new_dir(spark, "sets")
-    sets = marks.where("held is not null").join(posts.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("held").alias("held")).withColumn("shard", F.pmod("cls", F.lit(shards)).cast("int"))
-    sets.repartition(shards, "shard").groupBy("shard").applyInPandas(_keep(kept), "classes long").count()
+    sets = marks.where("held is not null").join(texts_of.select("cls", F.transform("rare", lambda x: x.token).alias("rare"), "often"), "cls").groupBy("cls").agg(F.first("held").alias("held"), F.first("rare").alias("rare"), F.first("often").alias("often"), F.count("*").alias("size"))
+    sets.repartitionById(shards, F.pmod("cls", F.lit(shards)).cast("int")).withColumn("shard", F.pmod("cls", F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(_keep(kept), "classes long").count()
 
     size_class = lambda size: F.floor(F.log(size) / float(np.log(STEP))).cast("int")
-    own = size_class(F.col("n"))
-    partners = F.filter(  # what stands before the place may hold one shared shingle at most
-        F.sequence(size_class(F.greatest(F.lit(1.0), F.col("n") * percent / 100.0)), size_class(F.col("n") * 100.0 / percent)),
-        lambda c: (100 + percent) * F.least(F.col("rest"), 1 + F.col("n") - F.col("place")) >= percent * (F.col("n") + F.pow(F.lit(STEP), c) - 1e-6),
-    )
-    sized = lambda *key: F.inline(F.transform(partners, lambda c: F.struct(F.xxhash64(*key, F.least(own, c), F.greatest(own, c)).alias("key"), own.alias("own"), c.alias("for"))))
-    alone = posts.where(~F.col("frequent")).groupBy("cls").agg(*(F.first(c).alias(c) for c in ("n", "rest")), F.sort_array(F.collect_list(F.struct("place", "token"))).alias("all"))
-    heads = alone.select("cls", F.transform(F.slice("all", 1, HEAD), lambda x: x.token).alias("head"))
-    alone = alone.select("cls", "n", "rest", F.inline("all"))
-    alone = alone.select("cls", "n", "rest", "place", "token", sized("token"))
-    several = posts.where("frequent").groupBy("cls").agg(*(F.first(c).alias(c) for c in ("n", "rest")), F.sort_array(F.collect_set("token")).alias("tokens"))
-    several = several.select("cls", "n", "rest", F.lit(0).alias("place"), F.posexplode("tokens").alias("i", "x"), "tokens").select("cls", "n", "rest", "place", "x", F.explode(F.slice("tokens", F.col("i") + 2, MOST_COMBINED)).alias("y"))
-    keys = alone.unionByName(several.select("cls", "n", "rest", "place", F.lit(None).cast("long").alias("token"), sized("x", "y")))
-    smaller, larger = F.col("own") <= F.col("for"), F.col("own") >= F.col("for")  # of a pair, by size class
-    shared = keys.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.bool_or(smaller).alias("some"), F.bool_or(larger).alias("others")).where("lo < hi AND some AND others").select("key")
-    keys = saved(keys.join(shared, "key", "left_semi").join(heads, "cls", "left"), "keys")
-    other = keys.where(larger).select("key", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("rest").alias("rest_m"), F.col("place").alias("where"), F.col("head").alias("other_head"), F.col("own").alias("other_own"), F.col("for").alias("other_for"))
-    reach = 1 + F.least(F.col("n") - F.col("place"), F.col("m") - F.col("where"))
-    # a pair comes from the first shingle that both have, as far as their heads tell; it is the one with the widest reach
-    first = F.coalesce(F.get(F.array_intersect("head", "other_head"), F.lit(0)) == F.col("token"), F.lit(True)) | F.col("token").isNull()
-    pairs = keys.where(smaller).join(other, "key").where(((F.col("own") < F.col("other_own")) | (F.col("cls") < F.col("b"))) & (F.col("for") == F.col("other_own")) & (F.col("own") == F.col("other_for")) & enough & ((100 + percent) * reach >= percent * (F.col("n") + F.col("m"))) & first)
-    links = saved(pairs.select(F.least("cls", "b").alias("a"), F.greatest("cls", "b").alias("b")).distinct().mapInArrow(_verify(kept, shards, percent), "a long, b long"), "links")
-    labels = connected(links)
+    mine = size_class(F.col("n"))
+    reach = lambda place: F.least(F.col("rest"), 1 + F.col("n") - place)  # noqa: E731  # what stands before the place may hold one shared shingle at most
+    sizes = lambda place: F.filter(F.sequence(size_class(F.greatest(F.lit(1.0), F.col("n") * percent / 100.0)), size_class(F.col("n") * 100.0 / percent)), lambda c: (100 + percent) * reach(place) >= percent * (F.col("n") + F.pow(F.lit(STEP), c) - 1e-6))
+    # key: one or two shingles and, where many texts may have them, the size classes of both sides
+    row = lambda x, y, c: F.struct(x.alias("x"), y.alias("y"), F.least(mine, c).alias("low"), F.greatest(mine, c).alias("high"), (mine <= c).alias("smaller"), (mine >= c).alias("larger"))
+    null, nothing = F.lit(None).cast("long"), F.lit(None).cast("int")
+    plain = lambda x: F.struct(x.alias("x"), null.alias("y"), nothing.alias("low"), nothing.alias("high"), F.lit(True).alias("smaller"), F.lit(True).alias("larger"))
+    alone = texts_of.select("cls", "n", "rest", F.explode("rare").alias("p"))
+    alone = alone.select("cls", F.inline(F.when(F.col("p.df") < SIZED, F.array(plain(F.col("p.token")))).otherwise(F.transform(sizes(F.col("p.place")), lambda c: row(F.col("p.token"), null, c)))))
+    several = texts_of.where(F.size("often") > 1).select("cls", "n", "rest", F.posexplode("often").alias("i", "x"), "often").select("cls", "n", "rest", "x", F.explode(F.slice("often", F.col("i") + 2, MOST_COMBINED)).alias("y"))
+    several = several.select("cls", F.inline(F.transform(sizes(F.lit(0)), lambda c: row(F.col("x"), F.col("y"), c))))
+    keys = alone.unionByName(several).withColumn("key", F.xxhash64("x", "y", "low", "high"))
+    shared = keys.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.bool_or("smaller").alias("some"), F.bool_or("larger").alias("others"), F.count("*").alias("many")).where("lo < hi AND some AND others").select("key", F.ceil(F.col("many") / BLOCK).alias("blocks"))
+    keys = keys.join(shared, "key").withColumn("block", F.pmod(F.xxhash64("cls"), "blocks"))
+    # a bucket's classes in blocks: one of either side, or of those that are on both
+    side = F.when(F.col("smaller") & F.col("larger"), 2).when(F.col("smaller"), 0).otherwise(1)
+    lists = saved(keys.groupBy("key", "blocks", "block", side.alias("side")).agg(F.first("x").alias("x"), F.first("y").alias("y"), F.collect_list("cls").alias("all")), "lists")
+    one = lists.where("side = 2 AND blocks = 1 AND size(all) > 1").select("x", "y", F.col("all").alias("lo"), F.lit(None).cast("array<long>").alias("hi"))
+    other = lists.where("side = 1 OR (side = 2 AND blocks > 1)").select("key", F.col("side").alias("other_side"), F.col("block").alias("other_block"), F.col("all").alias("hi"))
+    meet = lists.where("(side = 2 AND blocks > 1) OR side = 0").join(other, "key").where("(side = 0 AND other_side = 1) OR (side = 2 AND other_side = 2 AND block <= other_block)")
+    same = (F.col("side") == 2) & (F.col("block") == F.col("other_block"))
+    meet = one.unionByName(meet.select("x", "y", F.col("all").alias("lo"), F.when(~same, F.col("hi")).alias("hi")))
+    sums = saved(meet.mapInArrow(_summed(kept, shards, percent), "a long, b long, links long"), "links")
+    labels = connected(sums.where("a <> b"))
 
     rows = marks.select("id", "n", "cls")
     rows = saved(rows.join(labels.withColumnRenamed("id", "cls"), "cls", "left").select("id", "n", "cls", F.coalesce("label", "cls").alias("label")), "rows")
     least = rows.where("label is not null").groupBy("label").agg(F.min("id").alias("component_id"))
     members = rows.where("cls is not null").groupBy("cls").agg(F.count("*").alias("size"))
-    ends = links.union(links.select("b", "a")).toDF("cls", "to")
-    others = ends.join(members.toDF("to", "size"), "to").groupBy("cls").agg(F.sum("size").alias("others"))
+    others = sums.where("a = b").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("others"))
     many = members.join(others, "cls", "left").select("cls", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
     found = rows.join(least, "label", "left").join(many, "cls", "left")
-    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("cls").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id")), links
+    pairs = meet.mapInArrow(_paired(kept, shards, percent), "a long, b long")
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("cls").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id")), pairs
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
