@@ -5,12 +5,14 @@ hashed feature stands, then sums the sketch ``A'A Omega`` of the TF-IDF blocks A
 latent directions; the first ``SKIP``, common to whole languages, are left out. Passages near a benchmark part by cosine, with
 enough of its weighted words, are candidates. So is every passage around which enough of the part's words stand for a common
 subsequence to be long enough, whatever its cosine: it holds some of the part's rarest words, by which it is found, so none is
-lost. A candidate is decided by the longest common subsequence with the words around it, and by the same for the part's last
-quarter, its answer: ``lcs >= EXACT``, or ``lcs >= LOOSE`` with the answer there.
-
-Null and empty texts and items match nothing. Items longer than ``PART`` words are matched in parts. Items under ``SHORT``
-words need all their words in order. Repeated rows and items give one pair for each pair of ids. Texts are read whole, and all
-passages are compared with all items, a bounded number of parts at a time.
+lost. A candidate is decided by the longest common subsequence with the words around it, and by the same for the item's answer,
+its last quarter: ``lcs >= EXACT``, or ``lcs >= LOOSE`` with the answer there.
+
+Null and empty texts and items, and those without an id, match nothing. Items longer than ``PART`` words are matched in parts
+of ``PART`` words, each half of the next, the last one at the item's end; only that one has the answer, as far as it goes, and
+the others need ``EXACT``. Items under ``SHORT`` words need all their words in order. Repeated rows and items give one pair for
+each pair of ids. Texts are read whole, and all passages are compared with all items, a bounded number of parts at a time.
+Other columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -202,11 +204,13 @@ def _vectors(b: _Blocks, space: Space) -> np.ndarray:
 class Part:
     item: int
     words: tuple[int, ...]
+    #: How many of the last words are the item's answer.
+    answer: int
 
     def least(self, exact: float, loose: float) -> int:
         """Fewer common words than these are never accepted."""
         m = len(self.words)
-        return m if m < SHORT else max(1, int(np.ceil(min(exact, loose) * m - 1e-9)))
+        return m if m < SHORT else max(1, int(np.ceil((min(exact, loose) if self.answer else exact) * m - 1e-9)))
 
     def span(self, at: int) -> slice:
         """The words around a passage that starts at this word."""
@@ -215,13 +219,21 @@ class Part:
     def decide(self, around: list[int], exact: float, loose: float) -> tuple[float, float, bool]:
         mine = list(self.words)
         share = lcs(mine, around) / len(mine)
-        answer = mine[-max(1, len(mine) // 4) :]
-        told = lcs(answer, around) / len(answer)
+        told = lcs(mine[-self.answer :], around) / self.answer if self.answer else 0.0
         if len(mine) < SHORT:
             return share, told, share == 1
         return share, told, share >= exact or (share >= loose and told >= exact)
 
 
+def parts_of(item: int, words: list[int]) -> list[Part]:
+    """An item's parts: the whole, or pieces that overlap by half and end where it ends."""
+    n, quarter = len(words), max(1, len(words) // 4)
+    if n <= PART:
+        return [Part(item, tuple(words), quarter)] if n else []
+    starts = [*range(0, n - PART, PART // 2), n - PART]
+    return [Part(item, tuple(words[a : a + PART]), min(quarter, PART // 4) if a == n - PART else 0) for a in starts]
+
+
 def _holding(parts: list[Part], idf: np.ndarray, exact: float, loose: float):
     """A function from texts and their blocks to all pairs (block, part) around which a part has words enough to be accepted."""
     least = np.array([p.least(exact, loose) for p in parts])
@@ -352,11 +364,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         return found.unionByName(saved(words.mapInArrow(_retrieve(space, list(parts), exact, loose), schema), "leaks"))
 
     for row in items.toLocalIterator():  # a part of the items at a time
-        ids = np.frombuffer(row["words"], np.uint16).tolist()
-        for a in range(0, len(ids), PART):
-            cut = tuple(ids[a : a + PART])
-            part = Part(row["id"], cut)
-            if (len(cut) >= PART // 4 or a == 0) and part not in seen:
+        for part in parts_of(row["id"], np.frombuffer(row["words"], np.uint16).tolist()):
+            if part not in seen:
                 seen.add(part)
                 parts.append(part)
         if len(parts) >= PARTS:

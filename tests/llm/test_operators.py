@@ -464,6 +464,28 @@ def test_decontamination_short_items_at_every_offset(spark):
     assert not {(i, i // 32) for i, _ in rows} - got
 
 
+def test_decontamination_long_items(spark):
+    """Items of more than one part: their ends and middles are found, a paraphrase only with the item's answer."""
+    rng = np.random.default_rng(21)
+    own = lambda n, k: [f"{rng.choice(WORDS)}{k}x{rng.integers(10**6)}" for _ in range(n)]
+    items = {n: own(n, n) for n in (65, 70, 79, 130, 200)}
+    around = lambda words: " ".join([sentence(rng, 50), *words, sentence(rng, 60)])
+    rows, expected = [], set()
+    for n, words in items.items():
+        for k, cut in enumerate((words[-64:], words[:64], words[-90:] if n > 90 else words, words[20:110] if n >= 130 else words)):
+            rows.append((10 * n + k, around(cut)))
+            expected.add((10 * n + k, n))
+        loose = [w if i % 3 or i >= 48 else "other" for i, w in enumerate(words[-64:])]  # two thirds and the answer
+        unanswered = [w if i < 46 else "other" for i, w in enumerate(words[-64:])]  # more, but no answer
+        rows += [(10 * n + 5, around(loose)), (10 * n + 6, around(unanswered)), (10 * n + 7, around(words[-14:]))]
+        expected.add((10 * n + 5, n))
+        if n == 65:
+            expected.discard((10 * n + 6, n))
+    docs = spark.createDataFrame([*rows, (None, " ".join(items[65]))], "doc_id long, text string").repartition(3)
+    found = decontaminate.leaks(docs, spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == expected
+
+
 def test_decontamination_paraphrases_at_every_offset(spark):
     """Items with 62 to 72% of their words and the whole answer, at every offset: what the rule accepts around any passage is found."""
     rng = np.random.default_rng(17)
@@ -483,7 +505,7 @@ def test_decontamination_paraphrases_at_every_offset(spark):
     for i, text in rows:
         words = ids(text)
         for n, item in items:
-            part = decontaminate.Part(n, tuple(ids(item)))
+            (part,) = decontaminate.parts_of(n, ids(item))
             if any(part.decide(words[max(0, at - n) : at + 64 + n], decontaminate.EXACT, decontaminate.LOOSE)[2] for at in range(0, len(words), 32)):
                 expected.add((i, n))
     assert len(expected) >= len(rows)
