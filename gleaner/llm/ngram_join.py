@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import find, get, new_dir, put, runs, saved
-from ._text import U, by_text, mix, pieces, words_of
+from ._store import Scratch, find, get, put, runs, saved, seal
+from ._text import U, by_text, mix, pair, pieces, words_of
 from .components import connected
 
 #: Shingles a task gathers before it sends their counts on.
@@ -41,6 +41,7 @@ STEP = 1.05
 SIZED = 16
 #: Classes of a bucket that one row holds, on average, and shingles that are compared at once.
 BLOCK, COLUMNS = 256, 4096
+LAST = np.iinfo(np.int32).max
 _M = U(0x9FB21C651E98DF25)
 
 
@@ -122,7 +123,7 @@ def _merge(at: str):
         total = np.minimum(np.add.reduceat(counts[order], first, dtype=np.int64), 65535)
         shared = total > 1
         put(at, shard, {"key": keys[first][shared], "df": total[shared].astype(np.uint16)})
-        return pd.DataFrame({"shared": [int(shared.sum())]})
+        return pd.DataFrame({"shard": [shard]})
 
     return run
 
@@ -185,7 +186,7 @@ def _keep(at: str):
             lists = [np.frombuffer(x, np.uint64) for x in pdf[name]] if name == "held" else [np.asarray(x, np.int64).view(np.uint64) for x in pdf[name]]
             arrays |= {name: np.concatenate(lists), f"{name}_at": np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int64)}
         put(at, int(pdf["shard"].iloc[0]), arrays)
-        return pd.DataFrame({"classes": [len(pdf)]})
+        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])]})
 
     return run
 
@@ -210,27 +211,54 @@ def _common(lists: list[np.ndarray], left: int) -> np.ndarray:
     return out
 
 
+def _first_common(lists: list[np.ndarray], left: int, k: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``k`` values that each of the first ``left`` lists has in common with each of the others, in the order that all
+    lists keep, and how many of them there are."""
+    values, owner = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    each, column, many = np.unique(values, return_inverse=True, return_counts=True)
+    on = many[column] > 1
+    place = np.full((len(lists), len(each)), LAST, np.int32)
+    place[owner[on], column[on]] = np.concatenate([np.arange(len(x), dtype=np.int32) for x in lists])[on] if len(on) else 0
+    place, each = place[:, many > 1], each[many > 1]
+    found, n = np.zeros((left, len(lists) - left, k), np.uint64), np.zeros((left, len(lists) - left), np.int64)
+    if not len(each):
+        return found, n
+    theirs = place[left:] < LAST
+    for i in range(left):
+        mine = np.flatnonzero(place[i] < LAST)
+        if not len(mine):
+            continue
+        mine = mine[np.argsort(place[i, mine])]
+        both = theirs[:, mine]
+        n[i] = both.sum(1)
+        for j in range(k):
+            at = both.argmax(1)
+            found[i, :, j] = each[mine[at]]
+            both[np.arange(len(both)), at] = False
+    return found, n
+
+
 class _Classes:
     """What the store has of classes."""
 
     def __init__(self, at: str, shards: int, ids: np.ndarray):
-        self.at, self.shards, self.ids = at, shards, ids
-        self.where = [int(np.searchsorted(get(at, int(c) % shards, "cls"), c)) for c in ids.tolist()]
-        self.size = np.array([get(at, c % shards, "size")[i] for c, i in zip(ids.tolist(), self.where)], np.int64)
-        bounds = [get(at, c % shards, "held_at")[i : i + 2] for c, i in zip(ids.tolist(), self.where)]
-        self.n = np.array([int(b[1] - b[0]) for b in bounds], np.int64)
+        self.at, self.ids, self.places = at, ids, []
+        for c in ids.tolist():
+            shard = c % shards
+            self.places.append((shard, int(get(at, shard, "cls").searchsorted(c))))
+        self.size = np.array([get(at, shard, "size")[i] for shard, i in self.places], np.int64)
+        self.n = np.array([(b := get(at, shard, "held_at"))[i + 1] - b[i] for shard, i in self.places], np.int64)
 
     def lists(self, name: str, chosen: np.ndarray | None = None) -> list[np.ndarray]:
         out = []
-        for k in range(len(self.ids)) if chosen is None else chosen.tolist():
-            shard, i = int(self.ids[k]) % self.shards, self.where[k]
-            a, b = get(self.at, shard, f"{name}_at")[i : i + 2]
-            out.append(np.asarray(get(self.at, shard, name)[a:b]))
+        for shard, i in self.places if chosen is None else (self.places[k] for k in chosen.tolist()):
+            bounds = get(self.at, shard, f"{name}_at")
+            out.append(get(self.at, shard, name)[bounds[i] : bounds[i + 1]])
         return out
 
 
-def _links(store: _Classes, left: int, key: tuple[int, int | None], percent: int) -> np.ndarray:
-    """Which of the first ``left`` classes link with which of the others, of those pairs that belong to this key.
+def _links(store: _Classes, left: int, keys: list[tuple[int, int | None]], percent: int) -> np.ndarray:
+    """Which of the first ``left`` classes link with which of the others, of those pairs that belong to one of these keys.
 
     A pair belongs to the first rare shingle that both prefixes have; without one, to the first two frequent ones.
     """
@@ -238,16 +266,14 @@ def _links(store: _Classes, left: int, key: tuple[int, int | None], percent: int
     mine = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (store.ids[:left, None] != store.ids[None, left:])
     if not mine.any():
         return mine
-    x, y = (None if k is None else np.int64(k).view(np.uint64) for k in key)
-    rare = store.lists("rare")
-    if y is None:
-        mine &= _common([r[: int(np.flatnonzero(r == x)[0])] for r in rare], left) == 0
-    else:
-        often = store.lists("often")
-        mine &= _common(rare, left) == 0
-        if mine.any():  # sorted as signed, as in their pairs
-            signed = [o.view(np.int64) for o in often]
-            mine &= _common([o[(v < key[1]) & (v != key[0])] for o, v in zip(often, signed)], left) == 0
+    first, many = _first_common(store.lists("rare"), left)
+    alone = np.array([x for x, y in keys if y is None], np.int64).view(np.uint64)
+    own = (many > 0) & np.isin(first[:, :, 0], alone)
+    if len(alone) < len(keys):
+        both, of_two = _first_common(store.lists("often"), left, 2)
+        two = np.array([k for k in keys if k[1] is not None], np.int64).view(np.uint64)
+        own |= (many == 0) & (of_two > 1) & np.isin(pair(both[:, :, 0], both[:, :, 1]), pair(two[:, 0], two[:, 1]))
+    mine &= own
     rows, columns = np.flatnonzero(mine.any(1)), np.flatnonzero(mine.any(0))
     if not len(rows):
         return mine
@@ -277,15 +303,16 @@ class _Forest:
 
 
 def _block_links(at: str, shards: int, percent: int) -> Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]:
-    """Of every row ``x, y, lo, hi`` of a batch: the linked classes a and b, and the numbers of rows in each."""
+    """Of every row ``keys, lo, hi`` of a batch: the linked classes a and b, and the numbers of rows in each."""
 
     def of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        for x, y, lo, hi in zip(*(batch.column(c).to_pylist() for c in ("x", "y")), *(batch.column(c) for c in ("lo", "hi"))):
+        for keys, lo, hi in zip(batch.column("keys"), batch.column("lo"), batch.column("hi")):
+            keys = list(zip(*(keys.values.field(c).to_pylist() for c in "xy")))
             a, b = (v.values.to_numpy() if v.is_valid else None for v in (lo, hi))
             alone = b is None
             b = a if alone else b
             store = _Classes(at, shards, np.r_[a, b])
-            found = _links(store, len(a), (x, y), percent)
+            found = _links(store, len(a), keys, percent)
             i, j = np.nonzero(np.triu(found, 1) if alone else found)
             if len(i):
                 yield a[i], b[j], store.size[i], store.size[len(a) + j]
@@ -312,8 +339,8 @@ def _summed(at: str, shards: int, percent: int):
                     each, to = np.unique(ends, return_inverse=True)
                     for c, n in zip(each.tolist(), np.bincount(to, weights).astype(np.int64).tolist()):
                         rows[c] += n
-                for pair in zip(a.tolist(), b.tolist()):
-                    forest.add(*pair)
+                for ends in zip(a.tolist(), b.tolist()):
+                    forest.add(*ends)
             if len(rows) >= 50_000:
                 yield sent(rows, forest)
                 rows, forest = Counter(), _Forest()
@@ -333,9 +360,14 @@ def _paired(at: str, shards: int, percent: int):
     return run
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> tuple[DataFrame, DataFrame]:
+def _written(at: str, shards: int, done: DataFrame, *names: str) -> None:
+    """Run the writers; of each shard only its number comes back."""
+    seal(at, shards, [r["shard"] for r in done.collect()], *names)
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, links: bool = True) -> tuple[DataFrame, DataFrame | None]:
     """Membership and links. One row per input row: ``id_col``, ``n_shingles``, ``class_id``, ``n_links``, ``component_id``; and ``(a, b)``
-    with a < b for each two classes of different sets that link. Rows of one class link with each other and with all rows of
+    with a < b for each two classes of different sets that link (lazily; None without ``links``). Rows of one class link with each other and with all rows of
     the classes theirs links with; ``n_links`` counts those rows.
 
     Rows link when their shingle sets have a Jaccard similarity of at least ``percent`` / 100; ``component_id`` is the least id
@@ -347,10 +379,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = int(max(LEAST_SHARDS, -(-size // SHARD_BYTES)))
-    at = new_dir(spark, "shingles")
+    way, kept_on = Scratch(spark, "join"), Scratch(spark, "join-links")
+    at = way.dir("shingles")
     counts = texts.select("text").mapInArrow(_count(shards, width), "shard int, keys binary, counts binary")
-    counts.repartition(shards, "shard").groupBy("shard").applyInPandas(_merge(at), "shared long").agg(F.sum("shared")).first()
-    marks = saved(texts.mapInArrow(_mark(at, shards, width, percent), _MARKS), "marks")
+    _written(at, shards, counts.repartitionById(shards, "shard").groupBy("shard").applyInPandas(_merge(at), "shard int"), "key", "df")
+    marks = way.saved(texts.mapInArrow(_mark(at, shards, width, percent), _MARKS), "marks")
 
     posts = marks.where(F.size("tokens") > 0).select("cls", "n", "rest", "hot", F.explode(F.arrays_zip("tokens", "dfs", "places")).alias("p")).select("cls", "n", "rest", "hot", F.col("p.tokens").alias("token"), F.col("p.dfs").alias("df"), F.col("p.places").alias("place"))
     buckets = posts.groupBy("token").agg(F.min("cls").alias("least"), F.max("cls").alias("most"), F.max("hot").alias("hot_most")).where("least < most")
@@ -358,10 +391,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     posts = posts.drop("hot").join(buckets.select("token", "hot_most"), "token").groupBy("token", "cls").agg(*(F.first(c).alias(c) for c in ("n", "rest", "place", "df")), F.first(frequent).alias("frequent"))
     own = F.struct("place", "token", "df")
     texts_of = posts.groupBy("cls").agg(*(F.first(c).alias(c) for c in ("n", "rest")), F.sort_array(F.collect_list(F.when(~F.col("frequent"), own))).alias("rare"), F.sort_array(F.collect_list(F.when(F.col("frequent"), F.col("token")))).alias("often"))
-    texts_of = saved(texts_of, "prefixes")
-    kept = new_dir(spark, "sets")
+    texts_of = way.saved(texts_of, "prefixes")
+    kept = kept_on.dir("sets")
     sets = marks.where("held is not null").join(texts_of.select("cls", F.transform("rare", lambda x: x.token).alias("rare"), "often"), "cls").groupBy("cls").agg(F.first("held").alias("held"), F.first("rare").alias("rare"), F.first("often").alias("often"), F.count("*").alias("size"))
-    sets.repartitionById(shards, F.pmod("cls", F.lit(shards)).cast("int")).withColumn("shard", F.pmod("cls", F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(_keep(kept), "classes long").count()
+    sets = sets.withColumn("shard", F.pmod("cls", F.lit(shards)).cast("int"))
+    _written(kept, shards, sets.repartitionById(shards, "shard").groupBy("shard").applyInPandas(_keep(kept), "shard int"), "cls", "size", *(n + x for n in ("held", "rare", "often") for x in ("", "_at")))
 
     size_class = lambda size: F.floor(F.log(size) / float(np.log(STEP))).cast("int")
     mine = size_class(F.col("n"))
@@ -380,30 +414,37 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     keys = keys.join(shared, "key").withColumn("block", F.pmod(F.xxhash64("cls"), "blocks"))
     # a bucket's classes in blocks: one of either side, or of those that are on both
     side = F.when(F.col("smaller") & F.col("larger"), 2).when(F.col("smaller"), 0).otherwise(1)
-    lists = saved(keys.groupBy("key", "blocks", "block", side.alias("side")).agg(F.first("x").alias("x"), F.first("y").alias("y"), F.collect_list("cls").alias("all")), "lists")
+    lists = kept_on.saved(keys.groupBy("key", "blocks", "block", side.alias("side")).agg(F.first("x").alias("x"), F.first("y").alias("y"), F.sort_array(F.collect_list("cls")).alias("all")), "lists")
     one = lists.where("side = 2 AND blocks = 1 AND size(all) > 1").select("x", "y", F.col("all").alias("lo"), F.lit(None).cast("array<long>").alias("hi"))
     other = lists.where("side = 1 OR (side = 2 AND blocks > 1)").select("key", F.col("side").alias("other_side"), F.col("block").alias("other_block"), F.col("all").alias("hi"))
     meet = lists.where("(side = 2 AND blocks > 1) OR side = 0").join(other, "key").where("(side = 0 AND other_side = 1) OR (side = 2 AND other_side = 2 AND block <= other_block)")
     same = (F.col("side") == 2) & (F.col("block") == F.col("other_block"))
     meet = one.unionByName(meet.select("x", "y", F.col("all").alias("lo"), F.when(~same, F.col("hi")).alias("hi")))
-    sums = saved(meet.mapInArrow(_summed(kept, shards, percent), "a long, b long, links long"), "links")
+    # what has many keys in common meets once
+    meet = meet.groupBy("lo", "hi").agg(F.collect_list(F.struct("x", "y")).alias("keys"))
+    sums = way.saved(meet.mapInArrow(_summed(kept, shards, percent), "a long, b long, links long"), "links")
     labels = connected(sums.where("a <> b"))
 
     rows = marks.select("id", "n", "cls")
-    rows = saved(rows.join(labels.withColumnRenamed("id", "cls"), "cls", "left").select("id", "n", "cls", F.coalesce("label", "cls").alias("label")), "rows")
+    rows = way.saved(rows.join(labels.withColumnRenamed("id", "cls"), "cls", "left").select("id", "n", "cls", F.coalesce("label", "cls").alias("label")), "rows")
     least = rows.where("label is not null").groupBy("label").agg(F.min("id").alias("component_id"))
     members = rows.where("cls is not null").groupBy("cls").agg(F.count("*").alias("size"))
     others = sums.where("a = b").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("others"))
     many = members.join(others, "cls", "left").select("cls", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
     found = rows.join(least, "label", "left").join(many, "cls", "left")
+    found = saved(found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("cls").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id")), "joined")
+    way.clear()
+    if not links:
+        kept_on.clear()
+        return found, None
     pairs = meet.mapInArrow(_paired(kept, shards, percent), "a long, b long")
-    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("cls").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id")), pairs
+    return found, pairs
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
     """The rows of :func:`join` without its links."""
-    return join(docs, id_col, text_col, width, percent)[0]
+    return join(docs, id_col, text_col, width, percent, links=False)[0]
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
