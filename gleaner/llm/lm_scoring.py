@@ -1,8 +1,9 @@
 """LM scoring: an interpolated modified Kneser-Ney bigram model, counted in Spark and kept as sorted hash arrays.
 
 Counting: every task hashes the words of its texts, sums equal bigrams in bounded buffers and sends one sorted block for
-each shard; a shard holds whole contexts. The second exchange sums continuation counts by word. Shards grow in number with
-the corpus, so no task's share grows. Workers map the arrays into memory and look up sorted batches.
+each shard. Shards of bigrams form a grid by left and by right word, so a frequent word's bigrams fall in a whole row or column
+of them. The second exchange sums what the shards know of each word: occurrences, words before it, totals as a context.
+Shards grow in number with the corpus, so no task's share grows. Workers map the arrays into memory and look up sorted batches.
 
 The order is 2: with all trigrams kept, counts and arrays of a third order go beyond four times the input on disk.
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import checkpoint, find, get, new_dir, put, runs
+from ._store import find, get, new_dir, put, runs, seal
 from ._text import hash_word, pair, pieces, words_of
 
 END, START = np.uint64(hash_word("\n</s>")), np.uint64(hash_word("\n<s>"))
@@ -30,7 +31,7 @@ BUFFER = 1_500_000
 #: Bytes of text for each shard of the model, and the fewest shards.
 SHARD_BYTES, LEAST_SHARDS = 24 << 20, 48
 _BLOCK = "shard int, left binary, times binary, right binary, counts binary"
-_WORDS = "shard int, keys binary, raw binary, before binary, seen binary, n1 binary, n2 binary, n3 binary, b1 long, b2 long, b3 long, b4 long"
+_WORDS = "shard int, keys binary, raw binary, before binary, seen binary, n1 binary, n2 binary, n3 binary, origin int, b1 long, b2 long, b3 long, b4 long"
 
 
 def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -42,14 +43,20 @@ def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return left, right, n + 1, words.first
 
 
+def _grid(left: np.ndarray, right: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each bigram: a place in a grid of about as many rows as columns."""
+    rows = max(1, int(shards**0.5))
+    return (left % np.uint64(rows)) * np.uint64(shards // rows) + right % np.uint64(shards // rows)
+
+
 def _count(shards: int):
     def blocks(left: np.ndarray, right: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((right, left, left % np.uint64(shards)))
+        order = np.lexsort((right, left, _grid(left, right, shards)))
         left, right = left[order], right[order]
         at = np.flatnonzero(np.r_[True, (left[1:] != left[:-1]) | (right[1:] != right[:-1])])
         counts = np.diff(np.r_[at, len(left)]).astype(np.uint32)
         left, right = left[at], right[at]
-        shard = (left % np.uint64(shards)).astype(np.int32)
+        shard = _grid(left, right, shards).astype(np.int32)
         bounds = np.searchsorted(shard, np.arange(shards + 1))
         rows = []
         for k in np.flatnonzero(np.diff(bounds)):
@@ -78,8 +85,13 @@ def _bytes(values, kind) -> np.ndarray:
     return np.concatenate([np.frombuffer(x, kind) for x in values]) if len(values) else np.empty(0, kind)
 
 
+def _least(values: np.ndarray) -> np.ndarray:
+    """The same counts in the narrowest kind that holds them all."""
+    return values.astype(np.min_scalar_type(int(values.max()) if len(values) else 0))
+
+
 def _bigrams(at: str, shards: int):
-    """One shard of contexts: writes its bigrams, and tells every word's shard what it has seen."""
+    """One shard: writes its bigrams, and tells every word's shard what it has seen."""
 
     def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
         shard = int(pdf["shard"].iloc[0])
@@ -89,15 +101,16 @@ def _bigrams(at: str, shards: int):
         order = np.lexsort((right, left))
         left, right, counts = left[order], right[order], counts[order]
         first = np.flatnonzero(np.r_[True, (left[1:] != left[:-1]) | (right[1:] != right[:-1])])
-        left, right, counts = left[first], right[first], np.add.reduceat(counts, first, dtype=np.uint64).astype(np.uint32)
+        left, right, counts = left[first], right[first], np.add.reduceat(counts, first, dtype=np.uint64)
         keys = pair(left, right)
         order = np.argsort(keys)
-        put(at, shard, {"bi": keys[order], "bic": counts[order]})
+        put(at, shard, {"bi": keys[order], "bic": _least(counts[order])})
+        del keys
         of_counts = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
-        # what each context has: kinds of followers seen once, twice, more often
+        # what each context has: occurrences, kinds of followers seen once, twice, more often
         c = runs(left)
         context = left[c]
-        n1, n2, n3 = (np.add.reduceat(x, c, dtype=np.uint64).astype(np.uint32) for x in (counts == 1, counts == 2, counts > 2))
+        seen, n1, n2, n3 = (np.add.reduceat(x, c, dtype=np.uint64) for x in (counts, counts == 1, counts == 2, counts > 2))
         # what each word has: occurrences, kinds of words before it
         order = np.argsort(right, kind="stable")
         right, counts = right[order], counts[order]
@@ -108,23 +121,26 @@ def _bigrams(at: str, shards: int):
         table = np.zeros((6, len(every)), np.uint64)
         table[0, i := np.searchsorted(every, word)], table[1, i] = raw, before
         i = np.searchsorted(every, context)
-        table[2, i], table[3, i], table[4, i], table[5, i] = np.add.reduceat(_totals(left, keys, shard, at), c, dtype=np.uint64), n1, n2, n3
+        table[2, i], table[3, i], table[4, i], table[5, i] = seen, n1, n2, n3
         to = (every % np.uint64(shards)).astype(np.int32)
         order = np.argsort(to, kind="stable")
         bounds = np.searchsorted(to[order], np.arange(shards + 1))
         rows = []
         for k in np.flatnonzero(np.diff(bounds)):
             own = order[bounds[k] : bounds[k + 1]]
-            rows.append((int(k), every[own].tobytes(), *(x[own].astype(np.uint32).tobytes() for x in table), *(of_counts if not rows else [0] * 4)))
+            rows.append((int(k), every[own].tobytes(), *(_packed(x[own]) for x in table), shard, *(of_counts if not rows else [0] * 4)))
         return pd.DataFrame(rows, columns=[x.split()[0] for x in _WORDS.split(", ")])
 
     return reduce
 
 
-def _totals(left, keys, shard, at):
-    """Counts in the order of contexts, from the arrays just written."""
-    stored, counts = get(at, shard, "bi"), get(at, shard, "bic")
-    return np.asarray(counts)[np.searchsorted(stored, keys)]
+def _packed(values: np.ndarray) -> bytes:
+    """Counts byte by byte, all lowest bytes first: mostly zeros, which Spark's codec finds."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unpacked(parts) -> np.ndarray:
+    return np.concatenate([np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(np.uint64)[:, 0] for x in parts])
 
 
 def _unigrams(at: str):
@@ -132,15 +148,15 @@ def _unigrams(at: str):
         shard = int(pdf["shard"].iloc[0])
         stats = [int(pdf[f"b{k}"].sum()) for k in (1, 2, 3, 4)]
         keys = _bytes(pdf["keys"], np.uint64)
-        columns = [_bytes(pdf[x], np.uint32) for x in ("raw", "before", "seen", "n1", "n2", "n3")]
+        columns = [_unpacked(pdf[x]) for x in ("raw", "before", "seen", "n1", "n2", "n3")]
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
         first = runs(keys)
         raw, before, seen, n1, n2, n3 = (np.add.reduceat(x[order], first, dtype=np.uint64) for x in columns)
-        put(at, shard, {"uni": keys[first], "raw": raw, "before": before.astype(np.uint32), "seen": seen, "kinds": np.stack([n1, n2, n3], 1).astype(np.uint32)})
+        put(at, shard, {"uni": keys[first], "raw": _least(raw), "before": _least(before), "seen": _least(seen), "kinds": _least(np.stack([n1, n2, n3], 1))})
         known = before > 0
         row = [int(raw.sum()), int(known.sum()), int(before.sum()), *(int((before == k).sum()) for k in (1, 2, 3, 4)), *stats]
-        return pd.DataFrame([row], columns=_STATS)
+        return pd.DataFrame([[shard, [int(x) for x in np.unique(pdf["origin"])], *row]], columns=["shard", "origins", *_STATS])
 
     return reduce
 
@@ -178,9 +194,12 @@ def train(docs: DataFrame) -> Model:
     at = new_dir(spark, "lm")
     blocks = texts.mapInArrow(_count(shards), _BLOCK)
     # as many tasks as shards, so that what one reads doesn't grow
-    words = blocks.repartition(shards, "shard").groupBy("shard").applyInPandas(_bigrams(at, shards), _WORDS)
-    stats = words.repartition(shards, "shard").groupBy("shard").applyInPandas(_unigrams(at), ", ".join(f"{c} long" for c in _STATS))
-    row = stats.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _STATS)).first().asDict()
+    words = blocks.repartitionById(shards, "shard").groupBy("shard").applyInPandas(_bigrams(at, shards), _WORDS)
+    stats = words.repartitionById(shards, "shard").groupBy("shard").applyInPandas(_unigrams(at), "shard int, origins array<int>, " + ", ".join(f"{c} long" for c in _STATS))
+    done = stats.collect()  # a row for each shard
+    row = {c: sum(r[c] for r in done) for c in _STATS}
+    seal(at, shards, [r["shard"] for r in done], "uni", "raw", "before", "seen", "kinds")
+    seal(at, shards, sorted({k for r in done for k in r["origins"]}), "bi", "bic")
     uni, bi = ([row[f"{k}{i}"] for i in (1, 2, 3, 4)] for k in "ub")
     kinds = (uni[0], uni[1], row["v"] - uni[0] - uni[1])
     return Model(at, shards, row["n"], row["v"], row["pairs"], tuple(_discounts(*uni)), tuple(_discounts(*bi)), kinds)
@@ -206,8 +225,8 @@ def _words_in(model: Model, words: np.ndarray) -> tuple[np.ndarray, ...]:
     return raw, before, seen, left
 
 
-def _pairs_in(model: Model, left: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    shard = left % np.uint64(model.shards)
+def _pairs_in(model: Model, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    keys, shard = pair(left, right), _grid(left, right, model.shards)
     order = np.lexsort((keys, shard))
     counts = np.zeros(len(keys))
     for k, part in _by_shard(shard[order], model.shards):
@@ -230,7 +249,7 @@ def _log_probabilities(model: Model, left: np.ndarray, right: np.ndarray) -> tup
     lower = _less(before, model.unigram)
     free = sum(d * k for d, k in zip(model.unigram, model.kinds))
     unigram = (lower + free / (model.v + 1)) / model.pairs if model.pairs else np.full(len(words), 1.0 / (model.v + 1))
-    counts = _pairs_in(model, left, pair(left, right))
+    counts = _pairs_in(model, left, right)
     total = seen[l]
     p = np.where(total > 0, (_less(counts, model.bigram) + back[l] * unigram[r]) / np.maximum(total, 1), unigram[r])
     return raw[r], np.log10((raw[r] + 1) / (model.n + model.v + 1)), np.log10(p)
