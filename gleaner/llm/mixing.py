@@ -1,10 +1,11 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 The words of a source, its texts in a pseudorandom order, form one stream that is cut into blocks of ``block`` words. A
-source fills as many slots as its target has blocks; every slot draws an output shard, so a shard's source counts are
-multinomial in the shares of the targets, while each source's total is exact. Slot j of a source takes the block at index
-``permutation(j)``: a swap-or-not shuffle of the source's blocks, another one in each epoch. Blocks and slots are joined by
-(source, index). A block is used twice at most, since no target is above twice its source.
+source fills as many slots as its target has blocks. A pseudorandom permutation of all slots deals them to output shards of
+``SHARD`` places, so a shard's source counts are a multinomial draw in the shares of the targets, given that each source's total
+is exact. Slot j of a source takes the block at index ``permutation(j)``: a swap-or-not shuffle of the source's blocks, another
+one in each epoch. Blocks and slots are joined by (source, index). A block is used twice at most, since no target is above twice
+its source.
 
 Nothing but a row for each source passes one task: running sums go through buckets and groups of buckets, and hot sources
 fall in many of them. Equal seeds give equal results, whatever the partitions.
@@ -25,8 +26,8 @@ BLOCK = 128
 ROUNDS = 12
 #: Texts in a bucket and buckets in a group of them, on average.
 IN_BUCKET, IN_GROUP = 128, 1024
-#: Slots of a shard of the output, on average, and slots that are made from one row.
-SHARD, CHUNK = 4096, 4096
+#: Slots of a shard of the output (the last one may have fewer), slots that are made from one row, and such rows of one task.
+SHARD, CHUNK, CHUNKS = 4096, 2048, 16
 
 
 def word_count(text: Column) -> Column:
@@ -70,7 +71,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def slots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """The plan of the mix: slots ``(key, slot, shard, block, upto)``, ``upto`` being the words of the block that are taken, and
+    """The plan of the mix: slots ``(key, slot, shard, place, block, upto)``, ``upto`` being the words of the block that are taken, and
     pieces ``(id, key, block, a, b, from_word)``: words ``a`` to ``b`` of the block are the text's words from ``from_word`` on."""
     _, _, slot_rows, pieces = _parts(docs, id_col, text_col, source_col, block, seed)
     return slot_rows, pieces.select("id", "key", "block", "a", "b", (F.col("block") * block + F.col("a") - F.col("start")).alias("from_word"))
@@ -105,15 +106,19 @@ def _parts(docs: DataFrame, id_col: str, text_col: str, source_col: str, block:
     s = sources.where("source_size > 0").withColumns({"blocks": F.ceil(F.col("source_size") / block), "epochs": F.floor(wanted / F.col("source_size"))})
     s = s.withColumn("rest", wanted - F.col("epochs") * F.col("source_size"))
     s = s.withColumn("more", F.ceil(F.col("rest") / block)).withColumn("slots", F.col("epochs") * F.col("blocks") + F.col("more"))
-    shards = F.greatest(F.lit(1), F.ceil(F.sum("slots").over(Window.partitionBy()) / SHARD))
-    s = s.withColumn("shards", shards).where("slots > 0")
-    chunks = s.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / CHUNK))).alias("chunk")).repartition("key", "chunk")
+    all_, before = Window.partitionBy(), Window.orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumns({"all": F.sum("slots").over(all_), "before": F.coalesce(F.sum("slots").over(before), F.lit(0))}).where("slots > 0")
+    chunks = s.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / CHUNK))).alias("chunk"))
+    many = s.agg(F.sum(F.ceil(F.col("slots") / CHUNK))).first()[0] or 1
+    chunks = chunks.repartition(int(-(-many // CHUNKS)), "key", "chunk")  # a number of its own, or a few rows would stay in one task
     slot_rows = chunks.select("*", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least((F.col("chunk") + 1) * CHUNK, F.col("slots")) - 1)).alias("slot"))
     epoch = F.floor(F.col("slot") / F.col("blocks"))
-    slot_rows = slot_rows.select(
+    dealt = permuted(F.col("before") + F.col("slot"), F.col("all"), F.lit(seed), F.lit("deal"))
+    slot_rows = slot_rows.withColumn("dealt", dealt).select(
         "key",
         "slot",
-        F.pmod(F.xxhash64(F.lit(seed), F.lit(2), "key", "slot"), "shards").alias("shard"),
+        F.floor(F.col("dealt") / SHARD).alias("shard"),
+        (F.col("dealt") % SHARD).alias("place"),
         permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.col("key"), epoch).alias("block"),
         F.when((F.col("slot") == F.col("slots") - 1) & (F.col("more") > 0), F.col("rest") - (F.col("more") - 1) * block).otherwise(F.lit(block)).alias("upto"),
     )
@@ -123,7 +128,8 @@ def _parts(docs: DataFrame, id_col: str, text_col: str, source_col: str, block:
 def _taken(rows: DataFrame, sources: DataFrame, slot_rows: DataFrame, pieces: DataFrame, id_col: str) -> DataFrame:
     uses = slot_rows.groupBy("key", "block").agg(F.collect_list("upto").alias("uses"))  # two at most
     taken = F.aggregate("uses", F.lit(0).cast("long"), lambda s, upto: s + F.greatest(F.least(upto, F.col("b")) - F.col("a"), F.lit(0)))
-    got = pieces.join(uses, ["key", "block"], "left").select("id", "key", "size", "start", F.coalesce(taken, F.lit(0)).alias("taken"))
+    # as large as the input's blocks: never sent to every executor, however small it looks when compressed
+    got = pieces.join(uses.hint("merge"), ["key", "block"], "left").select("id", "key", "size", "start", F.coalesce(taken, F.lit(0)).alias("taken"))
     got = got.groupBy("id", "key", "size", "start").agg(F.sum("taken").alias("taken")).select("id", "key", "size", "taken")
     none = rows.where("size = 0").select("id", "key", "size", F.lit(0).cast("long").alias("taken"))
     return got.unionByName(none).join(sources, "key").select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "taken")
