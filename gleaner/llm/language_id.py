@@ -6,7 +6,8 @@ towards the whole corpus's. Priors and declaration rates are sums of text-only p
 
 Rejected (``accepted`` false) are texts without letters (null and empty ones too), texts whose trigrams fit their best
 language clearly worse than chance, and texts with no language above ``least`` posterior. Null hosts, suffixes and declarations are
-no evidence. Repeated rows stay rows. Whole texts are read.
+no evidence. Of languages that tie, the first by name is taken. Repeated rows stay rows, null ids null. Whole texts are read.
+Other columns are ignored, whatever their names. An empty table gives no rows; without labels the one language is ``und``.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ BUFFER = 2_000_000
 TEMPER, STRENGTH = 0.3, 50.0
 #: Nats a trigram by which a text may fit worse than chance: a short text may hold a key or a code.
 SLACK = 1.5
+#: Bytes of evidence that are sent to every executor at most; more is joined by key, hot keys split by Spark.
+SENT = 32 << 20
 
 _FOLD = np.zeros(256, np.uint8)
 _FOLD[0x61:0x7B] = np.arange(1, 27)
@@ -130,10 +133,17 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     share = sum(F.col(f"s{i}") for i in range(size)) / F.lit(total)
     by_declared = by_declared.select("declared", F.array(*((F.col(f"s{i}") + STRENGTH * share) / (declared_all[i] + STRENGTH) for i in range(size))).alias("of_declared"))
 
-    rows = rows.join(by_host, "host", "left").join(by_suffix, "suffix", "left").join(by_declared, "declared", "left")
+    # one row for each combination of evidence that occurs
     ones = F.array(*[F.lit(1.0)] * size)
-    logs = F.zip_with("fits", F.zip_with(F.coalesce("of_host", "of_suffix", prior), F.coalesce("of_declared", ones), lambda a, b: F.log(a * b + 1e-12)), lambda a, b: a + b)
-    rows = rows.withColumn("logs", logs).withColumn("top", F.array_max("logs"))
+    evidence = saved(rows.select("host", "suffix", "declared").distinct(), "evidence")
+    for column, table in (("host", by_host), ("suffix", by_suffix), ("declared", by_declared)):
+        evidence = evidence.join(table, column, "left")
+    factors = F.zip_with(F.coalesce("of_host", "of_suffix", prior), F.coalesce("of_declared", ones), lambda a, b: F.log(a * b + 1e-12))
+    evidence = saved(evidence.select(*(F.col(c).alias(f"_{c}") for c in ("host", "suffix", "declared")), factors.alias("factors")), "evidence")
+    few = evidence.count() * 8 * (size + 2) <= SENT
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("host", "suffix", "declared")]
+    rows = rows.join(F.broadcast(evidence) if few else evidence.hint("merge"), same)
+    rows = rows.withColumn("logs", F.zip_with("fits", "factors", lambda a, b: a + b)).withColumn("top", F.array_max("logs"))
     names = F.array(*map(F.lit, model.languages))
     best = lambda c: F.element_at(names, F.array_position(c, F.array_max(c)).cast("int"))
     confidence = 1 / F.aggregate("logs", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top")))
