@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._store import get, new_dir, put, saved
+from ._store import get, new_dir, put, saved, seal
 
 #: Vectors that the codebooks are learned from at most.
 SAMPLE = 8192
@@ -133,8 +133,14 @@ def _length(x: np.ndarray) -> np.ndarray:
     return np.sqrt(np.einsum("ij,ij->i", x, x))
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest number near 1: cosines stay the same to the bit, and none overflows."""
+    _, power = np.frexp(np.abs(x).max(1, keepdims=True))
+    return np.ldexp(x, -power)
+
+
 def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Cosines of one vector with rows; equal rows give equal bits."""
+    """Cosines of one vector with rows, both :func:`_scaled`; equal rows give equal bits."""
     return np.einsum("ij,ij->i", np.broadcast_to(q, x.shape).copy(), x) / (_length(q[None]) * _length(x))
 
 
@@ -154,13 +160,15 @@ def _scan(model: Books, dim: int, uri: str, blocks: int, k: int, keep: int):
             norms, cosine = (np.maximum(batch.column("norm").to_numpy()[order], 1e-12)), batch.column("cosine").to_numpy()[order].astype(np.float64)
             off = slack / norms.astype(np.float64)
             aside = np.sqrt(np.maximum(1 - cosine * cosine, 0) + 2e-6)
-            scaled = x / np.abs(x).max(1, keepdims=True)
+            x = _scaled(x)
+            scaled = x.copy()
             scaled /= _length(scaled)[:, None]
             for block in range(blocks):
                 queries, vectors = np.asarray(get(uri, block, "ids")).astype(np.int64), np.asarray(get(uri, block, "vectors"))
                 if not len(queries):
                     continue
-                unit = vectors / np.abs(vectors).max(1, keepdims=True)
+                vectors = _scaled(vectors)
+                unit = vectors.copy()
                 unit /= _length(unit)[:, None]
                 table = (unit.astype(np.float32) @ model.entries.reshape(-1, d).T).reshape(-1, m, n)
                 least, found = floor.setdefault(block, np.full((len(queries), k), -np.inf)), []
@@ -195,7 +203,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     model = learn(_unit(np.stack(sample["v"]).astype(np.float64)))
     asked = saved(rows.where(is_query).dropDuplicates(["id", "v"]), "queries")
     blocks, uri = max(1, -(-asked.count() // QUERY_BLOCK)), new_dir(rows.sparkSession, "asked")
-    asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).groupBy("block").applyInPandas(_put(uri), "block int").count()
+    done = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).groupBy("block").applyInPandas(_put(uri), "block int").collect()
+    seal(uri, blocks, [r["block"] for r in done], "ids", "vectors")
     exact = index(rows, model, dim).mapInArrow(_scan(model, dim, uri, blocks, k, keep), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
