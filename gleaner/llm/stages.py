@@ -9,33 +9,52 @@ from . import decontaminate, language_id, mixing, ngram_join, pii
 from ._store import saved
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose doc_id isn't among ``ids``; those with a null doc_id stay.
+#: A name that no table has, for the number that stands for a row.
+ROW = "__row"
 
-    The ids are written first, so that their size is known: Spark sends them round where they are few, else it shuffles.
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a 64-bit hash of doc_id, source and text. Decisions are about such numbers, so that a null doc_id, or one that
+    several texts share, is judged like any other; rows that agree in all three are judged alike."""
+    told = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    return docs.withColumn(ROW, F.xxhash64(told("doc_id"), told("source"), F.col("text").isNull(), "text"))
+
+
+def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose number is in ``rows``.
+
+    The numbers are written first, so that their size is known: Spark sends them round where they are few, else it shuffles.
     """
-    known = saved(ids.select("doc_id").where("doc_id is not null").distinct(), "ids")
-    return docs.join(known, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(saved(rows.select(ROW).distinct(), "dropped"), ROW, "left_anti").select(docs.columns)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: what it rejects goes. ``lang`` stays as it was."""
-    model = language_id.train(docs)
-    return without(docs, language_id.identify(docs, model, host=F.col("source")).where(~F.col("accepted")))
+    rows = numbered(docs)
+    found = language_id.identify(rows, language_id.train(docs), ROW, host=F.col("source"))
+    return without(rows, found.where(~F.col("accepted"))).drop(ROW)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: of each component the row with the least doc_id stays, one of them if it is repeated."""
-    groups = ngram_join.near_duplicates(docs)
-    repeated = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    kept = without(docs, groups.where(F.col("doc_id") != F.col("component_id")))
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return without(kept, repeated).unionByName(once.select(docs.columns))
+    """N-gram Jaccard join: of each component the row with the least doc_id stays, one of them if it is repeated; where no row has an
+    id, any one. Rows without words are in no component, and all stay."""
+    rows = numbered(docs)
+    groups = ngram_join.near_duplicates(rows, ROW).where("n_shingles > 0")
+    sizes = groups.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+    members = saved(groups.join(sizes, "component_id").select("component_id", ROW), "members")
+    repeated = members.groupBy(ROW).agg(F.count("*").alias("n")).where("n > 1").select(ROW)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", ROW)
+    first = members.distinct().join(rows.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(F.min(order).alias("first"))
+    kept = without(rows, members.join(first, "component_id").where(F.col(ROW) != F.col(f"first.{ROW}")))
+    repeated = saved(repeated, "repeated")
+    once = kept.join(repeated, ROW, "left_semi").dropDuplicates([ROW])
+    return without(kept, repeated).unionByName(once.select(kept.columns)).drop(ROW)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: documents that hold a benchmark item go."""
-    return without(docs, decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    rows = numbered(docs)
+    return without(rows, decontaminate.leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), ROW)).drop(ROW)
 
 
 def private_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,3 +19,32 @@ def test_stages_keep_columns_and_decide(spark):
     mixed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert mixed.count() == kept
     assert docs.select("doc_id").distinct().count() == kept
+
+
+def test_stages_with_nulls_and_repeats(spark, tmp_path):
+    """Null and repeated ids are judged by their texts; rows that are repeated stay once, empty ones as they are."""
+    import numpy as np
+    from gleaner.llm import stages
+
+    rng = np.random.default_rng(3)
+    words = "the and house with that river under green stone small table window".split()
+    say = lambda n: " ".join(str(w) for w in rng.choice(words, n))
+    item = " ".join(f"{w}{i}" for i, w in enumerate(rng.choice(words, 30)))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, component_id long, host string, row long"
+    a, b, c = say(60), say(60), say(60)
+    leak = f"{say(30)} {item} {say(30)}"
+    row = lambda i, t, source="s": (i, t, "en", source, len(t) if t else None, 1, "h", 2)
+    rows = [row(1, a), row(2, a), row(3, b), row(3, b), row(3, c), row(None, a), row(None, say(70)), row(None, leak), row(8, leak), row(9, ""), row(9, ""), row(10, None, None), row(11, "7" * 500_000)]
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    kept = stages.one_of_each(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr)
+    assert got == sorted([(1, a), (3, b), (3, c), (None, rows[6][1]), (8, leak), (9, ""), (9, ""), (10, None), (11, "7" * 500_000)], key=repr)
+    clean = stages.decontaminated(spark, docs, str(tmp_path))
+    assert sorted(r["doc_id"] or -1 for r in clean.collect()) == [-1, -1, 1, 2, 3, 3, 3, 9, 9, 10, 11]
+    known = stages.known_language(spark, docs, str(tmp_path))
+    assert sorted(r["doc_id"] or -1 for r in known.collect()) == [-1, -1, -1, 1, 2, 3, 3, 3, 8]
+    for stage in (stages.known_language, stages.one_of_each, stages.decontaminated, stages.private_masked):
+        none = stage(spark, docs.where("false"), str(tmp_path))
+        assert none.columns == docs.columns and none.count() == 0
