@@ -41,7 +41,7 @@ def dimensions(rows: DataFrame, has_tables: Column | None = None, has_figures: C
     sentences = F.size(F.filter(F.split(p, "[.!?]+"), lambda s: F.length(F.trim(s)) > 10))
     size = F.when(n.between(100, 200), 15).when(n.between(50, 250), 8).otherwise(0)
     structure = 30 + size + _points((p.rlike(r"(?:^|\n)\s*(?:[-•*]|[0-9]+[.)]) "), 25), (F.lit(False) if has_tables is None else has_tables, 20), (p.rlike(r"\*\*[^*]+\*\*"), 10), (sentences.between(2, 5), 10))
-    edged = lambda x: "(?i)" + x.replace("<b>", _EDGE)
+    edged = lambda x: "(?i)" + x.replace(r"\b", _EDGE)
     figures = _cap(_hits(p, tuple(map(edged, catalog.FIGURES))) * 15, 60) + _points((F.lit(False) if has_figures is None else has_figures, 20), (p.rlike(edged(catalog.COMPARED)), 20))
     names = F.size(F.regexp_extract_all(p, F.lit(text.bounded(r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*")), F.lit(0)))
     unique = _cap(_hits(p, tuple("(?i)" + text.bounded(x) for x in catalog.UNIQUE)) * 20, 70) + _points((p.rlike('"[^"]+"'), 15), (names >= 2, 15))

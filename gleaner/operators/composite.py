@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import catalog
@@ -43,17 +43,28 @@ def category_summary(items: DataFrame) -> DataFrame:
 
 
 def issue_counts(items: DataFrame) -> DataFrame:
-    return items.where("status <> 'pass'").groupBy("site", "severity").agg(F.count("*").alias("issues"))
+    """Errors, warnings and notices of each site, of items that apply and don't pass."""
+    rows = items.where("status NOT IN ('pass', 'not_applicable') AND severity IN ('error', 'warning', 'notice')")
+    return rows.groupBy("site", "severity").agg(F.count("*").alias("issues"))
+
+
+def _looked_up(table: dict[str, str], default: str) -> Column:
+    return F.coalesce(F.create_map(*(F.lit(x) for pair in table.items() for x in pair))[F.col("name")], F.lit(default))
 
 
 def priorities(items: DataFrame, most: int = 5) -> DataFrame:
-    """What would raise the overall score most: items that need work and aren't made automatically."""
-    rows = items.where("status <> 'not_applicable'").withColumn("w", weight_of("category", catalog.CATEGORY_WEIGHTS))
-    total = rows.groupBy("site").agg(F.sum(F.col("max_score") * F.col("w")).alias("whole"))
-    impact = scores.half_up((F.col("max_score") - F.col("score")) * F.col("w") / F.col("whole") * 1000) / 10
-    rows = rows.where((F.col("status") != "pass") & ~F.col("name").isin(*catalog.PROJECTED)).join(total, "site").where("whole > 0").withColumn("impact", impact)
-    order = Window.partitionBy("site").orderBy(F.desc("impact"), "seq")
-    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("site", "place", "name", "impact")
+    """What would raise the overall score most: items that need work and aren't made automatically, with effort and time.
+
+    A site has 68 items at most, so its best ones are found by gathering those, not by a window."""
+    weighed = F.col("max_score") * weight_of("category", catalog.CATEGORY_WEIGHTS)
+    open_ = ~F.col("status").isin("pass", "not_applicable") & (F.col("score") < 100) & ~F.col("name").isin(*catalog.PROJECTED)
+    effort = F.when((F.col("name") == "Meta Descriptions") & (F.col("score") < 50), "hard").otherwise(_looked_up(catalog.EFFORT, "medium"))
+    action = F.struct("seq", "name", "score", ((F.col("max_score") - F.col("score")) * weight_of("category", catalog.CATEGORY_WEIGHTS)).alias("gain"), effort.alias("effort"), _looked_up(catalog.SEARCH_IMPACT, "low").alias("search_impact"), _looked_up(catalog.TIME_TO_IMPACT, "2-6 months").alias("time_to_impact"))
+    sums = items.groupBy("site").agg(F.sum(F.when(F.col("status") != "not_applicable", weighed)).alias("whole"), F.collect_list(F.when(open_, action)).alias("actions"))
+    impact = lambda a: F.when(F.col("whole") > 0, F.floor(a["gain"] / F.col("whole") * 1000 + F.lit(0.5)) / 10).otherwise(0.0)
+    ranked = F.slice(F.array_sort(F.transform("actions", lambda a: F.struct((-impact(a)).alias("order"), a["seq"].alias("seq"), impact(a).alias("impact"), a.alias("a")))), 1, most)
+    rows = sums.select("site", F.posexplode(ranked).alias("place", "r"))
+    return rows.select("site", (F.col("place") + 1).alias("place"), "r.a.name", "r.impact", "r.a.effort", "r.a.search_impact", "r.a.time_to_impact")
 
 
 def projected(items: DataFrame) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import catalog
 from ..functions import scores
+from . import robots
 
 
 def accepted(name: Column, content: Column) -> Column:
@@ -22,67 +25,62 @@ def accepted(name: Column, content: Column) -> Column:
     return F.when(fits, content)
 
 
-def robots_rules(files: DataFrame) -> DataFrame:
-    """``site, line, agent, allow, path`` of every rule of robots.txt, groups folded line by line.
+def column_of(name: str) -> str:
+    """The column that holds a well-known file's text."""
+    return "file_" + name.replace(".", "_").replace("-", "_")
 
-    Agents gather over consecutive ``User-agent`` lines; blank lines and comments keep them, any other line ends the group.
-    """
-    lines = F.transform(F.split(F.col("content"), "\n"), lambda x: F.trim(F.regexp_replace(x, "\r", "")))
-    start = F.struct(F.array().cast("array<string>").alias("agents"), F.array().cast("array<struct<line:int,agent:string,directive:string,path:string>>").alias("rules"), F.lit(0).alias("line"))
 
-    def step(state: Column, line: Column) -> Column:
-        agent = F.regexp_extract(line, r"(?i)^User-agent:\s*(.+)$", 1)
-        directive, path = F.lower(F.regexp_extract(line, r"(?i)^(Allow|Disallow):", 1)), F.regexp_extract(line, r"(?i)^(?:Allow|Disallow):\s*(\S*)\s*$", 1)
-        at = (state["line"] + 1).alias("line")
-        more = F.transform(state["agents"], lambda a: F.struct(state["line"].alias("line"), a.alias("agent"), directive.alias("directive"), path.alias("path")))
-        return (
-            F.when(agent != "", F.struct(F.concat(state["agents"], F.array(F.trim(agent))).alias("agents"), state["rules"].alias("rules"), at))
-            .when((line == "") | line.startswith("#"), F.struct(state["agents"].alias("agents"), state["rules"].alias("rules"), at))
-            .otherwise(F.struct(F.array().cast("array<string>").alias("agents"), F.when(directive != "", F.concat(state["rules"], more)).otherwise(state["rules"]).alias("rules"), at))
-        )
+def texts_of_files(files: DataFrame) -> DataFrame:
+    """``site`` and a column for each well-known file, empty if it is missing; ``robots_closed``, whom robots.txt lets in."""
+    text = lambda name: F.coalesce(F.max(F.when(F.col("name") == name, F.col("content"))), F.lit(""))
+    wide = files.groupBy("site").agg(*(text(n).alias(column_of(n)) for n in catalog.FILES))
+    return wide.withColumn("robots_closed", robots.closed_to(F.col(column_of("robots.txt"))))
 
-    folded = files.where("name = 'robots.txt' AND content <> ''").select("site", F.aggregate(lines, start, step, lambda s: s["rules"]).alias("rules"))
-    return folded.select("site", F.inline("rules")).select("site", "line", "agent", (F.col("directive") == "allow").alias("allow"), "path")
 
+def as_items(rows: DataFrame, made: dict[str, tuple[Column, Column | Callable[[Column], Column]]]) -> DataFrame:
+    """``site, seq, name, category, score, max_score, status, severity``: a row for each item that is made, numbered in their fixed order.
 
-def bot_blocking(files: DataFrame) -> DataFrame:
-    """Crawlers that the whole site is closed to: by name, or by ``*`` without a rule that opens it to them."""
-    rules = robots_rules(files).where("path = '/'")
-    bots = F.array(*map(F.lit, catalog.AI_CRAWLERS))
-    own = F.filter(bots, lambda b: F.lower(b) == F.lower("agent"))
-    named = rules.where("agent <> '*'").select("site", "allow", F.explode(own).alias("bot"))
-    opened = named.where("allow").select("site", "bot").distinct()
-    everyone = rules.where("agent = '*' AND NOT allow").select("site").distinct().select("site", F.explode(bots).alias("bot")).join(opened, ["site", "bot"], "left_anti")
-    blocked = named.where("NOT allow").select("site", "bot").union(everyone).distinct().groupBy("site").agg(F.count("*").alias("blocked"))
-    rows = files.where("name = 'robots.txt'").select("site").distinct().join(blocked, "site", "left").fillna(0, ["blocked"])
-    share = F.col("blocked") / len(catalog.AI_CRAWLERS)
-    return rows.select("site", "blocked", scores.half_up((1 - share) * 100).alias("score"), F.when(F.col("blocked") == 0, "pass").when(share > 0.5, "fail").otherwise("partial").alias("status"))
+    Items are scores and statuses; a status may be a function of the score, which is computed once, in a projection of its own."""
+    order = [name for checks in catalog.CHECKS.values() for name, _ in checks]
+    rows = rows.withColumns({f"_score{seq}": made[name][0].cast("int") for seq, name in enumerate(order) if name in made})
+    cells = []
+    for seq, name in enumerate(order):
+        if name in made:
+            score, status = F.col(f"_score{seq}"), made[name][1]
+            status = status(score) if callable(status) else status
+            # a policy counts as content once there is one
+            category = F.when(score > 0, "content_quality").otherwise("ai_infrastructure") if name.startswith("AI Policy") else F.lit(catalog.CATEGORY[name])
+            cells.append(F.struct(F.lit(seq).alias("seq"), F.lit(name).alias("name"), category.alias("category"), score.alias("score"), F.lit(100).alias("max_score"), status.alias("status"), F.lit(catalog.SEVERITY[name]).alias("own")))
+    out = rows.select("site", F.inline(F.array(*cells)))
+    return out.select("site", "seq", "name", "category", "score", "max_score", "status", F.when(F.col("status").isin("pass", "not_applicable"), "info").otherwise(F.col("own")).alias("severity"))
 
 
-def file_checks(files: DataFrame) -> DataFrame:
-    """``site, seq, name, category, score, max_score, status, severity`` of every check on one file's text; a missing file scores 0."""
-    def text(name: str) -> Column:
-        return F.coalesce(F.max(F.when(F.col("name") == name, F.col("content"))), F.lit(""))
-    names = ("robots.txt", "sitemap.xml", "llms.txt", "llms-full.txt", "ai.txt", "ai.json", "agent-card.json", "agents.json", "security.txt", "tdmrep.json", "manifest.json", "humans.txt")
-    wide = files.groupBy("site").agg(*(text(n).alias(f"f{i}") for i, n in enumerate(names)))
-    c = {n: F.col(f"f{i}") for i, n in enumerate(names)}
-    there = lambda n: (c[n] != "").cast("int")
+def file_items() -> dict[str, tuple[Column, Column]]:
+    """Score and status of every check on files alone, over the columns of :func:`texts_of_files`."""
+    f = lambda name: F.col(column_of(name))
+    there = lambda name: (f(name) != "").cast("int")
+    plain = lambda name: (100 * there(name), F.when(f(name) != "", "pass").otherwise("fail"))
+    major = sum((f("robots.txt").contains(b).cast("int") for b in catalog.MAJOR_CRAWLERS[1:]), f("robots.txt").contains(catalog.MAJOR_CRAWLERS[0]).cast("int"))
+    named = F.when(f("robots.txt") == "", 0).when(major == 0, 30).otherwise(scores.half_up(F.least(F.lit(100.0), 30 + major / 5 * 70)))
+    sitemap = F.when(f("sitemap.xml") == "", 0).otherwise(50 + 25 * f("sitemap.xml").contains("<loc>").cast("int") + 25 * f("sitemap.xml").contains("<lastmod>").cast("int"))
+    marks = [f("llms.txt").rlike(p).cast("int") for p in (r"(?m)^# .+", r"(?m)^> .+", r"(?m)^## .+", r"\[[^\]]+\]\([^)]+\)")]
+    llms = F.when(f("llms.txt") == "", 0).otherwise(40 + 15 * sum(marks[1:], marks[0]))
     both = there("ai.txt") + there("ai.json")
-    major = sum((c["robots.txt"].contains(b).cast("int") for b in ("GPTBot", "ClaudeBot", "Google-Extended", "PerplexityBot")), c["robots.txt"].contains("Applebot-Extended").cast("int"))
-    robots = F.when(c["robots.txt"] == "", 0).when(major == 0, 30).otherwise(F.least(F.lit(100), scores.half_up(30 + major / 5 * 70)))
-    sitemap = F.when(c["sitemap.xml"] == "", 0).otherwise(50 + 25 * c["sitemap.xml"].contains("<loc>").cast("int") + 25 * c["sitemap.xml"].contains("<lastmod>").cast("int"))
-    marks = [c["llms.txt"].rlike(p).cast("int") for p in (r"(?m)^# .+", r"(?m)^> .+", r"(?m)^## .+", r"\[[^\]]+\]\([^)]+\)")]
-    llms = F.when(c["llms.txt"] == "", 0).otherwise(40 + 15 * sum(marks[1:], marks[0]))
-    truthy = lambda json, path: F.coalesce(F.try_variant_get(F.try_parse_json(json), path, "string"), F.lit("")).isin("", "false", "0", "null")
-    card = c["agent-card.json"]
-    agent_card = F.when(card == "", 0).when(F.try_parse_json(card).isNull(), 10).otherwise(30 + sum((p * (~truthy(card, f"$.{k}")).cast("int") for k, p in (("description", 20), ("url", 15), ("capabilities", 15))), 20 * (~truthy(card, "$.name")).cast("int")))
-    items = [
-        ("robots.txt", robots, F.when(c["robots.txt"] == "", "fail").when(major >= 3, "pass").otherwise("partial")), ("sitemap.xml", sitemap, F.when(sitemap >= 75, "pass").when(sitemap > 0, "partial").otherwise("fail")),
-        ("llms.txt", llms, F.when(llms >= 70, "pass").when(llms > 0, "partial").otherwise("fail")), ("llms-full.txt", 100 * there("llms-full.txt"), None), ("AI Policy (ai.txt / ai.json)", 50 * both, F.when(both == 2, "pass").when(both == 1, "partial").otherwise("fail")),
-        ("agent-card.json", agent_card, F.when(agent_card >= 70, "pass").when(agent_card > 10, "partial").otherwise("fail")),
-        *((n, 100 * there(n), None) for n in ("security.txt", "tdmrep.json", "manifest.json", "humans.txt")),
-    ]
-    category = lambda n: F.when(both > 0, "content_quality").otherwise("ai_infrastructure") if n.startswith("AI Policy") else F.lit(catalog.CATEGORY[n])
-    cells = [F.struct(F.lit(i).alias("seq"), F.lit(n).alias("name"), category(n).alias("category"), s.cast("int").alias("score"), (F.when(s >= 100, "pass").otherwise("fail") if st is None else st).alias("status"), F.lit(catalog.SEVERITY[n]).alias("own")) for i, (n, s, st) in enumerate(items)]
-    rows = wide.select("site", F.inline(F.array(*cells)))
-    return rows.select("site", "seq", "name", "category", "score", F.lit(100).alias("max_score"), "status", F.when(F.col("status") == "pass", "info").otherwise(F.col("own")).alias("severity"))
+    true = lambda json, path: (~F.coalesce(F.try_variant_get(json, path, "string"), F.lit("")).isin("", "false", "0", "null")).cast("int")
+    card = F.try_parse_json(f("agent-card.json"))
+    fields = sum((p * true(card, f"$.{k}") for k, p in catalog.AGENT_CARD[1:]), catalog.AGENT_CARD[0][1] * true(card, f"$.{catalog.AGENT_CARD[0][0]}"))
+    agent_card = F.when(f("agent-card.json") == "", 0).when(card.isNull(), 10).otherwise(30 + fields)
+    agents = F.try_parse_json(f("agents.json"))
+    inner = F.coalesce(F.try_variant_get(agents, "$[0]", "variant"), F.try_variant_get(agents, "$.agents[0]", "variant"))
+    said = sum((true(inner, f"$.{k}") for k in ("endpoint", "url")), true(inner, "$.description"))
+    agents_json = F.when(f("agents.json") == "", 0).when(agents.isNull(), 10).otherwise(40 + F.when(inner.isNull(), 0).otherwise(30 + 15 * true(inner, "$.name") + F.when(said > 0, 15).otherwise(0)))
+    return {
+        "robots.txt": (named, F.when(f("robots.txt") == "", "fail").when(major >= 3, "pass").otherwise("partial")), "sitemap.xml": (sitemap, lambda s: scores.partly_if_any(s, 75)), "llms.txt": (llms, lambda s: scores.partly_if_any(s, 70)), "llms-full.txt": plain("llms-full.txt"),
+        "AI Policy (ai.txt / ai.json)": (50 * both, F.when(both == 2, "pass").when(both == 1, "partial").otherwise("fail")), "AI Bot Blocking": robots.blocking_check(f("robots.txt"), F.col("robots_closed")), "Training vs Retrieval Bot Strategy": robots.strategy_check(f("robots.txt"), F.col("robots_closed")), "agent-card.json": (agent_card, lambda s: F.when(s >= 70, "pass").when(s > 10, "partial").otherwise("fail")), "agents.json": (agents_json, lambda s: scores.status(s, 70, 40)),
+        **{n: plain(n) for n in ("security.txt", "tdmrep.json", "manifest.json", "humans.txt")},
+    }
+
+
+def file_checks(files: DataFrame) -> DataFrame:
+    """The items of the checks on files alone; a missing file scores 0."""
+    return as_items(texts_of_files(files), file_items())

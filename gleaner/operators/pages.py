@@ -41,7 +41,7 @@ def page_checks(rows: DataFrame) -> DataFrame:
     s = sums.join(by_title, "site", "left").fillna(0, ["repeated", "in_repeated", "with_title"])
     n, c = F.col("n"), F.col
     less = lambda count: scores.half_up((1 - c(count) / n) * 100)
-    title = scores.half_up(c("titled") * 40 + c("fitting") * 30 + (1 - c("repeated") / n) * 30)
+    title = scores.half_up(c("titled") * 40 + F.when(c("titled") > 0, c("fitting") / c("titled")).otherwise(0.0) * 30 + F.when(n > 1, 1 - c("repeated") / n).otherwise(1.0) * 30)
     distinct = F.when(c("with_title") > 0, scores.half_up((1 - c("in_repeated") / c("with_title")) * 100)).otherwise(100)
     items = [
         ("Title Tags", title, scores.status(title, 70, 40)), ("Duplicate Titles", distinct, scores.few(c("in_repeated"), 2)), ("HTTPS Enforcement", scores.half_up(c("https") * 100), scores.status(c("https"), 1, 0.8)),
@@ -63,16 +63,17 @@ def affected(rows: DataFrame, condition: Column, most: int = 20) -> DataFrame:
 def link_edges(pages: DataFrame) -> DataFrame:
     """``site, page_id, url, place, target, internal``: a row for each distinct link of a page."""
     rows = pages.select("page_id", "url", urls.domain_of(F.col("url")).alias("site"), F.posexplode(markup.links(F.coalesce("html", F.lit("")))).alias("place", "href"))
-    target = urls.resolve(F.col("href"), F.col("url"))
-    return rows.select("site", "page_id", "url", "place", target.alias("target"), (urls.domain_of(target) == F.col("site")).alias("internal"))
+    rows = urls.resolved(rows, F.col("href"), F.col("url"), "target")
+    return rows.select("site", "page_id", "url", "place", "target", (urls.domain_of(F.col("target")) == F.col("site")).alias("internal"))
 
 
 def internal_linking(pages: DataFrame) -> DataFrame:
     """Links and orphans of each site. Links and pages meet on the whole address; only counted targets are joined."""
-    each = pages.select(urls.domain_of(F.col("url")).alias("site"), "url", urls.path_of(F.col("url")).alias("path"), F.size(F.filter(markup.links(F.coalesce("html", F.lit(""))), lambda h: ~h.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"))).alias("n_links"))
-    linked = link_edges(pages).where("internal").groupBy("site", "target").agg(F.count("*").alias("inbound"))
-    found = each.select("site", "url", "path").distinct().join(linked, (each["site"] == linked["site"]) & (each["url"] == linked["target"]), "left_anti").where("path <> '/'")
-    sums = each.groupBy("site").agg(F.count("*").alias("pages"), F.sum("n_links").alias("links")).join(found.groupBy("site").agg(F.count("*").alias("orphans")), "site", "left").fillna(0, ["orphans"])
+    each = pages.select(urls.domain_of(F.col("url")).alias("site"), "url", urls.path_of(F.col("url")).alias("path"))
+    edges = link_edges(pages).where("internal").groupBy("site", "page_id", "target").agg(F.count("*").alias("times"))  # a target once a page
+    linked = edges.groupBy("site", "target").agg(F.count("*").alias("inbound"))
+    found = each.select("site", "url", "path").distinct().join(linked.select("site", F.col("target").alias("url")), ["site", "url"], "left_anti").where("path <> '/'")
+    sums = each.groupBy("site").agg(F.count("*").alias("pages")).join(linked.groupBy("site").agg(F.sum("inbound").alias("links")), "site", "left").join(found.groupBy("site").agg(F.count("*").alias("orphans")), "site", "left").fillna(0, ["links", "orphans"])
     mean = F.col("links") / F.col("pages")
     link = F.when(mean >= 5, 50).otherwise(scores.half_up(mean / 5 * 50))
     orphan = scores.half_up((1 - F.when(F.col("pages") > 1, F.col("orphans") / (F.col("pages") - 1)).otherwise(0.0)) * 50)
@@ -92,10 +93,8 @@ def sitemap_entries(pages: DataFrame) -> DataFrame:
 
 
 def upper_median(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """Of an even number the upper one, found by rank and not by gathering a site's values."""
-    order = Window.partitionBy(key).orderBy(value)
-    ranked = rows.select(key, value, F.row_number().over(order).alias("r"), F.count("*").over(Window.partitionBy(key)).alias("n"))
-    return ranked.where(F.col("r") == F.floor(F.col("n") / 2) + 1).select(key, F.col("n").alias("pages"), F.col(value).alias("median"))
+    """Of an even number the upper one: an aggregate of how often each value occurs, combined before the shuffle."""
+    return rows.groupBy(key).agg(F.count("*").alias("pages"), F.expr(f"percentile_disc(0.5000000001) WITHIN GROUP (ORDER BY {value})").alias("median"))
 
 
 def modal(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:

@@ -18,7 +18,7 @@ def _there(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit("")) != ""
 
 
-def _ordered(levels: Column) -> Column:
+def ordered(levels: Column) -> Column:
     """One first-level heading, and no level left out on the way down."""
     one = F.size(F.filter(levels, lambda x: x == 1)) == 1
     following = F.slice(levels, 2, F.greatest(F.size(levels) - 1, F.lit(0)))
@@ -33,7 +33,7 @@ def record_checks(pages: DataFrame) -> DataFrame:
     told = F.length(description) >= 20
     sums = pages.groupBy("site").agg(
         n.alias("n"), F.count_if(F.col("words") < 300).alias("thin"), F.count_if(F.col("words") > 500).alias("deep"), F.count_if((F.col("words") > 500) & (F.size("levels") >= 3)).alias("built"),
-        F.count_if(headed).alias("headed"), F.count_if(headed & _ordered(F.col("levels"))).alias("ordered"), F.count_if(F.length(F.coalesce("description", F.lit(""))) >= 30).alias("described"),
+        F.count_if(headed).alias("headed"), F.count_if(headed & ordered(F.col("levels"))).alias("ordered"), F.count_if(F.length(F.coalesce("description", F.lit(""))) >= 30).alias("described"),
         F.count_if(F.coalesce("encoding", F.lit("")).rlike("gzip|br|deflate")).alias("packed"), F.count_if(_there("og_title") & _there("og_description")).alias("og"),
         F.sum(_there("tw_card").cast("int") + _there("tw_title").cast("int") + _there("tw_description").cast("int")).alias("tw"), F.count_if(content).alias("content"), F.count_if(content & _there("author")).alias("authored"), F.count_if(content & _there("author_bio")).alias("bios"),
         F.sum("images").alias("images"), F.sum("images_alt").alias("alts"), F.count_if(_there("viewport")).alias("fitted"), F.count_if((F.col("status") < 200) | (F.col("status") >= 400)).alias("broken"),

@@ -46,8 +46,8 @@ def machine_style(docs: DataFrame, *keep: str, separator: str = r"\n\s*\n") -> D
     return rows.withColumn("style_score", F.when(F.col("words") < 100, 0).otherwise(F.least(F.lit(100), score)))
 
 
-def machine_style_check(docs: DataFrame, site: str) -> DataFrame:
-    rows = machine_style(docs, site).where("words >= 100")
+def machine_style_check(docs: DataFrame, site: str, separator: str = r"\n\s*\n") -> DataFrame:
+    rows = machine_style(docs, site, separator=separator).where("words >= 100")
     return rows.groupBy(site).agg(F.count("*").alias("pages"), scores.half_up(F.avg("style_score")).alias("average_score"), F.count_if(F.col("style_score") >= 60).alias("likely_machine"), F.count_if(F.col("style_score") < 30).alias("likely_human"))
 
 

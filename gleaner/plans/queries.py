@@ -9,16 +9,14 @@ from pyspark.sql import functions as F
 
 from .. import catalog
 from ..functions import markup, scores, text, urls
-from ..operators import citability, composite, files, history, pages, records, texts, visibility
+from ..operators import citability, composite, history, pages, records, texts, visibility
 from ..sources.tables import table
+from . import rich
+from .sql import NOT_WS, WS, grade_sql, half_up_sql, quoted, status_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-WS = r"[\s\x0B\x{00A0}\x{FEFF}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-NOT_WS = "[^" + WS[1:]
-
-
 def query(sql: str):
     def add(f):
         QUERIES[f.__name__] = f
@@ -28,18 +26,6 @@ def query(sql: str):
     return add
 
 
-def quoted(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
-def status_sql(x: str, a: float, b: float) -> str:
-    return f"CASE WHEN {x} >= {a} THEN 'pass' WHEN {x} >= {b} THEN 'partial' ELSE 'fail' END"
-
-
-def half_up_sql(x: str) -> str:
-    return f"CAST(floor({x} + 0.5) AS INTEGER)"
-
-
 # --- texts
 
 _WORDS = f"list_filter(regexp_split_to_array(coalesce(text, ''), '{WS}+'), lambda w: w <> '')"
@@ -88,9 +74,9 @@ def machine_style_page(spark, sf_dir):
     return texts.machine_style(table(spark, sf_dir, "documents"), "doc_id", separator="\n").select("doc_id", "words", "uniformity", "personal", "style_score")
 
 
-@query(f"WITH {_STYLE.replace(chr(92) + 'n', '<none>')} SELECT lang, count(*) AS pages, {half_up_sql('avg(score)')} AS average_score, count_if(score >= 60)::BIGINT AS likely_machine, count_if(score < 30)::BIGINT AS likely_human FROM s WHERE words >= 100 GROUP BY lang")
+@query(f"WITH {_STYLE} SELECT lang, count(*) AS pages, {half_up_sql('avg(score)')} AS average_score, count_if(score >= 60)::BIGINT AS likely_machine, count_if(score < 30)::BIGINT AS likely_human FROM s WHERE words >= 100 GROUP BY lang")
 def machine_style_site(spark, sf_dir):
-    return texts.machine_style_check(table(spark, sf_dir, "documents"), "lang")
+    return texts.machine_style_check(table(spark, sf_dir, "documents"), "lang", separator="\n")
 
 
 @query(f"""WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\\n'), lambda p: regexp_replace(p, '^{WS}+|{WS}+$', '', 'g')), lambda p: len(regexp_split_to_array(p, '{WS}+')) BETWEEN 15 AND 300) AS l FROM documents)
@@ -130,7 +116,7 @@ g2 AS (SELECT *, f <> '' AND len(regexp_split_to_array(f, '{WS}+')) BETWEEN 5 AN
 g3 AS (SELECT doc_id, lang, place, n, least(100, least(40, 15 * ({_MATCH('p', _DEF)})) + CASE WHEN sh THEN 15 ELSE 0 END + CASE WHEN sh AND ({_MATCH('f', _DEF)}) > 0 THEN 15 ELSE 0 END + CASE WHEN ({_MATCH('ld', _DEF)}) > 0 THEN 10 ELSE 0 END) AS answer,
  greatest(0, least(100, 100 - 30 * regexp_matches(p, {quoted('(?i)^' + chr(92) + 's*(?:' + catalog.DEPENDENT + ')' + chr(92) + 'b')})::INTEGER - 15 * regexp_matches(p, '(?i)^\\s*(?:it|this|that|these|those|they|he|she)\\s')::INTEGER - CASE WHEN n < 25 THEN 15 ELSE 0 END - 20 * (NOT regexp_matches(p, '[.!?]'))::INTEGER - 10 * (NOT regexp_matches(p, '[.!?:]\\s*$'))::INTEGER + 10 * regexp_matches(p, '[:;]')::INTEGER)) AS self_contained,
  least(100, 30 + CASE WHEN n BETWEEN 100 AND 200 THEN 15 WHEN n BETWEEN 50 AND 250 THEN 8 ELSE 0 END + 25 * regexp_matches(p, '(?:^|\\n)\\s*(?:[-•*]|[0-9]+[.)]) ')::INTEGER + 10 * regexp_matches(p, '\\*\\*[^*]+\\*\\*')::INTEGER + CASE WHEN se BETWEEN 2 AND 5 THEN 10 ELSE 0 END) AS structure,
- least(100, least(60, 15 * ({_MATCH('p', tuple(p.replace('<b>', chr(92) + 'b') for p in catalog.FIGURES))})) + 20 * ({_MATCH('p', (catalog.COMPARED.replace('<b>', chr(92) + 'b'),))})) AS figures,
+ least(100, least(60, 15 * ({_MATCH('p', catalog.FIGURES)})) + 20 * ({_MATCH('p', (catalog.COMPARED,))})) AS figures,
  least(100, least(70, 20 * ({_MATCH('p', tuple(chr(92) + 'b(?:' + p + ')' + chr(92) + 'b' for p in catalog.UNIQUE))})) + 15 * regexp_matches(p, '"[^"]+"')::INTEGER + CASE WHEN len(regexp_extract_all(p, '\\b[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*\\b')) >= 2 THEN 15 ELSE 0 END) AS "unique" FROM g2),
 g AS (SELECT *, {half_up_sql('(answer * 30 + self_contained * 25 + structure * 20 + figures * 15 + "unique" * 10) / 100')} AS overall FROM g3)"""
 
@@ -186,7 +172,7 @@ def _items_sql() -> str:
     few = lambda x, n: f"CASE WHEN {x} = 0 THEN 'pass' WHEN {x} <= {n} THEN 'partial' ELSE 'fail' END"
     less = lambda x: half_up_sql(f"(1 - {x} / n) * 100")
     rows = [
-        ("Title Tags", half_up_sql("titled * 40 + fitting * 30 + (1 - repeated / n) * 30"), None), ("Duplicate Titles", f"CASE WHEN with_title > 0 THEN {half_up_sql('(1 - in_repeated / with_title) * 100')} ELSE 100 END", few("in_repeated", 2)),
+        ("Title Tags", half_up_sql("titled * 40 + CASE WHEN titled > 0 THEN fitting / titled ELSE 0.0 END * 30 + CASE WHEN n > 1 THEN 1 - repeated / n ELSE 1.0 END * 30"), None), ("Duplicate Titles", f"CASE WHEN with_title > 0 THEN {half_up_sql('(1 - in_repeated / with_title) * 100')} ELSE 100 END", few("in_repeated", 2)),
         ("HTTPS Enforcement", half_up_sql("https * 100"), status_sql("https", 1, 0.8)), ("Missing H1 Heading", half_up_sql("h1 * 100"), status_sql("h1", 1, 0.9)), ("Character Encoding & Doctype", less("no_charset"), few("no_charset", 2)),
         ("Server-side Rendering", half_up_sql("rendered * 100"), status_sql("rendered", 0.8, 0.5)), ("Semantic HTML Usage", half_up_sql("semantic * 100"), "CASE WHEN semantic >= 0.6 THEN 'pass' WHEN semantic > 0 THEN 'partial' ELSE 'fail' END"),
         ("Text-to-HTML Ratio", less("thin"), few("thin", 3)), ("HTML Page Size", less("big"), few("big", 2)), ("URL Structure Quality", less("odd"), few("odd", 3)), ("Content Too Long for AI", less("long"), few("long", 2)),
@@ -227,21 +213,25 @@ def modal_language(spark, sf_dir):
     return pages.modal(pages.features(table(spark, sf_dir, "pages")), "site", "lang", "page_id")
 
 
-_LINKS = r"""l AS (SELECT page_id, url, """ + _SITE + r""" AS site, list_filter(regexp_extract_all(coalesce(html, ''), '(?i)<a\s[^>]*href="([^"]*)"', 1), lambda h: h <> '' AND NOT regexp_matches(h, '(?i)^(#|mailto:|tel:|javascript:)')) AS h FROM pages),
-e0 AS (SELECT DISTINCT page_id, site, url, h1 AS href FROM (SELECT page_id, site, url, unnest(h) AS h1 FROM l)),
-e1 AS (SELECT *, regexp_replace(CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN starts_with(href, '/') THEN concat(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1), href) ELSE concat(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1), '/', href) END, '#.*$', '') AS target FROM e0),
-e AS (SELECT page_id, site, url, target, """ + _SITE.replace("url", "target") + """ = site AS internal FROM e1)"""
+_ORIGIN = "regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
+_SENT = lambda x: f"array_to_string(list_transform(string_split({x}, ''), lambda k: CASE WHEN regexp_matches(k, '[^\\x21-\\x7e]') THEN url_encode(k) ELSE k END), '')"
+_LINKS = rf"""l AS (SELECT page_id, url, {_SITE} AS site, {_PATH} AS path, list_filter(regexp_extract_all(coalesce(html, ''), '(?i)<a\s[^>]*href="([^"]*)"', 1), lambda h: h <> '' AND NOT regexp_matches(h, '(?i)^(#|mailto:|tel:|javascript:)')) AS h FROM pages),
+e0 AS (SELECT DISTINCT page_id, site, url, path, regexp_replace(trim(h1), '#.*$', '') AS href FROM (SELECT page_id, site, url, path, unnest(h) AS h1 FROM l)),
+e1 AS (SELECT *, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN concat(regexp_extract(url, '^[^:]*:'), href) WHEN starts_with(href, '/') THEN concat({_ORIGIN}, href) ELSE concat({_ORIGIN}, regexp_replace(path, '[^/]*$', ''), href) END AS whole FROM e0),
+e2 AS (SELECT DISTINCT page_id, site, url, CASE WHEN ends_with(whole, '/') AND length(whole) - length(replace(whole, '/', '')) > 3 THEN regexp_replace({_SENT('whole')}, '/$', '') ELSE {_SENT('whole')} END AS target FROM e1),
+e AS (SELECT page_id, site, url, target, """ + _SITE.replace("url", "target") + """ = site AS internal FROM e2)"""
 
 
 @query(f"WITH {_LINKS} SELECT page_id, target, internal FROM e")
 def links_explode(spark, sf_dir):
-    return pages.link_edges(table(spark, sf_dir, "pages")).select("page_id", "target", "internal")
+    return pages.link_edges(table(spark, sf_dir, "pages")).select("page_id", "target", "internal").distinct()
 
 
 @query(f"""WITH {_LINKS}, a AS (SELECT page_id, {_SITE} AS site, url, {_PATH} AS path FROM pages), o AS (SELECT site, count(*) AS orphans FROM (SELECT DISTINCT site, url FROM a WHERE path <> '/' AND NOT EXISTS (SELECT 1 FROM e WHERE e.internal AND e.site = a.site AND e.target = a.url)) GROUP BY site),
-n AS (SELECT page_id, count(*) AS k FROM e0 WHERE NOT regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') GROUP BY page_id), s AS (SELECT site, count(*) AS pages, sum(coalesce(k, 0))::BIGINT AS links FROM a LEFT JOIN n USING (page_id) GROUP BY site),
-r AS (SELECT site, pages, links, coalesce(orphans, 0) AS orphans, least(100, CASE WHEN links / pages >= 5 THEN 50 ELSE {half_up_sql('links / pages / 5 * 50')} END + {half_up_sql('(1 - CASE WHEN pages > 1 THEN coalesce(orphans, 0) / (pages - 1) ELSE 0.0 END) * 50')}) AS score FROM s LEFT JOIN o USING (site))
-SELECT site, pages, links, orphans, score, {status_sql('score', 70, 40)} AS status FROM r""")
+k AS (SELECT site, count(*) AS links FROM e WHERE internal GROUP BY site), s AS (SELECT site, count(*) AS pages FROM a GROUP BY site),
+r AS (SELECT site, pages, coalesce(links, 0) AS links, coalesce(orphans, 0) AS orphans FROM s LEFT JOIN o USING (site) LEFT JOIN k USING (site)),
+q AS (SELECT *, least(100, CASE WHEN links / pages >= 5 THEN 50 ELSE {half_up_sql('links / pages / 5 * 50')} END + {half_up_sql('(1 - CASE WHEN pages > 1 THEN orphans / (pages - 1) ELSE 0.0 END) * 50')}) AS score FROM r)
+SELECT site, pages, links, orphans, score, {status_sql('score', 70, 40)} AS status FROM q""")
 def internal_linking(spark, sf_dir):
     return pages.internal_linking(table(spark, sf_dir, "pages"))
 
@@ -258,7 +248,7 @@ def sitemap_rows(spark, sf_dir):
 # --- composites, over the items of page checks
 
 _W = "CASE category " + " ".join(f"WHEN {quoted(c)} THEN {int(2 * w)}" for c, w in catalog.CATEGORY_WEIGHTS.items()) + " END"
-_GRADE = lambda x: f"CASE WHEN {x} >= 90 THEN 'A+' WHEN {x} >= 80 THEN 'A' WHEN {x} >= 70 THEN 'B' WHEN {x} >= 60 THEN 'C' WHEN {x} >= 50 THEN 'D' ELSE 'F' END"
+_GRADE = grade_sql
 _OVERALL = half_up_sql(f"sum(score * {_W}) / sum(max_score * {_W}) * 100")
 
 
@@ -272,124 +262,31 @@ def category_summary(spark, sf_dir):
     return composite.category_summary(_items(spark, sf_dir))
 
 
-@query(f"WITH {_ITEMS} SELECT site, severity, count(*) AS issues FROM items WHERE status <> 'pass' GROUP BY site, severity")
+@query(f"WITH {_ITEMS} SELECT site, severity, count(*) AS issues FROM items WHERE status <> 'pass' AND severity <> 'info' GROUP BY site, severity")
 def issue_counts(spark, sf_dir):
     return composite.issue_counts(_items(spark, sf_dir))
 
 
 @query(f"""WITH {_ITEMS}, wi AS (SELECT *, {_W} AS w FROM items), wt AS (SELECT site, sum(max_score * w) AS whole FROM wi GROUP BY site),
-r AS (SELECT site, name, seq, floor((max_score - score) * w / whole * 1000 + 0.5) / 10 AS impact FROM wi JOIN wt USING (site) WHERE status <> 'pass' AND name NOT IN ({', '.join(map(quoted, catalog.PROJECTED))})),
+r AS (SELECT site, name, seq, floor((max_score - score) * w / whole * 1000 + 0.5) / 10 AS impact FROM wi JOIN wt USING (site) WHERE status <> 'pass' AND score < 100 AND name NOT IN ({', '.join(map(quoted, catalog.PROJECTED))})),
 n AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY impact DESC, seq)::INTEGER AS place FROM r) SELECT site, place, name, impact FROM n WHERE place <= 5""")
 def priority_top5(spark, sf_dir):
-    return composite.priorities(_items(spark, sf_dir))
+    return composite.priorities(_items(spark, sf_dir)).select("site", "place", "name", "impact")
 
 
 _LATER = "CASE WHEN seq % 3 = 0 THEN 100 WHEN seq % 3 = 1 THEN score ELSE greatest(0, score - 10) END"
 
 
-@query(f"""WITH {_ITEMS}, b AS (SELECT site, name, score, status FROM items WHERE seq <> 4), a AS (SELECT site, name, {_LATER} AS score, CASE WHEN seq % 3 = 0 THEN 'pass' ELSE status END AS status FROM items WHERE seq <> 5),
+@query(f"""WITH {_ITEMS}, m AS MATERIALIZED (SELECT * FROM items), b AS (SELECT site, name, score, status FROM m WHERE seq <> 4), a AS (SELECT site, name, {_LATER} AS score, CASE WHEN seq % 3 = 0 THEN 'pass' ELSE status END AS status FROM m WHERE seq <> 5),
 d AS (SELECT site, name, b.score AS x, a.score AS y, b.status AS was, a.status AS now FROM b FULL JOIN a USING (site, name))
 SELECT site, name, coalesce(x, 0) AS before, coalesce(y, 0) AS after, coalesce(was, 'n/a') AS was, coalesce(now, 'n/a') AS now, CASE WHEN was IS NULL THEN CASE WHEN now <> 'pass' THEN 'new_issue' ELSE 'unchanged' END WHEN now IS NULL THEN 'unchanged'
  WHEN was <> 'pass' AND now = 'pass' THEN 'resolved' WHEN was = 'pass' AND now <> 'pass' THEN 'new_issue' WHEN coalesce(y, 0) > coalesce(x, 0) THEN 'improved' WHEN coalesce(y, 0) < coalesce(x, 0) THEN 'regressed' ELSE 'unchanged' END AS bucket FROM d""")
 def scan_diff(spark, sf_dir):
-    items = _items(spark, sf_dir)
+    items = _items(spark, sf_dir).persist()  # both audits read it
     after = items.where("seq <> 5").withColumns({"score": F.expr(_LATER), "status": F.expr("CASE WHEN seq % 3 = 0 THEN 'pass' ELSE status END")})
     return composite.diff(items.where("seq <> 4"), after)
 
 
-# --- well-known files, from rows on both sides
-
-FILES = (
-    ("open.example", "robots.txt", "User-agent: *\nAllow: /\n"),
-    ("closed.example", "robots.txt", "User-agent: GPTBot\nUser-agent: ClaudeBot\n# both\n\nDisallow: /\nUser-agent: CCBot\nAllow: /"),
-    ("star.example", "robots.txt", "User-agent: *\nDisallow: /\nUser-agent: GPTBot\nAllow: /\nUser-agent: PerplexityBot\nAllow: /"),
-    ("open.example", "sitemap.xml", "<urlset><url><loc>https://open.example/</loc><lastmod>2024-01-01</lastmod></url></urlset>"),
-    ("closed.example", "sitemap.xml", "<urlset><url><loc>https://closed.example/</loc></url></urlset>"),
-    ("open.example", "llms.txt", "# Open\n> An example\n## Pages\n[Home](https://open.example/)"),
-    ("closed.example", "llms.txt", "# Closed"),
-    ("open.example", "ai.txt", "allow"),
-    ("star.example", "ai.txt", "allow"),
-    ("star.example", "ai.json", "{}"),
-    ("open.example", "agent-card.json", '{"name": "x", "description": "y", "url": "", "capabilities": {"a": 1}}'),
-    ("closed.example", "agent-card.json", "{broken"),
-    ("open.example", "humans.txt", "us"),
-)
-_FILES = "files(site, name, content) AS (VALUES " + ", ".join(f"({', '.join(map(quoted, row))})" for row in FILES) + ")"
-_CARD = " + ".join(f"CASE WHEN coalesce(json_extract_string(card, '$.{k}'), '') NOT IN ('', 'false', '0', 'null') THEN {p} ELSE 0 END" for k, p in (("name", 20), ("description", 20), ("url", 15), ("capabilities", 15)))
-
-
-def _fixture(spark) -> DataFrame:
-    return spark.createDataFrame(FILES, "site string, name string, content string")
-
-
-def _files_sql() -> str:
-    f = lambda n: f"coalesce(max(content) FILTER (WHERE name = {quoted(n)}), '')"
-    there = lambda c: f"CASE WHEN {c} <> '' THEN 100 ELSE 0 END"
-    major = " + ".join(f"contains(robots, {quoted(b)})::INTEGER" for b in ("GPTBot", "ClaudeBot", "Google-Extended", "PerplexityBot", "Applebot-Extended"))
-    wide = f"w AS (SELECT site, {f('robots.txt')} AS robots, {f('sitemap.xml')} AS sitemap, {f('llms.txt')} AS llms, {f('llms-full.txt')} AS llms_full, {f('ai.txt')} AS ai_txt, {f('ai.json')} AS ai_json, {f('agent-card.json')} AS card, {f('security.txt')} AS security, {f('tdmrep.json')} AS tdmrep, {f('manifest.json')} AS manifest, {f('humans.txt')} AS humans FROM files GROUP BY site), v AS (SELECT *, {major} AS major, (ai_txt <> '')::INTEGER + (ai_json <> '')::INTEGER AS pair FROM w)"
-    rows = [
-        ("robots.txt", f"CASE WHEN robots = '' THEN 0 WHEN major = 0 THEN 30 ELSE least(100, {half_up_sql('30 + major / 5 * 70')}) END", "CASE WHEN robots = '' THEN 'fail' WHEN major >= 3 THEN 'pass' ELSE 'partial' END"),
-        ("sitemap.xml", "CASE WHEN sitemap = '' THEN 0 ELSE 50 + 25 * contains(sitemap, '<loc>')::INTEGER + 25 * contains(sitemap, '<lastmod>')::INTEGER END", 75),
-        ("llms.txt", r"CASE WHEN llms = '' THEN 0 ELSE 40 + 15 * (regexp_matches(llms, '(?m)^# .+')::INTEGER + regexp_matches(llms, '(?m)^> .+')::INTEGER + regexp_matches(llms, '(?m)^## .+')::INTEGER + regexp_matches(llms, '\[[^\]]+\]\([^)]+\)')::INTEGER) END", 70),
-        ("llms-full.txt", there("llms_full"), None), ("AI Policy (ai.txt / ai.json)", "50 * pair", "CASE pair WHEN 2 THEN 'pass' WHEN 1 THEN 'partial' ELSE 'fail' END"),
-        ("agent-card.json", f"CASE WHEN card = '' THEN 0 WHEN NOT json_valid(card) THEN 10 ELSE 30 + {_CARD} END", "card"), ("security.txt", there("security"), None), ("tdmrep.json", there("tdmrep"), None), ("manifest.json", there("manifest"), None), ("humans.txt", there("humans"), None),
-    ]
-    def status(s, st):
-        if st is None:
-            return f"CASE WHEN {s} >= 100 THEN 'pass' ELSE 'fail' END"
-        if st == "card":
-            return f"CASE WHEN {s} >= 70 THEN 'pass' WHEN {s} > 10 THEN 'partial' ELSE 'fail' END"
-        return st if isinstance(st, str) else f"CASE WHEN {s} >= {st} THEN 'pass' WHEN {s} > 0 THEN 'partial' ELSE 'fail' END"
-    category = lambda n: "CASE WHEN pair > 0 THEN 'content_quality' ELSE 'ai_infrastructure' END" if n.startswith("AI Policy") else quoted(catalog.CATEGORY[n])
-    one = [f"SELECT site, {i} AS seq, {quoted(n)} AS name, {category(n)} AS category, ({s})::INTEGER AS score, {status(f'({s})', st)} AS status, {quoted(catalog.SEVERITY[n])} AS own FROM v" for i, (n, s, st) in enumerate(rows)]
-    return f"{_FILES}, {wide}, fi AS ({' UNION ALL '.join(one)}), items AS (SELECT site, seq, name, category, score, 100 AS max_score, status, CASE WHEN status = 'pass' THEN 'info' ELSE own END AS severity FROM fi)"
-
-
-_FILE_ITEMS = _files_sql()
-
-
-@query(f"WITH {_FILE_ITEMS} SELECT * FROM items")
-def file_checks(spark, sf_dir):
-    return files.file_checks(_fixture(spark))
-
-
-_BOTS = "[" + ", ".join(map(quoted, catalog.AI_CRAWLERS)) + "]"
-
-
-@query("SELECT * FROM (VALUES ('open.example', 0::BIGINT, 100, 'pass'), ('closed.example', 2::BIGINT, 85, 'partial'), ('star.example', 11::BIGINT, 15, 'fail')) AS t(site, blocked, score, status)")
-def bot_blocking(spark, sf_dir):
-    return files.bot_blocking(_fixture(spark))
-
-
-@query("""SELECT * FROM (VALUES ('open.example', 1, '*', true, '/'), ('closed.example', 4, 'GPTBot', false, '/'), ('closed.example', 4, 'ClaudeBot', false, '/'), ('closed.example', 6, 'CCBot', true, '/'),
-('star.example', 1, '*', false, '/'), ('star.example', 3, 'GPTBot', true, '/'), ('star.example', 5, 'PerplexityBot', true, '/')) AS t(site, line, agent, allow, path)""")
-def robots_parse(spark, sf_dir):
-    return files.robots_rules(_fixture(spark))
-
-
-def _weighted_sql(weights: dict[str, float], name: str) -> str:
-    w = "CASE name " + " ".join(f"WHEN {quoted(n)} THEN {int(2 * x)}" for n, x in weights.items()) + " ELSE 0 END"
-    return f"WITH {_FILE_ITEMS} SELECT site, CASE WHEN sum(max_score * {w}) > 0 THEN {half_up_sql(f'sum(score * {w}) / sum(max_score * {w}) * 100')} ELSE 0 END AS {name} FROM items GROUP BY site"
-
-
-@query(_weighted_sql(catalog.SEARCH_HEALTH, "search_health"))
-def search_health(spark, sf_dir):
-    return composite.search_health(files.file_checks(_fixture(spark)))
-
-
-@query(_weighted_sql(catalog.SERVICE_SCORE, "service_score"))
-def service_score(spark, sf_dir):
-    return composite.service_score(files.file_checks(_fixture(spark)))
-
-
-_BETTER = "CASE name " + " ".join(f"WHEN {quoted(n)} THEN {x}" for n, x in catalog.PROJECTED.items()) + " END"
-
-
-@query(f"WITH {_FILE_ITEMS}, b AS (SELECT *, {_BETTER} AS better FROM items) SELECT site, name, greatest(score, coalesce(better, score)) AS score, CASE WHEN better IS NOT NULL AND score < better THEN CASE WHEN better >= 70 THEN 'pass' ELSE 'partial' END ELSE status END AS status FROM b")
-def projected_audit(spark, sf_dir):
-    return composite.projected(files.file_checks(_fixture(spark))).select("site", "name", "score", "status")
-
-
 # --- visibility, conversations standing for answers
 
 _DOMAIN, _BRAND = "the", "and"
@@ -556,3 +453,7 @@ def record_checks(spark, sf_dir):
 @query(f"WITH {_RECORD_ITEMS}, o AS (SELECT site, {_OVERALL} AS overall FROM items WHERE status <> 'not_applicable' GROUP BY site) SELECT site, overall, {_GRADE('overall')} AS grade FROM o")
 def record_overall_score(spark, sf_dir):
     return composite.overall(records.record_checks(_records(spark, sf_dir)))
+
+
+QUERIES |= rich.QUERIES
+ORACLE_SQL |= rich.ORACLE_SQL

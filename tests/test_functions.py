@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.functions import scores, text, urls
-from gleaner.operators import composite, files, history, visibility
+from gleaner.functions import addresses, dom, scores, text, urls
+from gleaner.operators import composite, extract, files, history, robots, visibility
 
 
 def one(spark, column, **values):
@@ -46,7 +46,26 @@ def test_accepted_files(spark):
 
 
 def test_bots_without_robots(spark):
-    assert files.bot_blocking(spark.createDataFrame([("a", "llms.txt", "x")], "site string, name string, content string")).count() == 0
+    row = robots.bot_blocking(spark.createDataFrame([("a", "llms.txt", "x")], "site string, name string, content string")).first()
+    assert (row["blocked"], row["score"], row["status"], row["strategy_status"]) == (0, 100, "pass", "not_applicable")
+
+
+def test_robots_rules_of_one_group(spark):
+    files_ = spark.createDataFrame([("a", "robots.txt", "User-agent: GPTBot\nDisallow: /admin\nDisallow: /\nUser-agent: x\nDisallow:")], "site string, name string, content string")
+    assert sorted((r["agent"], r["path"]) for r in robots.robots_rules(files_).collect()) == [("gptbot", "/"), ("gptbot", "/admin")]
+
+
+@pytest.mark.parametrize(
+    "href,page,target",
+    [
+        ("page.html", "https://x.example/a/b", "https://x.example/a/page.html"), ("//y.example/z/", "http://x.example/", "http://y.example/z"), ("../c/./d/", "https://x.example/a/b/e", "https://x.example/a/c/d"), ("/é b?q=ä#f", "https://x.example/a", "https://x.example/%C3%A9%20b?q=%C3%A4"),
+        ("https://X.example", "https://y.example/a", "https://x.example/"), ("?q=1", "https://x.example/a", "https://x.example/a?q=1"), ("../../..", "https://x.example/a/b", "https://x.example/"), ("", "https://x.example/a#b", "https://x.example/a"),
+    ],
+)
+def test_resolved(spark, href, page, target):
+    rows = spark.createDataFrame([(href, page)], "h string, p string")
+    assert urls.resolved(rows, F.col("h"), F.col("p"), "to").first()["to"] == target
+    assert addresses.normalize(href, page) == target
 
 
 def test_diff_buckets(spark):
@@ -73,3 +92,20 @@ def test_upsert(spark):
     a = spark.createDataFrame([(1, "x", 1), (2, "y", 1)], "k int, v string, t int")
     b = spark.createDataFrame([(2, "z", 1), (3, "w", 2)], "k int, v string, t int")
     assert sorted(map(tuple, history.upsert(a, b, "k", "t").select("k", "v", "t").collect())) == [(1, "x", 1), (2, "z", 1), (3, "w", 2)]
+
+
+def test_tree_closes_what_browsers_close():
+    root = dom.parse("<ul><li>a<li>b<ul><li>c</ul></ul><p>d<p>e<div>f</div><table><tr><td>1<td>2<tr><td>3</table></b><br>g")
+    assert [n.text() for n in root.all("li")] == ["a", "bc", "c"] and [n.text() for n in root.all("p")] == ["d", "e"]
+    assert [[c.text() for c in r.all("td")] for r in root.all("tr")] == [["1", "2"], ["3"]] and root.text().endswith("g")
+
+
+@pytest.mark.parametrize("html", ["", None, "no markup", "<", "<!doctype html>", "<p" * 50, "</div>" * 3, "<script type='application/ld+json'>[1, null, \"x\"]</script>"])
+def test_records_of_odd_pages(html):
+    found = extract.record(html, "https://x.example/")
+    assert set(found) == set(extract.FIELDS) and found["headings"] == [] and found["json_ld"] == []
+
+
+def test_main_within_main_counts_twice():
+    body = extract.record(f"<main><article>{'word ' * 20}</article></main>", "https://x.example/")["body"]
+    assert body.count("word") == 40
