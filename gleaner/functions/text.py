@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 SPACE = r"[\s\x0B\u00A0\uFEFF\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 _TEXT = rf"[^{SPACE[1:]}"
+_BLANKS = " \t\n\x0b\f\r\u00a0\ufeff\u1680" + "".join(chr(x) for x in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def bounded(pattern: str) -> str:
@@ -22,7 +23,7 @@ def words(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(words(text))
+    return F.regexp_count(text, F.lit(f"{_TEXT}+"))
 
 
 def tokens_split(text: Column) -> Column:
@@ -34,6 +35,19 @@ def sentences(text: Column, separator: str = "[.!?]+") -> Column:
     return F.filter(F.split(text, separator), lambda s: s.rlike(_TEXT))
 
 
+def sentence_count(text: Column) -> Column:
+    """How many stretches between full stops and the like have anything but whitespace."""
+    return F.regexp_count(text, F.lit(f"[^.!?{SPACE[1:-1]}][^.!?]*"))
+
+
+def syllable_count(text: Column) -> Column:
+    """The sum of :func:`syllables` over all words, from a few passes over the whole text: groups of vowels, and one for each word
+    that has none once an ``e`` at its end is gone."""
+    letters = F.regexp_replace(F.lower(text), f"[^a-z{SPACE[1:-1]}]+", "")
+    stems = F.regexp_replace(letters, "(?<=[a-z][a-z])e(?![a-z])", "")
+    return F.regexp_count(stems, F.lit("[aeiouy]+")) + word_count(text) - F.regexp_count(stems, F.lit("[aeiouy][a-z]*"))
+
+
 def syllables(word: Column) -> Column:
     letters = F.regexp_replace(F.lower(word), "[^a-z]", "")
     stem = F.regexp_replace(letters, "e$", "")
@@ -48,24 +62,39 @@ def flesch(n_words: Column, n_sentences: Column, n_syllables: Column) -> Column:
 
 def phrase_count(lowered: Column, phrases: tuple[str, ...]) -> Column:
     """Places of each phrase, not overlapping with itself."""
-    one = lambda p: ((F.length(lowered) - F.length(F.replace(lowered, F.lit(p), F.lit("")))) / len(p)).cast("int")
+    found = lambda p: ((F.length(lowered) - F.length(F.replace(lowered, F.lit(p), F.lit("")))) / len(p)).cast("int")
+    one = lambda p: F.when(lowered.contains(p), found(p)).otherwise(0)  # noqa: E731  most texts have few of them
     return sum((one(p) for p in phrases[1:]), one(phrases[0]))
 
 
-def lexical_diversity(text: Column) -> Column:
-    """Different words over all words of three letters or more; 1 under 50 of them."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(bounded("[a-z]{3,}")), F.lit(0))
+def long_words(text: Column) -> Column:
+    """Words of three ASCII letters or more, in lower case."""
+    return F.regexp_extract_all(F.lower(text), F.lit(bounded("[a-z]{3,}")), F.lit(0))
+
+
+def diversity(found: Column) -> Column:
+    """Different words over all of :func:`long_words`; 1 under 50 of them."""
     return F.when(F.size(found) < 50, 1.0).otherwise(F.size(F.array_distinct(found)) / F.size(found))
 
 
 def paragraphs(text: Column, separator: str = r"\n\s*\n") -> Column:
-    return F.transform(F.split(text, separator), lambda p: F.regexp_replace(p, f"^{SPACE}+|{SPACE}+$", ""))
+    return F.transform(F.split(text, separator), lambda p: F.trim(p, F.lit(_BLANKS)))
+
+
+def paragraph_words(parts: Column) -> Column:
+    """How many words each paragraph of more than 20 characters has."""
+    return F.transform(F.filter(parts, lambda p: F.length(p) > 20), word_count)
+
+
+def uniformity(counts: Column) -> Column:
+    """0, 30, 70 or 100 by how alike the word counts of paragraphs are, given as a struct of ``n``, ``s`` and ``q``: how many, their sum
+    and the sum of their squares; 0 under three of them."""
+    mean = counts["s"] / counts["n"]
+    spread = F.sqrt(counts["q"] / counts["n"] - mean * mean) / mean
+    return F.when(counts["n"] < 3, 0).when(spread < 0.2, 100).when(spread < 0.3, 70).when(spread < 0.5, 30).otherwise(0)
 
 
-def uniformity(parts: Column) -> Column:
-    """0, 30, 70 or 100 by how alike the word counts of paragraphs are; 0 under three of them."""
-    counts = F.transform(F.filter(parts, lambda p: F.length(p) > 20), lambda p: tokens_split(p).cast("double"))
-    n = F.size(counts)
-    mean = F.aggregate(counts, F.lit(0.0), lambda s, x: s + x) / n
-    spread = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x) / n - mean * mean) / mean
-    return F.when(n < 3, 0).when(spread < 0.2, 100).when(spread < 0.3, 70).when(spread < 0.5, 30).otherwise(0)
+def moments(counts: Column) -> Column:
+    """The struct that :func:`uniformity` takes, in one fold."""
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
+    return F.aggregate(counts, zero, lambda a, x: F.struct((a["n"] + 1).alias("n"), (a["s"] + x).alias("s"), (a["q"] + x * x.cast("double")).alias("q")))

@@ -70,4 +70,5 @@ def resolved(rows: DataFrame, href: Column, page: Column, to: str) -> DataFrame:
     found = F.concat(of("origin"), _encoded(of("path")), _encoded(of("query")))
     rows = rows.withColumn(step, F.struct(of("whole").alias("whole"), (of("path") == "/").alias("root"), found.alias("found")))
     bare = F.when(of("root"), of("found")).otherwise(F.regexp_replace(of("found"), "/$", ""))
-    return rows.withColumn(to, F.when(of("whole").rlike("(?i)^https?://"), bare).otherwise(of("whole"))).drop(step)
+    # behind a generator, or conditions on the result would be moved below with all of its steps inside
+    return rows.select("*", F.explode(F.array(F.when(of("whole").rlike("(?i)^https?://"), bare).otherwise(of("whole")))).alias(to)).drop(step)

@@ -81,7 +81,7 @@ def page_facts(rows: DataFrame) -> DataFrame:
         "testimonials": matches(c("url").rlike("(?i)testimon|reviews?|feedback"), titled("(?i)testimon|reviews?|feedback|what.*(clients?|customers?).*(say|think)")),
         "methodology": matches(path.rlike("methodology|process|how.?we.?work|our.?approach|our.?method"), titled("(?i)methodology|our process|how we work|our approach")),
         "press": matches(path.rlike("press|media|news|in.?the.?news|coverage"), titled("(?i)press|media|in the news|coverage|featured")),
-        "flesch": text.flesch(c("words"), F.size(text.sentences(body)), F.aggregate(text.words(body), F.lit(0), lambda s, w: s + text.syllables(w))),
+        "flesch": text.flesch(c("words"), text.sentence_count(body), text.syllable_count(body)),
     }
     return rows.withColumns(told)
 

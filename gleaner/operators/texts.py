@@ -14,8 +14,7 @@ from ..functions import scores, text
 def readability(docs: DataFrame, *keep: str) -> DataFrame:
     """``keep``, words, sentences, syllables and reading ease of ``text``."""
     t = F.coalesce("text", F.lit(""))
-    rows = docs.select(*keep, text.words(t).alias("w"), F.size(text.sentences(t)).alias("sentences"))
-    rows = rows.select(*keep, F.size("w").alias("words"), "sentences", F.aggregate("w", F.lit(0), lambda s, x: s + text.syllables(x)).alias("syllables"))
+    rows = docs.select(*keep, text.word_count(t).alias("words"), text.sentence_count(t).alias("sentences"), text.syllable_count(t).alias("syllables"))
     return rows.withColumn("flesch", text.flesch(F.col("words"), F.col("sentences"), F.col("syllables")))
 
 
@@ -29,13 +28,15 @@ def readability_check(docs: DataFrame, site: str) -> DataFrame:
 def machine_style(docs: DataFrame, *keep: str, separator: str = r"\n\s*\n") -> DataFrame:
     """``keep``, the six signals of machine-like writing and their score; 0 under 100 words."""
     t = F.coalesce("text", F.lit(""))
-    rows = docs.select(*keep, t.alias("text"), F.lower(t).alias("low"), text.word_count(t).alias("words"))
-    per_1000 = lambda phrases: text.phrase_count(F.col("low"), phrases) / F.col("words") * 1000
     personal = reduce(lambda a, b: a | b, (F.col("low").rlike(text.bounded(p)) for p in catalog.PERSONAL))
+    # what is used more than once is a column first, or it would be computed as often
+    rows = docs.select(*keep, F.lower(t).alias("low"), text.word_count(t).alias("words"), text.paragraph_words(text.paragraphs(t, separator)).alias("parts"), text.long_words(t).alias("long"))
     rows = rows.select(
-        *keep, "words", per_1000(catalog.TRANSITIONS).alias("transitions"), per_1000(catalog.OPENERS).alias("openers"), per_1000(catalog.HEDGES).alias("hedges"),
-        text.uniformity(text.paragraphs(F.col("text"), separator)).alias("uniformity"), text.lexical_diversity(F.col("text")).alias("diversity"), personal.alias("personal"),
+        *keep, "words", text.moments(F.col("parts")).alias("parts"), text.diversity(F.col("long")).alias("diversity"), personal.alias("personal"),
+        *(text.phrase_count(F.col("low"), p).alias(n) for n, p in (("transitions", catalog.TRANSITIONS), ("openers", catalog.OPENERS), ("hedges", catalog.HEDGES))),
     )
+    per_1000 = lambda n: (F.col(n) / F.col("words") * 1000).alias(n)
+    rows = rows.select(*keep, "words", *map(per_1000, ("transitions", "openers", "hedges")), text.uniformity(F.col("parts")).alias("uniformity"), "diversity", "personal")
     two = lambda c, high, a, low, b: F.when(F.col(c) > high, a).when(F.col(c) > low, b).otherwise(0)
     score = (
         two("transitions", 8, 25, 4, 12) + two("openers", 5, 20, 2, 10) + two("hedges", 6, 20, 3, 10)
@@ -53,8 +54,8 @@ def machine_style_check(docs: DataFrame, site: str, separator: str = r"\n\s*\n")
 
 def passages(docs: DataFrame, *keep: str, separator: str = r"\n\s*\n", least: int = 15, most: int = 300) -> DataFrame:
     """A row for each paragraph of 15 to 300 words: ``keep``, its place among those, words."""
-    parts = F.filter(text.paragraphs(F.col("text"), separator), lambda p: text.tokens_split(p).between(least, most))
-    return docs.select(*keep, F.posexplode(parts).alias("place", "passage")).withColumn("words", text.tokens_split(F.col("passage")))
+    told = F.transform(text.paragraphs(F.col("text"), separator), lambda p: F.struct(p.alias("passage"), F.greatest(text.word_count(p), F.lit(1)).alias("words")))
+    return docs.select(*keep, F.posexplode(F.filter(told, lambda x: x["words"].between(least, most))).alias("place", "p")).select(*keep, "place", "p.passage", "p.words")
 
 
 def snippet_check(docs: DataFrame, site: str) -> DataFrame:

@@ -51,7 +51,7 @@ _TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '\\b[a-z]{3,}\\b')"
 
 @query(f"SELECT doc_id, round(CASE WHEN len({_TOKENS}) < 50 THEN 1.0 ELSE len(list_distinct({_TOKENS})) / len({_TOKENS}) END, 9) AS diversity FROM documents")
 def lexical_diversity(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(text.lexical_diversity(F.coalesce("text", F.lit(""))), 9).alias("diversity"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(text.diversity(text.long_words(F.coalesce("text", F.lit("")))), 9).alias("diversity"))
 
 
 def _count_sql(phrases) -> str:
