@@ -227,3 +227,26 @@ PLATFORMS = {
         (("indexed and Bing 25",), 0.30), (("Organization Schema Completeness", "Structured Data (JSON-LD)"), 0.20), (("linked linkedin",), 0.20), (("Meta Descriptions", "Heading Hierarchy"), 0.15), (("Author & Expertise Signals", "Trust Signals"), 0.15),
     ),
 }
+# Weights of platforms in a brand's score, in hundredths.
+BRAND_WEIGHTS = (("youtube", 35), ("reddit", 25), ("wikipedia", 25), ("linkedin", 15))
+# Last labels of domains that name no country.
+GENERIC_DOMAINS = ("com", "org", "net", "io", "dev", "app", "co", "info", "biz", "xyz", "ai", "me")
+# Order of sections in llms.txt; those after the seventh are optional.
+LLMS_SECTIONS = ("Main", "Documentation", "Products", "Services", "Blog", "About", "Support", "Legal", "Careers", "Changelog", "Examples", "Pages")
+# What crawlers are for.
+CRAWLER_USE = (
+    ("GPTBot", "training"), ("OAI-SearchBot", "search"), ("ChatGPT-User", "search"), ("ClaudeBot", "training"), ("Claude-SearchBot", "search"), ("Google-Extended", "training"), ("Applebot-Extended", "training"), ("Meta-ExternalAgent", "training"),
+    ("PerplexityBot", "search"), ("Amazonbot", "training"), ("CCBot", "training"), ("DuckAssistBot", "training"), ("Bytespider", "training"),
+)
+# Items that are quick or strategic to work on.
+QUICK = (
+    "robots.txt", "sitemap.xml", "llms.txt", "llms-full.txt", "AI Policy (ai.txt / ai.json)", "Meta Descriptions", "Title Tags", "Missing H1 Heading", "AI Content Directives", "Open Graph Tags", "Twitter Card Tags", "agent-card.json", "agents.json",
+)
+STRATEGIC = (
+    "Content Structure & Depth", "Content Freshness", "Topic Cluster Detection", "Content Readability", "Answer-First Content Structure", "Voice Search Optimization", "Brand Authority Score", "Social Proof & Authority",
+)
+# Files and settings that a gap analysis looks at.
+GAP_FILES = (
+    "robots.txt", "sitemap.xml", "llms.txt", "llms-full.txt", "AI Policy (ai.txt / ai.json)", "security.txt", "tdmrep.json", "manifest.json", "agent-card.json", "agents.json",
+)
+GAP_SETTINGS = ("robots.txt", "AI Content Directives", "Training vs Retrieval Bot Strategy")

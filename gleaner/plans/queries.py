@@ -11,7 +11,7 @@ from .. import catalog
 from ..functions import markup, scores, text, urls
 from ..operators import citability, composite, history, pages, records, texts, visibility
 from ..sources.tables import table
-from . import rich
+from . import more, rich
 from .sql import NOT_WS, WS, grade_sql, half_up_sql, quoted, status_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -455,5 +455,5 @@ def record_overall_score(spark, sf_dir):
     return composite.overall(records.record_checks(_records(spark, sf_dir)))
 
 
-QUERIES |= rich.QUERIES
-ORACLE_SQL |= rich.ORACLE_SQL
+QUERIES |= rich.QUERIES | more.QUERIES
+ORACLE_SQL |= rich.ORACLE_SQL | more.ORACLE_SQL

@@ -333,12 +333,23 @@ _ITEMS = _items_sql()
 _UNCHECKED = "Text-to-HTML Ratio"
 
 
+#: Facts and items by application and folder: many queries start from the same ones.
+_held: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _once(spark, sf_dir: str, name: str, made) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _held:
+        _held[key] = made().persist()
+    return _held[key]
+
+
 def _facts(spark, sf_dir: str) -> DataFrame:
-    return audit.site_facts(rich_records(spark, sf_dir), _fixture(spark), as_of=AS_OF)
+    return _once(spark, sf_dir, "facts", lambda: audit.site_facts(rich_records(spark, sf_dir), _fixture(spark), as_of=AS_OF))
 
 
 def _items(spark, sf_dir: str) -> DataFrame:
-    return audit.items(_facts(spark, sf_dir)).where(F.col("name") != _UNCHECKED)
+    return _once(spark, sf_dir, "items", lambda: audit.items(_facts(spark, sf_dir)).where(F.col("name") != _UNCHECKED))
 
 
 @_query(f"WITH {_ITEMS} SELECT * FROM items")
