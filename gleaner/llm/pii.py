@@ -4,7 +4,7 @@ Seeds are the base kinds and 40-digit hexadecimal keys. Every other run of words
 up to ``JOINED`` short ones in a row, ``LEAST`` characters in all) is a candidate. Each of both has up to three lexical patterns:
 the two words before; the word before; the word before with the shape of the identifier and what follows it. Spark scores the
 graph of patterns and instances for some rounds: a pattern's score is the mean of its instances' scores, shrunk towards 0; an
-unknown instance gets the score of its best pattern. Patterns with a high score and enough different seeds, nearly all of one kind,
+unknown instance gets the score of its best pattern; what looks like a base kind and fails its check counts 0. Patterns with a high score and enough different seeds, nearly all of one kind,
 give their candidates that kind. Keys are only seeds: a key is reported where its context is trusted. Where no word stands
 before, there is no pattern.
 
@@ -28,6 +28,8 @@ from ._store import get, new_dir, put, saved, seal
 from ._text import by_text, pieces, raw
 
 KINDS = ("email", "ip", "card", "phone")
+#: What looks like a base kind and fails its check: evidence against a pattern, and never reported.
+FAILED = "none"
 LEAST, JOINED, SEEDS, CONFIDENT, ROUNDS = 6, 4, 8, 0.85, 3
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -146,7 +148,8 @@ def candidates(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int,
     found = [(a, b, _patterns(text, a, b), _hash(text[a:b]), kind) for kind, a, b in spans]
     for a, b in _identifiers(text, sorted((a, b) for _, a, b in spans)):
         word = text[a:b]
-        found.append((a, b, _patterns(text, a, b), _hash(word), "key" if _KEY.fullmatch(word) else None))
+        kind = "key" if _KEY.fullmatch(word) else FAILED if _IP.fullmatch(word) or (_CARD.fullmatch(word) and 13 <= sum(c.isdecimal() for c in word) <= 19) else None
+        found.append((a, b, _patterns(text, a, b), _hash(word), kind))
     return found
 
 
@@ -180,16 +183,16 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def patterns(seen: DataFrame, rounds: int = ROUNDS, seeds: int = SEEDS, confident: float = CONFIDENT) -> DataFrame:
     """``(pattern, instance, kind)`` -> ``(pattern, kind, confidence)`` of the patterns to trust."""
     edges = seen.groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))
-    seeded = seen.where("kind is not null").select("pattern").distinct()  # others can't be trusted
+    seeded = seen.where(F.col("kind") != FAILED).select("pattern").distinct()  # others can't be trusted
     edges = saved(edges.join(seeded, "pattern", "left_semi"), "edges")
-    known = edges.groupBy("instance").agg(F.max(F.when(F.col("kind").isNotNull(), 1.0)).alias("score"))
-    instances = known.select("instance", F.coalesce("score", F.lit(0.0)).alias("score"), F.col("score").isNotNull().alias("seed"))
+    known = edges.groupBy("instance").agg(F.max(F.when(F.col("kind").isNotNull(), (F.col("kind") != FAILED).cast("double"))).alias("known"))
+    instances = known.select("instance", F.coalesce("known", F.lit(0.0)).alias("score"), "known")
     scored = None
     for _ in range(rounds):
         scored = saved(edges.join(instances, "instance").groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("confidence")), "patterns")
         best = edges.join(scored, "pattern").groupBy("instance").agg(F.max("confidence").alias("best"))
-        instances = saved(instances.select("instance", "seed").join(best, "instance").select("instance", F.when(F.col("seed"), 1.0).otherwise(F.col("best")).alias("score"), "seed"), "instances")
-    by_kind = edges.where("kind is not null").groupBy("pattern", "kind").agg(F.count("*").alias("n"))
+        instances = saved(instances.select("instance", "known").join(best, "instance").select("instance", F.coalesce("known", "best").alias("score"), "known"), "instances")
+    by_kind = edges.where(F.col("kind") != FAILED).groupBy("pattern", "kind").agg(F.count("*").alias("n"))
     kinds = by_kind.groupBy("pattern").agg(F.sum("n").alias("seeds"), F.max(F.struct("n", "kind")).alias("most"))
     return scored.join(kinds, "pattern").where((F.col("seeds") >= seeds) & (F.col("confidence") >= confident) & (F.col("most.n") >= confident * F.col("seeds"))).select("pattern", F.col("most.kind").alias("kind"), "confidence")
 
@@ -235,8 +238,8 @@ def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
                 text = batch.column(text_col)[i].as_py()
                 spans = base_spans(text)
                 all_ = list(spans)
-                for a, b, own, _, _ in candidates(text, spans)[len(spans) :]:
-                    at_ = [k for p in own for k in [int(np.searchsorted(keys, p))] if k < len(keys) and keys[k] == p]
+                for a, b, own, _, kind in candidates(text, spans)[len(spans) :]:
+                    at_ = [] if kind == FAILED else [k for p in own for k in [int(np.searchsorted(keys, p))] if k < len(keys) and keys[k] == p]
                     if at_:
                         all_.append((max((float(scores[k]), str(kinds[k])) for k in at_)[1], a, b))
                 if all_:

@@ -269,11 +269,11 @@ def test_pii_precision_and_recall(spark):
     number = lambda ok: next(x for x in iter(lambda: "".join(map(str, rng.integers(0, 10, 16))), None) if pii.luhn(x) == ok)
     rows, expected = [], set()
     for i in range(60):
-        kind = i % 4
-        value = (secret(), secret()[:33], number(True), number(False))[kind]
-        text = f"{sentence(rng, 5)} " + (f'token = "{value}"' if kind < 2 else f"alpha {value}") + f" {sentence(rng, 4)}"
+        kind = i % 6
+        value = (secret(), secret(), secret(), secret()[:33], number(True), number(False))[kind]
+        text = f"{sentence(rng, 5)} " + (f'token = "{value}"' if kind < 4 else f"alpha {value}") + f" {sentence(rng, 4)}"
         rows.append((i, text, "x", 5, []))
-        if kind < 2:
+        if kind < 4:
             expected.add((i, "key", value))
     rows += [(100 + i, f"{sentence(rng, 3)} commit{i} {secret()} {sentence(rng, 3)}", "x", 5, []) for i in range(6)] + [(200, "x" * 200_000 + ' token = "' + "ab12" * 10 + '"', "x", 5, [])]
     expected.add((200, "key", "ab12" * 10))
