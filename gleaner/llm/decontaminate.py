@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._store import runs, saved
-from ._text import U, pieces, words_of
+from ._text import U, give_back, pieces, words_of
 
 BLOCK, PART, SHORT = 32, 64, 8
 FEATURES, RANK, SKIP = 1 << 13, 48, 8
@@ -101,6 +101,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.n
                 ids, texts, size = [], [], 0
     if texts:
         yield ids, texts
+    del ids, texts
+    give_back()
 
 
 def _df(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._store import Scratch, find, get, put, runs, saved, seal
-from ._text import U, by_text, mix, pair, pieces, words_of
+from ._text import U, by_text, give_back, mix, pair, pieces, words_of
 from .components import connected
 
 #: Shingles a task gathers before it sends their counts on.
@@ -123,6 +123,8 @@ def _merge(at: str):
         total = np.minimum(np.add.reduceat(counts[order], first, dtype=np.int64), 65535)
         shared = total > 1
         put(at, shard, {"key": keys[first][shared], "df": total[shared].astype(np.uint16)})
+        del keys, counts, order, total, first, shared
+        give_back()
         return pd.DataFrame({"shard": [shard]})
 
     return run
@@ -186,6 +188,8 @@ def _keep(at: str):
             lists = [np.frombuffer(x, np.uint64) for x in pdf[name]] if name == "held" else [np.asarray(x, np.int64).view(np.uint64) for x in pdf[name]]
             arrays |= {name: np.concatenate(lists), f"{name}_at": np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int64)}
         put(at, int(pdf["shard"].iloc[0]), arrays)
+        del arrays, lists
+        give_back()
         return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])]})
 
     return run
