@@ -8,7 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from .ann_search import op10_additive_quantisation
+from .chat import op13_chat_examples
 from .decontaminate import op9_latent_decontamination
+from .divergence import op12_source_divergence
+from .hard_negatives import op11_hard_negatives
 from .language_id import op4_language_id, page_language_id
 from .licences import PHRASES, op8_licence_templates
 from .lm_scoring import op5_lm_scoring
@@ -18,7 +21,7 @@ from .pii import op3_pii
 from .quality import op1_quality_fm
 from .url_filter import RULES, op2_url_filter
 
-_ALL = (op1_quality_fm, op2_url_filter, op3_pii, op4_language_id, op5_lm_scoring, op6_ngram_jaccard_join, op7_source_mixing, op8_licence_templates, op9_latent_decontamination, op10_additive_quantisation, page_language_id)
+_ALL = (op1_quality_fm, op2_url_filter, op3_pii, op4_language_id, op5_lm_scoring, op6_ngram_jaccard_join, op7_source_mixing, op8_licence_templates, op9_latent_decontamination, op10_additive_quantisation, op11_hard_negatives, op12_source_divergence, op13_chat_examples, page_language_id)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -101,3 +104,30 @@ _base(
 SELECT query_id, rank, vec_id, round(score, 9) AS score FROM r WHERE rank <= 5""",
     "query_id", "rank", "vec_id", "round(score, 9) AS score",
 )
+
+ORACLE_SQL["op11_hard_negatives"] = """WITH v AS (SELECT row_number() OVER () AS k, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+ s AS (SELECT a.k, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, coalesce(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])), 0)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.k <> b.k AND len(a.v) = len(b.v)),
+ p AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, vec_id) AS place FROM s WHERE same),
+ n AS (SELECT p.k, p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.k, p.place ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank
+  FROM p JOIN s ON p.k = s.k AND p.place <= 5 AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""
+
+ORACLE_SQL["op12_source_divergence"] = r"""WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, unnest(list_append(regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+'), NULL)) AS term FROM documents),
+ t AS (SELECT k, lang, source, translate(term, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d), g AS (SELECT DISTINCT lang, source FROM t),
+ w AS (SELECT lang, term, count(*)::HUGEINT AS whole FROM t WHERE term IS NOT NULL GROUP BY lang, term HAVING count(DISTINCT k) >= 10),
+ l AS (SELECT lang, count(term)::HUGEINT AS v, coalesce(sum(whole), 0)::HUGEINT AS n FROM (SELECT DISTINCT lang FROM g) LEFT JOIN w USING (lang) GROUP BY lang),
+ c AS (SELECT lang, source, term, count(*)::HUGEINT AS c FROM t JOIN w USING (lang, term) GROUP BY lang, source, term), s AS (SELECT lang, source, coalesce(sum(c), 0)::HUGEINT AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+ p AS (SELECT s.lang, s.source, w.term, coalesce(c, 0) AS c, 1 + 1000000000 * (coalesce(c, 0) + 2) // (s.n + 2 * v) AS p, 1 + 1000000000 * (whole + 2) // (l.n + 2 * v) AS q FROM s JOIN l USING (lang) JOIN w USING (lang) LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = w.term),
+ f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+ r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM p WHERE c > 0 AND p > q),
+ o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INTEGER AS rank FROM r)
+SELECT lang, source, part, item, value, rank FROM o WHERE part = 'pair' OR rank <= 10"""
+
+_ESCAPED = r"replace(replace(replace(text, '\', '\\'), '<turn', '\<turn'), '</turn', '\</turn')"
+_ESCAPED_ROLE = r"replace(replace(replace(role, '\', '\\'), '<', '\<'), '>', '\>')"
+ORACLE_SQL["op13_chat_examples"] = rf"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, turn, role, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS x(turn, role)),
+ s AS (SELECT *, sum(length({_ESCAPED}) + length({_ESCAPED_ROLE}) + 16) OVER o AS so_far, row_number() OVER o AS place, count(*) OVER (PARTITION BY conv_id) AS n FROM c WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+ sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(so_far) FILTER (role = 'assistant' OR place = n)::BIGINT AS formatted_chars FROM s GROUP BY conv_id"""
