@@ -6,7 +6,9 @@ latent directions; the first ``SKIP``, common to whole languages, are left out.
 enough of its weighted words, are candidates. So is every passage around which enough of the part's words stand for a common
 subsequence to be long enough, whatever its cosine: it holds some of the part's rarest words, by which it is found, so none is
 lost. A candidate is decided by the longest common subsequence with the words around it, and by the same for the item's answer,
-its last quarter: ``lcs >= EXACT``, or ``lcs >= LOOSE`` with the answer there.
+its last quarter: ``lcs >= EXACT``, or ``lcs >= LOOSE`` with the answer there. What passes by ids, which several words may share, is
+decided again by the words' 64-bit hashes, so texts that only share ids with an item are no leaks; equal words have equal ids, so none
+that is one is missed.
 
 Null and empty texts and items, and those without an id, match nothing. Items longer than ``PART`` words are matched in parts
 of ``PART`` words, each half of the next, the last one at the item's end; only that one has the answer, as far as it goes, and
@@ -208,6 +210,8 @@ class Part:
     words: tuple[int, ...]
     #: How many of the last words are the item's answer.
     answer: int
+    #: Which of the item's parts it is.
+    place: int = 0
 
     def least(self, exact: float, loose: float) -> int:
         """Fewer common words than these are never accepted."""
@@ -233,7 +237,7 @@ def parts_of(item: int, words: list[int]) -> list[Part]:
     if n <= PART:
         return [Part(item, tuple(words), quarter)] if n else []
     starts = [*range(0, n - PART, PART // 2), n - PART]
-    return [Part(item, tuple(words[a : a + PART]), min(quarter, PART // 4) if a == n - PART else 0) for a in starts]
+    return [Part(item, tuple(words[a : a + PART]), min(quarter, PART // 4) if a == n - PART else 0, k) for k, a in enumerate(starts)]
 
 
 def _holding(parts: list[Part], idf: np.ndarray, exact: float, loose: float):
@@ -329,22 +333,44 @@ def _retrieve(space: Space, parts: list[Part], exact: float, loose: float):
                     twice = np.bincount(row, seen, len(k))
                     own = np.flatnonzero(twice >= COVER) + s
                     chosen.append((p[own], q[own]))
-            found: dict[tuple[int, int], tuple[float, float, float]] = {}
+            found: list[tuple[int, int, int, int, float]] = []
             p, q = (np.concatenate(x) for x in zip(*chosen))
             for pair in np.unique(q * len(v) + p).tolist():
                 j, i = divmod(pair, len(v))
                 text, part = int(b.text[i]), parts[j]
-                key = (text, j)
-                if key in found and found[key][1] == 1:
-                    continue
                 around = texts[text][part.span(int(b.at[i]))].tolist()
                 seen = Counter(around)
-                if sum(min(k, seen[w]) for w, k in bags[j].items()) < least[j]:
-                    continue
-                share, told, leak = part.decide(around, exact, loose)
-                if leak and share >= found.get(key, (0, 0, 0))[1]:
-                    found[key] = (float(passages[i] @ queries[j]), share, told)
-            rows = [(ids[t], parts[q].item, *x) for (t, q), x in found.items()]
+                if sum(min(k, seen[w]) for w, k in bags[j].items()) >= least[j] and part.decide(around, exact, loose)[2]:
+                    found.append((ids[text], part.item, part.place, int(b.at[i]), float(passages[i] @ queries[j])))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found) if found else [()] * 5, kinds)], names=["id", "item_id", "part", "at", "cosine"])
+
+    return run
+
+
+def _whole_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items' parts by whole hashes."""
+    for batch in pieces(batches):
+        words = words_of(batch.column("text"))
+        whole = words.hashes.view(np.int64)
+        rows = [p for i, a, b in zip(batch.column("id").to_pylist(), words.first[:-1], words.first[1:]) for p in parts_of(i, whole[a:b].tolist())]
+        columns = [pa.array([p.item for p in rows], pa.int64()), pa.array([p.place for p in rows], pa.int32()), pa.array([p.words for p in rows], pa.list_(pa.int64())), pa.array([p.answer for p in rows], pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, names=["item_id", "part", "words", "answer_words"])
+
+
+def _decide(exact: float, loose: float):
+    """Windows of texts that stand by whole hashes: ``(id, item_id, cosine, lcs, answer)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            words, rows = words_of(batch.column("text")), []
+            whole = words.hashes.view(np.int64)
+            for i, a, b, windows in zip(batch.column("id").to_pylist(), words.first[:-1], words.first[1:], batch.column("windows").to_pylist()):
+                for w in windows:
+                    part = Part(w["item_id"], tuple(w["words"]), w["answer_words"])
+                    share, told, leak = part.decide(whole[a:b][part.span(w["at"])].tolist(), exact, loose)
+                    if leak:
+                        rows.append((i, part.item, w["cosine"], share, told))
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 5, kinds)], names=["id", "item_id", "cosine", "lcs", "answer"])
 
@@ -353,11 +379,11 @@ def _retrieve(space: Space, parts: list[Part], exact: float, loose: float):
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", exact: float = EXACT, loose: float = LOOSE) -> DataFrame:
     """Pairs ``(id_col, item_id)`` of texts and the benchmark items in them, with the best passage's cosine, LCS share and answer share."""
+    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("id"), F.col(item_text).alias("text")).distinct()
     words = word_ids(docs, id_col, text_col)
-    items = word_ids(benchmark.where(F.col(item_col).isNotNull()), item_col, item_text)
     space = latent_space(words)
     spark = docs.sparkSession
-    schema = "id long, item_id long, cosine double, lcs double, answer double"
+    schema = "id long, item_id long, part int, at long, cosine double"
     found = spark.createDataFrame([], schema)
     parts: list[Part] = []
     seen: set[Part] = set()
@@ -365,7 +391,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     def passed() -> DataFrame:
         return found.unionByName(saved(words.mapInArrow(_retrieve(space, list(parts), exact, loose), schema), "leaks"))
 
-    for row in items.toLocalIterator():  # a part of the items at a time
+    for row in word_ids(items, "id").toLocalIterator():  # a part of the items at a time
         for part in parts_of(row["id"], np.frombuffer(row["words"], np.uint16).tolist()):
             if part not in seen:
                 seen.add(part)
@@ -375,7 +401,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
             parts, seen = [], set()
     if parts:
         found = passed()
-    best = found.where("id is not null").groupBy("id", "item_id").agg(F.max(F.struct("lcs", "answer", "cosine")).alias("best"))
+    # written first, so that Spark knows how few they are
+    whole = saved(items.mapInArrow(_whole_parts, "item_id long, part int, words array<long>, answer_words int"), "parts")
+    windows = found.where("id is not null").join(whole, ["item_id", "part"]).groupBy("id").agg(F.collect_list(F.struct("item_id", "words", "answer_words", "at", "cosine")).alias("windows"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(saved(windows, "windows"), "id")
+    decided = texts.mapInArrow(_decide(exact, loose), "id long, item_id long, cosine double, lcs double, answer double")
+    best = decided.groupBy("id", "item_id").agg(F.max(F.struct("lcs", "answer", "cosine")).alias("best"))
     return best.select(F.col("id").alias(id_col), "item_id", "best.cosine", "best.lcs", "best.answer")
 
 
