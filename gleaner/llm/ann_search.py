@@ -8,8 +8,9 @@ by the triangle inequality over its reconstruction, be as small as the k-th best
 spare comparisons.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, nor do null
-ids. Repeated vectors tie, and ties go to the smaller id, before and after the exact comparison. Rows of one id are
-different candidates; queries of one id are asked once for each different vector. Tables without vectors give no rows.
+ids. Repeated vectors tie, and ties go to the smaller id, before and after the exact comparison. Rows are told apart by
+themselves, not by ids: a query is compared with every row but its own, also with those of its id, and each of several query
+rows of one id is answered for itself. Tables without vectors give no rows.
 """
 
 from __future__ import annotations
@@ -123,7 +124,7 @@ def index(rows: DataFrame, model: Books, dim: int) -> DataFrame:
 
 def _put(uri: str):
     def run(pdf):
-        put(uri, int(pdf["block"].iloc[0]), {"ids": pdf["id"].to_numpy(np.int64), "vectors": np.stack(pdf["v"]).astype(np.float64)})
+        put(uri, int(pdf["block"].iloc[0]), {"rows": pdf["row"].to_numpy(np.int64), "ids": pdf["id"].to_numpy(np.int64), "vectors": np.stack(pdf["v"]).astype(np.float64)})
         return pdf.iloc[:1][["block"]]
 
     return run
@@ -165,6 +166,7 @@ def _scan(model: Books, dim: int, uri: str, blocks: int, k: int, keep: int):
             scaled /= _length(scaled)[:, None]
             for block in range(blocks):
                 queries, vectors = np.asarray(get(uri, block, "ids")).astype(np.int64), np.asarray(get(uri, block, "vectors"))
+                numbers = np.asarray(get(uri, block, "rows")).astype(np.int64)
                 if not len(queries):
                     continue
                 vectors = _scaled(vectors)
@@ -174,22 +176,21 @@ def _scan(model: Books, dim: int, uri: str, blocks: int, k: int, keep: int):
                 least, found = floor.setdefault(block, np.full((len(queries), k), -np.inf)), []
                 for j, q in enumerate(queries.tolist()):
                     score = (sum(table[j, i, codes[:, i]] for i in range(m)) / norms).astype(np.float64)
-                    other = ids != q
-                    score[~other] = -np.inf
                     first = np.argpartition(score, -keep)[-keep:] if len(ids) > keep else np.arange(len(ids))
-                    known = np.r_[least[j], scaled[first[other[first]]] @ unit[j]]
+                    known = np.r_[least[j], scaled[first] @ unit[j]]
                     floor_now = np.sort(known)[-k] - 1e-9
                     near = np.clip(score, -1, 1)
                     most = near * cosine + np.sqrt(1 - near * near + 2 * off) * aside + 2 * off  # cosine of the difference of both angles
-                    reach = np.flatnonzero(other & ((most >= floor_now) | (near + off + 1e-6 >= cosine)))
+                    reach = np.flatnonzero((most >= floor_now) | (near + off + 1e-6 >= cosine))
                     close = (scaled[reach] if 8 * len(reach) < len(ids) else scaled) @ unit[j]
                     close = close if len(close) == len(reach) else close[reach]
                     top = reach[close >= floor_now]
                     exact = _exact(vectors[j], x[top])
                     best = np.lexsort((ids[top], -exact))[:k]
                     least[j] = np.sort(np.r_[least[j], exact[best]])[-k:]
-                    found.append((np.full(len(best), q), ids[top[best]], exact[best]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["query_id", "vec_id", "score"])
+                    own = (ids[top[best]] == q) & (exact[best] == _exact(vectors[j], vectors[j][None])[0])  # as the query's own row would be
+                    found.append((np.full(len(best), numbers[j]), np.full(len(best), q), ids[top[best]], exact[best], own))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["row", "query_id", "vec_id", "score", "own"])
 
     return run
 
@@ -201,13 +202,17 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     if not len(sample):
         return rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).where("false")
     model = learn(_unit(np.stack(sample["v"]).astype(np.float64)))
-    asked = saved(rows.where(is_query).dropDuplicates(["id", "v"]), "queries")
+    asked = saved(rows.where(is_query).withColumn("row", F.monotonically_increasing_id()), "queries")
     blocks, uri = max(1, -(-asked.count() // QUERY_BLOCK)), new_dir(rows.sparkSession, "asked")
-    done = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).groupBy("block").applyInPandas(_put(uri), "block int").collect()
-    seal(uri, blocks, [r["block"] for r in done], "ids", "vectors")
-    exact = index(rows, model, dim).mapInArrow(_scan(model, dim, uri, blocks, k, keep), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    done = asked.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")).groupBy("block").applyInPandas(_put(uri), "block int").collect()
+    seal(uri, blocks, [r["block"] for r in done], "rows", "ids", "vectors")
+    # one more than asked for: the query's own row is among them, or so many others as near that it doesn't matter
+    exact = index(rows, model, dim).mapInArrow(_scan(model, dim, uri, blocks, k + 1, keep), "row long, query_id long, vec_id long, score double, own boolean")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
+    best = exact.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
+    seen = Window.partitionBy("row").orderBy("place")
+    rest = best.withColumn("copies", F.sum(F.col("own").cast("int")).over(seen)).where("NOT (own AND copies = 1)")
+    return rest.withColumn("rank", F.row_number().over(seen)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op10_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
