@@ -10,8 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from gleaner.llm import decontaminate, language_id, mixing
-from gleaner.llm._text import words_of
+from gleaner.llm import language_id, mixing
 from gleaner.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -142,18 +141,49 @@ def test_op8(results):
         assert base <= every and 0 <= r["score"] <= 1 and (r["score"] > 0) == bool(every)
 
 
+def longest_common(a, b):
+    """The textbook table of the longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def item_parts(words):
+    """Words of each part of an item, and how many at its end are the answer."""
+    if len(words) <= 64:
+        return [(words, max(1, len(words) // 4))] if words else []
+    starts = list(range(0, len(words) - 64, 32)) + [len(words) - 64]
+    return [(words[a : a + 64], 16 if a == starts[-1] else 0) for a in starts]
+
+
+def leaked(part, answer, around):
+    share = longest_common(part, around) / len(part)
+    if len(part) < 8:
+        return share == 1
+    return share >= 0.8 or (answer > 0 and share >= 0.6 and longest_common(part[-answer:], around) / answer >= 0.8)
+
+
 def test_op9(results, texts, con):
-    """Every item against every window of every text by the acceptance rule: the same pairs."""
-    ids = lambda t: (words_of(pa.array([t])).hashes & np.uint64(0xFFFF)).astype(int).tolist()
-    parts = [p for i, t in con.execute("SELECT item_id, text FROM benchmark").fetchall() for p in decontaminate.parts_of(i, ids(t or ""))]
+    """Every item against every window of every text, on the words themselves: the same pairs."""
+    split = lambda t: [re.sub("[A-Z]+", lambda m: m[0].lower(), w) for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+    parts = [(i, p, n) for i, t in con.execute("SELECT item_id, text FROM benchmark").fetchall() for p, n in item_parts(split(t))]
     expected = set()
     for i, text in texts.items():
-        words = ids(text or "")
+        words = split(text)
         have = set(words)
-        for part in parts:
-            if sum(w in have for w in part.words) >= part.least(decontaminate.EXACT, decontaminate.LOOSE):
-                if any(part.decide(words[part.span(at)], decontaminate.EXACT, decontaminate.LOOSE)[2] for at in range(0, len(words), decontaminate.BLOCK)):
-                    expected.add((i, part.item))
+        for item, part, answer in parts:
+            least = len(part) if len(part) < 8 else 0.6 * len(part)
+            if (i, item) not in expected and sum(w in have for w in part) >= least - 1e-9:
+                for at in range(0, len(words), 32):
+                    around = words[max(0, at - len(part)) : at + 64 + len(part)]
+                    seen = set(around)
+                    if sum(w in seen for w in part) >= least - 1e-9 and leaked(part, answer, around):
+                        expected.add((i, item))
+                        break
     assert {(r["doc_id"], r["item_id"]) for r in results("op9_latent_decontamination")} == expected and expected
 
 

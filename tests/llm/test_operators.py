@@ -366,6 +366,20 @@ def test_ann(spark):
     assert ann_search.search(vectors.where("vec_id > 9999"), F.col("id") % 50 == 0).count() == 0
 
 
+def test_ann_repeated_ids(spark):
+    """A query's own row is barred and no other: rows of its id are candidates, and each query row is answered for itself."""
+    rows = [(50, [1.0, 0.0]), (50, [0.9, 0.1]), (2, [0.0, 1.0]), (100, [1.0, 1.0]), (100, [1.0, 1.0]), (3, [2.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = Counter((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in ann_search.search(vectors, F.col("id") % 50 == 0, k=3).collect())
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.hypot(*a) / math.hypot(*b)
+    expected = Counter()
+    for i, (q, v) in enumerate(rows):
+        if q % 50 == 0:
+            near = sorted((-round(cosine(v, x), 12), j) for n, (j, x) in enumerate(rows) if n != i)[:3]
+            expected.update((q, rank, j, round(-s, 9)) for rank, (s, j) in enumerate(near, 1))
+    assert got == expected
+
+
 def test_ann_extreme_magnitudes(spark):
     """Scores stay cosines however large or small the numbers are, and bit-equal vectors tie."""
     rows = [(0, [1e-200, 2e-200]), (1, [1e200, 1e200]), (2, [1.0, 2.0]), (3, [2.0, 4.0]), (4, [-1e300, -2e300]), (5, [5e-324, 1e-323])]
@@ -496,6 +510,22 @@ def test_decontamination(spark, none):
     assert decontaminate.leaks(none, spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def test_decontamination_shared_ids(spark):
+    """Words that share their 16-bit ids with an item's words, and nothing else, are no leak."""
+    wanted, found = [f"secret{k}" for k in range(12)], {}
+    code = lambda words: (words_of(pa.array([" ".join(words)])).hashes & np.uint64(0xFFFF)).astype(int).tolist()
+    need = set(code(wanted))
+    others = [f"w{k}" for k in range(1_500_000)]
+    for w, c in zip(others, code(others)):
+        if c in need:
+            found.setdefault(c, w)
+    fake = [found[c] for c in code(wanted)]
+    assert not set(fake) & set(wanted)
+    docs = spark.createDataFrame([(1, " ".join(fake)), (2, " ".join(["some", "words", *wanted, "more"]))], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(wanted)), (7, " ".join(wanted))], "item_id long, text string")
+    assert [(r["doc_id"], r["item_id"], r["lcs"]) for r in decontaminate.leaks(docs, items).collect()] == [(2, 7, 1.0)]
+
+
 def test_decontamination_short_items_at_every_offset(spark):
     """Verbatim items of 1 to 64 words, at every offset in a block: none is lost."""
     rng = np.random.default_rng(16)
