@@ -250,3 +250,97 @@ GAP_FILES = (
     "robots.txt", "sitemap.xml", "llms.txt", "llms-full.txt", "AI Policy (ai.txt / ai.json)", "security.txt", "tdmrep.json", "manifest.json", "agent-card.json", "agents.json",
 )
 GAP_SETTINGS = ("robots.txt", "AI Content Directives", "Training vs Retrieval Bot Strategy")
+# Elements that hold a page's content, the first that holds enough.
+CONTENT = ("main", "article", '[role="main"]', ".content", "#content", ".post-content", ".entry-content", ".article-content", ".page-content")
+# Countries by the last label of a domain, and codes of languages that name one country.
+COUNTRIES = {
+    "lt": "Lithuania", "lv": "Latvia", "ee": "Estonia", "pl": "Poland", "de": "Germany", "fr": "France", "es": "Spain", "it": "Italy", "nl": "Netherlands", "be": "Belgium", "at": "Austria",
+    "ch": "Switzerland", "cz": "Czech Republic", "sk": "Slovakia", "hu": "Hungary", "ro": "Romania", "bg": "Bulgaria", "hr": "Croatia", "si": "Slovenia", "fi": "Finland", "se": "Sweden",
+    "dk": "Denmark", "no": "Norway", "pt": "Portugal", "ie": "Ireland", "uk": "United Kingdom", "ua": "Ukraine", "ru": "Russia", "by": "Belarus", "us": "United States", "ca": "Canada",
+    "au": "Australia", "nz": "New Zealand", "jp": "Japan", "kr": "South Korea", "cn": "China", "in": "India", "br": "Brazil", "mx": "Mexico", "ar": "Argentina", "cl": "Chile", "co": "Colombia",
+}
+TELLING_LANGUAGES = ("lt", "lv", "et", "fi", "hu", "cz", "sk", "hr", "si", "bg", "ro", "ua", "by", "jp", "kr")
+GENERIC_TYPES = ("WebSite", "WebPage", "Organization", "BreadcrumbList")
+# Places in the locative, by what names them, the first that fits.
+LOCATIVE = (
+    ("(?iu)lithuania", "Lietuvoje"), ("(?iu)vilnius", "Vilniuje"), ("(?iu)kaunas", "Kaune"), ("(?iu)klaipeda|klaipėda", "Klaipėdoje"), ("(?iu)šiauliai|siauliai", "Šiauliuose"),
+    ("(?iu)panevėžys|panevezys", "Panevėžyje"),
+)
+# Query templates by language of the site: query, category, intent, language. {in} and {at} stand for a place with " in " or a
+# blank before it, {where} for one in the locative; a template whose keyword is missing is left out.
+QUERY_TEMPLATES = {
+    "en": (
+        ("what does {name} do and are they reputable", "brand", "Brand reputation query", "en"),
+        ("{name} {industry} reviews and pricing", "brand", "Brand evaluation search", "en"),
+        ("how to choose a good {service0} provider{in}", "generic_faq", "Industry FAQ: choosing provider", "en"),
+        ("what should I look for when buying {service1}", "generic_faq", "Industry FAQ: buying guide", "en"),
+        ("what is the difference between cheap and premium {industry}", "generic_faq", "Industry FAQ: quality comparison", "en"),
+        ("how much does {service0} typically cost{in}", "generic_faq", "Industry FAQ: pricing", "en"),
+        ("what are the benefits of professional {service0}", "generic_faq", "Industry FAQ: benefits", "en"),
+        ("common mistakes when choosing {industry} services", "generic_faq", "Industry FAQ: mistakes to avoid", "en"),
+        ("{industry} trends and innovations this year", "generic_faq", "Industry FAQ: trends", "en"),
+        ("how long does {service0} process usually take", "generic_faq", "Industry FAQ: timeline", "en"),
+        ("best {industry} companies{in} comparison", "purchase_intent", "Purchase comparison query", "en"),
+        ("top rated {service0} providers near me", "purchase_intent", "Purchase: local search", "en"),
+        ("{service0} price comparison{at}", "purchase_intent", "Purchase: price comparison", "en"),
+        ("recommend a reliable {industry} company for {service1}", "purchase_intent", "Purchase: recommendation", "en"),
+        ("where to order custom {service0}{in}", "purchase_intent", "Purchase: where to buy", "en"),
+        ("{service0} vs {service1} which is better for my needs", "purchase_intent", "Purchase: service comparison", "en"),
+        ("explain the pros and cons of different {industry} approaches for someone just getting started", "page_specific", "Educational content query", "en"),
+        ("step by step guide to {service0}", "page_specific", "How-to content query", "en"),
+        ("{keyword0} complete guide and tips", "page_specific", "Keyword content query", "en"),
+        ("everything you need to know about {keyword1}", "page_specific", "Keyword content query", "en"),
+    ),
+    "lt": (
+        ("kas yra {name} ir ar jie patikimi", "brand", "Brand reputation query (LT)", "lt"),
+        ("{name} atsiliepimai ir kainos", "brand", "Brand evaluation search (LT)", "lt"),
+        ("kaip pasirinkti gerą {service0} paslaugų teikėją {where}", "generic_faq", "Industry FAQ: choosing provider (LT)", "lt"),
+        ("į ką atkreipti dėmesį renkantis {service1}", "generic_faq", "Industry FAQ: buying guide (LT)", "lt"),
+        ("kiek kainuoja {service0} {where}", "generic_faq", "Industry FAQ: pricing (LT)", "lt"),
+        ("{industry} tendencijos ir naujienos Lietuvoje", "generic_faq", "Industry FAQ: trends (LT)", "lt"),
+        ("dažniausios klaidos renkantis {industry} paslaugas", "generic_faq", "Industry FAQ: mistakes (LT)", "lt"),
+        ("kokia nauda naudotis profesionaliu {service0}", "generic_faq", "Industry FAQ: benefits (LT)", "lt"),
+        ("best {industry} services in Lithuania", "generic_faq", "Industry FAQ: English for AI engines", "en"),
+        ("how does {industry} work in Lithuania", "generic_faq", "Industry FAQ: English context", "en"),
+        ("geriausios {industry} įmonės {where} palyginimas", "purchase_intent", "Purchase comparison (LT)", "lt"),
+        ("rekomenduokite patikimą {service0} teikėją {where}", "purchase_intent", "Purchase: recommendation (LT)", "lt"),
+        ("{service0} kainų palyginimas {where}", "purchase_intent", "Purchase: price comparison (LT)", "lt"),
+        ("kur užsisakyti {service0} {where}", "purchase_intent", "Purchase: where to buy (LT)", "lt"),
+        ("top {industry} companies in Lithuania comparison", "purchase_intent", "Purchase comparison (EN)", "en"),
+        ("{service0} vs {service1} which is better", "purchase_intent", "Purchase: service comparison (EN)", "en"),
+        ("{keyword0} pilnas vadovas ir patarimai", "page_specific", "Keyword content query (LT)", "lt"),
+        ("viskas ką reikia žinoti apie {keyword1}", "page_specific", "Keyword content query (LT)", "lt"),
+        ("{industry} {where} išsamus aprašymas pradedantiesiems", "page_specific", "Educational content (LT)", "lt"),
+        ("{service0} žingsnis po žingsnio vadovas", "page_specific", "How-to content (LT)", "lt"),
+    ),
+}
+QUERY_CATEGORIES = ("brand", "generic_faq", "purchase_intent", "page_specific")
+# Advice for a passage, by dimension and the score below which it is given.
+ADVICE = (
+    ("answer", 50, "Start with a direct, definitive statement that answers a question"),
+    ("self_contained", 50, 'Make this passage self-contained — avoid starting with "however", "but", or pronouns referring to prior text'),
+    ("structure", 50, "Add structure — use a list, table, or keep to 100-200 words"),
+    ("figures", 30, "Add specific data: percentages, costs, timeframes, or comparisons"),
+    ("unique", 30, "Include first-party data, case study results, or original research"),
+)
+# Phrases and addresses that tell what a site is for.
+SHOP_PHRASES = ("add to cart", "buy now", "shopping cart", "checkout", "price", "product")
+SOFTWARE_PHRASES = ("sign up", "free trial", "pricing", "demo", "api", "dashboard", "login")
+PUBLISHED_AT = "/(blog|news|article|post)"
+# Addresses and headings that tell what a page is.
+ARTICLE_PATH, BLOG_PATH, PRODUCT_PATH = r"^/(blog|news|articles?|posts?)/[^/]+", r"^/(blog|posts?)/", r"^/(products?|shop|store)/[^/]+"
+STEP_HEADING = r"(?i)^(?:step\s+[0-9]+|[0-9]+[.)]\s)"
+# Addresses that a crawl leaves out.
+BINARY = r"(?i)\.(pdf|zip|png|jpg|jpeg|gif|svg|css|js|ico|woff|woff2|ttf|eot|mp4|mp3|avi|mov)$"
+# Files of the components of a gap analysis that have several, or lie elsewhere.
+GAP_PATHS = {
+    "AI Policy (ai.txt / ai.json)": ("ai.txt", "ai.json"), "security.txt": (".well-known/security.txt",), "tdmrep.json": (".well-known/tdmrep.json",), "agent-card.json": (".well-known/agent-card.json",),
+}
+# Whose crawlers they are, and what for.
+CRAWLER_OWNERS = {
+    "GPTBot": ("OpenAI", "Model training"), "OAI-SearchBot": ("OpenAI", "Search results"), "ChatGPT-User": ("OpenAI", "Live browsing"), "ClaudeBot": ("Anthropic", "Model training & citations"), "Claude-SearchBot": ("Anthropic", "Search"),
+    "Google-Extended": ("Google", "Gemini training"), "Applebot-Extended": ("Apple", "Apple Intelligence"), "Meta-ExternalAgent": ("Meta", "AI training"), "PerplexityBot": ("Perplexity", "Answer engine"), "Amazonbot": ("Amazon", "Alexa / AI"),
+    "CCBot": ("Common Crawl", "Open dataset"), "DuckAssistBot": ("DuckDuckGo", "DuckDuckGo AI"), "Bytespider": ("ByteDance", "AI training"),
+}
+TRAINING_LISTED = ("GPTBot", "ClaudeBot", "Google-Extended", "Applebot-Extended", "Meta-ExternalAgent", "CCBot", "Bytespider", "Amazonbot")
+SEARCH_LISTED = ("OAI-SearchBot", "ChatGPT-User", "Claude-SearchBot", "PerplexityBot", "DuckAssistBot")

@@ -6,7 +6,8 @@ end where the next one begins, stray end tags are ignored, and whatever is open
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -19,18 +20,22 @@ _ENDS = {
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
+    """An element. Elements lie in document order in ``order``, those below it between ``at + 1`` and ``end``."""
 
-    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
-        self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
+    __slots__ = ("tag", "attrs", "children", "parent", "elements", "order", "at", "end", "place")
 
-    def walk(self) -> Iterator[Node]:
+    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
+        self.tag, self.attrs, self.children, self.parent, self.elements = tag, attrs, [], parent, []
+        self.order: list[Node] = parent.order if parent else []
+        self.at, self.end, self.place = len(self.order), None, len(parent.elements) if parent else 0
+        self.order.append(self)
+        if parent:
+            parent.children.append(self)
+            parent.elements.append(self)
+
+    def walk(self) -> list[Node]:
         """Elements below this one, in document order."""
-        todo = [c for c in reversed(self.children) if isinstance(c, Node)]
-        while todo:
-            node = todo.pop()
-            yield node
-            todo += [c for c in reversed(node.children) if isinstance(c, Node)]
+        return self.order[self.at + 1 : self.end]
 
     def all(self, fits: str | Callable[[Node], bool]) -> list[Node]:
         """Elements with one of these tags, or that fit."""
@@ -40,7 +45,10 @@ class Node:
         return [n for n in self.walk() if fits(n)]
 
     def first(self, fits: str | Callable[[Node], bool]) -> Node | None:
-        return next(iter(self.all(fits)), None)
+        below = self.order[self.at + 1 : self.end]
+        if isinstance(fits, str):
+            return next((n for n in below if n.tag == fits), None)
+        return next((n for n in below if fits(n)), None)
 
     def text(self, without: frozenset[str] = frozenset()) -> str:
         parts, todo = [], list(reversed(self.children))
@@ -55,50 +63,66 @@ class Node:
     def get(self, name: str) -> str:
         return self.attrs.get(name, "")
 
-    def inside(self, fits: Callable[[Node], bool]) -> bool:
-        node = self.parent
-        while node is not None and not fits(node):
-            node = node.parent
-        return node is not None
+    def under(self, fits: Callable[[Node], bool]) -> bytearray:
+        """By place in ``order``: whether an element that fits is above. One pass, however deep the tree is."""
+        found = bytearray(len(self.order))
+        own = [fits(n) for n in self.order]
+        for n in self.order[1:]:
+            up = n.parent.at
+            found[n.at] = found[up] or own[up]
+        return found
 
     def next(self) -> Node | None:
         """The next element beside this one."""
-        beside = [c for c in self.parent.children if isinstance(c, Node)] if self.parent else []
-        k = next((i for i, n in enumerate(beside) if n is self), len(beside))
-        return beside[k + 1] if k + 1 < len(beside) else None
+        beside = self.parent.elements if self.parent else []
+        return beside[self.place + 1] if self.place + 1 < len(beside) else None
+
+    def close(self) -> None:
+        """Say where each element ends, once all are there."""
+        for n in reversed(self.order):
+            n.end = n.elements[-1].end if n.elements else n.at + 1
 
 
 class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("", {}, None)
+        self.open: Counter[str] = Counter()
+
+    def leave(self, to: Node) -> None:
+        """Close what is open below ``to``."""
+        while self.at is not to:
+            self.open[self.at.tag] -= 1
+            self.at = self.at.parent
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         ends, shields = _ENDS.get(tag, ((), ()))
-        node, last = self.at, None
-        while node.parent is not None and node.tag not in shields:
-            if node.tag in ends:
-                last = node
-            node = node.parent
-        if last is not None:
-            self.at = last.parent
+        if any(self.open[t] for t in ends):
+            node, last = self.at, None
+            while node.parent is not None and node.tag not in shields:
+                if node.tag in ends:
+                    last = node
+                node = node.parent
+            if last is not None:
+                self.leave(last.parent)
         held: dict[str, str] = {}
         for name, value in attrs:
             held.setdefault(name, value or "")
         node = Node(tag, held, self.at)
-        self.at.children.append(node)
         if tag not in VOID:
             self.at = node
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # a slash closes nothing but void elements
 
     def handle_endtag(self, tag: str) -> None:
+        if not self.open[tag]:
+            return
         node = self.at
-        while node.parent is not None and node.tag != tag:
+        while node.tag != tag:
             node = node.parent
-        if node.parent is not None:
-            self.at = node.parent
+        self.leave(node.parent)
 
     def handle_data(self, data: str) -> None:
         self.at.children.append(data)
@@ -109,4 +133,5 @@ def parse(html: str) -> Node:
     builder = _Builder()
     builder.feed(html)
     builder.close()
+    builder.root.close()
     return builder.root

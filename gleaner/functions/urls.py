@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..catalog import SECTIONS
+from ..catalog import BINARY, SECTIONS
 
 
 def host_of(url: Column) -> Column:
@@ -72,3 +72,19 @@ def resolved(rows: DataFrame, href: Column, page: Column, to: str) -> DataFrame:
     bare = F.when(of("root"), of("found")).otherwise(F.regexp_replace(of("found"), "/$", ""))
     # behind a generator, or conditions on the result would be moved below with all of its steps inside
     return rows.select("*", F.explode(F.array(F.when(of("whole").rlike("(?i)^https?://"), bare).otherwise(of("whole")))).alias(to)).drop(step)
+
+
+def slug_of(path: Column) -> Column:
+    """A file name of a path: without slashes at its ends, with dashes for those inside, without an ending; ``index`` for the root."""
+    bare = F.replace(F.regexp_replace(path, "^/+|/+$", ""), F.lit("/"), F.lit("-"))
+    return F.regexp_replace(F.when(bare == "", "index").otherwise(bare), r"\.[^.]+$", "")
+
+
+def with_https(url: Column) -> Column:
+    """The address with https, whatever it came with."""
+    return F.when(url.startswith("http://"), F.concat(F.lit("https://"), F.substr(url, F.lit(8)))).when(url.startswith("https://"), url).otherwise(F.concat(F.lit("https://"), url))
+
+
+def is_binary(url: Column) -> Column:
+    """Whether an address names a file that a crawl leaves out."""
+    return url.rlike(BINARY)

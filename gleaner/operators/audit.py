@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import catalog
 from ..functions import scores, text, urls
-from . import extract
+from ..sources.scratch import checkpointed
+from . import extract, sites
 from .files import as_items, column_of, file_items, texts_of_files
 from .records import ordered
 
@@ -153,17 +153,26 @@ def clusters(inbound: DataFrame, addresses: DataFrame) -> DataFrame:
     return rows.groupBy("site").agg(F.count_if(pillar).alias("pillars"), F.count_if(pillar & (c("page.words") > 500) & (c("page.out") >= 3)).alias("rich_pillars"), (F.max("most") > 1.5 * F.max("mean")).alias("varied_links"))
 
 
-def site_facts(rows: DataFrame, files: DataFrame, outbound: DataFrame | None = None, redirects: DataFrame | None = None, mobile: DataFrame | None = None, speed: DataFrame | None = None, brand: DataFrame | None = None, as_of: str = "2024-06-01") -> DataFrame:
+def site_facts(
+    rows: DataFrame, files: DataFrame, outbound: DataFrame | None = None, redirects: DataFrame | None = None, mobile: DataFrame | None = None, speed: DataFrame | None = None,
+    brand: DataFrame | None = None, statuses: DataFrame | None = None, as_of: str = "2024-06-01",
+) -> DataFrame:
     """One row for each site with pages: every number that items and scores are made of.
 
-    ``files(site, name, content)``; ``outbound(site, url, status)`` and ``redirects(site, url, status)``, checked links;
+    ``files(site, name, content)``; ``statuses(url, status)``, what probes found at addresses, which are joined back to the sites' links, or
+    ``outbound(site, url, status)`` and ``redirects(site, url, status)``, links already joined;
     ``mobile(site, accessible, has_viewport, viewport_content, content_ratio, images, responsive_ratio, other_issues)``;
     ``speed(site, performance)``; ``brand(site, brand)``. What isn't given was not looked at.
     """
-    facts = page_facts(rows).persist(StorageLevel.MEMORY_AND_DISK)  # read for each thing that pages share
+    about = F.lower(urls.path_of(c("url"))).rlike("/(about|contact|team)")
+    # written once and read for each thing that pages share, without markup and, but for pages about the site, without texts
+    facts = checkpointed(page_facts(rows).withColumn("body", F.when(about, c("body"))).drop("html", "microdata", "rdfa", "navigation", "json_ld_texts"))
     wide = _sums(facts, as_of).join(texts_of_files(files), "site", "left").join(extract.site_identity(facts), "site", "left")
     for part in _shared(facts):
         wide = wide.join(part, "site", "left")
+    if statuses is not None:
+        outbound = sites.probed_links(facts, "external", statuses)
+        redirects = sites.probed_links(facts, "internal", statuses).where(c("status").isin(301, 302, 307, 308))
     checked = lambda df, bad, a, b: df.groupBy("site").agg(F.count("*").alias(a), F.count_if(bad).alias(b))
     given = [
         (outbound, lambda d: checked(d, (c("status") >= 400) | (c("status") == 0), "out_checked", "out_broken"), ("out_checked", "out_broken")), (redirects, lambda d: checked(d, c("status").isin(302, 307), "moved", "moved_away"), ("moved", "moved_away")),

@@ -26,15 +26,17 @@ def _cap(x: Column, most: int = 100) -> Column:
     return F.least(F.lit(most), x)
 
 
-def dimensions(rows: DataFrame, has_tables: Column | None = None, has_figures: Column | None = None) -> DataFrame:
-    """``passage, words`` -> the five dimensions from 0 to 100 and their weighted ``overall``."""
+def dimensions(rows: DataFrame, has_tables: Column | None = None, has_figures: Column | None = None, answers: Column | None = None) -> DataFrame:
+    """``passage, words`` -> the five dimensions from 0 to 100 and their weighted ``overall``. ``answers``: whether the passage answers a question
+    of its page, see :func:`question_matches`."""
     p, n = F.col("passage"), F.col("words")
     definitive = tuple("(?i)" + text.bounded(x) for x in catalog.DEFINITIVE)
     any_of = lambda c: _hits(c, definitive) > 0
     first = F.regexp_extract(p, "^[^.!?]+[.!?]", 0)
     short = text.tokens_split(first).between(5, 30) & (first != "")
     lead = F.array_join(F.slice(F.split(p, f"{text.SPACE}+"), 1, 60), " ")
-    answer = _cap(_cap(_hits(p, definitive) * 15, 40) + _points((short, 15), (short & any_of(first), 15), (any_of(lead), 10)))
+    asked = F.lit(False) if answers is None else answers
+    answer = _cap(_cap(_hits(p, definitive) * 15, 40) + _points((short, 15), (short & any_of(first), 15), (asked, 20), (any_of(lead), 10)))
     alone = 100 + _points(
         (p.rlike(rf"(?i)^\s*(?:{catalog.DEPENDENT})(?![A-Za-z0-9_])"), -30), (p.rlike(r"(?i)^\s*(?:it|this|that|these|those|they|he|she)\s"), -15), (n < 25, -15), (~p.rlike("[.!?]"), -20), (~p.rlike(r"[.!?:]\s*$"), -10), (p.rlike("[:;]"), 10)
     )
@@ -67,3 +69,65 @@ def weakest(docs: DataFrame, *keep: str, separator: str = r"\n\s*\n", most: int
     rows = dimensions(passages(docs, *keep, separator=separator)).where("overall < 50")
     order = Window.partitionBy(*keep).orderBy("overall", F.desc("place"))
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select(*keep, "rank", "place", "overall")
+
+
+def question_terms(headings: DataFrame, *keys: str) -> DataFrame:
+    """``keys, question, term, copies, terms``: words over three characters of headings that end with a question mark, in lower case, how often
+    each is there and how many the heading has. ``headings(keys, question, heading)``; ``question`` numbers a text's headings."""
+    asked = headings.where(F.rtrim(F.trim("heading")).endswith("?"))
+    words = F.filter(text.words(F.regexp_replace("heading", "[?'\"]", "")), lambda w: F.length(w) > 3)
+    rows = asked.select(*keys, "question", words.alias("words")).where(F.size("words") > 0)
+    each = rows.select(*keys, "question", F.size("words").alias("terms"), F.explode("words").alias("term"))
+    return each.groupBy(*keys, "question", "terms", F.lower("term").alias("term")).agg(F.count("*").alias("copies"))
+
+
+def question_matches(found: DataFrame, headings: DataFrame, *keys: str) -> DataFrame:
+    """``keys, place, question, matched, terms``: which passages speak to which question of their text: at least half of the question's terms are
+    somewhere in the passage, inside of words too. ``found(keys, place, passage)``.
+
+    Passages aren't compared with questions. Each text's different words are met with its different terms, once for all passages and all
+    questions; a term holds no blank, so it is in a passage if it is in one of its words. Pairs are then counted from the words' places.
+    """
+    terms = question_terms(headings, *keys)
+    with_questions = terms.select(*keys).distinct()
+    words = found.join(with_questions, list(keys), "left_semi").select(*keys, "place", F.explode(F.array_distinct(text.words(F.lower("passage")))).alias("word"))
+    places = words.groupBy(*keys, "word").agg(F.collect_list("place").alias("places"))
+    held = places.join(terms.select(*keys, "term").distinct(), list(keys)).where(F.col("word").contains(F.col("term")))
+    index = held.select(*keys, "term", F.explode("places").alias("place")).distinct()
+    sums = index.join(terms, [*keys, "term"]).groupBy(*keys, "place", "question", "terms").agg(F.sum("copies").alias("matched"))
+    return sums.where(F.col("matched") / F.col("terms") >= 0.5).select(*keys, "place", "question", "matched", "terms")
+
+
+def scored(docs: DataFrame, headings: DataFrame | None, key: str, separator: str = r"\n\s*\n", has_tables: str | None = None, has_figures: str | None = None) -> DataFrame:
+    """Every passage with its dimensions, ``overall`` and ``advice``. ``docs(key, text)``, and flags by the names given; ``headings(key, question,
+    heading)``."""
+    more = [c for c in (has_tables, has_figures) if c]
+    rows = passages(docs, key, *more, separator=separator)
+    flag = lambda c: F.col(c) if c else None
+    if headings is None:
+        return with_advice(dimensions(rows, flag(has_tables), flag(has_figures)))
+    answered = question_matches(rows.select(key, "place", "passage"), headings, key).select(key, "place").distinct().withColumn("answers", F.lit(True))
+    rows = rows.join(answered, [key, "place"], "left")
+    return with_advice(dimensions(rows, flag(has_tables), flag(has_figures), F.coalesce("answers", F.lit(False))).drop("answers"))
+
+
+def with_advice(rows: DataFrame) -> DataFrame:
+    """The rows of :func:`dimensions` with ``advice``: what would make a passage under 70 better, null if nothing."""
+    told = [F.when(F.col(c) < least, F.lit(advice)) for c, least, advice in catalog.ADVICE]
+    n = F.col("words").cast("string")
+    size = F.when(F.col("words") < 100, F.concat(F.lit("Expand to 134-167 words (currently "), n, F.lit(")"))).when(F.col("words") > 200, F.concat(F.lit("Split into focused passages of 134-167 words (currently "), n, F.lit(")")))
+    parts = F.filter(F.array(*told, size), lambda x: x.isNotNull())
+    return rows.withColumn("advice", F.when((F.col("overall") < 70) & (F.size(parts) > 0), F.concat(F.array_join(parts, ". "), F.lit("."))))
+
+
+def page_citability(rows: DataFrame, key: str) -> DataFrame:
+    """``key, passages, high, coverage, score`` and the rounded mean of each dimension, of the rows of :func:`scored`."""
+    means = [scores.half_up(F.avg(c)).alias(c) for c in catalog.CITABILITY]
+    high = F.count_if(F.col("overall") >= 70)
+    return rows.groupBy(key).agg(F.count("*").alias("passages"), high.alias("high"), (high / F.count("*")).alias("coverage"), scores.half_up(F.avg("overall")).alias("score"), *means)
+
+
+def best(rows: DataFrame, key: str, most: int = 5) -> DataFrame:
+    """The first passages of each text by ``overall``, earlier ones first among equals: ``key, rank, place, overall, words, advice``."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("overall"), "place"))
+    return rows.select(key, "place", "overall", "words", "advice").withColumn("rank", rank).where(F.col("rank") <= most).select(key, "rank", "place", "overall", "words", "advice")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .. import catalog
-from ..functions import addresses, urls
+from ..functions import addresses, markdown, urls
 from ..functions.dom import Node, parse
 
 _PAIR = lambda a, b: f"array<struct<{a}:string,{b}:string>>"
@@ -80,7 +80,8 @@ def _meta(root: Node, url: str, html: str) -> dict:
 
 
 def _bio(root: Node) -> str | None:
-    by_author = root.first(lambda n: n.get("itemprop") == "description" and n.inside(lambda p: p.get("itemprop") == "author"))
+    under = root.under(lambda p: p.get("itemprop") == "author")
+    by_author = root.first(lambda n: n.get("itemprop") == "description" and under[n.at])
     for node in (by_author, root.first(lambda n: "author-bio" in n.get("class").split())):
         if len(_trim(node)) > 10:
             return _trim(node)
@@ -92,7 +93,8 @@ def _bio(root: Node) -> str | None:
 
 def _faq(root: Node) -> list[dict]:
     found: list[tuple[str, str]] = []
-    for n in root.all(lambda n: "Question" in n.get("itemtype") and n.inside(_has("itemtype", "FAQPage"))):
+    under = root.under(_has("itemtype", "FAQPage"))
+    for n in root.all(lambda n: "Question" in n.get("itemtype") and under[n.at]):
         joined = lambda *names: "".join(x.text() for x in n.all(lambda x: x.get("itemprop") in names)).strip()  # noqa: E731, B023
         found.append((joined("name"), joined("acceptedAnswer", "text")))
     for n in root.all("details"):
@@ -102,7 +104,8 @@ def _faq(root: Node) -> list[dict]:
         after = n.next()
         if _trim(n).endswith("?") and after is not None and after.tag in ("p", "div") and len(_trim(after)) > 20:
             found.append((_trim(n), _trim(after)))
-    for n in root.all(lambda n: n.tag == "dt" and n.inside(lambda p: p.tag == "dl")):
+    listed = root.under(lambda p: p.tag == "dl")
+    for n in root.all(lambda n: n.tag == "dt" and listed[n.at]):
         after = n.next()
         found.append((_trim(n), _trim(after) if after is not None and after.tag == "dd" else ""))
     first: dict[str, str] = {}
@@ -126,13 +129,14 @@ def _citations(root: Node, body: str) -> dict:
 
 
 def _content(root: Node) -> dict:
-    chosen = [n for n in root.walk() if _main(n) and n.tag not in _CUT and not n.inside(lambda p: p.tag in _CUT)]
+    cut, main = root.under(lambda p: p.tag in _CUT), root.under(_main)
+    chosen = [n for n in root.walk() if _main(n) and n.tag not in _CUT and not cut[n.at]]
     text = "".join(n.text(_CUT) for n in chosen)
     if len(text.strip()) < 50:
         page = root.first("body")
         text = (page.text(_CUT) if page else "") or root.text(_CUT)
     body = _SPACE.sub(" ", text).strip()
-    lists = [[t for t in (_trim(c) for c in n.children if isinstance(c, Node) and c.tag == "li") if t] for n in root.all("ul ol") if n.inside(_main)]
+    lists = [[t for t in (_trim(c) for c in n.children if isinstance(c, Node) and c.tag == "li") if t] for n in root.all("ul ol") if main[n.at]]
     tables = [[[_trim(c) for c in row.all("th td")] for row in n.all("tr")] for n in root.all("table")]
     tables = [[row for row in t if row] for t in tables]
     return {
@@ -153,13 +157,14 @@ def _links(root: Node, url: str) -> dict:
 def _places(root: Node, url: str) -> dict:
     def within(tag: str) -> list[dict]:
         found: dict[str, str] = {}
-        for n in root.all(lambda n: n.tag == "a" and n.inside(lambda p: p.tag == tag)):
+        under = root.under(lambda p: p.tag == tag)
+        for n in root.all(lambda n: n.tag == "a" and under[n.at]):
             if _trim(n) and n.get("href") and (target := addresses.normalize(n.get("href"), url)):
                 found.setdefault(target, _trim(n))
         return [{"text": t, "url": u} for u, t in found.items()]
 
-    crumbs = []
-    for n in root.all(lambda n: "ListItem" in n.get("itemtype") and n.inside(_has("itemtype", "BreadcrumbList"))):
+    crumbs, under = [], root.under(_has("itemtype", "BreadcrumbList"))
+    for n in root.all(lambda n: "ListItem" in n.get("itemtype") and under[n.at]):
         name = "".join(x.text() for x in n.all(lambda x: x.get("itemprop") == "name")).strip()
         item = n.first(lambda x: x.get("itemprop") == "item")
         if name:
@@ -235,8 +240,9 @@ def _identity(root: Node, url: str, html: str, parsed: list, meta: dict) -> dict
         if isinstance(x, dict) and x.get("logo"):
             logo = x["logo"] if isinstance(x["logo"], str) else x["logo"].get("url") if isinstance(x["logo"], dict) else None
     image = lambda fits: next((n.get("src") for n in root.all(lambda n: n.tag == "img" and fits(n))[:1]), "")
+    linked, boxed, headed = root.under(lambda p: p.tag == "a" and "logo" in p.get("class")), root.under(_has("class", "logo")), root.under(lambda p: p.tag == "header")
     logos = (
-        lambda n: n.inside(lambda p: p.tag == "a" and "logo" in p.get("class")), lambda n: n.inside(_has("class", "logo")), lambda n: n.inside(lambda p: p.tag == "header") and "logo" in n.get("alt").lower(), _has("class", "logo"), _has("id", "logo"),
+        lambda n: linked[n.at], lambda n: boxed[n.at], lambda n: headed[n.at] and "logo" in n.get("alt").lower(), _has("class", "logo"), _has("id", "logo"),
     )
     hrefs = [n.get("href") for n in root.all("a") if "href" in n.attrs]
     page = root.first("body")
@@ -269,29 +275,57 @@ def _identity(root: Node, url: str, html: str, parsed: list, meta: dict) -> dict
     }
 
 
-def record(html: str | None, url: str | None) -> dict:
-    """All of :data:`FIELDS` of one page."""
+def _group(*names: str) -> frozenset[str]:
+    return frozenset(names)
+
+
+_META_FIELDS = _group(*list(FIELDS)[: list(FIELDS).index("headings")])
+_CONTENT_FIELDS = _group("headings", "body", "words", "faq", "lists", "tables", "statistics", "sources", "quotes")
+_PLACE_FIELDS, _LINK_FIELDS, _DATA_FIELDS = _group("navigation", "breadcrumbs", "images"), _group("internal", "external"), _group("json_ld", "microdata", "rdfa", "schema")
+
+
+def record(html: str | None, url: str | None, fields: frozenset[str] = frozenset(FIELDS)) -> dict:
+    """Fields of one page, and others of :data:`FIELDS` that come with them."""
     html, url = html or "", url or ""
-    root = parse(html)
-    parsed, meta = _parsed(root), _meta(root, url, html)
-    return meta | _content(root) | _links(root, url) | _places(root, url) | _structured(root, parsed) | {"identity": _identity(root, url, html, parsed, meta)}
+    root, out = parse(html), {}
+    if fields & (_META_FIELDS | {"identity"}):
+        out |= _meta(root, url, html)
+    if fields & _CONTENT_FIELDS:
+        out |= _content(root)
+    if fields & _LINK_FIELDS:
+        out |= _links(root, url)
+    if fields & _PLACE_FIELDS:
+        out |= _places(root, url)
+    if fields & (_DATA_FIELDS | {"identity"}):
+        parsed = _parsed(root)
+        out |= _structured(root, parsed)
+        if "identity" in fields:
+            out["identity"] = _identity(root, url, html, parsed, out)
+    if "markdown" in fields:
+        out["markdown"] = markdown.of_page(root)
+    return out
+
 
+def records(pages: DataFrame, *fields: str, html: str = "html", url: str = "url") -> DataFrame:
+    """The rows of ``pages`` with these fields of their records, or with all but ``markdown``; columns of those names are replaced.
 
-def records(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """The rows of ``pages`` with the fields of their records; columns of those names are replaced."""
+    Only what the fields need is looked for. The tree of a page is gone before the next one's is built.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    kept = pages.drop(*FIELDS)
-    schema = StructType([*kept.schema.fields, *StructType.fromDDL(", ".join(f"{n} {t}" for n, t in FIELDS.items())).fields])
+    names = list(fields) or list(FIELDS)
+    kinds, wanted = FIELDS | {"markdown": "string"}, frozenset(names)
+    kept = pages.drop(*names)
+    schema = StructType([*kept.schema.fields, *StructType.fromDDL(", ".join(f"{n} {kinds[n]}" for n in names)).fields])
     arrow, others = to_arrow_schema(schema), kept.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 64):  # records are larger than pages
                 part = batch.slice(a, 64)
-                rows = [record(h, u) for h, u in zip(part.column(html).to_pylist(), part.column(url).to_pylist())]
-                fields = [pa.array([r[n] for r in rows], arrow.field(n).type) for n in FIELDS]
-                yield pa.RecordBatch.from_arrays([*(part.column(n).cast(arrow.field(n).type) for n in others), *fields], schema=arrow)
+                rows = [record(h, u, wanted) for h, u in zip(part.column(html).to_pylist(), part.column(url).to_pylist())]
+                found = [pa.array([r[n] for r in rows], arrow.field(n).type) for n in names]
+                yield pa.RecordBatch.from_arrays([*(part.column(n).cast(arrow.field(n).type) for n in others), *found], schema=arrow)
 
     return kept.mapInArrow(run, schema)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import catalog
 from ..functions import scores
+from ..functions.variants import parsed
 from . import robots
 
 
@@ -19,7 +20,7 @@ def accepted(name: Column, content: Column) -> Column:
     fits = (
         F.when(name == "sitemap.xml", content.contains("<urlset") | content.contains("<sitemapindex"))
         .when(name == "BingSiteAuth.xml", content.contains("<users") | content.contains("<access-token"))
-        .when(name.endswith(".json"), F.try_parse_json(content).isNotNull())
+        .when(name.endswith(".json"), parsed(content).isNotNull())
         .otherwise(~page)
     )
     return F.when(fits, content)
@@ -67,10 +68,10 @@ def file_items() -> dict[str, tuple[Column, Column]]:
     llms = F.when(f("llms.txt") == "", 0).otherwise(40 + 15 * sum(marks[1:], marks[0]))
     both = there("ai.txt") + there("ai.json")
     true = lambda json, path: (~F.coalesce(F.try_variant_get(json, path, "string"), F.lit("")).isin("", "false", "0", "null")).cast("int")
-    card = F.try_parse_json(f("agent-card.json"))
+    card = parsed(f("agent-card.json"))
     fields = sum((p * true(card, f"$.{k}") for k, p in catalog.AGENT_CARD[1:]), catalog.AGENT_CARD[0][1] * true(card, f"$.{catalog.AGENT_CARD[0][0]}"))
     agent_card = F.when(f("agent-card.json") == "", 0).when(card.isNull(), 10).otherwise(30 + fields)
-    agents = F.try_parse_json(f("agents.json"))
+    agents = parsed(f("agents.json"))
     inner = F.coalesce(F.try_variant_get(agents, "$[0]", "variant"), F.try_variant_get(agents, "$.agents[0]", "variant"))
     said = sum((true(inner, f"$.{k}") for k in ("endpoint", "url")), true(inner, "$.description"))
     agents_json = F.when(f("agents.json") == "", 0).when(agents.isNull(), 10).otherwise(40 + F.when(inner.isNull(), 0).otherwise(30 + 15 * true(inner, "$.name") + F.when(said > 0, 15).otherwise(0)))

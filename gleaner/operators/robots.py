@@ -48,9 +48,11 @@ def robots_rules(files: DataFrame) -> DataFrame:
 
 
 def kept_disallows(rules: DataFrame) -> DataFrame:
-    """``site, agent, path``: what a new robots.txt keeps of an old one, each path once; rules of known crawlers are made anew."""
+    """``site, agent, path, line``: what a new robots.txt keeps of an old one, each path once, with the first line it stands in; rules of known
+    crawlers are made anew."""
     known = [b.lower() for b in catalog.AI_CRAWLERS]
-    return rules.where((F.col("directive") == "disallow") & ~F.col("agent").isin(known)).select("site", "agent", F.trim("path").alias("path")).distinct()
+    rows = rules.where((F.col("directive") == "disallow") & ~F.col("agent").isin(known))
+    return rows.groupBy("site", "agent", F.trim("path").alias("path")).agg(F.min("line").alias("line"))
 
 
 def closed_to(content: Column) -> Column:

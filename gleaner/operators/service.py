@@ -24,16 +24,6 @@ def triage(items: DataFrame) -> DataFrame:
     return items.where(_OPEN).where("category <> 'non_scored'").select("site", "name", kind.alias("kind"))
 
 
-def gaps(items: DataFrame) -> DataFrame:
-    """``site, component, kind``: well-known files that are missing, and what is there but incomplete. A component without an item is missing."""
-    files = items.sparkSession.createDataFrame([(k, n, True) for k, n in enumerate(catalog.GAP_FILES)] + [(100 + k, n, False) for k, n in enumerate(catalog.GAP_SETTINGS)], "place int, name string, is_file boolean")
-    every = items.select("site").distinct().crossJoin(F.broadcast(files))  # a fixed list of 13
-    rows = every.join(items.select("site", "name", "status", "score"), ["site", "name"], "left")
-    missing = F.col("is_file") & (F.col("status").isNull() | ((F.col("status") != "pass") & (F.col("score") == 0)))
-    kind = F.when(missing, "missing").when(F.col("status").isNotNull() & (F.col("status") != "pass"), "incomplete")
-    return rows.select("site", "place", F.col("name").alias("component"), kind.alias("kind")).where("kind IS NOT NULL")
-
-
 def side_by_side(before: DataFrame, after: DataFrame) -> DataFrame:
     """Two audits of the same items by their place: who has to act, or that all is well."""
     a, b = (d.select("site", "seq", "name", F.col("score").alias(s)) for d, s in ((before, "before"), (after, "after")))

@@ -30,6 +30,13 @@ def link_sources(pages: DataFrame, links: str = "external", most: int = 250) ->
     return grouped.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).select("site", "target", "sources", F.col("first.page_id").alias("first_page"))
 
 
+def probed_links(pages: DataFrame, links: str, statuses: DataFrame, most: int = 250) -> DataFrame:
+    """``site, url, status, sources, first_page``: the targets of :func:`link_sources` that a probe has looked at. ``statuses(url, status)``; 0 stands for
+    no answer."""
+    found = link_sources(pages, links, most).withColumnRenamed("target", "url")
+    return found.join(statuses.select("url", "status").dropDuplicates(["url"]), "url").select("site", "url", "status", "sources", "first_page")
+
+
 def compressed(pages: DataFrame, probed: DataFrame) -> DataFrame:
     """Headers with the content encoding that a probe of the site saw, on pages that tell none. ``probed(site, encoding)``."""
     known = F.col("headers")["content-encoding"].isNull() & F.col("encoding").isNotNull()
@@ -66,60 +73,6 @@ def brand_scores(counts: DataFrame) -> DataFrame:
     return rows.withColumn("brand", F.floor(weighed / 100 + F.lit(0.5)).cast("int"))
 
 
-# --- what a site is about
-
-
-def _firsts(pages: DataFrame, value: Column, most: int, name: str) -> DataFrame:
-    """The first distinct values of an array column of each site's pages, in order; no site's values are gathered before they are few."""
-    seen = pages.select("site", "page_id", F.posexplode(value).alias("place", "x")).groupBy("site", "x").agg(F.min(F.struct("page_id", "place")).alias("first"))
-    few = seen.withColumn("r", F.row_number().over(Window.partitionBy("site").orderBy("first"))).where(F.col("r") <= most)
-    return few.groupBy("site").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "x"))), lambda s: s["x"]).alias(name))
-
-
-def business_context(pages: DataFrame) -> DataFrame:
-    """``site, language, description, keywords, industry, country``: what a site's pages say of it, the first that says something."""
-    first = lambda c, when: F.min_by(c, F.when(when, F.col("page_id")))
-    told = pages.groupBy("site").agg(
-        F.coalesce(first(F.col("language"), _there(F.col("language"))), F.lit("en")).alias("language"),
-        F.coalesce(first(F.col("description"), F.length("description") > 20), F.min_by(F.substring("body", 1, 200), "page_id"), F.lit("")).alias("description"),
-        first(F.get(F.filter("schema.types", lambda t: ~t.isin("WebSite", "WebPage", "Organization", "BreadcrumbList")), F.lit(0)), F.exists("schema.types", lambda t: ~t.isin("WebSite", "WebPage", "Organization", "BreadcrumbList"))).alias("type"),
-    )
-    heads = F.transform(F.filter("headings", lambda h: (h["level"] <= 2) & F.length(h["text"]).between(4, 59)), lambda h: F.lower(h["text"]))
-    words = F.concat(F.transform("keywords", lambda k: F.lower(F.trim(k))), heads)
-    rows = told.join(_firsts(pages, words, 20, "keywords"), "site", "left")
-    label = F.element_at(F.split("site", r"\."), -1)
-    industry = F.coalesce("type", F.get("keywords", F.lit(0)), F.lit("general"))
-    return rows.select("site", "language", "description", F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"), industry.alias("industry"), F.when(~label.isin(*catalog.GENERIC_DOMAINS), label).alias("country"))
-
-
-def important_pages(pages: DataFrame, most: int = 10) -> DataFrame:
-    """The first pages of each site that are worth a query of their own."""
-    rows = pages.withColumn("section", urls.section_of(F.col("url"))).where(~F.col("section").isin("Main", "Legal", "Careers", "Changelog") & (F.col("words") >= 100) & (F.length("title") >= 5))
-    heading = F.get(F.filter("headings", lambda h: h["level"] <= 2), F.lit(0))["text"]
-    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("site").orderBy("page_id"))).where(F.col("place") <= most)
-    return rows.select("site", "place", "page_id", "url", "section", "title", heading.alias("heading"))
-
-
-def page_queries(pages: DataFrame, names: DataFrame, most: int = 10) -> DataFrame:
-    """``site, place, url, query``: what people may ask about each important page. ``names(site, name, industry)``."""
-    rows = important_pages(pages, most).join(names, "site")
-    low, name = F.lower("title"), F.col("name")
-    say = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
-    headed = _there(F.col("heading"))
-    query = (
-        F.when(F.col("section") == "Services", say("what does ", name, " offer for ", low, " and is it worth it"))
-        .when(F.col("section") == "Products", say(F.col("title"), " by ", name, " review and alternatives"))
-        .when((F.col("section") == "Blog") & headed, say("explain ", F.lower("heading"), " in detail"))
-        .when(F.col("section") == "Blog", say(low, " guide and best practices"))
-        .when((F.col("section") == "Documentation") & headed, say("how to ", F.lower("heading"), " with ", name))
-        .when(F.col("section") == "Documentation", say(name, " ", low, " documentation and examples"))
-        .when(F.col("section") == "Examples", say(name, " ", low, " examples and use cases"))
-        .when(F.col("section") == "About", say("who is ", name, " and what is their background in ", F.col("industry")))
-        .otherwise(say(name, " ", low, " detailed information"))
-    )
-    return rows.select("site", "place", "url", query.alias("query"))
-
-
 # --- files
 
 
@@ -150,30 +103,113 @@ def llms_txt(pages: DataFrame, names: DataFrame) -> DataFrame:
     return body.join(names, "site").select("site", F.concat(F.lit("# "), F.col("name"), F.lit("\n"), quote, F.col("content"), F.lit("\n")).alias("content"))
 
 
-def robots_txt(sites: DataFrame, kept: DataFrame, training: bool = True) -> DataFrame:
-    """``site, content``: rules for every known crawler and all others, with what ``kept(site, agent, path)`` keeps of the old file."""
-    rules = lambda agent: F.coalesce(F.array_join(F.transform(F.array_sort(F.collect_set(F.when(F.col("agent") == agent, F.col("path")))), lambda p: F.concat(F.lit("\nDisallow: "), p)), ""), F.lit(""))
-    standard = ("Googlebot", "Bingbot", "Applebot")
-    old = kept.groupBy("site").agg(rules("*").alias("everyone"), *(rules(a.lower()).alias(a) for a in standard))
-    rows = sites.join(old, "site", "left").fillna("", ["everyone", *standard])
-    part = lambda agent, after: F.concat(F.lit(f"User-agent: {agent}\n"), after, F.lit("\n"))
-    allowed = lambda more: F.concat(F.lit("Allow: /"), more)
-    parts = [part(a, allowed(F.col(a))) for a in standard] + [part(b, allowed(F.col("everyone"))) for b, use in catalog.CRAWLER_USE if use == "search"]
-    parts += [part(b, F.concat(allowed(F.col("everyone")) if training else F.lit("Disallow: /"), F.lit("\nCrawl-delay: 10"))) for b, use in catalog.CRAWLER_USE if use == "training"]
-    parts += [part("*", allowed(F.col("everyone"))), F.concat(F.lit("Sitemap: https://"), F.col("site"), F.lit("/sitemap.xml"))]
-    return rows.select("site", F.array_join(F.array(*parts), "\n").alias("content"))
-
-
-def policy_files(sites: DataFrame, now: str, training: bool = True) -> DataFrame:
-    """``site, name, content`` of security.txt, tdmrep.json, humans.txt, manifest.json and ai.json of each ``site, name, description, email``."""
-    expires = F.date_format(F.add_months(F.to_date(F.lit(now)), 12), "yyyy-MM-dd'T'00:00:00.000'Z'")
-    home = F.concat(F.lit("https://"), F.col("site"))
-    email = F.when(_there(F.col("email")), F.col("email")).otherwise(F.concat(F.lit("security@"), F.col("site")))
-    texts = {
-        "security.txt": F.concat(F.lit("Contact: mailto:"), email, F.lit("\nExpires: "), expires, F.lit("\nCanonical: "), home, F.lit("/.well-known/security.txt\n")),
-        "tdmrep.json": F.to_json(F.array(F.struct(F.lit("/").alias("location"), F.lit(0 if training else 1).alias("tdm-reservation")))),
-        "humans.txt": F.concat(F.lit("/* SITE */\nName: "), F.col("name"), F.lit("\nURL: "), home, F.lit("\n")),
-        "manifest.json": F.to_json(F.struct(F.col("name"), F.substring("name", 1, 12).alias("short_name"), F.col("description"), F.lit("/").alias("start_url"))),
-        "ai.json": F.to_json(F.struct(F.col("name"), home.alias("url"), F.struct(F.lit(training).alias("training"), F.lit(True).alias("search")).alias("permissions"))),
-    }
-    return sites.select("site", F.inline(F.array(*(F.struct(F.lit(n).alias("file"), t.alias("content")) for n, t in texts.items()))))
+def robots_txt(sites: DataFrame, kept: DataFrame, now: str, training: bool = True) -> DataFrame:
+    """``site, content``: rules for every known crawler and all others, with what ``kept(site, agent, path, line)`` keeps of the old file, in the
+    order in which it stood there."""
+    disallowed = F.transform(F.array_sort(F.collect_list(F.struct("line", "path"))), lambda r: F.concat(F.lit("Disallow: "), r["path"]))
+    old = kept.where(F.col("agent").isin("*", "googlebot", "bingbot", "applebot")).groupBy("site", "agent").agg(disallowed.alias("rules"))
+    held = old.groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("agent", "rules"))).alias("old"))
+    rows = sites.join(held, "site", "left")
+    rules = lambda agent: F.coalesce(F.element_at("old", agent), F.array().cast("array<string>"))
+    lines = lambda *told: F.array(*(F.lit(t) if isinstance(t, str) else t for t in told))
+    home, everyone = F.concat(F.lit("https://"), F.col("site")), rules("*")
+    noted = F.when(F.size(everyone) > 0, lines("# NOTE: Existing Disallow rules from original robots.txt have been preserved")).otherwise(F.array().cast("array<string>"))
+    note = lambda b: f"# {catalog.CRAWLER_OWNERS[b][0]} — {catalog.CRAWLER_OWNERS[b][1]}"
+    # fixed values: wording and order of the file
+    parts = [
+        lines("# robots.txt", F.concat(F.lit("# Site: "), home), f"# Generated: {now[:10]}", "#", "# AI Crawler Directives", f"# Training data access: {'ALLOWED' if training else 'DENIED'}"),
+        noted, lines("", "# Standard Search Engines"),
+    ]
+    for agent in ("Googlebot", "Bingbot", "Applebot"):
+        parts += [lines(f"User-agent: {agent}", "Allow: /"), rules(agent.lower()), lines("")]
+    rule = "# " + "=" * 36
+    parts.append(lines(rule, "# AI / LLM Crawler Directives", rule, "", "# AI Search & Retrieval (recommended: allow for visibility)"))
+    for bot in (b for b, use in catalog.CRAWLER_USE if use == "search"):
+        parts += [lines(note(bot), f"User-agent: {bot}", "Allow: /"), everyone, lines("")]
+    parts.append(lines(f"# AI Training Crawlers ({'allowed' if training else 'denied'})"))
+    for bot in (b for b, use in catalog.CRAWLER_USE if use == "training"):
+        parts += [lines(note(bot), f"User-agent: {bot}", "Allow: /" if training else "Disallow: /"), *([everyone] if training else []), lines("Crawl-delay: 10", "")]
+    parts += [lines("# Default: allow all other crawlers", "User-agent: *", "Allow: /"), everyone]
+    parts.append(lines("", F.concat(F.lit("Sitemap: "), home, F.lit("/sitemap.xml")), "", F.concat(F.lit("# LLMs.txt: "), home, F.lit("/llms.txt")), ""))
+    return rows.select("site", F.array_join(F.concat(*parts), "\n").alias("content"))
+
+
+def policy_files(sites: DataFrame, now: str, training: bool = True, contact: str | None = None) -> DataFrame:
+    """``site, file, content`` of ai.txt, ai.json, security.txt, tdmrep.json, humans.txt and manifest.json. ``sites`` has ``site, language, identity``
+    as the extractor gives it; JSON is written without blanks, and without what isn't known."""
+    i, site = F.col("identity"), F.col("site")
+    day, home = now[:10], F.concat(F.lit("https://"), site)
+    name = F.when(_there(i["name"]), i["name"]).otherwise(site)
+    own = F.lit(contact) if contact else F.when(_there(i["email"]), i["email"])
+    mail = lambda box: F.coalesce(own, F.concat(F.lit(f"{box}@"), site))
+    known = own.isNotNull()
+    expires = F.concat(F.date_format(F.add_months(F.to_date(F.lit(now)), 12), "yyyy-MM-dd"), F.lit("T00:00:00.000Z"))
+    text = lambda *parts: F.array_join(F.concat(*(p if isinstance(p, Column) else F.array(*(F.lit(x) if isinstance(x, str) else x for x in p)) for p in parts)), "\n")
+    say = lambda label, x: F.concat(F.lit(label), x)
+    no = F.array().cast("array<string>")
+    only = lambda when, *told: F.when(when, F.array(*(F.lit(t) if isinstance(t, str) else t for t in told))).otherwise(no)
+    copied = _there(i["copyright"])
+    # fixed values: wording, order and fields of the files
+    listed = lambda names: F.array(*map(F.lit, names))
+    restrictions = ["Content must be attributed when cited", "Do not misrepresent or fabricate content"] + ([] if training else ["Content may NOT be used for AI model training"])
+    organization = F.struct(name.alias("name"), home.alias("url"), mail("ai").alias("contact"), F.when(~known, F.lit(True)).alias("contact_placeholder"), F.when(copied, i["copyright"]).alias("copyright"))
+    uses = F.struct(F.lit(training).alias("training"), *(F.lit(True).alias(u) for u in ("inference", "search", "summarization", "citation", "embedding")))
+    resources = F.struct(*(F.concat(home, F.lit(p)).alias(k) for k, p in (("llmsTxt", "/llms.txt"), ("sitemap", "/sitemap.xml"), ("robotsTxt", "/robots.txt"))))
+    crawlers = F.struct(listed(catalog.SEARCH_LISTED).alias("allowed_search"), listed(catalog.TRAINING_LISTED).alias("allowed_training" if training else "denied_training"))
+    icon = lambda at, sizes: F.struct(at.alias("src"), F.lit(sizes).alias("sizes"), _image_type(at).alias("type"))
+    favicon, logo = (F.when(_there(i[c]), _seen_from(i[c], home)) for c in ("favicon", "logo"))
+    icons = F.filter(F.array(F.when(favicon.isNotNull(), icon(favicon, "48x48")), F.when(logo.isNotNull(), icon(logo, "192x192")), F.when(logo.isNotNull(), icon(logo, "512x512"))), lambda x: x.isNotNull())
+    types = ("text/html", "application/json", "text/plain", "text/markdown", "application/xml")
+    assurance = f"https://www.w3.org/2022/tdmrep/assurance#{'non-exclusive' if training else 'reserved'}"
+    denied = [] if training else ["- Content may NOT be used for AI model training", "- Content may NOT be included in training datasets"]
+    made = {
+        "ai.txt": text(
+            ("# AI Policy", say("# Organization: ", name), say("# URL: ", home), f"# Generated: {day}", "", "# Purpose: Define how AI systems may interact with this website's content"),
+            only(~known, "# TODO: Replace placeholder email below with your actual AI policy contact"),
+            ("", "## Permissions", "", f"Training: {'yes' if training else 'no'}", *(f"{u}: yes" for u in ("Inference", "Search", "Summarization", "Citation", "Embedding")), "", "## Restrictions", "", *denied),
+            ("- Content must be attributed when cited", "- Do not misrepresent or fabricate content from this site", "- Do not generate misleading summaries", "", "## Attribution", ""),
+            (say("Organization: ", name), say("URL: ", home), say("Contact: ", mail("ai"))), only(copied, say("Copyright: ", i["copyright"])),
+            ("", "## Resources", "", say("LLMs.txt: ", F.concat(home, F.lit("/llms.txt"))), say("Sitemap: ", F.concat(home, F.lit("/sitemap.xml"))), say("Robots.txt: ", F.concat(home, F.lit("/robots.txt"))), ""),
+        ),
+        "ai.json": F.to_json(F.struct(F.lit("1.0").alias("version"), F.lit(f"{day}T00:00:00.000Z").alias("generated"), organization.alias("organization"), uses.alias("permissions"), listed(restrictions).alias("restrictions"), resources.alias("resources"), crawlers.alias("crawlers"))),
+        "security.txt": text(
+            ("# Security Policy", say("# ", name), "#", "# This file follows RFC 9116 (https://www.rfc-editor.org/rfc/rfc9116)"), only(~known, "#", "# TODO: Replace the placeholder email below with your actual security contact"),
+            ("", say("Contact: mailto:", mail("security")), say("Expires: ", expires), "Preferred-Languages: en", say("Canonical: ", F.concat(home, F.lit("/.well-known/security.txt"))), ""),
+        ),
+        "tdmrep.json": F.to_json(F.struct(F.lit(1).alias("version"), F.array(F.struct(F.lit("/").alias("location"), F.lit(assurance).alias("assurance"), listed(types).alias("type"))).alias("policies"))),
+        "humans.txt": text(
+            ("/* TEAM */", say("  Name: ", name), F.concat(F.lit("  Contact: "), mail("hello"), F.when(known, "").otherwise("  # TODO: replace placeholder"))), only(_there(i["address"]), say("  Location: ", i["address"])),
+            ("", "/* TECHNOLOGY */"), F.when(F.size(i["tech"]) > 0, F.transform(i["tech"], lambda t: F.concat(F.lit("  "), t))).otherwise(F.array(F.lit("  HTML, CSS, JavaScript"))),
+            ("", "/* SITE */", f"  Last update: {day}", say("  Language: ", F.coalesce(F.nullif("language", F.lit("")), F.lit("en"))), "  Standards: HTML5, CSS3, JavaScript ES2022", ""),
+        ),
+        "manifest.json": F.to_json(F.struct(
+            name.alias("name"), F.substring(name, 1, 12).alias("short_name"), F.lit("/").alias("start_url"), F.lit("standalone").alias("display"), F.lit("#ffffff").alias("background_color"), F.lit("#000000").alias("theme_color"),
+            F.when(_there(i["tagline"]), i["tagline"]).alias("description"), F.when(F.size(icons) > 0, icons).alias("icons"),
+        )),
+    }
+    return sites.select("site", F.inline(F.array(*(F.struct(F.lit(n).alias("file"), t.alias("content")) for n, t in made.items()))))
+
+
+def _seen_from(link: Column, home: Column) -> Column:
+    return F.when(link.rlike("(?i)^[a-z][a-z0-9+.-]*:"), link).when(link.startswith("//"), F.concat(F.lit("https:"), link)).when(link.startswith("/"), F.concat(home, link)).otherwise(F.concat(home, F.lit("/"), link))
+
+
+def _image_type(at: Column) -> Column:
+    return F.when(at.endswith(".svg"), "image/svg+xml").when(at.endswith(".ico"), "image/x-icon").when(at.endswith(".webp"), "image/webp").otherwise("image/png")
+
+
+def llms_full(pages: DataFrame, names: DataFrame) -> DataFrame:
+    """``site, place, content``: the parts of each site's llms-full.txt in order: a head, then every page's title, address and Markdown, which is cut
+    at 100 KiB characters; pages with less than 20 of them have no part. Joined by line ends they are the file; a site's pages never meet in one
+    row, so a file may be of any size. ``pages`` have ``title, description, markdown``; ``names(site, name)``."""
+    heads = pages.groupBy("site").agg(F.count("*").alias("n")).join(names, "site", "left")
+    name = F.when(_there(F.col("name")), F.col("name")).otherwise(F.col("site"))
+    # fixed values: wording of the file
+    head = F.concat(F.lit("# "), name, F.lit(" — Complete Content\n\n> Full content of "), F.col("n").cast("string"), F.lit(" pages from "), F.col("site"), F.lit("\n\n---\n"))
+    most = 100 * 1024
+    body = F.when(F.length("markdown") > most, F.concat(F.substring("markdown", 1, most), F.lit("\n\n[Content truncated]"))).otherwise(F.col("markdown"))
+    title = F.when(_there(F.col("title")), F.col("title")).otherwise(F.col("url"))
+    told = F.when(_there(F.col("description")), F.concat(F.lit("\n**Description:** "), F.col("description"))).otherwise("")
+    part = F.concat(F.lit("## "), title, F.lit("\n\n**Source:** "), F.col("url"), told, F.lit("\n\n"), body, F.lit("\n\n---\n"))
+    rows = pages.where(F.length(F.trim("markdown")) >= 20).select("site", F.col("page_id").cast("long").alias("place"), part.alias("content"))
+    return heads.select("site", F.lit(-1).cast("long").alias("place"), head.alias("content")).unionByName(rows)

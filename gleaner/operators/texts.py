@@ -68,8 +68,7 @@ def snippet_check(docs: DataFrame, site: str) -> DataFrame:
 
 
 def statistics_found(docs: DataFrame, *keep: str) -> DataFrame:
-    """Figures in each text: percentages, multiples, money or scale words, ``n out of m``."""
-    number = r"[0-9]+(?:[.,][0-9]+)?"
-    patterns = (rf"{number}%", rf"{number}x(?![A-Za-z0-9_])", rf"\$?{number} (?:million|billion|trillion)", r"[0-9]+ (?:out of|of) [0-9]+")
-    found = F.array_distinct(F.concat(*(F.regexp_extract_all("text", F.lit(p), F.lit(0)) for p in patterns)))
-    return docs.select(*keep, found.alias("figures")).where(F.size("figures") > 0)
+    """Different figures in each text: percentages, multiples, money, ``n out of m``; texts without any are left out."""
+    ascii_edge = lambda p: p.replace(r"\b", "(?![A-Za-z0-9_])")
+    found = F.array_distinct(F.concat(*(F.regexp_extract_all("text", F.lit(ascii_edge(p)), F.lit(0)) for p in catalog.STATISTICS)))
+    return docs.select(*keep, F.transform(found, lambda x: F.trim(x)).alias("figures")).where(F.size("figures") > 0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import catalog
-from ..operators import robots, service, sites
+from ..operators import context, playbooks, robots, service, sites
 from ..sources.tables import table
 from . import rich
 from .sql import half_up_sql, quoted
@@ -29,34 +29,107 @@ _WORDS = f"len(list_filter(regexp_split_to_array(body, '{rich.WS}+'), lambda w:
 @_query(f"""WITH {_R}, k AS (SELECT site, d, url, coalesce(canonical, url) AS c FROM r), o AS (SELECT *, row_number() OVER (PARTITION BY site, c ORDER BY (url = c) DESC, CASE WHEN url = c THEN -d ELSE d END) AS place, min(d) OVER (PARTITION BY site, c) AS first, count(*) OVER (PARTITION BY site, c) AS pages FROM k)
 SELECT site, d AS page_id, url, c AS canonical_url, pages, first FROM o WHERE place = 1""")
 def canonical_dedup(spark, sf_dir):
-    return sites.one_of_each_canonical(rich.rich_records(spark, sf_dir))
+    return sites.one_of_each_canonical(rich.rich_records(spark, sf_dir, "canonical"))
 
 
 @_query(f"WITH {_R}, e AS (SELECT site, d, unnest(range(1, len(external) + 1)) AS i, external FROM r), g AS (SELECT site, external[i] AS target, count(DISTINCT d) AS sources, min(row(d, i)) AS first FROM e GROUP BY site, external[i]), o AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY first) AS place FROM g) SELECT site, target, sources, first[1] AS first_page FROM o WHERE place <= 250")
 def link_sources(spark, sf_dir):
-    return sites.link_sources(rich.rich_records(spark, sf_dir))
+    return sites.link_sources(rich.rich_records(spark, sf_dir, "external"))
 
 
-@_query(f"""WITH {_R}, h AS (SELECT site, d, unnest(range(1, len(heads) + 1)) AS i, heads, levels FROM r), k AS (SELECT site, lower(heads[i]) AS x, min(row(d, i)) AS first FROM h WHERE levels[i] <= 2 GROUP BY site, lower(heads[i])), o AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY first) AS place FROM k),
-w AS (SELECT site, list(x ORDER BY place) AS keywords FROM o WHERE place <= 20 GROUP BY site), f AS (SELECT site, arg_min(lang, d) AS language, coalesce(arg_min(description, d) FILTER (WHERE length(description) > 20), arg_min(substr(body, 1, 200), d)) AS description, arg_min(list_filter(types, lambda t: t NOT IN ('WebSite', 'WebPage', 'Organization', 'BreadcrumbList'))[1], d) FILTER (WHERE len(list_filter(types, lambda t: t NOT IN ('WebSite', 'WebPage', 'Organization', 'BreadcrumbList'))) > 0) AS type FROM r GROUP BY site)
-SELECT site, language, description, array_to_string(coalesce(keywords, []), '|') AS keywords, coalesce(type, keywords[1], 'general') AS industry, 'example' AS country FROM f LEFT JOIN w USING (site)""")
+#: What each site's pages say of it; ``h`` are home pages and ``y`` identities.
+_CONTEXT = f"""hd AS (SELECT site, d, unnest(range(1, len(heads) + 1)) AS i, heads, levels FROM r), kw AS (SELECT site, lower(heads[i]) AS x, min(row(d, i)) AS first FROM hd WHERE levels[i] <= 2 AND length(heads[i]) BETWEEN 4 AND 59 GROUP BY site, lower(heads[i])),
+ko AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY first) AS place FROM kw), w AS (SELECT site, list(x ORDER BY place) AS keywords FROM ko WHERE place <= 20 GROUP BY site),
+f AS (SELECT site, arg_min(lang, d) AS language, coalesce(arg_min(description, d) FILTER (WHERE length(description) > 20), arg_min(substr(body, 1, 200), d)) AS description,
+ arg_min(CASE WHEN d % 6 = 1 THEN 'Article' WHEN d % 7 = 3 THEN 'HowTo,FAQPage' WHEN d % 31 = 7 THEN 'Place' END, d) FILTER (WHERE d % 6 = 1 OR d % 7 = 3 OR d % 31 = 7) AS told, bool_or(d % 31 = 7) AS placed, bool_or(d % 5 = 2) AS alternates FROM r GROUP BY site),
+cx AS (SELECT site, y.name, language, f.description, coalesce(keywords, []) AS keywords, coalesce(told, keywords[1], 'general') AS industry, coalesce(address, CASE WHEN placed THEN 'Vilnius, LT' WHEN alternates THEN 'Austria' END) AS location,
+ CASE WHEN placed THEN ['Repair'] ELSE [] END AS services, CASE WHEN placed THEN ['Widget'] ELSE [] END AS products FROM f LEFT JOIN w USING (site) LEFT JOIN y USING (site))"""
+
+
+def _contexts(spark, sf_dir):
+    return context.business_context(rich.rich_records(spark, sf_dir, *context.FIELDS))
+
+
+@_query(f"WITH {_R}, {rich._IDENTITY}, {_CONTEXT} SELECT * REPLACE (array_to_string(keywords, '|') AS keywords, array_to_string(services, '|') AS services, array_to_string(products, '|') AS products) FROM cx")
 def business_context(spark, sf_dir):
-    return sites.business_context(rich.rich_records(spark, sf_dir)).withColumn("keywords", F.array_join("keywords", "|"))
+    return _contexts(spark, sf_dir).withColumns({c: F.array_join(c, "|") for c in ("keywords", "services", "products")})
+
+
+@_query(f"""WITH {_R}, e AS (SELECT site, bool_or(d % 31 = 7) AS placed, bool_or(d % 5 = 2) AS alternates FROM r GROUP BY site)
+SELECT site, CASE WHEN placed THEN 1 ELSE 3 END AS rank, CASE WHEN placed THEN 'Vilnius, LT' ELSE 'Austria' END AS location FROM e WHERE placed OR alternates""")
+def locations(spark, sf_dir):
+    return context.locations(rich.rich_records(spark, sf_dir, "json_ld", "hreflang", "language"))
+
+
+def _templates_sql() -> str:
+    """Each template as a concatenation; ``{in}`` and ``{at}`` have a place behind them."""
+    import re
+
+    place = "coalesce(location, '')"
+    values = {
+        "name": "name", "industry": "industry", "service0": "coalesce(nullif(services[1], ''), industry)", "service1": "coalesce(nullif(services[2], ''), nullif(keywords[1], ''), industry)", "keyword0": "nullif(keywords[1], '')", "keyword1": "nullif(keywords[2], '')",
+        "in": f"CASE WHEN {place} <> '' THEN ' in ' || {place} ELSE '' END", "at": f"CASE WHEN {place} <> '' THEN ' ' || {place} ELSE '' END",
+        "where": f"CASE WHEN {place} = '' THEN 'Lietuvoje' " + " ".join(f"WHEN regexp_matches({place}, {quoted('(?i)' + p.removeprefix('(?iu)'))}) THEN {quoted(x)}" for p, x in catalog.LOCATIVE) + f" ELSE {place} END",
+    }
+    rows = []
+    for language, templates in catalog.QUERY_TEMPLATES.items():
+        for k, (query, category, intent, spoken) in enumerate(templates):
+            parts = [f"({values[p]})" if n % 2 else quoted(p) for n, p in enumerate(re.split(r"\{(\w+)\}", query)) if p]
+            when = "language = 'lt'" if language == "lt" else "language IS DISTINCT FROM 'lt'"
+            rows.append(f"SELECT site, {k} AS k, {' || '.join(parts)} AS query, {quoted(category)} AS category, {quoted(intent)} AS intent, {quoted(spoken)} AS language FROM cl WHERE {when}")
+    return f"tq AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY k)::INTEGER AS place FROM ({' UNION ALL '.join(rows)}) WHERE query IS NOT NULL)"
+
+
+#: A third of the sites are taken for Lithuanian ones, and have a town's name, so that both kinds of templates are met.
+_SPOKEN = "cl AS (SELECT * REPLACE (CASE WHEN right(site, 9) IN ('1.example', '4.example', '7.example') THEN 'lt' ELSE language END AS language, CASE WHEN right(site, 9) = '4.example' THEN 'KAUNAS, Lithuania' WHEN right(site, 9) = '5.example' THEN NULL ELSE location END AS location) FROM cx)"
+
+
+def _spoken(rows):
+    end = F.right("site", F.lit(9))
+    place = F.when(end == "4.example", "KAUNAS, Lithuania").when(end != "5.example", F.col("location"))
+    return rows.withColumns({"language": F.when(end.isin("1.example", "4.example", "7.example"), "lt").otherwise(F.col("language")), "location": place})
+
+
+@_query(f"WITH {_R}, {rich._IDENTITY}, {_CONTEXT}, {_SPOKEN}, {_templates_sql()} SELECT site, place, query, category, intent, language FROM tq WHERE place <= 20")
+def template_queries(spark, sf_dir):
+    return context.template_queries(_spoken(_contexts(spark, sf_dir)))
+
+
+@_query(f"WITH {_R}, {rich._IDENTITY}, {_CONTEXT}, {_SPOKEN}, {_templates_sql()} SELECT site, place, query, category, intent, language FROM tq WHERE place <= 7")
+def first_queries(spark, sf_dir):
+    return context.template_queries(_spoken(_contexts(spark, sf_dir)), 7)
 
 
 _IMPORTANT = f"im AS (SELECT site, d, url, title, {_SECTION} AS section, list_filter(list_zip(heads, levels), lambda h: h[2] <= 2)[1][1] AS heading, row_number() OVER (PARTITION BY site ORDER BY d)::INTEGER AS place FROM r WHERE {_SECTION} <> 'Legal' AND {_WORDS} >= 100 AND length(title) >= 5 QUALIFY place <= 10)"
 
 
+_TITLED = ("title", "words", "headings")
+
+
 @_query(f"WITH {_R}, {_IMPORTANT} SELECT site, place, d AS page_id, url, section, title, heading FROM im")
 def important_pages(spark, sf_dir):
-    return sites.important_pages(rich.rich_records(spark, sf_dir))
+    return context.important_pages(rich.rich_records(spark, sf_dir, *_TITLED))
+
+
+_ASKED = f"""pq AS (SELECT site, place, url, CASE WHEN section = 'Products' THEN title || ' by ' || site || ' review and alternatives' WHEN section = 'Blog' AND heading <> '' THEN 'explain ' || lower(heading) || ' in detail' WHEN section = 'Blog' THEN lower(title) || ' guide and best practices'
+ WHEN section = 'Documentation' AND heading <> '' THEN 'how to ' || lower(heading) || ' with ' || site WHEN section = 'Documentation' THEN site || ' ' || lower(title) || ' documentation and examples' WHEN section = 'About' THEN 'who is ' || site || ' and what is their background in things' ELSE site || ' ' || lower(title) || ' detailed information' END AS query,
+ 'Page-specific: ' || section || ' — ' || title AS intent FROM im)"""
+
+
+def _page_queries(spark, sf_dir):
+    names = rich.rich_pages(spark, sf_dir).select("site").distinct().select("site", F.col("site").alias("name"), F.lit("things").alias("industry"), F.lit("Town").alias("location"))
+    return context.page_queries(rich.rich_records(spark, sf_dir, *_TITLED), names)
 
 
-@_query(f"""WITH {_R}, {_IMPORTANT} SELECT site, place, url, CASE WHEN section = 'Products' THEN title || ' by ' || site || ' review and alternatives' WHEN section = 'Blog' AND heading <> '' THEN 'explain ' || lower(heading) || ' in detail' WHEN section = 'Blog' THEN lower(title) || ' guide and best practices'
- WHEN section = 'Documentation' AND heading <> '' THEN 'how to ' || lower(heading) || ' with ' || site WHEN section = 'Documentation' THEN site || ' ' || lower(title) || ' documentation and examples' WHEN section = 'About' THEN 'who is ' || site || ' and what is their background in things' ELSE site || ' ' || lower(title) || ' detailed information' END AS query FROM im""")
+@_query(f"WITH {_R}, {_IMPORTANT}, {_ASKED} SELECT * FROM pq")
 def page_queries(spark, sf_dir):
-    rows = rich.rich_records(spark, sf_dir)
-    return sites.page_queries(rows, rows.select("site").distinct().select("site", F.col("site").alias("name"), F.lit("things").alias("industry")))
+    return _page_queries(spark, sf_dir)
+
+
+@_query(f"""WITH {_R}, {rich._IDENTITY}, {_CONTEXT}, {_SPOKEN}, {_templates_sql()}, {_IMPORTANT}, {_ASKED}, al AS (SELECT site, 0 AS part, place, query, category, NULL::VARCHAR AS target FROM tq WHERE place <= 20 UNION ALL SELECT site, 1, place, query, 'page_specific', url FROM pq)
+SELECT site, row_number() OVER (PARTITION BY site ORDER BY part, place)::INTEGER AS place, query, category, target FROM al""")
+def all_queries(spark, sf_dir):
+    return context.all_queries(context.template_queries(_spoken(_contexts(spark, sf_dir))), _page_queries(spark, sf_dir))
 
 
 _ENTRY = " ".join(f"WHEN {p} THEN {quoted(v)}" for p, v in (("d % 8 = 0", "weekly"), ("d % 8 IN (1, 4)", "monthly"), ("d % 8 IN (2, 3)", "yearly"), ("d % 8 = 5", "weekly")))
@@ -77,39 +150,88 @@ _LLMS_RANK = "CASE " + " ".join(f"WHEN {_SECTION} = {quoted(s)} THEN {k}" for k,
 @_query(f"""WITH {_R}, l AS (SELECT site, {_LLMS_RANK} AS rank, CASE WHEN {_LLMS_RANK} < 7 THEN {_SECTION} ELSE 'Optional' END AS head, d, '- [' || CASE WHEN title <> '' THEN title ELSE regexp_replace(url, '^[a-z]*://[^/]*', '') END || '](' || url || ')' || CASE WHEN description <> '' THEN ': ' || description ELSE '' END AS line FROM r),
 s AS (SELECT site, min(rank) AS rank, chr(10) || '## ' || head || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY rank, d) AS part FROM l GROUP BY site, head) SELECT site, '# ' || site || chr(10) || chr(10) || '> About ' || site || chr(10) || string_agg(part, chr(10) ORDER BY rank) || chr(10) AS content FROM s GROUP BY site""")
 def llms_txt(spark, sf_dir):
-    rows = rich.rich_records(spark, sf_dir)
-    return sites.llms_txt(rows, rows.select("site").distinct().select("site", F.col("site").alias("name"), F.concat(F.lit("About "), F.col("site")).alias("tagline")))
+    names = rich.rich_pages(spark, sf_dir).select("site").distinct().select("site", F.col("site").alias("name"), F.concat(F.lit("About "), F.col("site")).alias("tagline"))
+    return sites.llms_txt(rich.rich_records(spark, sf_dir, "title", "description"), names)
 
 
-_ACCUMULATED = "ac AS (SELECT *, (agent = '' AND NOT idle AND NOT regexp_matches(line, '(?i)^(Allow|Disallow|Crawl-delay|Sitemap):'))::INT AS ends FROM rk), am AS (SELECT *, sum(ends) OVER (PARTITION BY site ORDER BY i) AS grp FROM ac), kd AS (SELECT DISTINCT b.site, a.agent, trim(regexp_extract(b.line, '(?i)^Disallow:\\s*(.*)$', 1)) AS path FROM am a JOIN am b ON a.site = b.site AND a.grp = b.grp AND a.i < b.i AND a.agent <> '' AND regexp_matches(b.line, '(?i)^Disallow:\\s*\\S') WHERE a.agent NOT IN (" + ", ".join(quoted(b.lower()) for b in catalog.AI_CRAWLERS) + "))"
+_ACCUMULATED = "ac AS (SELECT *, (agent = '' AND NOT idle AND NOT regexp_matches(line, '(?i)^(Allow|Disallow|Crawl-delay|Sitemap):'))::INT AS ends FROM rk), am AS (SELECT *, sum(ends) OVER (PARTITION BY site ORDER BY i) AS grp FROM ac), kd AS (SELECT b.site, a.agent, trim(regexp_extract(b.line, '(?i)^Disallow:\\s*(.*)$', 1)) AS path, (min(b.i) - 1)::INTEGER AS line FROM am a JOIN am b ON a.site = b.site AND a.grp = b.grp AND a.i < b.i AND a.agent <> '' AND regexp_matches(b.line, '(?i)^Disallow:\\s*\\S') WHERE a.agent NOT IN (" + ", ".join(quoted(b.lower()) for b in catalog.AI_CRAWLERS) + ") GROUP BY ALL)"
 
 
-@_query(f"WITH {rich._FILES}, {rich._ROBOTS}, {_ACCUMULATED} SELECT * FROM kd")
+@_query(f"WITH {rich._CUSTOMER_FILES}, {rich._ROBOTS}, {_ACCUMULATED} SELECT * FROM kd")
 def robots_kept(spark, sf_dir):
-    return robots.kept_disallows(robots.robots_rules(rich._fixture(spark)))
+    return robots.kept_disallows(robots.robots_rules(rich.customer_files(spark, sf_dir)))
 
 
 def _robots_sql() -> str:
-    rules = lambda agent: f"coalesce((SELECT string_agg(chr(10) || 'Disallow: ' || path, '' ORDER BY path) FROM kd WHERE kd.site = f.site AND agent = {quoted(agent)}), '')"
-    part = lambda agent, after: f"'User-agent: {agent}' || chr(10) || {after} || chr(10)"
-    allowed = lambda agent: f"'Allow: /' || {rules(agent)}"
-    parts = [part(a, allowed(a.lower())) for a in ("Googlebot", "Bingbot", "Applebot")] + [part(b, allowed("*")) for b, use in catalog.CRAWLER_USE if use == "search"]
-    parts += [part(b, allowed("*") + " || chr(10) || 'Crawl-delay: 10'") for b, use in catalog.CRAWLER_USE if use == "training"] + [part("*", allowed("*")), "'Sitemap: https://' || f.site || '/sitemap.xml'"]
-    return f"WITH {rich._FILES}, {rich._ROBOTS}, {_ACCUMULATED}, f AS (SELECT DISTINCT site FROM files) SELECT f.site, " + " || chr(10) || ".join(parts) + " AS content FROM f"
+    lines = []
+    say = lambda *told: lines.extend(quoted(t) for t in told)
+    kept = lambda agent: lines.append(f"coalesce(list_transform(old[{quoted(agent)}], lambda p: 'Disallow: ' || p), [])")
+    say("# robots.txt")
+    lines.append("'# Site: https://' || site")
+    say(f"# Generated: {rich.AS_OF}", "#", "# AI Crawler Directives", "# Training data access: ALLOWED")
+    lines.append("CASE WHEN len(coalesce(old['*'], [])) > 0 THEN ['# NOTE: Existing Disallow rules from original robots.txt have been preserved'] ELSE [] END")
+    say("", "# Standard Search Engines")
+    for agent in ("Googlebot", "Bingbot", "Applebot"):
+        say(f"User-agent: {agent}", "Allow: /")
+        kept(agent.lower())
+        say("")
+    rule = "# ===================================="
+    say(rule, "# AI / LLM Crawler Directives", rule, "")
+    for head, use in (("# AI Search & Retrieval (recommended: allow for visibility)", "search"), ("# AI Training Crawlers (allowed)", "training")):
+        say(head)
+        for bot, owner in catalog.CRAWLER_OWNERS.items():
+            if (bot in ("OAI-SearchBot", "ChatGPT-User", "Claude-SearchBot", "PerplexityBot")) == (use == "search"):
+                say(f"# {owner[0]} — {owner[1]}", f"User-agent: {bot}", "Allow: /")
+                kept("*")
+                say(*(["Crawl-delay: 10"] if use == "training" else []), "")
+    say("# Default: allow all other crawlers", "User-agent: *", "Allow: /")
+    kept("*")
+    say("")
+    lines.append("'Sitemap: https://' || site || '/sitemap.xml'")
+    say("")
+    lines.append("'# LLMs.txt: https://' || site || '/llms.txt'")
+    say("")
+    listed = ", ".join(x if x.startswith(("coalesce(", "CASE")) else f"[{x}]" for x in lines)
+    grouped = "ka AS (SELECT site, agent, list(path ORDER BY line, path) AS paths FROM kd GROUP BY site, agent), km AS (SELECT site, map_from_entries(list(row(agent, paths))) AS old FROM ka GROUP BY site)"
+    return f"WITH {rich._CUSTOMER_FILES}, {rich._ROBOTS}, {_ACCUMULATED}, {grouped}, f AS (SELECT DISTINCT site FROM files) SELECT site, array_to_string(flatten([{listed}]), chr(10)) AS content FROM f LEFT JOIN km USING (site)"
 
 
 @_query(_robots_sql())
 def robots_txt(spark, sf_dir):
-    files = rich._fixture(spark)
-    return sites.robots_txt(files.select("site").distinct(), robots.kept_disallows(robots.robots_rules(files)))
-
-
-@_query("""WITH s AS (SELECT DISTINCT source || '.example' AS site, source AS name FROM documents WHERE source IS NOT NULL) SELECT site, 'security.txt' AS file, 'Contact: mailto:security@' || site || chr(10) || 'Expires: 2025-06-01T00:00:00.000Z' || chr(10) || 'Canonical: https://' || site || '/.well-known/security.txt' || chr(10) AS content FROM s
-UNION ALL SELECT site, 'tdmrep.json', '[{"location":"/","tdm-reservation":0}]' FROM s UNION ALL SELECT site, 'humans.txt', '/* SITE */' || chr(10) || 'Name: ' || name || chr(10) || 'URL: https://' || site || chr(10) FROM s UNION ALL SELECT site, 'manifest.json', '{"name":"' || name || '","short_name":"' || substr(name, 1, 12) || '","description":"d","start_url":"/"}' FROM s
-UNION ALL SELECT site, 'ai.json', '{"name":"' || name || '","url":"https://' || site || '","permissions":{"training":true,"search":true}}' FROM s""")
+    files = rich.customer_files(spark, sf_dir)
+    return sites.robots_txt(files.select("site").distinct(), robots.kept_disallows(robots.robots_rules(files)), rich.AS_OF)
+
+
+def _policies_sql() -> str:
+    """Files of each site from its identity, written out in full."""
+    home, mail = "('https://' || site)", lambda box: f"coalesce(email, '{box}@' || site)"
+    json = lambda x: f"to_json({x})::VARCHAR"
+    nl = " || chr(10) || "
+    todo = "CASE WHEN email IS NULL THEN {} || chr(10) ELSE '' END"
+    uses = '"inference":true,"search":true,"summarization":true,"citation":true,"embedding":true'
+    search, training = (", ".join(f'"{b}"' for b in x).replace(", ", ",") for x in (catalog.SEARCH_LISTED, catalog.TRAINING_LISTED))
+    texts = {
+        "ai.txt": nl.join(["'# AI Policy'", "'# Organization: ' || name", f"'# URL: ' || {home}", f"'# Generated: {rich.AS_OF}'", "''", "'# Purpose: Define how AI systems may interact with this website''s content'", todo.format("'# TODO: Replace placeholder email below with your actual AI policy contact'") + " || ''"])
+        + nl + nl.join(map(quoted, ("## Permissions", "", "Training: yes", "Inference: yes", "Search: yes", "Summarization: yes", "Citation: yes", "Embedding: yes", "", "## Restrictions", "", "- Content must be attributed when cited", "- Do not misrepresent or fabricate content from this site", "- Do not generate misleading summaries", "", "## Attribution", "")))
+        + nl + nl.join(["'Organization: ' || name", f"'URL: ' || {home}", f"'Contact: ' || {mail('ai')}", "CASE WHEN copyright IS NOT NULL THEN 'Copyright: ' || copyright || chr(10) ELSE '' END || ''", "'## Resources'", "''", f"'LLMs.txt: ' || {home} || '/llms.txt'", f"'Sitemap: ' || {home} || '/sitemap.xml'", f"'Robots.txt: ' || {home} || '/robots.txt'", "''"]),
+        "ai.json": f"""'{{"version":"1.0","generated":"{rich.AS_OF}T00:00:00.000Z","organization":{{"name":' || {json('name')} || ',"url":"' || {home} || '","contact":"' || {mail('ai')} || '"' || CASE WHEN email IS NULL THEN ',"contact_placeholder":true' ELSE '' END || CASE WHEN copyright IS NOT NULL THEN ',"copyright":' || {json('copyright')} ELSE '' END || '}},"permissions":{{"training":true,{uses}}},"restrictions":["Content must be attributed when cited","Do not misrepresent or fabricate content"],"resources":{{"llmsTxt":"' || {home} || '/llms.txt","sitemap":"' || {home} || '/sitemap.xml","robotsTxt":"' || {home} || '/robots.txt"}},"crawlers":{{"allowed_search":[{search}],"allowed_training":[{training}]}}}}'""",
+        "security.txt": nl.join(["'# Security Policy'", "'# ' || name", "'#'", "'# This file follows RFC 9116 (https://www.rfc-editor.org/rfc/rfc9116)'", todo.format("'#' || chr(10) || '# TODO: Replace the placeholder email below with your actual security contact'") + " || ''", f"'Contact: mailto:' || {mail('security')}", "'Expires: 2025-06-01T00:00:00.000Z'", "'Preferred-Languages: en'", f"'Canonical: ' || {home} || '/.well-known/security.txt'", "''"]),
+        "tdmrep.json": quoted('{"version":1,"policies":[{"location":"/","assurance":"https://www.w3.org/2022/tdmrep/assurance#non-exclusive","type":["text/html","application/json","text/plain","text/markdown","application/xml"]}]}'),
+        "humans.txt": nl.join(["'/* TEAM */'", "'  Name: ' || name", f"'  Contact: ' || {mail('hello')} || CASE WHEN email IS NULL THEN '  # TODO: replace placeholder' ELSE '' END", "CASE WHEN address IS NOT NULL THEN '  Location: ' || address || chr(10) ELSE '' END || ''", "'/* TECHNOLOGY */'", "'  ' || coalesce(generator, 'HTML, CSS, JavaScript')", "''", "'/* SITE */'", f"'  Last update: {rich.AS_OF}'", "'  Language: ' || language", "'  Standards: HTML5, CSS3, JavaScript ES2022'", "''"]),
+        "manifest.json": f"""'{{"name":' || {json('name')} || ',"short_name":' || {json('substr(name, 1, 12)')} || ',"start_url":"/","display":"standalone","background_color":"#ffffff","theme_color":"#000000"' || CASE WHEN tagline IS NOT NULL THEN ',"description":' || {json('tagline')} ELSE '' END || CASE WHEN favicon IS NOT NULL OR logo IS NOT NULL THEN ',"icons":[' || concat_ws(',', CASE WHEN favicon IS NOT NULL THEN '{{"src":"' || {home} || '/f.ico","sizes":"48x48","type":"image/x-icon"}}' END,
+ CASE WHEN logo IS NOT NULL THEN '{{"src":"' || {home} || '/og.png","sizes":"192x192","type":"image/png"}},{{"src":"' || {home} || '/og.png","sizes":"512x512","type":"image/png"}}' END) || ']' ELSE '' END || '}}'""",
+    }
+    rows = " UNION ALL ".join(f"SELECT site, {quoted(n)} AS file, {x} AS content FROM z" for n, x in texts.items())
+    return f"WITH {_R}, {rich._IDENTITY}, l AS (SELECT site, arg_min(lang, d) AS language FROM r GROUP BY site), z AS (SELECT * FROM y JOIN l USING (site)) {rows}"
+
+
+@_query(_policies_sql())
 def policy_files(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where("source IS NOT NULL").select(F.concat("source", F.lit(".example")).alias("site"), F.col("source").alias("name"), F.lit("d").alias("description"), F.lit("").alias("email")).distinct()
-    return sites.policy_files(rows, rich.AS_OF)
+    from ..operators import extract
+
+    rows = rich.rich_records(spark, sf_dir, "language", "body", "identity")
+    told = rows.groupBy("site").agg(F.min_by("language", "page_id").alias("language"))
+    return sites.policy_files(extract.site_identity(rows).join(told, "site"), rich.AS_OF)
 
 
 # --- captured probes, from orders and parts on both sides
@@ -151,9 +273,16 @@ def action_triage(spark, sf_dir):
 _PARTS = " UNION ALL ".join([f"SELECT {k} AS place, {quoted(n)} AS name, true AS is_file" for k, n in enumerate(catalog.GAP_FILES)] + [f"SELECT {100 + k}, {quoted(n)}, false" for k, n in enumerate(catalog.GAP_SETTINGS)])
 
 
-@_query(f"WITH {_ITEMS}, pt AS ({_PARTS}), m AS MATERIALIZED (SELECT * FROM items), k AS (SELECT s.site, place, pt.name AS component, CASE WHEN is_file AND (status IS NULL OR (status <> 'pass' AND score = 0)) THEN 'missing' WHEN status <> 'pass' THEN 'incomplete' END AS kind FROM (SELECT DISTINCT site FROM m) s CROSS JOIN pt LEFT JOIN m ON m.site = s.site AND m.name = pt.name) SELECT * FROM k WHERE kind IS NOT NULL")
+_GAPS = f"""pt AS ({_PARTS}), m AS MATERIALIZED (SELECT * FROM items), pf AS (SELECT site, count(DISTINCT name) AS there, min(name) AS one FROM files WHERE name IN ('ai.txt', 'ai.json') GROUP BY site),
+gk AS (SELECT s.site, pt.place, pt.name AS component, CASE WHEN is_file AND (status IS NULL OR (status <> 'pass' AND (score = 0 OR pt.name LIKE 'AI Policy%'))) THEN 'missing' WHEN status <> 'pass' THEN 'incomplete' END AS kind,
+ CASE WHEN NOT is_file OR coalesce(status = 'pass', false) OR (score > 0 AND pt.name NOT LIKE 'AI Policy%') THEN '' WHEN pt.name LIKE 'AI Policy%' THEN CASE WHEN coalesce(there, 0) = 0 THEN 'ai.txt,ai.json' WHEN one = 'ai.txt' THEN 'ai.json' ELSE 'ai.txt' END
+ WHEN pt.name IN ('security.txt', 'tdmrep.json', 'agent-card.json') THEN '.well-known/' || pt.name ELSE pt.name END AS files FROM (SELECT DISTINCT site FROM m) s CROSS JOIN pt LEFT JOIN m ON m.site = s.site AND m.name = pt.name LEFT JOIN pf ON pf.site = s.site)"""
+
+
+@_query(f"WITH {_ITEMS}, {_GAPS} SELECT * FROM gk WHERE kind IS NOT NULL")
 def gap_analysis(spark, sf_dir):
-    return service.gaps(rich._items(spark, sf_dir))
+    found = playbooks.gaps(rich._items(spark, sf_dir), rich.site_files(spark, sf_dir))
+    return found.withColumn("files", F.array_join("files", ","))
 
 
 @_query(f"WITH {_ITEMS}, b AS (SELECT *, CASE name {' '.join(f'WHEN {quoted(n)} THEN {x}' for n, x in catalog.PROJECTED.items())} END AS better FROM items) SELECT site, seq, name, score AS before, greatest(score, coalesce(better, score)) AS after, CASE WHEN score >= 70 THEN 'good' WHEN better > score THEN 'engine' ELSE 'client' END AS part FROM b")

@@ -11,7 +11,7 @@ from .. import catalog
 from ..functions import markup, scores, text, urls
 from ..operators import citability, composite, history, pages, records, texts, visibility
 from ..sources.tables import table
-from . import more, rich
+from . import made, more, rich
 from .sql import NOT_WS, WS, grade_sql, half_up_sql, quoted, status_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,11 +92,12 @@ def snippet_readiness(spark, sf_dir):
     return texts.snippet_check(table(spark, sf_dir, "documents"), "lang")
 
 
-_NUM = "[0-9]+(?:[.,][0-9]+)?"
 
 
-@query(f"""WITH t AS (SELECT doc_id, list_distinct(list_concat(regexp_extract_all(text, '{_NUM}%'), regexp_extract_all(text, '{_NUM}x\\b'), regexp_extract_all(text, '\\$?{_NUM} (?:million|billion|trillion)'), regexp_extract_all(text, '[0-9]+ (?:out of|of) [0-9]+'))) AS l FROM documents)
-SELECT doc_id, len(l)::INTEGER AS figures FROM t WHERE len(l) > 0""")
+_FIGURES = " || ".join(f"regexp_extract_all(coalesce(text, ''), {quoted(p)})" for p in catalog.STATISTICS)
+
+
+@query(f"WITH t AS (SELECT doc_id, list_distinct({_FIGURES}) AS l FROM documents) SELECT doc_id, len(l)::INTEGER AS figures FROM t WHERE len(l) > 0")
 def statistics_extract(spark, sf_dir):
     return texts.statistics_found(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", F.size("figures").alias("figures"))
 
@@ -141,6 +142,64 @@ def weak_passages(spark, sf_dir):
     return citability.weakest(table(spark, sf_dir, "documents"), "doc_id", separator="\n")
 
 
+# --- questions of texts and the passages that speak to them
+
+_QW = f"list_filter(regexp_split_to_array(coalesce(text, ''), '{WS}+'), lambda w: w <> '')"
+#: Two questions for each document: its first words, and words from all over it, the third one twice.
+_QUESTIONS = f"""qw AS (SELECT doc_id, {_QW} AS w FROM documents), qh AS (SELECT doc_id, 0 AS question, array_to_string(w[1:6], ' ') || '?' AS heading FROM qw WHERE len(w) > 0
+ UNION ALL SELECT doc_id, 1, concat_ws(' ', w[len(w) // 10 + 1], w[len(w) * 3 // 10 + 1], w[len(w) // 2 + 1], w[len(w) // 2 + 1], w[len(w) * 9 // 10 + 1]) || '?' FROM qw WHERE len(w) > 0)"""
+_TERMS = f"""qt AS (SELECT doc_id, question, list_filter(regexp_split_to_array(regexp_replace(heading, '[?''"]', '', 'g'), '{WS}+'), lambda w: length(w) > 3) AS t FROM qh)"""
+def _questions(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.words(F.coalesce("text", F.lit(""))).alias("w")).where(F.size("w") > 0)
+    at = lambda tenths: F.get("w", (F.size("w") * tenths / 10).cast("int"))
+    first, spread = F.array_join(F.slice("w", 1, 6), " "), F.concat_ws(" ", at(1), at(3), at(5), at(5), at(9))
+    told = F.array(*(F.struct(F.lit(k).alias("question"), F.concat(x, F.lit("?")).alias("heading")) for k, x in enumerate((first, spread))))
+    return docs.select("doc_id", F.inline(told))
+
+
+_MET = f"{_CITE}, {_QUESTIONS}, {_TERMS}, mt AS (SELECT g1.doc_id, place::INTEGER AS place, question, len(list_filter(t, lambda x: contains(lower(p), lower(x))))::BIGINT AS matched, len(t)::INTEGER AS terms FROM g1 JOIN qt ON qt.doc_id = g1.doc_id WHERE len(t) > 0), an AS (SELECT DISTINCT doc_id, place FROM mt WHERE matched / terms >= 0.5)"
+
+
+@query(f"WITH {_MET} SELECT * FROM mt WHERE matched / terms >= 0.5")
+def passage_questions(spark, sf_dir):
+    found = texts.passages(table(spark, sf_dir, "documents"), "doc_id", separator="\n")
+    return citability.question_matches(found.select("doc_id", "place", "passage"), _questions(spark, sf_dir), "doc_id")
+
+
+@query(f"WITH {_MET} SELECT doc_id, count(*) AS passages, count(an.place)::BIGINT AS answering FROM g1 LEFT JOIN an USING (doc_id, place) GROUP BY doc_id")
+def answering_passages(spark, sf_dir):
+    found = texts.passages(table(spark, sf_dir, "documents"), "doc_id", separator="\n").select("doc_id", "place", "passage")
+    answers = citability.question_matches(found, _questions(spark, sf_dir), "doc_id").select("doc_id", "place").distinct().withColumn("yes", F.lit(True))
+    return found.join(answers, ["doc_id", "place"], "left").groupBy("doc_id").agg(F.count("*").alias("passages"), F.count_if("yes").alias("answering"))
+
+
+_ADVISED = ", ".join(f"CASE WHEN {'\"unique\"' if c == 'unique' else c} < {least} THEN {quoted(advice)} END" for c, least, advice in catalog.ADVICE)
+_SCORED = f"""{_MET}, s1 AS (SELECT g3.* REPLACE (least(100, answer + CASE WHEN an.place IS NULL THEN 0 ELSE 20 END) AS answer) FROM g3 LEFT JOIN an USING (doc_id, place)),
+s2 AS (SELECT *, {half_up_sql('(answer * 30 + self_contained * 25 + structure * 20 + figures * 15 + "unique" * 10) / 100')} AS overall FROM s1),
+s3 AS (SELECT *, list_filter([{_ADVISED}, CASE WHEN n < 100 THEN concat('Expand to 134-167 words (currently ', n, ')') WHEN n > 200 THEN concat('Split into focused passages of 134-167 words (currently ', n, ')') END], lambda x: x IS NOT NULL) AS parts FROM s2),
+sd AS (SELECT *, CASE WHEN overall < 70 AND len(parts) > 0 THEN array_to_string(parts, '. ') || '.' END AS advice FROM s3)"""
+
+
+def _scored(spark, sf_dir):
+    return citability.scored(table(spark, sf_dir, "documents").select("doc_id", "text"), _questions(spark, sf_dir), "doc_id", separator="\n")
+
+
+@query(f'WITH {_SCORED} SELECT doc_id, place::INTEGER AS place, n::INTEGER AS words, answer::INTEGER AS answer, overall, advice FROM sd')
+def passage_advice(spark, sf_dir):
+    return _scored(spark, sf_dir).select("doc_id", "place", "words", F.col("answer").cast("int").alias("answer"), "overall", "advice")
+
+
+@query(f"WITH {_SCORED} SELECT doc_id, count(*) AS passages, count_if(overall >= 70)::BIGINT AS high, count_if(overall >= 70) / count(*) AS coverage, {half_up_sql('avg(overall)')} AS score, " + ", ".join(f"{half_up_sql('avg(' + quoted_name + ')')} AS {quoted_name}" for quoted_name in ('answer', 'self_contained', 'structure', 'figures', '"unique"')) + " FROM sd GROUP BY doc_id")
+def text_citability(spark, sf_dir):
+    return citability.page_citability(_scored(spark, sf_dir), "doc_id")
+
+
+@query(f"WITH {_SCORED}, b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY overall DESC, place)::INTEGER AS rank FROM sd) SELECT doc_id, rank, place::INTEGER AS place, overall, n::INTEGER AS words, advice FROM b WHERE rank <= 5")
+def best_passages(spark, sf_dir):
+    return citability.best(_scored(spark, sf_dir), "doc_id")
+
+
+
 # --- pages
 
 _SITE = r"CASE WHEN regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) = '' THEN url ELSE regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\.', '') END"
@@ -392,12 +451,6 @@ def upsert_latest(spark, sf_dir):
     return history.upsert(current, changes, "domain", "version").select("domain", "score")
 
 
-@query("SELECT id, next FROM (VALUES (1, TIMESTAMP '2024-02-02 00:00:00'), (2, TIMESTAMP '2024-02-08 00:00:00'), (5, TIMESTAMP '2024-03-02 00:00:00')) AS t(id, next)")
-def due_schedules(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "daily", True, None), (2, "weekly", True, "2024-01-31 00:00:00"), (3, "daily", False, None), (4, "daily", True, "2024-03-01 00:00:00"), (5, "monthly", True, _NOW)], "id int, frequency string, enabled boolean, at string")
-    return history.due(rows.withColumn("next_run_at", F.to_timestamp("at")), _NOW).select("id", F.col("next").cast("timestamp_ntz").alias("next"))
-
-
 # --- page records, made from documents on both sides
 
 _RECORDS = """SELECT source AS site, doc_id AS page_id, CASE WHEN doc_id % 17 = 0 THEN 404 ELSE 200 END AS status, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE substring(text, 1, CAST(20 + doc_id % 40 AS INT)) END AS description, CASE WHEN doc_id % 2 = 0 THEN 't' ELSE '' END AS og_title,
@@ -455,5 +508,5 @@ def record_overall_score(spark, sf_dir):
     return composite.overall(records.record_checks(_records(spark, sf_dir)))
 
 
-QUERIES |= rich.QUERIES | more.QUERIES
-ORACLE_SQL |= rich.ORACLE_SQL | more.ORACLE_SQL
+QUERIES |= rich.QUERIES | more.QUERIES | made.QUERIES
+ORACLE_SQL |= rich.ORACLE_SQL | more.ORACLE_SQL | made.ORACLE_SQL
