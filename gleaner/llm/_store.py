@@ -6,7 +6,7 @@ import io
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from urllib.parse import urlparse
 
 import numpy as np
@@ -29,8 +29,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders named while :func:`finished` runs.
+_named: list[list[str]] = []
+
+
 def new_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _named:
+        _named[-1].append(at)
+    return at
+
+
+def finished(spark: SparkSession, make: Callable[[], DataFrame], name: str, *done: str) -> tuple[DataFrame, str]:
+    """The rows that ``make`` gives, written, and their folder. The folders that were used on the way go, and so do those in ``done``."""
+    at, used = new_dir(spark, name), []
+    _named.append(used)
+    try:
+        df = make()
+        df.write.parquet(at)
+    finally:
+        _named.pop()
+    remove(spark, *used, *done)
+    return spark.read.schema(df.schema).parquet(at), at
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

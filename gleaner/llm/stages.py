@@ -15,7 +15,10 @@ ROW = "__row"
 
 def numbered(docs: DataFrame) -> DataFrame:
     """The rows with a 64-bit hash of doc_id, source and text. Decisions are about such numbers, so that a null doc_id, or one that
-    several texts share, is judged like any other; rows that agree in all three are judged alike."""
+    several texts share, is judged like any other; rows that agree in all three are judged alike, and so would be two rows whose hashes
+    collide. A column named ``__row`` can't be in the documents: it raises."""
+    if ROW in docs.columns:
+        raise ValueError(f"documents may not have a column {ROW}")
     told = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
     return docs.withColumn(ROW, F.xxhash64(told("doc_id"), told("source"), F.col("text").isNull(), "text"))
 
@@ -29,7 +32,8 @@ def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: what it rejects goes. ``lang`` stays as it was."""
+    """Language ID: what it rejects goes, null and empty texts too. ``lang`` stays as it was; an empty table stays empty, repeated rows are
+    judged alike, and columns of any other name are kept."""
     rows = numbered(docs)
     found = language_id.identify(rows, language_id.train(docs), ROW, host=F.col("source"))
     return without(rows, found.where(~F.col("accepted"))).drop(ROW)
@@ -52,16 +56,25 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark decontamination: documents that hold a benchmark item go."""
+    """Benchmark decontamination: documents that hold a benchmark item go; null and empty texts hold none. Repeated rows go or stay together;
+    columns of any name are kept."""
     rows = numbered(docs)
     return without(rows, decontaminate.leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), ROW)).drop(ROW)
 
 
 def private_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """PII: spans are replaced by their kind, n_chars follows."""
+    """PII: spans are replaced by their kind, n_chars follows. No row goes; null texts stay null, empty ones empty, and columns of any other
+    name are kept."""
     return pii.masked(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing: how much of each document the mix takes."""
-    return mixing.mix(docs)
+    """Mixing: every document with its text as the stages before left it, and how many of its words the mix takes (``taken``), so that the mix
+    can be written from this result. Rows that are null or empty take part with 0 words; rows that agree in doc_id, source and text each keep a
+    row. Other columns of the documents follow, but for those whose names the mix uses."""
+    rows = numbered(docs)
+    counts = mixing.mix(rows.select(ROW, "text", "source"), ROW)
+    own = [c for c in docs.columns if c not in ("doc_id", *counts.columns)]
+    # of rows that agree one has the columns of all; it is joined by number
+    kept = rows.dropDuplicates([ROW]).select(ROW, "doc_id", *own)
+    return counts.join(kept.hint("merge"), ROW).select("doc_id", *(c for c in counts.columns if c != ROW), *own)

@@ -16,8 +16,9 @@ def test_stages_keep_columns_and_decide(spark):
         assert docs.columns == columns, name
         assert docs.count() <= kept
         kept = docs.count()
-    mixed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    mixed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).cache()
     assert mixed.count() == kept
+    assert mixed.exceptAll(mixed).count() == 0 and mixed.select("doc_id", "text").exceptAll(docs.select("doc_id", "text")).count() == 0
     assert docs.select("doc_id").distinct().count() == kept
 
 
@@ -45,6 +46,25 @@ def test_stages_with_nulls_and_repeats(spark, tmp_path):
     assert sorted(r["doc_id"] or -1 for r in clean.collect()) == [-1, -1, 1, 2, 3, 3, 3, 9, 9, 10, 11]
     known = stages.known_language(spark, docs, str(tmp_path))
     assert sorted(r["doc_id"] or -1 for r in known.collect()) == [-1, -1, -1, 1, 2, 3, 3, 3, 8]
+    counted = stages.mixed(spark, docs, str(tmp_path))
+    assert sorted(((r["doc_id"], r["text"], r["size"]) for r in counted.collect()), key=repr) == sorted(((r["doc_id"], r["text"], len((r["text"] or "").split())) for r in docs.collect()), key=repr)
+    assert counted.columns[:6] == ["doc_id", "source", "size", "source_size", "target", "taken"] and set(counted.columns) == {*docs.columns, "size", "source_size", "target", "taken"}
+    assert stages.mixed(spark, docs.where("false"), str(tmp_path)).count() == 0
+    with pytest.raises(ValueError):
+        stages.numbered(docs.withColumn("__row", docs["row"]))
     for stage in (stages.known_language, stages.one_of_each, stages.decontaminated, stages.private_masked):
         none = stage(spark, docs.where("false"), str(tmp_path))
         assert none.columns == docs.columns and none.count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_run_leaves_its_result_only(spark):
+    import corpus_pipeline
+    from gleaner.llm._store import shared_dir
+
+    at = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(at))
+    done = corpus_pipeline.run(spark, SF)
+    left = {f for f in set(os.listdir(at)) - before if "-" in f and not f.count("-") == 4}
+    assert len([f for f in left if f.startswith("stage-")]) == 1 and {f.split("-")[0] for f in left} == {"stage"}, left
+    assert done.count() > 0 and done.columns[:6] == ["doc_id", "source", "size", "source_size", "target", "taken"] and "text" in done.columns
