@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from gleaner.llm import stages
-from gleaner.llm._store import saved
+from gleaner.llm._store import finished
 from pyspark.sql import DataFrame, SparkSession
 
 STAGES = [
@@ -19,9 +19,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = saved(docs, "stage")
+    """The stages over ``documents``. What a stage has written on its way goes once its result stands, and its result once the next one's does; the
+    last one's is written too, and stays for the caller."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for _, stage in STAGES:
+        docs, at = finished(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), "stage", *before)
+        before = [at]
     return docs
