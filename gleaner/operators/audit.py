@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import catalog
@@ -20,7 +20,6 @@ from .files import as_items, column_of, file_items, texts_of_files
 from .records import ordered
 
 c = F.col
-UPPER_MEDIAN = "percentile_disc(0.5000000001) WITHIN GROUP (ORDER BY {})"
 
 
 def _word(pattern: str) -> str:
@@ -90,12 +89,61 @@ def _date(column: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(column), F.try_to_timestamp(F.regexp_replace(column, "^[A-Za-z]{3}, ", ""), F.lit("d MMM yyyy HH:mm:ss z")))
 
 
+def _dated(as_of: str) -> Column:
+    """What says when a page was last changed: its own word, or the server's if that is over an hour old."""
+    own = F.coalesce(F.nullif("modified", F.lit("")), F.nullif("published", F.lit("")))
+    served = F.when(_date(c("last_modified")) < F.to_timestamp(F.lit(as_of)) - F.expr("INTERVAL 1 HOUR"), F.nullif("last_modified", F.lit("")))
+    return F.coalesce(own, served)
+
+
+def _failing(as_of: str) -> dict[str, Column]:
+    """By check, the condition under which a page counts against it, over :func:`page_facts`."""
+    content, longer, none = c("words") > 100, c("words") > 200, lambda x: F.size(x) == 0
+    lacks = lambda *names: reduce(lambda a, b: a & b, (~_there(c(n)) for n in names))
+    title = F.length(F.coalesce("title", F.lit("")))
+    return {
+        "AI Content Directives": ~(c("max_snippet") | c("max_preview")), "Structured Data (JSON-LD)": none("json_ld"), "Content Structure & Depth": c("words") < 300, "Heading Hierarchy": (c("head_count") > 0) & ~c("one_way"),
+        "Meta Descriptions": F.length(F.coalesce("description", F.lit(""))) < 30, "Content Freshness": _dated(as_of).isNull(), "Featured Snippet Readiness": content & ~c("snippet"), "Voice Search Optimization": content & (c("asking") == 0),
+        "Content Too Long for AI": c("words") > 10000, "Paragraph Length Optimization": content & ~c("even"), "Answer-First Content Structure": content & c("multi") & ~c("answers"), "Compression": ~c("encoding").rlike("gzip|br|deflate"),
+        "Content Quotability Score": content & (c("parts") > 0) & (c("quotable") / c("parts") < 0.3), "Content Readability": content & (c("flesch") < 30), "Server-side Rendering": c("words") <= 50,
+        "Open Graph Tags": ~(_there(c("og_title")) & _there(c("og_description"))), "Author & Expertise Signals": longer & lacks("author"), "Citation Quality": longer & none("statistics") & none("sources") & none("quotes"),
+        "Twitter Card Tags": lacks("tw_card", "tw_title", "tw_description"), "Breadcrumb Schema": (c("path") != "/") & none("breadcrumbs") & ~F.array_contains("schema.types", "BreadcrumbList"), "hreflang Tags": none("hreflang"),
+        "Title Tags": ~title.between(30, 70), "Image Alt Text": F.exists("images", lambda i: F.trim(i.alt) == ""), "Mobile Viewport": lacks("viewport"), "HTTPS Enforcement": ~c("url").startswith("https://"),
+        "Broken Pages": (c("status") < 200) | (c("status") >= 400), "Nofollow on Internal Links": c("nofollowed") > 0, "URL Structure Quality": c("odd_url"), "Semantic HTML Usage": ~c("semantic"), "Page Response Time": c("response_ms") > 3000,
+        "Redirect Chains": c("hops") > 1, "Character Encoding & Doctype": ~(_there(c("charset")) & c("doctype")), "HTML Page Size": c("bytes") > 2 * 1024 * 1024, "Crawl Depth": c("depth") > 3, "Missing H1 Heading": ~F.array_contains("levels", 1),
+        "Responsive Images": (c("images_seen") > 0) & (c("responsive") / c("images_seen") < 0.5),
+    }
+
+
+def affected_urls(rows: DataFrame, as_of: str = "2024-06-01", most: int = 20) -> DataFrame:
+    """``site, name, place, page_id, url``: of each check that looks at pages one by one, the first pages of a site that count against it; of shared
+    titles and descriptions the pages that share them, those of the first one first. ``rows`` are page records."""
+    checks = _failing(as_of)
+    facts = page_facts(rows)
+    names = F.filter(F.array(*(F.when(F.coalesce(x, F.lit(False)), F.lit(n)) for n, x in checks.items())), lambda x: x.isNotNull())
+    told = {"Duplicate Titles": (F.trim(F.coalesce("title", F.lit(""))), 1), "Duplicate Meta Descriptions": (F.trim(F.coalesce("description", F.lit(""))), 20)}
+    shared = F.filter(F.array(*(F.when(F.length(x) >= least, F.struct(F.lit(n).alias("name"), x.alias("text"))) for n, (x, least) in told.items())), lambda x: x.isNotNull())
+    pages = checkpointed(facts.select("site", "page_id", "url", names.alias("names"), shared.alias("shared")))
+    single = pages.select("site", "page_id", "url", F.explode("names").alias("name"), F.lit(0).cast("long").alias("group"))
+    each = pages.select("site", "page_id", "url", F.inline("shared"))
+    groups = each.groupBy("site", "name", "text").agg(F.count("*").alias("k"), F.min("page_id").alias("group")).where("k > 1").drop("k")
+    several = each.join(groups, ["site", "name", "text"]).select("site", "page_id", "url", "name", "group")
+    order = Window.partitionBy("site", "name").orderBy("group", "page_id")
+    return single.unionByName(several).withColumn("place", F.row_number().over(order)).where(c("place") <= most).select("site", "name", "place", "page_id", "url")
+
+
+def summary(items: DataFrame, affected: DataFrame) -> DataFrame:
+    """``site, items``: a site's items in their order, with the addresses that count against each: rows to be written as JSON."""
+    listed = affected.groupBy("site", "name").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "url"))), lambda x: x["url"]).alias("affected_urls"))
+    rows = items.join(listed, ["site", "name"], "left")
+    one = F.struct("seq", "name", "category", "score", "max_score", "status", "severity", "affected_urls")
+    return rows.groupBy("site").agg(F.array_sort(F.collect_list(one)).alias("items"))
+
+
 def _sums(rows: DataFrame, as_of: str) -> DataFrame:
     """The aggregation: counts and a few sums of each site."""
     now, year = F.to_timestamp(F.lit(as_of)), F.expr("INTERVAL 365 DAYS")
-    own = F.coalesce(F.nullif("modified", F.lit("")), F.nullif("published", F.lit("")))
-    served = F.when(_date(c("last_modified")) < now - F.expr("INTERVAL 1 HOUR"), F.nullif("last_modified", F.lit("")))
-    date = F.coalesce(own, served)
+    date = _dated(as_of)
     content, longer = c("words") > 100, c("words") > 200
     some, total = F.count_if, F.sum
     return rows.groupBy("site").agg(
@@ -115,12 +163,23 @@ def _sums(rows: DataFrame, as_of: str) -> DataFrame:
         total(F.size("images")).alias("images"), total(F.size(F.filter("images", lambda i: F.trim(i.alt) != ""))).alias("alts"), some(_there(c("viewport"))).alias("fitted"), some(c("url").startswith("https://")).alias("https"), some((c("status") < 200) | (c("status") >= 400)).alias("broken"),
         total("nofollowed").alias("nofollow"), total(F.size("internal")).alias("links"), some("odd_url").alias("odd"), some("semantic").alias("semantic"), some(c("body_bytes") < 0.1 * c("bytes")).alias("airy"), some(c("response_ms") > 3000).alias("slow"), some(c("hops") > 1).alias("chains"),
         some(~(_there(c("charset")) & c("doctype"))).alias("no_charset"), some(c("bytes") > 2 * 1024 * 1024).alias("big"), some(c("depth") > 3).alias("buried"), some(F.array_contains("levels", 1)).alias("h1"), total("images_seen").alias("images_seen"), total("responsive").alias("responsive"),
-        *(F.expr(UPPER_MEDIAN.format(x)).alias(f"mid_{x}") for x in ("response_ms", "bytes", "scripts")), some(_header("cache-control").rlike(r"max-age=[0-9]")).alias("cached"), some(_header("vary") != "").alias("varied"),
+        some(_header("cache-control").rlike(r"max-age=[0-9]")).alias("cached"), some(_header("vary") != "").alias("varied"),
         *(F.bool_or(x).alias(f"any_{x}") for x in ("first_person", "case_study", "research", "testimonials", "methodology", "credentials", "awards", "press")), some(F.trim(F.coalesce("author", F.lit(""))) != "").alias("all_authored"), F.bool_or(F.length(F.trim(F.coalesce("author_bio", F.lit("")))) > 20).alias("any_bio"),
         total(F.size("sources") + F.size("quotes")).alias("citations"), total(F.size(F.filter("headings", lambda h: F.trim(h.text).endswith("?")))).alias("questions"), total(F.size("tables")).alias("tables"), total(F.size("lists")).alias("lists"),
     )
 
 
+def medians(rows: DataFrame, *columns: str) -> DataFrame:
+    """``site`` and ``mid_`` of each column: the upper median of its whole numbers. Equal values are counted first, and a site's different values are
+    summed up in order, on disk where needed; no site's values are held at once."""
+    told = F.array(*(F.struct(F.lit(x).alias("name"), c(x).cast("long").alias("value")) for x in columns))
+    counts = rows.select("site", F.inline(told)).where("value IS NOT NULL").groupBy("site", "name", "value").agg(F.count("*").alias("k"))
+    whole = counts.groupBy("site", "name").agg(F.sum("k").alias("n"))
+    up = Window.partitionBy("site", "name").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    above = counts.withColumn("below", F.sum("k").over(up)).join(whole, ["site", "name"]).where(c("below") > F.floor(c("n") / 2))
+    return above.groupBy("site").agg(*(F.min(F.when(c("name") == x, c("value"))).alias(f"mid_{x}") for x in columns))
+
+
 def _shared(rows: DataFrame) -> list[DataFrame]:
     """What pages have in common: titles, descriptions, schema types, languages, links, canonical addresses; a row a site each."""
     by = lambda column, least, *more: rows.where(F.length(column) >= least).groupBy("site", column.alias("x")).agg(F.count("*").alias("k"), *more)
@@ -136,7 +195,7 @@ def _shared(rows: DataFrame) -> list[DataFrame]:
     orphans = addresses.join(inbound.select("site", c("target").alias("url")), ["site", "url"], "left_anti").where(urls.path_of(c("url")) != "/").groupBy("site").agg(F.count("*").alias("orphans"))
     canonical = urls.resolved(rows.where(_there(c("canonical"))).select("site", "url", "canonical"), c("canonical"), c("url"), "to")
     canonical = canonical.where((c("to") != c("url")) & (F.lower(urls.host_of(c("to"))) == F.lower(urls.host_of(c("url"))))).join(addresses.select("site", c("url").alias("to")), ["site", "to"], "left_anti").groupBy("site").agg(F.count("*").alias("astray"))
-    return [titles, same_titles, told, types, languages, orphans, canonical, clusters(inbound, addresses)]
+    return [titles, same_titles, told, types, languages, orphans, canonical, clusters(inbound, addresses), medians(rows, "response_ms", "bytes", "scripts")]
 
 
 def clusters(inbound: DataFrame, addresses: DataFrame) -> DataFrame:

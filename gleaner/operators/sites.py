@@ -76,21 +76,25 @@ def brand_scores(counts: DataFrame) -> DataFrame:
 # --- files
 
 
-def _joined(rows: DataFrame, *order: str) -> DataFrame:
-    """The lines of each site as one text, in order."""
-    return rows.groupBy("site").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "line"))), lambda s: s["line"]), "\n").alias("content"))
+def _joined(rows: DataFrame, keys: tuple[str, ...], *order: str) -> DataFrame:
+    """The lines of each key as one text, in order."""
+    return rows.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "line"))), lambda s: s["line"]), "\n").alias("content"))
 
 
-def sitemap_xml(entries: DataFrame) -> DataFrame:
-    """``site, content`` from ``site, page_id, loc, changefreq, priority``; one document for each site."""
+def sitemap_xml(entries: DataFrame, most: int = 50_000) -> DataFrame:
+    """``site, file, content`` from ``site, page_id, loc, changefreq, priority``: documents of up to ``most`` entries, as many as a sitemap may have,
+    numbered from 0."""
     line = F.concat(F.lit("  <url><loc>"), F.col("loc"), F.lit("</loc><changefreq>"), F.col("changefreq"), F.lit("</changefreq><priority>"), F.col("priority"), F.lit("</priority></url>"))
-    body = _joined(entries.select("site", "page_id", line.alias("line")), "page_id")
+    place = F.row_number().over(Window.partitionBy("site").orderBy("page_id"))
+    rows = entries.select("site", "page_id", line.alias("line")).withColumn("file", F.floor((place - 1) / most).cast("int"))
+    body = _joined(rows, ("site", "file"), "page_id")
     head = '<?xml version="1.0" encoding="UTF-8"?>\n<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">\n'
-    return body.select("site", F.concat(F.lit(head), F.col("content"), F.lit("\n</urlset>\n")).alias("content"))
+    return body.select("site", "file", F.concat(F.lit(head), F.col("content"), F.lit("\n</urlset>\n")).alias("content"))
 
 
 def llms_txt(pages: DataFrame, names: DataFrame) -> DataFrame:
-    """``site, content``: pages by section, main sections first, others as optional. ``names(site, name, tagline)``."""
+    """``site, content``: pages by section, main sections first, others as optional. ``names(site, name, tagline)``. A line a page: a file of a
+    million pages is some 100 MB and one row."""
     section = urls.section_of(F.col("url"))
     orders = F.create_map(*(F.lit(x) for k, s in enumerate(catalog.LLMS_SECTIONS) for x in (s, k)))
     rows = pages.select("site", "page_id", F.when(section.isin(*catalog.LLMS_SECTIONS[:7]), section).otherwise("Optional").alias("head"), orders[section].alias("rank"), "title", "url", "description")
@@ -98,7 +102,7 @@ def llms_txt(pages: DataFrame, names: DataFrame) -> DataFrame:
     line = F.concat(F.lit("- ["), title, F.lit("]("), F.col("url"), F.lit(")"), F.when(_there(F.col("description")), F.concat(F.lit(": "), F.col("description"))).otherwise(""))
     lines = rows.select("site", "head", "rank", "page_id", line.alias("line"))
     heads = lines.groupBy("site", "head").agg(F.min("rank").alias("rank")).select("site", "rank", F.lit(-1).cast("long").alias("page_id"), F.concat(F.lit("\n## "), F.col("head"), F.lit("\n")).alias("line"))
-    body = _joined(lines.select("site", "rank", F.col("page_id").cast("long").alias("page_id"), "line").unionByName(heads), "rank", "page_id")
+    body = _joined(lines.select("site", "rank", F.col("page_id").cast("long").alias("page_id"), "line").unionByName(heads), ("site",), "rank", "page_id")
     quote = F.when(_there(F.col("tagline")), F.concat(F.lit("\n> "), F.col("tagline"), F.lit("\n"))).otherwise("")
     return body.join(names, "site").select("site", F.concat(F.lit("# "), F.col("name"), F.lit("\n"), quote, F.col("content"), F.lit("\n")).alias("content"))
 

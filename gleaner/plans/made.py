@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import catalog
-from ..operators import composite, context, crawl, extract, history, json_ld, payloads, playbooks, sites
-from ..sources.tables import table
+from ..operators import audit, composite, context, crawl, extract, history, json_ld, payloads, playbooks, sites
+from ..sources.tables import table, texts_table
 from . import rich
 from .more import _GAPS
 from .rich import _IDENTITY, _ITEMS, _R
@@ -140,7 +140,7 @@ def given(spark, sf_dir: str, *fields: str):
     """The rows of ``pages`` as records, by site."""
     from ..functions import urls
 
-    rows = table(spark, sf_dir, "pages").select("page_id", "url", urls.domain_of(F.col("url")).alias("site"), "html")
+    rows = texts_table(spark, sf_dir, "pages").select("page_id", "url", urls.domain_of(F.col("url")).alias("site"), "html")
     return extract.records(rows, *fields)
 
 
@@ -191,6 +191,36 @@ def given_site_json_ld(spark, sf_dir):
     return json_ld.site_json_ld(rows, extract.site_identity(rows))
 
 
+# --- pages that count against checks
+
+_AFFECTED = {
+    "AI Content Directives": "d % 8 <> 0", "Structured Data (JSON-LD)": "ld = 0", "Content Structure & Depth": "words < 300", "Heading Hierarchy": "len(heads) > 0 AND NOT (h1 IS NOT NULL AND h4 IS NULL)", "Meta Descriptions": "length(description) < 30",
+    "Content Freshness": "stamp IS NULL", "Featured Snippet Readiness": "words > 100 AND NOT snippet", "Voice Search Optimization": "words > 100 AND len(asks) = 0", "Content Too Long for AI": "words > 10000", "Paragraph Length Optimization": "words > 100 AND NOT (words BETWEEN 40 AND 75)",
+    "Answer-First Content Structure": f"words > 100 AND len(heads) >= 2 AND NOT (words BETWEEN 20 AND 80 AND NOT {rich._OPENS(catalog.LEADS_BY_QUESTION)} AND {rich._WORDY(catalog.ANSWERS)})", "Compression": "d % 7 = 0", "Content Quotability Score": "words > 100",
+    "Content Readability": "words > 100 AND greatest(0.0::DOUBLE, least(100.0::DOUBLE, 206.835::DOUBLE - 1.015::DOUBLE * (words / len(sentences)) - 84.6::DOUBLE * (syl / words))) < 30", "Server-side Rendering": "words <= 50", "Open Graph Tags": "og_title IS NULL OR og_description IS NULL",
+    "Author & Expertise Signals": "words > 200 AND author IS NULL", "Citation Quality": f"words > 200 AND len({rich._STATS}) = 0 AND sources = 0 AND quote IS NULL", "Twitter Card Tags": "tw_card IS NULL AND tw_title IS NULL AND tw_description IS NULL", "Breadcrumb Schema": "d % 3 <> 1 AND d % 7 <> 3",
+    "hreflang Tags": "d % 5 <> 2", "Title Tags": "length(title) NOT BETWEEN 30 AND 70", "Image Alt Text": "d % 4 > d % 3", "Mobile Viewport": "viewport IS NULL", "HTTPS Enforcement": "d % 9 = 0", "Broken Pages": "d % 17 = 0", "Nofollow on Internal Links": "d % 10 = 0", "URL Structure Quality": "d % 8 = 5",
+    "Page Response Time": "d * 37 % 4000 > 3000", "Redirect Chains": "d % 3 > 1", "Character Encoding & Doctype": "charset IS NULL OR d % 14 = 0", "Crawl Depth": "d % 6 > 3", "Missing H1 Heading": "h1 IS NULL", "Responsive Images": "d % 4 > 0 AND d % 2 = 1",
+}
+_FAILING = " UNION ALL ".join(f"SELECT site, {quoted(n)} AS name, d, url, 0 AS grp FROM p WHERE {when}" for n, when in _AFFECTED.items())
+_SHARING = " UNION ALL ".join(f"SELECT * EXCLUDE (k) FROM (SELECT site, {quoted(n)} AS name, d, url, min(d) OVER w AS grp, count(*) OVER w AS k FROM p WHERE length(trim({x})) >= {least} WINDOW w AS (PARTITION BY site, trim({x}))) WHERE k > 1" for n, x, least in (("Duplicate Titles", "title", 1), ("Duplicate Meta Descriptions", "description", 20)))
+_AFF = f"aff AS (SELECT site, name, row_number() OVER (PARTITION BY site, name ORDER BY grp, d)::INTEGER AS place, d AS page_id, url FROM ({_FAILING} UNION ALL {_SHARING}))"
+
+
+@_query(f"WITH {_ITEMS}, {_AFF} SELECT * FROM aff WHERE place <= 20")
+def affected_urls(spark, sf_dir):
+    return audit.affected_urls(rich.rich_records(spark, sf_dir), rich.AS_OF)
+
+
+@_query(f"""WITH {_ITEMS}, {_AFF}, lu AS (SELECT site, name, list(url ORDER BY place) AS urls FROM aff WHERE place <= 20 GROUP BY site, name),
+sj AS (SELECT i.site, seq, '{{"name":' || {_json('i.name')} || ',"category":"' || category || '","score":' || score || ',"status":"' || status || '"' || CASE WHEN urls IS NOT NULL THEN ',"affectedUrls":' || {_json('urls')} ELSE '' END || '}}' AS x FROM items i LEFT JOIN lu ON lu.site = i.site AND lu.name = i.name)
+SELECT site, '[' || string_agg(x, ',' ORDER BY seq) || ']' AS json FROM sj GROUP BY site""")
+def summary_json(spark, sf_dir):
+    rows = audit.summary(rich._items(spark, sf_dir), audit.affected_urls(rich.rich_records(spark, sf_dir), rich.AS_OF))
+    told = F.transform("items", lambda i: F.struct(i["name"].alias("name"), i["category"].alias("category"), i["score"].alias("score"), i["status"].alias("status"), i["affected_urls"].alias("affectedUrls")))
+    return rows.select("site", F.to_json(told).alias("json"))
+
+
 # --- what a crawl of the given pages brought
 
 _FETCHES = """SELECT page_id, url, regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1) AS site, CASE WHEN page_id % 7 = 3 THEN 500 ELSE 200 END AS status, CASE WHEN page_id % 11 = 5 THEN 'application/pdf' WHEN page_id % 4 = 0 THEN 'text/html; charset=utf-8' END AS kind,
@@ -310,9 +340,7 @@ vi AS (SELECT concat('src', user_id, '.example') AS site, arg_max(value, row(ts,
 SELECT site, pages AS generated_at, service_score, overall, {grade_sql('overall')} AS grade, visibility, seo, discoverability, content, infrastructure, coalesce(missing_files, '') AS missing_files, array_to_string(coalesce(todo, [])[1:4], ';') AS to_do,
  (11 - CASE WHEN coalesce(missing_files, '') = '' THEN 0 ELSE len(string_split(missing_files, ',')) END)::INTEGER AS files_there FROM sc JOIN gn USING (site) LEFT JOIN gl USING (site) LEFT JOIN vi USING (site)""")
 def client_playbooks(spark, sf_dir):
-    from ..sources.scratch import checkpointed
-
-    items = checkpointed(rich._items(spark, sf_dir))
+    items = rich._items(spark, sf_dir)
     dates = rich.rich_pages(spark, sf_dir).groupBy("site").agg(F.max("page_id").alias("generated_at"))
     scored = composite.service_score(items).join(composite.overall(items), "site").join(dates, "site")
     jobs = history.jobs_of(table(spark, sf_dir, "events")).where("type = 'check' AND status = 'completed'")

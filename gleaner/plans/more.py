@@ -136,7 +136,7 @@ _ENTRY = " ".join(f"WHEN {p} THEN {quoted(v)}" for p, v in (("d % 8 = 0", "weekl
 _PRIO = " ".join(f"WHEN {p} THEN {quoted(v)}" for p, v in (("d % 8 = 0", "0.7"), ("d % 8 IN (1, 4)", "0.6"), ("d % 8 IN (2, 3)", "0.3"), ("d % 8 = 5", "0.8")))
 
 
-@_query(f"""WITH {_R} SELECT site, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">' || chr(10) || string_agg('  <url><loc>' || url || '</loc><changefreq>' || CASE {_ENTRY} ELSE 'monthly' END || '</changefreq><priority>' || CASE {_PRIO} ELSE '0.5' END || '</priority></url>', chr(10) ORDER BY d) || chr(10) || '</urlset>' || chr(10) AS content FROM r WHERE d % 17 <> 0 GROUP BY site""")
+@_query(f"""WITH {_R} SELECT site, 0 AS file, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">' || chr(10) || string_agg('  <url><loc>' || url || '</loc><changefreq>' || CASE {_ENTRY} ELSE 'monthly' END || '</changefreq><priority>' || CASE {_PRIO} ELSE '0.5' END || '</priority></url>', chr(10) ORDER BY d) || chr(10) || '</urlset>' || chr(10) AS content FROM r WHERE d % 17 <> 0 GROUP BY site""")
 def sitemap_xml(spark, sf_dir):
     from ..operators import pages
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import catalog
 from ..functions import markup, scores, text, urls
 from ..operators import citability, composite, history, pages, records, texts, visibility
-from ..sources.tables import table
+from ..sources.tables import table, texts_table
 from . import made, more, rich
 from .sql import NOT_WS, WS, grade_sql, half_up_sql, quoted, status_sql
 
@@ -38,12 +38,12 @@ f AS (SELECT *, CASE WHEN words > 0 AND sentences > 0 THEN greatest(0.0::DOUBLE,
 
 @query(f"WITH {_READ} SELECT doc_id, words::INTEGER AS words, sentences::INTEGER AS sentences, syllables::INTEGER AS syllables, round(flesch, 6) AS flesch FROM f")
 def doc_flesch(spark, sf_dir):
-    return texts.readability(table(spark, sf_dir, "documents"), "doc_id").withColumn("flesch", F.round("flesch", 6))
+    return texts.readability(texts_table(spark, sf_dir, "documents"), "doc_id").withColumn("flesch", F.round("flesch", 6))
 
 
 @query(f"WITH {_READ}, g AS (SELECT lang, count(*) AS pages, avg(flesch) AS a FROM f WHERE words > 100 GROUP BY lang) SELECT lang, pages, round(a, 6) AS avg_flesch, least(100, {half_up_sql('a * 100 / 60')}) AS score, {status_sql('a', 50, 30)} AS status FROM g")
 def readability_by_lang(spark, sf_dir):
-    return texts.readability_check(table(spark, sf_dir, "documents"), "lang")
+    return texts.readability_check(texts_table(spark, sf_dir, "documents"), "lang")
 
 
 _TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '\\b[a-z]{3,}\\b')"
@@ -51,7 +51,7 @@ _TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '\\b[a-z]{3,}\\b')"
 
 @query(f"SELECT doc_id, round(CASE WHEN len({_TOKENS}) < 50 THEN 1.0 ELSE len(list_distinct({_TOKENS})) / len({_TOKENS}) END, 9) AS diversity FROM documents")
 def lexical_diversity(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(text.diversity(text.long_words(F.coalesce("text", F.lit("")))), 9).alias("diversity"))
+    return texts_table(spark, sf_dir, "documents").select("doc_id", F.round(text.diversity(text.long_words(F.coalesce("text", F.lit("")))), 9).alias("diversity"))
 
 
 def _count_sql(phrases) -> str:
@@ -71,25 +71,25 @@ s AS (SELECT *, CASE WHEN words < 100 THEN 0 ELSE least(100, CASE WHEN tr > 8 TH
 
 @query(f"WITH {_STYLE} SELECT doc_id, words::INTEGER AS words, un AS uniformity, pe AS personal, score AS style_score FROM s")
 def machine_style_page(spark, sf_dir):
-    return texts.machine_style(table(spark, sf_dir, "documents"), "doc_id", separator="\n").select("doc_id", "words", "uniformity", "personal", "style_score")
+    return texts.machine_style(texts_table(spark, sf_dir, "documents"), "doc_id", separator="\n").select("doc_id", "words", "uniformity", "personal", "style_score")
 
 
 @query(f"WITH {_STYLE} SELECT lang, count(*) AS pages, {half_up_sql('avg(score)')} AS average_score, count_if(score >= 60)::BIGINT AS likely_machine, count_if(score < 30)::BIGINT AS likely_human FROM s WHERE words >= 100 GROUP BY lang")
 def machine_style_site(spark, sf_dir):
-    return texts.machine_style_check(table(spark, sf_dir, "documents"), "lang", separator="\n")
+    return texts.machine_style_check(texts_table(spark, sf_dir, "documents"), "lang", separator="\n")
 
 
 @query(f"""WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\\n'), lambda p: regexp_replace(p, '^{WS}+|{WS}+$', '', 'g')), lambda p: len(regexp_split_to_array(p, '{WS}+')) BETWEEN 15 AND 300) AS l FROM documents)
 SELECT doc_id, (i - 1)::INTEGER AS place, l[i] AS passage, len(regexp_split_to_array(l[i], '{WS}+'))::INTEGER AS words FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM p)""")
 def passages(spark, sf_dir):
-    return texts.passages(table(spark, sf_dir, "documents"), "doc_id", separator="\n")
+    return texts.passages(texts_table(spark, sf_dir, "documents"), "doc_id", separator="\n")
 
 
 @query(f"""WITH t AS (SELECT lang, len(list_filter(regexp_split_to_array(text, '\\.{WS}+'), lambda s: regexp_matches(s, '{NOT_WS}') AND len(regexp_split_to_array(s, '{WS}+')) BETWEEN 30 AND 70)) > 0 AS r,
   regexp_matches(text, '(?i)\\b(?:is a|is an|refers to|is defined as|means)\\b') AS d FROM documents WHERE len({_WORDS}) > 100)
 SELECT lang, count(*) AS pages, count_if(r)::BIGINT AS ready, count_if(d)::BIGINT AS defining, {half_up_sql('count_if(r) / count(*) * 70 + count_if(d) / count(*) * 30')} AS score FROM t GROUP BY lang""")
 def snippet_readiness(spark, sf_dir):
-    return texts.snippet_check(table(spark, sf_dir, "documents"), "lang")
+    return texts.snippet_check(texts_table(spark, sf_dir, "documents"), "lang")
 
 
 
@@ -99,7 +99,7 @@ _FIGURES = " || ".join(f"regexp_extract_all(coalesce(text, ''), {quoted(p)})" fo
 
 @query(f"WITH t AS (SELECT doc_id, list_distinct({_FIGURES}) AS l FROM documents) SELECT doc_id, len(l)::INTEGER AS figures FROM t WHERE len(l) > 0")
 def statistics_extract(spark, sf_dir):
-    return texts.statistics_found(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", F.size("figures").alias("figures"))
+    return texts.statistics_found(texts_table(spark, sf_dir, "documents"), "doc_id").select("doc_id", F.size("figures").alias("figures"))
 
 
 @query("SELECT source, count(*) AS pages, CAST(sum(n) AS BIGINT) AS in_groups FROM (SELECT source, text, count(*) AS n FROM documents WHERE text <> '' GROUP BY source, text) WHERE n > 1 GROUP BY source")
@@ -124,22 +124,22 @@ g AS (SELECT *, {half_up_sql('(answer * 30 + self_contained * 25 + structure * 2
 
 @query(f'WITH {_CITE} SELECT doc_id, place::INTEGER AS place, answer, self_contained, structure, figures, "unique", overall FROM g')
 def passage_dims(spark, sf_dir):
-    return citability.dimensions(texts.passages(table(spark, sf_dir, "documents"), "doc_id", separator="\n")).select("doc_id", "place", *catalog.CITABILITY, "overall")
+    return citability.dimensions(texts.passages(texts_table(spark, sf_dir, "documents"), "doc_id", separator="\n")).select("doc_id", "place", *catalog.CITABILITY, "overall")
 
 
 @query(f"WITH {_CITE} SELECT doc_id, count(*) AS passages, count_if(overall >= 70)::BIGINT AS high, {half_up_sql('avg(overall)')} AS score FROM g GROUP BY doc_id")
 def page_citability(spark, sf_dir):
-    return citability.by_text(table(spark, sf_dir, "documents"), "doc_id", separator="\n")
+    return citability.by_text(texts_table(spark, sf_dir, "documents"), "doc_id", separator="\n")
 
 
 @query(f"WITH {_CITE}, c AS (SELECT doc_id, lang, count(*) AS n, count_if(overall >= 70) AS h, {half_up_sql('avg(overall)')} AS s FROM g WHERE doc_id IN (SELECT doc_id FROM documents WHERE len({_WORDS}) > 100) GROUP BY doc_id, lang) SELECT lang, sum(n)::BIGINT AS passages, sum(h)::BIGINT AS high, {half_up_sql('sum(s * n) / sum(n)')} AS score FROM c GROUP BY lang")
 def site_citability(spark, sf_dir):
-    return citability.by_site(table(spark, sf_dir, "documents"), "doc_id", "lang", separator="\n")
+    return citability.by_site(texts_table(spark, sf_dir, "documents"), "doc_id", "lang", separator="\n")
 
 
 @query(f"WITH {_CITE}, r AS (SELECT doc_id, place::INTEGER AS place, overall, row_number() OVER (PARTITION BY doc_id ORDER BY overall, place DESC)::INTEGER AS rank FROM g WHERE overall < 50) SELECT doc_id, rank, place, overall FROM r WHERE rank <= 5")
 def weak_passages(spark, sf_dir):
-    return citability.weakest(table(spark, sf_dir, "documents"), "doc_id", separator="\n")
+    return citability.weakest(texts_table(spark, sf_dir, "documents"), "doc_id", separator="\n")
 
 
 # --- questions of texts and the passages that speak to them
@@ -150,7 +150,7 @@ _QUESTIONS = f"""qw AS (SELECT doc_id, {_QW} AS w FROM documents), qh AS (SELECT
  UNION ALL SELECT doc_id, 1, concat_ws(' ', w[len(w) // 10 + 1], w[len(w) * 3 // 10 + 1], w[len(w) // 2 + 1], w[len(w) // 2 + 1], w[len(w) * 9 // 10 + 1]) || '?' FROM qw WHERE len(w) > 0)"""
 _TERMS = f"""qt AS (SELECT doc_id, question, list_filter(regexp_split_to_array(regexp_replace(heading, '[?''"]', '', 'g'), '{WS}+'), lambda w: length(w) > 3) AS t FROM qh)"""
 def _questions(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", text.words(F.coalesce("text", F.lit(""))).alias("w")).where(F.size("w") > 0)
+    docs = texts_table(spark, sf_dir, "documents").select("doc_id", text.words(F.coalesce("text", F.lit(""))).alias("w")).where(F.size("w") > 0)
     at = lambda tenths: F.get("w", (F.size("w") * tenths / 10).cast("int"))
     first, spread = F.array_join(F.slice("w", 1, 6), " "), F.concat_ws(" ", at(1), at(3), at(5), at(5), at(9))
     told = F.array(*(F.struct(F.lit(k).alias("question"), F.concat(x, F.lit("?")).alias("heading")) for k, x in enumerate((first, spread))))
@@ -162,13 +162,13 @@ _MET = f"{_CITE}, {_QUESTIONS}, {_TERMS}, mt AS (SELECT g1.doc_id, place::INTEGE
 
 @query(f"WITH {_MET} SELECT * FROM mt WHERE matched / terms >= 0.5")
 def passage_questions(spark, sf_dir):
-    found = texts.passages(table(spark, sf_dir, "documents"), "doc_id", separator="\n")
+    found = texts.passages(texts_table(spark, sf_dir, "documents"), "doc_id", separator="\n")
     return citability.question_matches(found.select("doc_id", "place", "passage"), _questions(spark, sf_dir), "doc_id")
 
 
 @query(f"WITH {_MET} SELECT doc_id, count(*) AS passages, count(an.place)::BIGINT AS answering FROM g1 LEFT JOIN an USING (doc_id, place) GROUP BY doc_id")
 def answering_passages(spark, sf_dir):
-    found = texts.passages(table(spark, sf_dir, "documents"), "doc_id", separator="\n").select("doc_id", "place", "passage")
+    found = texts.passages(texts_table(spark, sf_dir, "documents"), "doc_id", separator="\n").select("doc_id", "place", "passage")
     answers = citability.question_matches(found, _questions(spark, sf_dir), "doc_id").select("doc_id", "place").distinct().withColumn("yes", F.lit(True))
     return found.join(answers, ["doc_id", "place"], "left").groupBy("doc_id").agg(F.count("*").alias("passages"), F.count_if("yes").alias("answering"))
 
@@ -181,7 +181,7 @@ sd AS (SELECT *, CASE WHEN overall < 70 AND len(parts) > 0 THEN array_to_string(
 
 
 def _scored(spark, sf_dir):
-    return citability.scored(table(spark, sf_dir, "documents").select("doc_id", "text"), _questions(spark, sf_dir), "doc_id", separator="\n")
+    return citability.scored(texts_table(spark, sf_dir, "documents").select("doc_id", "text"), _questions(spark, sf_dir), "doc_id", separator="\n")
 
 
 @query(f'WITH {_SCORED} SELECT doc_id, place::INTEGER AS place, n::INTEGER AS words, answer::INTEGER AS answer, overall, advice FROM sd')
@@ -223,7 +223,7 @@ def page_sections(spark, sf_dir):
 
 @query(f"WITH {_FEATURES} SELECT page_id, site, title, has_h1, has_charset, has_doctype, html_bytes::INTEGER AS html_bytes, scripts::INTEGER AS scripts, lang, semantic::INTEGER AS semantic, divs::INTEGER AS divs, https, odd_url, words::INTEGER AS words, strlen(body)::INTEGER AS body_bytes FROM f")
 def page_features(spark, sf_dir):
-    rows = pages.features(table(spark, sf_dir, "pages"))
+    rows = pages.features(texts_table(spark, sf_dir, "pages"))
     return rows.select("page_id", "site", "title", "has_h1", "has_charset", "has_doctype", "html_bytes", "scripts", "lang", "semantic", "divs", "https", "odd_url", "words", F.octet_length("body").alias("body_bytes"))
 
 
@@ -249,7 +249,7 @@ _ITEMS = _items_sql()
 
 
 def _items(spark, sf_dir) -> DataFrame:
-    return pages.page_checks(pages.features(table(spark, sf_dir, "pages")))
+    return pages.page_checks(pages.features(texts_table(spark, sf_dir, "pages")))
 
 
 @query(f"WITH {_ITEMS} SELECT * FROM items")

@@ -427,13 +427,29 @@ _ITEMS = _items_sql(_audit_sql())
 _UNCHECKED = "Text-to-HTML Ratio"
 
 
+#: Facts and items of the tables that were audited last, a row a site and a row an item: many queries start from the same ones.
+_last: dict[tuple, DataFrame] = {}
+
+
+def _kept(spark, sf_dir: str, name: str, make) -> DataFrame:
+    """What ``make`` gives, written to the shared folder once for the tables as they are now. Only those of one folder and one state of its tables
+    are kept; what they replace is Spark's to clean up."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    now = (spark.sparkContext.applicationId, sf_dir, system.getFileStatus(path).getModificationTime(), system.getContentSummary(path).getLength())
+    for key in [k for k in _last if k[:-1] != now]:
+        del _last[key]
+    if (*now, name) not in _last:
+        _last[*now, name] = checkpointed(make())
+    return _last[*now, name]
+
+
 def _facts(spark, sf_dir: str) -> DataFrame:
-    rows = rich_records(spark, sf_dir)
-    return audit.site_facts(rows, site_files(spark, sf_dir), **probes(spark, sf_dir), as_of=AS_OF)
+    return _kept(spark, sf_dir, "facts", lambda: audit.site_facts(rich_records(spark, sf_dir), site_files(spark, sf_dir), **probes(spark, sf_dir), as_of=AS_OF))
 
 
 def _items(spark, sf_dir: str) -> DataFrame:
-    return audit.items(_facts(spark, sf_dir)).where(F.col("name") != _UNCHECKED)
+    return _kept(spark, sf_dir, "items", lambda: audit.items(_facts(spark, sf_dir))).where(F.col("name") != _UNCHECKED)
 
 
 @_query(f"WITH {_ITEMS} SELECT * FROM items")
@@ -535,14 +551,12 @@ _PLATFORMS = _platforms_sql()
 
 @_query(f"WITH {_PLATFORMS} SELECT site, platform, score, {grade_sql('score')} AS grade FROM pl")
 def platform_readiness(spark, sf_dir):
-    facts = _facts(spark, sf_dir)
-    return audit.platforms(facts, audit.items(facts))
+    return audit.platforms(_facts(spark, sf_dir), _items(spark, sf_dir))
 
 
 @_query(f"WITH {_PLATFORMS} SELECT site, arg_max(platform, row(score, -place)) AS best, arg_min(platform, row(score, -place)) AS worst FROM pl GROUP BY site")
 def platform_extremes(spark, sf_dir):
-    facts = _facts(spark, sf_dir)
-    return audit.best_and_worst(audit.platforms(facts, audit.items(facts)))
+    return audit.best_and_worst(audit.platforms(_facts(spark, sf_dir), _items(spark, sf_dir)))
 
 
 @_query(f"""WITH {_R}, ed AS (SELECT site, target, count(*) AS k FROM (SELECT site, unnest(internal) AS target FROM r) GROUP BY site, target), ne AS (SELECT ed.site, k, len(list_filter(regexp_split_to_array(body, '{WS}+'), lambda w: w <> '')) AS words, len(internal) AS out FROM ed JOIN r ON r.site = ed.site AND r.url = ed.target),

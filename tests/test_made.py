@@ -217,3 +217,59 @@ def test_small_url_functions(spark):
 
 def test_templates_are_whole():
     assert [len(t) for t in catalog.QUERY_TEMPLATES.values()] == [20, 20]
+
+
+def test_query_lines(spark, tmp_path):
+    from gleaner.sources.tables import query_lines, spread
+
+    (tmp_path / "q.txt").write_text("# a comment\n  best tools \n\n   \n#x\nwhy # not\n")
+    assert [r["query"] for r in query_lines(spark, str(tmp_path / "q.txt")).collect()] == ["best tools", "why # not"]
+    few = spark.range(10).coalesce(1)
+    assert spread(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and spread(spark.range(0, 10, 1, 40)).rdd.getNumPartitions() == 40
+
+
+def test_identity_is_filled_from_pages_about_the_site(spark):
+    rows = [
+        ("a.com", 1, "https://a.com/x", "<p>no address"), ("a.com", 5, "https://a.com/about", "<p>write to first@a.com or second@a.com, 12 Main St, Springfield, IL 62701"), ("a.com", 7, "https://a.com/contact", "<p>later@a.com"),
+        ("b.com", 3, "https://b.com/team", "<p>team@b.com"), ("b.com", 9, "https://b.com/", '<title>T | B</title><a href="mailto:home@b.com">m</a>'), ("c.com", 1, "https://c.com/other", "<p>x@c.com elsewhere"), ("c.com", 2, "https://c.com/other2", "<p>x"),
+    ]
+    got = {r["site"]: r["identity"] for r in extract.site_identity(pages(spark, rows)).collect()}
+    assert (got["a.com"]["email"], got["a.com"]["address"]) == ("first@a.com", "12 Main St, Springfield, IL 62701")
+    assert (got["b.com"]["email"], got["b.com"]["name"]) == ("home@b.com", "B") and got["c.com"]["email"] == "x@c.com"
+
+
+def test_medians_and_compression(spark):
+    from gleaner.operators import audit
+
+    rng = random.Random(8)
+    rows = [(f"s{k % 4}", rng.choice([None, rng.randint(-3, 3), rng.randint(0, 10**6)]), rng.randint(0, 2)) for k in range(201)] + [("alone", None, 7)]
+    expected = {}
+    for s in {r[0] for r in rows}:
+        mids = []
+        for k in (1, 2):
+            values = sorted(r[k] for r in rows if r[0] == s and r[k] is not None)
+            mids.append(values[len(values) // 2] if values else None)
+        expected[s] = tuple(mids)
+    got = audit.medians(spark.createDataFrame(rows, "site string, a long, b int"), "a", "b")
+    assert {r["site"]: (r["mid_a"], r["mid_b"]) for r in got.collect()} == expected
+    told = [("a", {"content-encoding": "br"}), ("a", {"x": "y"}), ("b", {}), ("b", None)]
+    pages_ = spark.createDataFrame(told, "site string, headers map<string,string>")
+    probed = spark.createDataFrame([("a", "gzip")], "site string, encoding string")
+    assert sorted((r["site"], (r["headers"] or {}).get("content-encoding") or "") for r in sites.compressed(pages_, probed).collect()) == [("a", "br"), ("a", "gzip"), ("b", ""), ("b", "")]
+
+
+def test_sitemaps_are_split(spark):
+    entries = spark.createDataFrame([("a", k, f"u{k}", "daily", "0.5") for k in range(7)] + [("b", 1, "u", "daily", "1.0")], "site string, page_id long, loc string, changefreq string, priority string")
+    made = {(r["site"], r["file"]): r["content"].count("<loc>") for r in sites.sitemap_xml(entries, 3).collect()}
+    assert made == {("a", 0): 3, ("a", 1): 3, ("a", 2): 1, ("b", 0): 1}
+
+
+def test_engines_are_few(spark):
+    from gleaner.operators import service
+
+    queries = spark.createDataFrame([(1,), (2,)], "query_id int")
+    engines = spark.createDataFrame([("a",), ("b",), ("a",)], "engine string")
+    assert sorted(map(tuple, service.asked_everywhere(queries, engines).collect())) == [(1, "a"), (1, "b"), (2, "a"), (2, "b")]
+    assert service.asked_everywhere(queries, engines.where("false")).count() == 0
+    with pytest.raises(ValueError):
+        service.asked_everywhere(queries, engines, 1)
