@@ -87,7 +87,11 @@ def learn(x: np.ndarray, books: int = BOOKS, entries: int = ENTRIES, rounds: int
         for i in range(books):
             hot[np.arange(len(x)), i * k + codes[:, i].astype(np.int64)] = 1
         gram = hot.T @ hot + 1e-2 * np.eye(books * k, dtype=np.float32)
-        model = Books((model.entries.reshape(-1, x.shape[1]) + np.linalg.solve(gram, hot.T @ (x - model.decode(codes)))).astype(np.float32).reshape(model.entries.shape))
+        model = Books(
+            (
+                model.entries.reshape(-1, x.shape[1]) + np.linalg.solve(gram, hot.T @ (x - model.decode(codes)))
+            ).astype(np.float32).reshape(model.entries.shape)
+        )
     return model
 
 
@@ -95,7 +99,9 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame,
     """``(id, v)`` of the vectors that take part, and their length."""
     v = F.col(vector_col).cast("array<double>")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull()).where(finite.alias("f") & F.exists("v", lambda x: x != 0))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(
+        F.col("id").isNotNull() & F.col("v").isNotNull()
+    ).where(finite.alias("f") & F.exists("v", lambda x: x != 0))
     most = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     dim = most["d"] if most else 1
     return rows.where(F.size("v") == dim), dim
@@ -105,14 +111,22 @@ def _codes(model: Books, dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _unit(_matrix(batch.column("v"), dim))
-            norms, cosines, codes = np.zeros(len(x), np.float32), np.zeros(len(x), np.float32), np.zeros((len(x), len(model.entries)), np.uint8)
+            norms, cosines, codes = np.zeros(len(x), np.float32), np.zeros(len(x), np.float32), np.zeros(
+                (len(x), len(model.entries)), np.uint8,
+            )
             for a in range(0, len(x), 512):
                 part = slice(a, a + 512)
                 codes[part] = model.encode(x[part])
                 near = model.decode(codes[part])
                 norms[part] = np.sqrt((near * near).sum(1))
                 cosines[part] = (near * x[part]).sum(1) / np.maximum(norms[part], 1e-12)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "v")), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms), pa.array(cosines)], names=["id", "v", "codes", "norm", "cosine"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(c) for c in ("id", "v")), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms),
+                    pa.array(cosines),
+                ],
+                names=["id", "v", "codes", "norm", "cosine"],
+            )
 
     return run
 
@@ -124,7 +138,10 @@ def index(rows: DataFrame, model: Books, dim: int) -> DataFrame:
 
 def _put(uri: str):
     def run(pdf):
-        put(uri, int(pdf["block"].iloc[0]), {"rows": pdf["row"].to_numpy(np.int64), "ids": pdf["id"].to_numpy(np.int64), "vectors": np.stack(pdf["v"]).astype(np.float64)})
+        put(
+            uri, int(pdf["block"].iloc[0]),
+            {"rows": pdf["row"].to_numpy(np.int64), "ids": pdf["id"].to_numpy(np.int64), "vectors": np.stack(pdf["v"]).astype(np.float64)},
+        )
         return pdf.iloc[:1][["block"]]
 
     return run
@@ -190,24 +207,34 @@ def _scan(model: Books, dim: int, uri: str, blocks: int, k: int, keep: int):
                     least[j] = np.sort(np.r_[least[j], exact[best]])[-k:]
                     own = (ids[top[best]] == q) & (exact[best] == _exact(vectors[j], vectors[j][None])[0])  # as the query's own row would be
                     found.append((np.full(len(best), numbers[j]), np.full(len(best), q), ids[top[best]], exact[best], own))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["row", "query_id", "vec_id", "score", "own"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(c)) for c in zip(*found)], names=["row", "query_id", "vec_id", "score", "own"],
+                )
 
     return run
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", keep: int = KEEP) -> DataFrame:
+def search(
+    vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", keep: int = KEEP,
+) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row of ``is_query`` (a condition on ``id``) its ``k`` nearest others by cosine."""
     rows, dim = usable(vectors, id_col, vector_col)
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
     if not len(sample):
-        return rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).where("false")
+        return rows.select(
+            F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"),
+        ).where("false")
     model = learn(_unit(np.stack(sample["v"]).astype(np.float64)))
     asked = saved(rows.where(is_query).withColumn("row", F.monotonically_increasing_id()), "queries")
     blocks, uri = max(1, -(-asked.count() // QUERY_BLOCK)), new_dir(rows.sparkSession, "asked")
-    done = asked.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")).groupBy("block").applyInPandas(_put(uri), "block int").collect()
+    done = asked.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")).groupBy("block").applyInPandas(
+        _put(uri), "block int",
+    ).collect()
     seal(uri, blocks, [r["block"] for r in done], "rows", "ids", "vectors")
     # one more than asked for: the query's own row is among them, or so many others as near that it doesn't matter
-    exact = index(rows, model, dim).mapInArrow(_scan(model, dim, uri, blocks, k + 1, keep), "row long, query_id long, vec_id long, score double, own boolean")
+    exact = index(rows, model, dim).mapInArrow(
+        _scan(model, dim, uri, blocks, k + 1, keep), "row long, query_id long, vec_id long, score double, own boolean",
+    )
     order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     best = exact.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
     seen = Window.partitionBy("row").orderBy("place")

@@ -93,15 +93,24 @@ def _expand(target: str):
             yield conv[0], n, so_far, None, None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _batches(each(batches), ["conv_id", "example", "text", "loss_start", "loss_end"], [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64()], lambda row: len(row[2]))
+        return _batches(
+            each(batches), ["conv_id", "example", "text", "loss_start", "loss_end"],
+            [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64()], lambda row: len(row[2]),
+        )
 
     return run
 
 
-def examples(conversations: DataFrame, target: str = "assistant", conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def examples(
+    conversations: DataFrame, target: str = "assistant", conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
+    text_col: str = "text",
+) -> DataFrame:
     """``conv_id, example, text, loss_start, loss_end``; a conversation's examples lie one after the other, in order, in one partition."""
     told = lambda c, name: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name)
-    rows = conversations.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), told(role_col, "role"), told(text_col, "text"))
+    rows = conversations.select(
+        F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), told(role_col, "role"),
+        told(text_col, "text"),
+    )
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(_expand(target), EXAMPLE)
 
 
@@ -115,7 +124,9 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def each() -> Iterator[tuple]:
         conv, last, loss, loss_chars, chars, due = (), "", hashlib.sha256(), 0, 0, 0
         for batch in batches:
-            for key, n, text, start, end in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "example", "text", "loss_start", "loss_end"))):
+            for key, n, text, start, end in zip(
+                *(batch.column(c).to_pylist() for c in ("conv_id", "example", "text", "loss_start", "loss_end"))
+            ):
                 if conv != (key,):
                     if conv:
                         yield of(conv[0], last, loss, loss_chars, chars)
@@ -130,13 +141,18 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if conv:
             yield of(conv[0], last, loss, loss_chars, chars)
 
-    return _batches(each(), ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"], [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()])
+    return _batches(
+        each(), ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
+        [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()],
+    )
 
 
 def read_back(examples: DataFrame) -> DataFrame:
     """A row for each conversation, from the rows of :func:`examples` as they lie: its turns as the last example has them, and all text
     under the mask."""
-    return examples.mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return examples.mapInArrow(
+        _digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long",
+    )
 
 
 #: A conversation whose texts look like marks.
@@ -145,5 +161,7 @@ TRICKY = r"\### Assistant: </turn> ok"
 
 def op13_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    more = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], "conv_id long, turn long, role string, text string")
+    more = spark.createDataFrame(
+        [(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], "conv_id long, turn long, role string, text string",
+    )
     return read_back(examples(rows.unionByName(more)))

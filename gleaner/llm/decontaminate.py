@@ -60,7 +60,10 @@ def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
         words = words_of(batch.column("text"))
         ids = (words.hashes & U(0xFFFF)).astype(np.uint16)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([ids[a:b].tobytes() for a, b in zip(words.first[:-1], words.first[1:])], pa.binary())], names=["id", "words"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("id"), pa.array([ids[a:b].tobytes() for a, b in zip(words.first[:-1], words.first[1:])], pa.binary())],
+            names=["id", "words"],
+        )
 
 
 @dataclass
@@ -113,7 +116,9 @@ def _df(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = _blocks(texts)
         total += np.bincount(b.feature, minlength=FEATURES)
         blocks += len(b.text)
-    yield pa.RecordBatch.from_arrays([pa.array(np.r_[np.arange(FEATURES), -1].astype(np.int32)), pa.array(np.r_[total, blocks])], names=["feature", "n"])
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(np.r_[np.arange(FEATURES), -1].astype(np.int32)), pa.array(np.r_[total, blocks])], names=["feature", "n"],
+    )
 
 
 def _weights(b: _Blocks, idf: np.ndarray) -> np.ndarray:
@@ -150,7 +155,13 @@ def _sketch(idf: np.ndarray):
 
         task = TaskContext.get().partitionId() % 32
         slabs = total.reshape(_SLABS, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(_SLABS, dtype=np.int32)), pa.array(np.full(_SLABS, task, np.int32)), pa.array([s.tobytes() for s in slabs], pa.binary())], names=["slab", "task", "sums"])
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.arange(_SLABS, dtype=np.int32)), pa.array(np.full(_SLABS, task, np.int32)),
+                pa.array([s.tobytes() for s in slabs], pa.binary()),
+            ],
+            names=["slab", "task", "sums"],
+        )
 
     return run
 
@@ -168,7 +179,10 @@ class Space:
 
 
 def word_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return saved(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_ids, "id long, words binary"), "words")
+    return saved(
+        docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_ids, "id long, words binary"),
+        "words",
+    )
 
 
 def latent_space(words: DataFrame) -> Space:
@@ -184,7 +198,9 @@ def latent_space(words: DataFrame) -> Space:
     core = (core + core.T) / 2
     value, vector = np.linalg.eigh(core)
     keep = value > max(value.max(), 1e-12) * 1e-9
-    basis, sigma, _ = np.linalg.svd(sketch @ (vector[:, keep] / np.sqrt(value[keep])), full_matrices=False) if keep.any() else (np.zeros((FEATURES, 1)), np.zeros(1), None)
+    basis, sigma, _ = np.linalg.svd(sketch @ (vector[:, keep] / np.sqrt(value[keep])), full_matrices=False) if keep.any() else (
+        np.zeros((FEATURES, 1)), np.zeros(1), None,
+    )
     skip = SKIP if basis.shape[1] > 2 * SKIP else 0
     return Space(idf, basis[:, skip:].astype(np.float32), sigma[skip:])
 
@@ -301,12 +317,26 @@ def _holding(parts: list[Part], idf: np.ndarray, exact: float, loose: float):
 
 def _retrieve(space: Space, parts: list[Part], exact: float, loose: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _Blocks(*(np.concatenate(x) for x in zip(*((np.full(len(f), i), f, c) for i, p in enumerate(parts) for f, c in [np.unique(np.array(p.words) & (FEATURES - 1), return_counts=True)]))), np.arange(len(parts)), np.zeros(len(parts), np.int64))
+        own = _Blocks(
+            *(
+                np.concatenate(x)
+                for x in zip(
+                    *(
+                        (np.full(len(f), i), f, c)
+                        for i, p in enumerate(parts)
+                        for f, c in [np.unique(np.array(p.words) & (FEATURES - 1), return_counts=True)]
+                    )
+                )
+            ),
+            np.arange(len(parts)), np.zeros(len(parts), np.int64),
+        )
         queries = _unit(_vectors(own, space))
         weight = np.zeros((len(parts), FEATURES), np.float32)
         weight[own.block, own.feature] = space.idf[own.feature]
         weight /= weight.sum(1, keepdims=True)
-        holding, least, bags = _holding(parts, space.idf, exact, loose), [p.least(exact, loose) for p in parts], [Counter(p.words) for p in parts]
+        holding, least, bags = _holding(parts, space.idf, exact, loose), [
+            p.least(exact, loose) for p in parts
+        ], [Counter(p.words) for p in parts]
         for ids, texts in _chunks(batches):
             b = _blocks(texts)
             v = _vectors(b, space)
@@ -343,7 +373,10 @@ def _retrieve(space: Space, parts: list[Part], exact: float, loose: float):
                 if sum(min(k, seen[w]) for w, k in bags[j].items()) >= least[j] and part.decide(around, exact, loose)[2]:
                     found.append((ids[text], part.item, part.place, int(b.at[i]), float(passages[i] @ queries[j])))
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found) if found else [()] * 5, kinds)], names=["id", "item_id", "part", "at", "cosine"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(zip(*found) if found else [()] * 5, kinds)],
+                names=["id", "item_id", "part", "at", "cosine"],
+            )
 
     return run
 
@@ -353,8 +386,15 @@ def _whole_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
         words = words_of(batch.column("text"))
         whole = words.hashes.view(np.int64)
-        rows = [p for i, a, b in zip(batch.column("id").to_pylist(), words.first[:-1], words.first[1:]) for p in parts_of(i, whole[a:b].tolist())]
-        columns = [pa.array([p.item for p in rows], pa.int64()), pa.array([p.place for p in rows], pa.int32()), pa.array([p.words for p in rows], pa.list_(pa.int64())), pa.array([p.answer for p in rows], pa.int32())]
+        rows = [
+            p
+            for i, a, b in zip(batch.column("id").to_pylist(), words.first[:-1], words.first[1:])
+            for p in parts_of(i, whole[a:b].tolist())
+        ]
+        columns = [
+            pa.array([p.item for p in rows], pa.int64()), pa.array([p.place for p in rows], pa.int32()),
+            pa.array([p.words for p in rows], pa.list_(pa.int64())), pa.array([p.answer for p in rows], pa.int32()),
+        ]
         yield pa.RecordBatch.from_arrays(columns, names=["item_id", "part", "words", "answer_words"])
 
 
@@ -365,21 +405,31 @@ def _decide(exact: float, loose: float):
         for batch in pieces(batches):
             words, rows = words_of(batch.column("text")), []
             whole = words.hashes.view(np.int64)
-            for i, a, b, windows in zip(batch.column("id").to_pylist(), words.first[:-1], words.first[1:], batch.column("windows").to_pylist()):
+            for i, a, b, windows in zip(
+                batch.column("id").to_pylist(), words.first[:-1], words.first[1:], batch.column("windows").to_pylist(),
+            ):
                 for w in windows:
                     part = Part(w["item_id"], tuple(w["words"]), w["answer_words"])
                     share, told, leak = part.decide(whole[a:b][part.span(w["at"])].tolist(), exact, loose)
                     if leak:
                         rows.append((i, part.item, w["cosine"], share, told))
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 5, kinds)], names=["id", "item_id", "cosine", "lcs", "answer"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 5, kinds)],
+                names=["id", "item_id", "cosine", "lcs", "answer"],
+            )
 
     return run
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", exact: float = EXACT, loose: float = LOOSE) -> DataFrame:
+def leaks(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+    item_text: str = "text", exact: float = EXACT, loose: float = LOOSE,
+) -> DataFrame:
     """Pairs ``(id_col, item_id)`` of texts and the benchmark items in them, with the best passage's cosine, LCS share and answer share."""
-    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("id"), F.col(item_text).alias("text")).distinct()
+    items = benchmark.where(F.col(item_col).isNotNull()).select(
+        F.col(item_col).cast("long").alias("id"), F.col(item_text).alias("text"),
+    ).distinct()
     words = word_ids(docs, id_col, text_col)
     space = latent_space(words)
     spark = docs.sparkSession
@@ -403,8 +453,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         found = passed()
     # written first, so that Spark knows how few they are
     whole = saved(items.mapInArrow(_whole_parts, "item_id long, part int, words array<long>, answer_words int"), "parts")
-    windows = found.where("id is not null").join(whole, ["item_id", "part"]).groupBy("id").agg(F.collect_list(F.struct("item_id", "words", "answer_words", "at", "cosine")).alias("windows"))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(saved(windows, "windows"), "id")
+    windows = found.where("id is not null").join(whole, ["item_id", "part"]).groupBy("id").agg(
+        F.collect_list(F.struct("item_id", "words", "answer_words", "at", "cosine")).alias("windows")
+    )
+    texts = docs.select(
+        F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),
+    ).join(saved(windows, "windows"), "id")
     decided = texts.mapInArrow(_decide(exact, loose), "id long, item_id long, cosine double, lcs double, answer double")
     best = decided.groupBy("id", "item_id").agg(F.max(F.struct("lcs", "answer", "cosine")).alias("best"))
     return best.select(F.col("id").alias(id_col), "item_id", "best.cosine", "best.lcs", "best.answer")

@@ -41,7 +41,9 @@ def term_counts(docs: DataFrame) -> DataFrame:
     words = docs.select("lang", "source", F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), _lowered).alias("words"))
     told = lambda n, d: lambda t: F.struct(t.alias("term"), F.lit(n).cast("long").alias("n"), F.lit(d).cast("long").alias("d"))
     each = F.concat(F.transform("words", told(1, 0)), F.transform(F.array_distinct("words"), told(0, 1)))
-    return words.select("lang", "source", F.inline(each)).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+    return words.select("lang", "source", F.inline(each)).groupBy("lang", "source", "term").agg(
+        F.sum("n").alias("n"), F.sum("d").alias("d"),
+    )
 
 
 def _share(c: str, base: str) -> Column:
@@ -53,7 +55,9 @@ def _apart(p: str, q: str) -> str:
     return f"(({p} - {q}) * ({p} - {q}) div ({p} + {q}))"
 
 
-def audit(docs: DataFrame, least: int = 10, top: int = 10, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def audit(
+    docs: DataFrame, least: int = 10, top: int = 10, text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
+) -> DataFrame:
     """``lang, source, part, item, value, rank``: of each group, its difference from every other source of the language (``pair``), and
     the ``top`` terms that it has more of than the language (``term``). ``least``: documents of the language that a kept term is in."""
     store = Scratch(docs.sparkSession, "divergence")
@@ -63,17 +67,27 @@ def audit(docs: DataFrame, least: int = 10, top: int = 10, text_col: str = "text
     vector = F.array_sort(F.collect_list(F.struct("source", F.col("n").alias("c"))))
     terms = term_counts(docs).groupBy("lang", "term").agg(F.sum("d").alias("docs"), F.sum("n").alias("whole"), vector.alias("vector"))
     terms = store.saved(terms.where(F.col("docs") >= least).drop("docs"), "terms")
-    vectors = store.saved(terms.groupBy("lang", "vector").agg(F.count("*").alias("terms")).withColumn("id", F.monotonically_increasing_id()), "vectors")
+    vectors = store.saved(
+        terms.groupBy("lang", "vector").agg(F.count("*").alias("terms")).withColumn("id", F.monotonically_increasing_id()), "vectors",
+    )
 
     entries = vectors.select("id", "lang", "terms", F.size("vector").alias("sources"), F.inline("vector"))
     of_group = entries.groupBy("lang", "source").agg(F.sum(F.col("c") * F.col("terms")).alias("n"))
     of_lang = terms.groupBy("lang").agg(F.count("*").alias("v"), F.sum("whole").alias("n_lang"))
-    groups = docs.select("lang", "source").distinct().join(of_group, ["lang", "source"], "left").join(of_lang, "lang", "left").fillna(0, ["n", "v", "n_lang"])
-    groups = groups.select("lang", "source", "v", (F.col("n") + 2 * F.col("v")).alias("base"), (F.col("n_lang") + 2 * F.col("v")).alias("base_lang"))
+    groups = docs.select("lang", "source").distinct().join(of_group, ["lang", "source"], "left").join(of_lang, "lang", "left").fillna(
+        0, ["n", "v", "n_lang"],
+    )
+    groups = groups.select(
+        "lang", "source", "v", (F.col("n") + 2 * F.col("v")).alias("base"), (F.col("n_lang") + 2 * F.col("v")).alias("base_lang"),
+    )
     # where nothing is kept no share is asked for: 1 stands for it, and all differences are 0
-    groups = store.saved(groups.withColumn("z", F.when(F.col("v") > 0, _share("0", "greatest(base, 1)")).otherwise(F.lit(1).cast("long"))), "groups")
+    groups = store.saved(
+        groups.withColumn("z", F.when(F.col("v") > 0, _share("0", "greatest(base, 1)")).otherwise(F.lit(1).cast("long"))), "groups",
+    )
 
-    known = entries.join(groups.select("lang", "source", "base", "z"), ["lang", "source"]).withColumn("p", _share("c", "base")).select("id", "lang", "terms", "sources", "source", "c", "p", "z")
+    known = entries.join(groups.select("lang", "source", "base", "z"), ["lang", "source"]).withColumn("p", _share("c", "base")).select(
+        "id", "lang", "terms", "sources", "source", "c", "p", "z",
+    )
     known = store.saved(known, "entries")
 
     s, t = (groups.select("lang", F.col("source").alias(x), F.col("z").alias(f"z_{x}"), "v") for x in "st")
@@ -81,20 +95,35 @@ def audit(docs: DataFrame, least: int = 10, top: int = 10, text_col: str = "text
 
     own = known.groupBy("lang", "source", "c").agg(F.sum("terms").alias("terms"), F.first("p").alias("p"), F.first("z").alias("z"))
     one = own.join(t.drop("v"), "lang").where("source <> t")
-    one = one.select("lang", F.least("source", "t").alias("s"), F.greatest("source", "t").alias("t"), F.expr(f"terms * ({_apart('p', 'z_t')} - {_apart('z', 'z_t')})").alias("value"))
-
-    held = known.where("sources > 1").groupBy("id", "lang", "terms").agg(F.array_sort(F.collect_list(F.struct("source", "p", "z"))).alias("held"))
-    pairs = held.select("lang", "terms", "held", F.posexplode("held").alias("at", "a")).select("lang", "terms", "a", F.explode(F.expr("slice(held, at + 2, size(held))")).alias("b"))
+    one = one.select(
+        "lang", F.least("source", "t").alias("s"), F.greatest("source", "t").alias("t"),
+        F.expr(f"terms * ({_apart('p', 'z_t')} - {_apart('z', 'z_t')})").alias("value"),
+    )
+
+    held = known.where("sources > 1").groupBy("id", "lang", "terms").agg(
+        F.array_sort(F.collect_list(F.struct("source", "p", "z"))).alias("held")
+    )
+    pairs = held.select("lang", "terms", "held", F.posexplode("held").alias("at", "a")).select(
+        "lang", "terms", "a", F.explode(F.expr("slice(held, at + 2, size(held))")).alias("b"),
+    )
     value = f"terms * ({_apart('a.p', 'b.p')} - {_apart('a.p', 'b.z')} - {_apart('a.z', 'b.p')} + {_apart('a.z', 'b.z')})"
     both = pairs.select("lang", F.col("a.source").alias("s"), F.col("b.source").alias("t"), F.expr(value).alias("value"))
 
     sums = none.unionByName(one).unionByName(both).groupBy("lang", "s", "t").agg(F.sum("value").alias("value"))
-    sides = F.explode(F.array(F.struct(F.col("s").alias("source"), F.col("t").alias("item")), F.struct(F.col("t").alias("source"), F.col("s").alias("item")))).alias("x")
+    sides = F.explode(
+        F.array(
+            F.struct(F.col("s").alias("source"), F.col("t").alias("item")), F.struct(F.col("t").alias("source"), F.col("s").alias("item")),
+        )
+    ).alias("x")
     pair = sums.select("lang", "value", sides).select("lang", "x.source", F.lit("pair").alias("part"), "x.item", "value")
 
-    shares = terms.select("lang", "term", "whole", F.inline("vector")).join(groups.select("lang", "source", "base", "base_lang"), ["lang", "source"])
+    shares = terms.select("lang", "term", "whole", F.inline("vector")).join(
+        groups.select("lang", "source", "base", "base_lang"), ["lang", "source"],
+    )
     shares = shares.select("lang", "source", "term", _share("c", "base").alias("p"), _share("whole", "base_lang").alias("q")).where("p > q")
-    term = shares.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), F.expr(_apart("p", "q")).alias("value"))
+    term = shares.select(
+        "lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), F.expr(_apart("p", "q")).alias("value"),
+    )
 
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     ranked = lambda rows: rows.withColumn("rank", F.row_number().over(order))

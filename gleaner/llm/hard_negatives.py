@@ -38,7 +38,10 @@ def usable(vectors: DataFrame, is_anchor: Column, id_col: str, label_col: str, v
     """``(id, label, v, anchor)`` of the rows that take part; labels as text."""
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + (F.abs(x * 256) + 1) * (F.abs(x * 256) + 1))
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_anchor, F.lit(False)).alias("anchor"))
+    rows = vectors.select(
+        F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"),
+        F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_anchor, F.lit(False)).alias("anchor"),
+    )
     return rows.where("id IS NOT NULL AND label IS NOT NULL AND v IS NOT NULL").where(finite).where(square <= LARGEST)
 
 
@@ -148,20 +151,30 @@ def _other(uri: str, blocks: list[tuple[int, int]], n: int, low: int):
                         start = int(np.searchsorted(falling, -upper[k], "left"))
                         best = order[start : start + n]
                         best = best[scores[j, best] >= -(-low * int(upper[k]) // 100)]
-                        found.append((np.full(len(best), numbers[j]), np.full(len(best), place[k], np.int32), scores[j, best], rows.ids[best]))
+                        found.append(
+                            (np.full(len(best), numbers[j]), np.full(len(best), place[k], np.int32), scores[j, best], rows.ids[best])
+                        )
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["anchor", "place", "score", "id"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate(c)) for c in zip(*found)], names=["anchor", "place", "score", "id"],
+                    )
         give_back()
 
     return run
 
 
-def mine(vectors: DataFrame, is_anchor: Column, positives: int = 5, negatives: int = 5, low: int = 80, id_col: str = "vec_id", label_col: str = "label", vector_col: str = "embedding") -> DataFrame:
+def mine(
+    vectors: DataFrame, is_anchor: Column, positives: int = 5, negatives: int = 5, low: int = 80, id_col: str = "vec_id",
+    label_col: str = "label", vector_col: str = "embedding",
+) -> DataFrame:
     """``anchor_id, positive_id, rank, negative_id, positive_score, negative_score``: for each row where ``is_anchor`` holds (a condition
     on the table's columns) and each of its positives, up to ``negatives`` rows."""
     spark, store = vectors.sparkSession, Scratch(vectors.sparkSession, "mine")
     rows = store.saved(usable(vectors, is_anchor, id_col, label_col, vector_col))
-    anchors = store.saved(rows.where("anchor").select("id", "label", "v", F.size("v").alias("dim"), F.monotonically_increasing_id().alias("anchor")), "anchors")
+    anchors = store.saved(
+        rows.where("anchor").select("id", "label", "v", F.size("v").alias("dim"), F.monotonically_increasing_id().alias("anchor")),
+        "anchors",
+    )
     # so many blocks for the anchors of each length that each has about ANCHORS
     lengths = {r["dim"]: -(-r["n"] // ANCHORS) for r in anchors.groupBy("dim").agg(F.count("*").alias("n")).orderBy("dim").collect()}
     start, blocks = {}, []
@@ -171,7 +184,9 @@ def mine(vectors: DataFrame, is_anchor: Column, positives: int = 5, negatives: i
     if not blocks:
         store.clear()
         return spark.createDataFrame([], RESULT)
-    at = F.create_map(*[F.lit(x) for dim, n in lengths.items() for x in (dim, F.struct(F.lit(start[dim]).alias("start"), F.lit(n).alias("n")))])[F.col("dim")]
+    at = F.create_map(
+        *[F.lit(x) for dim, n in lengths.items() for x in (dim, F.struct(F.lit(start[dim]).alias("start"), F.lit(n).alias("n")))]
+    )[F.col("dim")]
     anchors = anchors.withColumn("block", (at["start"] + F.pmod(F.xxhash64("anchor"), at["n"])).cast("int"))
     uri = store.dir("blocks")
     done = anchors.groupBy("block").applyInPandas(_put(uri, "anchor", "label", "v"), "block int").collect()
@@ -179,25 +194,48 @@ def mine(vectors: DataFrame, is_anchor: Column, positives: int = 5, negatives: i
     blocks = [b for b in blocks if b[0] in {r["block"] for r in done}]
 
     wide = rows.agg(F.count("*").alias("n"), F.sum(F.size("v")).alias("size")).first()
-    tasks = max(-(-wide["n"] // ROWS), -(-(wide["size"] or 0) // NUMBERS), min(spark.sparkContext.defaultParallelism, -(-wide["n"] // 1024)))
+    tasks = max(
+        -(-wide["n"] // ROWS), -(-(wide["size"] or 0) // NUMBERS), min(spark.sparkContext.defaultParallelism, -(-wide["n"] // 1024)),
+    )
     dealt = rows.select("id", "label", "v").repartition(tasks)
 
     order = Window.partitionBy("anchor").orderBy(F.desc("score"), "id")
-    best = dealt.mapInArrow(_same(uri, blocks, positives + 1), "anchor long, score long, id long").withColumn("place", F.row_number().over(order)).where(F.col("place") <= positives + 1)
+    best = dealt.mapInArrow(_same(uri, blocks, positives + 1), "anchor long, score long, id long").withColumn(
+        "place", F.row_number().over(order),
+    ).where(F.col("place") <= positives + 1)
     # the anchor itself is one of those rows: one that has its id and its score with itself goes, or none, if it came too late
-    itself = anchors.select("anchor", "block", F.col("id").alias("anchor_id"), F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + F.floor(x * 256) * F.floor(x * 256)).alias("own"))
+    itself = anchors.select(
+        "anchor", "block", F.col("id").alias("anchor_id"),
+        F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + F.floor(x * 256) * F.floor(x * 256)).alias("own"),
+    )
     own = Window.partitionBy("anchor").orderBy("place")
     rest = best.join(itself, "anchor").withColumn("itself", (F.col("id") == F.col("anchor_id")) & (F.col("score") == F.col("own")))
     rest = rest.withColumn("copies", F.sum(F.col("itself").cast("int")).over(own)).where("NOT (itself AND copies = 1)")
-    found = store.saved(rest.withColumn("place", F.row_number().over(own)).where(F.col("place") <= positives).select("anchor", "block", "anchor_id", F.col("place").cast("int"), "score", "id"), "positives")
+    found = store.saved(
+        rest.withColumn("place", F.row_number().over(own)).where(F.col("place") <= positives).select(
+            "anchor", "block", "anchor_id", F.col("place").cast("int"), "score", "id",
+        ),
+        "positives",
+    )
     # blocks whose anchors have no positives are not asked again
     put_found = _put(uri, "anchor", "place", "score", prefix="positive-")
-    done = {r["block"] for r in found.select("block", "anchor", "place", "score").groupBy("block").applyInPandas(put_found, "block int").collect()}
+    done = {
+        r["block"]
+        for r in found.select("block", "anchor", "place", "score").groupBy("block").applyInPandas(put_found, "block int").collect()
+    }
 
     near = dealt.mapInArrow(_other(uri, [b for b in blocks if b[0] in done], negatives, low), "anchor long, place int, score long, id long")
-    near = near.withColumn("rank", F.row_number().over(Window.partitionBy("anchor", "place").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= negatives)
+    near = near.withColumn(
+        "rank", F.row_number().over(Window.partitionBy("anchor", "place").orderBy(F.desc("score"), "id")),
+    ).where(F.col("rank") <= negatives)
     told = found.select("anchor", "place", "anchor_id", F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))
-    result = saved(near.join(told, ["anchor", "place"]).select("anchor_id", "positive_id", F.col("rank").cast("int"), F.col("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score")), "negatives")
+    result = saved(
+        near.join(told, ["anchor", "place"]).select(
+            "anchor_id", "positive_id", F.col("rank").cast("int"), F.col("id").alias("negative_id"), "positive_score",
+            F.col("score").alias("negative_score"),
+        ),
+        "negatives",
+    )
     store.clear()
     return result
 

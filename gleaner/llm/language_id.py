@@ -80,10 +80,16 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
                 keys, n = summed(np.concatenate([keys, *(k for k, _ in held)]), np.concatenate([n, *(c for _, c in held)]))
                 held, size = [], 0
                 if len(keys) >= BUFFER:
-                    yield pa.RecordBatch.from_arrays([pa.array((keys // CODES).astype(np.int32)), pa.array((keys % CODES).astype(np.int32)), pa.array(n)], names=["lang", "code", "n"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array((keys // CODES).astype(np.int32)), pa.array((keys % CODES).astype(np.int32)), pa.array(n)],
+                        names=["lang", "code", "n"],
+                    )
                     keys, n = keys[:0], n[:0]
         keys, n = summed(np.concatenate([keys, *(k for k, _ in held)]), np.concatenate([n, *(c for _, c in held)]))
-        yield pa.RecordBatch.from_arrays([pa.array((keys // CODES).astype(np.int32)), pa.array((keys % CODES).astype(np.int32)), pa.array(n)], names=["lang", "code", "n"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array((keys // CODES).astype(np.int32)), pa.array((keys % CODES).astype(np.int32)), pa.array(n)],
+            names=["lang", "code", "n"],
+        )
 
     counts = rows.mapInArrow(run, "lang int, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
     table = np.full((CODES, max(len(langs), 1)), 0.5)
@@ -102,36 +108,62 @@ def _score(at: str):
             p = np.exp(weighed - weighed.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(logs)).cast(pa.list_(pa.float64())) for x in (weighed, p)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "host", "suffix", "declared")), pa.array(n), pa.array(fit.max(1) / np.maximum(n, 1)), *lists], names=["id", "host", "suffix", "declared", "n", "fit", "fits", "p"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(c) for c in ("id", "host", "suffix", "declared")), pa.array(n), pa.array(fit.max(1) / np.maximum(n, 1)),
+                    *lists,
+                ],
+                names=["id", "host", "suffix", "declared", "n", "fit", "fits", "p"],
+            )
 
     return run
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, suffix: Column | None = None, declared: Column | None = None, least: float = 0.5) -> DataFrame:
+def identify(
+    docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, suffix: Column | None = None,
+    declared: Column | None = None, least: float = 0.5,
+) -> DataFrame:
     """One row per input row: ``id_col``, ``lang``, ``confidence`` (its posterior), ``text_lang`` (by the text alone), ``accepted``."""
     none = F.lit(None).cast("string")
     take = lambda c: none if c is None else c.cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), take(host).alias("host"), take(suffix).alias("suffix"), F.lower(F.regexp_extract(take(declared), "^[A-Za-z]+", 0)).alias("declared"))
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), take(host).alias("host"), take(suffix).alias("suffix"),
+        F.lower(F.regexp_extract(take(declared), "^[A-Za-z]+", 0)).alias("declared"),
+    )
     at = new_dir(docs.sparkSession, "trigrams")
     put(at, 0, {"logs": np.ascontiguousarray(model.logs.T.astype(np.float32))})
-    rows = saved(rows.mapInArrow(_score(at), "id long, host string, suffix string, declared string, n long, fit double, fits array<double>, p array<double>"), "language")
+    rows = saved(
+        rows.mapInArrow(
+            _score(at), "id long, host string, suffix string, declared string, n long, fit double, fits array<double>, p array<double>",
+        ),
+        "language",
+    )
     size = len(model.languages)
     told = rows.where("n > 0")
     sums = [F.sum(F.col("p")[i]).alias(f"s{i}") for i in range(size)]
     array = lambda prefix="s": F.array(*(F.col(f"{prefix}{i}") for i in range(size)))
-    smooth = lambda counts, above: F.zip_with(counts, above, lambda c, a: (c + STRENGTH * a) / (F.aggregate(counts, F.lit(0.0), lambda s, x: s + x) + STRENGTH))
+    smooth = lambda counts, above: F.zip_with(
+        counts, above, lambda c, a: (c + STRENGTH * a) / (F.aggregate(counts, F.lit(0.0), lambda s, x: s + x) + STRENGTH),
+    )
 
-    whole = told.agg(*sums, F.count("*").alias("all")).select(F.transform(array(), lambda s: (F.coalesce(s, F.lit(0.0)) + 1) / (F.col("all") + size)).alias("prior")).first()["prior"]
+    whole = told.agg(*sums, F.count("*").alias("all")).select(
+        F.transform(array(), lambda s: (F.coalesce(s, F.lit(0.0)) + 1) / (F.col("all") + size)).alias("prior")
+    ).first()["prior"]
     prior = F.array(*map(F.lit, whole))
     by_suffix = told.where("suffix is not null").groupBy("suffix").agg(*sums).select("suffix", smooth(array(), prior).alias("of_suffix"))
     by_host = told.where("host is not null").groupBy("host").agg(*sums, F.first("suffix").alias("suffix")).join(by_suffix, "suffix", "left")
     by_host = by_host.select("host", smooth(array(), F.coalesce("of_suffix", prior)).alias("of_host"))
     # how likely each language is to declare this: shrunk towards how often anyone does
-    declared_all = told.where("declared <> ''").agg(*sums).select(F.transform(array(), lambda s: F.coalesce(s, F.lit(0.0))).alias("n")).first()["n"]
+    declared_all = told.where("declared <> ''").agg(*sums).select(
+        F.transform(array(), lambda s: F.coalesce(s, F.lit(0.0))).alias("n")
+    ).first()["n"]
     total = max(sum(declared_all), 1e-9)
     by_declared = told.where("declared <> ''").groupBy("declared").agg(*sums)
     share = sum(F.col(f"s{i}") for i in range(size)) / F.lit(total)
-    by_declared = by_declared.select("declared", F.array(*((F.col(f"s{i}") + STRENGTH * share) / (declared_all[i] + STRENGTH) for i in range(size))).alias("of_declared"))
+    by_declared = by_declared.select(
+        "declared",
+        F.array(*((F.col(f"s{i}") + STRENGTH * share) / (declared_all[i] + STRENGTH) for i in range(size))).alias("of_declared"),
+    )
 
     # one row for each combination of evidence that occurs
     ones = F.array(*[F.lit(1.0)] * size)
@@ -139,7 +171,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     for column, table in (("host", by_host), ("suffix", by_suffix), ("declared", by_declared)):
         evidence = evidence.join(table, column, "left")
     factors = F.zip_with(F.coalesce("of_host", "of_suffix", prior), F.coalesce("of_declared", ones), lambda a, b: F.log(a * b + 1e-12))
-    evidence = saved(evidence.select(*(F.col(c).alias(f"_{c}") for c in ("host", "suffix", "declared")), factors.alias("factors")), "evidence")
+    evidence = saved(
+        evidence.select(*(F.col(c).alias(f"_{c}") for c in ("host", "suffix", "declared")), factors.alias("factors")), "evidence",
+    )
     few = evidence.count() * 8 * (size + 2) <= SENT
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("host", "suffix", "declared")]
     rows = rows.join(F.broadcast(evidence) if few else evidence.hint("merge"), same)
@@ -148,9 +182,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     best = lambda c: F.element_at(names, F.array_position(c, F.array_max(c)).cast("int"))
     confidence = 1 / F.aggregate("logs", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top")))
     return rows.select(
-        F.col("id").alias(id_col), best(F.col("logs")).alias("lang"), confidence.alias("confidence"), F.when(F.col("n") > 0, best(F.col("p"))).alias("text_lang"),
+        F.col("id").alias(id_col), best(F.col("logs")).alias("lang"), confidence.alias("confidence"),
+        F.when(F.col("n") > 0, best(F.col("p"))).alias("text_lang"),
         ((F.col("n") > 0) & (F.col("fit") >= -float(np.log(CODES)) - SLACK) & (confidence >= least)).alias("accepted"),
-    )
+    )
 
 
 def _decide(docs: DataFrame) -> DataFrame:
@@ -169,4 +204,7 @@ def page_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, pages = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "pages"))
     text = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>", " "), "<[^>]*>", " ")
     pages = pages.withColumn("text", text)
-    return identify(pages, train(docs), "page_id", host=host_of(F.col("url")), suffix=suffix_of(host_of(F.col("url"))), declared=F.regexp_extract("html", r"(?i)<html\b[^>]*\blang\s*=\s*[\"']?([A-Za-z-]+)", 1))
+    return identify(
+        pages, train(docs), "page_id", host=host_of(F.col("url")), suffix=suffix_of(host_of(F.col("url"))),
+        declared=F.regexp_extract("html", r"(?i)<html\b[^>]*\blang\s*=\s*[\"']?([A-Za-z-]+)", 1),
+    )

@@ -28,50 +28,36 @@ PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights r
 _UNDER = "<<beginOptional>>this <<var;3>> is<<endOptional>> <<beginOptional>>released<<endOptional>><<beginOptional>>licensed<<endOptional>><<beginOptional>>distributed<<endOptional>> under the <<beginOptional>>terms of the<<endOptional>> "
 # Wording of licences, with optional regions and places for names.
 _MIT = (
-    "permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"software\"), to deal in the software without restriction, including without limitation the rights "
-    "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the software, and to permit persons to whom the software is furnished to do so, subject to the following conditions: "
-    "the above copyright notice and this permission notice <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial portions of the software. "
-    "the software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. "
-    "in no event shall the <<var;12>> be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software."
+    "permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"software\"), to deal in the software without restriction, including without limitation the rights " "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the software, and to permit persons to whom the software is furnished to do so, subject to the following conditions: " "the above copyright notice and this permission notice <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial portions of the software. " "the software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. " "in no event shall the <<var;12>> be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software."
 )
 _ISC = (
-    "permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
-    "the software is provided \"as is\" and <<var;6>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness. "
-    "in no event shall <<var;6>> be liable for any special, direct, indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits, whether in an action of contract, negligence or other tortious action, "
-    "arising out of or in connection with the use or performance of this software."
+    "permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. " "the software is provided \"as is\" and <<var;6>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness. " "in no event shall <<var;6>> be liable for any special, direct, indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits, whether in an action of contract, negligence or other tortious action, " "arising out of or in connection with the use or performance of this software."
 )
 _BSD = (
-    "redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: <<beginOptional>>1.<<endOptional>> redistributions of source code must retain the "
-    "<<beginOptional>>above<<endOptional>> copyright notice, this list of conditions and the following disclaimer. <<beginOptional>>2.<<endOptional>> redistributions in binary form must reproduce the above copyright notice, "
-    "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+    "redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: <<beginOptional>>1.<<endOptional>> redistributions of source code must retain the " "<<beginOptional>>above<<endOptional>> copyright notice, this list of conditions and the following disclaimer. <<beginOptional>>2.<<endOptional>> redistributions in binary form must reproduce the above copyright notice, " "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
 )
 _BSD_NAMES = "<<beginOptional>>3.<<endOptional>> neither the name of <<var;12>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
 _BSD_WARRANTY = (
-    "this software is provided by <<var;12>> \"as is\" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed. "
-    "in no event shall <<var;12>> be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; "
-    "or business interruption) however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, "
-    "even if advised of the possibility of such damage."
+    "this software is provided by <<var;12>> \"as is\" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed. " "in no event shall <<var;12>> be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; " "or business interruption) however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, " "even if advised of the possibility of such damage."
 )
 _APACHE = (
-    "licensed under the apache license, version 2.0 (the \"license\"); you may not use this file except in compliance with the license. you may obtain a copy of the license at http<<beginOptional>>s<<endOptional>>://www.apache.org/licenses/license-2.0 "
-    "unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an \"as is\" basis, without warranties or conditions of any kind, either express or implied. "
-    "see the license for the specific language governing permissions and limitations under the license."
+    "licensed under the apache license, version 2.0 (the \"license\"); you may not use this file except in compliance with the license. you may obtain a copy of the license at http<<beginOptional>>s<<endOptional>>://www.apache.org/licenses/license-2.0 " "unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an \"as is\" basis, without warranties or conditions of any kind, either express or implied. " "see the license for the specific language governing permissions and limitations under the license."
 )
 _GPL = (
-    "is free software<<beginOptional>>:<<endOptional>> you can redistribute it and/or modify it under the terms of the gnu <<beginOptional>>lesser<<endOptional>> <<beginOptional>>affero<<endOptional>> general public license as published by the free software foundation"
-    "<<beginOptional>>, either version <<var;1>> of the license, or (at your option) any later version<<endOptional>>"
+    "is free software<<beginOptional>>:<<endOptional>> you can redistribute it and/or modify it under the terms of the gnu <<beginOptional>>lesser<<endOptional>> <<beginOptional>>affero<<endOptional>> general public license as published by the free software foundation" "<<beginOptional>>, either version <<var;1>> of the license, or (at your option) any later version<<endOptional>>"
 )
 TEMPLATES = (
-    ("mit", _UNDER + "mit license"),
-    ("mit", _MIT),
-    ("isc", _ISC),
-    ("bsd-2-clause", _BSD + _BSD_WARRANTY),
-    ("bsd-3-clause", _BSD + _BSD_NAMES + _BSD_WARRANTY),
-    ("apache-2.0", _APACHE),
-    ("gpl", _GPL),
+    ("mit", _UNDER + "mit license"), ("mit", _MIT), ("isc", _ISC), ("bsd-2-clause", _BSD + _BSD_WARRANTY),
+    ("bsd-3-clause", _BSD + _BSD_NAMES + _BSD_WARRANTY), ("apache-2.0", _APACHE), ("gpl", _GPL),
     ("apache-2.0", _UNDER + "apache license, version 2.0"),
-    ("gpl-3.0", "licensed under the <<beginOptional>>terms of the<<endOptional>> gnu general public license, <<beginOptional>>either<<endOptional>> version 3 <<beginOptional>>of the license<<endOptional>>"),
-    ("gpl-2.0", "licensed under the <<beginOptional>>terms of the<<endOptional>> gnu general public license, <<beginOptional>>either<<endOptional>> version 2 <<beginOptional>>of the license<<endOptional>>"),
+    (
+        "gpl-3.0",
+        "licensed under the <<beginOptional>>terms of the<<endOptional>> gnu general public license, <<beginOptional>>either<<endOptional>> version 3 <<beginOptional>>of the license<<endOptional>>",
+    ),
+    (
+        "gpl-2.0",
+        "licensed under the <<beginOptional>>terms of the<<endOptional>> gnu general public license, <<beginOptional>>either<<endOptional>> version 2 <<beginOptional>>of the license<<endOptional>>",
+    ),
     ("lgpl", "licensed under the <<beginOptional>>terms of the<<endOptional>> gnu lesser general public license"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license, v. 2.0."),
     ("cc-by-4.0", "licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>the<<endOptional>> cc by 4.0"),
@@ -180,11 +166,22 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            rows = [scan_text(t.as_buffer().to_pybytes() if t.is_valid else b"", phrases, automata) for t in batch.column("text").cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([n for n, _ in rows], pa.int64()), pa.array([[dict(zip(names, m)) for m in f] for _, f in rows], kind)], names=["id", "n_words", "matches"])
+            rows = [
+                scan_text(t.as_buffer().to_pybytes() if t.is_valid else b"", phrases, automata)
+                for t in batch.column("text").cast(pa.binary())
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("id"), pa.array([n for n, _ in rows], pa.int64()),
+                    pa.array([[dict(zip(names, m)) for m in f] for _, f in rows], kind),
+                ],
+                names=["id", "n_words", "matches"],
+            )
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, n_words long, matches array<struct<label:string,first:bigint,end:bigint,template:boolean>>").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(
+        run, "id long, n_words long, matches array<struct<label:string,first:bigint,end:bigint,template:boolean>>",
+    ).withColumnRenamed("id", id_col)
 
 
 def op8_licence_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,6 +191,7 @@ def op8_licence_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.transform("base", lambda m: m.first)
     rows = rows.withColumn("base", base)
     return rows.select(
-        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(first).alias("first_word"), F.array_max(first).alias("last_word"), joined(F.col("base")).alias("base_labels"), joined(F.col("matches")).alias("labels"),
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(first).alias("first_word"),
+        F.array_max(first).alias("last_word"), joined(F.col("base")).alias("base_labels"), joined(F.col("matches")).alias("labels"),
         F.when(F.exists("matches", lambda m: m.template), 1.0).when(F.size("base") > 0, 0.5).otherwise(0.0).alias("score"),
-    )
+    )

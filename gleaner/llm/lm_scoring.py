@@ -62,8 +62,16 @@ def _count(shards: int):
         for k in np.flatnonzero(np.diff(bounds)):
             a, b = bounds[k], bounds[k + 1]
             first = runs(left[a:b])
-            rows.append((int(k), left[a:b][first].tobytes(), np.diff(np.r_[first, b - a]).astype(np.uint32).tobytes(), right[a:b].tobytes(), counts[a:b].tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))], names=["shard", "left", "times", "right", "counts"])
+            rows.append(
+                (
+                    int(k), left[a:b][first].tobytes(), np.diff(np.r_[first, b - a]).astype(np.uint32).tobytes(), right[a:b].tobytes(),
+                    counts[a:b].tobytes(),
+                )
+            )
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))],
+            names=["shard", "left", "times", "right", "counts"],
+        )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -153,7 +161,13 @@ def _unigrams(at: str):
         keys = keys[order]
         first = runs(keys)
         raw, before, seen, n1, n2, n3 = (np.add.reduceat(x[order], first, dtype=np.uint64) for x in columns)
-        put(at, shard, {"uni": keys[first], "raw": _least(raw), "before": _least(before), "seen": _least(seen), "kinds": _least(np.stack([n1, n2, n3], 1))})
+        put(
+            at, shard,
+            {
+                "uni": keys[first], "raw": _least(raw), "before": _least(before), "seen": _least(seen),
+                "kinds": _least(np.stack([n1, n2, n3], 1)),
+            },
+        )
         known = before > 0
         row = [int(raw.sum()), int(known.sum()), int(before.sum()), *(int((before == k).sum()) for k in (1, 2, 3, 4)), *stats]
         return pd.DataFrame([[shard, [int(x) for x in np.unique(pdf["origin"])], *row]], columns=["shard", "origins", *_STATS])
@@ -195,7 +209,9 @@ def train(docs: DataFrame) -> Model:
     blocks = texts.mapInArrow(_count(shards), _BLOCK)
     # as many tasks as shards, so that what one reads doesn't grow
     words = blocks.repartitionById(shards, "shard").groupBy("shard").applyInPandas(_bigrams(at, shards), _WORDS)
-    stats = words.repartitionById(shards, "shard").groupBy("shard").applyInPandas(_unigrams(at), "shard int, origins array<int>, " + ", ".join(f"{c} long" for c in _STATS))
+    stats = words.repartitionById(shards, "shard").groupBy("shard").applyInPandas(
+        _unigrams(at), "shard int, origins array<int>, " + ", ".join(f"{c} long" for c in _STATS),
+    )
     done = stats.collect()  # a row for each shard
     row = {c: sum(r[c] for r in done) for c in _STATS}
     seal(at, shards, [r["shard"] for r in done], "uni", "raw", "before", "seen", "kinds")
@@ -263,10 +279,26 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     schema = docs.select(*keep).schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    target = pa.schema([*to_arrow_schema(schema), *((n, t) for n, t in (("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("perplexity", pa.float64())))])
+    target = pa.schema(
+        [
+            *to_arrow_schema(schema),
+            *(
+                (n, t)
+                for n, t in (
+                    ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()),
+                    ("perplexity", pa.float64()),
+                )
+            ),
+        ]
+    )
     from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-    out = StructType([*schema.fields, StructField("n_tokens", LongType()), StructField("n_known", LongType()), *(StructField(x, DoubleType()) for x in ("base_score", "score", "perplexity"))])
+    out = StructType(
+        [
+            *schema.fields, StructField("n_tokens", LongType()), StructField("n_known", LongType()),
+            *(StructField(x, DoubleType()) for x in ("base_score", "score", "perplexity")),
+        ]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -274,7 +306,13 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
             raw, base, log = _log_probabilities(model, left, right)
             first = np.r_[0, np.cumsum(n)][:-1]
             known, base, log = (np.add.reduceat(x, first) for x in ((raw > 0).astype(np.int64), base, log))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).cast(target.field(c).type) for c in keep), pa.array(n), pa.array(known), pa.array(base), pa.array(log), pa.array(10 ** np.minimum(-log / n, 300))], schema=target)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(c).cast(target.field(c).type) for c in keep), pa.array(n), pa.array(known), pa.array(base),
+                    pa.array(log), pa.array(10 ** np.minimum(-log / n, 300)),
+                ],
+                schema=target,
+            )
 
     return docs.select(*keep, "text").mapInArrow(run, out)
 
@@ -289,4 +327,7 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = held_out(F.col("doc_id"), 7, 2)
     model = train(docs.where(~out))
     scored = score(docs, model, "doc_id")
-    return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
+    return scored.select(
+        "doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score",
+        "perplexity",
+    )

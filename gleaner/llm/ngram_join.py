@@ -93,7 +93,10 @@ def _count(shards: int, width: int):
         own = np.flatnonzero(np.diff(bounds))
         keys = h.astype(np.uint32)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(own, pa.int32()), pa.array([_pack(keys[bounds[k] : bounds[k + 1]]) for k in own], pa.binary()), pa.array([counts[bounds[k] : bounds[k + 1]].tobytes() for k in own], pa.binary())],
+            [
+                pa.array(own, pa.int32()), pa.array([_pack(keys[bounds[k] : bounds[k + 1]]) for k in own], pa.binary()),
+                pa.array([counts[bounds[k] : bounds[k + 1]].tobytes() for k in own], pa.binary()),
+            ],
             names=["shard", "keys", "counts"],
         )
 
@@ -168,10 +171,15 @@ def _mark(at: str, shards: int, width: int, percent: int):
                 places.append(np.arange(single[i], prefix[i]))
                 hot[i], held[i], size[i] = (times[order] >= FREQUENT).sum(), own.tobytes(), len(order)
             offsets = pa.array(np.r_[0, np.cumsum(size)], pa.int32())
-            flat = [np.concatenate(x).astype(t) if x else np.empty(0, t) for x, t in ((tokens, np.uint64), (dfs, np.int32), (places, np.int32))]
+            flat = [
+                np.concatenate(x).astype(t) if x else np.empty(0, t) for x, t in ((tokens, np.uint64), (dfs, np.int32), (places, np.int32))
+            ]
             lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (flat[0].view(np.int64), *flat[1:])]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(cls.view(np.int64), mask=n == 0), pa.array((n - single).astype(np.int64)), *lists, pa.array(hot), pa.array(held, pa.binary())],
+                [
+                    batch.column("id").cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(cls.view(np.int64), mask=n == 0),
+                    pa.array((n - single).astype(np.int64)), *lists, pa.array(hot), pa.array(held, pa.binary()),
+                ],
                 names=["id", "n", "cls", "rest", "tokens", "dfs", "places", "hot", "held"],
             )
 
@@ -185,7 +193,9 @@ def _keep(at: str):
         pdf = pdf.sort_values("cls")
         arrays = {"cls": pdf["cls"].to_numpy(np.int64), "size": pdf["size"].to_numpy(np.int64)}
         for name in ("held", "rare", "often"):
-            lists = [np.frombuffer(x, np.uint64) for x in pdf[name]] if name == "held" else [np.asarray(x, np.int64).view(np.uint64) for x in pdf[name]]
+            lists = [np.frombuffer(x, np.uint64) for x in pdf[name]] if name == "held" else [
+                np.asarray(x, np.int64).view(np.uint64) for x in pdf[name]
+            ]
             arrays |= {name: np.concatenate(lists), f"{name}_at": np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int64)}
         put(at, int(pdf["shard"].iloc[0]), arrays)
         del arrays, lists
@@ -306,7 +316,9 @@ class _Forest:
             self.edges.append((a, b))
 
 
-def _block_links(at: str, shards: int, percent: int) -> Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]:
+def _block_links(at: str, shards: int, percent: int) -> Callable[
+    [pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+]:
     """Of every row ``keys, lo, hi`` of a batch: the linked classes a and b, and the numbers of rows in each."""
 
     def of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -332,7 +344,11 @@ def _summed(at: str, shards: int, percent: int):
         edges = np.array(forest.edges, np.int64).reshape(-1, 2)
         cls = np.fromiter(rows, np.int64, len(rows))
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.r_[cls, edges[:, 0]]), pa.array(np.r_[cls, edges[:, 1]]), pa.array(np.r_[np.fromiter(rows.values(), np.int64, len(rows)), np.zeros(len(edges), np.int64)])], names=["a", "b", "links"]
+            [
+                pa.array(np.r_[cls, edges[:, 0]]), pa.array(np.r_[cls, edges[:, 1]]),
+                pa.array(np.r_[np.fromiter(rows.values(), np.int64, len(rows)), np.zeros(len(edges), np.int64)]),
+            ],
+            names=["a", "b", "links"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,7 +385,9 @@ def _written(at: str, shards: int, done: DataFrame, *names: str) -> None:
     seal(at, shards, [r["shard"] for r in done.collect()], *names)
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, links: bool = True) -> tuple[DataFrame, DataFrame | None]:
+def join(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, links: bool = True,
+) -> tuple[DataFrame, DataFrame | None]:
     """Membership and links. One row per input row: ``id_col``, ``n_shingles``, ``class_id``, ``n_links``, ``component_id``; and ``(a, b)``
     with a < b for each two classes of different sets that link (lazily; None without ``links``). Rows of one class link with each other and with all rows of
     the classes theirs links with; ``n_links`` counts those rows.
@@ -390,38 +408,77 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     marks = way.saved(texts.mapInArrow(_mark(at, shards, width, percent), _MARKS), "marks")
 
     posts = marks.where(F.size("tokens") > 0).select("cls", "n", "rest", "hot", F.explode(F.arrays_zip("tokens", "dfs", "places")).alias("p")).select("cls", "n", "rest", "hot", F.col("p.tokens").alias("token"), F.col("p.dfs").alias("df"), F.col("p.places").alias("place"))
-    buckets = posts.groupBy("token").agg(F.min("cls").alias("least"), F.max("cls").alias("most"), F.max("hot").alias("hot_most")).where("least < most")
+    buckets = posts.groupBy("token").agg(
+        F.min("cls").alias("least"), F.max("cls").alias("most"), F.max("hot").alias("hot_most"),
+    ).where("least < most")
     frequent = (F.col("df") >= FREQUENT) & (F.col("hot_most") <= MOST_COMBINED)
-    posts = posts.drop("hot").join(buckets.select("token", "hot_most"), "token").groupBy("token", "cls").agg(*(F.first(c).alias(c) for c in ("n", "rest", "place", "df")), F.first(frequent).alias("frequent"))
+    posts = posts.drop("hot").join(buckets.select("token", "hot_most"), "token").groupBy("token", "cls").agg(
+        *(F.first(c).alias(c) for c in ("n", "rest", "place", "df")), F.first(frequent).alias("frequent"),
+    )
     own = F.struct("place", "token", "df")
-    texts_of = posts.groupBy("cls").agg(*(F.first(c).alias(c) for c in ("n", "rest")), F.sort_array(F.collect_list(F.when(~F.col("frequent"), own))).alias("rare"), F.sort_array(F.collect_list(F.when(F.col("frequent"), F.col("token")))).alias("often"))
+    texts_of = posts.groupBy("cls").agg(
+        *(F.first(c).alias(c) for c in ("n", "rest")), F.sort_array(F.collect_list(F.when(~F.col("frequent"), own))).alias("rare"),
+        F.sort_array(F.collect_list(F.when(F.col("frequent"), F.col("token")))).alias("often"),
+    )
     texts_of = way.saved(texts_of, "prefixes")
     kept = kept_on.dir("sets")
     sets = marks.where("held is not null").join(texts_of.select("cls", F.transform("rare", lambda x: x.token).alias("rare"), "often"), "cls").groupBy("cls").agg(F.first("held").alias("held"), F.first("rare").alias("rare"), F.first("often").alias("often"), F.count("*").alias("size"))
     sets = sets.withColumn("shard", F.pmod("cls", F.lit(shards)).cast("int"))
-    _written(kept, shards, sets.repartitionById(shards, "shard").groupBy("shard").applyInPandas(_keep(kept), "shard int"), "cls", "size", *(n + x for n in ("held", "rare", "often") for x in ("", "_at")))
+    _written(
+        kept, shards, sets.repartitionById(shards, "shard").groupBy("shard").applyInPandas(_keep(kept), "shard int"), "cls", "size",
+        *(n + x for n in ("held", "rare", "often") for x in ("", "_at")),
+    )
 
     size_class = lambda size: F.floor(F.log(size) / float(np.log(STEP))).cast("int")
     mine = size_class(F.col("n"))
     reach = lambda place: F.least(F.col("rest"), 1 + F.col("n") - place)  # noqa: E731  # what stands before the place may hold one shared shingle at most
-    sizes = lambda place: F.filter(F.sequence(size_class(F.greatest(F.lit(1.0), F.col("n") * percent / 100.0)), size_class(F.col("n") * 100.0 / percent)), lambda c: (100 + percent) * reach(place) >= percent * (F.col("n") + F.pow(F.lit(STEP), c) - 1e-6))
+    sizes = lambda place: F.filter(
+        F.sequence(size_class(F.greatest(F.lit(1.0), F.col("n") * percent / 100.0)), size_class(F.col("n") * 100.0 / percent)),
+        lambda c: (100 + percent) * reach(place) >= percent * (F.col("n") + F.pow(F.lit(STEP), c) - 1e-6),
+    )
     # key: one or two shingles and, where many texts may have them, the size classes of both sides
-    row = lambda x, y, c: F.struct(x.alias("x"), y.alias("y"), F.least(mine, c).alias("low"), F.greatest(mine, c).alias("high"), (mine <= c).alias("smaller"), (mine >= c).alias("larger"))
+    row = lambda x, y, c: F.struct(
+        x.alias("x"), y.alias("y"), F.least(mine, c).alias("low"), F.greatest(mine, c).alias("high"), (mine <= c).alias("smaller"),
+        (mine >= c).alias("larger"),
+    )
     null, nothing = F.lit(None).cast("long"), F.lit(None).cast("int")
-    plain = lambda x: F.struct(x.alias("x"), null.alias("y"), nothing.alias("low"), nothing.alias("high"), F.lit(True).alias("smaller"), F.lit(True).alias("larger"))
+    plain = lambda x: F.struct(
+        x.alias("x"), null.alias("y"), nothing.alias("low"), nothing.alias("high"), F.lit(True).alias("smaller"),
+        F.lit(True).alias("larger"),
+    )
     alone = texts_of.select("cls", "n", "rest", F.explode("rare").alias("p"))
-    alone = alone.select("cls", F.inline(F.when(F.col("p.df") < SIZED, F.array(plain(F.col("p.token")))).otherwise(F.transform(sizes(F.col("p.place")), lambda c: row(F.col("p.token"), null, c)))))
-    several = texts_of.where(F.size("often") > 1).select("cls", "n", "rest", F.posexplode("often").alias("i", "x"), "often").select("cls", "n", "rest", "x", F.explode(F.slice("often", F.col("i") + 2, MOST_COMBINED)).alias("y"))
+    alone = alone.select(
+        "cls",
+        F.inline(
+            F.when(F.col("p.df") < SIZED, F.array(plain(F.col("p.token")))).otherwise(
+                F.transform(sizes(F.col("p.place")), lambda c: row(F.col("p.token"), null, c))
+            )
+        ),
+    )
+    several = texts_of.where(F.size("often") > 1).select("cls", "n", "rest", F.posexplode("often").alias("i", "x"), "often").select(
+        "cls", "n", "rest", "x", F.explode(F.slice("often", F.col("i") + 2, MOST_COMBINED)).alias("y"),
+    )
     several = several.select("cls", F.inline(F.transform(sizes(F.lit(0)), lambda c: row(F.col("x"), F.col("y"), c))))
     keys = alone.unionByName(several).withColumn("key", F.xxhash64("x", "y", "low", "high"))
     shared = keys.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.bool_or("smaller").alias("some"), F.bool_or("larger").alias("others"), F.count("*").alias("many")).where("lo < hi AND some AND others").select("key", F.ceil(F.col("many") / BLOCK).alias("blocks"))
     keys = keys.join(shared, "key").withColumn("block", F.pmod(F.xxhash64("cls"), "blocks"))
     # a bucket's classes in blocks: one of either side, or of those that are on both
     side = F.when(F.col("smaller") & F.col("larger"), 2).when(F.col("smaller"), 0).otherwise(1)
-    lists = kept_on.saved(keys.groupBy("key", "blocks", "block", side.alias("side")).agg(F.first("x").alias("x"), F.first("y").alias("y"), F.sort_array(F.collect_list("cls")).alias("all")), "lists")
-    one = lists.where("side = 2 AND blocks = 1 AND size(all) > 1").select("x", "y", F.col("all").alias("lo"), F.lit(None).cast("array<long>").alias("hi"))
-    other = lists.where("side = 1 OR (side = 2 AND blocks > 1)").select("key", F.col("side").alias("other_side"), F.col("block").alias("other_block"), F.col("all").alias("hi"))
-    meet = lists.where("(side = 2 AND blocks > 1) OR side = 0").join(other, "key").where("(side = 0 AND other_side = 1) OR (side = 2 AND other_side = 2 AND block <= other_block)")
+    lists = kept_on.saved(
+        keys.groupBy("key", "blocks", "block", side.alias("side")).agg(
+            F.first("x").alias("x"), F.first("y").alias("y"), F.sort_array(F.collect_list("cls")).alias("all"),
+        ),
+        "lists",
+    )
+    one = lists.where("side = 2 AND blocks = 1 AND size(all) > 1").select(
+        "x", "y", F.col("all").alias("lo"), F.lit(None).cast("array<long>").alias("hi"),
+    )
+    other = lists.where("side = 1 OR (side = 2 AND blocks > 1)").select(
+        "key", F.col("side").alias("other_side"), F.col("block").alias("other_block"), F.col("all").alias("hi"),
+    )
+    meet = lists.where("(side = 2 AND blocks > 1) OR side = 0").join(other, "key").where(
+        "(side = 0 AND other_side = 1) OR (side = 2 AND other_side = 2 AND block <= other_block)"
+    )
     same = (F.col("side") == 2) & (F.col("block") == F.col("other_block"))
     meet = one.unionByName(meet.select("x", "y", F.col("all").alias("lo"), F.when(~same, F.col("hi")).alias("hi")))
     # what has many keys in common meets once
@@ -430,14 +487,23 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     labels = connected(sums.where("a <> b"))
 
     rows = marks.select("id", "n", "cls")
-    rows = way.saved(rows.join(labels.withColumnRenamed("id", "cls"), "cls", "left").select("id", "n", "cls", F.coalesce("label", "cls").alias("label")), "rows")
+    rows = way.saved(
+        rows.join(labels.withColumnRenamed("id", "cls"), "cls", "left").select("id", "n", "cls", F.coalesce("label", "cls").alias("label")),
+        "rows",
+    )
     least = rows.where("label is not null").groupBy("label").agg(F.min("id").alias("component_id"))
     members = rows.where("cls is not null").groupBy("cls").agg(F.count("*").alias("size"))
     others = sums.where("a = b").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("others"))
     many = members.join(others, "cls", "left").select("cls", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
     found = rows.join(least, "label", "left").join(many, "cls", "left")
-    found = saved(found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("cls").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id")), "joined")
+    found = saved(
+        found.select(
+            F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("cls").alias("class_id"),
+            F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"),
+        ),
+        "joined",
+    )
     way.clear()
     if not links:
         kept_on.clear()

@@ -148,7 +148,9 @@ def candidates(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int,
     found = [(a, b, _patterns(text, a, b), _hash(text[a:b]), kind) for kind, a, b in spans]
     for a, b in _identifiers(text, sorted((a, b) for _, a, b in spans)):
         word = text[a:b]
-        kind = "key" if _KEY.fullmatch(word) else FAILED if _IP.fullmatch(word) or (_CARD.fullmatch(word) and 13 <= sum(c.isdecimal() for c in word) <= 19) else None
+        kind = "key" if _KEY.fullmatch(word) else FAILED if _IP.fullmatch(word) or (
+            _CARD.fullmatch(word) and 13 <= sum(c.isdecimal() for c in word) <= 19
+        ) else None
         found.append((a, b, _patterns(text, a, b), _hash(word), kind))
     return found
 
@@ -162,7 +164,9 @@ _FOUND = "row long, id long, base array<struct<kind:string,first:int,end:int>>,
 def _lists(rows: list[list[tuple]], names: tuple[str, ...], kinds: tuple[pa.DataType, ...]) -> pa.ListArray:
     flat = list(zip(*(x for row in rows for x in row))) or [()] * len(names)
     offsets = np.r_[0, np.cumsum([len(r) for r in rows])].astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(flat, kinds)], names=list(names)))
+    return pa.ListArray.from_arrays(
+        pa.array(offsets), pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(flat, kinds)], names=list(names)),
+    )
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +180,11 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base[i] = base_spans(text)
             seen[i] = [c for c in candidates(text, base[i]) if c[2]]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("row"), batch.column("id"), _lists(base, ("kind", "first", "end"), span), _lists(seen, ("first", "end", "patterns", "instance", "kind"), seen_kinds)], names=["row", "id", "base", "seen"]
+            [
+                batch.column("row"), batch.column("id"), _lists(base, ("kind", "first", "end"), span),
+                _lists(seen, ("first", "end", "patterns", "instance", "kind"), seen_kinds),
+            ],
+            names=["row", "id", "base", "seen"],
         )
 
 
@@ -189,9 +197,16 @@ def patterns(seen: DataFrame, rounds: int = ROUNDS, seeds: int = SEEDS, confiden
     instances = known.select("instance", F.coalesce("known", F.lit(0.0)).alias("score"), "known")
     scored = None
     for _ in range(rounds):
-        scored = saved(edges.join(instances, "instance").groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("confidence")), "patterns")
+        scored = saved(
+            edges.join(instances, "instance").groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("confidence")), "patterns",
+        )
         best = edges.join(scored, "pattern").groupBy("instance").agg(F.max("confidence").alias("best"))
-        instances = saved(instances.select("instance", "known").join(best, "instance").select("instance", F.coalesce("known", "best").alias("score"), "known"), "instances")
+        instances = saved(
+            instances.select("instance", "known").join(best, "instance").select(
+                "instance", F.coalesce("known", "best").alias("score"), "known",
+            ),
+            "instances",
+        )
     by_kind = edges.where(F.col("kind") != FAILED).groupBy("pattern", "kind").agg(F.count("*").alias("n"))
     kinds = by_kind.groupBy("pattern").agg(F.sum("n").alias("seeds"), F.max(F.struct("n", "kind")).alias("most"))
     return scored.join(kinds, "pattern").where((F.col("seeds") >= seeds) & (F.col("confidence") >= confident) & (F.col("most.n") >= confident * F.col("seeds"))).select("pattern", F.col("most.kind").alias("kind"), "confidence")
@@ -203,16 +218,27 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     found = saved(rows.mapInArrow(_find, _FOUND), "pii")
     seen = found.where(F.size("seen") > 0).select("row", F.explode("seen").alias("s")).select("row", "s.*")
     trusted = patterns(seen.select(F.explode("patterns").alias("pattern"), "instance", "kind"))
-    fresh = seen.where("kind is null or kind = 'key'").select("row", "first", "end", F.explode("patterns").alias("pattern")).join(trusted, "pattern")
-    fresh = fresh.groupBy("row", "first", "end").agg(F.max(F.struct("confidence", "kind")).alias("best")).select("row", F.struct("best.kind", "first", "end").alias("span"))
+    fresh = seen.where("kind is null or kind = 'key'").select(
+        "row", "first", "end", F.explode("patterns").alias("pattern"),
+    ).join(trusted, "pattern")
+    fresh = fresh.groupBy("row", "first", "end").agg(F.max(F.struct("confidence", "kind")).alias("best")).select(
+        "row", F.struct("best.kind", "first", "end").alias("span"),
+    )
     more = fresh.groupBy("row").agg(F.sort_array(F.collect_list("span")).alias("more"))  # those of one text
-    return found.join(more, "row", "left").select("row", F.col("id").alias(id_col), "base", F.coalesce("more", F.array().cast("array<struct<kind:string,first:int,end:int>>")).alias("more"))
+    return found.join(more, "row", "left").select(
+        "row", F.col("id").alias(id_col), "base",
+        F.coalesce("more", F.array().cast("array<struct<kind:string,first:int,end:int>>")).alias("more"),
+    )
 
 
 def told(spans, kinds: tuple[str, ...] = KINDS):
     """``kind:start:end``, by kind as listed, others after, then by start."""
     place = lambda s: F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, kinds)), s["kind"]), F.lit(0)), F.lit(len(kinds) + 1))
-    keyed = F.array_sort(F.transform(spans, lambda s: F.struct(place(s).alias("place"), s["kind"].alias("kind"), s["first"].alias("first"), s["end"].alias("end"))))
+    keyed = F.array_sort(
+        F.transform(
+            spans, lambda s: F.struct(place(s).alias("place"), s["kind"].alias("kind"), s["first"].alias("first"), s["end"].alias("end")),
+        )
+    )
     return F.array_join(F.transform(keyed, lambda s: F.concat_ws(":", s["kind"], s["first"].cast("string"), s["end"].cast("string"))), ",")
 
 
@@ -239,7 +265,9 @@ def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
                 spans = base_spans(text)
                 all_ = list(spans)
                 for a, b, own, _, kind in candidates(text, spans)[len(spans) :]:
-                    at_ = [] if kind == FAILED else [k for p in own for k in [int(np.searchsorted(keys, p))] if k < len(keys) and keys[k] == p]
+                    at_ = [] if kind == FAILED else [
+                        k for p in own for k in [int(np.searchsorted(keys, p))] if k < len(keys) and keys[k] == p
+                    ]
                     if at_:
                         all_.append((max((float(scores[k]), str(kinds[k])) for k in at_)[1], a, b))
                 if all_:
@@ -274,14 +302,24 @@ def _trusted_store(trusted: DataFrame):
 
     def write(pdf):
         pdf = pdf.sort_values("pattern")
-        put(uri, int(pdf["shard"].iloc[0]), {"pattern": pdf["pattern"].to_numpy(np.int64), "confidence": pdf["confidence"].to_numpy(float), "kind": pdf["kind"].to_numpy().astype("U8")})
+        put(
+            uri, int(pdf["shard"].iloc[0]),
+            {
+                "pattern": pdf["pattern"].to_numpy(np.int64), "confidence": pdf["confidence"].to_numpy(float),
+                "kind": pdf["kind"].to_numpy().astype("U8"),
+            },
+        )
         return pdf[["shard"]].iloc[:1]
 
-    done = trusted.withColumn("shard", F.pmod(F.hash("pattern"), F.lit(shards))).groupBy("shard").applyInPandas(write, "shard int").collect()
+    done = trusted.withColumn("shard", F.pmod(F.hash("pattern"), F.lit(shards))).groupBy("shard").applyInPandas(
+        write, "shard int",
+    ).collect()
     seal(uri, shards, [r["shard"] for r in done], "pattern", "confidence", "kind")
 
     def read() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        keys, scores, kinds = (np.concatenate([np.asarray(get(uri, k, n)) for k in range(shards)]) for n in ("pattern", "confidence", "kind"))
+        keys, scores, kinds = (
+            np.concatenate([np.asarray(get(uri, k, n)) for k in range(shards)]) for n in ("pattern", "confidence", "kind")
+        )
         if not len(keys):
             return np.empty(0, np.int64), np.empty(0), np.empty(0, "U8")
         order = np.argsort(keys)
@@ -297,4 +335,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     every = F.concat("base", "more")
-    return rows.select("doc_id", *map(count, KINDS), F.sha2(told(F.col("base")), 256).alias("base_sha256"), told(every).alias("spans"), F.size(every).cast("long").alias("n_spans"))
+    return rows.select(
+        "doc_id", *map(count, KINDS), F.sha2(told(F.col("base")), 256).alias("base_sha256"), told(every).alias("spans"),
+        F.size(every).cast("long").alias("n_spans"),
+    )

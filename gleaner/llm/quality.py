@@ -24,7 +24,10 @@ from ._text import ALNUM, SPACE, U, by_text, pieces, words_of
 from .lm_scoring import held_out
 
 BUCKETS, RANK, SAMPLE = 1 << 12, 8, 6000
-STATS = ("length", "declared", "words", "word_length", "long_words", "distinct", "upper", "digits", "symbols", "stops", "breaks", "high", "bars", "bangs", "repeats")
+STATS = (
+    "length", "declared", "words", "word_length", "long_words", "distinct", "upper", "digits", "symbols", "stops", "breaks", "high", "bars",
+    "bangs", "repeats",
+)
 
 
 def _class(chars: str) -> np.ndarray:
@@ -78,11 +81,12 @@ def vectors(texts: pa.Array, declared: pa.Array | None = None) -> tuple[np.ndarr
     m, b = np.maximum(n, 1), np.maximum(size, 1)
     dense = np.stack(
         [
-            np.log1p(size), np.log1p(np.maximum(chars, 0)), np.log1p(n), by_text(width, words.first) / m, by_text(width > 20, words.first) / m, np.diff(first) / m,
-            c[:, 0] / b, c[:, 1] / b, c[:, 2] / b, c[:, 3] / m, c[:, 4] / m, c[:, 5] / b, c[:, 6] / m, c[:, 7] / m, by_text(np.maximum(times - 3, 0).astype(float), first) / m,
+            np.log1p(size), np.log1p(np.maximum(chars, 0)), np.log1p(n), by_text(width, words.first) / m,
+            by_text(width > 20, words.first) / m, np.diff(first) / m, c[:, 0] / b, c[:, 1] / b, c[:, 2] / b, c[:, 3] / m, c[:, 4] / m,
+            c[:, 5] / b, c[:, 6] / m, c[:, 7] / m, by_text(np.maximum(times - 3, 0).astype(float), first) / m,
         ],
         1,
-    )
+    )
     return first, places, values, dense
 
 
@@ -112,7 +116,10 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(linear, -500, 500)))
 
 
-def fit(first: np.ndarray, places: np.ndarray, values: np.ndarray, dense: np.ndarray, y: np.ndarray, epochs: int = 12, rate: float = 0.05, l2: float = 2e-4, seed: int = 3) -> Machine:
+def fit(
+    first: np.ndarray, places: np.ndarray, values: np.ndarray, dense: np.ndarray, y: np.ndarray, epochs: int = 12, rate: float = 0.05,
+    l2: float = 2e-4, seed: int = 3,
+) -> Machine:
     """AdaGrad on the logistic loss, over mini-batches."""
     size = BUCKETS + dense.shape[1] if dense.ndim == 2 else BUCKETS
     base = (y.sum() + 0.5) / (len(y) + 1)
@@ -144,34 +151,59 @@ def fit(first: np.ndarray, places: np.ndarray, values: np.ndarray, dense: np.nda
     return Machine(bias, w.astype(float), v.astype(float), mean, scale)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", label_col: str = "quality", sample: int = SAMPLE) -> Machine:
+def train(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars",
+    label_col: str = "quality", sample: int = SAMPLE,
+) -> Machine:
     """Fit on the labelled rows of ``docs``; leave out held-out rows before."""
     told = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).where("id is not null and y is not null").groupBy("id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
     told = told.orderBy(F.xxhash64("id"), "id").limit(sample)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.col(length_col) if length_col else F.lit(None)).cast("double").alias("declared"))
+    texts = docs.select(
+        F.col(id_col).alias("id"), F.col(text_col).alias("text"),
+        (F.col(length_col) if length_col else F.lit(None)).cast("double").alias("declared"),
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             first, places, values, dense = vectors(batch.column("text"), batch.column("declared"))
             cut = lambda x, kind: [x[a:b].astype(kind).tobytes() for a, b in zip(first[:-1], first[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(cut(places, np.uint16), pa.binary()), pa.array(cut(values, np.float32), pa.binary()), pa.array([row.tobytes() for row in dense], pa.binary())], names=["y", "places", "values", "dense"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("y"), pa.array(cut(places, np.uint16), pa.binary()), pa.array(cut(values, np.float32), pa.binary()),
+                    pa.array([row.tobytes() for row in dense], pa.binary()),
+                ],
+                names=["y", "places", "values", "dense"],
+            )
 
     # the sample has a fixed bound, so its ids may go to every task
-    rows = texts.join(F.broadcast(told), "id").select("text", "declared", "y").mapInArrow(run, "y int, places binary, values binary, dense binary").toPandas()
+    rows = texts.join(F.broadcast(told), "id").select("text", "declared", "y").mapInArrow(
+        run, "y int, places binary, values binary, dense binary",
+    ).toPandas()
     rows = rows.iloc[np.lexsort((rows["dense"].to_numpy(), rows["places"].to_numpy()))] if len(rows) else rows
     places, values = ([np.frombuffer(x, k) for x in rows[c]] for c, k in (("places", np.uint16), ("values", np.float32)))
     first = np.r_[0, np.cumsum([len(x) for x in places])].astype(np.int64)
     dense = np.stack([np.frombuffer(x, float) for x in rows["dense"]]) if len(rows) else np.zeros((0, len(STATS)))
-    return fit(first, np.concatenate([*places, np.empty(0, np.uint16)]).astype(np.int64), np.concatenate([*values, np.empty(0, np.float32)]), dense, rows["y"].to_numpy(float))
+    return fit(
+        first, np.concatenate([*places, np.empty(0, np.uint16)]).astype(np.int64), np.concatenate([*values, np.empty(0, np.float32)]),
+        dense, rows["y"].to_numpy(float),
+    )
 
 
-def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+def score(
+    docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars",
+) -> DataFrame:
     """``id_col`` and ``score``, the probability of label 1, of every row."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), (F.col(length_col) if length_col else F.lit(None)).cast("double").alias("declared"))
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
+        (F.col(length_col) if length_col else F.lit(None)).cast("double").alias("declared"),
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(machine.score(*vectors(batch.column("text"), batch.column("declared"))))], names=["id", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(machine.score(*vectors(batch.column("text"), batch.column("declared"))))],
+                names=["id", "score"],
+            )
 
     return rows.mapInArrow(run, "id long, score double").select(F.col("id").alias(id_col), "score")
 

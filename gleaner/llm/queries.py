@@ -21,7 +21,11 @@ from .pii import op3_pii
 from .quality import op1_quality_fm
 from .url_filter import RULES, op2_url_filter
 
-_ALL = (op1_quality_fm, op2_url_filter, op3_pii, op4_language_id, op5_lm_scoring, op6_ngram_jaccard_join, op7_source_mixing, op8_licence_templates, op9_latent_decontamination, op10_additive_quantisation, op11_hard_negatives, op12_source_divergence, op13_chat_examples, page_language_id)
+_ALL = (
+    op1_quality_fm, op2_url_filter, op3_pii, op4_language_id, op5_lm_scoring, op6_ngram_jaccard_join, op7_source_mixing,
+    op8_licence_templates, op9_latent_decontamination, op10_additive_quantisation, op11_hard_negatives, op12_source_divergence,
+    op13_chat_examples, page_language_id,
+)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -48,7 +52,7 @@ _base(
     "base_op2", op2_url_filter,
     f"WITH u AS (SELECT page_id, {_HOST} AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages) SELECT page_id, host, path, (SELECT arg_max(h || p, length(h || p)) FROM {_RULES} WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS rule FROM u",
     "page_id", "host", "path", "rule",
-)
+)
 
 _DIGITS = lambda x: f"regexp_replace({x}, '[^0-9]', '', 'g')"
 _LUHN = f"list_sum(list_transform(range(1, length({_DIGITS('m')}) + 1), lambda i: CASE WHEN (length({_DIGITS('m')}) - i) % 2 = 0 THEN substr({_DIGITS('m')}, i, 1)::INT ELSE substr({_DIGITS('m')}, i, 1)::INT * 2 - CASE WHEN substr({_DIGITS('m')}, i, 1)::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
@@ -88,7 +92,9 @@ SELECT doc_id, size, source_size, round(target, 3) AS target FROM d JOIN t ON d.
     "doc_id", "size", "source_size", "round(target, 3) AS target",
 )
 
-_PLACES = lambda phrase: "list_filter(range(1, len(w) + 1), lambda i: " + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split())) + ")"
+_PLACES = lambda phrase: "list_filter(range(1, len(w) + 1), lambda i: " + " AND ".join(
+    f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split())
+) + ")"
 _base(
     "base_op8", op8_licence_templates,
     f"""WITH d AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents), p AS (SELECT doc_id, len(w)::BIGINT AS n_words, {', '.join(f'{_PLACES(p)} AS p{k}' for k, (p, _) in enumerate(PHRASES))} FROM d),

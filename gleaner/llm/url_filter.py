@@ -57,7 +57,9 @@ def suffix_of(host: Column) -> Column:
 
 def seeded(urls: DataFrame, words: tuple[str, ...] = SEED_WORDS) -> DataFrame:
     """``url`` -> ``(url, label)``: 1 where a part of the host name is a seed word."""
-    return urls.select("url", F.arrays_overlap(F.split(host_of(F.col("url")), "[.-]"), F.array(*map(F.lit, words))).cast("int").alias("label"))
+    return urls.select(
+        "url", F.arrays_overlap(F.split(host_of(F.col("url")), "[.-]"), F.array(*map(F.lit, words))).cast("int").alias("label"),
+    )
 
 
 def _entropy(s: str) -> float:
@@ -80,11 +82,12 @@ def features(urls: pd.Series, rates: dict[str, float], rate: float) -> np.ndarra
         n = max(len(url), 1)
         digits = sum(c.isdigit() for c in url)
         rows[i] = (
-            len(url), len(host), len(path), len(query), len(fragment), len(labels), len(name), path.strip("/").count("/") + bool(path.strip("/")),
-            digits / n, sum(c.isdigit() for c in host) / max(len(host), 1), host.count("-"), path.count("-") + path.count("_"),
-            query.count("&") + query.count(";") + bool(query), query.count("="), url.count("%"), _entropy(url), _entropy(name), sum(c in "aeiou" for c in name) / max(len(name), 1),
-            scheme.lower() == "https", sum(ord(c) > 127 for c in url) / n, path.endswith("/"), rates.get(suffix, rate),
-        )
+            len(url), len(host), len(path), len(query), len(fragment), len(labels), len(name),
+            path.strip("/").count("/") + bool(path.strip("/")), digits / n, sum(c.isdigit() for c in host) / max(len(host), 1),
+            host.count("-"), path.count("-") + path.count("_"), query.count("&") + query.count(";") + bool(query), query.count("="),
+            url.count("%"), _entropy(url), _entropy(name), sum(c in "aeiou" for c in name) / max(len(name), 1), scheme.lower() == "https",
+            sum(ord(c) > 127 for c in url) / n, path.endswith("/"), rates.get(suffix, rate),
+        )
     return rows
 
 
@@ -124,7 +127,10 @@ def judge(pages: DataFrame, model: Model, id_col: str = "page_id", threshold: fl
     rows = score(pages.select(id_col, F.col("url").cast("string").alias("url")), model)
     rows = rows.select(id_col, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "url_score")
     rule, verdict = rule_of(F.col("host"), F.col("path"))
-    return rows.select(id_col, "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("url_score") >= threshold, "block").otherwise("allow")).alias("verdict"), "url_score")
+    return rows.select(
+        id_col, "host", "path", rule.alias("rule"),
+        F.coalesce(verdict, F.when(F.col("url_score") >= threshold, "block").otherwise("allow")).alias("verdict"), "url_score",
+    )
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,10 @@ from hypothesis import strategies as st
 from gleaner.llm.chat import CLOSED, escaped, examples, opened, read_back, turns_of, unescaped
 
 SCHEMA = "conv_id long, turn long, role string, text string, example int, loss_start string"
-ODD = ["", "plain", "\\", "\\\\", "<", "</", "</turn>", "\\</turn>\n", "<turn user>\nhi</turn>\n", "a<turn", "<<turn x>", "\\### Assistant: </turn> ok", "tail\\", "tail<", "é😀\n\r\n\t", "x" * 200_000, "</turn>" * 500]
+ODD = [
+    "", "plain", "\\", "\\\\", "<", "</", "</turn>", "\\</turn>\n", "<turn user>\nhi</turn>\n", "a<turn", "<<turn x>",
+    "\\### Assistant: </turn> ok", "tail\\", "tail<", "é😀\n\r\n\t", "x" * 200_000, "</turn>" * 500,
+]
 
 
 @given(st.lists(st.tuples(st.text(alphabet="\\</>turn \nax", max_size=12), st.text(alphabet="\\</>turn \nax", max_size=40)), max_size=6))
@@ -26,8 +29,13 @@ def test_not_an_example():
 @pytest.fixture(scope="module")
 def rows():
     out = [(1, k, ["user", "assistant"][k % 2], t) for k, t in enumerate(ODD)]
-    out += [(2, 3, "assistant", "last"), (2, 1, "system", "first"), (2, None, "user", "before all"), (2, 1, "system", "first"), (2, 1, "assistant", "between"), (2, 2, None, None)]
-    out += [(3, 0, "user", "no answer")] + [(4, k, "assistant", None) for k in range(3)] + [(None, 0, "user", "whose?"), (None, 1, "assistant", "nobody's")]
+    out += [
+        (2, 3, "assistant", "last"), (2, 1, "system", "first"), (2, None, "user", "before all"), (2, 1, "system", "first"),
+        (2, 1, "assistant", "between"), (2, 2, None, None),
+    ]
+    out += [(3, 0, "user", "no answer")] + [(4, k, "assistant", None) for k in range(3)] + [
+        (None, 0, "user", "whose?"), (None, 1, "assistant", "nobody's"),
+    ]
     out += [(5, k, "assistant" if k % 2 else "us<e>r\\", f"turn {k}") for k in range(120)] + [(6, 0, "Assistant", "another role")]
     return out
 

@@ -15,7 +15,10 @@ def brute(rows, least=10, top=10):
     groups, docs, known = defaultdict(Counter), defaultdict(Counter), defaultdict(set)
     for text, lang, source in rows:
         lang, source = lang or "", source or ""
-        terms = ["".join(chr(ord(x) + 32) if "A" <= x <= "Z" else x for x in t) for t in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", text or "")]
+        terms = [
+            "".join(chr(ord(x) + 32) if "A" <= x <= "Z" else x for x in t)
+            for t in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", text or "")
+        ]
         known[lang].add(source)
         groups[lang, source].update(terms)
         docs[lang].update(set(terms))
@@ -34,7 +37,11 @@ def brute(rows, least=10, top=10):
         for s in sources:
             pairs = sorted((-sum(apart(p[s][t], p[o][t]) for t in kept), o.encode(), o) for o in sources if o != s)
             terms = sorted((-apart(p[s][t], q[t]), t.encode(), t) for t in kept if groups[lang, s][t] > 0 and p[s][t] > q[t])[:top]
-            out += [(lang, s, part, item, -value, rank) for part, found in (("pair", pairs), ("term", terms)) for rank, (value, _, item) in enumerate(found, 1)]
+            out += [
+                (lang, s, part, item, -value, rank)
+                for part, found in (("pair", pairs), ("term", terms))
+                for rank, (value, _, item) in enumerate(found, 1)
+            ]
     return sorted(out)
 
 
@@ -50,9 +57,19 @@ def rows():
     out = []
     for k in range(240):
         n = int(rng.integers(0, 30))
-        out.append((" ".join(rng.choice(words[: 6 + k % 9]) for _ in range(n)), ["en", "de", None][k % 3], ["s1", "s2", "", None, "ß", "s10"][int(rng.integers(6))]))
-    out += [(None, "en", "s1"), ("", "en", "only empty"), (None, None, None), ("rare words", "fr", "a"), ("rare", "fr", "b"), ("", "xx", "alone")]
-    out += [("Kelvin \u212a sign", "en", "s1")] * 12 + [("alpha " * 20000, "en", "s2")] + [("one same text", "en", f"copy{k % 7}") for k in range(70)]
+        out.append(
+            (
+                " ".join(rng.choice(words[: 6 + k % 9]) for _ in range(n)), ["en", "de", None][k % 3],
+                ["s1", "s2", "", None, "ß", "s10"][int(rng.integers(6))],
+            )
+        )
+    out += [
+        (None, "en", "s1"), ("", "en", "only empty"), (None, None, None), ("rare words", "fr", "a"), ("rare", "fr", "b"),
+        ("", "xx", "alone"),
+    ]
+    out += [("Kelvin \u212a sign", "en", "s1")] * 12 + [("alpha " * 20000, "en", "s2")] + [
+        ("one same text", "en", f"copy{k % 7}") for k in range(70)
+    ]
     return out
 
 

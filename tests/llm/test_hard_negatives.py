@@ -34,7 +34,12 @@ def brute(rows, is_anchor, positives=5, negatives=5, low=80):
 
 def result(spark, rows, **more):
     df = spark.createDataFrame([(i, x, label, "x", 1, "y", 2, 0.5) for i, x, label in rows], SCHEMA).repartition(3)
-    return sorted(tuple(r) for r in mine(df, F.col("vec_id") % 10 == 0, **more).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score").collect())
+    return sorted(
+        tuple(r)
+        for r in mine(df, F.col("vec_id") % 10 == 0, **more).select(
+            "anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score",
+        ).collect()
+    )
 
 
 @pytest.fixture(scope="module")
@@ -44,8 +49,14 @@ def rows():
     out = [(i, (base[i % 6] + 0.4 * rng.normal(size=8)).tolist(), int(rng.integers(3))) for i in range(300)]
     out += [(1000 + i, base[0].tolist(), i % 2) for i in range(120)]  # equal rows: ties everywhere
     out += [(20, out[20][1], out[20][2]), (20, out[20][1], out[20][2]), (20, base[3].tolist(), 1), (30, out[31][1], 0)]  # repeated ids and rows
-    out += [(None, out[1][1], 1), (2000, None, 1), (2010, [math.nan] * 8, 1), (2020, [math.inf] + [0.0] * 7, 1), (2030, [None] + [1.0] * 7, 1), (2040, [1.0] * 8, None)]
-    out += [(3000, [1.0, 2.0], 0), (3001, [1.0, 1.5], 1), (3002, [2.0, 2.0], 0), (3010, [], 0), (3011, [], 1), (3012, [], 0), (3020, [0.0] * 8, 0), (-10, [-0.1] * 8, 2)]
+    out += [
+        (None, out[1][1], 1), (2000, None, 1), (2010, [math.nan] * 8, 1), (2020, [math.inf] + [0.0] * 7, 1), (2030, [None] + [1.0] * 7, 1),
+        (2040, [1.0] * 8, None),
+    ]
+    out += [
+        (3000, [1.0, 2.0], 0), (3001, [1.0, 1.5], 1), (3002, [2.0, 2.0], 0), (3010, [], 0), (3011, [], 1), (3012, [], 0),
+        (3020, [0.0] * 8, 0), (-10, [-0.1] * 8, 2),
+    ]
     return out
 
 
@@ -64,7 +75,10 @@ def test_small_blocks(spark, rows, monkeypatch):
 
 def test_large_components(spark):
     """Products beyond what floating point holds are whole all the same; rows whose scores could leave 64 bits take no part."""
-    rows = [(0, [2.0**21 + 0.5, 3.0], 0), (1, [2.0**21, 1.0], 0), (2, [2.0**21 - 1 / 256, 7.0], 1), (3, [2.0**21 - 2 / 256, 7.0], 1), (4, [1e300, 0.0], 1), (10, [1e25, 1.0], 0)]
+    rows = [
+        (0, [2.0**21 + 0.5, 3.0], 0), (1, [2.0**21, 1.0], 0), (2, [2.0**21 - 1 / 256, 7.0], 1), (3, [2.0**21 - 2 / 256, 7.0], 1),
+        (4, [1e300, 0.0], 1), (10, [1e25, 1.0], 0),
+    ]
     got = result(spark, rows)
     assert got == brute(rows, lambda i: i % 10 == 0) and [r[3] for r in got] == [2, 3]
 

@@ -67,7 +67,10 @@ def test_op1(results, texts):
 def test_op2(results):
     rows = results("op2_url_filter")
     for r in rows:
-        assert r["verdict"] == {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow", None: "block" if r["url_score"] >= 0.5 else "allow"}[r["rule"]]
+        assert r["verdict"] == {
+            "net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow",
+            None: "block" if r["url_score"] >= 0.5 else "allow",
+        }[r["rule"]]
 
 
 def spans_of(text):
@@ -79,7 +82,9 @@ def spans_of(text):
             found.append(("ip", *m.span()))
     for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
         digits = re.sub("[^0-9]", "", m[0])
-        if 13 <= len(digits) <= 19 and sum(int(d) if k % 2 == 0 else sum(map(int, str(2 * int(d)))) for k, d in enumerate(reversed(digits))) % 10 == 0:
+        if 13 <= len(digits) <= 19 and sum(
+            int(d) if k % 2 == 0 else sum(map(int, str(2 * int(d)))) for k, d in enumerate(reversed(digits))
+        ) % 10 == 0:
             found.append(("card", *m.span()))
     for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
         if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
@@ -116,12 +121,19 @@ def test_op4(spark, results, texts, con):
         prior = (hosts[source] + language_id.STRENGTH * whole) / (hosts[source].sum() + language_id.STRENGTH) if source in hosts else whole
         after = soft(language_id.TEMPER * fits[i] + np.log(prior + 1e-12))
         assert rows[i]["lang"] == model.languages[int(after.argmax())] and abs(rows[i]["confidence"] - after.max()) < 1e-4
-        assert rows[i]["accepted"] == (n[i] > 0 and fits[i].max() / n[i] >= -np.log(language_id.CODES) - language_id.SLACK and after.max() >= 0.5)
+        assert rows[i]["accepted"] == (
+            n[i] > 0 and fits[i].max() / n[i] >= -np.log(language_id.CODES) - language_id.SLACK and after.max() >= 0.5
+        )
 
 
 def test_op5(results, texts):
     rows = results("op5_lm_scoring")
-    assert all(r["held_out"] == (crc(r["doc_id"], 7) == 2) and r["score"] < 0 and abs(np.log10(r["perplexity"]) + r["score"] / r["n_tokens"]) < 1e-6 for r in rows)
+    assert all(
+        r["held_out"] == (crc(r["doc_id"], 7) == 2) and r["score"] < 0 and abs(
+            np.log10(r["perplexity"]) + r["score"] / r["n_tokens"]
+        ) < 1e-6
+        for r in rows
+    )
     whole = lambda c: sum(r[c] for r in rows if r["held_out"])
     assert whole("score") > whole("base_score")
 

@@ -30,14 +30,22 @@ def rows():
     for i in range(60):
         out.append((i, sentence(rng, int(rng.integers(1, 120))), ["en", "fr"][i % 2], ["a", "b", None][i % 3]))
     base = out[5][1].split()
-    out += [(100, out[7][1], "en", "a"), (101, out[7][1], "en", "a"), (102, " ".join(base[:-1] + ["changed"]), "en", "b"), (103, "", "en", "a"), (104, None, None, None), (105, " \n\t ", "fr", "c"), (106, "one two", "fr", "c"), (107, "ONE  two", "fr", "c")]
-    out += [(5, out[5][1], "en", "a"), (None, out[9][1], "en", "a"), (108, "x" * 300_000 + " tail", "en", "a"), (109, sentence(rng, 3000), "fr", "a")]
+    out += [
+        (100, out[7][1], "en", "a"), (101, out[7][1], "en", "a"), (102, " ".join(base[:-1] + ["changed"]), "en", "b"), (103, "", "en", "a"),
+        (104, None, None, None), (105, " \n\t ", "fr", "c"), (106, "one two", "fr", "c"), (107, "ONE  two", "fr", "c"),
+    ]
+    out += [
+        (5, out[5][1], "en", "a"), (None, out[9][1], "en", "a"), (108, "x" * 300_000 + " tail", "en", "a"),
+        (109, sentence(rng, 3000), "fr", "a"),
+    ]
     return out
 
 
 @pytest.fixture(scope="module")
 def docs(spark, rows):
-    return spark.createDataFrame([(i, t, lang, s, len(t) if t else None, "x", 1, 0.5, "y") for i, t, lang, s in rows], SCHEMA).repartition(3).persist()
+    return spark.createDataFrame(
+        [(i, t, lang, s, len(t) if t else None, "x", 1, 0.5, "y") for i, t, lang, s in rows], SCHEMA,
+    ).repartition(3).persist()
 
 
 @pytest.fixture(scope="module")
@@ -168,7 +176,9 @@ def test_lm(docs, rows, none):
     by_text = {}
     for _, t, _, _ in rows:
         w = [*space_words(t), "<end>"]
-        by_text[len(w), round(sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w), 6)] = sum(math.log10(both(a, x)) for a, x in zip(["<start>", *w], w))
+        by_text[len(w), round(sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w), 6)] = sum(
+            math.log10(both(a, x)) for a, x in zip(["<start>", *w], w)
+        )
     for r in got:
         assert abs(by_text[r["n_tokens"], round(r["base_score"], 6)] - r["score"]) < 1e-6 * max(1, abs(r["score"]))
     empty = lm_scoring.train(none)
@@ -219,9 +229,10 @@ def test_mixing_slots_and_pieces(docs):
 
 
 CASES = [
-    "mail a.b+c@d-e.co.uk, x@y and @z.w plus q@r.s@t.u", "ip 1.2.3.4.5.6.7.8 999.1.1.1 001.002.003.004 1.2.3", "card 4539 1488 0343 6467 and 4539-1488-0343-6468 12345678901234567890", "phone +1 (212) 555-7890 or +12 +1-2 + 3 +49.30.1234567890123",
+    "mail a.b+c@d-e.co.uk, x@y and @z.w plus q@r.s@t.u", "ip 1.2.3.4.5.6.7.8 999.1.1.1 001.002.003.004 1.2.3",
+    "card 4539 1488 0343 6467 and 4539-1488-0343-6468 12345678901234567890", "phone +1 (212) 555-7890 or +12 +1-2 + 3 +49.30.1234567890123",
     "", None, "no digits at all", "1" * 5000, "a" * 5000 + "@" + "b" * 5000 + ".c", "token = \"0123456789abcdef0123456789abcdef01234567\"",
-]
+]
 
 
 def base_spans(text):
@@ -249,7 +260,10 @@ def test_pii_base():
 
 def test_pii_contexts(spark, none):
     """Seeds in one context make the engine find identifiers of another form there, and nowhere else."""
-    rows = [(i, f"call agent {i} direct line: user{i}@mail.example or so") for i in range(40)] + [(100, "direct line: EXT4477X ok"), (101, "room EXT4478X ok"), (102, None), (103, ""), (104, "EXT4479X first"), (None, "direct line: 212 555 7890 ok")]
+    rows = [(i, f"call agent {i} direct line: user{i}@mail.example or so") for i in range(40)] + [
+        (100, "direct line: EXT4477X ok"), (101, "room EXT4478X ok"), (102, None), (103, ""), (104, "EXT4479X first"),
+        (None, "direct line: 212 555 7890 ok"),
+    ]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r for r in pii.find(docs).collect()}
     assert len(got) == len(rows)
@@ -275,7 +289,9 @@ def test_pii_precision_and_recall(spark):
         rows.append((i, text, "x", 5, []))
         if kind < 4:
             expected.add((i, "key", value))
-    rows += [(100 + i, f"{sentence(rng, 3)} commit{i} {secret()} {sentence(rng, 3)}", "x", 5, []) for i in range(6)] + [(200, "x" * 200_000 + ' token = "' + "ab12" * 10 + '"', "x", 5, [])]
+    rows += [(100 + i, f"{sentence(rng, 3)} commit{i} {secret()} {sentence(rng, 3)}", "x", 5, []) for i in range(6)] + [
+        (200, "x" * 200_000 + ' token = "' + "ab12" * 10 + '"', "x", 5, [])
+    ]
     expected.add((200, "key", "ab12" * 10))
     docs = spark.createDataFrame(rows * 2, "doc_id long, text string, kind string, row long, base array<int>")
     text = {r[0]: r[1] for r in rows}
@@ -288,19 +304,20 @@ def test_pii_keeps_columns(docs):
 
 
 ISC = (
-    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\n"
-    "The software is provided \"as is\" and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness. In no event shall the author be liable for any special, direct, "
-    "indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits, whether in an action of contract, negligence or other tortious action, arising out of or in connection with the use or performance of this software."
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\n" "The software is provided \"as is\" and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness. In no event shall the author be liable for any special, direct, " "indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits, whether in an action of contract, negligence or other tortious action, arising out of or in connection with the use or performance of this software."
 )
 
 
 @pytest.mark.parametrize(
     "text,labels",
     [
-        ("Released under the MIT License.", ["mit"]), ("This file is licensed under the terms of the Apache License, Version 2.0.", ["apache-2.0"]), ("released under an MIT license", []), ("Copyright (c) 2024 Some Person. All rights reserved.", ["copyright", "reserved"]),
-        ("", []), ("cc by cc by", ["cc-by"]), (ISC, ["isc"]), (ISC.split("The software is")[0], []), (ISC.replace("special, direct", "special"), []), (ISC.replace("the author", "Some Person and Others"), ["isc"]),
+        ("Released under the MIT License.", ["mit"]),
+        ("This file is licensed under the terms of the Apache License, Version 2.0.", ["apache-2.0"]),
+        ("released under an MIT license", []), ("Copyright (c) 2024 Some Person. All rights reserved.", ["copyright", "reserved"]),
+        ("", []), ("cc by cc by", ["cc-by"]), (ISC, ["isc"]), (ISC.split("The software is")[0], []),
+        (ISC.replace("special, direct", "special"), []), (ISC.replace("the author", "Some Person and Others"), ["isc"]),
     ],
-)
+)
 def test_licence_templates(text, labels):
     automata = defaultdict(list)
     for label, markup in licences.TEMPLATES:
@@ -324,11 +341,18 @@ def test_licence_scan(docs, rows, none):
 
 
 def test_url_filter(spark):
-    urls = [(1, "https://A.Example.NET/en/x?y"), (2, "https://a.example.net"), (3, "http://b.example.com/de/1"), (4, "http://x.org/fr/2#z"), (5, None), (6, "no address"), (7, "http://notnet/"), (8, "ftp://net/"), (9, ""), (9, "")]
+    urls = [
+        (1, "https://A.Example.NET/en/x?y"), (2, "https://a.example.net"), (3, "http://b.example.com/de/1"), (4, "http://x.org/fr/2#z"),
+        (5, None), (6, "no address"), (7, "http://notnet/"), (8, "ftp://net/"), (9, ""), (9, ""),
+    ]
     pages = spark.createDataFrame([(i, u, 1.0) for i, u in urls], "page_id long, url string, url_score double")
     model = url_filter.train(url_filter.seeded(pages))
     got = {r["page_id"]: (r["host"], r["path"], r["rule"]) for r in url_filter.judge(pages, model).collect()}
-    assert got == {1: ("a.example.net", "/en/x", "example.net/en/"), 2: ("a.example.net", "", None), 3: ("b.example.com", "/de/1", "example.com/de/"), 4: ("x.org", "/fr/2", "org/fr/"), 5: ("", "", None), 6: ("", "", None), 7: ("notnet", "/", None), 8: ("net", "/", "net/"), 9: ("", "", None)}
+    assert got == {
+        1: ("a.example.net", "/en/x", "example.net/en/"), 2: ("a.example.net", "", None), 3: ("b.example.com", "/de/1", "example.com/de/"),
+        4: ("x.org", "/fr/2", "org/fr/"), 5: ("", "", None), 6: ("", "", None), 7: ("notnet", "/", None), 8: ("net", "/", "net/"),
+        9: ("", "", None),
+    }
     nothing = pages.where("page_id < 0")
     assert url_filter.judge(nothing, url_filter.train(url_filter.seeded(nothing))).count() == 0
 
@@ -347,7 +371,9 @@ def test_ann(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(1500, 16))
     x[200:260] = x[200]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(2000, None), (2001, [0.0] * 16), (2002, [float("nan")] * 16), (2003, [1.0]), (None, x[0].tolist())]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [
+        (2000, None), (2001, [0.0] * 16), (2002, [float("nan")] * 16), (2003, [1.0]), (None, x[0].tolist()),
+    ]
     vectors = spark.createDataFrame([(i, v, 1.0, "c") for i, v in rows], "vec_id long, embedding array<double>, score double, near string")
     got = defaultdict(list)
     for r in sorted(ann_search.search(vectors, F.col("id") % 50 == 0).collect(), key=lambda r: (r["query_id"], r["rank"])):
@@ -370,7 +396,10 @@ def test_ann_repeated_ids(spark):
     """A query's own row is barred and no other: rows of its id are candidates, and each query row is answered for itself."""
     rows = [(50, [1.0, 0.0]), (50, [0.9, 0.1]), (2, [0.0, 1.0]), (100, [1.0, 1.0]), (100, [1.0, 1.0]), (3, [2.0, 0.0])]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
-    got = Counter((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in ann_search.search(vectors, F.col("id") % 50 == 0, k=3).collect())
+    got = Counter(
+        (r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9))
+        for r in ann_search.search(vectors, F.col("id") % 50 == 0, k=3).collect()
+    )
     cosine = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.hypot(*a) / math.hypot(*b)
     expected = Counter()
     for i, (q, v) in enumerate(rows):
@@ -445,8 +474,19 @@ def test_language(spark, none):
     rows = [(i, make(en if i % 2 else fr, 40), "en" if i % 2 else "fr", "h%d.example" % (i % 4), 1) for i in range(120)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n long")
     model = language_id.train(docs.where("doc_id < 80"))
-    extra = spark.createDataFrame([(500, None, None, None, 1), (501, "", "en", "h1.example", 1), (502, "123 456", "en", "h1.example", 1), (503, "the house", None, None, 1)], docs.schema)
-    got = {r["doc_id"]: r for r in language_id.identify(docs.union(extra), model, host=F.col("source"), suffix=F.lit("example"), declared=F.col("lang")).collect()}
+    extra = spark.createDataFrame(
+        [
+            (500, None, None, None, 1), (501, "", "en", "h1.example", 1), (502, "123 456", "en", "h1.example", 1),
+            (503, "the house", None, None, 1),
+        ],
+        docs.schema,
+    )
+    got = {
+        r["doc_id"]: r
+        for r in language_id.identify(
+            docs.union(extra), model, host=F.col("source"), suffix=F.lit("example"), declared=F.col("lang"),
+        ).collect()
+    }
     assert len(got) == 124
     assert all(got[i]["lang"] == lang and got[i]["accepted"] for i, _, lang, _, _ in rows)
     assert [got[i]["accepted"] for i in (500, 501, 502, 503)] == [False, False, False, True]
@@ -473,7 +513,9 @@ def test_language_every_label_counts(spark, tmp_path):
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     fold = lm_scoring.held_out(F.col("doc_id"), 3, 1)
-    got = language_id.identify(docs.where(fold), language_id.train(docs.where(~fold)), host=F.col("source")).where("accepted").join(docs.select("doc_id", F.col("lang").alias("label")), "doc_id").collect()
+    got = language_id.identify(docs.where(fold), language_id.train(docs.where(~fold)), host=F.col("source")).where("accepted").join(
+        docs.select("doc_id", F.col("lang").alias("label")), "doc_id",
+    ).collect()
     assert got and sum(r["lang"] == r["label"] for r in got) >= 0.95 * len(got)
 
 
@@ -501,9 +543,14 @@ def test_decontamination(spark, none):
     plain = lambda k: sentence(rng, 60) + " " + items[k][1] + " " + sentence(rng, 60)
     reworded = items[3][1].split()
     reworded[4], reworded[11] = "other", "words"
-    rows += [(100, plain(0)), (101, items[1][1].upper()), (102, sentence(rng, 40) + " " + " ".join(reworded)), (103, " ".join(items[4][1].split()[:8])), (104, None), (105, ""), (100, plain(0))]
+    rows += [
+        (100, plain(0)), (101, items[1][1].upper()), (102, sentence(rng, 40) + " " + " ".join(reworded)),
+        (103, " ".join(items[4][1].split()[:8])), (104, None), (105, ""), (100, plain(0)),
+    ]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = Counter((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect())
+    got = Counter(
+        (r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    )
     assert got == Counter({(100, 0): 1, (101, 1): 1, (102, 3): 1})
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.leaks(docs, empty).count() == 0
@@ -532,7 +579,9 @@ def test_decontamination_short_items_at_every_offset(spark):
     items = [(n, " ".join(f"item{n}x{k}" if k % 3 == 0 else str(rng.choice(WORDS)) for k in range(n))) for n in range(1, 65)]
     rows = [(32 * n + k, " ".join([sentence(rng, 64 + k), text, sentence(rng, 70)])) for n, text in items for k in range(32)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    got = {
+        (r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    }
     assert not {(i, i // 32) for i, _ in rows} - got
 
 
@@ -571,14 +620,19 @@ def test_decontamination_paraphrases_at_every_offset(spark):
                 told = [f"other{rng.integers(999)}" if i in other else w for i, w in enumerate(words)]
                 rows.append((1000 * n + len(rows), " ".join([sentence(rng, 32 + k), *told, sentence(rng, 70)])))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    got = {
+        (r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    }
     ids = lambda t: (words_of(pa.array([t])).hashes & np.uint64(0xFFFF)).astype(int).tolist()
     expected = set()
     for i, text in rows:
         words = ids(text)
         for n, item in items:
             (part,) = decontaminate.parts_of(n, ids(item))
-            if any(part.decide(words[max(0, at - n) : at + 64 + n], decontaminate.EXACT, decontaminate.LOOSE)[2] for at in range(0, len(words), 32)):
+            if any(
+                part.decide(words[max(0, at - n) : at + 64 + n], decontaminate.EXACT, decontaminate.LOOSE)[2]
+                for at in range(0, len(words), 32)
+            ):
                 expected.add((i, n))
     assert len(expected) >= len(rows)
     assert got == expected

@@ -36,19 +36,28 @@ def test_stages_with_nulls_and_repeats(spark, tmp_path):
     a, b, c = say(60), say(60), say(60)
     leak = f"{say(30)} {item} {say(30)}"
     row = lambda i, t, source="s": (i, t, "en", source, len(t) if t else None, 1, "h", 2)
-    rows = [row(1, a), row(2, a), row(3, b), row(3, b), row(3, c), row(None, a), row(None, say(70)), row(None, leak), row(8, leak), row(9, ""), row(9, ""), row(10, None, None), row(11, "7" * 500_000)]
+    rows = [
+        row(1, a), row(2, a), row(3, b), row(3, b), row(3, c), row(None, a), row(None, say(70)), row(None, leak), row(8, leak), row(9, ""),
+        row(9, ""), row(10, None, None), row(11, "7" * 500_000),
+    ]
     docs = spark.createDataFrame(rows, schema).repartition(3)
     kept = stages.one_of_each(spark, docs, str(tmp_path))
     assert kept.columns == docs.columns
     got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr)
-    assert got == sorted([(1, a), (3, b), (3, c), (None, rows[6][1]), (8, leak), (9, ""), (9, ""), (10, None), (11, "7" * 500_000)], key=repr)
+    assert got == sorted(
+        [(1, a), (3, b), (3, c), (None, rows[6][1]), (8, leak), (9, ""), (9, ""), (10, None), (11, "7" * 500_000)], key=repr,
+    )
     clean = stages.decontaminated(spark, docs, str(tmp_path))
     assert sorted(r["doc_id"] or -1 for r in clean.collect()) == [-1, -1, 1, 2, 3, 3, 3, 9, 9, 10, 11]
     known = stages.known_language(spark, docs, str(tmp_path))
     assert sorted(r["doc_id"] or -1 for r in known.collect()) == [-1, -1, -1, 1, 2, 3, 3, 3, 8]
     counted = stages.mixed(spark, docs, str(tmp_path))
-    assert sorted(((r["doc_id"], r["text"], r["size"]) for r in counted.collect()), key=repr) == sorted(((r["doc_id"], r["text"], len((r["text"] or "").split())) for r in docs.collect()), key=repr)
-    assert counted.columns[:6] == ["doc_id", "source", "size", "source_size", "target", "taken"] and set(counted.columns) == {*docs.columns, "size", "source_size", "target", "taken"}
+    assert sorted(((r["doc_id"], r["text"], r["size"]) for r in counted.collect()), key=repr) == sorted(
+        ((r["doc_id"], r["text"], len((r["text"] or "").split())) for r in docs.collect()), key=repr,
+    )
+    assert counted.columns[:6] == ["doc_id", "source", "size", "source_size", "target", "taken"] and set(counted.columns) == {
+        *docs.columns, "size", "source_size", "target", "taken",
+    }
     assert stages.mixed(spark, docs.where("false"), str(tmp_path)).count() == 0
     with pytest.raises(ValueError):
         stages.numbered(docs.withColumn("__row", docs["row"]))
@@ -67,4 +76,6 @@ def test_run_leaves_its_result_only(spark):
     done = corpus_pipeline.run(spark, SF)
     left = {f for f in set(os.listdir(at)) - before if "-" in f and not f.count("-") == 4}
     assert len([f for f in left if f.startswith("stage-")]) == 1 and {f.split("-")[0] for f in left} == {"stage"}, left
-    assert done.count() > 0 and done.columns[:6] == ["doc_id", "source", "size", "source_size", "target", "taken"] and "text" in done.columns
+    assert done.count() > 0 and done.columns[:6] == [
+        "doc_id", "source", "size", "source_size", "target", "taken",
+    ] and "text" in done.columns
