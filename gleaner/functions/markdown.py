@@ -15,8 +15,7 @@ from .dom import VOID, Node
 
 _SKIPPED = frozenset("script style nav footer header aside iframe noscript svg head title".split())
 _BLOCKS = frozenset(
-    "address article aside audio blockquote body canvas center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup "
-    "hr html isindex li main menu nav noframes noscript ol output p pre section summary table tbody td tfoot th thead tr ul".split()
+    "address article aside audio blockquote body canvas center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup " "hr html isindex li main menu nav noframes noscript ol output p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _BLANKS = re.compile(r"[ \t\r\n\f]+")
 _READ = re.compile(r"[\\*_`\[\]]")

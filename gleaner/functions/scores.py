@@ -29,7 +29,9 @@ def few(count: Column, most: int) -> Column:
 
 
 def grade(score: Column) -> Column:
-    return F.when(score >= 90, "A+").when(score >= 80, "A").when(score >= 70, "B").when(score >= 60, "C").when(score >= 50, "D").otherwise("F")
+    return F.when(score >= 90, "A+").when(score >= 80, "A").when(score >= 70, "B").when(score >= 60, "C").when(
+        score >= 50, "D",
+    ).otherwise("F")
 
 
 def confidence_level(score: Column) -> Column:

@@ -51,7 +51,9 @@ def syllable_count(text: Column) -> Column:
 def syllables(word: Column) -> Column:
     letters = F.regexp_replace(F.lower(word), "[^a-z]", "")
     stem = F.regexp_replace(letters, "e$", "")
-    return F.when(F.length(letters) <= 2, 1).otherwise(F.greatest(F.lit(1), F.size(F.regexp_extract_all(stem, F.lit("[aeiouy]+"), F.lit(0)))))
+    return F.when(F.length(letters) <= 2, 1).otherwise(
+        F.greatest(F.lit(1), F.size(F.regexp_extract_all(stem, F.lit("[aeiouy]+"), F.lit(0))))
+    )
 
 
 def flesch(n_words: Column, n_sentences: Column, n_syllables: Column) -> Column:
@@ -97,4 +99,6 @@ def uniformity(counts: Column) -> Column:
 def moments(counts: Column) -> Column:
     """The struct that :func:`uniformity` takes, in one fold."""
     zero = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
-    return F.aggregate(counts, zero, lambda a, x: F.struct((a["n"] + 1).alias("n"), (a["s"] + x).alias("s"), (a["q"] + x * x.cast("double")).alias("q")))
+    return F.aggregate(
+        counts, zero, lambda a, x: F.struct((a["n"] + 1).alias("n"), (a["s"] + x).alias("s"), (a["q"] + x * x.cast("double")).alias("q")),
+    )

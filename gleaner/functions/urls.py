@@ -37,16 +37,30 @@ def section_of(url: Column) -> Column:
 
 def _encoded(path: Column) -> Column:
     """Characters beyond ASCII, and blanks, as browsers send them."""
-    return F.when(path.rlike("[^\\x21-\\x7e]"), F.array_join(F.transform(F.split(path, ""), lambda x: F.when(x.rlike("[^\\x21-\\x7e]"), F.replace(F.url_encode(x), F.lit("+"), F.lit("%20"))).otherwise(x)), "")).otherwise(path)
+    return F.when(
+        path.rlike("[^\\x21-\\x7e]"),
+        F.array_join(
+            F.transform(
+                F.split(path, ""),
+                lambda x: F.when(x.rlike("[^\\x21-\\x7e]"), F.replace(F.url_encode(x), F.lit("+"), F.lit("%20"))).otherwise(x),
+            ),
+            "",
+        ),
+    ).otherwise(path)
 
 
 def _walked(path: Column) -> Column:
     """The path without ``.`` and ``..`` parts."""
     parts = F.slice(F.split(path, "/"), 2, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
     up = lambda held: F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(0)))
-    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda held, p: F.when(p == "..", up(held)).when(p == ".", held).otherwise(F.concat(held, F.array(p))))
+    kept = F.aggregate(
+        parts, F.array().cast("array<string>"),
+        lambda held, p: F.when(p == "..", up(held)).when(p == ".", held).otherwise(F.concat(held, F.array(p))),
+    )
     ends = F.when(path.rlike(r"/\.\.?$"), "/").otherwise("")
-    return F.when(path.rlike(r"/\.\.?(?:/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(F.size(kept) > 0, ends).otherwise(""))).otherwise(path)
+    return F.when(
+        path.rlike(r"/\.\.?(?:/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(F.size(kept) > 0, ends).otherwise("")),
+    ).otherwise(path)
 
 
 def resolved(rows: DataFrame, href: Column, page: Column, to: str) -> DataFrame:
@@ -54,7 +68,13 @@ def resolved(rows: DataFrame, href: Column, page: Column, to: str) -> DataFrame:
     that, a slash at the end; other schemes stay as they are. Each step has a projection of its own, so nothing is computed twice."""
     step = "_resolved"
     target = F.regexp_replace(F.trim(href), "#.*$", "")
-    rows = rows.withColumn(step, F.struct(target.alias("target"), F.regexp_extract(page, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1).alias("origin"), path_of(page).alias("path"), F.regexp_replace(page, "#.*$", "").alias("page")))
+    rows = rows.withColumn(
+        step,
+        F.struct(
+            target.alias("target"), F.regexp_extract(page, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1).alias("origin"),
+            path_of(page).alias("path"), F.regexp_replace(page, "#.*$", "").alias("page"),
+        ),
+    )
     of = lambda name: F.col(f"{step}.{name}")
     whole = (
         F.when(of("target").rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), of("target"))
@@ -65,13 +85,24 @@ def resolved(rows: DataFrame, href: Column, page: Column, to: str) -> DataFrame:
         .otherwise(F.concat(of("origin"), F.regexp_replace(of("path"), "[^/]*$", ""), of("target")))
     )
     rows = rows.withColumn(step, whole)
-    rows = rows.withColumn(step, F.struct(F.col(step).alias("whole"), F.lower(F.regexp_extract(step, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)).alias("origin"), path_of(F.col(step)).alias("path"), F.regexp_extract(step, r"(\?.*)$", 1).alias("query")))
-    rows = rows.withColumn(step, F.struct(of("whole").alias("whole"), of("origin").alias("origin"), _walked(of("path")).alias("path"), of("query").alias("query")))
+    rows = rows.withColumn(
+        step,
+        F.struct(
+            F.col(step).alias("whole"), F.lower(F.regexp_extract(step, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)).alias("origin"),
+            path_of(F.col(step)).alias("path"), F.regexp_extract(step, r"(\?.*)$", 1).alias("query"),
+        ),
+    )
+    rows = rows.withColumn(
+        step,
+        F.struct(of("whole").alias("whole"), of("origin").alias("origin"), _walked(of("path")).alias("path"), of("query").alias("query")),
+    )
     found = F.concat(of("origin"), _encoded(of("path")), _encoded(of("query")))
     rows = rows.withColumn(step, F.struct(of("whole").alias("whole"), (of("path") == "/").alias("root"), found.alias("found")))
     bare = F.when(of("root"), of("found")).otherwise(F.regexp_replace(of("found"), "/$", ""))
     # behind a generator, or conditions on the result would be moved below with all of its steps inside
-    return rows.select("*", F.explode(F.array(F.when(of("whole").rlike("(?i)^https?://"), bare).otherwise(of("whole")))).alias(to)).drop(step)
+    return rows.select(
+        "*", F.explode(F.array(F.when(of("whole").rlike("(?i)^https?://"), bare).otherwise(of("whole")))).alias(to),
+    ).drop(step)
 
 
 def slug_of(path: Column) -> Column:
@@ -82,7 +113,9 @@ def slug_of(path: Column) -> Column:
 
 def with_https(url: Column) -> Column:
     """The address with https, whatever it came with."""
-    return F.when(url.startswith("http://"), F.concat(F.lit("https://"), F.substr(url, F.lit(8)))).when(url.startswith("https://"), url).otherwise(F.concat(F.lit("https://"), url))
+    return F.when(url.startswith("http://"), F.concat(F.lit("https://"), F.substr(url, F.lit(8)))).when(
+        url.startswith("https://"), url,
+    ).otherwise(F.concat(F.lit("https://"), url))
 
 
 def is_binary(url: Column) -> Column:

@@ -26,7 +26,9 @@ def _cap(x: Column, most: int = 100) -> Column:
     return F.least(F.lit(most), x)
 
 
-def dimensions(rows: DataFrame, has_tables: Column | None = None, has_figures: Column | None = None, answers: Column | None = None) -> DataFrame:
+def dimensions(
+    rows: DataFrame, has_tables: Column | None = None, has_figures: Column | None = None, answers: Column | None = None,
+) -> DataFrame:
     """``passage, words`` -> the five dimensions from 0 to 100 and their weighted ``overall``. ``answers``: whether the passage answers a question
     of its page, see :func:`question_matches`."""
     p, n = F.col("passage"), F.col("words")
@@ -38,16 +40,30 @@ def dimensions(rows: DataFrame, has_tables: Column | None = None, has_figures: C
     asked = F.lit(False) if answers is None else answers
     answer = _cap(_cap(_hits(p, definitive) * 15, 40) + _points((short, 15), (short & any_of(first), 15), (asked, 20), (any_of(lead), 10)))
     alone = 100 + _points(
-        (p.rlike(rf"(?i)^\s*(?:{catalog.DEPENDENT})(?![A-Za-z0-9_])"), -30), (p.rlike(r"(?i)^\s*(?:it|this|that|these|those|they|he|she)\s"), -15), (n < 25, -15), (~p.rlike("[.!?]"), -20), (~p.rlike(r"[.!?:]\s*$"), -10), (p.rlike("[:;]"), 10)
+        (p.rlike(rf"(?i)^\s*(?:{catalog.DEPENDENT})(?![A-Za-z0-9_])"), -30),
+        (p.rlike(r"(?i)^\s*(?:it|this|that|these|those|they|he|she)\s"), -15), (n < 25, -15), (~p.rlike("[.!?]"), -20),
+        (~p.rlike(r"[.!?:]\s*$"), -10), (p.rlike("[:;]"), 10),
     )
     sentences = F.size(F.filter(F.split(p, "[.!?]+"), lambda s: F.length(F.trim(s)) > 10))
     size = F.when(n.between(100, 200), 15).when(n.between(50, 250), 8).otherwise(0)
-    structure = 30 + size + _points((p.rlike(r"(?:^|\n)\s*(?:[-•*]|[0-9]+[.)]) "), 25), (F.lit(False) if has_tables is None else has_tables, 20), (p.rlike(r"\*\*[^*]+\*\*"), 10), (sentences.between(2, 5), 10))
+    structure = 30 + size + _points(
+        (p.rlike(r"(?:^|\n)\s*(?:[-•*]|[0-9]+[.)]) "), 25), (F.lit(False) if has_tables is None else has_tables, 20),
+        (p.rlike(r"\*\*[^*]+\*\*"), 10), (sentences.between(2, 5), 10),
+    )
     edged = lambda x: "(?i)" + x.replace(r"\b", _EDGE)
-    figures = _cap(_hits(p, tuple(map(edged, catalog.FIGURES))) * 15, 60) + _points((F.lit(False) if has_figures is None else has_figures, 20), (p.rlike(edged(catalog.COMPARED)), 20))
+    figures = _cap(_hits(p, tuple(map(edged, catalog.FIGURES))) * 15, 60) + _points(
+        (F.lit(False) if has_figures is None else has_figures, 20), (p.rlike(edged(catalog.COMPARED)), 20),
+    )
     names = F.size(F.regexp_extract_all(p, F.lit(text.bounded(r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*")), F.lit(0)))
-    unique = _cap(_hits(p, tuple("(?i)" + text.bounded(x) for x in catalog.UNIQUE)) * 20, 70) + _points((p.rlike('"[^"]+"'), 15), (names >= 2, 15))
-    rows = rows.withColumns({"answer": answer, "self_contained": F.greatest(F.lit(0), _cap(alone)), "structure": _cap(structure), "figures": _cap(figures), "unique": _cap(unique)})
+    unique = _cap(
+        _hits(p, tuple("(?i)" + text.bounded(x) for x in catalog.UNIQUE)) * 20, 70,
+    ) + _points((p.rlike('"[^"]+"'), 15), (names >= 2, 15))
+    rows = rows.withColumns(
+        {
+            "answer": answer, "self_contained": F.greatest(F.lit(0), _cap(alone)), "structure": _cap(structure), "figures": _cap(figures),
+            "unique": _cap(unique),
+        }
+    )
     terms = [F.col(c) * w for c, w in catalog.CITABILITY.items()]
     return rows.withColumn("overall", scores.half_up(sum(terms[1:], terms[0]) / 100))
 
@@ -55,13 +71,18 @@ def dimensions(rows: DataFrame, has_tables: Column | None = None, has_figures: C
 def by_text(docs: DataFrame, *keep: str, separator: str = r"\n\s*\n") -> DataFrame:
     """Passages, rounded mean and number of highly citable ones of each text that has any."""
     rows = dimensions(passages(docs, *keep, separator=separator))
-    return rows.groupBy(*keep).agg(F.count("*").alias("passages"), F.count_if(F.col("overall") >= 70).alias("high"), scores.half_up(F.avg("overall")).alias("score"))
+    return rows.groupBy(*keep).agg(
+        F.count("*").alias("passages"), F.count_if(F.col("overall") >= 70).alias("high"), scores.half_up(F.avg("overall")).alias("score"),
+    )
 
 
 def by_site(docs: DataFrame, key: str, site: str, separator: str = r"\n\s*\n") -> DataFrame:
     """Mean of text scores weighted by their passages."""
     rows = by_text(docs.where(text.word_count(F.col("text")) > 100), key, site, separator=separator)
-    return rows.groupBy(site).agg(F.sum("passages").alias("passages"), F.sum("high").alias("high"), scores.half_up(F.sum(F.col("score") * F.col("passages")) / F.sum("passages")).alias("score"))
+    return rows.groupBy(site).agg(
+        F.sum("passages").alias("passages"), F.sum("high").alias("high"),
+        scores.half_up(F.sum(F.col("score") * F.col("passages")) / F.sum("passages")).alias("score"),
+    )
 
 
 def weakest(docs: DataFrame, *keep: str, separator: str = r"\n\s*\n", most: int = 5) -> DataFrame:
@@ -90,7 +111,9 @@ def question_matches(found: DataFrame, headings: DataFrame, *keys: str) -> DataF
     """
     terms = question_terms(headings, *keys)
     with_questions = terms.select(*keys).distinct()
-    words = found.join(with_questions, list(keys), "left_semi").select(*keys, "place", F.explode(F.array_distinct(text.words(F.lower("passage")))).alias("word"))
+    words = found.join(with_questions, list(keys), "left_semi").select(
+        *keys, "place", F.explode(F.array_distinct(text.words(F.lower("passage")))).alias("word"),
+    )
     places = words.groupBy(*keys, "word").agg(F.collect_list("place").alias("places"))
     held = places.join(terms.select(*keys, "term").distinct(), list(keys)).where(F.col("word").contains(F.col("term")))
     index = held.select(*keys, "term", F.explode("places").alias("place")).distinct()
@@ -98,7 +121,10 @@ def question_matches(found: DataFrame, headings: DataFrame, *keys: str) -> DataF
     return sums.where(F.col("matched") / F.col("terms") >= 0.5).select(*keys, "place", "question", "matched", "terms")
 
 
-def scored(docs: DataFrame, headings: DataFrame | None, key: str, separator: str = r"\n\s*\n", has_tables: str | None = None, has_figures: str | None = None) -> DataFrame:
+def scored(
+    docs: DataFrame, headings: DataFrame | None, key: str, separator: str = r"\n\s*\n", has_tables: str | None = None,
+    has_figures: str | None = None,
+) -> DataFrame:
     """Every passage with its dimensions, ``overall`` and ``advice``. ``docs(key, text)``, and flags by the names given; ``headings(key, question,
     heading)``."""
     more = [c for c in (has_tables, has_figures) if c]
@@ -106,7 +132,9 @@ def scored(docs: DataFrame, headings: DataFrame | None, key: str, separator: str
     flag = lambda c: F.col(c) if c else None
     if headings is None:
         return with_advice(dimensions(rows, flag(has_tables), flag(has_figures)))
-    answered = question_matches(rows.select(key, "place", "passage"), headings, key).select(key, "place").distinct().withColumn("answers", F.lit(True))
+    answered = question_matches(rows.select(key, "place", "passage"), headings, key).select(key, "place").distinct().withColumn(
+        "answers", F.lit(True),
+    )
     rows = rows.join(answered, [key, "place"], "left")
     return with_advice(dimensions(rows, flag(has_tables), flag(has_figures), F.coalesce("answers", F.lit(False))).drop("answers"))
 
@@ -115,7 +143,9 @@ def with_advice(rows: DataFrame) -> DataFrame:
     """The rows of :func:`dimensions` with ``advice``: what would make a passage under 70 better, null if nothing."""
     told = [F.when(F.col(c) < least, F.lit(advice)) for c, least, advice in catalog.ADVICE]
     n = F.col("words").cast("string")
-    size = F.when(F.col("words") < 100, F.concat(F.lit("Expand to 134-167 words (currently "), n, F.lit(")"))).when(F.col("words") > 200, F.concat(F.lit("Split into focused passages of 134-167 words (currently "), n, F.lit(")")))
+    size = F.when(F.col("words") < 100, F.concat(F.lit("Expand to 134-167 words (currently "), n, F.lit(")"))).when(
+        F.col("words") > 200, F.concat(F.lit("Split into focused passages of 134-167 words (currently "), n, F.lit(")")),
+    )
     parts = F.filter(F.array(*told, size), lambda x: x.isNotNull())
     return rows.withColumn("advice", F.when((F.col("overall") < 70) & (F.size(parts) > 0), F.concat(F.array_join(parts, ". "), F.lit("."))))
 
@@ -124,10 +154,15 @@ def page_citability(rows: DataFrame, key: str) -> DataFrame:
     """``key, passages, high, coverage, score`` and the rounded mean of each dimension, of the rows of :func:`scored`."""
     means = [scores.half_up(F.avg(c)).alias(c) for c in catalog.CITABILITY]
     high = F.count_if(F.col("overall") >= 70)
-    return rows.groupBy(key).agg(F.count("*").alias("passages"), high.alias("high"), (high / F.count("*")).alias("coverage"), scores.half_up(F.avg("overall")).alias("score"), *means)
+    return rows.groupBy(key).agg(
+        F.count("*").alias("passages"), high.alias("high"), (high / F.count("*")).alias("coverage"),
+        scores.half_up(F.avg("overall")).alias("score"), *means,
+    )
 
 
 def best(rows: DataFrame, key: str, most: int = 5) -> DataFrame:
     """The first passages of each text by ``overall``, earlier ones first among equals: ``key, rank, place, overall, words, advice``."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("overall"), "place"))
-    return rows.select(key, "place", "overall", "words", "advice").withColumn("rank", rank).where(F.col("rank") <= most).select(key, "rank", "place", "overall", "words", "advice")
+    return rows.select(key, "place", "overall", "words", "advice").withColumn("rank", rank).where(F.col("rank") <= most).select(
+        key, "rank", "place", "overall", "words", "advice",
+    )

@@ -38,7 +38,8 @@ def service_score(items: DataFrame) -> DataFrame:
 def category_summary(items: DataFrame) -> DataFrame:
     """Passed (partly counts) and total of each category, and its unweighted score."""
     return items.where("status <> 'not_applicable'").groupBy("site", "category").agg(
-        F.count_if(F.col("status").isin("pass", "partial")).alias("passed"), F.count("*").alias("total"), scores.half_up(F.sum("score") / F.sum("max_score") * 100).alias("score")
+        F.count_if(F.col("status").isin("pass", "partial")).alias("passed"), F.count("*").alias("total"),
+        scores.half_up(F.sum("score") / F.sum("max_score") * 100).alias("score"),
     )
 
 
@@ -59,12 +60,27 @@ def priorities(items: DataFrame, most: int = 5) -> DataFrame:
     weighed = F.col("max_score") * weight_of("category", catalog.CATEGORY_WEIGHTS)
     open_ = ~F.col("status").isin("pass", "not_applicable") & (F.col("score") < 100) & ~F.col("name").isin(*catalog.PROJECTED)
     effort = F.when((F.col("name") == "Meta Descriptions") & (F.col("score") < 50), "hard").otherwise(_looked_up(catalog.EFFORT, "medium"))
-    action = F.struct("seq", "name", "score", ((F.col("max_score") - F.col("score")) * weight_of("category", catalog.CATEGORY_WEIGHTS)).alias("gain"), effort.alias("effort"), _looked_up(catalog.SEARCH_IMPACT, "low").alias("search_impact"), _looked_up(catalog.TIME_TO_IMPACT, "2-6 months").alias("time_to_impact"))
-    sums = items.groupBy("site").agg(F.sum(F.when(F.col("status") != "not_applicable", weighed)).alias("whole"), F.collect_list(F.when(open_, action)).alias("actions"))
+    action = F.struct(
+        "seq", "name", "score", ((F.col("max_score") - F.col("score")) * weight_of("category", catalog.CATEGORY_WEIGHTS)).alias("gain"),
+        effort.alias("effort"), _looked_up(catalog.SEARCH_IMPACT, "low").alias("search_impact"),
+        _looked_up(catalog.TIME_TO_IMPACT, "2-6 months").alias("time_to_impact"),
+    )
+    sums = items.groupBy("site").agg(
+        F.sum(F.when(F.col("status") != "not_applicable", weighed)).alias("whole"), F.collect_list(F.when(open_, action)).alias("actions"),
+    )
     impact = lambda a: F.when(F.col("whole") > 0, F.floor(a["gain"] / F.col("whole") * 1000 + F.lit(0.5)) / 10).otherwise(0.0)
-    ranked = F.slice(F.array_sort(F.transform("actions", lambda a: F.struct((-impact(a)).alias("order"), a["seq"].alias("seq"), impact(a).alias("impact"), a.alias("a")))), 1, most)
+    ranked = F.slice(
+        F.array_sort(
+            F.transform(
+                "actions", lambda a: F.struct((-impact(a)).alias("order"), a["seq"].alias("seq"), impact(a).alias("impact"), a.alias("a")),
+            )
+        ),
+        1, most,
+    )
     rows = sums.select("site", F.posexplode(ranked).alias("place", "r"))
-    return rows.select("site", (F.col("place") + 1).alias("place"), "r.a.name", "r.impact", "r.a.effort", "r.a.search_impact", "r.a.time_to_impact")
+    return rows.select(
+        "site", (F.col("place") + 1).alias("place"), "r.a.name", "r.impact", "r.a.effort", "r.a.search_impact", "r.a.time_to_impact",
+    )
 
 
 def projected(items: DataFrame) -> DataFrame:
@@ -72,7 +88,9 @@ def projected(items: DataFrame) -> DataFrame:
     pairs = [F.lit(x) for k, v in catalog.PROJECTED.items() for x in (k, v)]
     better = F.create_map(*pairs)[F.col("name")]
     score = F.greatest("score", F.coalesce(better, "score"))
-    status = F.when(better.isNotNull() & (F.col("score") < better), F.when(better >= 70, "pass").otherwise("partial")).otherwise(F.col("status"))
+    status = F.when(
+        better.isNotNull() & (F.col("score") < better), F.when(better >= 70, "pass").otherwise("partial"),
+    ).otherwise(F.col("status"))
     return items.withColumn("status", status).withColumn("score", score)
 
 
@@ -88,4 +106,7 @@ def diff(before: DataFrame, after: DataFrame) -> DataFrame:
         .when((was != "pass") & (now == "pass"), "resolved").when((was == "pass") & (now != "pass"), "new_issue")
         .when(delta > 0, "improved").when(delta < 0, "regressed").otherwise("unchanged")
     )
-    return rows.select("site", "name", F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("after", F.lit(0)).alias("after"), F.coalesce("was", F.lit("n/a")).alias("was"), F.coalesce("now", F.lit("n/a")).alias("now"), bucket.alias("bucket"))
+    return rows.select(
+        "site", "name", F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("after", F.lit(0)).alias("after"),
+        F.coalesce("was", F.lit("n/a")).alias("was"), F.coalesce("now", F.lit("n/a")).alias("now"), bucket.alias("bucket"),
+    )

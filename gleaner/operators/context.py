@@ -36,7 +36,9 @@ def type_of(item: Column) -> Column:
 
 def firsts(pages: DataFrame, values: Column, most: int, name: str) -> DataFrame:
     """``site`` and its first distinct values, in order of pages and then of places."""
-    seen = pages.select("site", "page_id", F.posexplode(values).alias("place", "x")).groupBy("site", "x").agg(F.min(F.struct("page_id", "place")).alias("first"))
+    seen = pages.select("site", "page_id", F.posexplode(values).alias("place", "x")).groupBy("site", "x").agg(
+        F.min(F.struct("page_id", "place")).alias("first")
+    )
     few = seen.withColumn("r", F.row_number().over(Window.partitionBy("site").orderBy("first"))).where(F.col("r") <= most)
     return few.groupBy("site").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "x"))), lambda s: s["x"]).alias(name))
 
@@ -64,13 +66,19 @@ def locations(pages: DataFrame) -> DataFrame:
     told = F.concat(
         F.transform("json_ld", lambda x, i: evidence(1, i, F.nullif(address(x), F.lit("")))),
         F.transform("hreflang", lambda h, i: evidence(3, i, _country(code(h, 1)))),
-        F.when(F.size("hreflang") > 0, F.array(evidence(3, F.size("hreflang"), _country(code(F.get("hreflang", F.lit(0)), 0))))).otherwise(F.array()),
+        F.when(
+            F.size("hreflang") > 0, F.array(evidence(3, F.size("hreflang"), _country(code(F.get("hreflang", F.lit(0)), 0)))),
+        ).otherwise(F.array()),
         F.array(evidence(4, F.lit(0), F.when(spoken.isin(*catalog.TELLING_LANGUAGES), _country(spoken)))),
     )
     rows = pages.select("site", "page_id", F.inline(F.filter(told, lambda e: e["value"].isNotNull())))
     label = F.element_at(F.split("site", r"\."), -1)
-    domains = pages.select("site").distinct().where(F.col("site").contains(".")).select("site", F.when(~label.isin(*catalog.GENERIC_DOMAINS), _country(F.lower(label))).alias("value")).where("value IS NOT NULL")
-    rows = rows.unionByName(domains.select("site", F.lit(0).cast("long").alias("page_id"), F.lit(2).alias("rank"), F.lit(0).alias("place"), "value"))
+    domains = pages.select("site").distinct().where(F.col("site").contains(".")).select(
+        "site", F.when(~label.isin(*catalog.GENERIC_DOMAINS), _country(F.lower(label))).alias("value"),
+    ).where("value IS NOT NULL")
+    rows = rows.unionByName(
+        domains.select("site", F.lit(0).cast("long").alias("page_id"), F.lit(2).alias("rank"), F.lit(0).alias("place"), "value")
+    )
     best = rows.groupBy("site").agg(F.min(F.struct("rank", "page_id", "place", "value")).alias("best"))
     return best.select("site", "best.rank", F.col("best.value").alias("location"))
 
@@ -80,9 +88,13 @@ def business_context(pages: DataFrame) -> DataFrame:
     first = lambda c, when: F.min_by(c, F.when(when, F.col("page_id")))
     told = pages.groupBy("site").agg(
         F.coalesce(first(F.col("language"), _there(F.col("language"))), F.lit("en")).alias("language"),
-        F.coalesce(first(F.col("description"), F.length("description") > 20), F.min_by(F.substring("body", 1, 200), "page_id"), F.lit("")).alias("description"),
+        F.coalesce(
+            first(F.col("description"), F.length("description") > 20), F.min_by(F.substring("body", 1, 200), "page_id"), F.lit(""),
+        ).alias("description"),
+    )
+    heads = F.transform(
+        F.filter("headings", lambda h: (h["level"] <= 2) & F.length(h["text"]).between(4, 59)), lambda h: F.lower(h["text"]),
     )
-    heads = F.transform(F.filter("headings", lambda h: (h["level"] <= 2) & F.length(h["text"]).between(4, 59)), lambda h: F.lower(h["text"]))
     words = F.concat(F.transform("keywords", lambda k: F.lower(F.trim(k))), heads)
 
     def offered(kind: str, *parts: str) -> Column:
@@ -91,14 +103,21 @@ def business_context(pages: DataFrame) -> DataFrame:
         there = F.lower("url").contains(parts[0]) | F.lower("url").contains(parts[1])
         return F.concat(F.transform(marked, lambda x: _json(x, "$.name")), F.when(there, second).otherwise(F.array().cast("array<string>")))
 
-    rows = told.join(firsts(pages, words, 20, "keywords"), "site", "left").join(_industry(pages), "site", "left").join(locations(pages), "site", "left")
-    rows = rows.join(firsts(pages, offered("Service", "service", "paslaug"), 10, "services"), "site", "left").join(firsts(pages, offered("Product", "product", "produ"), 10, "products"), "site", "left")
+    rows = told.join(firsts(pages, words, 20, "keywords"), "site", "left").join(_industry(pages), "site", "left").join(
+        locations(pages), "site", "left",
+    )
+    rows = rows.join(firsts(pages, offered("Service", "service", "paslaug"), 10, "services"), "site", "left").join(
+        firsts(pages, offered("Product", "product", "produ"), 10, "products"), "site", "left",
+    )
     rows = rows.join(extract.site_identity(pages), "site", "left")
     listed = lambda c: F.coalesce(c, F.array().cast("array<string>")).alias(c)
     name = F.when(_there(F.col("identity.name")), F.col("identity.name")).otherwise(F.col("site"))
     place = F.when(_there(F.col("identity.address")), F.col("identity.address")).otherwise(F.col("location"))
     industry = F.coalesce("told", F.get("keywords", F.lit(0)), F.lit("general"))
-    return rows.select("site", name.alias("name"), "language", "description", listed("keywords"), industry.alias("industry"), place.alias("location"), listed("services"), listed("products"))
+    return rows.select(
+        "site", name.alias("name"), "language", "description", listed("keywords"), industry.alias("industry"), place.alias("location"),
+        listed("services"), listed("products"),
+    )
 
 
 # --- questions
@@ -122,23 +141,32 @@ def template_queries(contexts: DataFrame, count: int = 20) -> DataFrame:
     item = lambda c, k: F.nullif(F.get(c, F.lit(k)), F.lit(""))
     before = lambda text: F.when(place != "", F.concat(F.lit(text), place)).otherwise("")
     values = {
-        "name": F.col("name"), "industry": F.col("industry"), "service0": F.coalesce(item("services", 0), "industry"), "service1": F.coalesce(item("services", 1), item("keywords", 0), "industry"), "keyword0": item("keywords", 0), "keyword1": item("keywords", 1),
-        "in": before(" in "), "at": before(" "), "where": F.when(place == "", "Lietuvoje").otherwise(locative),
-    }
+        "name": F.col("name"), "industry": F.col("industry"), "service0": F.coalesce(item("services", 0), "industry"),
+        "service1": F.coalesce(item("services", 1), item("keywords", 0), "industry"), "keyword0": item("keywords", 0),
+        "keyword1": item("keywords", 1), "in": before(" in "), "at": before(" "),
+        "where": F.when(place == "", "Lietuvoje").otherwise(locative),
+    }
     rows = contexts.select("site", "language", F.struct(*(x.alias(k) for k, x in values.items())).alias("v"))
     held = {k: F.col(f"v.{k}") for k in values}
 
     def of(language: str) -> Column:
-        made = [F.struct(_written(q, held).alias("query"), F.lit(c).alias("category"), F.lit(i).alias("intent"), F.lit(x).alias("language")) for q, c, i, x in catalog.QUERY_TEMPLATES[language]]
+        made = [
+            F.struct(_written(q, held).alias("query"), F.lit(c).alias("category"), F.lit(i).alias("intent"), F.lit(x).alias("language"))
+            for q, c, i, x in catalog.QUERY_TEMPLATES[language]
+        ]
         return F.slice(F.filter(F.array(*made), lambda t: t["query"].isNotNull()), 1, count)
 
     chosen = F.when(F.col("language") == "lt", of("lt")).otherwise(of("en"))
-    return rows.select("site", F.posexplode(chosen).alias("place", "t")).select("site", (F.col("place") + 1).alias("place"), "t.query", "t.category", "t.intent", "t.language")
+    return rows.select("site", F.posexplode(chosen).alias("place", "t")).select(
+        "site", (F.col("place") + 1).alias("place"), "t.query", "t.category", "t.intent", "t.language",
+    )
 
 
 def important_pages(pages: DataFrame, most: int = 10) -> DataFrame:
     """The first pages of each site that are worth a query of their own."""
-    rows = pages.withColumn("section", urls.section_of(F.col("url"))).where(~F.col("section").isin("Main", "Legal", "Careers", "Changelog") & (F.col("words") >= 100) & (F.length("title") >= 5))
+    rows = pages.withColumn("section", urls.section_of(F.col("url"))).where(
+        ~F.col("section").isin("Main", "Legal", "Careers", "Changelog") & (F.col("words") >= 100) & (F.length("title") >= 5)
+    )
     heading = F.get(F.filter("headings", lambda h: h["level"] <= 2), F.lit(0))["text"]
     rows = rows.select("site", "page_id", "url", "section", "title", heading.alias("heading"))
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("site").orderBy("page_id"))).where(F.col("place") <= most).select("site", "place", "page_id", "url", "section", "title", "heading")
@@ -153,16 +181,7 @@ def page_queries(pages: DataFrame, names: DataFrame, most: int = 10) -> DataFram
     headed, section = _there(F.col("heading")), F.col("section")
     # fixed values: wordings
     query = (
-        F.when((section == "Services") & _there(F.col("location")), say("how does ", name, " ", low, " compare to other providers in ", F.col("location")))
-        .when(section == "Services", say("what does ", name, " offer for ", low, " and is it worth it"))
-        .when(section == "Products", say(F.col("title"), " by ", name, " review and alternatives"))
-        .when((section == "Blog") & headed, say("explain ", F.lower("heading"), " in detail"))
-        .when(section == "Blog", say(low, " guide and best practices"))
-        .when((section == "Documentation") & headed, say("how to ", F.lower("heading"), " with ", name))
-        .when(section == "Documentation", say(name, " ", low, " documentation and examples"))
-        .when(section == "Examples", say(name, " ", low, " examples and use cases"))
-        .when(section == "About", say("who is ", name, " and what is their background in ", F.col("industry")))
-        .otherwise(say(name, " ", low, " detailed information"))
+        F.when((section == "Services") & _there(F.col("location")), say("how does ", name, " ", low, " compare to other providers in ", F.col("location"))) .when(section == "Services", say("what does ", name, " offer for ", low, " and is it worth it")) .when(section == "Products", say(F.col("title"), " by ", name, " review and alternatives")) .when((section == "Blog") & headed, say("explain ", F.lower("heading"), " in detail")) .when(section == "Blog", say(low, " guide and best practices")) .when((section == "Documentation") & headed, say("how to ", F.lower("heading"), " with ", name)) .when(section == "Documentation", say(name, " ", low, " documentation and examples")) .when(section == "Examples", say(name, " ", low, " examples and use cases")) .when(section == "About", say("who is ", name, " and what is their background in ", F.col("industry"))) .otherwise(say(name, " ", low, " detailed information"))
     )
     return rows.select("site", "place", "url", query.alias("query"), say("Page-specific: ", section, " — ", F.col("title")).alias("intent"))
 
@@ -175,9 +194,15 @@ def replayed_queries(answers: DataFrame, count: int = 20) -> DataFrame:
     """
     found = answers.select("id", parsed(json_list(F.col("text"))).alias("list"))
     spark = answers.sparkSession
-    items = spark.sql("SELECT id, pos, value FROM {found}, LATERAL variant_explode(list) WHERE schema_of_variant(list) LIKE 'ARRAY%'", found=found)
+    items = spark.sql(
+        "SELECT id, pos, value FROM {found}, LATERAL variant_explode(list) WHERE schema_of_variant(list) LIKE 'ARRAY%'", found=found,
+    )
     field = lambda name: F.try_variant_get("value", f"$.{name}", "string")
-    rows = items.select("id", "pos", field("query").alias("query"), field("category").alias("category"), F.coalesce(field("intent"), F.lit("")).alias("intent"), F.coalesce(F.nullif(field("language"), F.lit("")), F.lit("en")).alias("language"))
+    rows = items.select(
+        "id", "pos", field("query").alias("query"), field("category").alias("category"),
+        F.coalesce(field("intent"), F.lit("")).alias("intent"),
+        F.coalesce(F.nullif(field("language"), F.lit("")), F.lit("en")).alias("language"),
+    )
     rows = rows.where(_there(F.col("query")) & F.col("category").isin(*catalog.QUERY_CATEGORIES))
     place = F.row_number().over(Window.partitionBy("id").orderBy("pos"))
     return rows.withColumn("place", place).where(F.col("place") <= count).select("id", "place", "query", "category", "intent", "language")
@@ -195,6 +220,13 @@ def unreadable_answers(answers: DataFrame) -> DataFrame:
 
 def all_queries(of_site: DataFrame, of_pages: DataFrame) -> DataFrame:
     """Queries of the site first, then those of its pages: ``site, place, query, category, target``."""
-    first = of_site.select("site", F.struct(F.lit(0).alias("part"), "place").alias("at"), "query", "category", F.lit(None).cast("string").alias("target"))
-    then = of_pages.select("site", F.struct(F.lit(1).alias("part"), "place").alias("at"), "query", F.lit("page_specific").alias("category"), F.col("url").alias("target"))
-    return first.unionByName(then).withColumn("place", F.row_number().over(Window.partitionBy("site").orderBy("at"))).select("site", "place", "query", "category", "target")
+    first = of_site.select(
+        "site", F.struct(F.lit(0).alias("part"), "place").alias("at"), "query", "category", F.lit(None).cast("string").alias("target"),
+    )
+    then = of_pages.select(
+        "site", F.struct(F.lit(1).alias("part"), "place").alias("at"), "query", F.lit("page_specific").alias("category"),
+        F.col("url").alias("target"),
+    )
+    return first.unionByName(then).withColumn(
+        "place", F.row_number().over(Window.partitionBy("site").orderBy("at")),
+    ).select("site", "place", "query", "category", "target")

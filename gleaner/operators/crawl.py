@@ -23,10 +23,14 @@ def outcomes(fetches: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     Fetches with an error, or without a body, failed; bodies that are no web pages are others; pages are cut at 2 MiB characters.
     """
     bad = F.col("error").isNotNull() | F.col("html").isNull()
-    failed = fetches.where(bad).select("site", "url", "status", F.coalesce("error", F.lit("no body")).alias("error"), F.coalesce("retries", F.lit(0)).alias("retries"))
+    failed = fetches.where(bad).select(
+        "site", "url", "status", F.coalesce("error", F.lit("no body")).alias("error"), F.coalesce("retries", F.lit(0)).alias("retries"),
+    )
     good = fetches.where(~bad)
     page = F.coalesce(_page(F.col("html"), F.col("kind")), F.lit(False))
-    return good.where(page).withColumn("html", F.substring("html", 1, MOST)), failed, good.where(~page).select("site", "url", "status", "kind")
+    return good.where(page).withColumn("html", F.substring("html", 1, MOST)), failed, good.where(~page).select(
+        "site", "url", "status", "kind",
+    )
 
 
 def with_fallback(pages: DataFrame, targets: DataFrame, fallback: DataFrame) -> DataFrame:
@@ -40,5 +44,7 @@ def with_fallback(pages: DataFrame, targets: DataFrame, fallback: DataFrame) ->
 def to_follow(edges: DataFrame, seen: DataFrame) -> DataFrame:
     """``site, url, depth``: the next links of a crawl, each once and one step deeper than the nearest page that has it. ``edges(site, depth, target)``
     are links to the same site; files that are no pages, and what is in ``seen(site, url)``, are left out."""
-    rows = edges.where(~urls.is_binary(F.col("target"))).groupBy("site", F.col("target").alias("url")).agg((F.min("depth") + 1).alias("depth"))
+    rows = edges.where(~urls.is_binary(F.col("target"))).groupBy(
+        "site", F.col("target").alias("url"),
+    ).agg((F.min("depth") + 1).alias("depth"))
     return rows.join(seen.select("site", "url"), ["site", "url"], "left_anti")

@@ -21,15 +21,19 @@ from ..functions.dom import Node, parse
 
 _PAIR = lambda a, b: f"array<struct<{a}:string,{b}:string>>"
 FIELDS = {
-    "title": "string", "description": "string", "canonical": "string", "language": "string", "og_title": "string", "og_description": "string", "og_image": "string", "og_type": "string", "og_site_name": "string",
-    "tw_card": "string", "tw_title": "string", "tw_description": "string", "tw_image": "string", "author": "string", "author_bio": "string", "published": "string", "modified": "string", "keywords": "array<string>",
-    "robots": "string", "google": "string", "bing": "string", "yandex": "string", "viewport": "string", "hreflang": _PAIR("lang", "url"), "charset": "string", "doctype": "boolean",
-    "headings": "array<struct<level:int,text:string>>", "body": "string", "words": "int", "faq": _PAIR("question", "answer"), "lists": "array<array<string>>", "tables": "array<array<array<string>>>",
-    "statistics": "array<string>", "sources": "array<string>", "quotes": "array<string>", "navigation": _PAIR("text", "url"), "breadcrumbs": _PAIR("name", "url"), "internal": "array<string>", "external": "array<string>",
-    "images": _PAIR("src", "alt"), "json_ld": "array<string>", "microdata": "array<string>", "rdfa": "array<string>",
+    "title": "string", "description": "string", "canonical": "string", "language": "string", "og_title": "string",
+    "og_description": "string", "og_image": "string", "og_type": "string", "og_site_name": "string", "tw_card": "string",
+    "tw_title": "string", "tw_description": "string", "tw_image": "string", "author": "string", "author_bio": "string",
+    "published": "string", "modified": "string", "keywords": "array<string>", "robots": "string", "google": "string", "bing": "string",
+    "yandex": "string", "viewport": "string", "hreflang": _PAIR("lang", "url"), "charset": "string", "doctype": "boolean",
+    "headings": "array<struct<level:int,text:string>>", "body": "string", "words": "int", "faq": _PAIR("question", "answer"),
+    "lists": "array<array<string>>", "tables": "array<array<array<string>>>", "statistics": "array<string>", "sources": "array<string>",
+    "quotes": "array<string>", "navigation": _PAIR("text", "url"), "breadcrumbs": _PAIR("name", "url"), "internal": "array<string>",
+    "external": "array<string>", "images": _PAIR("src", "alt"), "json_ld": "array<string>", "microdata": "array<string>",
+    "rdfa": "array<string>",
     "schema": "struct<types:array<string>,faq_page:boolean,dated:boolean,org:boolean,logo:boolean,contact:boolean,same_as:boolean,org_named:boolean,org_complete:boolean>",
     "identity": "struct<name:string,tagline:string,logo:string,favicon:string,email:string,phone:string,address:string,social:array<struct<platform:string,url:string>>,copyright:string,tech:array<string>>",
-}
+}
 _CUT = frozenset("script style nav footer header aside iframe noscript svg".split())
 _SPACE = re.compile(r"\s+")
 
@@ -59,24 +63,29 @@ def _meta(root: Node, url: str, html: str) -> dict:
         return next((n.get("href") for n in root.all("link") if n.get("rel") == rel), "") or None
 
     typed = next((n.get("content") for n in tags if n.get("http-equiv") == "Content-Type"), "")
-    charset = next((n.get("charset") for n in tags if "charset" in n.attrs), "") or next(iter(re.findall(r"(?i)charset=([^\s;]+)", typed)), None)
+    charset = next((n.get("charset") for n in tags if "charset" in n.attrs), "") or next(
+        iter(re.findall(r"(?i)charset=([^\s;]+)", typed)), None,
+    )
     page = next(iter(root.all("html")), None)
     time = root.first(lambda n: n.tag == "time" and "datetime" in n.attrs)
     return {
         "title": _trim(root.first("title")) or meta("og:title") or _trim(root.first("h1")),
-        "description": meta("description") or meta("og:description") or "",
-        "canonical": link("canonical"),
-        "language": (page.get("lang") if page else "") or meta("language"),
-        "og_title": meta("og:title"), "og_description": meta("og:description"), "og_image": meta("og:image"), "og_type": meta("og:type"), "og_site_name": meta("og:site_name"),
-        "tw_card": meta("twitter:card"), "tw_title": meta("twitter:title"), "tw_description": meta("twitter:description"), "tw_image": meta("twitter:image"),
-        "author": meta("author"), "author_bio": _bio(root),
-        "published": meta("article:published_time") or meta("datePublished") or meta("date") or (time.get("datetime") if time else "") or None,
+        "description": meta("description") or meta("og:description") or "", "canonical": link("canonical"),
+        "language": (page.get("lang") if page else "") or meta("language"), "og_title": meta("og:title"),
+        "og_description": meta("og:description"), "og_image": meta("og:image"), "og_type": meta("og:type"),
+        "og_site_name": meta("og:site_name"), "tw_card": meta("twitter:card"), "tw_title": meta("twitter:title"),
+        "tw_description": meta("twitter:description"), "tw_image": meta("twitter:image"), "author": meta("author"),
+        "author_bio": _bio(root),
+        "published": meta("article:published_time") or meta("datePublished") or meta("date") or (
+            time.get("datetime") if time else ""
+        ) or None,
         "modified": meta("article:modified_time") or meta("dateModified"),
-        "keywords": [k for k in (w.strip() for w in (meta("keywords") or "").split(",")) if k],
-        "robots": meta("robots"), "google": meta("google-site-verification"), "bing": meta("msvalidate.01"), "yandex": meta("yandex-verification"), "viewport": meta("viewport"),
+        "keywords": [k for k in (w.strip() for w in (meta("keywords") or "").split(",")) if k], "robots": meta("robots"),
+        "google": meta("google-site-verification"), "bing": meta("msvalidate.01"), "yandex": meta("yandex-verification"),
+        "viewport": meta("viewport"),
         "hreflang": [{"lang": n.get("hreflang"), "url": n.get("href")} for n in root.all("link") if n.get("hreflang") and n.get("href")],
         "charset": charset, "doctype": bool(re.match(r"(?i)\s*<!doctype\s", html)),
-    }
+    }
 
 
 def _bio(root: Node) -> str | None:
@@ -125,7 +134,9 @@ def _citations(root: Node, body: str) -> dict:
     cited = [_trim(n) for n in root.all("cite") if len(_trim(n)) > 2] + [n.get("cite") for n in root.all("blockquote") if n.get("cite")]
     told = ((m[1] if m.re.groups else m[0]).strip() for p in catalog.SOURCES for m in re.finditer(p, body, re.ASCII))
     sources = fresh(iter(cited)) + fresh(x for x in told if 3 < len(x) < 100)
-    return {"statistics": statistics, "sources": sources, "quotes": fresh(_trim(n) for n in root.all("blockquote") if 20 < len(_trim(n)) < 500)}
+    return {
+        "statistics": statistics, "sources": sources, "quotes": fresh(_trim(n) for n in root.all("blockquote") if 20 < len(_trim(n)) < 500),
+    }
 
 
 def _content(root: Node) -> dict:
@@ -136,7 +147,9 @@ def _content(root: Node) -> dict:
         page = root.first("body")
         text = (page.text(_CUT) if page else "") or root.text(_CUT)
     body = _SPACE.sub(" ", text).strip()
-    lists = [[t for t in (_trim(c) for c in n.children if isinstance(c, Node) and c.tag == "li") if t] for n in root.all("ul ol") if main[n.at]]
+    lists = [
+        [t for t in (_trim(c) for c in n.children if isinstance(c, Node) and c.tag == "li") if t] for n in root.all("ul ol") if main[n.at]
+    ]
     tables = [[[_trim(c) for c in row.all("th td")] for row in n.all("tr")] for n in root.all("table")]
     tables = [[row for row in t if row] for t in tables]
     return {
@@ -169,17 +182,24 @@ def _places(root: Node, url: str) -> dict:
         item = n.first(lambda x: x.get("itemprop") == "item")
         if name:
             crumbs.append({"name": name, "url": addresses.normalize(item.get("href") if item else "", url) or url})
-    for fits in () if crumbs else (_has("class", "breadcrumb"), lambda n: n.get("aria-label") in ("breadcrumb", "Breadcrumb"), lambda n: n.get("id") == "breadcrumbs"):
+    for fits in () if crumbs else (
+        _has("class", "breadcrumb"), lambda n: n.get("aria-label") in ("breadcrumb", "Breadcrumb"), lambda n: n.get("id") == "breadcrumbs",
+    ):
         box = root.first(fits)
         if box is None:
             continue
-        crumbs += [{"name": _trim(a), "url": addresses.normalize(a.get("href"), url) or url} for a in box.all("a") if _trim(a) and a.get("href")]
+        crumbs += [
+            {"name": _trim(a), "url": addresses.normalize(a.get("href"), url) or url} for a in box.all("a") if _trim(a) and a.get("href")
+        ]
         last = box.all(lambda n: n.tag in ("span", "li") and n.next() is None)
         if last and _trim(last[-1]) and (not crumbs or crumbs[-1]["name"] != _trim(last[-1])):
             crumbs.append({"name": _trim(last[-1]), "url": url})
         if crumbs:
             break
-    return {"navigation": within("nav") or within("header"), "breadcrumbs": crumbs, "images": [{"src": n.get("src"), "alt": n.get("alt")} for n in root.all("img") if n.get("src")]}
+    return {
+        "navigation": within("nav") or within("header"), "breadcrumbs": crumbs,
+        "images": [{"src": n.get("src"), "alt": n.get("alt")} for n in root.all("img") if n.get("src")],
+    }
 
 
 def _parsed(root: Node) -> list:
@@ -201,7 +221,9 @@ def _structured(root: Node, parsed: list) -> dict:
     def described(kind: str, name: str, marked: str, *attrs: str) -> list[str]:
         out = []
         for n in root.all(lambda n: n.get(kind) and (kind == "typeof" or "itemscope" in n.attrs)):
-            held = {"@type": n.get(kind).split("/")[-1] or n.get(kind), "itemtype": n.get(kind)} if kind == "itemtype" else {"@type": n.get(kind)}
+            held = {
+                "@type": n.get(kind).split("/")[-1] or n.get(kind), "itemtype": n.get(kind),
+            } if kind == "itemtype" else {"@type": n.get(kind)}
             for p in n.all(lambda p: marked in p.attrs):
                 value = next((p.get(a) for a in attrs if p.get(a)), "") or _trim(p)
                 if p.get(marked) and value:
@@ -218,11 +240,13 @@ def _structured(root: Node, parsed: list) -> dict:
         "microdata": described("itemtype", "itemtype", "itemprop", "content", "href", "src"),
         "rdfa": described("typeof", "typeof", "property", "content", "href"),
         "schema": {
-            "types": list(dict.fromkeys(t for i in dicts for t in types(i))), "faq_page": any(i.get("@type") == "FAQPage" for i in dicts), "dated": any(i.get("dateModified") or i.get("datePublished") for i in dicts),
-            "org": bool(orgs), "logo": any(i.get("logo") for i in orgs), "contact": any(i.get("contactPoint") for i in orgs), "same_as": any(isinstance(i.get("sameAs"), list) and i["sameAs"] for i in orgs),
-            "org_named": bool(named), "org_complete": any(i.get("name") and i.get("url") and (i.get("logo") or i.get("image")) for i in named),
+            "types": list(dict.fromkeys(t for i in dicts for t in types(i))), "faq_page": any(i.get("@type") == "FAQPage" for i in dicts),
+            "dated": any(i.get("dateModified") or i.get("datePublished") for i in dicts), "org": bool(orgs),
+            "logo": any(i.get("logo") for i in orgs), "contact": any(i.get("contactPoint") for i in orgs),
+            "same_as": any(isinstance(i.get("sameAs"), list) and i["sameAs"] for i in orgs), "org_named": bool(named),
+            "org_complete": any(i.get("name") and i.get("url") and (i.get("logo") or i.get("image")) for i in named),
         },
-    }
+    }
 
 
 def _identity(root: Node, url: str, html: str, parsed: list, meta: dict) -> dict:
@@ -240,10 +264,13 @@ def _identity(root: Node, url: str, html: str, parsed: list, meta: dict) -> dict
         if isinstance(x, dict) and x.get("logo"):
             logo = x["logo"] if isinstance(x["logo"], str) else x["logo"].get("url") if isinstance(x["logo"], dict) else None
     image = lambda fits: next((n.get("src") for n in root.all(lambda n: n.tag == "img" and fits(n))[:1]), "")
-    linked, boxed, headed = root.under(lambda p: p.tag == "a" and "logo" in p.get("class")), root.under(_has("class", "logo")), root.under(lambda p: p.tag == "header")
+    linked, boxed, headed = root.under(lambda p: p.tag == "a" and "logo" in p.get("class")), root.under(_has("class", "logo")), root.under(
+        lambda p: p.tag == "header"
+    )
     logos = (
-        lambda n: linked[n.at], lambda n: boxed[n.at], lambda n: headed[n.at] and "logo" in n.get("alt").lower(), _has("class", "logo"), _has("id", "logo"),
-    )
+        lambda n: linked[n.at], lambda n: boxed[n.at], lambda n: headed[n.at] and "logo" in n.get("alt").lower(), _has("class", "logo"),
+        _has("id", "logo"),
+    )
     hrefs = [n.get("href") for n in root.all("a") if "href" in n.attrs]
     page = root.first("body")
     text = page.text() if page else ""
@@ -266,13 +293,18 @@ def _identity(root: Node, url: str, html: str, parsed: list, meta: dict) -> dict
     generator = next((n.get("content") for n in root.all("meta") if n.get("name") == "generator"), "")
     attrs = {a for n in root.walk() for a in n.attrs}
     near = lambda part: any(part in n.get(a) for n in root.walk() for t, a in (("link", "href"), ("script", "src")) if n.tag == t)
-    tech = [generator] + [label for label, texts, names, linked in catalog.TECH if any(t in html for t in texts) or attrs & set(names) or any(map(near, linked))]
+    tech = [generator] + [
+        label
+        for label, texts, names, linked in catalog.TECH if any(t in html for t in texts) or attrs & set(names) or any(map(near, linked))
+    ]
     return {
         "name": (str(name) if name else None) or (re.split(r"\s*[|–—-]\s*", title)[-1].strip() if title else addresses.host(url) or None),
         "tagline": meta["description"] or None, "logo": logo or next((x for x in map(image, logos) if x), None) or meta["og_image"],
-        "favicon": icon("icon") or icon("shortcut icon") or icon("apple-touch-icon"), "email": email.split("?")[0].strip() if email else found.group() if found else None, "phone": phone.strip() if phone else None,
-        "address": address, "social": [{"platform": p, "url": u} for p, u in social.items()], "copyright": copied.group().strip() if copied else None, "tech": list(dict.fromkeys(t for t in tech if t)),
-    }
+        "favicon": icon("icon") or icon("shortcut icon") or icon("apple-touch-icon"),
+        "email": email.split("?")[0].strip() if email else found.group() if found else None, "phone": phone.strip() if phone else None,
+        "address": address, "social": [{"platform": p, "url": u} for p, u in social.items()],
+        "copyright": copied.group().strip() if copied else None, "tech": list(dict.fromkeys(t for t in tech if t)),
+    }
 
 
 def _group(*names: str) -> frozenset[str]:
@@ -281,7 +313,9 @@ def _group(*names: str) -> frozenset[str]:
 
 _META_FIELDS = _group(*list(FIELDS)[: list(FIELDS).index("headings")])
 _CONTENT_FIELDS = _group("headings", "body", "words", "faq", "lists", "tables", "statistics", "sources", "quotes")
-_PLACE_FIELDS, _LINK_FIELDS, _DATA_FIELDS = _group("navigation", "breadcrumbs", "images"), _group("internal", "external"), _group("json_ld", "microdata", "rdfa", "schema")
+_PLACE_FIELDS, _LINK_FIELDS, _DATA_FIELDS = _group("navigation", "breadcrumbs", "images"), _group("internal", "external"), _group(
+    "json_ld", "microdata", "rdfa", "schema",
+)
 
 
 def record(html: str | None, url: str | None, fields: frozenset[str] = frozenset(FIELDS)) -> dict:
@@ -341,6 +375,8 @@ def site_identity(rows: DataFrame) -> DataFrame:
     home = F.struct(F.when(path.isin("/", "/index.html", "/index"), 0).otherwise(1), "page_id")
     found = lambda pattern: F.when(path.rlike("/(about|contact|team)"), F.nullif(F.regexp_extract("body", pattern, 0), F.lit("")))
     first = lambda c: F.min_by(c, F.when(c.isNotNull(), F.col("page_id")))
-    sums = rows.groupBy("site").agg(F.min_by("identity", home).alias("i"), first(found(_EMAIL)).alias("email"), first(found(_ADDRESS)).alias("address"))
+    sums = rows.groupBy("site").agg(
+        F.min_by("identity", home).alias("i"), first(found(_EMAIL)).alias("email"), first(found(_ADDRESS)).alias("address"),
+    )
     filled = F.col("i").withField("email", F.coalesce("i.email", "email")).withField("address", F.coalesce("i.address", "address"))
     return sums.select("site", filled.alias("identity"))

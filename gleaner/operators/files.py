@@ -50,10 +50,20 @@ def as_items(rows: DataFrame, made: dict[str, tuple[Column, Column | Callable[[C
             score, status = F.col(f"_score{seq}"), made[name][1]
             status = status(score) if callable(status) else status
             # a policy counts as content once there is one
-            category = F.when(score > 0, "content_quality").otherwise("ai_infrastructure") if name.startswith("AI Policy") else F.lit(catalog.CATEGORY[name])
-            cells.append(F.struct(F.lit(seq).alias("seq"), F.lit(name).alias("name"), category.alias("category"), score.alias("score"), F.lit(100).alias("max_score"), status.alias("status"), F.lit(catalog.SEVERITY[name]).alias("own")))
+            category = F.when(score > 0, "content_quality").otherwise("ai_infrastructure") if name.startswith("AI Policy") else F.lit(
+                catalog.CATEGORY[name]
+            )
+            cells.append(
+                F.struct(
+                    F.lit(seq).alias("seq"), F.lit(name).alias("name"), category.alias("category"), score.alias("score"),
+                    F.lit(100).alias("max_score"), status.alias("status"), F.lit(catalog.SEVERITY[name]).alias("own"),
+                )
+            )
     out = rows.select("site", F.inline(F.array(*cells)))
-    return out.select("site", "seq", "name", "category", "score", "max_score", "status", F.when(F.col("status").isin("pass", "not_applicable"), "info").otherwise(F.col("own")).alias("severity"))
+    return out.select(
+        "site", "seq", "name", "category", "score", "max_score", "status",
+        F.when(F.col("status").isin("pass", "not_applicable"), "info").otherwise(F.col("own")).alias("severity"),
+    )
 
 
 def file_items() -> dict[str, tuple[Column, Column]]:
@@ -61,25 +71,41 @@ def file_items() -> dict[str, tuple[Column, Column]]:
     f = lambda name: F.col(column_of(name))
     there = lambda name: (f(name) != "").cast("int")
     plain = lambda name: (100 * there(name), F.when(f(name) != "", "pass").otherwise("fail"))
-    major = sum((f("robots.txt").contains(b).cast("int") for b in catalog.MAJOR_CRAWLERS[1:]), f("robots.txt").contains(catalog.MAJOR_CRAWLERS[0]).cast("int"))
+    major = sum(
+        (f("robots.txt").contains(b).cast("int") for b in catalog.MAJOR_CRAWLERS[1:]),
+        f("robots.txt").contains(catalog.MAJOR_CRAWLERS[0]).cast("int"),
+    )
     named = F.when(f("robots.txt") == "", 0).when(major == 0, 30).otherwise(scores.half_up(F.least(F.lit(100.0), 30 + major / 5 * 70)))
-    sitemap = F.when(f("sitemap.xml") == "", 0).otherwise(50 + 25 * f("sitemap.xml").contains("<loc>").cast("int") + 25 * f("sitemap.xml").contains("<lastmod>").cast("int"))
+    sitemap = F.when(f("sitemap.xml") == "", 0).otherwise(
+        50 + 25 * f("sitemap.xml").contains("<loc>").cast("int") + 25 * f("sitemap.xml").contains("<lastmod>").cast("int")
+    )
     marks = [f("llms.txt").rlike(p).cast("int") for p in (r"(?m)^# .+", r"(?m)^> .+", r"(?m)^## .+", r"\[[^\]]+\]\([^)]+\)")]
     llms = F.when(f("llms.txt") == "", 0).otherwise(40 + 15 * sum(marks[1:], marks[0]))
     both = there("ai.txt") + there("ai.json")
     true = lambda json, path: (~F.coalesce(F.try_variant_get(json, path, "string"), F.lit("")).isin("", "false", "0", "null")).cast("int")
     card = parsed(f("agent-card.json"))
-    fields = sum((p * true(card, f"$.{k}") for k, p in catalog.AGENT_CARD[1:]), catalog.AGENT_CARD[0][1] * true(card, f"$.{catalog.AGENT_CARD[0][0]}"))
+    fields = sum(
+        (p * true(card, f"$.{k}") for k, p in catalog.AGENT_CARD[1:]),
+        catalog.AGENT_CARD[0][1] * true(card, f"$.{catalog.AGENT_CARD[0][0]}"),
+    )
     agent_card = F.when(f("agent-card.json") == "", 0).when(card.isNull(), 10).otherwise(30 + fields)
     agents = parsed(f("agents.json"))
     inner = F.coalesce(F.try_variant_get(agents, "$[0]", "variant"), F.try_variant_get(agents, "$.agents[0]", "variant"))
     said = sum((true(inner, f"$.{k}") for k in ("endpoint", "url")), true(inner, "$.description"))
-    agents_json = F.when(f("agents.json") == "", 0).when(agents.isNull(), 10).otherwise(40 + F.when(inner.isNull(), 0).otherwise(30 + 15 * true(inner, "$.name") + F.when(said > 0, 15).otherwise(0)))
+    agents_json = F.when(f("agents.json") == "", 0).when(agents.isNull(), 10).otherwise(
+        40 + F.when(inner.isNull(), 0).otherwise(30 + 15 * true(inner, "$.name") + F.when(said > 0, 15).otherwise(0))
+    )
     return {
-        "robots.txt": (named, F.when(f("robots.txt") == "", "fail").when(major >= 3, "pass").otherwise("partial")), "sitemap.xml": (sitemap, lambda s: scores.partly_if_any(s, 75)), "llms.txt": (llms, lambda s: scores.partly_if_any(s, 70)), "llms-full.txt": plain("llms-full.txt"),
-        "AI Policy (ai.txt / ai.json)": (50 * both, F.when(both == 2, "pass").when(both == 1, "partial").otherwise("fail")), "AI Bot Blocking": robots.blocking_check(f("robots.txt"), F.col("robots_closed")), "Training vs Retrieval Bot Strategy": robots.strategy_check(f("robots.txt"), F.col("robots_closed")), "agent-card.json": (agent_card, lambda s: F.when(s >= 70, "pass").when(s > 10, "partial").otherwise("fail")), "agents.json": (agents_json, lambda s: scores.status(s, 70, 40)),
+        "robots.txt": (named, F.when(f("robots.txt") == "", "fail").when(major >= 3, "pass").otherwise("partial")),
+        "sitemap.xml": (sitemap, lambda s: scores.partly_if_any(s, 75)), "llms.txt": (llms, lambda s: scores.partly_if_any(s, 70)),
+        "llms-full.txt": plain("llms-full.txt"),
+        "AI Policy (ai.txt / ai.json)": (50 * both, F.when(both == 2, "pass").when(both == 1, "partial").otherwise("fail")),
+        "AI Bot Blocking": robots.blocking_check(f("robots.txt"), F.col("robots_closed")),
+        "Training vs Retrieval Bot Strategy": robots.strategy_check(f("robots.txt"), F.col("robots_closed")),
+        "agent-card.json": (agent_card, lambda s: F.when(s >= 70, "pass").when(s > 10, "partial").otherwise("fail")),
+        "agents.json": (agents_json, lambda s: scores.status(s, 70, 40)),
         **{n: plain(n) for n in ("security.txt", "tdmrep.json", "manifest.json", "humans.txt")},
-    }
+    }
 
 
 def file_checks(files: DataFrame) -> DataFrame:

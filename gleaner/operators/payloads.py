@@ -44,7 +44,9 @@ def measures(jobs: DataFrame, payload: str = "result_json") -> DataFrame:
 def recommendations(jobs: DataFrame, payload: str = "result_json", most: int = 4) -> DataFrame:
     """``job_id, place, recommendation``: the first texts, trimmed and not empty, that the actions in a payload recommend."""
     spark = jobs.sparkSession
-    actions = read(jobs, payload).select("job_id", _field("priorityActions").alias("actions")).where(F.schema_of_variant("actions").startswith("ARRAY"))
+    actions = read(jobs, payload).select(
+        "job_id", _field("priorityActions").alias("actions"),
+    ).where(F.schema_of_variant("actions").startswith("ARRAY"))
     each = spark.sql("SELECT job_id, pos, value FROM {actions}, LATERAL variant_explode(actions)", actions=actions)
     told = F.try_variant_get("value", "$.recommendation", "variant")
     text = F.trim(F.when(F.schema_of_variant(told) == "STRING", F.try_variant_get("value", "$.recommendation", "string")))

@@ -33,17 +33,21 @@ def robots_rules(files: DataFrame) -> DataFrame:
 
     def step(state: Column, line: Column) -> Column:
         agent, at = _agent(line), (state["line"] + 1).alias("line")
-        directive, path = F.lower(F.regexp_extract(line, r"(?i)^(Allow|Disallow):", 1)), F.regexp_extract(line, r"(?i)^(?:Allow|Disallow):\s*(.*)$", 1)
-        more = F.transform(state["agents"], lambda a: F.struct(state["line"].alias("line"), a.alias("agent"), directive.alias("directive"), path.alias("path")))
+        directive, path = F.lower(F.regexp_extract(line, r"(?i)^(Allow|Disallow):", 1)), F.regexp_extract(
+            line, r"(?i)^(?:Allow|Disallow):\s*(.*)$", 1,
+        )
+        more = F.transform(
+            state["agents"],
+            lambda a: F.struct(state["line"].alias("line"), a.alias("agent"), directive.alias("directive"), path.alias("path")),
+        )
         same = lambda rules: F.struct(state["agents"].alias("agents"), rules.alias("rules"), at)
         return (
-            F.when(agent != "", F.struct(F.concat(state["agents"], F.array(F.lower(agent))).alias("agents"), state["rules"].alias("rules"), at))
-            .when((directive != "") & (path != ""), same(F.concat(state["rules"], more)))
-            .when((line == "") | line.startswith("#") | line.rlike("(?i)^(Allow|Disallow|Crawl-delay|Sitemap):"), same(state["rules"]))
-            .otherwise(F.struct(_empty(_STRINGS).alias("agents"), state["rules"].alias("rules"), at))
+            F.when(agent != "", F.struct(F.concat(state["agents"], F.array(F.lower(agent))).alias("agents"), state["rules"].alias("rules"), at)) .when((directive != "") & (path != ""), same(F.concat(state["rules"], more))) .when((line == "") | line.startswith("#") | line.rlike("(?i)^(Allow|Disallow|Crawl-delay|Sitemap):"), same(state["rules"])) .otherwise(F.struct(_empty(_STRINGS).alias("agents"), state["rules"].alias("rules"), at))
         )
 
-    folded = files.where("name = 'robots.txt' AND content <> ''").select("site", F.aggregate(_lines(F.col("content")), start, step, lambda s: s["rules"]).alias("rules"))
+    folded = files.where("name = 'robots.txt' AND content <> ''").select(
+        "site", F.aggregate(_lines(F.col("content")), start, step, lambda s: s["rules"]).alias("rules"),
+    )
     return folded.select("site", F.inline("rules"))
 
 
@@ -66,9 +70,7 @@ def closed_to(content: Column) -> Column:
         last = F.slice(agents, F.greatest(F.size(agents), F.lit(1)), 1)
         grown = lambda c, when, more: F.when(when, F.concat(state[c], more)).otherwise(state[c]).alias(c)
         return (
-            F.when(agent != "", F.struct(F.concat(agents, F.array(F.lower(agent))).alias("agents"), *(state[c].alias(c) for c in ("blocked", "last_allowed", "last_blocked"))))
-            .when((line == "") | line.startswith("#"), state)
-            .otherwise(F.struct(_empty(_STRINGS).alias("agents"), grown("blocked", shut, agents), grown("last_allowed", opened, last), grown("last_blocked", shut, last)))
+            F.when(agent != "", F.struct(F.concat(agents, F.array(F.lower(agent))).alias("agents"), *(state[c].alias(c) for c in ("blocked", "last_allowed", "last_blocked")))) .when((line == "") | line.startswith("#"), state) .otherwise(F.struct(_empty(_STRINGS).alias("agents"), grown("blocked", shut, agents), grown("last_allowed", opened, last), grown("last_blocked", shut, last)))
         )
 
     return F.aggregate(_lines(content), start, step)
@@ -76,7 +78,10 @@ def closed_to(content: Column) -> Column:
 
 def _among(bots: tuple[str, ...], *held: Column) -> Column:
     """Which of the bots, in lower case, are in any of these arrays."""
-    return F.filter(F.array(*(F.lit(b.lower()) for b in bots)), lambda b: sum((F.array_contains(h, b).cast("int") for h in held[1:]), F.array_contains(held[0], b).cast("int")) > 0)
+    return F.filter(
+        F.array(*(F.lit(b.lower()) for b in bots)),
+        lambda b: sum((F.array_contains(h, b).cast("int") for h in held[1:]), F.array_contains(held[0], b).cast("int")) > 0,
+    )
 
 
 def blocked_bots(rules: Column) -> Column:
@@ -89,7 +94,9 @@ def blocked_bots(rules: Column) -> Column:
 def blocking_check(content: Column, rules: Column) -> tuple[Column, Callable[[Column], Column]]:
     """Score and, from that, status; without a robots.txt nothing is closed. More than half of 13 closed leave less than half."""
     share = F.coalesce(F.size(blocked_bots(rules)), F.lit(0)) / len(catalog.AI_CRAWLERS)
-    return F.when(content != "", scores.half_up((1 - share) * 100)).otherwise(100), lambda s: F.when(s == 100, "pass").when(s < 50, "fail").otherwise("partial")
+    return F.when(content != "", scores.half_up((1 - share) * 100)).otherwise(100), lambda s: F.when(
+        s == 100, "pass",
+    ).when(s < 50, "fail").otherwise("partial")
 
 
 def strategy_check(content: Column, rules: Column) -> tuple[Column, Callable[[Column], Column]]:
@@ -97,10 +104,16 @@ def strategy_check(content: Column, rules: Column) -> tuple[Column, Callable[[Co
     low = F.lower(content)
     training = F.size(_among(catalog.TRAINING_BOTS, rules["last_blocked"]))
     named = lambda b: F.contains(low, b) & ~F.array_contains(rules["last_blocked"], b)
-    retrieval = F.size(F.filter(F.array(*(F.lit(b.lower()) for b in catalog.RETRIEVAL_BOTS)), lambda b: F.array_contains(rules["last_allowed"], b) | named(b)))
+    retrieval = F.size(
+        F.filter(
+            F.array(*(F.lit(b.lower()) for b in catalog.RETRIEVAL_BOTS)), lambda b: F.array_contains(rules["last_allowed"], b) | named(b),
+        )
+    )
     mentioned = F.exists(F.array(*(F.lit(b.lower()) for b in catalog.TRAINING_BOTS + catalog.RETRIEVAL_BOTS)), lambda b: F.contains(low, b))
     both = F.least(F.lit(100.0), 40 + training / 4 * 30 + retrieval / 4 * 30)
-    score = F.when(~mentioned, 0.0).when((training > 0) & (retrieval > 0), both).when(retrieval > 0, scores.half_up(retrieval / 4 * 50).cast("double")).otherwise(20.0)
+    score = F.when(~mentioned, 0.0).when((training > 0) & (retrieval > 0), both).when(
+        retrieval > 0, scores.half_up(retrieval / 4 * 50).cast("double"),
+    ).otherwise(20.0)
     score = F.when(content != "", score).otherwise(0.0)
     return scores.half_up(score), lambda s: F.when(content == "", "not_applicable").otherwise(scores.partly_if_any(s, 60))
 
@@ -110,5 +123,10 @@ def bot_blocking(files: DataFrame) -> DataFrame:
     robots = F.coalesce(F.max(F.when(F.col("name") == "robots.txt", F.col("content"))), F.lit(""))
     wide = files.groupBy("site").agg(robots.alias("robots")).withColumn("closed", closed_to(F.col("robots")))
     (score, status), (strategy, strategy_status) = (check(F.col("robots"), F.col("closed")) for check in (blocking_check, strategy_check))
-    rows = wide.select("site", "robots", F.size(blocked_bots(F.col("closed"))).alias("blocked"), score.alias("score"), strategy.alias("strategy"))
-    return rows.select("site", "blocked", "score", status(F.col("score")).alias("status"), "strategy", F.when(F.col("robots") == "", "not_applicable").otherwise(strategy_status(F.col("strategy"))).alias("strategy_status"))
+    rows = wide.select(
+        "site", "robots", F.size(blocked_bots(F.col("closed"))).alias("blocked"), score.alias("score"), strategy.alias("strategy"),
+    )
+    return rows.select(
+        "site", "blocked", "score", status(F.col("score")).alias("status"), "strategy",
+        F.when(F.col("robots") == "", "not_applicable").otherwise(strategy_status(F.col("strategy"))).alias("strategy_status"),
+    )

@@ -78,7 +78,9 @@ def reliability(rows: DataFrame) -> DataFrame:
 
     step = lambda c, *steps: F.coalesce(*(F.when(F.col(c) >= a, p) for a, p in steps), F.lit(0))
     below = lambda c, *steps: F.coalesce(*(F.when(F.col(c) <= a, p) for a, p in steps), F.lit(0))
-    total = 20 + step("scans", (4, 30), (2, 15)) + below("zero_rate", (0.0, 20), (0.25, 10)) + step("pages", (20, 15), (5, 8)) + below("failure_rate", (0.1, 15), (0.25, 8)) + step("weeks", (8, 10))
+    total = 20 + step("scans", (4, 30), (2, 15)) + below("zero_rate", (0.0, 20), (0.25, 10)) + step("pages", (20, 15), (5, 8)) + below(
+        "failure_rate", (0.1, 15), (0.25, 8),
+    ) + step("weeks", (8, 10))
     score = F.least(F.lit(100), total)
     return rows.select("domain", score.alias("reliability"), scores.confidence_level(score).alias("level"))
 

@@ -18,23 +18,32 @@ def one_of_each_canonical(pages: DataFrame) -> DataFrame:
     key = F.when(_there(F.col("canonical")), F.col("canonical")).otherwise(F.col("url"))
     own = F.col("url") == key
     rank = F.struct(own.cast("int"), F.when(own, F.col("page_id")).otherwise(-F.col("page_id")))
-    best = pages.groupBy("site", key.alias("canonical_url")).agg(F.max_by("page_id", rank).alias("page_id"), F.max_by("url", rank).alias("url"), F.min("page_id").alias("first"), F.count("*").alias("pages"))
+    best = pages.groupBy("site", key.alias("canonical_url")).agg(
+        F.max_by("page_id", rank).alias("page_id"), F.max_by("url", rank).alias("url"), F.min("page_id").alias("first"),
+        F.count("*").alias("pages"),
+    )
     return best.select("site", "page_id", "url", "canonical_url", "pages", "first")
 
 
 def link_sources(pages: DataFrame, links: str = "external", most: int = 250) -> DataFrame:
     """``site, target, sources, first_page``: the first targets of each site's links, which are the ones to probe, and how many pages have each."""
     edges = pages.select("site", "page_id", F.posexplode(links).alias("place", "target"))
-    grouped = edges.groupBy("site", "target").agg(F.countDistinct("page_id").alias("sources"), F.min(F.struct("page_id", "place")).alias("first"))
+    grouped = edges.groupBy("site", "target").agg(
+        F.countDistinct("page_id").alias("sources"), F.min(F.struct("page_id", "place")).alias("first"),
+    )
     order = Window.partitionBy("site").orderBy("first")
-    return grouped.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).select("site", "target", "sources", F.col("first.page_id").alias("first_page"))
+    return grouped.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).select(
+        "site", "target", "sources", F.col("first.page_id").alias("first_page"),
+    )
 
 
 def probed_links(pages: DataFrame, links: str, statuses: DataFrame, most: int = 250) -> DataFrame:
     """``site, url, status, sources, first_page``: the targets of :func:`link_sources` that a probe has looked at. ``statuses(url, status)``; 0 stands for
     no answer."""
     found = link_sources(pages, links, most).withColumnRenamed("target", "url")
-    return found.join(statuses.select("url", "status").dropDuplicates(["url"]), "url").select("site", "url", "status", "sources", "first_page")
+    return found.join(
+        statuses.select("url", "status").dropDuplicates(["url"]), "url",
+    ).select("site", "url", "status", "sources", "first_page")
 
 
 def compressed(pages: DataFrame, probed: DataFrame) -> DataFrame:
@@ -50,12 +59,19 @@ def mobile_probe(pages: DataFrame) -> DataFrame:
     ratio = F.when(F.col("words") > 0, F.col("mobile_words") / F.col("words")).otherwise(1.0)
     view = F.coalesce("viewport", F.lit(""))
     told = lambda x: x.cast("int")
-    viewport = F.when(view == "", 1).otherwise(told(~view.contains("width=device-width")) + told(view.rlike(r"(?i)user-scalable\s*=\s*no")) + told(view.rlike(r"(?i)maximum-scale\s*=\s*1")))
+    viewport = F.when(view == "", 1).otherwise(
+        told(~view.contains("width=device-width"))
+        + told(view.rlike(r"(?i)user-scalable\s*=\s*no"))
+        + told(view.rlike(r"(?i)maximum-scale\s*=\s*1"))
+    )
     images = told((F.col("images") > 0) & (F.col("responsive") / F.col("images") < 0.5))
     return pages.select(
-        "site", (F.floor(ratio * 100 + F.lit(0.5)) / 100).alias("content_ratio"), (F.abs(ratio - 1) > 0.15).alias("content_differs"), viewport.alias("viewport_issues"), told((ratio < 0.5) | (ratio > 1.5)).alias("content_issues"), images.alias("image_issues"),
-        (F.floor(F.when(F.col("images") > 0, F.col("responsive") / F.col("images")).otherwise(1.0) * 100 + F.lit(0.5)) / 100).alias("responsive_ratio"),
-    )
+        "site", (F.floor(ratio * 100 + F.lit(0.5)) / 100).alias("content_ratio"), (F.abs(ratio - 1) > 0.15).alias("content_differs"),
+        viewport.alias("viewport_issues"), told((ratio < 0.5) | (ratio > 1.5)).alias("content_issues"), images.alias("image_issues"),
+        (
+            F.floor(F.when(F.col("images") > 0, F.col("responsive") / F.col("images")).otherwise(1.0) * 100 + F.lit(0.5)) / 100
+        ).alias("responsive_ratio"),
+    )
 
 
 def brand_scores(counts: DataFrame) -> DataFrame:
@@ -64,10 +80,14 @@ def brand_scores(counts: DataFrame) -> DataFrame:
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
     cap = lambda x: F.least(F.lit(100), x)
     plus = lambda c, p: F.when(F.coalesce(F.col(c), F.lit(False)), p).otherwise(0)
-    youtube = cap(F.when(n("mentions") >= 5, 80).when(n("mentions") >= 2, 50).when(n("mentions") > 0, 25).otherwise(0) + plus("channel", 20))
+    youtube = cap(
+        F.when(n("mentions") >= 5, 80).when(n("mentions") >= 2, 50).when(n("mentions") > 0, 25).otherwise(0) + plus("channel", 20)
+    )
     reddit = cap(F.when(n("recent") >= 3, 85).when(n("total") >= 3, 55).when(n("total") > 0, 30).otherwise(0) + plus("community", 15))
     wikipedia = plus("article", 60) + plus("entity", 40)
-    linkedin = F.when(F.coalesce(F.col("linked"), F.lit(False)), F.when(F.coalesce(F.col("verified"), F.lit(False)), 100).otherwise(70)).otherwise(plus("slug", 60))
+    linkedin = F.when(
+        F.coalesce(F.col("linked"), F.lit(False)), F.when(F.coalesce(F.col("verified"), F.lit(False)), 100).otherwise(70),
+    ).otherwise(plus("slug", 60))
     rows = counts.select("site", youtube.alias("youtube"), reddit.alias("reddit"), wikipedia.alias("wikipedia"), linkedin.alias("linkedin"))
     weighed = sum((F.col(p) * w for p, w in catalog.BRAND_WEIGHTS[1:]), F.col(catalog.BRAND_WEIGHTS[0][0]) * catalog.BRAND_WEIGHTS[0][1])
     return rows.withColumn("brand", F.floor(weighed / 100 + F.lit(0.5)).cast("int"))
@@ -78,13 +98,18 @@ def brand_scores(counts: DataFrame) -> DataFrame:
 
 def _joined(rows: DataFrame, keys: tuple[str, ...], *order: str) -> DataFrame:
     """The lines of each key as one text, in order."""
-    return rows.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "line"))), lambda s: s["line"]), "\n").alias("content"))
+    return rows.groupBy(*keys).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "line"))), lambda s: s["line"]), "\n").alias("content")
+    )
 
 
 def sitemap_xml(entries: DataFrame, most: int = 50_000) -> DataFrame:
     """``site, file, content`` from ``site, page_id, loc, changefreq, priority``: documents of up to ``most`` entries, as many as a sitemap may have,
     numbered from 0."""
-    line = F.concat(F.lit("  <url><loc>"), F.col("loc"), F.lit("</loc><changefreq>"), F.col("changefreq"), F.lit("</changefreq><priority>"), F.col("priority"), F.lit("</priority></url>"))
+    line = F.concat(
+        F.lit("  <url><loc>"), F.col("loc"), F.lit("</loc><changefreq>"), F.col("changefreq"), F.lit("</changefreq><priority>"),
+        F.col("priority"), F.lit("</priority></url>"),
+    )
     place = F.row_number().over(Window.partitionBy("site").orderBy("page_id"))
     rows = entries.select("site", "page_id", line.alias("line")).withColumn("file", F.floor((place - 1) / most).cast("int"))
     body = _joined(rows, ("site", "file"), "page_id")
@@ -97,14 +122,27 @@ def llms_txt(pages: DataFrame, names: DataFrame) -> DataFrame:
     million pages is some 100 MB and one row."""
     section = urls.section_of(F.col("url"))
     orders = F.create_map(*(F.lit(x) for k, s in enumerate(catalog.LLMS_SECTIONS) for x in (s, k)))
-    rows = pages.select("site", "page_id", F.when(section.isin(*catalog.LLMS_SECTIONS[:7]), section).otherwise("Optional").alias("head"), orders[section].alias("rank"), "title", "url", "description")
+    rows = pages.select(
+        "site", "page_id", F.when(section.isin(*catalog.LLMS_SECTIONS[:7]), section).otherwise("Optional").alias("head"),
+        orders[section].alias("rank"), "title", "url", "description",
+    )
     title = F.when(_there(F.col("title")), F.col("title")).otherwise(urls.path_of(F.col("url")))
-    line = F.concat(F.lit("- ["), title, F.lit("]("), F.col("url"), F.lit(")"), F.when(_there(F.col("description")), F.concat(F.lit(": "), F.col("description"))).otherwise(""))
+    line = F.concat(
+        F.lit("- ["), title, F.lit("]("), F.col("url"), F.lit(")"),
+        F.when(_there(F.col("description")), F.concat(F.lit(": "), F.col("description"))).otherwise(""),
+    )
     lines = rows.select("site", "head", "rank", "page_id", line.alias("line"))
-    heads = lines.groupBy("site", "head").agg(F.min("rank").alias("rank")).select("site", "rank", F.lit(-1).cast("long").alias("page_id"), F.concat(F.lit("\n## "), F.col("head"), F.lit("\n")).alias("line"))
-    body = _joined(lines.select("site", "rank", F.col("page_id").cast("long").alias("page_id"), "line").unionByName(heads), ("site",), "rank", "page_id")
+    heads = lines.groupBy("site", "head").agg(F.min("rank").alias("rank")).select(
+        "site", "rank", F.lit(-1).cast("long").alias("page_id"), F.concat(F.lit("\n## "), F.col("head"), F.lit("\n")).alias("line"),
+    )
+    body = _joined(
+        lines.select("site", "rank", F.col("page_id").cast("long").alias("page_id"), "line").unionByName(heads), ("site",), "rank",
+        "page_id",
+    )
     quote = F.when(_there(F.col("tagline")), F.concat(F.lit("\n> "), F.col("tagline"), F.lit("\n"))).otherwise("")
-    return body.join(names, "site").select("site", F.concat(F.lit("# "), F.col("name"), F.lit("\n"), quote, F.col("content"), F.lit("\n")).alias("content"))
+    return body.join(names, "site").select(
+        "site", F.concat(F.lit("# "), F.col("name"), F.lit("\n"), quote, F.col("content"), F.lit("\n")).alias("content"),
+    )
 
 
 def robots_txt(sites: DataFrame, kept: DataFrame, now: str, training: bool = True) -> DataFrame:
@@ -117,13 +155,18 @@ def robots_txt(sites: DataFrame, kept: DataFrame, now: str, training: bool = Tru
     rules = lambda agent: F.coalesce(F.element_at("old", agent), F.array().cast("array<string>"))
     lines = lambda *told: F.array(*(F.lit(t) if isinstance(t, str) else t for t in told))
     home, everyone = F.concat(F.lit("https://"), F.col("site")), rules("*")
-    noted = F.when(F.size(everyone) > 0, lines("# NOTE: Existing Disallow rules from original robots.txt have been preserved")).otherwise(F.array().cast("array<string>"))
+    noted = F.when(
+        F.size(everyone) > 0, lines("# NOTE: Existing Disallow rules from original robots.txt have been preserved"),
+    ).otherwise(F.array().cast("array<string>"))
     note = lambda b: f"# {catalog.CRAWLER_OWNERS[b][0]} — {catalog.CRAWLER_OWNERS[b][1]}"
     # fixed values: wording and order of the file
     parts = [
-        lines("# robots.txt", F.concat(F.lit("# Site: "), home), f"# Generated: {now[:10]}", "#", "# AI Crawler Directives", f"# Training data access: {'ALLOWED' if training else 'DENIED'}"),
+        lines(
+            "# robots.txt", F.concat(F.lit("# Site: "), home), f"# Generated: {now[:10]}", "#", "# AI Crawler Directives",
+            f"# Training data access: {'ALLOWED' if training else 'DENIED'}",
+        ),
         noted, lines("", "# Standard Search Engines"),
-    ]
+    ]
     for agent in ("Googlebot", "Bingbot", "Applebot"):
         parts += [lines(f"User-agent: {agent}", "Allow: /"), rules(agent.lower()), lines("")]
     rule = "# " + "=" * 36
@@ -132,9 +175,17 @@ def robots_txt(sites: DataFrame, kept: DataFrame, now: str, training: bool = Tru
         parts += [lines(note(bot), f"User-agent: {bot}", "Allow: /"), everyone, lines("")]
     parts.append(lines(f"# AI Training Crawlers ({'allowed' if training else 'denied'})"))
     for bot in (b for b, use in catalog.CRAWLER_USE if use == "training"):
-        parts += [lines(note(bot), f"User-agent: {bot}", "Allow: /" if training else "Disallow: /"), *([everyone] if training else []), lines("Crawl-delay: 10", "")]
+        parts += [
+            lines(note(bot), f"User-agent: {bot}", "Allow: /" if training else "Disallow: /"), *([everyone] if training else []),
+            lines("Crawl-delay: 10", ""),
+        ]
     parts += [lines("# Default: allow all other crawlers", "User-agent: *", "Allow: /"), everyone]
-    parts.append(lines("", F.concat(F.lit("Sitemap: "), home, F.lit("/sitemap.xml")), "", F.concat(F.lit("# LLMs.txt: "), home, F.lit("/llms.txt")), ""))
+    parts.append(
+        lines(
+            "", F.concat(F.lit("Sitemap: "), home, F.lit("/sitemap.xml")), "", F.concat(F.lit("# LLMs.txt: "), home, F.lit("/llms.txt")),
+            "",
+        )
+    )
     return rows.select("site", F.array_join(F.concat(*parts), "\n").alias("content"))
 
 
@@ -148,58 +199,129 @@ def policy_files(sites: DataFrame, now: str, training: bool = True, contact: str
     mail = lambda box: F.coalesce(own, F.concat(F.lit(f"{box}@"), site))
     known = own.isNotNull()
     expires = F.concat(F.date_format(F.add_months(F.to_date(F.lit(now)), 12), "yyyy-MM-dd"), F.lit("T00:00:00.000Z"))
-    text = lambda *parts: F.array_join(F.concat(*(p if isinstance(p, Column) else F.array(*(F.lit(x) if isinstance(x, str) else x for x in p)) for p in parts)), "\n")
+    text = lambda *parts: F.array_join(
+        F.concat(*(p if isinstance(p, Column) else F.array(*(F.lit(x) if isinstance(x, str) else x for x in p)) for p in parts)), "\n",
+    )
     say = lambda label, x: F.concat(F.lit(label), x)
     no = F.array().cast("array<string>")
     only = lambda when, *told: F.when(when, F.array(*(F.lit(t) if isinstance(t, str) else t for t in told))).otherwise(no)
     copied = _there(i["copyright"])
     # fixed values: wording, order and fields of the files
     listed = lambda names: F.array(*map(F.lit, names))
-    restrictions = ["Content must be attributed when cited", "Do not misrepresent or fabricate content"] + ([] if training else ["Content may NOT be used for AI model training"])
-    organization = F.struct(name.alias("name"), home.alias("url"), mail("ai").alias("contact"), F.when(~known, F.lit(True)).alias("contact_placeholder"), F.when(copied, i["copyright"]).alias("copyright"))
-    uses = F.struct(F.lit(training).alias("training"), *(F.lit(True).alias(u) for u in ("inference", "search", "summarization", "citation", "embedding")))
-    resources = F.struct(*(F.concat(home, F.lit(p)).alias(k) for k, p in (("llmsTxt", "/llms.txt"), ("sitemap", "/sitemap.xml"), ("robotsTxt", "/robots.txt"))))
-    crawlers = F.struct(listed(catalog.SEARCH_LISTED).alias("allowed_search"), listed(catalog.TRAINING_LISTED).alias("allowed_training" if training else "denied_training"))
+    restrictions = ["Content must be attributed when cited", "Do not misrepresent or fabricate content"] + (
+        [] if training else ["Content may NOT be used for AI model training"]
+    )
+    organization = F.struct(
+        name.alias("name"), home.alias("url"), mail("ai").alias("contact"), F.when(~known, F.lit(True)).alias("contact_placeholder"),
+        F.when(copied, i["copyright"]).alias("copyright"),
+    )
+    uses = F.struct(
+        F.lit(training).alias("training"),
+        *(F.lit(True).alias(u) for u in ("inference", "search", "summarization", "citation", "embedding")),
+    )
+    resources = F.struct(
+        *(
+            F.concat(home, F.lit(p)).alias(k)
+            for k, p in (("llmsTxt", "/llms.txt"), ("sitemap", "/sitemap.xml"), ("robotsTxt", "/robots.txt"))
+        )
+    )
+    crawlers = F.struct(
+        listed(catalog.SEARCH_LISTED).alias("allowed_search"),
+        listed(catalog.TRAINING_LISTED).alias("allowed_training" if training else "denied_training"),
+    )
     icon = lambda at, sizes: F.struct(at.alias("src"), F.lit(sizes).alias("sizes"), _image_type(at).alias("type"))
     favicon, logo = (F.when(_there(i[c]), _seen_from(i[c], home)) for c in ("favicon", "logo"))
-    icons = F.filter(F.array(F.when(favicon.isNotNull(), icon(favicon, "48x48")), F.when(logo.isNotNull(), icon(logo, "192x192")), F.when(logo.isNotNull(), icon(logo, "512x512"))), lambda x: x.isNotNull())
+    icons = F.filter(
+        F.array(
+            F.when(favicon.isNotNull(), icon(favicon, "48x48")), F.when(logo.isNotNull(), icon(logo, "192x192")),
+            F.when(logo.isNotNull(), icon(logo, "512x512")),
+        ),
+        lambda x: x.isNotNull(),
+    )
     types = ("text/html", "application/json", "text/plain", "text/markdown", "application/xml")
     assurance = f"https://www.w3.org/2022/tdmrep/assurance#{'non-exclusive' if training else 'reserved'}"
     denied = [] if training else ["- Content may NOT be used for AI model training", "- Content may NOT be included in training datasets"]
     made = {
         "ai.txt": text(
-            ("# AI Policy", say("# Organization: ", name), say("# URL: ", home), f"# Generated: {day}", "", "# Purpose: Define how AI systems may interact with this website's content"),
+            (
+                "# AI Policy", say("# Organization: ", name), say("# URL: ", home), f"# Generated: {day}", "",
+                "# Purpose: Define how AI systems may interact with this website's content",
+            ),
             only(~known, "# TODO: Replace placeholder email below with your actual AI policy contact"),
-            ("", "## Permissions", "", f"Training: {'yes' if training else 'no'}", *(f"{u}: yes" for u in ("Inference", "Search", "Summarization", "Citation", "Embedding")), "", "## Restrictions", "", *denied),
-            ("- Content must be attributed when cited", "- Do not misrepresent or fabricate content from this site", "- Do not generate misleading summaries", "", "## Attribution", ""),
-            (say("Organization: ", name), say("URL: ", home), say("Contact: ", mail("ai"))), only(copied, say("Copyright: ", i["copyright"])),
-            ("", "## Resources", "", say("LLMs.txt: ", F.concat(home, F.lit("/llms.txt"))), say("Sitemap: ", F.concat(home, F.lit("/sitemap.xml"))), say("Robots.txt: ", F.concat(home, F.lit("/robots.txt"))), ""),
+            (
+                "", "## Permissions", "", f"Training: {'yes' if training else 'no'}",
+                *(f"{u}: yes" for u in ("Inference", "Search", "Summarization", "Citation", "Embedding")), "", "## Restrictions", "",
+                *denied,
+            ),
+            (
+                "- Content must be attributed when cited", "- Do not misrepresent or fabricate content from this site",
+                "- Do not generate misleading summaries", "", "## Attribution", "",
+            ),
+            (say("Organization: ", name), say("URL: ", home), say("Contact: ", mail("ai"))),
+            only(copied, say("Copyright: ", i["copyright"])),
+            (
+                "", "## Resources", "", say("LLMs.txt: ", F.concat(home, F.lit("/llms.txt"))),
+                say("Sitemap: ", F.concat(home, F.lit("/sitemap.xml"))), say("Robots.txt: ", F.concat(home, F.lit("/robots.txt"))), "",
+            ),
+        ),
+        "ai.json": F.to_json(
+            F.struct(
+                F.lit("1.0").alias("version"), F.lit(f"{day}T00:00:00.000Z").alias("generated"), organization.alias("organization"),
+                uses.alias("permissions"), listed(restrictions).alias("restrictions"), resources.alias("resources"),
+                crawlers.alias("crawlers"),
+            )
         ),
-        "ai.json": F.to_json(F.struct(F.lit("1.0").alias("version"), F.lit(f"{day}T00:00:00.000Z").alias("generated"), organization.alias("organization"), uses.alias("permissions"), listed(restrictions).alias("restrictions"), resources.alias("resources"), crawlers.alias("crawlers"))),
         "security.txt": text(
-            ("# Security Policy", say("# ", name), "#", "# This file follows RFC 9116 (https://www.rfc-editor.org/rfc/rfc9116)"), only(~known, "#", "# TODO: Replace the placeholder email below with your actual security contact"),
-            ("", say("Contact: mailto:", mail("security")), say("Expires: ", expires), "Preferred-Languages: en", say("Canonical: ", F.concat(home, F.lit("/.well-known/security.txt"))), ""),
+            ("# Security Policy", say("# ", name), "#", "# This file follows RFC 9116 (https://www.rfc-editor.org/rfc/rfc9116)"),
+            only(~known, "#", "# TODO: Replace the placeholder email below with your actual security contact"),
+            (
+                "", say("Contact: mailto:", mail("security")), say("Expires: ", expires), "Preferred-Languages: en",
+                say("Canonical: ", F.concat(home, F.lit("/.well-known/security.txt"))), "",
+            ),
+        ),
+        "tdmrep.json": F.to_json(
+            F.struct(
+                F.lit(1).alias("version"),
+                F.array(
+                    F.struct(F.lit("/").alias("location"), F.lit(assurance).alias("assurance"), listed(types).alias("type"))
+                ).alias("policies"),
+            )
         ),
-        "tdmrep.json": F.to_json(F.struct(F.lit(1).alias("version"), F.array(F.struct(F.lit("/").alias("location"), F.lit(assurance).alias("assurance"), listed(types).alias("type"))).alias("policies"))),
         "humans.txt": text(
-            ("/* TEAM */", say("  Name: ", name), F.concat(F.lit("  Contact: "), mail("hello"), F.when(known, "").otherwise("  # TODO: replace placeholder"))), only(_there(i["address"]), say("  Location: ", i["address"])),
-            ("", "/* TECHNOLOGY */"), F.when(F.size(i["tech"]) > 0, F.transform(i["tech"], lambda t: F.concat(F.lit("  "), t))).otherwise(F.array(F.lit("  HTML, CSS, JavaScript"))),
-            ("", "/* SITE */", f"  Last update: {day}", say("  Language: ", F.coalesce(F.nullif("language", F.lit("")), F.lit("en"))), "  Standards: HTML5, CSS3, JavaScript ES2022", ""),
+            (
+                "/* TEAM */", say("  Name: ", name),
+                F.concat(F.lit("  Contact: "), mail("hello"), F.when(known, "").otherwise("  # TODO: replace placeholder")),
+            ),
+            only(_there(i["address"]), say("  Location: ", i["address"])), ("", "/* TECHNOLOGY */"),
+            F.when(
+                F.size(i["tech"]) > 0, F.transform(i["tech"], lambda t: F.concat(F.lit("  "), t)),
+            ).otherwise(F.array(F.lit("  HTML, CSS, JavaScript"))),
+            (
+                "", "/* SITE */", f"  Last update: {day}", say("  Language: ", F.coalesce(F.nullif("language", F.lit("")), F.lit("en"))),
+                "  Standards: HTML5, CSS3, JavaScript ES2022", "",
+            ),
+        ),
+        "manifest.json": F.to_json(
+            F.struct(
+                name.alias("name"), F.substring(name, 1, 12).alias("short_name"), F.lit("/").alias("start_url"),
+                F.lit("standalone").alias("display"), F.lit("#ffffff").alias("background_color"), F.lit("#000000").alias("theme_color"),
+                F.when(_there(i["tagline"]), i["tagline"]).alias("description"), F.when(F.size(icons) > 0, icons).alias("icons"),
+            )
         ),
-        "manifest.json": F.to_json(F.struct(
-            name.alias("name"), F.substring(name, 1, 12).alias("short_name"), F.lit("/").alias("start_url"), F.lit("standalone").alias("display"), F.lit("#ffffff").alias("background_color"), F.lit("#000000").alias("theme_color"),
-            F.when(_there(i["tagline"]), i["tagline"]).alias("description"), F.when(F.size(icons) > 0, icons).alias("icons"),
-        )),
-    }
+    }
     return sites.select("site", F.inline(F.array(*(F.struct(F.lit(n).alias("file"), t.alias("content")) for n, t in made.items()))))
 
 
 def _seen_from(link: Column, home: Column) -> Column:
-    return F.when(link.rlike("(?i)^[a-z][a-z0-9+.-]*:"), link).when(link.startswith("//"), F.concat(F.lit("https:"), link)).when(link.startswith("/"), F.concat(home, link)).otherwise(F.concat(home, F.lit("/"), link))
+    return F.when(link.rlike("(?i)^[a-z][a-z0-9+.-]*:"), link).when(link.startswith("//"), F.concat(F.lit("https:"), link)).when(
+        link.startswith("/"), F.concat(home, link),
+    ).otherwise(F.concat(home, F.lit("/"), link))
 
 
 def _image_type(at: Column) -> Column:
-    return F.when(at.endswith(".svg"), "image/svg+xml").when(at.endswith(".ico"), "image/x-icon").when(at.endswith(".webp"), "image/webp").otherwise("image/png")
+    return F.when(at.endswith(".svg"), "image/svg+xml").when(at.endswith(".ico"), "image/x-icon").when(
+        at.endswith(".webp"), "image/webp",
+    ).otherwise("image/png")
 
 
 def llms_full(pages: DataFrame, names: DataFrame) -> DataFrame:
@@ -209,11 +331,18 @@ def llms_full(pages: DataFrame, names: DataFrame) -> DataFrame:
     heads = pages.groupBy("site").agg(F.count("*").alias("n")).join(names, "site", "left")
     name = F.when(_there(F.col("name")), F.col("name")).otherwise(F.col("site"))
     # fixed values: wording of the file
-    head = F.concat(F.lit("# "), name, F.lit(" — Complete Content\n\n> Full content of "), F.col("n").cast("string"), F.lit(" pages from "), F.col("site"), F.lit("\n\n---\n"))
+    head = F.concat(
+        F.lit("# "), name, F.lit(" — Complete Content\n\n> Full content of "), F.col("n").cast("string"), F.lit(" pages from "),
+        F.col("site"), F.lit("\n\n---\n"),
+    )
     most = 100 * 1024
-    body = F.when(F.length("markdown") > most, F.concat(F.substring("markdown", 1, most), F.lit("\n\n[Content truncated]"))).otherwise(F.col("markdown"))
+    body = F.when(
+        F.length("markdown") > most, F.concat(F.substring("markdown", 1, most), F.lit("\n\n[Content truncated]")),
+    ).otherwise(F.col("markdown"))
     title = F.when(_there(F.col("title")), F.col("title")).otherwise(F.col("url"))
     told = F.when(_there(F.col("description")), F.concat(F.lit("\n**Description:** "), F.col("description"))).otherwise("")
     part = F.concat(F.lit("## "), title, F.lit("\n\n**Source:** "), F.col("url"), told, F.lit("\n\n"), body, F.lit("\n\n---\n"))
-    rows = pages.where(F.length(F.trim("markdown")) >= 20).select("site", F.col("page_id").cast("long").alias("place"), part.alias("content"))
+    rows = pages.where(F.length(F.trim("markdown")) >= 20).select(
+        "site", F.col("page_id").cast("long").alias("place"), part.alias("content"),
+    )
     return heads.select("site", F.lit(-1).cast("long").alias("place"), head.alias("content")).unionByName(rows)

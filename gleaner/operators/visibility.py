@@ -12,7 +12,10 @@ def context(text: Column, term: Column, around: int = 100) -> Column:
     """The first place of the term with what stands around it, ellipses where more does; null without it."""
     at = F.instr(F.lower(text), F.lower(term))
     start, end = F.greatest(F.lit(1), at - around), F.least(F.length(text), at + F.length(term) - 1 + around)
-    cut = F.concat(F.when(start > 1, "...").otherwise(""), F.substring(text, start, end - start + 1), F.when(end < F.length(text), "...").otherwise(""))
+    cut = F.concat(
+        F.when(start > 1, "...").otherwise(""), F.substring(text, start, end - start + 1),
+        F.when(end < F.length(text), "...").otherwise(""),
+    )
     return F.when(at > 0, cut)
 
 
@@ -30,7 +33,10 @@ def citations(responses: DataFrame, domain: str, brand: str) -> DataFrame:
 def engine_scores(rows: DataFrame) -> DataFrame:
     """Visibility of each engine: failed answers don't count; an engine of failures alone has 0."""
     ran = F.col("error").isNull()
-    sums = rows.groupBy("engine").agg(F.count_if(ran).alias("run"), F.count_if(ran & (F.col("mention") == "cited")).alias("cited"), F.count_if(ran & (F.col("mention") == "mentioned")).alias("mentioned"))
+    sums = rows.groupBy("engine").agg(
+        F.count_if(ran).alias("run"), F.count_if(ran & (F.col("mention") == "cited")).alias("cited"),
+        F.count_if(ran & (F.col("mention") == "mentioned")).alias("mentioned"),
+    )
     score = F.when(F.col("run") > 0, scores.half_up((100 * F.col("cited") + 50 * F.col("mentioned")) / F.col("run"))).otherwise(0)
     return sums.withColumn("score", score)
 

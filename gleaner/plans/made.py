@@ -63,9 +63,11 @@ def _objects_sql() -> str:
     product = f"'{head('Product')}\"name\":' || {_json('title')} || ',\"url\":' || {_json('url')} || {told} || {image} || '}}'"
     written = f"(d % 8 = 0 OR published IS NOT NULL OR ({rich._WORD_COUNT} > 300 AND author IS NOT NULL)) AND NOT ({_HAS['Article']})"
     made = (
-        ("BreadcrumbList", f"d % 3 = 1 AND NOT ({_HAS['BreadcrumbList']})", crumbs), ("FAQPage", f"(question IS NOT NULL OR dq IS NOT NULL) AND NOT ({_HAS['FAQPage']})", faq), ("BlogPosting", f"d % 8 = 0 AND {written}", article("BlogPosting")),
-        ("Article", f"d % 8 <> 0 AND {written}", article("Article")), ("HowTo", "h5 IS NOT NULL", steps), ("Product", f"d % 8 = 4 AND NOT ({_HAS['Product']})", product),
-    )
+        ("BreadcrumbList", f"d % 3 = 1 AND NOT ({_HAS['BreadcrumbList']})", crumbs),
+        ("FAQPage", f"(question IS NOT NULL OR dq IS NOT NULL) AND NOT ({_HAS['FAQPage']})", faq),
+        ("BlogPosting", f"d % 8 = 0 AND {written}", article("BlogPosting")), ("Article", f"d % 8 <> 0 AND {written}", article("Article")),
+        ("HowTo", "h5 IS NOT NULL", steps), ("Product", f"d % 8 = 4 AND NOT ({_HAS['Product']})", product),
+    )
     cells = ", ".join(f"CASE WHEN {when} THEN {{'kind': {quoted(kind)}, 'json': {x}}} END" for kind, when, x in made)
     return f"pj AS (SELECT r.site, r.d, regexp_replace(replace(regexp_replace(regexp_replace(url, '^[a-z]*://[^/]*', ''), '^/+|/+$', '', 'g'), '/', '-'), '\\.[^.]+$', '') AS slug, list_filter([{cells}], lambda x: x IS NOT NULL) AS o FROM (SELECT r.*, name, logo, regexp_replace(url, 'example/.*', 'example/') AS root FROM r LEFT JOIN y USING (site)) AS r)"
 
@@ -73,7 +75,9 @@ def _objects_sql() -> str:
 _LD_FIELDS = json_ld.PAGE_FIELDS
 
 
-@_query(f"WITH {_R}, {_IDENTITY}, {_objects_sql()} SELECT site, slug, d AS page_id, array_to_string(list_transform(o, lambda x: x.kind), ',') AS kinds, '[' || array_to_string(list_transform(o, lambda x: x.json), ',') || ']' AS json FROM pj WHERE len(o) > 0 QUALIFY row_number() OVER (PARTITION BY site, slug ORDER BY d DESC) = 1")
+@_query(
+    f"WITH {_R}, {_IDENTITY}, {_objects_sql()} SELECT site, slug, d AS page_id, array_to_string(list_transform(o, lambda x: x.kind), ',') AS kinds, '[' || array_to_string(list_transform(o, lambda x: x.json), ',') || ']' AS json FROM pj WHERE len(o) > 0 QUALIFY row_number() OVER (PARTITION BY site, slug ORDER BY d DESC) = 1"
+)
 def page_json_ld(spark, sf_dir):
     rows = rich.rich_records(spark, sf_dir, *_LD_FIELDS, "identity")
     return json_ld.page_json_ld(rows.drop("identity"), extract.site_identity(rows.select("site", "page_id", "url", "body", "identity")))
@@ -144,11 +148,16 @@ def given(spark, sf_dir: str, *fields: str):
     return extract.records(rows, *fields)
 
 
-@_query(f"WITH {_GIVEN} SELECT page_id, site, title, language, h1 AS heading, 1 AS headings, array_to_string(list_sort(list_distinct(list_transform(nav, lambda n: {_plain('n')}))), ',') AS menu FROM gp")
+@_query(
+    f"WITH {_GIVEN} SELECT page_id, site, title, language, h1 AS heading, 1 AS headings, array_to_string(list_sort(list_distinct(list_transform(nav, lambda n: {_plain('n')}))), ',') AS menu FROM gp"
+)
 def given_records(spark, sf_dir):
     rows = given(spark, sf_dir, "title", "language", "headings", "navigation")
     menu = F.array_join(F.array_sort(F.array_distinct(F.transform("navigation", lambda n: n["text"]))), ",")
-    return rows.select("page_id", "site", "title", "language", F.col("headings")[0]["text"].alias("heading"), F.size("headings").alias("headings"), menu.alias("menu"))
+    return rows.select(
+        "page_id", "site", "title", "language", F.col("headings")[0]["text"].alias("heading"), F.size("headings").alias("headings"),
+        menu.alias("menu"),
+    )
 
 
 @_query(f"""WITH {_GIVEN} SELECT page_id, {_squeezed(f"CASE WHEN length(trim({_bare('article')})) < 50 THEN {_bare('ad')} || {_bare('article')} ELSE {_bare('article')} END")} AS body FROM gp""")
@@ -185,7 +194,9 @@ def llms_full_txt(spark, sf_dir):
     return sites.llms_full(rows, names)
 
 
-@_query(f"WITH {_GIVEN}, o AS (SELECT site, arg_min(title, page_id) AS title FROM gp GROUP BY site) SELECT site, kind, '{{\"@context\":\"https://schema.org\",\"@type\":\"' || kind || '\",\"name\":' || {_json("coalesce(nullif(trim(regexp_replace(title, '^(?s:.*)\\s*[|–—-]\\s*', '')), ''), site)")} || ',\"url\":\"https://' || site || '\"}}' AS json FROM o, (VALUES ('Organization'), ('WebSite')) AS k(kind)")
+@_query(
+    f"WITH {_GIVEN}, o AS (SELECT site, arg_min(title, page_id) AS title FROM gp GROUP BY site) SELECT site, kind, '{{\"@context\":\"https://schema.org\",\"@type\":\"' || kind || '\",\"name\":' || {_json("coalesce(nullif(trim(regexp_replace(title, '^(?s:.*)\\s*[|–—-]\\s*', '')), ''), site)")} || ',\"url\":\"https://' || site || '\"}}' AS json FROM o, (VALUES ('Organization'), ('WebSite')) AS k(kind)"
+)
 def given_site_json_ld(spark, sf_dir):
     rows = given(spark, sf_dir, "json_ld", "body", "identity")
     return json_ld.site_json_ld(rows, extract.site_identity(rows))
@@ -194,16 +205,30 @@ def given_site_json_ld(spark, sf_dir):
 # --- pages that count against checks
 
 _AFFECTED = {
-    "AI Content Directives": "d % 8 <> 0", "Structured Data (JSON-LD)": "ld = 0", "Content Structure & Depth": "words < 300", "Heading Hierarchy": "len(heads) > 0 AND NOT (h1 IS NOT NULL AND h4 IS NULL)", "Meta Descriptions": "length(description) < 30",
-    "Content Freshness": "stamp IS NULL", "Featured Snippet Readiness": "words > 100 AND NOT snippet", "Voice Search Optimization": "words > 100 AND len(asks) = 0", "Content Too Long for AI": "words > 10000", "Paragraph Length Optimization": "words > 100 AND NOT (words BETWEEN 40 AND 75)",
-    "Answer-First Content Structure": f"words > 100 AND len(heads) >= 2 AND NOT (words BETWEEN 20 AND 80 AND NOT {rich._OPENS(catalog.LEADS_BY_QUESTION)} AND {rich._WORDY(catalog.ANSWERS)})", "Compression": "d % 7 = 0", "Content Quotability Score": "words > 100",
-    "Content Readability": "words > 100 AND greatest(0.0::DOUBLE, least(100.0::DOUBLE, 206.835::DOUBLE - 1.015::DOUBLE * (words / len(sentences)) - 84.6::DOUBLE * (syl / words))) < 30", "Server-side Rendering": "words <= 50", "Open Graph Tags": "og_title IS NULL OR og_description IS NULL",
-    "Author & Expertise Signals": "words > 200 AND author IS NULL", "Citation Quality": f"words > 200 AND len({rich._STATS}) = 0 AND sources = 0 AND quote IS NULL", "Twitter Card Tags": "tw_card IS NULL AND tw_title IS NULL AND tw_description IS NULL", "Breadcrumb Schema": "d % 3 <> 1 AND d % 7 <> 3",
-    "hreflang Tags": "d % 5 <> 2", "Title Tags": "length(title) NOT BETWEEN 30 AND 70", "Image Alt Text": "d % 4 > d % 3", "Mobile Viewport": "viewport IS NULL", "HTTPS Enforcement": "d % 9 = 0", "Broken Pages": "d % 17 = 0", "Nofollow on Internal Links": "d % 10 = 0", "URL Structure Quality": "d % 8 = 5",
-    "Page Response Time": "d * 37 % 4000 > 3000", "Redirect Chains": "d % 3 > 1", "Character Encoding & Doctype": "charset IS NULL OR d % 14 = 0", "Crawl Depth": "d % 6 > 3", "Missing H1 Heading": "h1 IS NULL", "Responsive Images": "d % 4 > 0 AND d % 2 = 1",
-}
+    "AI Content Directives": "d % 8 <> 0", "Structured Data (JSON-LD)": "ld = 0", "Content Structure & Depth": "words < 300",
+    "Heading Hierarchy": "len(heads) > 0 AND NOT (h1 IS NOT NULL AND h4 IS NULL)", "Meta Descriptions": "length(description) < 30",
+    "Content Freshness": "stamp IS NULL", "Featured Snippet Readiness": "words > 100 AND NOT snippet",
+    "Voice Search Optimization": "words > 100 AND len(asks) = 0", "Content Too Long for AI": "words > 10000",
+    "Paragraph Length Optimization": "words > 100 AND NOT (words BETWEEN 40 AND 75)",
+    "Answer-First Content Structure": f"words > 100 AND len(heads) >= 2 AND NOT (words BETWEEN 20 AND 80 AND NOT {rich._OPENS(catalog.LEADS_BY_QUESTION)} AND {rich._WORDY(catalog.ANSWERS)})",
+    "Compression": "d % 7 = 0", "Content Quotability Score": "words > 100",
+    "Content Readability": "words > 100 AND greatest(0.0::DOUBLE, least(100.0::DOUBLE, 206.835::DOUBLE - 1.015::DOUBLE * (words / len(sentences)) - 84.6::DOUBLE * (syl / words))) < 30",
+    "Server-side Rendering": "words <= 50", "Open Graph Tags": "og_title IS NULL OR og_description IS NULL",
+    "Author & Expertise Signals": "words > 200 AND author IS NULL",
+    "Citation Quality": f"words > 200 AND len({rich._STATS}) = 0 AND sources = 0 AND quote IS NULL",
+    "Twitter Card Tags": "tw_card IS NULL AND tw_title IS NULL AND tw_description IS NULL",
+    "Breadcrumb Schema": "d % 3 <> 1 AND d % 7 <> 3", "hreflang Tags": "d % 5 <> 2", "Title Tags": "length(title) NOT BETWEEN 30 AND 70",
+    "Image Alt Text": "d % 4 > d % 3", "Mobile Viewport": "viewport IS NULL", "HTTPS Enforcement": "d % 9 = 0",
+    "Broken Pages": "d % 17 = 0", "Nofollow on Internal Links": "d % 10 = 0", "URL Structure Quality": "d % 8 = 5",
+    "Page Response Time": "d * 37 % 4000 > 3000", "Redirect Chains": "d % 3 > 1",
+    "Character Encoding & Doctype": "charset IS NULL OR d % 14 = 0", "Crawl Depth": "d % 6 > 3", "Missing H1 Heading": "h1 IS NULL",
+    "Responsive Images": "d % 4 > 0 AND d % 2 = 1",
+}
 _FAILING = " UNION ALL ".join(f"SELECT site, {quoted(n)} AS name, d, url, 0 AS grp FROM p WHERE {when}" for n, when in _AFFECTED.items())
-_SHARING = " UNION ALL ".join(f"SELECT * EXCLUDE (k) FROM (SELECT site, {quoted(n)} AS name, d, url, min(d) OVER w AS grp, count(*) OVER w AS k FROM p WHERE length(trim({x})) >= {least} WINDOW w AS (PARTITION BY site, trim({x}))) WHERE k > 1" for n, x, least in (("Duplicate Titles", "title", 1), ("Duplicate Meta Descriptions", "description", 20)))
+_SHARING = " UNION ALL ".join(
+    f"SELECT * EXCLUDE (k) FROM (SELECT site, {quoted(n)} AS name, d, url, min(d) OVER w AS grp, count(*) OVER w AS k FROM p WHERE length(trim({x})) >= {least} WINDOW w AS (PARTITION BY site, trim({x}))) WHERE k > 1"
+    for n, x, least in (("Duplicate Titles", "title", 1), ("Duplicate Meta Descriptions", "description", 20))
+)
 _AFF = f"aff AS (SELECT site, name, row_number() OVER (PARTITION BY site, name ORDER BY grp, d)::INTEGER AS place, d AS page_id, url FROM ({_FAILING} UNION ALL {_SHARING}))"
 
 
@@ -217,7 +242,13 @@ sj AS (SELECT i.site, seq, '{{"name":' || {_json('i.name')} || ',"category":"' |
 SELECT site, '[' || string_agg(x, ',' ORDER BY seq) || ']' AS json FROM sj GROUP BY site""")
 def summary_json(spark, sf_dir):
     rows = audit.summary(rich._items(spark, sf_dir), audit.affected_urls(rich.rich_records(spark, sf_dir), rich.AS_OF))
-    told = F.transform("items", lambda i: F.struct(i["name"].alias("name"), i["category"].alias("category"), i["score"].alias("score"), i["status"].alias("status"), i["affected_urls"].alias("affectedUrls")))
+    told = F.transform(
+        "items",
+        lambda i: F.struct(
+            i["name"].alias("name"), i["category"].alias("category"), i["score"].alias("score"), i["status"].alias("status"),
+            i["affected_urls"].alias("affectedUrls"),
+        ),
+    )
     return rows.select("site", F.to_json(told).alias("json"))
 
 
@@ -231,7 +262,9 @@ def _fetches(spark, sf_dir):
     return _over(spark, _FETCHES, "pages", table(spark, sf_dir, "pages"))
 
 
-@_query(f"WITH f AS ({_FETCHES}) SELECT CASE WHEN error IS NOT NULL OR html IS NULL THEN 'failed' WHEN html = '%PDF-1.4' THEN 'other' ELSE 'page' END AS outcome, url, status, CASE WHEN error IS NOT NULL THEN error END AS error, CASE WHEN error IS NOT NULL THEN retries END AS retries FROM f")
+@_query(
+    f"WITH f AS ({_FETCHES}) SELECT CASE WHEN error IS NOT NULL OR html IS NULL THEN 'failed' WHEN html = '%PDF-1.4' THEN 'other' ELSE 'page' END AS outcome, url, status, CASE WHEN error IS NOT NULL THEN error END AS error, CASE WHEN error IS NOT NULL THEN retries END AS retries FROM f"
+)
 def fetch_outcomes(spark, sf_dir):
     pages, failed, others = crawl.outcomes(_fetches(spark, sf_dir))
     none = (F.lit(None).cast("string").alias("error"), F.lit(None).cast("int").alias("retries"))
@@ -246,18 +279,25 @@ def crawl_with_fallback(spark, sf_dir):
     pages, _, _ = crawl.outcomes(fetches)
     targets = fetches.groupBy("site").agg(F.min("url").alias("url"))
     again = table(spark, sf_dir, "pages").where("page_id % 2 = 1")
-    again = again.select("page_id", "url", F.regexp_extract("url", "^[a-zA-Z]+://([^/?#]*)", 1).alias("site"), F.lit(200).alias("status"), F.lit("text/html").alias("kind"), "html", F.lit(None).cast("string").alias("error"), F.lit(None).cast("int").alias("retries"))
+    again = again.select(
+        "page_id", "url", F.regexp_extract("url", "^[a-zA-Z]+://([^/?#]*)", 1).alias("site"), F.lit(200).alias("status"),
+        F.lit("text/html").alias("kind"), "html", F.lit(None).cast("string").alias("error"), F.lit(None).cast("int").alias("retries"),
+    )
     return crawl.with_fallback(pages, targets, again.select(*pages.columns)).select("site", "page_id", "url", "fallback")
 
 
-@_query(f"WITH {_R}, l AS (SELECT site, unnest(internal) AS target, d % 6 AS depth FROM r) SELECT site, target AS url, (min(depth) + 1)::INTEGER AS depth FROM l WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.site = l.site AND r.url = l.target) GROUP BY site, target")
+@_query(
+    f"WITH {_R}, l AS (SELECT site, unnest(internal) AS target, d % 6 AS depth FROM r) SELECT site, target AS url, (min(depth) + 1)::INTEGER AS depth FROM l WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.site = l.site AND r.url = l.target) GROUP BY site, target"
+)
 def links_to_follow(spark, sf_dir):
     rows = rich.rich_records(spark, sf_dir, "internal")
     edges = rows.select("site", "depth", F.explode("internal").alias("target"))
     return crawl.to_follow(edges, rich.rich_pages(spark, sf_dir).select("site", "url"))
 
 
-@_query(f"WITH {_R}, st AS ({rich._STATUSES}), ex AS (SELECT site, d, unnest(external) AS url FROM r) SELECT site, url, status, count(DISTINCT d) AS sources, min(d) AS first_page FROM ex JOIN st USING (url) GROUP BY site, url, status")
+@_query(
+    f"WITH {_R}, st AS ({rich._STATUSES}), ex AS (SELECT site, d, unnest(external) AS url FROM r) SELECT site, url, status, count(DISTINCT d) AS sources, min(d) AS first_page FROM ex JOIN st USING (url) GROUP BY site, url, status"
+)
 def probed_links(spark, sf_dir):
     return sites.probed_links(rich.rich_records(spark, sf_dir, "external"), "external", rich.statuses(spark, sf_dir))
 
@@ -275,7 +315,9 @@ def _payloads(spark, sf_dir):
     return _over(spark, _PAYLOAD, "events", table(spark, sf_dir, "events"))
 
 
-@_query(f"WITH {_PARSED} SELECT job_id, coalesce({_number('pagesScanned')}, 0) AS pages, coalesce({_number('geoServiceScore')}, score) AS service_score, coalesce({_number('crawlErrors')}, CASE WHEN status = 'failed' THEN 1 ELSE 0 END) AS crawl_errors FROM pv")
+@_query(
+    f"WITH {_PARSED} SELECT job_id, coalesce({_number('pagesScanned')}, 0) AS pages, coalesce({_number('geoServiceScore')}, score) AS service_score, coalesce({_number('crawlErrors')}, CASE WHEN status = 'failed' THEN 1 ELSE 0 END) AS crawl_errors FROM pv"
+)
 def job_measures(spark, sf_dir):
     return payloads.measures(_payloads(spark, sf_dir))
 
@@ -319,12 +361,16 @@ def unreadable_answers(spark, sf_dir):
 _JOBS = "j AS (SELECT event_id AS job_id, user_id AS domain, CASE WHEN event_type IN ('view', 'click') THEN 'scan' ELSE 'check' END AS type, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'completed' END AS status, value AS score, ts AS tm FROM events)"
 
 
-@_query(f"WITH {_JOBS}, d AS (SELECT * FROM j WHERE status = 'completed'), c AS (SELECT domain, arg_max(row(job_id, score), row(tm, job_id)) AS c FROM d WHERE type = 'check' GROUP BY domain) SELECT domain, job_id, c[1] AS check_id, c[2] AS visibility FROM d LEFT JOIN c USING (domain) WHERE type = 'scan'")
+@_query(
+    f"WITH {_JOBS}, d AS (SELECT * FROM j WHERE status = 'completed'), c AS (SELECT domain, arg_max(row(job_id, score), row(tm, job_id)) AS c FROM d WHERE type = 'check' GROUP BY domain) SELECT domain, job_id, c[1] AS check_id, c[2] AS visibility FROM d LEFT JOIN c USING (domain) WHERE type = 'scan'"
+)
 def scan_with_check(spark, sf_dir):
     return playbooks.latest_check(history.jobs_of(table(spark, sf_dir, "events"))).drop("at")
 
 
-@_query(f"WITH {_JOBS}, d AS (SELECT * FROM j WHERE status = 'completed') SELECT s.domain, s.job_id, max(row(c.tm, c.job_id, c.score))[2] AS check_id, max(row(c.tm, c.job_id, c.score))[3] AS visibility FROM d s LEFT JOIN d c ON c.domain = s.domain AND c.type = 'check' AND c.tm <= s.tm WHERE s.type = 'scan' GROUP BY s.domain, s.job_id")
+@_query(
+    f"WITH {_JOBS}, d AS (SELECT * FROM j WHERE status = 'completed') SELECT s.domain, s.job_id, max(row(c.tm, c.job_id, c.score))[2] AS check_id, max(row(c.tm, c.job_id, c.score))[3] AS visibility FROM d s LEFT JOIN d c ON c.domain = s.domain AND c.type = 'check' AND c.tm <= s.tm WHERE s.type = 'scan' GROUP BY s.domain, s.job_id"
+)
 def check_as_of(spark, sf_dir):
     return playbooks.check_as_of(history.jobs_of(table(spark, sf_dir, "events"))).drop("at")
 
@@ -344,7 +390,9 @@ def client_playbooks(spark, sf_dir):
     dates = rich.rich_pages(spark, sf_dir).groupBy("site").agg(F.max("page_id").alias("generated_at"))
     scored = composite.service_score(items).join(composite.overall(items), "site").join(dates, "site")
     jobs = history.jobs_of(table(spark, sf_dir, "events")).where("type = 'check' AND status = 'completed'")
-    checks = history.latest(jobs, "domain").select(F.concat(F.lit("src"), F.col("domain").cast("string"), F.lit(".example")).alias("site"), F.col("score").alias("visibility"))
+    checks = history.latest(jobs, "domain").select(
+        F.concat(F.lit("src"), F.col("domain").cast("string"), F.lit(".example")).alias("site"), F.col("score").alias("visibility"),
+    )
     rows = playbooks.playbooks(items, rich.site_files(spark, sf_dir), scored, checks)
     return rows.withColumns({"missing_files": F.array_join("missing_files", ","), "to_do": F.array_join("to_do", ";")})
 
@@ -352,7 +400,9 @@ def client_playbooks(spark, sf_dir):
 _SCHEDULES = """SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'daily' WHEN 1 THEN 'weekly' ELSE 'monthly' END AS frequency, o_orderkey % 5 <> 0 AS enabled, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderdate END AS next_run_at FROM orders"""
 
 
-@_query(f"WITH s AS ({_SCHEDULES}) SELECT id, TIMESTAMP '1996-01-01 00:00:00' + CASE frequency WHEN 'daily' THEN INTERVAL 1 DAY WHEN 'weekly' THEN INTERVAL 7 DAY ELSE INTERVAL 30 DAY END AS next FROM s WHERE enabled AND (next_run_at IS NULL OR next_run_at <= TIMESTAMP '1996-01-01 00:00:00')")
+@_query(
+    f"WITH s AS ({_SCHEDULES}) SELECT id, TIMESTAMP '1996-01-01 00:00:00' + CASE frequency WHEN 'daily' THEN INTERVAL 1 DAY WHEN 'weekly' THEN INTERVAL 7 DAY ELSE INTERVAL 30 DAY END AS next FROM s WHERE enabled AND (next_run_at IS NULL OR next_run_at <= TIMESTAMP '1996-01-01 00:00:00')"
+)
 def due_schedules(spark, sf_dir):
     rows = _over(spark, _SCHEDULES, "orders", table(spark, sf_dir, "orders"))
     return history.due(rows, "1996-01-01 00:00:00").select("id", F.col("next").cast("timestamp_ntz").alias("next"))

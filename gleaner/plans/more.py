@@ -22,7 +22,9 @@ def _query(sql: str):
 
 
 _R, _ITEMS = rich._R, rich._ITEMS
-_SECTION = "CASE d % 8 " + " ".join(f"WHEN {k} THEN {quoted(s)}" for k, s in enumerate(("Blog", "About", "Legal", "Legal", "Products", "Documentation", "Pages", "Pages"))) + " END"
+_SECTION = "CASE d % 8 " + " ".join(
+    f"WHEN {k} THEN {quoted(s)}" for k, s in enumerate(("Blog", "About", "Legal", "Legal", "Products", "Documentation", "Pages", "Pages"))
+) + " END"
 _WORDS = f"len(list_filter(regexp_split_to_array(body, '{rich.WS}+'), lambda w: w <> ''))"
 
 
@@ -32,7 +34,9 @@ def canonical_dedup(spark, sf_dir):
     return sites.one_of_each_canonical(rich.rich_records(spark, sf_dir, "canonical"))
 
 
-@_query(f"WITH {_R}, e AS (SELECT site, d, unnest(range(1, len(external) + 1)) AS i, external FROM r), g AS (SELECT site, external[i] AS target, count(DISTINCT d) AS sources, min(row(d, i)) AS first FROM e GROUP BY site, external[i]), o AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY first) AS place FROM g) SELECT site, target, sources, first[1] AS first_page FROM o WHERE place <= 250")
+@_query(
+    f"WITH {_R}, e AS (SELECT site, d, unnest(range(1, len(external) + 1)) AS i, external FROM r), g AS (SELECT site, external[i] AS target, count(DISTINCT d) AS sources, min(row(d, i)) AS first FROM e GROUP BY site, external[i]), o AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY first) AS place FROM g) SELECT site, target, sources, first[1] AS first_page FROM o WHERE place <= 250"
+)
 def link_sources(spark, sf_dir):
     return sites.link_sources(rich.rich_records(spark, sf_dir, "external"))
 
@@ -50,7 +54,9 @@ def _contexts(spark, sf_dir):
     return context.business_context(rich.rich_records(spark, sf_dir, *context.FIELDS))
 
 
-@_query(f"WITH {_R}, {rich._IDENTITY}, {_CONTEXT} SELECT * REPLACE (array_to_string(keywords, '|') AS keywords, array_to_string(services, '|') AS services, array_to_string(products, '|') AS products) FROM cx")
+@_query(
+    f"WITH {_R}, {rich._IDENTITY}, {_CONTEXT} SELECT * REPLACE (array_to_string(keywords, '|') AS keywords, array_to_string(services, '|') AS services, array_to_string(products, '|') AS products) FROM cx"
+)
 def business_context(spark, sf_dir):
     return _contexts(spark, sf_dir).withColumns({c: F.array_join(c, "|") for c in ("keywords", "services", "products")})
 
@@ -67,16 +73,22 @@ def _templates_sql() -> str:
 
     place = "coalesce(location, '')"
     values = {
-        "name": "name", "industry": "industry", "service0": "coalesce(nullif(services[1], ''), industry)", "service1": "coalesce(nullif(services[2], ''), nullif(keywords[1], ''), industry)", "keyword0": "nullif(keywords[1], '')", "keyword1": "nullif(keywords[2], '')",
-        "in": f"CASE WHEN {place} <> '' THEN ' in ' || {place} ELSE '' END", "at": f"CASE WHEN {place} <> '' THEN ' ' || {place} ELSE '' END",
-        "where": f"CASE WHEN {place} = '' THEN 'Lietuvoje' " + " ".join(f"WHEN regexp_matches({place}, {quoted('(?i)' + p.removeprefix('(?iu)'))}) THEN {quoted(x)}" for p, x in catalog.LOCATIVE) + f" ELSE {place} END",
-    }
+        "name": "name", "industry": "industry", "service0": "coalesce(nullif(services[1], ''), industry)",
+        "service1": "coalesce(nullif(services[2], ''), nullif(keywords[1], ''), industry)", "keyword0": "nullif(keywords[1], '')",
+        "keyword1": "nullif(keywords[2], '')", "in": f"CASE WHEN {place} <> '' THEN ' in ' || {place} ELSE '' END",
+        "at": f"CASE WHEN {place} <> '' THEN ' ' || {place} ELSE '' END",
+        "where": f"CASE WHEN {place} = '' THEN 'Lietuvoje' " + " ".join(
+            f"WHEN regexp_matches({place}, {quoted('(?i)' + p.removeprefix('(?iu)'))}) THEN {quoted(x)}" for p, x in catalog.LOCATIVE
+        ) + f" ELSE {place} END",
+    }
     rows = []
     for language, templates in catalog.QUERY_TEMPLATES.items():
         for k, (query, category, intent, spoken) in enumerate(templates):
             parts = [f"({values[p]})" if n % 2 else quoted(p) for n, p in enumerate(re.split(r"\{(\w+)\}", query)) if p]
             when = "language = 'lt'" if language == "lt" else "language IS DISTINCT FROM 'lt'"
-            rows.append(f"SELECT site, {k} AS k, {' || '.join(parts)} AS query, {quoted(category)} AS category, {quoted(intent)} AS intent, {quoted(spoken)} AS language FROM cl WHERE {when}")
+            rows.append(
+                f"SELECT site, {k} AS k, {' || '.join(parts)} AS query, {quoted(category)} AS category, {quoted(intent)} AS intent, {quoted(spoken)} AS language FROM cl WHERE {when}"
+            )
     return f"tq AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY k)::INTEGER AS place FROM ({' UNION ALL '.join(rows)}) WHERE query IS NOT NULL)"
 
 
@@ -87,15 +99,21 @@ _SPOKEN = "cl AS (SELECT * REPLACE (CASE WHEN right(site, 9) IN ('1.example', '4
 def _spoken(rows):
     end = F.right("site", F.lit(9))
     place = F.when(end == "4.example", "KAUNAS, Lithuania").when(end != "5.example", F.col("location"))
-    return rows.withColumns({"language": F.when(end.isin("1.example", "4.example", "7.example"), "lt").otherwise(F.col("language")), "location": place})
+    return rows.withColumns(
+        {"language": F.when(end.isin("1.example", "4.example", "7.example"), "lt").otherwise(F.col("language")), "location": place}
+    )
 
 
-@_query(f"WITH {_R}, {rich._IDENTITY}, {_CONTEXT}, {_SPOKEN}, {_templates_sql()} SELECT site, place, query, category, intent, language FROM tq WHERE place <= 20")
+@_query(
+    f"WITH {_R}, {rich._IDENTITY}, {_CONTEXT}, {_SPOKEN}, {_templates_sql()} SELECT site, place, query, category, intent, language FROM tq WHERE place <= 20"
+)
 def template_queries(spark, sf_dir):
     return context.template_queries(_spoken(_contexts(spark, sf_dir)))
 
 
-@_query(f"WITH {_R}, {rich._IDENTITY}, {_CONTEXT}, {_SPOKEN}, {_templates_sql()} SELECT site, place, query, category, intent, language FROM tq WHERE place <= 7")
+@_query(
+    f"WITH {_R}, {rich._IDENTITY}, {_CONTEXT}, {_SPOKEN}, {_templates_sql()} SELECT site, place, query, category, intent, language FROM tq WHERE place <= 7"
+)
 def first_queries(spark, sf_dir):
     return context.template_queries(_spoken(_contexts(spark, sf_dir)), 7)
 
@@ -117,7 +135,9 @@ _ASKED = f"""pq AS (SELECT site, place, url, CASE WHEN section = 'Products' THEN
 
 
 def _page_queries(spark, sf_dir):
-    names = rich.rich_pages(spark, sf_dir).select("site").distinct().select("site", F.col("site").alias("name"), F.lit("things").alias("industry"), F.lit("Town").alias("location"))
+    names = rich.rich_pages(spark, sf_dir).select("site").distinct().select(
+        "site", F.col("site").alias("name"), F.lit("things").alias("industry"), F.lit("Town").alias("location"),
+    )
     return context.page_queries(rich.rich_records(spark, sf_dir, *_TITLED), names)
 
 
@@ -132,8 +152,14 @@ def all_queries(spark, sf_dir):
     return context.all_queries(context.template_queries(_spoken(_contexts(spark, sf_dir))), _page_queries(spark, sf_dir))
 
 
-_ENTRY = " ".join(f"WHEN {p} THEN {quoted(v)}" for p, v in (("d % 8 = 0", "weekly"), ("d % 8 IN (1, 4)", "monthly"), ("d % 8 IN (2, 3)", "yearly"), ("d % 8 = 5", "weekly")))
-_PRIO = " ".join(f"WHEN {p} THEN {quoted(v)}" for p, v in (("d % 8 = 0", "0.7"), ("d % 8 IN (1, 4)", "0.6"), ("d % 8 IN (2, 3)", "0.3"), ("d % 8 = 5", "0.8")))
+_ENTRY = " ".join(
+    f"WHEN {p} THEN {quoted(v)}"
+    for p, v in (("d % 8 = 0", "weekly"), ("d % 8 IN (1, 4)", "monthly"), ("d % 8 IN (2, 3)", "yearly"), ("d % 8 = 5", "weekly"))
+)
+_PRIO = " ".join(
+    f"WHEN {p} THEN {quoted(v)}"
+    for p, v in (("d % 8 = 0", "0.7"), ("d % 8 IN (1, 4)", "0.6"), ("d % 8 IN (2, 3)", "0.3"), ("d % 8 = 5", "0.8"))
+)
 
 
 @_query(f"""WITH {_R} SELECT site, 0 AS file, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">' || chr(10) || string_agg('  <url><loc>' || url || '</loc><changefreq>' || CASE {_ENTRY} ELSE 'monthly' END || '</changefreq><priority>' || CASE {_PRIO} ELSE '0.5' END || '</priority></url>', chr(10) ORDER BY d) || chr(10) || '</urlset>' || chr(10) AS content FROM r WHERE d % 17 <> 0 GROUP BY site""")
@@ -150,7 +176,9 @@ _LLMS_RANK = "CASE " + " ".join(f"WHEN {_SECTION} = {quoted(s)} THEN {k}" for k,
 @_query(f"""WITH {_R}, l AS (SELECT site, {_LLMS_RANK} AS rank, CASE WHEN {_LLMS_RANK} < 7 THEN {_SECTION} ELSE 'Optional' END AS head, d, '- [' || CASE WHEN title <> '' THEN title ELSE regexp_replace(url, '^[a-z]*://[^/]*', '') END || '](' || url || ')' || CASE WHEN description <> '' THEN ': ' || description ELSE '' END AS line FROM r),
 s AS (SELECT site, min(rank) AS rank, chr(10) || '## ' || head || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY rank, d) AS part FROM l GROUP BY site, head) SELECT site, '# ' || site || chr(10) || chr(10) || '> About ' || site || chr(10) || string_agg(part, chr(10) ORDER BY rank) || chr(10) AS content FROM s GROUP BY site""")
 def llms_txt(spark, sf_dir):
-    names = rich.rich_pages(spark, sf_dir).select("site").distinct().select("site", F.col("site").alias("name"), F.concat(F.lit("About "), F.col("site")).alias("tagline"))
+    names = rich.rich_pages(spark, sf_dir).select("site").distinct().select(
+        "site", F.col("site").alias("name"), F.concat(F.lit("About "), F.col("site")).alias("tagline"),
+    )
     return sites.llms_txt(rich.rich_records(spark, sf_dir, "title", "description"), names)
 
 
@@ -169,7 +197,9 @@ def _robots_sql() -> str:
     say("# robots.txt")
     lines.append("'# Site: https://' || site")
     say(f"# Generated: {rich.AS_OF}", "#", "# AI Crawler Directives", "# Training data access: ALLOWED")
-    lines.append("CASE WHEN len(coalesce(old['*'], [])) > 0 THEN ['# NOTE: Existing Disallow rules from original robots.txt have been preserved'] ELSE [] END")
+    lines.append(
+        "CASE WHEN len(coalesce(old['*'], [])) > 0 THEN ['# NOTE: Existing Disallow rules from original robots.txt have been preserved'] ELSE [] END"
+    )
     say("", "# Standard Search Engines")
     for agent in ("Googlebot", "Bingbot", "Applebot"):
         say(f"User-agent: {agent}", "Allow: /")
@@ -177,7 +207,9 @@ def _robots_sql() -> str:
         say("")
     rule = "# ===================================="
     say(rule, "# AI / LLM Crawler Directives", rule, "")
-    for head, use in (("# AI Search & Retrieval (recommended: allow for visibility)", "search"), ("# AI Training Crawlers (allowed)", "training")):
+    for head, use in (
+        ("# AI Search & Retrieval (recommended: allow for visibility)", "search"), ("# AI Training Crawlers (allowed)", "training"),
+    ):
         say(head)
         for bot, owner in catalog.CRAWLER_OWNERS.items():
             if (bot in ("OAI-SearchBot", "ChatGPT-User", "Claude-SearchBot", "PerplexityBot")) == (use == "search"):
@@ -242,7 +274,9 @@ _PROBE = "SELECT CAST(o_orderkey AS VARCHAR(20)) AS site, CAST(o_orderkey % 900
 @_query(f"""WITH p AS ({_PROBE}), q AS (SELECT *, CASE WHEN words > 0 THEN mobile_words / words ELSE 1.0 END AS ratio FROM p) SELECT site, floor(ratio * 100 + 0.5) / 100 AS content_ratio, abs(ratio - 1) > 0.15 AS content_differs, CASE WHEN viewport = '' THEN 1 ELSE (NOT contains(viewport, 'width=device-width'))::INT + regexp_matches(viewport, '(?i)user-scalable\\s*=\\s*no')::INT + regexp_matches(viewport, '(?i)maximum-scale\\s*=\\s*1')::INT END AS viewport_issues,
  (ratio < 0.5 OR ratio > 1.5)::INT AS content_issues, (images > 0 AND responsive / images < 0.5)::INT AS image_issues, floor(CASE WHEN images > 0 THEN responsive / images ELSE 1.0 END * 100 + 0.5) / 100 AS responsive_ratio FROM q""")
 def mobile_probe(spark, sf_dir):
-    return sites.mobile_probe(spark.sql(_PROBE.replace("FROM orders", "FROM {orders}").replace("VARCHAR(20)", "STRING"), orders=table(spark, sf_dir, "orders")))
+    return sites.mobile_probe(
+        spark.sql(_PROBE.replace("FROM orders", "FROM {orders}").replace("VARCHAR(20)", "STRING"), orders=table(spark, sf_dir, "orders"))
+    )
 
 
 _BRAND = "SELECT CAST(c_custkey AS VARCHAR(20)) AS site, CAST(c_custkey % 7 AS INT) AS mentions, c_custkey % 2 = 0 AS channel, CAST(c_custkey % 5 AS INT) AS recent, CAST(c_custkey % 9 AS INT) AS total, c_custkey % 3 = 0 AS community, c_custkey % 4 < 2 AS article, c_custkey % 6 = 1 AS entity, c_custkey % 5 = 2 AS linked, c_custkey % 10 = 2 AS verified, c_custkey % 5 = 3 AS slug FROM customer"
@@ -251,7 +285,11 @@ _BRAND = "SELECT CAST(c_custkey AS VARCHAR(20)) AS site, CAST(c_custkey % 7 AS I
 @_query(f"""WITH p AS ({_BRAND}), q AS (SELECT site, least(100, CASE WHEN mentions >= 5 THEN 80 WHEN mentions >= 2 THEN 50 WHEN mentions > 0 THEN 25 ELSE 0 END + 20 * channel::INT) AS youtube, least(100, CASE WHEN recent >= 3 THEN 85 WHEN total >= 3 THEN 55 WHEN total > 0 THEN 30 ELSE 0 END + 15 * community::INT) AS reddit, 60 * article::INT + 40 * entity::INT AS wikipedia,
  CASE WHEN linked THEN CASE WHEN verified THEN 100 ELSE 70 END WHEN slug THEN 60 ELSE 0 END AS linkedin FROM p) SELECT *, {half_up_sql('(youtube * 35 + reddit * 25 + wikipedia * 25 + linkedin * 15) / 100')} AS brand FROM q""")
 def brand_scores(spark, sf_dir):
-    return sites.brand_scores(spark.sql(_BRAND.replace("FROM customer", "FROM {customer}").replace("VARCHAR(20)", "STRING"), customer=table(spark, sf_dir, "customer")))
+    return sites.brand_scores(
+        spark.sql(
+            _BRAND.replace("FROM customer", "FROM {customer}").replace("VARCHAR(20)", "STRING"), customer=table(spark, sf_dir, "customer"),
+        )
+    )
 
 
 # --- from audits
@@ -260,17 +298,24 @@ _ORDER = "CASE category " + " ".join(f"WHEN {quoted(c)} THEN {k}" for k, c in en
 _DONE = ", ".join(map(quoted, catalog.PROJECTED))
 
 
-@_query(f"WITH {_ITEMS} SELECT site, row_number() OVER (PARTITION BY site ORDER BY {_ORDER}, seq)::INTEGER AS place, name, category, score FROM items WHERE status NOT IN ('pass', 'not_applicable') AND score < 100 AND name NOT IN ({_DONE})")
+@_query(
+    f"WITH {_ITEMS} SELECT site, row_number() OVER (PARTITION BY site ORDER BY {_ORDER}, seq)::INTEGER AS place, name, category, score FROM items WHERE status NOT IN ('pass', 'not_applicable') AND score < 100 AND name NOT IN ({_DONE})"
+)
 def client_actions(spark, sf_dir):
     return service.client_actions(rich._items(spark, sf_dir))
 
 
-@_query(f"WITH {_ITEMS} SELECT site, name, CASE WHEN name IN ({', '.join(map(quoted, catalog.QUICK))}) THEN 'quick' WHEN name IN ({', '.join(map(quoted, catalog.STRATEGIC))}) THEN 'strategic' ELSE 'medium' END AS kind FROM items WHERE status NOT IN ('pass', 'not_applicable') AND category <> 'non_scored'")
+@_query(
+    f"WITH {_ITEMS} SELECT site, name, CASE WHEN name IN ({', '.join(map(quoted, catalog.QUICK))}) THEN 'quick' WHEN name IN ({', '.join(map(quoted, catalog.STRATEGIC))}) THEN 'strategic' ELSE 'medium' END AS kind FROM items WHERE status NOT IN ('pass', 'not_applicable') AND category <> 'non_scored'"
+)
 def action_triage(spark, sf_dir):
     return service.triage(rich._items(spark, sf_dir))
 
 
-_PARTS = " UNION ALL ".join([f"SELECT {k} AS place, {quoted(n)} AS name, true AS is_file" for k, n in enumerate(catalog.GAP_FILES)] + [f"SELECT {100 + k}, {quoted(n)}, false" for k, n in enumerate(catalog.GAP_SETTINGS)])
+_PARTS = " UNION ALL ".join(
+    [f"SELECT {k} AS place, {quoted(n)} AS name, true AS is_file" for k, n in enumerate(catalog.GAP_FILES)]
+    + [f"SELECT {100 + k}, {quoted(n)}, false" for k, n in enumerate(catalog.GAP_SETTINGS)]
+)
 
 
 _GAPS = f"""pt AS ({_PARTS}), m AS MATERIALIZED (SELECT * FROM items), pf AS (SELECT site, count(DISTINCT name) AS there, min(name) AS one FROM files WHERE name IN ('ai.txt', 'ai.json') GROUP BY site),
@@ -285,7 +330,9 @@ def gap_analysis(spark, sf_dir):
     return found.withColumn("files", F.array_join("files", ","))
 
 
-@_query(f"WITH {_ITEMS}, b AS (SELECT *, CASE name {' '.join(f'WHEN {quoted(n)} THEN {x}' for n, x in catalog.PROJECTED.items())} END AS better FROM items) SELECT site, seq, name, score AS before, greatest(score, coalesce(better, score)) AS after, CASE WHEN score >= 70 THEN 'good' WHEN better > score THEN 'engine' ELSE 'client' END AS part FROM b")
+@_query(
+    f"WITH {_ITEMS}, b AS (SELECT *, CASE name {' '.join(f'WHEN {quoted(n)} THEN {x}' for n, x in catalog.PROJECTED.items())} END AS better FROM items) SELECT site, seq, name, score AS before, greatest(score, coalesce(better, score)) AS after, CASE WHEN score >= 70 THEN 'good' WHEN better > score THEN 'engine' ELSE 'client' END AS part FROM b"
+)
 def audits_side_by_side(spark, sf_dir):
     from ..operators import composite
 
@@ -296,7 +343,9 @@ def audits_side_by_side(spark, sf_dir):
 # --- run tables, from events, conversations, customers and orders on both sides
 
 
-@_query("WITH q AS (SELECT turn, text AS query, conv_id * 100 + turn AS seq, role AS category FROM conversations WHERE text IS NOT NULL), f AS (SELECT query, arg_min(category, seq) AS category FROM q GROUP BY query) SELECT conv_id * 100 + turn AS id, category FROM conversations c LEFT JOIN f ON f.query = c.text")
+@_query(
+    "WITH q AS (SELECT turn, text AS query, conv_id * 100 + turn AS seq, role AS category FROM conversations WHERE text IS NOT NULL), f AS (SELECT query, arg_min(category, seq) AS category FROM q GROUP BY query) SELECT conv_id * 100 + turn AS id, category FROM conversations c LEFT JOIN f ON f.query = c.text"
+)
 def answers_with_queries(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations")
     seq = (F.col("conv_id") * 100 + F.col("turn")).cast("long")
@@ -306,15 +355,23 @@ def answers_with_queries(spark, sf_dir):
 
 @_query("SELECT p_partkey AS query_id, r_name AS engine FROM part CROSS JOIN region")
 def asked_everywhere(spark, sf_dir):
-    return service.asked_everywhere(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id")), table(spark, sf_dir, "region").select(F.col("r_name").alias("engine")))
+    return service.asked_everywhere(
+        table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id")),
+        table(spark, sf_dir, "region").select(F.col("r_name").alias("engine")),
+    )
 
 
 _EVENTS = "SELECT user_id AS job_id, event_id AS tm, CASE WHEN event_type = 'view' THEN 'running' WHEN event_type = 'purchase' THEN 'completed' END AS status, CASE WHEN event_id % 3 = 0 THEN value END AS score, event_type = 'error' AS deleted FROM events"
 
 
-@_query(f"WITH e AS ({_EVENTS}) SELECT job_id, arg_max(status, tm) FILTER (WHERE status IS NOT NULL) AS status, arg_max(score, tm) FILTER (WHERE score IS NOT NULL) AS score FROM e GROUP BY job_id HAVING NOT arg_max(deleted, tm)")
+@_query(
+    f"WITH e AS ({_EVENTS}) SELECT job_id, arg_max(status, tm) FILTER (WHERE status IS NOT NULL) AS status, arg_max(score, tm) FILTER (WHERE score IS NOT NULL) AS score FROM e GROUP BY job_id HAVING NOT arg_max(deleted, tm)"
+)
 def job_states(spark, sf_dir):
-    return service.state_of(spark.sql(_EVENTS.replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events")), "job_id", "tm", "status", "score")
+    return service.state_of(
+        spark.sql(_EVENTS.replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events")), "job_id", "tm", "status",
+        "score",
+    )
 
 
 _USERS = "SELECT c_custkey AS user_id, c_custkey % 4 <> 0 AS active, c_nationkey AS last_login FROM customer"
@@ -326,7 +383,9 @@ def _run_tables(spark, sf_dir):
     return users, spark.sql(_SESSIONS.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders"))
 
 
-@_query(f"WITH u AS ({_USERS}), s AS ({_SESSIONS}) SELECT session_id, user_id, last_login FROM s JOIN u USING (user_id) WHERE revoked_at IS NULL AND expires_at > TIMESTAMP '2024-06-01 00:00:00' AND active")
+@_query(
+    f"WITH u AS ({_USERS}), s AS ({_SESSIONS}) SELECT session_id, user_id, last_login FROM s JOIN u USING (user_id) WHERE revoked_at IS NULL AND expires_at > TIMESTAMP '2024-06-01 00:00:00' AND active"
+)
 def live_sessions(spark, sf_dir):
     users, sessions = _run_tables(spark, sf_dir)
     return service.live_sessions(sessions, users, "2024-06-01 00:00:00").select("session_id", "user_id", "last_login")
@@ -337,10 +396,16 @@ def admin_overview(spark, sf_dir):
     return service.overview(_run_tables(spark, sf_dir)[0])
 
 
-@_query("SELECT o_orderkey AS job_id FROM orders WHERE o_orderpriority = '1-URGENT' OR o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+@_query(
+    "SELECT o_orderkey AS job_id FROM orders WHERE o_orderpriority = '1-URGENT' OR o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')"
+)
 def visible_jobs(spark, sf_dir):
-    jobs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("domain"), F.col("o_orderpriority").alias("created_by"))
-    access = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.lit("1-URGENT").alias("user_id"), F.col("c_custkey").alias("domain"))
+    jobs = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("domain"), F.col("o_orderpriority").alias("created_by"),
+    )
+    access = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(
+        F.lit("1-URGENT").alias("user_id"), F.col("c_custkey").alias("domain"),
+    )
     return service.visible_to(jobs, access, "1-URGENT").select("job_id")
 
 
@@ -359,7 +424,11 @@ o AS (SELECT site, row_number() OVER (PARTITION BY site ORDER BY f[1], low)::INT
 def distinct_recommendations(spark, sf_dir):
     key = F.col("o_orderkey") % 6
     text = F.when(key == 0, "").when(key == 1, " Add it").when(key == 2, "ADD IT").otherwise(F.col("o_orderpriority"))
-    return service.distinct_recommendations(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("site"), F.col("o_orderkey").alias("seq"), text.alias("recommendation")))
+    return service.distinct_recommendations(
+        table(spark, sf_dir, "orders").select(
+            F.col("o_custkey").alias("site"), F.col("o_orderkey").alias("seq"), text.alias("recommendation"),
+        )
+    )
 
 
 QUERIES = {name: f for name, (f, _) in _MORE.items()}

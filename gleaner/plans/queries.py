@@ -36,12 +36,16 @@ r AS (SELECT doc_id, lang, len(w) AS words, sentences, coalesce(list_sum(list_tr
 f AS (SELECT *, CASE WHEN words > 0 AND sentences > 0 THEN greatest(0.0::DOUBLE, least(100.0::DOUBLE, 206.835::DOUBLE - 1.015::DOUBLE * (words / sentences) - 84.6::DOUBLE * (syllables / words))) ELSE 0.0 END AS flesch FROM r)"""
 
 
-@query(f"WITH {_READ} SELECT doc_id, words::INTEGER AS words, sentences::INTEGER AS sentences, syllables::INTEGER AS syllables, round(flesch, 6) AS flesch FROM f")
+@query(
+    f"WITH {_READ} SELECT doc_id, words::INTEGER AS words, sentences::INTEGER AS sentences, syllables::INTEGER AS syllables, round(flesch, 6) AS flesch FROM f"
+)
 def doc_flesch(spark, sf_dir):
     return texts.readability(texts_table(spark, sf_dir, "documents"), "doc_id").withColumn("flesch", F.round("flesch", 6))
 
 
-@query(f"WITH {_READ}, g AS (SELECT lang, count(*) AS pages, avg(flesch) AS a FROM f WHERE words > 100 GROUP BY lang) SELECT lang, pages, round(a, 6) AS avg_flesch, least(100, {half_up_sql('a * 100 / 60')}) AS score, {status_sql('a', 50, 30)} AS status FROM g")
+@query(
+    f"WITH {_READ}, g AS (SELECT lang, count(*) AS pages, avg(flesch) AS a FROM f WHERE words > 100 GROUP BY lang) SELECT lang, pages, round(a, 6) AS avg_flesch, least(100, {half_up_sql('a * 100 / 60')}) AS score, {status_sql('a', 50, 30)} AS status FROM g"
+)
 def readability_by_lang(spark, sf_dir):
     return texts.readability_check(texts_table(spark, sf_dir, "documents"), "lang")
 
@@ -49,9 +53,13 @@ def readability_by_lang(spark, sf_dir):
 _TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '\\b[a-z]{3,}\\b')"
 
 
-@query(f"SELECT doc_id, round(CASE WHEN len({_TOKENS}) < 50 THEN 1.0 ELSE len(list_distinct({_TOKENS})) / len({_TOKENS}) END, 9) AS diversity FROM documents")
+@query(
+    f"SELECT doc_id, round(CASE WHEN len({_TOKENS}) < 50 THEN 1.0 ELSE len(list_distinct({_TOKENS})) / len({_TOKENS}) END, 9) AS diversity FROM documents"
+)
 def lexical_diversity(spark, sf_dir):
-    return texts_table(spark, sf_dir, "documents").select("doc_id", F.round(text.diversity(text.long_words(F.coalesce("text", F.lit("")))), 9).alias("diversity"))
+    return texts_table(spark, sf_dir, "documents").select(
+        "doc_id", F.round(text.diversity(text.long_words(F.coalesce("text", F.lit("")))), 9).alias("diversity"),
+    )
 
 
 def _count_sql(phrases) -> str:
@@ -71,10 +79,14 @@ s AS (SELECT *, CASE WHEN words < 100 THEN 0 ELSE least(100, CASE WHEN tr > 8 TH
 
 @query(f"WITH {_STYLE} SELECT doc_id, words::INTEGER AS words, un AS uniformity, pe AS personal, score AS style_score FROM s")
 def machine_style_page(spark, sf_dir):
-    return texts.machine_style(texts_table(spark, sf_dir, "documents"), "doc_id", separator="\n").select("doc_id", "words", "uniformity", "personal", "style_score")
+    return texts.machine_style(texts_table(spark, sf_dir, "documents"), "doc_id", separator="\n").select(
+        "doc_id", "words", "uniformity", "personal", "style_score",
+    )
 
 
-@query(f"WITH {_STYLE} SELECT lang, count(*) AS pages, {half_up_sql('avg(score)')} AS average_score, count_if(score >= 60)::BIGINT AS likely_machine, count_if(score < 30)::BIGINT AS likely_human FROM s WHERE words >= 100 GROUP BY lang")
+@query(
+    f"WITH {_STYLE} SELECT lang, count(*) AS pages, {half_up_sql('avg(score)')} AS average_score, count_if(score >= 60)::BIGINT AS likely_machine, count_if(score < 30)::BIGINT AS likely_human FROM s WHERE words >= 100 GROUP BY lang"
+)
 def machine_style_site(spark, sf_dir):
     return texts.machine_style_check(texts_table(spark, sf_dir, "documents"), "lang", separator="\n")
 
@@ -97,14 +109,20 @@ def snippet_readiness(spark, sf_dir):
 _FIGURES = " || ".join(f"regexp_extract_all(coalesce(text, ''), {quoted(p)})" for p in catalog.STATISTICS)
 
 
-@query(f"WITH t AS (SELECT doc_id, list_distinct({_FIGURES}) AS l FROM documents) SELECT doc_id, len(l)::INTEGER AS figures FROM t WHERE len(l) > 0")
+@query(
+    f"WITH t AS (SELECT doc_id, list_distinct({_FIGURES}) AS l FROM documents) SELECT doc_id, len(l)::INTEGER AS figures FROM t WHERE len(l) > 0"
+)
 def statistics_extract(spark, sf_dir):
     return texts.statistics_found(texts_table(spark, sf_dir, "documents"), "doc_id").select("doc_id", F.size("figures").alias("figures"))
 
 
-@query("SELECT source, count(*) AS pages, CAST(sum(n) AS BIGINT) AS in_groups FROM (SELECT source, text, count(*) AS n FROM documents WHERE text <> '' GROUP BY source, text) WHERE n > 1 GROUP BY source")
+@query(
+    "SELECT source, count(*) AS pages, CAST(sum(n) AS BIGINT) AS in_groups FROM (SELECT source, text, count(*) AS n FROM documents WHERE text <> '' GROUP BY source, text) WHERE n > 1 GROUP BY source"
+)
 def duplicate_texts(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where("text <> ''").groupBy("source", F.sha2("text", 256).alias("digest")).agg(F.count("*").alias("n"))
+    rows = table(spark, sf_dir, "documents").where("text <> ''").groupBy(
+        "source", F.sha2("text", 256).alias("digest"),
+    ).agg(F.count("*").alias("n"))
     return rows.where("n > 1").groupBy("source").agg(F.count("*").alias("pages"), F.sum("n").alias("in_groups"))
 
 
@@ -124,20 +142,28 @@ g AS (SELECT *, {half_up_sql('(answer * 30 + self_contained * 25 + structure * 2
 
 @query(f'WITH {_CITE} SELECT doc_id, place::INTEGER AS place, answer, self_contained, structure, figures, "unique", overall FROM g')
 def passage_dims(spark, sf_dir):
-    return citability.dimensions(texts.passages(texts_table(spark, sf_dir, "documents"), "doc_id", separator="\n")).select("doc_id", "place", *catalog.CITABILITY, "overall")
+    return citability.dimensions(
+        texts.passages(texts_table(spark, sf_dir, "documents"), "doc_id", separator="\n")
+    ).select("doc_id", "place", *catalog.CITABILITY, "overall")
 
 
-@query(f"WITH {_CITE} SELECT doc_id, count(*) AS passages, count_if(overall >= 70)::BIGINT AS high, {half_up_sql('avg(overall)')} AS score FROM g GROUP BY doc_id")
+@query(
+    f"WITH {_CITE} SELECT doc_id, count(*) AS passages, count_if(overall >= 70)::BIGINT AS high, {half_up_sql('avg(overall)')} AS score FROM g GROUP BY doc_id"
+)
 def page_citability(spark, sf_dir):
     return citability.by_text(texts_table(spark, sf_dir, "documents"), "doc_id", separator="\n")
 
 
-@query(f"WITH {_CITE}, c AS (SELECT doc_id, lang, count(*) AS n, count_if(overall >= 70) AS h, {half_up_sql('avg(overall)')} AS s FROM g WHERE doc_id IN (SELECT doc_id FROM documents WHERE len({_WORDS}) > 100) GROUP BY doc_id, lang) SELECT lang, sum(n)::BIGINT AS passages, sum(h)::BIGINT AS high, {half_up_sql('sum(s * n) / sum(n)')} AS score FROM c GROUP BY lang")
+@query(
+    f"WITH {_CITE}, c AS (SELECT doc_id, lang, count(*) AS n, count_if(overall >= 70) AS h, {half_up_sql('avg(overall)')} AS s FROM g WHERE doc_id IN (SELECT doc_id FROM documents WHERE len({_WORDS}) > 100) GROUP BY doc_id, lang) SELECT lang, sum(n)::BIGINT AS passages, sum(h)::BIGINT AS high, {half_up_sql('sum(s * n) / sum(n)')} AS score FROM c GROUP BY lang"
+)
 def site_citability(spark, sf_dir):
     return citability.by_site(texts_table(spark, sf_dir, "documents"), "doc_id", "lang", separator="\n")
 
 
-@query(f"WITH {_CITE}, r AS (SELECT doc_id, place::INTEGER AS place, overall, row_number() OVER (PARTITION BY doc_id ORDER BY overall, place DESC)::INTEGER AS rank FROM g WHERE overall < 50) SELECT doc_id, rank, place, overall FROM r WHERE rank <= 5")
+@query(
+    f"WITH {_CITE}, r AS (SELECT doc_id, place::INTEGER AS place, overall, row_number() OVER (PARTITION BY doc_id ORDER BY overall, place DESC)::INTEGER AS rank FROM g WHERE overall < 50) SELECT doc_id, rank, place, overall FROM r WHERE rank <= 5"
+)
 def weak_passages(spark, sf_dir):
     return citability.weakest(texts_table(spark, sf_dir, "documents"), "doc_id", separator="\n")
 
@@ -150,7 +176,9 @@ _QUESTIONS = f"""qw AS (SELECT doc_id, {_QW} AS w FROM documents), qh AS (SELECT
  UNION ALL SELECT doc_id, 1, concat_ws(' ', w[len(w) // 10 + 1], w[len(w) * 3 // 10 + 1], w[len(w) // 2 + 1], w[len(w) // 2 + 1], w[len(w) * 9 // 10 + 1]) || '?' FROM qw WHERE len(w) > 0)"""
 _TERMS = f"""qt AS (SELECT doc_id, question, list_filter(regexp_split_to_array(regexp_replace(heading, '[?''"]', '', 'g'), '{WS}+'), lambda w: length(w) > 3) AS t FROM qh)"""
 def _questions(spark, sf_dir):
-    docs = texts_table(spark, sf_dir, "documents").select("doc_id", text.words(F.coalesce("text", F.lit(""))).alias("w")).where(F.size("w") > 0)
+    docs = texts_table(spark, sf_dir, "documents").select(
+        "doc_id", text.words(F.coalesce("text", F.lit(""))).alias("w"),
+    ).where(F.size("w") > 0)
     at = lambda tenths: F.get("w", (F.size("w") * tenths / 10).cast("int"))
     first, spread = F.array_join(F.slice("w", 1, 6), " "), F.concat_ws(" ", at(1), at(3), at(5), at(5), at(9))
     told = F.array(*(F.struct(F.lit(k).alias("question"), F.concat(x, F.lit("?")).alias("heading")) for k, x in enumerate((first, spread))))
@@ -166,14 +194,22 @@ def passage_questions(spark, sf_dir):
     return citability.question_matches(found.select("doc_id", "place", "passage"), _questions(spark, sf_dir), "doc_id")
 
 
-@query(f"WITH {_MET} SELECT doc_id, count(*) AS passages, count(an.place)::BIGINT AS answering FROM g1 LEFT JOIN an USING (doc_id, place) GROUP BY doc_id")
+@query(
+    f"WITH {_MET} SELECT doc_id, count(*) AS passages, count(an.place)::BIGINT AS answering FROM g1 LEFT JOIN an USING (doc_id, place) GROUP BY doc_id"
+)
 def answering_passages(spark, sf_dir):
     found = texts.passages(texts_table(spark, sf_dir, "documents"), "doc_id", separator="\n").select("doc_id", "place", "passage")
-    answers = citability.question_matches(found, _questions(spark, sf_dir), "doc_id").select("doc_id", "place").distinct().withColumn("yes", F.lit(True))
-    return found.join(answers, ["doc_id", "place"], "left").groupBy("doc_id").agg(F.count("*").alias("passages"), F.count_if("yes").alias("answering"))
+    answers = citability.question_matches(found, _questions(spark, sf_dir), "doc_id").select("doc_id", "place").distinct().withColumn(
+        "yes", F.lit(True),
+    )
+    return found.join(answers, ["doc_id", "place"], "left").groupBy("doc_id").agg(
+        F.count("*").alias("passages"), F.count_if("yes").alias("answering"),
+    )
 
 
-_ADVISED = ", ".join(f"CASE WHEN {'\"unique\"' if c == 'unique' else c} < {least} THEN {quoted(advice)} END" for c, least, advice in catalog.ADVICE)
+_ADVISED = ", ".join(
+    f"CASE WHEN {'\"unique\"' if c == 'unique' else c} < {least} THEN {quoted(advice)} END" for c, least, advice in catalog.ADVICE
+)
 _SCORED = f"""{_MET}, s1 AS (SELECT g3.* REPLACE (least(100, answer + CASE WHEN an.place IS NULL THEN 0 ELSE 20 END) AS answer) FROM g3 LEFT JOIN an USING (doc_id, place)),
 s2 AS (SELECT *, {half_up_sql('(answer * 30 + self_contained * 25 + structure * 20 + figures * 15 + "unique" * 10) / 100')} AS overall FROM s1),
 s3 AS (SELECT *, list_filter([{_ADVISED}, CASE WHEN n < 100 THEN concat('Expand to 134-167 words (currently ', n, ')') WHEN n > 200 THEN concat('Split into focused passages of 134-167 words (currently ', n, ')') END], lambda x: x IS NOT NULL) AS parts FROM s2),
@@ -181,7 +217,9 @@ sd AS (SELECT *, CASE WHEN overall < 70 AND len(parts) > 0 THEN array_to_string(
 
 
 def _scored(spark, sf_dir):
-    return citability.scored(texts_table(spark, sf_dir, "documents").select("doc_id", "text"), _questions(spark, sf_dir), "doc_id", separator="\n")
+    return citability.scored(
+        texts_table(spark, sf_dir, "documents").select("doc_id", "text"), _questions(spark, sf_dir), "doc_id", separator="\n",
+    )
 
 
 @query(f'WITH {_SCORED} SELECT doc_id, place::INTEGER AS place, n::INTEGER AS words, answer::INTEGER AS answer, overall, advice FROM sd')
@@ -189,12 +227,21 @@ def passage_advice(spark, sf_dir):
     return _scored(spark, sf_dir).select("doc_id", "place", "words", F.col("answer").cast("int").alias("answer"), "overall", "advice")
 
 
-@query(f"WITH {_SCORED} SELECT doc_id, count(*) AS passages, count_if(overall >= 70)::BIGINT AS high, count_if(overall >= 70) / count(*) AS coverage, {half_up_sql('avg(overall)')} AS score, " + ", ".join(f"{half_up_sql('avg(' + quoted_name + ')')} AS {quoted_name}" for quoted_name in ('answer', 'self_contained', 'structure', 'figures', '"unique"')) + " FROM sd GROUP BY doc_id")
+@query(
+    f"WITH {_SCORED} SELECT doc_id, count(*) AS passages, count_if(overall >= 70)::BIGINT AS high, count_if(overall >= 70) / count(*) AS coverage, {half_up_sql('avg(overall)')} AS score, "
+    + ", ".join(
+        f"{half_up_sql('avg(' + quoted_name + ')')} AS {quoted_name}"
+        for quoted_name in ('answer', 'self_contained', 'structure', 'figures', '"unique"')
+    )
+    + " FROM sd GROUP BY doc_id"
+)
 def text_citability(spark, sf_dir):
     return citability.page_citability(_scored(spark, sf_dir), "doc_id")
 
 
-@query(f"WITH {_SCORED}, b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY overall DESC, place)::INTEGER AS rank FROM sd) SELECT doc_id, rank, place::INTEGER AS place, overall, n::INTEGER AS words, advice FROM b WHERE rank <= 5")
+@query(
+    f"WITH {_SCORED}, b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY overall DESC, place)::INTEGER AS rank FROM sd) SELECT doc_id, rank, place::INTEGER AS place, overall, n::INTEGER AS words, advice FROM b WHERE rank <= 5"
+)
 def best_passages(spark, sf_dir):
     return citability.best(_scored(spark, sf_dir), "doc_id")
 
@@ -216,27 +263,56 @@ x AS (SELECT page_id, url, site, path, trim(regexp_extract(html, '(?is)<title(?:
 f AS (SELECT *, len(list_filter(regexp_split_to_array(body, '{WS}+'), lambda w: w <> '')) AS words, (semantic >= 3 OR (divs > 0 AND semantic >= 0.1 * divs)) AS good_semantics FROM x)"""
 
 
-@query(f"WITH p AS (SELECT page_id, {_SITE} AS site, url, {_PATH} AS path FROM pages) SELECT page_id, site, CASE {_SECTION} ELSE 'Pages' END AS section FROM p")
+@query(
+    f"WITH p AS (SELECT page_id, {_SITE} AS site, url, {_PATH} AS path FROM pages) SELECT page_id, site, CASE {_SECTION} ELSE 'Pages' END AS section FROM p"
+)
 def page_sections(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", urls.domain_of(F.col("url")).alias("site"), urls.section_of(F.col("url")).alias("section"))
+    return table(spark, sf_dir, "pages").select(
+        "page_id", urls.domain_of(F.col("url")).alias("site"), urls.section_of(F.col("url")).alias("section"),
+    )
 
 
-@query(f"WITH {_FEATURES} SELECT page_id, site, title, has_h1, has_charset, has_doctype, html_bytes::INTEGER AS html_bytes, scripts::INTEGER AS scripts, lang, semantic::INTEGER AS semantic, divs::INTEGER AS divs, https, odd_url, words::INTEGER AS words, strlen(body)::INTEGER AS body_bytes FROM f")
+@query(
+    f"WITH {_FEATURES} SELECT page_id, site, title, has_h1, has_charset, has_doctype, html_bytes::INTEGER AS html_bytes, scripts::INTEGER AS scripts, lang, semantic::INTEGER AS semantic, divs::INTEGER AS divs, https, odd_url, words::INTEGER AS words, strlen(body)::INTEGER AS body_bytes FROM f"
+)
 def page_features(spark, sf_dir):
     rows = pages.features(texts_table(spark, sf_dir, "pages"))
-    return rows.select("page_id", "site", "title", "has_h1", "has_charset", "has_doctype", "html_bytes", "scripts", "lang", "semantic", "divs", "https", "odd_url", "words", F.octet_length("body").alias("body_bytes"))
+    return rows.select(
+        "page_id", "site", "title", "has_h1", "has_charset", "has_doctype", "html_bytes", "scripts", "lang", "semantic", "divs", "https",
+        "odd_url", "words", F.octet_length("body").alias("body_bytes"),
+    )
 
 
 def _items_sql() -> str:
     few = lambda x, n: f"CASE WHEN {x} = 0 THEN 'pass' WHEN {x} <= {n} THEN 'partial' ELSE 'fail' END"
     less = lambda x: half_up_sql(f"(1 - {x} / n) * 100")
     rows = [
-        ("Title Tags", half_up_sql("titled * 40 + CASE WHEN titled > 0 THEN fitting / titled ELSE 0.0 END * 30 + CASE WHEN n > 1 THEN 1 - repeated / n ELSE 1.0 END * 30"), None), ("Duplicate Titles", f"CASE WHEN with_title > 0 THEN {half_up_sql('(1 - in_repeated / with_title) * 100')} ELSE 100 END", few("in_repeated", 2)),
-        ("HTTPS Enforcement", half_up_sql("https * 100"), status_sql("https", 1, 0.8)), ("Missing H1 Heading", half_up_sql("h1 * 100"), status_sql("h1", 1, 0.9)), ("Character Encoding & Doctype", less("no_charset"), few("no_charset", 2)),
-        ("Server-side Rendering", half_up_sql("rendered * 100"), status_sql("rendered", 0.8, 0.5)), ("Semantic HTML Usage", half_up_sql("semantic * 100"), "CASE WHEN semantic >= 0.6 THEN 'pass' WHEN semantic > 0 THEN 'partial' ELSE 'fail' END"),
-        ("Text-to-HTML Ratio", less("thin"), few("thin", 3)), ("HTML Page Size", less("big"), few("big", 2)), ("URL Structure Quality", less("odd"), few("odd", 3)), ("Content Too Long for AI", less("long"), few("long", 2)),
-    ]
-    one = [f"SELECT site, {i} AS seq, {quoted(n)} AS name, {quoted(catalog.CATEGORY[n])} AS category, {s} AS score, {st or status_sql(s, 70, 40)} AS status, {quoted(catalog.SEVERITY[n])} AS own FROM j" for i, (n, s, st) in enumerate(rows)]
+        (
+            "Title Tags",
+            half_up_sql(
+                "titled * 40 + CASE WHEN titled > 0 THEN fitting / titled ELSE 0.0 END * 30 + CASE WHEN n > 1 THEN 1 - repeated / n ELSE 1.0 END * 30"
+            ),
+            None,
+        ),
+        (
+            "Duplicate Titles", f"CASE WHEN with_title > 0 THEN {half_up_sql('(1 - in_repeated / with_title) * 100')} ELSE 100 END",
+            few("in_repeated", 2),
+        ),
+        ("HTTPS Enforcement", half_up_sql("https * 100"), status_sql("https", 1, 0.8)),
+        ("Missing H1 Heading", half_up_sql("h1 * 100"), status_sql("h1", 1, 0.9)),
+        ("Character Encoding & Doctype", less("no_charset"), few("no_charset", 2)),
+        ("Server-side Rendering", half_up_sql("rendered * 100"), status_sql("rendered", 0.8, 0.5)),
+        (
+            "Semantic HTML Usage", half_up_sql("semantic * 100"),
+            "CASE WHEN semantic >= 0.6 THEN 'pass' WHEN semantic > 0 THEN 'partial' ELSE 'fail' END",
+        ),
+        ("Text-to-HTML Ratio", less("thin"), few("thin", 3)), ("HTML Page Size", less("big"), few("big", 2)),
+        ("URL Structure Quality", less("odd"), few("odd", 3)), ("Content Too Long for AI", less("long"), few("long", 2)),
+    ]
+    one = [
+        f"SELECT site, {i} AS seq, {quoted(n)} AS name, {quoted(catalog.CATEGORY[n])} AS category, {s} AS score, {st or status_sql(s, 70, 40)} AS status, {quoted(catalog.SEVERITY[n])} AS own FROM j"
+        for i, (n, s, st) in enumerate(rows)
+    ]
     return f"""{_FEATURES}, s AS (SELECT site, count(*) AS n, count_if(https) / count(*) AS https, count_if(has_h1) / count(*) AS h1, count_if(NOT (has_charset AND has_doctype)) AS no_charset, count_if(words > 50) / count(*) AS rendered, count_if(good_semantics) / count(*) AS semantic,
   count_if(strlen(body) < 0.1 * html_bytes) AS thin, count_if(html_bytes > 2097152) AS big, count_if(odd_url) AS odd, count_if(words > 10000) AS long, count_if(title <> '') / count(*) AS titled, count_if(title <> '' AND length(title) BETWEEN 30 AND 70) / count(*) AS fitting FROM f GROUP BY site),
 t AS (SELECT site, count_if(k > 1) AS repeated, sum(CASE WHEN k > 1 THEN k ELSE 0 END) AS in_repeated, sum(k) AS with_title FROM (SELECT site, title, count(*) AS k FROM f WHERE title <> '' GROUP BY site, title) GROUP BY site),
@@ -257,17 +333,23 @@ def page_checks(spark, sf_dir):
     return _items(spark, sf_dir)
 
 
-@query(f"WITH {_FEATURES}, r AS (SELECT site, page_id, url, row_number() OVER (PARTITION BY site ORDER BY page_id)::INTEGER AS place FROM f WHERE NOT https) SELECT * FROM r WHERE place <= 20")
+@query(
+    f"WITH {_FEATURES}, r AS (SELECT site, page_id, url, row_number() OVER (PARTITION BY site ORDER BY page_id)::INTEGER AS place FROM f WHERE NOT https) SELECT * FROM r WHERE place <= 20"
+)
 def affected_urls_top20(spark, sf_dir):
     return pages.affected(pages.features(table(spark, sf_dir, "pages")), ~F.col("https"))
 
 
-@query(f"WITH {_FEATURES}, r AS (SELECT site, scripts, row_number() OVER (PARTITION BY site ORDER BY scripts) AS r, count(*) OVER (PARTITION BY site) AS n FROM f) SELECT site, n AS pages, scripts::INTEGER AS median FROM r WHERE r = n // 2 + 1")
+@query(
+    f"WITH {_FEATURES}, r AS (SELECT site, scripts, row_number() OVER (PARTITION BY site ORDER BY scripts) AS r, count(*) OVER (PARTITION BY site) AS n FROM f) SELECT site, n AS pages, scripts::INTEGER AS median FROM r WHERE r = n // 2 + 1"
+)
 def script_median(spark, sf_dir):
     return pages.upper_median(pages.features(table(spark, sf_dir, "pages")), "site", "scripts")
 
 
-@query(f"WITH {_FEATURES}, c AS (SELECT site, lang, count(*) AS n, min(page_id) AS first FROM f WHERE lang <> '' GROUP BY site, lang) SELECT site, arg_min(lang, (-n, first)) AS lang FROM c GROUP BY site".replace("arg_min(lang, (-n, first))", "arg_min(lang, row(-n, first))"))
+@query(
+    f"WITH {_FEATURES}, c AS (SELECT site, lang, count(*) AS n, min(page_id) AS first FROM f WHERE lang <> '' GROUP BY site, lang) SELECT site, arg_min(lang, (-n, first)) AS lang FROM c GROUP BY site".replace("arg_min(lang, (-n, first))", "arg_min(lang, row(-n, first))")
+)
 def modal_language(spark, sf_dir):
     return pages.modal(pages.features(table(spark, sf_dir, "pages")), "site", "lang", "page_id")
 
@@ -311,17 +393,23 @@ _GRADE = grade_sql
 _OVERALL = half_up_sql(f"sum(score * {_W}) / sum(max_score * {_W}) * 100")
 
 
-@query(f"WITH {_ITEMS}, o AS (SELECT site, {_OVERALL} AS overall FROM items GROUP BY site) SELECT site, overall, {_GRADE('overall')} AS grade FROM o")
+@query(
+    f"WITH {_ITEMS}, o AS (SELECT site, {_OVERALL} AS overall FROM items GROUP BY site) SELECT site, overall, {_GRADE('overall')} AS grade FROM o"
+)
 def overall_score(spark, sf_dir):
     return composite.overall(_items(spark, sf_dir))
 
 
-@query(f"WITH {_ITEMS} SELECT site, category, count_if(status IN ('pass', 'partial'))::BIGINT AS passed, count(*) AS total, {half_up_sql('sum(score) / sum(max_score) * 100')} AS score FROM items GROUP BY site, category")
+@query(
+    f"WITH {_ITEMS} SELECT site, category, count_if(status IN ('pass', 'partial'))::BIGINT AS passed, count(*) AS total, {half_up_sql('sum(score) / sum(max_score) * 100')} AS score FROM items GROUP BY site, category"
+)
 def category_summary(spark, sf_dir):
     return composite.category_summary(_items(spark, sf_dir))
 
 
-@query(f"WITH {_ITEMS} SELECT site, severity, count(*) AS issues FROM items WHERE status <> 'pass' AND severity <> 'info' GROUP BY site, severity")
+@query(
+    f"WITH {_ITEMS} SELECT site, severity, count(*) AS issues FROM items WHERE status <> 'pass' AND severity <> 'info' GROUP BY site, severity"
+)
 def issue_counts(spark, sf_dir):
     return composite.issue_counts(_items(spark, sf_dir))
 
@@ -342,7 +430,9 @@ SELECT site, name, coalesce(x, 0) AS before, coalesce(y, 0) AS after, coalesce(w
  WHEN was <> 'pass' AND now = 'pass' THEN 'resolved' WHEN was = 'pass' AND now <> 'pass' THEN 'new_issue' WHEN coalesce(y, 0) > coalesce(x, 0) THEN 'improved' WHEN coalesce(y, 0) < coalesce(x, 0) THEN 'regressed' ELSE 'unchanged' END AS bucket FROM d""")
 def scan_diff(spark, sf_dir):
     items = _items(spark, sf_dir).persist()  # both audits read it
-    after = items.where("seq <> 5").withColumns({"score": F.expr(_LATER), "status": F.expr("CASE WHEN seq % 3 = 0 THEN 'pass' ELSE status END")})
+    after = items.where("seq <> 5").withColumns(
+        {"score": F.expr(_LATER), "status": F.expr("CASE WHEN seq % 3 = 0 THEN 'pass' ELSE status END")}
+    )
     return composite.diff(items.where("seq <> 4"), after)
 
 
@@ -354,8 +444,16 @@ _MENTION = f"m AS (SELECT *, CASE WHEN len(list_filter(citations, lambda c: cont
 
 
 def _answers(spark, sf_dir) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("engine"), F.col("text").alias("response"), F.when(F.col("conv_id") % 7 == 0, "timeout").alias("error"))
-    return rows.withColumn("citations", F.when(F.col("conv_id") % 5 == 0, F.array(F.lit("https://www.the.example/x"))).otherwise(F.array(F.lit("https://oddsite.example/"))))
+    rows = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.col("role").alias("engine"), F.col("text").alias("response"),
+        F.when(F.col("conv_id") % 7 == 0, "timeout").alias("error"),
+    )
+    return rows.withColumn(
+        "citations",
+        F.when(
+            F.col("conv_id") % 5 == 0, F.array(F.lit("https://www.the.example/x")),
+        ).otherwise(F.array(F.lit("https://oddsite.example/"))),
+    )
 
 
 _ANSWERS = _ANSWERS.replace("https://other.example/", "https://oddsite.example/")
@@ -369,7 +467,9 @@ def citation_detect(spark, sf_dir):
 @query(f"""WITH {_ANSWERS}, t AS (SELECT conv_id, turn, response, instr(lower(response), '{_BRAND}') AS tm FROM a), b AS (SELECT *, greatest(1, tm - 100) AS s, least(length(response), tm + {len(_BRAND) - 1} + 100) AS e FROM t WHERE tm > 0)
 SELECT conv_id, turn, concat(CASE WHEN s > 1 THEN '...' ELSE '' END, substring(response, s, e - s + 1), CASE WHEN e < length(response) THEN '...' ELSE '' END) AS context FROM b""")
 def mention_context(spark, sf_dir):
-    rows = _answers(spark, sf_dir).select("conv_id", "turn", visibility.context(F.coalesce("response", F.lit("")), F.lit(_BRAND)).alias("context"))
+    rows = _answers(spark, sf_dir).select(
+        "conv_id", "turn", visibility.context(F.coalesce("response", F.lit("")), F.lit(_BRAND)).alias("context"),
+    )
     return rows.where("context IS NOT NULL")
 
 
@@ -381,7 +481,9 @@ def engine_scores(spark, sf_dir):
     return visibility.engine_scores(visibility.citations(_answers(spark, sf_dir), _DOMAIN, _BRAND))
 
 
-@query(f"WITH {_ANSWERS}, {_MENTION}, {_ENGINES}, o AS (SELECT {half_up_sql('avg(score)')} AS visibility FROM g) SELECT visibility, {_GRADE('visibility')} AS grade FROM o")
+@query(
+    f"WITH {_ANSWERS}, {_MENTION}, {_ENGINES}, o AS (SELECT {half_up_sql('avg(score)')} AS visibility FROM g) SELECT visibility, {_GRADE('visibility')} AS grade FROM o"
+)
 def overall_visibility(spark, sf_dir):
     return visibility.overall(visibility.engine_scores(visibility.citations(_answers(spark, sf_dir), _DOMAIN, _BRAND)))
 
@@ -395,7 +497,9 @@ def _jobs(spark, sf_dir) -> DataFrame:
     return history.jobs_of(table(spark, sf_dir, "events"))
 
 
-@query(f"WITH {_JOBS}, r AS (SELECT *, row_number() OVER (PARTITION BY domain, type ORDER BY tm DESC, job_id DESC) AS r FROM j) SELECT domain, type, job_id, status, score FROM r WHERE r = 1")
+@query(
+    f"WITH {_JOBS}, r AS (SELECT *, row_number() OVER (PARTITION BY domain, type ORDER BY tm DESC, job_id DESC) AS r FROM j) SELECT domain, type, job_id, status, score FROM r WHERE r = 1"
+)
 def latest_per_key(spark, sf_dir):
     return history.latest(_jobs(spark, sf_dir), "domain", "type").drop("at")
 
@@ -406,9 +510,14 @@ def score_trend(spark, sf_dir):
     return history.trend(_jobs(spark, sf_dir), "domain", "type").drop("average")
 
 
-@query(f"WITH {_JOBS} SELECT domain, count(*) AS jobs, count_if(status = 'failed')::BIGINT AS failed, round(count_if(status = 'failed') / count(*), 6) AS failure_rate FROM j GROUP BY domain")
+@query(
+    f"WITH {_JOBS} SELECT domain, count(*) AS jobs, count_if(status = 'failed')::BIGINT AS failed, round(count_if(status = 'failed') / count(*), 6) AS failure_rate FROM j GROUP BY domain"
+)
 def failure_rate(spark, sf_dir):
-    return _jobs(spark, sf_dir).groupBy("domain").agg(F.count("*").alias("jobs"), F.count_if(F.col("status") == "failed").alias("failed"), F.round(F.count_if(F.col("status") == "failed") / F.count("*"), 6).alias("failure_rate"))
+    return _jobs(spark, sf_dir).groupBy("domain").agg(
+        F.count("*").alias("jobs"), F.count_if(F.col("status") == "failed").alias("failed"),
+        F.round(F.count_if(F.col("status") == "failed") / F.count("*"), 6).alias("failure_rate"),
+    )
 
 
 _NOW = "2024-02-01 00:00:00"
@@ -433,7 +542,9 @@ def recent_log(spark, sf_dir):
     return history.recent(_jobs(spark, sf_dir), "at", 200).select("job_id", "domain", "type")
 
 
-@query(f"WITH {_JOBS} SELECT job_id, domain, max(score) OVER w AS best, row_number() OVER w::INTEGER AS run FROM j WINDOW w AS (PARTITION BY domain ORDER BY tm, job_id ROWS UNBOUNDED PRECEDING)".replace("row_number() OVER w::INTEGER", "CAST(row_number() OVER w AS INTEGER)"))
+@query(
+    f"WITH {_JOBS} SELECT job_id, domain, max(score) OVER w AS best, row_number() OVER w::INTEGER AS run FROM j WINDOW w AS (PARTITION BY domain ORDER BY tm, job_id ROWS UNBOUNDED PRECEDING)".replace("row_number() OVER w::INTEGER", "CAST(row_number() OVER w AS INTEGER)")
+)
 def running_best(spark, sf_dir):
     return history.running_best(_jobs(spark, sf_dir))
 
@@ -443,11 +554,15 @@ def json_pluck(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k INT")["k"].alias("k"))
 
 
-@query("SELECT user_id AS domain, max(value) AS score FROM events WHERE event_id % 2 = 1 AND user_id % 3 = 0 GROUP BY user_id UNION ALL SELECT user_id, max(value) FROM events WHERE event_id % 2 = 0 AND user_id NOT IN (SELECT user_id FROM events WHERE event_id % 2 = 1 AND user_id % 3 = 0) GROUP BY user_id")
+@query(
+    "SELECT user_id AS domain, max(value) AS score FROM events WHERE event_id % 2 = 1 AND user_id % 3 = 0 GROUP BY user_id UNION ALL SELECT user_id, max(value) FROM events WHERE event_id % 2 = 0 AND user_id NOT IN (SELECT user_id FROM events WHERE event_id % 2 = 1 AND user_id % 3 = 0) GROUP BY user_id"
+)
 def upsert_latest(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     rows = lambda c: events.where(c).groupBy(F.col("user_id").alias("domain")).agg(F.max("value").alias("score"))
-    current, changes = rows("event_id % 2 = 0").withColumn("version", F.lit(1)), rows("event_id % 2 = 1 AND user_id % 3 = 0").withColumn("version", F.lit(2))
+    current, changes = rows("event_id % 2 = 0").withColumn("version", F.lit(1)), rows(
+        "event_id % 2 = 1 AND user_id % 3 = 0"
+    ).withColumn("version", F.lit(2))
     return history.upsert(current, changes, "domain", "version").select("domain", "score")
 
 
@@ -470,13 +585,35 @@ def _records_sql() -> str:
     card, author, alt = percent("tw / (3 * n)"), f"least(100, {half_up_sql(share('authored', 'content') + ' * 60 + ' + share('bios', 'content') + ' * 40')})", f"CASE WHEN images = 0 THEN 100 ELSE {percent('alts / images')} END"
     less = lambda x: percent("1 - " + share(x))
     rows = [
-        ("Content Structure & Depth", depth, by_score(depth)), ("Heading Hierarchy", f"CASE WHEN headed > 0 THEN {percent(share('ordered', 'headed'))} ELSE 0 END", f"CASE WHEN headed = 0 THEN 'not_applicable' ELSE {status_sql(share('ordered', 'headed'), 0.8, 0.5)} END"),
-        ("Meta Descriptions", percent(share("described")), status_sql(share("described"), 0.8, 0.5)), ("Duplicate Meta Descriptions", f"CASE WHEN told > 0 THEN {percent('1 - ' + share('repeated', 'told'))} ELSE 100 END", few("repeated", 2)),
-        ("Compression", percent(share("packed")), f"CASE WHEN {share('packed')} >= 0.8 THEN 'pass' WHEN packed > 0 THEN 'partial' ELSE 'fail' END"), ("Open Graph Tags", percent(share("og")), status_sql(share("og"), 0.8, 0.5)), ("Twitter Card Tags", card, by_score(card)),
-        ("Author & Expertise Signals", f"CASE WHEN content = 0 THEN 50 ELSE {author} END", f"CASE WHEN content = 0 THEN 'partial' ELSE {by_score(author)} END"), ("Image Alt Text", alt, status_sql(f"({alt})", 80, 50)), ("Mobile Viewport", percent(share("fitted")), status_sql(share("fitted"), 0.9, 0.5)),
-        ("Broken Pages", less("broken"), f"CASE WHEN broken = 0 THEN 'pass' WHEN {share('broken')} <= 0.1 THEN 'partial' ELSE 'fail' END"), ("Page Response Time", less("slow"), few("slow", 3)), ("Redirect Chains", less("chains"), few("chains", 3)), ("Crawl Depth", less("buried"), few("buried", 5)),
-    ]
-    one = [f"SELECT site, {i} AS seq, {quoted(n)} AS name, {quoted(catalog.CATEGORY[n])} AS category, ({sc})::INTEGER AS score, {st} AS status, {quoted(catalog.SEVERITY[n])} AS own FROM j" for i, (n, sc, st) in enumerate(rows)]
+        ("Content Structure & Depth", depth, by_score(depth)),
+        (
+            "Heading Hierarchy", f"CASE WHEN headed > 0 THEN {percent(share('ordered', 'headed'))} ELSE 0 END",
+            f"CASE WHEN headed = 0 THEN 'not_applicable' ELSE {status_sql(share('ordered', 'headed'), 0.8, 0.5)} END",
+        ),
+        ("Meta Descriptions", percent(share("described")), status_sql(share("described"), 0.8, 0.5)),
+        (
+            "Duplicate Meta Descriptions", f"CASE WHEN told > 0 THEN {percent('1 - ' + share('repeated', 'told'))} ELSE 100 END",
+            few("repeated", 2),
+        ),
+        (
+            "Compression", percent(share("packed")),
+            f"CASE WHEN {share('packed')} >= 0.8 THEN 'pass' WHEN packed > 0 THEN 'partial' ELSE 'fail' END",
+        ),
+        ("Open Graph Tags", percent(share("og")), status_sql(share("og"), 0.8, 0.5)), ("Twitter Card Tags", card, by_score(card)),
+        (
+            "Author & Expertise Signals", f"CASE WHEN content = 0 THEN 50 ELSE {author} END",
+            f"CASE WHEN content = 0 THEN 'partial' ELSE {by_score(author)} END",
+        ),
+        ("Image Alt Text", alt, status_sql(f"({alt})", 80, 50)),
+        ("Mobile Viewport", percent(share("fitted")), status_sql(share("fitted"), 0.9, 0.5)),
+        ("Broken Pages", less("broken"), f"CASE WHEN broken = 0 THEN 'pass' WHEN {share('broken')} <= 0.1 THEN 'partial' ELSE 'fail' END"),
+        ("Page Response Time", less("slow"), few("slow", 3)), ("Redirect Chains", less("chains"), few("chains", 3)),
+        ("Crawl Depth", less("buried"), few("buried", 5)),
+    ]
+    one = [
+        f"SELECT site, {i} AS seq, {quoted(n)} AS name, {quoted(catalog.CATEGORY[n])} AS category, ({sc})::INTEGER AS score, {st} AS status, {quoted(catalog.SEVERITY[n])} AS own FROM j"
+        for i, (n, sc, st) in enumerate(rows)
+    ]
     levels = "CASE kind " + " ".join(f"WHEN {i} THEN {list(x)}::INTEGER[]" for i, x in enumerate(_LEVELS)) + " END"
     return f"""r AS (SELECT *, {levels} AS levels FROM ({_RECORDS.replace("substring(text, 1, CAST(20 + doc_id % 40 AS INT))", "substring(text, 1, (20 + doc_id % 40)::INT)").replace("n_chars / 6", "n_chars // 6")})),
 s AS (SELECT site, count(*) AS n, count_if(words < 300) AS thin, count_if(words > 500) AS deep, count_if(words > 500 AND len(levels) >= 3) AS built, count_if(len(levels) > 0) AS headed, count_if(kind = 1) AS ordered, count_if(length(coalesce(description, '')) >= 30) AS described,
@@ -503,7 +640,9 @@ def record_checks(spark, sf_dir):
     return records.record_checks(_records(spark, sf_dir))
 
 
-@query(f"WITH {_RECORD_ITEMS}, o AS (SELECT site, {_OVERALL} AS overall FROM items WHERE status <> 'not_applicable' GROUP BY site) SELECT site, overall, {_GRADE('overall')} AS grade FROM o")
+@query(
+    f"WITH {_RECORD_ITEMS}, o AS (SELECT site, {_OVERALL} AS overall FROM items WHERE status <> 'not_applicable' GROUP BY site) SELECT site, overall, {_GRADE('overall')} AS grade FROM o"
+)
 def record_overall_score(spark, sf_dir):
     return composite.overall(records.record_checks(_records(spark, sf_dir)))
 

@@ -23,18 +23,31 @@ PLACE = '[{"@type":"Place","address":{"addressLocality":"Vilnius","addressCountr
 LISTED = '[{"@type":["HowTo","FAQPage"]},{"@type":"FAQPage"},{"@type":"BreadcrumbList"}]'
 #: Fields by name, in SQL that both engines read; ``d`` is the number of the page and ``t`` its text in plain characters.
 FIELDS = {
-    "h1": "CASE WHEN d % 6 <> 0 THEN concat('Heading ', d) END", "question": "CASE WHEN d % 4 = 1 THEN 'What is this about?' END", "reply": "CASE WHEN d % 4 = 1 THEN 'It is a short answer to that very question.' END", "h4": "CASE WHEN d % 4 = 2 THEN 'Step 1 begin here' END", "h5": "CASE WHEN d % 8 = 2 THEN '2. Go on from there' END",
-    "stat": "CASE WHEN d % 5 = 1 THEN 'Sales grew 45% and 3 out of 4 agree, according to Nature Group.' END", "told": "CASE WHEN d % 13 = 3 THEN 'In my experience this case study won an award, our research by certified staff.' END",
-    "li1": "CASE WHEN d % 4 = 0 THEN 'First item' END", "li2": "CASE WHEN d % 4 = 0 THEN 'Second item' END", "cells": "CASE WHEN d % 6 = 2 THEN 'A1 B1 A2 B2' END", "quote": "CASE WHEN d % 7 = 0 THEN 'Quoted words that are long enough to count.' END",
+    "h1": "CASE WHEN d % 6 <> 0 THEN concat('Heading ', d) END", "question": "CASE WHEN d % 4 = 1 THEN 'What is this about?' END",
+    "reply": "CASE WHEN d % 4 = 1 THEN 'It is a short answer to that very question.' END",
+    "h4": "CASE WHEN d % 4 = 2 THEN 'Step 1 begin here' END", "h5": "CASE WHEN d % 8 = 2 THEN '2. Go on from there' END",
+    "stat": "CASE WHEN d % 5 = 1 THEN 'Sales grew 45% and 3 out of 4 agree, according to Nature Group.' END",
+    "told": "CASE WHEN d % 13 = 3 THEN 'In my experience this case study won an award, our research by certified staff.' END",
+    "li1": "CASE WHEN d % 4 = 0 THEN 'First item' END", "li2": "CASE WHEN d % 4 = 0 THEN 'Second item' END",
+    "cells": "CASE WHEN d % 6 = 2 THEN 'A1 B1 A2 B2' END",
+    "quote": "CASE WHEN d % 7 = 0 THEN 'Quoted words that are long enough to count.' END",
     "dq": "CASE WHEN d % 5 = 0 THEN 'How long does it take?' END", "da": "CASE WHEN d % 5 = 0 THEN 'About three days.' END",
     "raw_title": "trim(CASE WHEN d % 10 = 1 THEN 'Shared title of all those pages here' WHEN d % 9 = 4 THEN '' ELSE concat('Page ', d, ' on ', substr(t, 1, d % 60)) END)",
-    "raw_description": "CASE WHEN d % 3 = 0 THEN '' ELSE trim(substr(t, 1, 20 + d % 40)) END", "og_title": "CASE WHEN d % 2 = 0 THEN concat('Og ', d) END", "og_description": "CASE WHEN d % 5 <> 0 THEN 'A described page & more' END",
-    "tw_card": "CASE WHEN d % 4 = 0 THEN 'summary' END", "tw_title": "CASE WHEN d % 4 < 2 THEN 't' END", "tw_description": "CASE WHEN d % 6 = 0 THEN 'd' END", "viewport": "CASE WHEN d % 11 <> 0 THEN 'width=device-width' END",
-    "robots": "CASE WHEN d % 8 = 0 THEN 'max-snippet:-1, max-image-preview:large' WHEN d % 31 = 5 THEN 'NOINDEX' END", "google": "CASE WHEN d % 97 = 3 THEN 'g' END", "bing": "CASE WHEN d % 89 = 7 THEN 'b' END",
-    "canonical": "CASE WHEN d % 3 = 1 THEN url WHEN d % 6 = 2 THEN concat('https://', source, '.example/gone/', d) END", "charset": "CASE WHEN d % 12 <> 0 THEN 'utf-8' END", "author": "CASE WHEN d % 2 = 1 THEN 'Ann Author' END", "author_bio": "CASE WHEN d % 8 = 1 THEN 'Writes about things since long ago.' END",
-    "published": "CASE WHEN d % 6 = 1 THEN '2024-01-05T00:00:00Z' END", "modified": "CASE WHEN d % 12 = 1 THEN '2022-03-01' END", "last_modified": "CASE WHEN d % 5 = 3 THEN 'Mon, 01 Apr 2024 10:00:00 GMT' END", "x_robots": "CASE WHEN d % 53 = 9 THEN 'noindex' END",
-    "og_image": "CASE WHEN d % 4 = 2 THEN '/og.png' END", "generator": "CASE WHEN d % 6 = 4 THEN 'Hugo 1' END", "favicon": "CASE WHEN d % 3 = 0 THEN '/f.ico' END", "copyright": "CASE WHEN d % 5 = 3 THEN concat('© 2024 ', source, ' Co.') END",
-}
+    "raw_description": "CASE WHEN d % 3 = 0 THEN '' ELSE trim(substr(t, 1, 20 + d % 40)) END",
+    "og_title": "CASE WHEN d % 2 = 0 THEN concat('Og ', d) END",
+    "og_description": "CASE WHEN d % 5 <> 0 THEN 'A described page & more' END", "tw_card": "CASE WHEN d % 4 = 0 THEN 'summary' END",
+    "tw_title": "CASE WHEN d % 4 < 2 THEN 't' END", "tw_description": "CASE WHEN d % 6 = 0 THEN 'd' END",
+    "viewport": "CASE WHEN d % 11 <> 0 THEN 'width=device-width' END",
+    "robots": "CASE WHEN d % 8 = 0 THEN 'max-snippet:-1, max-image-preview:large' WHEN d % 31 = 5 THEN 'NOINDEX' END",
+    "google": "CASE WHEN d % 97 = 3 THEN 'g' END", "bing": "CASE WHEN d % 89 = 7 THEN 'b' END",
+    "canonical": "CASE WHEN d % 3 = 1 THEN url WHEN d % 6 = 2 THEN concat('https://', source, '.example/gone/', d) END",
+    "charset": "CASE WHEN d % 12 <> 0 THEN 'utf-8' END", "author": "CASE WHEN d % 2 = 1 THEN 'Ann Author' END",
+    "author_bio": "CASE WHEN d % 8 = 1 THEN 'Writes about things since long ago.' END",
+    "published": "CASE WHEN d % 6 = 1 THEN '2024-01-05T00:00:00Z' END", "modified": "CASE WHEN d % 12 = 1 THEN '2022-03-01' END",
+    "last_modified": "CASE WHEN d % 5 = 3 THEN 'Mon, 01 Apr 2024 10:00:00 GMT' END", "x_robots": "CASE WHEN d % 53 = 9 THEN 'noindex' END",
+    "og_image": "CASE WHEN d % 4 = 2 THEN '/og.png' END", "generator": "CASE WHEN d % 6 = 4 THEN 'Hugo 1' END",
+    "favicon": "CASE WHEN d % 3 = 0 THEN '/f.ico' END", "copyright": "CASE WHEN d % 5 = 3 THEN concat('© 2024 ', source, ' Co.') END",
+}
 BODY = ("h1", "question", "reply", "h4", "h5", "t", "stat", "told", "li1", "li2", "cells", "quote", "dq", "da")
 
 
@@ -61,39 +74,86 @@ def rich_pages(spark, sf_dir: str) -> DataFrame:
         return F.when(F.coalesce(F.col(name), F.lit("")) != "", F.concat(F.lit(before), escaped(F.col(name)), F.lit(after))).otherwise("")
 
     plain = lambda condition, markup: F.when(condition, markup).otherwise("")
-    image = lambda k: plain(d % 4 > k, F.concat(F.lit(f'<img src="/i{k}.png"'), plain(d % 3 > k, ' alt="An image"'), plain((d % 2 == 0) & F.lit(k == 0), ' srcset="/i0.png 2x"'), F.lit(">")))
+    image = lambda k: plain(
+        d % 4 > k,
+        F.concat(
+            F.lit(f'<img src="/i{k}.png"'), plain(d % 3 > k, ' alt="An image"'),
+            plain((d % 2 == 0) & F.lit(k == 0), ' srcset="/i0.png 2x"'), F.lit(">"),
+        ),
+    )
     block = lambda condition, json: plain(condition, f'<script type="application/ld+json">{json}</script>')
     section = F.regexp_extract("url", "example/([^/]*)/", 1)
     head = [
-        plain(d % 14 != 0, "<!DOCTYPE html>\n"), F.concat(F.lit('<html lang="'), F.col("lang"), F.lit('"><head>')), tag('<meta charset="{}">', "charset"), tag("<title> {} </title>", "raw_title"), tag('<meta name="description" content="{}">', "raw_description"),
-        tag('<meta property="og:title" content="{}">', "og_title"), tag('<meta property="og:description" content="{}">', "og_description"), tag('<meta name="twitter:card" content="{}">', "tw_card"), tag("<META property='twitter:title' CONTENT='{}'/>", "tw_title"), tag('<meta name="twitter:description" content="{}">', "tw_description"),
-        tag('<meta name="viewport" content="{}">', "viewport"), tag('<meta name="robots" content="{}">', "robots"), tag('<meta name="google-site-verification" content="{}">', "google"), tag('<meta name="msvalidate.01" content="{}">', "bing"), tag('<link rel="canonical" href="{}">', "canonical"), tag('<meta name="author" content="{}">', "author"),
-        tag('<meta property="og:image" content="{}">', "og_image"), tag('<meta name="generator" content="{}">', "generator"), tag('<link rel="icon" href="{}">', "favicon"),
-        tag('<meta property="article:published_time" content="{}">', "published"), tag('<meta name="dateModified" content="{}">', "modified"), plain(d % 5 == 2, '<link rel="alternate" hreflang="en" href="/en"><link rel="alternate" hreflang="de-AT" href="/de">'),
-        block(d % 6 == 1, ARTICLE), block(d % 50 == 2, GRAPH), block(d % 7 == 3, LISTED), block(d % 11 == 4, "{broken"), block(d % 31 == 7, PLACE), F.lit("<style>main { color: red }</style></head>\n<body>"),
-    ]
+        plain(d % 14 != 0, "<!DOCTYPE html>\n"), F.concat(F.lit('<html lang="'), F.col("lang"), F.lit('"><head>')),
+        tag('<meta charset="{}">', "charset"), tag("<title> {} </title>", "raw_title"),
+        tag('<meta name="description" content="{}">', "raw_description"), tag('<meta property="og:title" content="{}">', "og_title"),
+        tag('<meta property="og:description" content="{}">', "og_description"), tag('<meta name="twitter:card" content="{}">', "tw_card"),
+        tag("<META property='twitter:title' CONTENT='{}'/>", "tw_title"),
+        tag('<meta name="twitter:description" content="{}">', "tw_description"), tag('<meta name="viewport" content="{}">', "viewport"),
+        tag('<meta name="robots" content="{}">', "robots"), tag('<meta name="google-site-verification" content="{}">', "google"),
+        tag('<meta name="msvalidate.01" content="{}">', "bing"), tag('<link rel="canonical" href="{}">', "canonical"),
+        tag('<meta name="author" content="{}">', "author"), tag('<meta property="og:image" content="{}">', "og_image"),
+        tag('<meta name="generator" content="{}">', "generator"), tag('<link rel="icon" href="{}">', "favicon"),
+        tag('<meta property="article:published_time" content="{}">', "published"),
+        tag('<meta name="dateModified" content="{}">', "modified"),
+        plain(d % 5 == 2, '<link rel="alternate" hreflang="en" href="/en"><link rel="alternate" hreflang="de-AT" href="/de">'),
+        block(d % 6 == 1, ARTICLE), block(d % 50 == 2, GRAPH), block(d % 7 == 3, LISTED), block(d % 11 == 4, "{broken"),
+        block(d % 31 == 7, PLACE), F.lit("<style>main { color: red }</style></head>\n<body>"),
+    ]
     around = [
-        F.lit('<nav><a href="#main">Skip</a>'), F.when(F.col("prev").isNotNull(), F.concat(F.lit('<a href="'), F.col("prev"), F.lit('">Previous</a>'))).otherwise(""), F.concat(F.lit('<a href="'), F.col("hub"), F.lit('#top">Hub</a>')),
-        F.concat(F.lit('<a href="../'), section, F.lit("/./"), d.cast("string"), F.lit('/">This</a>')), F.lit('<a href="//Other.example/a/">Other</a>'),
-        plain(d % 2 == 1, F.concat(F.lit('<a href="https://out.example/p'), (d % 40).cast("string"), F.lit('">Out</a>'))), plain(d % 4 == 1, '<a href="https://www.youtube.com/us">Y</a>'), plain(d % 10 == 0, '<a rel="nofollow" href="/login">Log in</a>'), plain(d % 3 == 0, '<a href="https://twitter.com/us">T</a>'),
-        plain(d % 6 == 0, '<a href="https://www.linkedin.com/company/us">L</a>'), F.lit("</nav>"), plain(d % 3 == 1, '<div class="breadcrumbs"><a href="/">Home</a> <span>Here</span></div>'),
-    ]
+        F.lit('<nav><a href="#main">Skip</a>'),
+        F.when(F.col("prev").isNotNull(), F.concat(F.lit('<a href="'), F.col("prev"), F.lit('">Previous</a>'))).otherwise(""),
+        F.concat(F.lit('<a href="'), F.col("hub"), F.lit('#top">Hub</a>')),
+        F.concat(F.lit('<a href="../'), section, F.lit("/./"), d.cast("string"), F.lit('/">This</a>')),
+        F.lit('<a href="//Other.example/a/">Other</a>'),
+        plain(d % 2 == 1, F.concat(F.lit('<a href="https://out.example/p'), (d % 40).cast("string"), F.lit('">Out</a>'))),
+        plain(d % 4 == 1, '<a href="https://www.youtube.com/us">Y</a>'), plain(d % 10 == 0, '<a rel="nofollow" href="/login">Log in</a>'),
+        plain(d % 3 == 0, '<a href="https://twitter.com/us">T</a>'),
+        plain(d % 6 == 0, '<a href="https://www.linkedin.com/company/us">L</a>'), F.lit("</nav>"),
+        plain(d % 3 == 1, '<div class="breadcrumbs"><a href="/">Home</a> <span>Here</span></div>'),
+    ]
     main = [
-        F.lit(f"<main>\n<p>{INTRO}\n"), tag("<h1> {} </h1>\n", "h1"), tag("<h2>{}</h2>\n", "question"), tag("<p>{}</p>\n", "reply"), tag("<h4>{}</h4>\n", "h4"), tag("<h5>{}</h5>\n", "h5"), tag("<p>{}</p>\n", "t"), tag("<p>{}\n", "stat"), tag("<p>{}</p>\n", "told"),
-        plain(d % 4 == 0, "<ul>\n<li>First item\n<li>Second item</ul>\n"), plain(d % 6 == 2, "<table><tr><td>A1 <td>B1\n<tr><td>A2 <td>B2</table>\n"), tag('<blockquote cite="https://cite.example/x">{}</blockquote>\n', "quote"),
-        plain(d % 5 == 0, "<details>\n<summary>How long does it take?</summary>\nAbout three days.\n</details>\n"), image(0), image(1), image(2), F.lit("<script>var a = '<h1>none</h1>'</script></main>"),
-    ]
-    foot = [F.lit("<footer>"), tag('<div class="author-bio">{}</div>', "author_bio"), plain(d % 4 == 0, '<address>1 Main\n St, Town</address><a href="mailto:us@x.example?subject=a">Mail</a>'), plain(d % 6 == 0, '<a href="tel:+1 555">Call</a>'), tag("<p>{} All rights reserved.</p>", "copyright"),
-        plain(d % 9 == 2, F.concat(F.lit('<div itemscope itemtype="https://schema.org/Offer"><b itemprop="price">'), d.cast("string"), F.lit('</b><link itemprop="url" href="/buy"></div>'))),
-        plain(d % 9 == 5, '<div typeof="Person"><i property="name"> Ann </i></div>'), F.lit("</footer></body></html>")]
+        F.lit(f"<main>\n<p>{INTRO}\n"), tag("<h1> {} </h1>\n", "h1"), tag("<h2>{}</h2>\n", "question"), tag("<p>{}</p>\n", "reply"),
+        tag("<h4>{}</h4>\n", "h4"), tag("<h5>{}</h5>\n", "h5"), tag("<p>{}</p>\n", "t"), tag("<p>{}\n", "stat"), tag("<p>{}</p>\n", "told"),
+        plain(d % 4 == 0, "<ul>\n<li>First item\n<li>Second item</ul>\n"),
+        plain(d % 6 == 2, "<table><tr><td>A1 <td>B1\n<tr><td>A2 <td>B2</table>\n"),
+        tag('<blockquote cite="https://cite.example/x">{}</blockquote>\n', "quote"),
+        plain(d % 5 == 0, "<details>\n<summary>How long does it take?</summary>\nAbout three days.\n</details>\n"), image(0), image(1),
+        image(2), F.lit("<script>var a = '<h1>none</h1>'</script></main>"),
+    ]
+    foot = [
+        F.lit("<footer>"), tag('<div class="author-bio">{}</div>', "author_bio"),
+        plain(d % 4 == 0, '<address>1 Main\n St, Town</address><a href="mailto:us@x.example?subject=a">Mail</a>'),
+        plain(d % 6 == 0, '<a href="tel:+1 555">Call</a>'), tag("<p>{} All rights reserved.</p>", "copyright"),
+        plain(
+            d % 9 == 2,
+            F.concat(
+                F.lit('<div itemscope itemtype="https://schema.org/Offer"><b itemprop="price">'), d.cast("string"),
+                F.lit('</b><link itemprop="url" href="/buy"></div>'),
+            ),
+        ),
+        plain(d % 9 == 5, '<div typeof="Person"><i property="name"> Ann </i></div>'), F.lit("</footer></body></html>"),
+    ]
     header = lambda name, condition, value: (F.lit(name), F.when(condition, value))
-    headers = F.map_filter(F.create_map(*(x for pair in (
-        header("content-encoding", d % 7 != 0, "GZIP"), header("strict-transport-security", d % 5 == 0, "max-age=1"), header("x-frame-options", d % 2 == 0, "DENY"), header("cache-control", d % 3 != 0, "max-age=60"), header("vary", d % 4 == 0, "Accept"), header("x-robots-tag", F.col("x_robots").isNotNull(), "noindex"),
-    ) for x in pair)), lambda k, v: v.isNotNull())
+    headers = F.map_filter(
+        F.create_map(
+            *(
+                x
+                for pair in (
+                    header("content-encoding", d % 7 != 0, "GZIP"), header("strict-transport-security", d % 5 == 0, "max-age=1"),
+                    header("x-frame-options", d % 2 == 0, "DENY"), header("cache-control", d % 3 != 0, "max-age=60"),
+                    header("vary", d % 4 == 0, "Accept"), header("x-robots-tag", F.col("x_robots").isNotNull(), "noindex"),
+                )
+                for x in pair
+            )
+        ),
+        lambda k, v: v.isNotNull(),
+    )
     return rows.select(
-        d.alias("page_id"), urls.domain_of(F.col("url")).alias("site"), "url", F.concat(*head, *around, *main, *foot).alias("html"), F.when(d % 17 == 0, 404).otherwise(200).alias("status"), headers.alias("headers"),
-        (d * 37 % 4000).cast("int").alias("response_ms"), (d % 3).cast("int").alias("hops"), (d % 6).cast("int").alias("depth"), "last_modified",
-    )
+        d.alias("page_id"), urls.domain_of(F.col("url")).alias("site"), "url", F.concat(*head, *around, *main, *foot).alias("html"),
+        F.when(d % 17 == 0, 404).otherwise(200).alias("status"), headers.alias("headers"), (d * 37 % 4000).cast("int").alias("response_ms"),
+        (d % 3).cast("int").alias("hops"), (d % 6).cast("int").alias("depth"), "last_modified",
+    )
 
 
 def rich_records(spark, sf_dir: str, *fields: str) -> DataFrame:
@@ -106,18 +166,24 @@ _STATUSES = f"""SELECT DISTINCT concat('https://out.example/p', d % 40) AS url,
  UNION SELECT DISTINCT 'https://www.youtube.com/us', 404 FROM documents UNION SELECT DISTINCT 'https://twitter.com/us', 200 FROM documents
  UNION SELECT concat(home, 'login'), 302 FROM ({_NUMBERS}) AS b WHERE d % 10 = 0 UNION SELECT home, 301 FROM ({_NUMBERS}) AS c WHERE d % 3 = 1"""
 _MOBILE = (
-    "d % 9 <> 1 AS accessible", "d % 11 <> 0 AS has_viewport", "CASE d % 3 WHEN 0 THEN 'width=device-width' WHEN 1 THEN 'width=device-width, user-scalable = no' ELSE 'initial-scale=1' END AS viewport_content",
-    "CAST(d % 12 AS DOUBLE) / 10 AS content_ratio", "CAST(d % 4 AS INT) AS images", "CAST(d % 3 AS DOUBLE) / 2 AS responsive_ratio", "CAST(d % 3 AS INT) AS other_issues",
-)
+    "d % 9 <> 1 AS accessible", "d % 11 <> 0 AS has_viewport",
+    "CASE d % 3 WHEN 0 THEN 'width=device-width' WHEN 1 THEN 'width=device-width, user-scalable = no' ELSE 'initial-scale=1' END AS viewport_content",
+    "CAST(d % 12 AS DOUBLE) / 10 AS content_ratio", "CAST(d % 4 AS INT) AS images", "CAST(d % 3 AS DOUBLE) / 2 AS responsive_ratio",
+    "CAST(d % 3 AS INT) AS other_issues",
+)
 
 
 def statuses(spark, sf_dir: str) -> DataFrame:
     """``url, status`` of addresses that were looked at."""
-    return spark.sql(_STATUSES.replace("FROM documents", "FROM {documents}"), documents=table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return spark.sql(
+        _STATUSES.replace("FROM documents", "FROM {documents}"), documents=table(spark, sf_dir, "documents").select("doc_id", "source"),
+    )
 
 
 def probes(spark, sf_dir: str) -> dict[str, DataFrame]:
-    numbers = spark.sql(_NUMBERS.replace("FROM documents", "FROM {documents}"), documents=table(spark, sf_dir, "documents").select("doc_id", "source"))
+    numbers = spark.sql(
+        _NUMBERS.replace("FROM documents", "FROM {documents}"), documents=table(spark, sf_dir, "documents").select("doc_id", "source"),
+    )
     homes = numbers.groupBy(F.concat("source", F.lit(".example")).alias("site")).agg(F.min("d").alias("d"))
     return {
         "statuses": statuses(spark, sf_dir),
@@ -149,59 +215,93 @@ def _query(sql: str):
     return add
 
 
-@_query(f"WITH {_R}, e AS (SELECT d AS page_id, heads, levels, unnest(range(1, len(heads) + 1)) AS i FROM r) SELECT page_id, (i - 1)::INTEGER AS place, levels[i]::INTEGER AS level, heads[i] AS text FROM e")
+@_query(
+    f"WITH {_R}, e AS (SELECT d AS page_id, heads, levels, unnest(range(1, len(heads) + 1)) AS i FROM r) SELECT page_id, (i - 1)::INTEGER AS place, levels[i]::INTEGER AS level, heads[i] AS text FROM e"
+)
 def page_headings(spark, sf_dir):
-    return rich_records(spark, sf_dir, "headings").select("page_id", F.posexplode("headings").alias("place", "h")).select("page_id", "place", "h.level", "h.text")
+    return rich_records(spark, sf_dir, "headings").select(
+        "page_id", F.posexplode("headings").alias("place", "h"),
+    ).select("page_id", "place", "h.level", "h.text")
 
 
-_META = ("title", "description", "canonical", "og_title", "og_description", "tw_card", "tw_title", "tw_description", "author", "author_bio", "published", "modified", "robots", "google", "bing", "viewport", "charset")
+_META = (
+    "title", "description", "canonical", "og_title", "og_description", "tw_card", "tw_title", "tw_description", "author", "author_bio",
+    "published", "modified", "robots", "google", "bing", "viewport", "charset",
+)
 
 
-@_query(f"WITH {_R} SELECT d AS page_id, lang AS language, {', '.join(_META)}, d % 14 <> 0 AS doctype, CASE WHEN d % 5 = 2 THEN 'en,de-AT' ELSE '' END AS hreflang FROM r")
+@_query(
+    f"WITH {_R} SELECT d AS page_id, lang AS language, {', '.join(_META)}, d % 14 <> 0 AS doctype, CASE WHEN d % 5 = 2 THEN 'en,de-AT' ELSE '' END AS hreflang FROM r"
+)
 def page_meta(spark, sf_dir):
-    return rich_records(spark, sf_dir, "language", *_META, "doctype", "hreflang").select("page_id", "language", *_META, "doctype", F.array_join(F.transform("hreflang", lambda h: h.lang), ",").alias("hreflang"))
+    return rich_records(spark, sf_dir, "language", *_META, "doctype", "hreflang").select(
+        "page_id", "language", *_META, "doctype", F.array_join(F.transform("hreflang", lambda h: h.lang), ",").alias("hreflang"),
+    )
 
 
-@_query(f"WITH {_R} SELECT d AS page_id, body, len(list_filter(regexp_split_to_array(body, '{WS}+'), lambda w: w <> ''))::INTEGER AS words FROM r")
+@_query(
+    f"WITH {_R} SELECT d AS page_id, body, len(list_filter(regexp_split_to_array(body, '{WS}+'), lambda w: w <> ''))::INTEGER AS words FROM r"
+)
 def page_body(spark, sf_dir):
     return rich_records(spark, sf_dir, "body", "words").select("page_id", "body", "words")
 
 
-@_query(f"WITH {_R} SELECT d AS page_id, unnest(internal) AS target, true AS internal FROM r UNION ALL SELECT d, unnest(external), false FROM r")
+@_query(
+    f"WITH {_R} SELECT d AS page_id, unnest(internal) AS target, true AS internal FROM r UNION ALL SELECT d, unnest(external), false FROM r"
+)
 def page_links(spark, sf_dir):
     kind = lambda c, inside: F.transform(c, lambda x: F.struct(x.alias("target"), F.lit(inside).alias("internal")))
     rows = rich_records(spark, sf_dir, "internal", "external")
     return rows.select("page_id", F.inline(F.concat(kind("internal", True), kind("external", False))))
 
 
-@_query(f"WITH {_R}, k AS (SELECT d, unnest(range(0, d % 4)) AS k FROM r) SELECT d AS page_id, concat('/i', k, '.png') AS src, CASE WHEN d % 3 > k THEN 'An image' ELSE '' END AS alt FROM k")
+@_query(
+    f"WITH {_R}, k AS (SELECT d, unnest(range(0, d % 4)) AS k FROM r) SELECT d AS page_id, concat('/i', k, '.png') AS src, CASE WHEN d % 3 > k THEN 'An image' ELSE '' END AS alt FROM k"
+)
 def page_images(spark, sf_dir):
     return rich_records(spark, sf_dir, "images").select("page_id", F.inline("images"))
 
 
-@_query(f"WITH {_R} SELECT d AS page_id, question, reply AS answer FROM r WHERE question IS NOT NULL UNION ALL SELECT d, dq, da FROM r WHERE dq IS NOT NULL")
+@_query(
+    f"WITH {_R} SELECT d AS page_id, question, reply AS answer FROM r WHERE question IS NOT NULL UNION ALL SELECT d, dq, da FROM r WHERE dq IS NOT NULL"
+)
 def page_faq(spark, sf_dir):
     return rich_records(spark, sf_dir, "faq").select("page_id", F.inline("faq"))
 
 
-@_query(f"WITH {_R} SELECT d AS page_id, ld::INTEGER AS items, array_to_string(types, ',') AS types, d % 50 = 2 AS organization, d % 6 = 1 AS dated FROM r")
+@_query(
+    f"WITH {_R} SELECT d AS page_id, ld::INTEGER AS items, array_to_string(types, ',') AS types, d % 50 = 2 AS organization, d % 6 = 1 AS dated FROM r"
+)
 def page_schema(spark, sf_dir):
-    return rich_records(spark, sf_dir, "json_ld", "schema").select("page_id", F.size("json_ld").alias("items"), F.array_join("schema.types", ",").alias("types"), F.col("schema.org").alias("organization"), F.col("schema.dated").alias("dated"))
+    return rich_records(spark, sf_dir, "json_ld", "schema").select(
+        "page_id", F.size("json_ld").alias("items"), F.array_join("schema.types", ",").alias("types"),
+        F.col("schema.org").alias("organization"), F.col("schema.dated").alias("dated"),
+    )
 
 
-@_query(f"WITH {_R} SELECT d AS page_id, CASE WHEN d % 4 = 0 THEN 'First item,Second item' ELSE '' END AS lists, CASE WHEN d % 6 = 2 THEN 'A1,B1;A2,B2' ELSE '' END AS tables, CASE WHEN d % 3 = 1 THEN 'Home,Here' ELSE '' END AS crumbs FROM r")
+@_query(
+    f"WITH {_R} SELECT d AS page_id, CASE WHEN d % 4 = 0 THEN 'First item,Second item' ELSE '' END AS lists, CASE WHEN d % 6 = 2 THEN 'A1,B1;A2,B2' ELSE '' END AS tables, CASE WHEN d % 3 = 1 THEN 'Home,Here' ELSE '' END AS crumbs FROM r"
+)
 def page_structure(spark, sf_dir):
     joined = lambda rows, sep: F.array_join(rows, sep)
     rows = rich_records(spark, sf_dir, "lists", "tables", "breadcrumbs")
-    return rows.select("page_id", joined(F.flatten("lists"), ",").alias("lists"), joined(F.transform(F.flatten("tables"), lambda r: F.array_join(r, ",")), ";").alias("tables"), joined(F.transform("breadcrumbs", lambda b: b["name"]), ",").alias("crumbs"))
+    return rows.select(
+        "page_id", joined(F.flatten("lists"), ",").alias("lists"),
+        joined(F.transform(F.flatten("tables"), lambda r: F.array_join(r, ",")), ";").alias("tables"),
+        joined(F.transform("breadcrumbs", lambda b: b["name"]), ",").alias("crumbs"),
+    )
 
 
 _STATS = "list_distinct(list_concat(regexp_extract_all(body, '\\d+(?:\\.\\d+)?%'), list_concat(regexp_extract_all(body, '(?i)\\d+x\\b'), regexp_extract_all(body, '(?i)\\d+\\s+out\\s+of\\s+\\d+'))))"
 
 
-@_query(f"WITH {_R} SELECT d AS page_id, len({_STATS})::INTEGER AS statistics, sources::INTEGER AS sources, (quote IS NOT NULL)::INTEGER AS quotes FROM r")
+@_query(
+    f"WITH {_R} SELECT d AS page_id, len({_STATS})::INTEGER AS statistics, sources::INTEGER AS sources, (quote IS NOT NULL)::INTEGER AS quotes FROM r"
+)
 def page_citations(spark, sf_dir):
-    return rich_records(spark, sf_dir, "statistics", "sources", "quotes").select("page_id", *(F.size(x).alias(x) for x in ("statistics", "sources", "quotes")))
+    return rich_records(spark, sf_dir, "statistics", "sources", "quotes").select(
+        "page_id", *(F.size(x).alias(x) for x in ("statistics", "sources", "quotes")),
+    )
 
 
 _FIRST = "h AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY site ORDER BY d) = 1)"
@@ -219,13 +319,19 @@ def page_extras(spark, sf_dir):
     rows = rich_records(spark, sf_dir, "navigation", "microdata", "rdfa", "identity", "og_image")
     listed = lambda c: F.array_join(c, ",").alias(c)
     told = ("copyright", "favicon")
-    return rows.select("page_id", F.array_join(F.transform("navigation", lambda n: n["text"]), ",").alias("navigation"), listed("microdata"), listed("rdfa"), *(F.col(f"identity.{c}") for c in told), F.array_join("identity.tech", ",").alias("tech"), "og_image")
+    return rows.select(
+        "page_id", F.array_join(F.transform("navigation", lambda n: n["text"]), ",").alias("navigation"), listed("microdata"),
+        listed("rdfa"), *(F.col(f"identity.{c}") for c in told), F.array_join("identity.tech", ",").alias("tech"), "og_image",
+    )
 
 
 @_query(f"WITH {_R}, {_IDENTITY} SELECT * EXCLUDE (social, generator, favicon, copyright), array_to_string(social, ',') AS social FROM y")
 def site_identity(spark, sf_dir):
     rows = extract.site_identity(rich_records(spark, sf_dir, "body", "identity"))
-    return rows.select("site", *(F.col(f"identity.{x}") for x in ("name", "tagline", "logo", "email", "phone", "address")), F.array_join(F.transform("identity.social", lambda s: s.platform), ",").alias("social"))
+    return rows.select(
+        "site", *(F.col(f"identity.{x}") for x in ("name", "tagline", "logo", "email", "phone", "address")),
+        F.array_join(F.transform("identity.social", lambda s: s.platform), ",").alias("social"),
+    )
 
 
 # --- the audit
@@ -233,33 +339,31 @@ def site_identity(spark, sf_dir):
 #: Contents of well-known files by the last character of a source.
 FILES = (
     ("1", "robots.txt", "User-agent: *\nAllow: /\nSitemap: https://{site}/sitemap.xml"),
-    ("2", "robots.txt", "User-agent: GPTBot\nUser-agent: ClaudeBot\n# both\n\nDisallow: /\nUser-agent: CCBot\nAllow: /\nDisallow: /admin\nDisallow: /x\n"),
+    (
+        "2", "robots.txt",
+        "User-agent: GPTBot\nUser-agent: ClaudeBot\n# both\n\nDisallow: /\nUser-agent: CCBot\nAllow: /\nDisallow: /admin\nDisallow: /x\n",
+    ),
     ("3", "robots.txt", "User-agent: *\nDisallow: /\nUser-agent: GPTBot\nAllow: /\nUser-agent: CCBot\nUser-agent: PerplexityBot\nAllow: /"),
-    ("4", "robots.txt", "user-agent: CCBot\nDisallow: /\nUser-agent: Other\nDisallow: /a\nCrawl-delay: 5\nDisallow: /b\nHost: x\nDisallow: /c\nUser-agent: OAI-SearchBot\nAllow: /"),
+    (
+        "4", "robots.txt",
+        "user-agent: CCBot\nDisallow: /\nUser-agent: Other\nDisallow: /a\nCrawl-delay: 5\nDisallow: /b\nHost: x\nDisallow: /c\nUser-agent: OAI-SearchBot\nAllow: /",
+    ),
     ("1", "sitemap.xml", "<urlset><url><loc>https://{site}/</loc><lastmod>2024-01-01</lastmod></url></urlset>"),
-    ("2", "sitemap.xml", "<urlset></urlset>"),
-    ("1", "llms.txt", "# Open\n> An example\n## Pages\n[Home](https://{site}/)"),
-    ("2", "llms.txt", "# Closed"),
-    ("1", "ai.txt", "allow"),
-    ("3", "ai.txt", "allow"),
-    ("3", "ai.json", "{}"),
-    ("1", "agent-card.json", '{"name": "x", "description": "y", "url": "", "capabilities": {"a": 1}}'),
-    ("2", "agent-card.json", "{broken"),
-    ("1", "agents.json", '[{"name": "a", "endpoint": "/e"}]'),
-    ("2", "agents.json", '{"agents": [{"name": ""}]}'),
-    ("3", "agents.json", '{"agents": []}'),
-    ("4", "agents.json", "no"),
-    ("1", "humans.txt", "us"),
-    ("2", "BingSiteAuth.xml", "<users/>"),
+    ("2", "sitemap.xml", "<urlset></urlset>"), ("1", "llms.txt", "# Open\n> An example\n## Pages\n[Home](https://{site}/)"),
+    ("2", "llms.txt", "# Closed"), ("1", "ai.txt", "allow"), ("3", "ai.txt", "allow"), ("3", "ai.json", "{}"),
+    ("1", "agent-card.json", '{"name": "x", "description": "y", "url": "", "capabilities": {"a": 1}}'), ("2", "agent-card.json", "{broken"),
+    ("1", "agents.json", '[{"name": "a", "endpoint": "/e"}]'), ("2", "agents.json", '{"agents": [{"name": ""}]}'),
+    ("3", "agents.json", '{"agents": []}'), ("4", "agents.json", "no"), ("1", "humans.txt", "us"), ("2", "BingSiteAuth.xml", "<users/>"),
 )
 _VARIANTS = ", ".join(f"({', '.join(map(quoted, row))})" for row in FILES)
 _FILES = f"""files AS MATERIALIZED (SELECT concat(source, '.example') AS site, name, replace(content, '{{site}}', concat(source, '.example')) AS content
  FROM (SELECT DISTINCT coalesce(source, 'none') AS source FROM documents) JOIN (VALUES {_VARIANTS}) AS v(k, name, content) ON right(source, 1) = k)"""
 #: Lines of the robots.txt of each customer's site, by its orders.
 _ROBOT_LINES = (
-    "User-agent: *", "User-agent: GPTBot", "Disallow: /", "Disallow: /admin", "# a comment", "", "User-agent: CCBot", "Allow: /", "Crawl-delay: 5", "Host: x", "User-agent: Googlebot", "Disallow: /x", "Disallow:",
-    "user-agent: OAI-SearchBot", " Disallow: /tmp ", "User-agent: PerplexityBot",
-)
+    "User-agent: *", "User-agent: GPTBot", "Disallow: /", "Disallow: /admin", "# a comment", "", "User-agent: CCBot", "Allow: /",
+    "Crawl-delay: 5", "Host: x", "User-agent: Googlebot", "Disallow: /x", "Disallow:", "user-agent: OAI-SearchBot", " Disallow: /tmp ",
+    "User-agent: PerplexityBot",
+)
 _ROBOT_LINE = "CASE o_orderkey * 7 % 16 " + " ".join(f"WHEN {k} THEN {quoted(x)}" for k, x in enumerate(_ROBOT_LINES)) + " END"
 _CUSTOMER_FILES = f"""files AS MATERIALIZED (SELECT concat('c', o_custkey, '.example') AS site, 'robots.txt' AS name, string_agg({_ROBOT_LINE}, chr(10) ORDER BY o_orderkey) AS content FROM orders GROUP BY o_custkey
  UNION ALL SELECT concat('c', c_custkey, '.example'), name, replace(content, '{{site}}', concat('c', c_custkey, '.example')) FROM customer JOIN (VALUES {_VARIANTS}) AS v(k, name, content) ON name <> 'robots.txt' AND c_custkey % 9 = CAST(k AS INTEGER))"""
@@ -282,7 +386,9 @@ def site_files(spark, sf_dir: str) -> DataFrame:
     of = spark.createDataFrame(FILES, "k string, name string, content string")
     sites = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("none")).alias("source")).distinct()
     site = F.concat("source", F.lit(".example"))
-    return sites.join(of, F.right("source", F.lit(1)) == F.col("k")).select(site.alias("site"), "name", F.replace("content", F.lit("{site}"), site).alias("content"))
+    return sites.join(of, F.right("source", F.lit(1)) == F.col("k")).select(
+        site.alias("site"), "name", F.replace("content", F.lit("{site}"), site).alias("content"),
+    )
 
 
 def customer_files(spark, sf_dir: str) -> DataFrame:
@@ -291,7 +397,9 @@ def customer_files(spark, sf_dir: str) -> DataFrame:
     line = F.element_at(F.array(*map(F.lit, _ROBOT_LINES)), (F.col("o_orderkey") * 7 % 16 + 1).cast("int"))
     site = lambda key: F.concat(F.lit("c"), F.col(key).cast("string"), F.lit(".example"))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("line")))), lambda x: x["line"])
-    robots_ = orders.groupBy("o_custkey").agg(F.array_join(lines, "\n").alias("content")).select(site("o_custkey").alias("site"), F.lit("robots.txt").alias("name"), "content")
+    robots_ = orders.groupBy("o_custkey").agg(F.array_join(lines, "\n").alias("content")).select(
+        site("o_custkey").alias("site"), F.lit("robots.txt").alias("name"), "content",
+    )
     of = spark.createDataFrame([f for f in FILES if f[1] != "robots.txt"], "k string, name string, content string")
     customers = table(spark, sf_dir, "customer").select(site("c_custkey").alias("site"), (F.col("c_custkey") % 9).cast("string").alias("k"))
     others = customers.join(of, "k").select("site", "name", F.replace("content", F.lit("{site}"), F.col("site")).alias("content"))
@@ -330,19 +438,57 @@ def _audit_sql() -> str:
  concat_ws(' ', robots, x_robots) AS directives, list_concat(list_filter(heads, lambda h: ends_with(h, '?') OR regexp_matches(h, '(?i)^(?:{catalog.ASKS_FIRST})\\b')), []) AS asks FROM r),
 p AS MATERIALIZED (SELECT *, len(w) AS words, {_SYLLABLES} AS syl, len(list_filter(regexp_split_to_array(body, '\\.{WS}+'), lambda s: regexp_matches(s, '{NOT_WS}') AND {_W('s')} BETWEEN 30 AND 70)) > 0 AS snippet, len(list_filter(regexp_split_to_array(body, '[.!?]+'), lambda s: length(trim(s)) > 10 AND {_W('trim(s)')} BETWEEN 5 AND 30)) > 0 AS short FROM f)"""
     sums = [
-        "count(*) AS n", some("with_ld", "ld > 0"), "sum(len(questions)) AS faqs", "bool_or(d % 7 = 3) AS faq_page", some("thin", "words < 300"), some("deep", "words > 500"), some("built", "words > 500 AND len(heads) >= 3"), some("headed", "len(heads) > 0"), some("ordered", "h1 IS NOT NULL AND h4 IS NULL AND len(heads) > 0"),
-        some("described", "length(description) >= 30"), some("dated", "stamp IS NOT NULL"), some("recent", f"({_DATE('stamp')}) > TIMESTAMP '{AS_OF} 00:00:00' - INTERVAL 365 DAY"), some("ld_dated", "d % 6 = 1"), some("content", "words > 100"), some("ready", "words > 100 AND snippet"), some("defining", f"words > 100 AND {_WORDY(catalog.DEFINES)}"),
-        some("tabled", "cells IS NOT NULL"), some("listed", "li1 IS NOT NULL"), some("asked", "len(questions) > 0"), some("stepped", "h4 IS NOT NULL"), "sum(CASE WHEN words > 100 THEN len(asks) ELSE 0 END) AS asking", "sum(CASE WHEN words > 100 THEN len(heads) ELSE 0 END) AS head_total", some("short", "words > 100 AND short"), some("long", "words > 10000"),
-        some("even", "words > 100 AND words BETWEEN 40 AND 75"), some("multi", "words > 100 AND len(heads) >= 2"), some("answering", f"words > 100 AND len(heads) >= 2 AND words BETWEEN 20 AND 80 AND NOT {_OPENS(catalog.LEADS_BY_QUESTION)} AND {_WORDY(catalog.ANSWERS)}"), some("parts", "words > 100"),
-        some("quotable", f"words > 100 AND words BETWEEN 20 AND 80 AND NOT {_OPENS(catalog.LEANS_ON_CONTEXT)} AND {_WORDY(catalog.QUOTABLE)}"), "bool_or(d % 50 = 2) AS org", some("packed", "d % 7 <> 0"), "arg_min(d, d) AS first_d",
-        "avg(greatest(0.0::DOUBLE, least(100.0::DOUBLE, 206.835::DOUBLE - 1.015::DOUBLE * (words / len(sentences)) - 84.6::DOUBLE * (syl / words)))) FILTER (WHERE words > 100) AS flesch", "sum(words) FILTER (WHERE words > 100) AS content_words", some("snippets", "contains(lower(directives), 'max-snippet')"), some("rendered", "words > 50"),
-        "bool_or(google IS NOT NULL) AS google", "bool_or(bing IS NOT NULL) AS bing", some("noindex", "contains(lower(directives), 'noindex')"), some("canon", "canonical IS NOT NULL"), some("og", "og_title IS NOT NULL AND og_description IS NOT NULL"), "sum((tw_card IS NOT NULL)::INT + (tw_title IS NOT NULL)::INT + (tw_description IS NOT NULL)::INT) AS tw",
-        some("longer", "words > 200"), some("authored", "words > 200 AND author IS NOT NULL"), some("bios", "words > 200 AND author_bio IS NOT NULL"), some("figured", f"words > 200 AND len({_STATS}) > 0"), some("sourced", "words > 200 AND sources > 0"), some("linked_out", "words > 200"), some("crumbs", "d % 3 = 1"), some("crumb_ld", "d % 7 = 3"), some("tagged", "d % 5 = 2"),
-        *(f"bool_or(d % 8 = {k}) AS {a}" for a, k in (("about", 1), ("privacy", 2), ("terms", 3), ("pressed", 6))), "sum(d % 4) AS images", "sum(least(d % 4, d % 3)) AS alts", some("fitted", "viewport IS NOT NULL"), some("https", "d % 9 <> 0"), some("broken", "d % 17 = 0"), some("nofollow", "d % 10 = 0"), "sum(len(internal)) AS links", some("odd", "d % 8 = 5"),
-        some("slow", "d * 37 % 4000 > 3000"), some("chains", "d % 3 > 1"), some("no_charset", "charset IS NULL OR d % 14 = 0"), some("buried", "d % 6 > 3"), some("h1s", "h1 IS NOT NULL"), some("responsive", "d % 2 = 0 AND d % 4 > 0"), "list_sort(list(d * 37 % 4000))[count(*) // 2 + 1] AS mid_ms",
-        "list_sort(list(3 - 1 + (d % 6 = 1)::INT + (d % 50 = 2)::INT + (d % 7 = 3)::INT + (d % 11 = 4)::INT + (d % 31 = 7)::INT - 1))[count(*) // 2 + 1] AS mid_scripts", some("cached", "d % 3 <> 0"), some("varied", "d % 4 = 0"), *(f"bool_or({x}) AS any_{a}" for a, x in (("first", _WORDY(catalog.FIRST_PERSON)), ("research", _WORDY(catalog.RESEARCH)), ("credentials", _WORDY(catalog.CREDENTIALS)), ("awards", _WORDY(catalog.AWARDS)))),
-        "bool_or(regexp_matches(substr(body, 1, 500), '(?i)\\bcase\\s+stud(?:y|ies)\\b')) AS any_case", some("all_authored", "author IS NOT NULL"), "bool_or(author_bio IS NOT NULL) AS any_bio", "sum(sources + (quote IS NOT NULL)::INT) AS citations", some("questioned", "question IS NOT NULL"),
-    ]
+        "count(*) AS n", some("with_ld", "ld > 0"), "sum(len(questions)) AS faqs", "bool_or(d % 7 = 3) AS faq_page",
+        some("thin", "words < 300"), some("deep", "words > 500"), some("built", "words > 500 AND len(heads) >= 3"),
+        some("headed", "len(heads) > 0"), some("ordered", "h1 IS NOT NULL AND h4 IS NULL AND len(heads) > 0"),
+        some("described", "length(description) >= 30"), some("dated", "stamp IS NOT NULL"),
+        some("recent", f"({_DATE('stamp')}) > TIMESTAMP '{AS_OF} 00:00:00' - INTERVAL 365 DAY"), some("ld_dated", "d % 6 = 1"),
+        some("content", "words > 100"), some("ready", "words > 100 AND snippet"),
+        some("defining", f"words > 100 AND {_WORDY(catalog.DEFINES)}"), some("tabled", "cells IS NOT NULL"),
+        some("listed", "li1 IS NOT NULL"), some("asked", "len(questions) > 0"), some("stepped", "h4 IS NOT NULL"),
+        "sum(CASE WHEN words > 100 THEN len(asks) ELSE 0 END) AS asking",
+        "sum(CASE WHEN words > 100 THEN len(heads) ELSE 0 END) AS head_total", some("short", "words > 100 AND short"),
+        some("long", "words > 10000"), some("even", "words > 100 AND words BETWEEN 40 AND 75"),
+        some("multi", "words > 100 AND len(heads) >= 2"),
+        some(
+            "answering",
+            f"words > 100 AND len(heads) >= 2 AND words BETWEEN 20 AND 80 AND NOT {_OPENS(catalog.LEADS_BY_QUESTION)} AND {_WORDY(catalog.ANSWERS)}",
+        ),
+        some("parts", "words > 100"),
+        some(
+            "quotable",
+            f"words > 100 AND words BETWEEN 20 AND 80 AND NOT {_OPENS(catalog.LEANS_ON_CONTEXT)} AND {_WORDY(catalog.QUOTABLE)}",
+        ),
+        "bool_or(d % 50 = 2) AS org", some("packed", "d % 7 <> 0"), "arg_min(d, d) AS first_d",
+        "avg(greatest(0.0::DOUBLE, least(100.0::DOUBLE, 206.835::DOUBLE - 1.015::DOUBLE * (words / len(sentences)) - 84.6::DOUBLE * (syl / words)))) FILTER (WHERE words > 100) AS flesch",
+        "sum(words) FILTER (WHERE words > 100) AS content_words", some("snippets", "contains(lower(directives), 'max-snippet')"),
+        some("rendered", "words > 50"), "bool_or(google IS NOT NULL) AS google", "bool_or(bing IS NOT NULL) AS bing",
+        some("noindex", "contains(lower(directives), 'noindex')"), some("canon", "canonical IS NOT NULL"),
+        some("og", "og_title IS NOT NULL AND og_description IS NOT NULL"),
+        "sum((tw_card IS NOT NULL)::INT + (tw_title IS NOT NULL)::INT + (tw_description IS NOT NULL)::INT) AS tw",
+        some("longer", "words > 200"), some("authored", "words > 200 AND author IS NOT NULL"),
+        some("bios", "words > 200 AND author_bio IS NOT NULL"), some("figured", f"words > 200 AND len({_STATS}) > 0"),
+        some("sourced", "words > 200 AND sources > 0"), some("linked_out", "words > 200"), some("crumbs", "d % 3 = 1"),
+        some("crumb_ld", "d % 7 = 3"), some("tagged", "d % 5 = 2"),
+        *(f"bool_or(d % 8 = {k}) AS {a}" for a, k in (("about", 1), ("privacy", 2), ("terms", 3), ("pressed", 6))), "sum(d % 4) AS images",
+        "sum(least(d % 4, d % 3)) AS alts", some("fitted", "viewport IS NOT NULL"), some("https", "d % 9 <> 0"),
+        some("broken", "d % 17 = 0"), some("nofollow", "d % 10 = 0"), "sum(len(internal)) AS links", some("odd", "d % 8 = 5"),
+        some("slow", "d * 37 % 4000 > 3000"), some("chains", "d % 3 > 1"), some("no_charset", "charset IS NULL OR d % 14 = 0"),
+        some("buried", "d % 6 > 3"), some("h1s", "h1 IS NOT NULL"), some("responsive", "d % 2 = 0 AND d % 4 > 0"),
+        "list_sort(list(d * 37 % 4000))[count(*) // 2 + 1] AS mid_ms",
+        "list_sort(list(3 - 1 + (d % 6 = 1)::INT + (d % 50 = 2)::INT + (d % 7 = 3)::INT + (d % 11 = 4)::INT + (d % 31 = 7)::INT - 1))[count(*) // 2 + 1] AS mid_scripts",
+        some("cached", "d % 3 <> 0"), some("varied", "d % 4 = 0"),
+        *(
+            f"bool_or({x}) AS any_{a}"
+            for a, x in (
+                ("first", _WORDY(catalog.FIRST_PERSON)), ("research", _WORDY(catalog.RESEARCH)),
+                ("credentials", _WORDY(catalog.CREDENTIALS)), ("awards", _WORDY(catalog.AWARDS)),
+            )
+        ),
+        "bool_or(regexp_matches(substr(body, 1, 500), '(?i)\\bcase\\s+stud(?:y|ies)\\b')) AS any_case",
+        some("all_authored", "author IS NOT NULL"), "bool_or(author_bio IS NOT NULL) AS any_bio",
+        "sum(sources + (quote IS NOT NULL)::INT) AS citations", some("questioned", "question IS NOT NULL"),
+    ]
     grouped = lambda name, x, least, more: f"{name} AS (SELECT site, {more} FROM (SELECT site, {x} AS x, count(*) AS k FROM r WHERE length({x}) >= {least} GROUP BY site, x) GROUP BY site)"
     return f"""{_R}, {facts}, s AS (SELECT site, {', '.join(sums)} FROM p GROUP BY site), {_IDENTITY}, {_FILES}, {_ROBOTS},
 {grouped('ti', 'title', 1, 'sum(k) AS titled, sum(CASE WHEN length(x) BETWEEN 30 AND 70 THEN k ELSE 0 END) AS fitting, count_if(k > 1) AS repeated, sum(CASE WHEN k > 1 THEN k ELSE 0 END) AS in_repeated')}, {grouped('de', 'trim(description)', 20, 'sum(k) AS told, sum(CASE WHEN k > 1 THEN k ELSE 0 END) AS told_twice')},
@@ -367,7 +513,9 @@ def _items_sql(facts: str, names: tuple[str, ...] = ()) -> str:
     few = lambda x, k: f"CASE WHEN {x} = 0 THEN 'pass' WHEN {x} <= {k} THEN 'partial' ELSE 'fail' END"
     by60 = lambda x: (x, some(f"({x})", 60))
     there = lambda n: (f"CASE WHEN {F_[n]} <> '' THEN 100 ELSE 0 END", f"CASE WHEN {F_[n]} <> '' THEN 'pass' ELSE 'fail' END")
-    unless = lambda empty, pair, zero=0: (f"CASE WHEN {empty} THEN {zero} ELSE {pair[0]} END", f"CASE WHEN {empty} THEN 'not_applicable' ELSE {pair[1]} END")
+    unless = lambda empty, pair, zero=0: (
+        f"CASE WHEN {empty} THEN {zero} ELSE {pair[0]} END", f"CASE WHEN {empty} THEN 'not_applicable' ELSE {pair[1]} END",
+    )
     points = lambda *rules: " + ".join(f"CASE WHEN {x} THEN {p} ELSE 0 END" for x, p in rules)
     robots_, llms, card, agents = F_["robots.txt"], F_["llms.txt"], F_["agent-card.json"], F_["agents.json"]
     major = " + ".join(f"contains({robots_}, {quoted(b)})::INT" for b in catalog.MAJOR_CRAWLERS)
@@ -389,37 +537,113 @@ def _items_sql(facts: str, names: tuple[str, ...] = ()) -> str:
     half = up("50 * 2 * greatest(snippets / n, CASE WHEN snippets > 0 THEN 0.5 ELSE 0.0 END)") if True else ""
     half = f"CASE WHEN snippets > 0 THEN {half} ELSE 0 END"
     pair = f"(({F_['ai.txt']} <> '')::INT + ({F_['ai.json']} <> '')::INT)"
-    llms_score = f"CASE WHEN {llms} = '' THEN 0 ELSE 40 + 15 * (" + " + ".join(f"regexp_matches({llms}, {quoted(p)})::INT" for p in (r"(?m)^# .+", r"(?m)^> .+", r"(?m)^## .+", r"\[[^\]]+\]\([^)]+\)")) + ") END"
+    llms_score = f"CASE WHEN {llms} = '' THEN 0 ELSE 40 + 15 * (" + " + ".join(
+        f"regexp_matches({llms}, {quoted(p)})::INT" for p in (r"(?m)^# .+", r"(?m)^> .+", r"(?m)^## .+", r"\[[^\]]+\]\([^)]+\)")
+    ) + ") END"
     sitemap = f"CASE WHEN {F_['sitemap.xml']} = '' THEN 0 ELSE 50 + 25 * contains({F_['sitemap.xml']}, '<loc>')::INT + 25 * contains({F_['sitemap.xml']}, '<lastmod>')::INT END"
     blocked = "coalesce(blocked, 0)"
     made = {
-        "robots.txt": (f"CASE WHEN {robots_} = '' THEN 0 WHEN {major} = 0 THEN 30 ELSE {up(f'least(100, 30 + ({major}) / 5 * 70)')} END", f"CASE WHEN {robots_} = '' THEN 'fail' WHEN {major} >= 3 THEN 'pass' ELSE 'partial' END"), "sitemap.xml": (sitemap, some(f"({sitemap})", 75)), "llms.txt": (llms_score, some(f"({llms_score})", 70)), "llms-full.txt": there("llms-full.txt"),
-        "AI Policy (ai.txt / ai.json)": (f"50 * {pair}", f"CASE {pair} WHEN 2 THEN 'pass' WHEN 1 THEN 'partial' ELSE 'fail' END"), "AI Bot Blocking": (up(f"(1 - {blocked} / 13) * 100"), f"CASE WHEN {blocked} = 0 THEN 'pass' WHEN {blocked} / 13 > 0.5 THEN 'fail' ELSE 'partial' END"), "AI Content Directives": by60(half),
-        "Training vs Retrieval Bot Strategy": (up(strategy), f"CASE WHEN {robots_} = '' THEN 'not_applicable' ELSE {some(strategy, 60)} END"), "agent-card.json": (card_score, f"CASE WHEN ({card_score}) >= 70 THEN 'pass' WHEN ({card_score}) > 10 THEN 'partial' ELSE 'fail' END"), "agents.json": (agent_score, status_sql(f"({agent_score})", 70, 40)),
-        "Structured Data (JSON-LD)": (schema, f"CASE WHEN with_ld = 0 THEN 'fail' WHEN ({schema}) >= 60 THEN 'pass' ELSE 'partial' END"), "FAQ Content": (faq, f"CASE WHEN faqs = 0 THEN 'fail' WHEN ({faq}) >= 60 THEN 'pass' ELSE 'partial' END"),
-        "Content Structure & Depth": by60(f"least(100, {up('(1 - ' + share('thin') + ') * 30 + ' + share('deep') + ' * 40 + ' + share('built') + ' * 30')})"), "Heading Hierarchy": unless("headed = 0", (percent("ordered", "headed"), status_sql(share("ordered", "headed"), 0.8, 0.5))), "Meta Descriptions": (percent("described"), status_sql(share("described"), 0.8, 0.5)),
-        "Content Freshness": by60(f"least(100, {up(share('dated') + ' * 50 + ' + share('recent', 'dated') + ' * 30 + ' + share('ld_dated') + ' * 20')})"), "Schema Markup Diversity": by60("least(100, valuable * 25)"), "Featured Snippet Readiness": unless("content = 0", by60(up(share("ready", "content") + " * 70 + " + share("defining", "content") + " * 30"))), "Answer Format Diversity": by60(formats),
-        "Voice Search Optimization": unless("content = 0", by60(f"least(100, {up(share('asking', 'head_total') + ' * 50 + ' + share('short', 'content') + ' * 50')})")), "Duplicate Titles": (f"CASE WHEN titled > 0 THEN {less('in_repeated', 'titled')} ELSE 100 END", few("in_repeated", 2)), "Duplicate Meta Descriptions": (f"CASE WHEN told > 0 THEN {less('told_twice', 'told')} ELSE 100 END", few("told_twice", 2)),
-        "Content Too Long for AI": (less("long"), few("long", 2)), "Paragraph Length Optimization": unless("content = 0", (percent("even", "content"), some(share("even", "content"), 0.6))), "Answer-First Content Structure": unless("multi = 0", (percent("answering", "multi"), some(share("answering", "multi"), 0.5))),
-        "Organization Schema Completeness": ("CASE WHEN org THEN 75 ELSE 0 END", "CASE WHEN org THEN 'pass' ELSE 'fail' END"), "Security Headers": (secure, some(f"({secure})", 70)), "Compression": (percent("packed"), some(share("packed"), 0.8)), "Content Quotability Score": unless("content = 0", by60(f"least(100, {up(share('quotable', 'parts') + ' * 150')})")),
-        "Topic Cluster Detection": unless("n < 3", by60(cluster)), "Content Readability": unless("content = 0", (f"least(100, {up('coalesce(flesch, 0) * 100 / 60')})", status_sql("coalesce(flesch, 0)", 50, 30))), "Server-side Rendering": (percent("rendered"), status_sql(share("rendered"), 0.8, 0.5)), "Search Engine Indexing": (indexed, status_sql(f"({indexed})", 100, 50)),
-        "Open Graph Tags": (percent("og"), status_sql(share("og"), 0.8, 0.5)), "Author & Expertise Signals": (f"CASE WHEN longer = 0 THEN 50 ELSE {up(share('authored', 'longer') + ' * 60 + ' + share('bios', 'longer') + ' * 40')} END", f"CASE WHEN longer = 0 THEN 'partial' ELSE {some(up(share('authored', 'longer') + ' * 60 + ' + share('bios', 'longer') + ' * 40'), 60)} END"), "Trust Signals": by60(trust),
-        "Social Proof & Authority": by60("25 * coalesce(len(social), 0)"), "Citation Quality": unless("longer = 0", by60(f"least(100, {up(share('figured', 'longer') + ' * 35 + ' + share('sourced', 'longer') + ' * 35 + ' + share('linked_out', 'longer') + ' * 30')})")), "Twitter Card Tags": by60(up("tw / (3 * n) * 100")), "Breadcrumb Schema": by60(up("greatest(crumbs, crumb_ld) / n * 100")),
-        "hreflang Tags": unless("languages <= 1 AND tagged = 0", (percent("tagged"), some(share("tagged"), 0.6)), 100), "Brand Authority Score": unless("brand IS NULL", by60("brand")), "Title Tags": (title, status_sql(title, 70, 40)), "Image Alt Text": (f"CASE WHEN images = 0 THEN 100 ELSE {percent('alts', 'images')} END", status_sql(f"(CASE WHEN images = 0 THEN 100 ELSE {percent('alts', 'images')} END)", 80, 50)),
-        "Internal Linking": (links, status_sql(links, 70, 40)), "Mobile Viewport": (percent("fitted"), status_sql(share("fitted"), 0.9, 0.5)), "HTTPS Enforcement": (percent("https"), status_sql(share("https"), 1, 0.8)), "Broken Pages": (less("broken"), f"CASE WHEN broken = 0 THEN 'pass' WHEN {share('broken')} <= 0.1 THEN 'partial' ELSE 'fail' END"),
-        "Nofollow on Internal Links": (up("(1 - nofollow / links) * 100"), few("nofollow", 5)), "URL Structure Quality": (less("odd"), few("odd", 3)), "Canonical Link Issues": (f"CASE WHEN astray = 0 THEN 100 ELSE {up('(1 - astray / canon) * 100')} END", few("astray", 2)), "Semantic HTML Usage": ("100", "'pass'"), "Text-to-HTML Ratio": None,
-        "Page Response Time": (less("slow"), few("slow", 3)), "Redirect Chains": (less("chains"), few("chains", 3)), "Character Encoding & Doctype": (less("no_charset"), few("no_charset", 2)), "HTML Page Size": ("100", "'pass'"), "Crawl Depth": (less("buried"), few("buried", 5)), "Broken External Links": unless("out_checked = 0", (less("out_broken", "out_checked"), few("out_broken", 3))),
+        "robots.txt": (
+            f"CASE WHEN {robots_} = '' THEN 0 WHEN {major} = 0 THEN 30 ELSE {up(f'least(100, 30 + ({major}) / 5 * 70)')} END",
+            f"CASE WHEN {robots_} = '' THEN 'fail' WHEN {major} >= 3 THEN 'pass' ELSE 'partial' END",
+        ),
+        "sitemap.xml": (sitemap, some(f"({sitemap})", 75)), "llms.txt": (llms_score, some(f"({llms_score})", 70)),
+        "llms-full.txt": there("llms-full.txt"),
+        "AI Policy (ai.txt / ai.json)": (f"50 * {pair}", f"CASE {pair} WHEN 2 THEN 'pass' WHEN 1 THEN 'partial' ELSE 'fail' END"),
+        "AI Bot Blocking": (
+            up(f"(1 - {blocked} / 13) * 100"),
+            f"CASE WHEN {blocked} = 0 THEN 'pass' WHEN {blocked} / 13 > 0.5 THEN 'fail' ELSE 'partial' END",
+        ),
+        "AI Content Directives": by60(half),
+        "Training vs Retrieval Bot Strategy": (
+            up(strategy), f"CASE WHEN {robots_} = '' THEN 'not_applicable' ELSE {some(strategy, 60)} END",
+        ),
+        "agent-card.json": (
+            card_score, f"CASE WHEN ({card_score}) >= 70 THEN 'pass' WHEN ({card_score}) > 10 THEN 'partial' ELSE 'fail' END",
+        ),
+        "agents.json": (agent_score, status_sql(f"({agent_score})", 70, 40)),
+        "Structured Data (JSON-LD)": (schema, f"CASE WHEN with_ld = 0 THEN 'fail' WHEN ({schema}) >= 60 THEN 'pass' ELSE 'partial' END"),
+        "FAQ Content": (faq, f"CASE WHEN faqs = 0 THEN 'fail' WHEN ({faq}) >= 60 THEN 'pass' ELSE 'partial' END"),
+        "Content Structure & Depth": by60(
+            f"least(100, {up('(1 - ' + share('thin') + ') * 30 + ' + share('deep') + ' * 40 + ' + share('built') + ' * 30')})"
+        ),
+        "Heading Hierarchy": unless("headed = 0", (percent("ordered", "headed"), status_sql(share("ordered", "headed"), 0.8, 0.5))),
+        "Meta Descriptions": (percent("described"), status_sql(share("described"), 0.8, 0.5)),
+        "Content Freshness": by60(
+            f"least(100, {up(share('dated') + ' * 50 + ' + share('recent', 'dated') + ' * 30 + ' + share('ld_dated') + ' * 20')})"
+        ),
+        "Schema Markup Diversity": by60("least(100, valuable * 25)"),
+        "Featured Snippet Readiness": unless(
+            "content = 0", by60(up(share("ready", "content") + " * 70 + " + share("defining", "content") + " * 30")),
+        ),
+        "Answer Format Diversity": by60(formats),
+        "Voice Search Optimization": unless(
+            "content = 0", by60(f"least(100, {up(share('asking', 'head_total') + ' * 50 + ' + share('short', 'content') + ' * 50')})"),
+        ),
+        "Duplicate Titles": (f"CASE WHEN titled > 0 THEN {less('in_repeated', 'titled')} ELSE 100 END", few("in_repeated", 2)),
+        "Duplicate Meta Descriptions": (f"CASE WHEN told > 0 THEN {less('told_twice', 'told')} ELSE 100 END", few("told_twice", 2)),
+        "Content Too Long for AI": (less("long"), few("long", 2)),
+        "Paragraph Length Optimization": unless("content = 0", (percent("even", "content"), some(share("even", "content"), 0.6))),
+        "Answer-First Content Structure": unless("multi = 0", (percent("answering", "multi"), some(share("answering", "multi"), 0.5))),
+        "Organization Schema Completeness": ("CASE WHEN org THEN 75 ELSE 0 END", "CASE WHEN org THEN 'pass' ELSE 'fail' END"),
+        "Security Headers": (secure, some(f"({secure})", 70)), "Compression": (percent("packed"), some(share("packed"), 0.8)),
+        "Content Quotability Score": unless("content = 0", by60(f"least(100, {up(share('quotable', 'parts') + ' * 150')})")),
+        "Topic Cluster Detection": unless("n < 3", by60(cluster)),
+        "Content Readability": unless(
+            "content = 0", (f"least(100, {up('coalesce(flesch, 0) * 100 / 60')})", status_sql("coalesce(flesch, 0)", 50, 30)),
+        ),
+        "Server-side Rendering": (percent("rendered"), status_sql(share("rendered"), 0.8, 0.5)),
+        "Search Engine Indexing": (indexed, status_sql(f"({indexed})", 100, 50)),
+        "Open Graph Tags": (percent("og"), status_sql(share("og"), 0.8, 0.5)),
+        "Author & Expertise Signals": (
+            f"CASE WHEN longer = 0 THEN 50 ELSE {up(share('authored', 'longer') + ' * 60 + ' + share('bios', 'longer') + ' * 40')} END",
+            f"CASE WHEN longer = 0 THEN 'partial' ELSE {some(up(share('authored', 'longer') + ' * 60 + ' + share('bios', 'longer') + ' * 40'), 60)} END",
+        ),
+        "Trust Signals": by60(trust), "Social Proof & Authority": by60("25 * coalesce(len(social), 0)"),
+        "Citation Quality": unless(
+            "longer = 0",
+            by60(
+                f"least(100, {up(share('figured', 'longer') + ' * 35 + ' + share('sourced', 'longer') + ' * 35 + ' + share('linked_out', 'longer') + ' * 30')})"
+            ),
+        ),
+        "Twitter Card Tags": by60(up("tw / (3 * n) * 100")), "Breadcrumb Schema": by60(up("greatest(crumbs, crumb_ld) / n * 100")),
+        "hreflang Tags": unless("languages <= 1 AND tagged = 0", (percent("tagged"), some(share("tagged"), 0.6)), 100),
+        "Brand Authority Score": unless("brand IS NULL", by60("brand")), "Title Tags": (title, status_sql(title, 70, 40)),
+        "Image Alt Text": (
+            f"CASE WHEN images = 0 THEN 100 ELSE {percent('alts', 'images')} END",
+            status_sql(f"(CASE WHEN images = 0 THEN 100 ELSE {percent('alts', 'images')} END)", 80, 50),
+        ),
+        "Internal Linking": (links, status_sql(links, 70, 40)),
+        "Mobile Viewport": (percent("fitted"), status_sql(share("fitted"), 0.9, 0.5)),
+        "HTTPS Enforcement": (percent("https"), status_sql(share("https"), 1, 0.8)),
+        "Broken Pages": (less("broken"), f"CASE WHEN broken = 0 THEN 'pass' WHEN {share('broken')} <= 0.1 THEN 'partial' ELSE 'fail' END"),
+        "Nofollow on Internal Links": (up("(1 - nofollow / links) * 100"), few("nofollow", 5)),
+        "URL Structure Quality": (less("odd"), few("odd", 3)),
+        "Canonical Link Issues": (f"CASE WHEN astray = 0 THEN 100 ELSE {up('(1 - astray / canon) * 100')} END", few("astray", 2)),
+        "Semantic HTML Usage": ("100", "'pass'"), "Text-to-HTML Ratio": None, "Page Response Time": (less("slow"), few("slow", 3)),
+        "Redirect Chains": (less("chains"), few("chains", 3)), "Character Encoding & Doctype": (less("no_charset"), few("no_charset", 2)),
+        "HTML Page Size": ("100", "'pass'"), "Crawl Depth": (less("buried"), few("buried", 5)),
+        "Broken External Links": unless("out_checked = 0", (less("out_broken", "out_checked"), few("out_broken", 3))),
         "Temporary Redirects": (f"CASE WHEN moved = 0 THEN 100 ELSE {less('moved_away', 'moved')} END", few("moved_away", 5)),
-        "Missing H1 Heading": (percent("h1s"), status_sql(share("h1s"), 1, 0.9)), "Core Web Vitals": (vitals, status_sql(f"({vitals})", 70, 40)),
-        "Mobile Readiness": unless("mobile IS NULL", ("mobile", f"CASE WHEN first_d % 9 = 1 THEN 'fail' ELSE {status_sql('mobile', 80, 50)} END")), "Responsive Images": (f"CASE WHEN images = 0 THEN 100 ELSE {percent('responsive', 'images')} END", f"CASE WHEN images = 0 THEN 'pass' ELSE {status_sql(share('responsive', 'images'), 0.7, 0.3)} END"),
+        "Missing H1 Heading": (percent("h1s"), status_sql(share("h1s"), 1, 0.9)),
+        "Core Web Vitals": (vitals, status_sql(f"({vitals})", 70, 40)),
+        "Mobile Readiness": unless(
+            "mobile IS NULL", ("mobile", f"CASE WHEN first_d % 9 = 1 THEN 'fail' ELSE {status_sql('mobile', 80, 50)} END"),
+        ),
+        "Responsive Images": (
+            f"CASE WHEN images = 0 THEN 100 ELSE {percent('responsive', 'images')} END",
+            f"CASE WHEN images = 0 THEN 'pass' ELSE {status_sql(share('responsive', 'images'), 0.7, 0.3)} END",
+        ),
         **{n: there(n) for n in ("security.txt", "tdmrep.json", "manifest.json", "humans.txt")},
-    }
+    }
     rows = []
     for seq, name in enumerate(name for checks in catalog.CHECKS.values() for name, _ in checks):
         if made[name] is not None and (not names or name in names):  # the ratio of text to markup depends on how the markup is written
             score, status = made[name]
             category = f"CASE WHEN {pair} > 0 THEN 'content_quality' ELSE 'ai_infrastructure' END" if name.startswith("AI Policy") else quoted(catalog.CATEGORY[name])
-            rows.append(f"SELECT site, {seq} AS seq, {quoted(name)} AS name, {category} AS category, ({score})::INTEGER AS score, {status} AS status, {quoted(catalog.SEVERITY[name])} AS own FROM j")
+            rows.append(
+                f"SELECT site, {seq} AS seq, {quoted(name)} AS name, {category} AS category, ({score})::INTEGER AS score, {status} AS status, {quoted(catalog.SEVERITY[name])} AS own FROM j"
+            )
     return f"{facts}, i AS ({' UNION ALL '.join(rows)}), items AS (SELECT site, seq, name, category, score, 100 AS max_score, status, CASE WHEN status IN ('pass', 'not_applicable') THEN 'info' ELSE own END AS severity FROM i)"
 
 
@@ -436,7 +660,10 @@ def _kept(spark, sf_dir: str, name: str, make) -> DataFrame:
     are kept; what they replace is Spark's to clean up."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
     system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    now = (spark.sparkContext.applicationId, sf_dir, system.getFileStatus(path).getModificationTime(), system.getContentSummary(path).getLength())
+    now = (
+        spark.sparkContext.applicationId, sf_dir, system.getFileStatus(path).getModificationTime(),
+        system.getContentSummary(path).getLength(),
+    )
     for key in [k for k in _last if k[:-1] != now]:
         del _last[key]
     if (*now, name) not in _last:
@@ -445,7 +672,10 @@ def _kept(spark, sf_dir: str, name: str, make) -> DataFrame:
 
 
 def _facts(spark, sf_dir: str) -> DataFrame:
-    return _kept(spark, sf_dir, "facts", lambda: audit.site_facts(rich_records(spark, sf_dir), site_files(spark, sf_dir), **probes(spark, sf_dir), as_of=AS_OF))
+    return _kept(
+        spark, sf_dir, "facts",
+        lambda: audit.site_facts(rich_records(spark, sf_dir), site_files(spark, sf_dir), **probes(spark, sf_dir), as_of=AS_OF),
+    )
 
 
 def _items(spark, sf_dir: str) -> DataFrame:
@@ -459,7 +689,10 @@ def audit_items(spark, sf_dir):
 
 _OF_FILES = tuple(n for checks in ("ai_infrastructure", "non_scored") for n, _ in catalog.CHECKS[checks] if n != "AI Content Directives")
 _WIDE = ", ".join(f"coalesce(max(content) FILTER (WHERE name = {quoted(n)}), '') AS f{k}" for k, n in enumerate(catalog.FILES))
-_FILE_ITEMS = _items_sql(f"{_CUSTOMER_FILES}, {_ROBOTS}, fw AS (SELECT site, {_WIDE} FROM files GROUP BY site), j AS (SELECT * FROM fw LEFT JOIN rb USING (site) LEFT JOIN rt USING (site))", _OF_FILES)
+_FILE_ITEMS = _items_sql(
+    f"{_CUSTOMER_FILES}, {_ROBOTS}, fw AS (SELECT site, {_WIDE} FROM files GROUP BY site), j AS (SELECT * FROM fw LEFT JOIN rb USING (site) LEFT JOIN rt USING (site))",
+    _OF_FILES,
+)
 
 
 @_query(f"WITH {_FILE_ITEMS} SELECT * FROM items WHERE name IN ({', '.join(map(quoted, _OF_FILES))})")
@@ -476,7 +709,9 @@ def _weighted_sql(weights: dict[str, float], name: str) -> str:
     return f"WITH {_ITEMS} SELECT site, CASE WHEN sum(max_score * {w}) > 0 THEN {half_up_sql(f'sum(score * {w}) / sum(max_score * {w}) * 100')} ELSE 0 END AS {name} FROM items WHERE status <> 'not_applicable' GROUP BY site"
 
 
-@_query(f"WITH {_ITEMS}, o AS (SELECT site, {half_up_sql(f'sum(score * {_CATEGORY_W}) / sum(max_score * {_CATEGORY_W}) * 100')} AS overall FROM items WHERE status <> 'not_applicable' GROUP BY site) SELECT site, overall, {grade_sql('overall')} AS grade FROM o")
+@_query(
+    f"WITH {_ITEMS}, o AS (SELECT site, {half_up_sql(f'sum(score * {_CATEGORY_W}) / sum(max_score * {_CATEGORY_W}) * 100')} AS overall FROM items WHERE status <> 'not_applicable' GROUP BY site) SELECT site, overall, {grade_sql('overall')} AS grade FROM o"
+)
 def audit_overall(spark, sf_dir):
     return composite.overall(_items(spark, sf_dir))
 
@@ -491,12 +726,16 @@ def service_score(spark, sf_dir):
     return composite.service_score(_items(spark, sf_dir))
 
 
-@_query(f"WITH {_ITEMS} SELECT site, category, count_if(status IN ('pass', 'partial'))::BIGINT AS passed, count(*) AS total, {half_up_sql('sum(score) / sum(max_score) * 100')} AS score FROM items WHERE status <> 'not_applicable' GROUP BY site, category")
+@_query(
+    f"WITH {_ITEMS} SELECT site, category, count_if(status IN ('pass', 'partial'))::BIGINT AS passed, count(*) AS total, {half_up_sql('sum(score) / sum(max_score) * 100')} AS score FROM items WHERE status <> 'not_applicable' GROUP BY site, category"
+)
 def audit_summary(spark, sf_dir):
     return composite.category_summary(_items(spark, sf_dir))
 
 
-@_query(f"WITH {_ITEMS} SELECT site, severity, count(*) AS issues FROM items WHERE status NOT IN ('pass', 'not_applicable') AND severity <> 'info' GROUP BY site, severity")
+@_query(
+    f"WITH {_ITEMS} SELECT site, severity, count(*) AS issues FROM items WHERE status NOT IN ('pass', 'not_applicable') AND severity <> 'info' GROUP BY site, severity"
+)
 def audit_issues(spark, sf_dir):
     return composite.issue_counts(_items(spark, sf_dir))
 
@@ -514,7 +753,9 @@ def audit_priorities(spark, sf_dir):
 _BETTER = "CASE name " + " ".join(f"WHEN {quoted(n)} THEN {x}" for n, x in catalog.PROJECTED.items()) + " END"
 
 
-@_query(f"WITH {_ITEMS}, b AS (SELECT *, {_BETTER} AS better FROM items) SELECT site, name, greatest(score, coalesce(better, score)) AS score, CASE WHEN better IS NOT NULL AND score < better THEN CASE WHEN better >= 70 THEN 'pass' ELSE 'partial' END ELSE status END AS status FROM b")
+@_query(
+    f"WITH {_ITEMS}, b AS (SELECT *, {_BETTER} AS better FROM items) SELECT site, name, greatest(score, coalesce(better, score)) AS score, CASE WHEN better IS NOT NULL AND score < better THEN CASE WHEN better >= 70 THEN 'pass' ELSE 'partial' END ELSE status END AS status FROM b"
+)
 def audit_projected(spark, sf_dir):
     return composite.projected(_items(spark, sf_dir)).select("site", "name", "score", "status")
 
@@ -536,9 +777,14 @@ def _platforms_sql() -> str:
     index = pick("Search Engine Indexing")
     flag = lambda x: f"bool_or({x})"
     extra = {
-        "questions": "least(100, 10 * max(questioned + asked_twice))", "structure": "least(100, 15 * max(tabled) + 5 * max(listed))", "indexed and Bing 20": f"least(100, {index} + {_YES(flag('bing'), 20)})", "indexed and Bing 25": f"least(100, {index} + {_YES(flag('bing'), 25)})",
-        "indexed and Google 15": f"least(100, {index} + {_YES(flag('google'), 15)})", "reachable": f"{_YES(flag('address IS NOT NULL'), 50)} + {_YES(flag('phone IS NOT NULL'), 50)}", "linked reddit": "0", "linked youtube": _YES(flag("list_contains(social, 'youtube')"), 30), "linked linkedin": _YES(flag("list_contains(social, 'linkedin')"), 30),
-    }
+        "questions": "least(100, 10 * max(questioned + asked_twice))", "structure": "least(100, 15 * max(tabled) + 5 * max(listed))",
+        "indexed and Bing 20": f"least(100, {index} + {_YES(flag('bing'), 20)})",
+        "indexed and Bing 25": f"least(100, {index} + {_YES(flag('bing'), 25)})",
+        "indexed and Google 15": f"least(100, {index} + {_YES(flag('google'), 15)})",
+        "reachable": f"{_YES(flag('address IS NOT NULL'), 50)} + {_YES(flag('phone IS NOT NULL'), 50)}", "linked reddit": "0",
+        "linked youtube": _YES(flag("list_contains(social, 'youtube')"), 30),
+        "linked linkedin": _YES(flag("list_contains(social, 'linkedin')"), 30),
+    }
     rows = []
     for place, (platform, weights) in enumerate(catalog.PLATFORMS.items()):
         terms = " + ".join(f"({' + '.join(extra.get(n) or pick(n) for n in group)}) / {len(group)} * {w}::DOUBLE" for group, w in weights)
@@ -554,7 +800,9 @@ def platform_readiness(spark, sf_dir):
     return audit.platforms(_facts(spark, sf_dir), _items(spark, sf_dir))
 
 
-@_query(f"WITH {_PLATFORMS} SELECT site, arg_max(platform, row(score, -place)) AS best, arg_min(platform, row(score, -place)) AS worst FROM pl GROUP BY site")
+@_query(
+    f"WITH {_PLATFORMS} SELECT site, arg_max(platform, row(score, -place)) AS best, arg_min(platform, row(score, -place)) AS worst FROM pl GROUP BY site"
+)
 def platform_extremes(spark, sf_dir):
     return audit.best_and_worst(audit.platforms(_facts(spark, sf_dir), _items(spark, sf_dir)))
 
@@ -564,11 +812,28 @@ nm AS (SELECT site, avg(k) AS mean, max(k) AS most FROM ne GROUP BY site) SELECT
 def topic_clusters(spark, sf_dir):
     rows = rich_records(spark, sf_dir, "words", "internal")
     # links and pages from one run over the pages
-    kinds = F.array(F.struct(F.col("url").alias("url"), F.lit(1).alias("pages"), F.lit(0).alias("k"), "words", F.size("internal").alias("out"), F.col("page_id").alias("first")))
-    edges = F.transform("internal", lambda t: F.struct(t.alias("url"), F.lit(0).alias("pages"), F.lit(1).alias("k"), F.lit(None).cast("int").alias("words"), F.lit(None).cast("int").alias("out"), F.lit(None).cast("long").alias("first")))
-    both = rows.select("site", F.inline(F.concat(kinds, edges))).groupBy("site", "url").agg(F.sum("pages").alias("pages"), F.sum("k").alias("k"), F.max("words").alias("words"), F.max("out").alias("out"), F.min("first").alias("first"))
+    kinds = F.array(
+        F.struct(
+            F.col("url").alias("url"), F.lit(1).alias("pages"), F.lit(0).alias("k"), "words", F.size("internal").alias("out"),
+            F.col("page_id").alias("first"),
+        )
+    )
+    edges = F.transform(
+        "internal",
+        lambda t: F.struct(
+            t.alias("url"), F.lit(0).alias("pages"), F.lit(1).alias("k"), F.lit(None).cast("int").alias("words"),
+            F.lit(None).cast("int").alias("out"), F.lit(None).cast("long").alias("first"),
+        ),
+    )
+    both = rows.select("site", F.inline(F.concat(kinds, edges))).groupBy("site", "url").agg(
+        F.sum("pages").alias("pages"), F.sum("k").alias("k"), F.max("words").alias("words"), F.max("out").alias("out"),
+        F.min("first").alias("first"),
+    )
     both = checkpointed(both)
-    return audit.clusters(both.where("k > 0").select("site", F.col("url").alias("target"), "k"), both.where("pages > 0").select("site", "url", "pages", "words", "out", "first"))
+    return audit.clusters(
+        both.where("k > 0").select("site", F.col("url").alias("target"), "k"),
+        both.where("pages > 0").select("site", "url", "pages", "words", "out", "first"),
+    )
 
 
 QUERIES = {name: f for name, (f, _) in _RICH.items()}

@@ -21,14 +21,18 @@ def write_files(files: DataFrame, path: str) -> None:
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """What :func:`write_files` wrote."""
-    rows = spark.read.option("lineSep", "\x00").option("recursiveFileLookup", "false").schema("value string, site string, name string").text(path)
+    rows = spark.read.option("lineSep", "\x00").option("recursiveFileLookup", "false").schema(
+        "value string, site string, name string"
+    ).text(path)
     return rows.select("site", "name", F.col("value").alias("content"))
 
 
 def write_sections(sections: DataFrame, path: str, *order: str) -> None:
     """``site, name, content`` in many rows a file, in the order of columns: text files that make one when read by name. A site's rows are
     dealt out by order, so a large one is written by several tasks."""
-    rows = sections.repartitionByRange("site", "name", *order).sortWithinPartitions("site", "name", *order).select("site", "name", F.col("content").alias("value"))
+    rows = sections.repartitionByRange("site", "name", *order).sortWithinPartitions("site", "name", *order).select(
+        "site", "name", F.col("content").alias("value"),
+    )
     _replacing(rows, "site", "name").text(path)
 
 
@@ -40,7 +44,9 @@ def write_summaries(summaries: DataFrame, path: str) -> None:
 def write_csv(rows: DataFrame, path: str, by: str = "site", order: str = "seq") -> None:
     """Quoted CSV with a header, a quote inside a field twice; a folder for each site, its rows in order."""
     told = rows.repartition(by).sortWithinPartitions(by, order)
-    _replacing(told, by).option("quoteAll", True).option("escape", '"').option("header", True).option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    _replacing(told, by).option("quoteAll", True).option("escape", '"').option("header", True).option("emptyValue", "").option(
+        "ignoreLeadingWhiteSpace", False,
+    ).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -53,7 +59,9 @@ def append_log(events: DataFrame, path: str, at: str = "at") -> None:
     _replacing(events.withColumn("day", F.to_date(at)), "day").parquet(path)
 
 
-def upsert_table(spark: SparkSession, path: str, changes: DataFrame, key: str, order: str, parts: int = 16, deleted: str | None = None) -> None:
+def upsert_table(
+    spark: SparkSession, path: str, changes: DataFrame, key: str, order: str, parts: int = 16, deleted: str | None = None,
+) -> None:
     """Merge changes into a Parquet table in ``parts`` folders by key: of each key the newest row by ``order`` stays, of equals the changes'.
 
     Only folders that a change falls into are read and written. The merged rows are written beside the table first, so that a batch which is

@@ -15,7 +15,9 @@ def advance(spark: SparkSession, schedules: str, runs: str, now: str, batch: int
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{runs}/batch={batch}/_SUCCESS")
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         due = history.due(spark.read.parquet(schedules).drop("part"), now)
-        started = due.select("id", "frequency", F.to_timestamp(F.lit(now)).alias("started_at"), "next", (F.col("version") + 1).alias("version"))
+        started = due.select(
+            "id", "frequency", F.to_timestamp(F.lit(now)).alias("started_at"), "next", (F.col("version") + 1).alias("version"),
+        )
         started.write.mode("overwrite").parquet(f"{runs}/batch={batch}")
     written = spark.read.parquet(f"{runs}/batch={batch}")
     changes = written.select("id", "frequency", F.lit(True).alias("enabled"), F.col("next").alias("next_run_at"), "version")

@@ -32,7 +32,14 @@ def test_syllables(spark, w, n):
     assert one(spark, text.syllables(F.col("w")), w=w) == n
 
 
-@pytest.mark.parametrize("url,domain,path,section", [("https://www.X.example/Blog/a?b#c", "x.example", "/Blog/a", "Blog"), ("http://x.example", "x.example", "/", "Main"), ("oddity", "oddity", "/", "Main"), ("https://x.example/index.html", "x.example", "/index.html", "Main"), ("https://x.example/zz", "x.example", "/zz", "Pages")])
+@pytest.mark.parametrize(
+    "url,domain,path,section",
+    [
+        ("https://www.X.example/Blog/a?b#c", "x.example", "/Blog/a", "Blog"), ("http://x.example", "x.example", "/", "Main"),
+        ("oddity", "oddity", "/", "Main"), ("https://x.example/index.html", "x.example", "/index.html", "Main"),
+        ("https://x.example/zz", "x.example", "/zz", "Pages"),
+    ],
+)
 def test_urls(spark, url, domain, path, section):
     assert one(spark, urls.domain_of(F.col("u")), u=url) == domain
     assert one(spark, urls.path_of(F.col("u")), u=url) == path
@@ -40,8 +47,13 @@ def test_urls(spark, url, domain, path, section):
 
 
 def test_accepted_files(spark):
-    rows = [("sitemap.xml", "<urlset/>", True), ("sitemap.xml", "x", False), ("ai.json", "{}", True), ("ai.json", "{", False), ("robots.txt", "<!DOCTYPE html>", False), ("robots.txt", "User-agent: *", True)]
-    got = spark.createDataFrame(rows, "name string, content string, ok boolean").select("ok", files.accepted(F.col("name"), F.col("content")).isNotNull().alias("got")).collect()
+    rows = [
+        ("sitemap.xml", "<urlset/>", True), ("sitemap.xml", "x", False), ("ai.json", "{}", True), ("ai.json", "{", False),
+        ("robots.txt", "<!DOCTYPE html>", False), ("robots.txt", "User-agent: *", True),
+    ]
+    got = spark.createDataFrame(rows, "name string, content string, ok boolean").select(
+        "ok", files.accepted(F.col("name"), F.col("content")).isNotNull().alias("got"),
+    ).collect()
     assert all(r["ok"] == r["got"] for r in got)
 
 
@@ -51,17 +63,23 @@ def test_bots_without_robots(spark):
 
 
 def test_robots_rules_of_one_group(spark):
-    files_ = spark.createDataFrame([("a", "robots.txt", "User-agent: GPTBot\nDisallow: /admin\nDisallow: /\nUser-agent: x\nDisallow:")], "site string, name string, content string")
+    files_ = spark.createDataFrame(
+        [("a", "robots.txt", "User-agent: GPTBot\nDisallow: /admin\nDisallow: /\nUser-agent: x\nDisallow:")],
+        "site string, name string, content string",
+    )
     assert sorted((r["agent"], r["path"]) for r in robots.robots_rules(files_).collect()) == [("gptbot", "/"), ("gptbot", "/admin")]
 
 
 @pytest.mark.parametrize(
     "href,page,target",
     [
-        ("page.html", "https://x.example/a/b", "https://x.example/a/page.html"), ("//y.example/z/", "http://x.example/", "http://y.example/z"), ("../c/./d/", "https://x.example/a/b/e", "https://x.example/a/c/d"), ("/é b?q=ä#f", "https://x.example/a", "https://x.example/%C3%A9%20b?q=%C3%A4"),
-        ("https://X.example", "https://y.example/a", "https://x.example/"), ("?q=1", "https://x.example/a", "https://x.example/a?q=1"), ("../../..", "https://x.example/a/b", "https://x.example/"), ("", "https://x.example/a#b", "https://x.example/a"),
+        ("page.html", "https://x.example/a/b", "https://x.example/a/page.html"),
+        ("//y.example/z/", "http://x.example/", "http://y.example/z"), ("../c/./d/", "https://x.example/a/b/e", "https://x.example/a/c/d"),
+        ("/é b?q=ä#f", "https://x.example/a", "https://x.example/%C3%A9%20b?q=%C3%A4"),
+        ("https://X.example", "https://y.example/a", "https://x.example/"), ("?q=1", "https://x.example/a", "https://x.example/a?q=1"),
+        ("../../..", "https://x.example/a/b", "https://x.example/"), ("", "https://x.example/a#b", "https://x.example/a"),
     ],
-)
+)
 def test_resolved(spark, href, page, target):
     rows = spark.createDataFrame([(href, page)], "h string, p string")
     assert urls.resolved(rows, F.col("h"), F.col("p"), "to").first()["to"] == target
@@ -70,20 +88,43 @@ def test_resolved(spark, href, page, target):
 
 def test_diff_buckets(spark):
     schema = "site string, name string, score int, status string"
-    before = spark.createDataFrame([("s", "gone", 5, "fail"), ("s", "fixed", 10, "fail"), ("s", "broken", 100, "pass"), ("s", "up", 10, "fail"), ("s", "down", 30, "fail"), ("s", "same", 1, "fail")], schema)
-    after = spark.createDataFrame([("s", "new", 5, "fail"), ("s", "newpass", 100, "pass"), ("s", "fixed", 90, "pass"), ("s", "broken", 10, "fail"), ("s", "up", 20, "fail"), ("s", "down", 20, "fail"), ("s", "same", 1, "fail")], schema)
+    before = spark.createDataFrame(
+        [
+            ("s", "gone", 5, "fail"), ("s", "fixed", 10, "fail"), ("s", "broken", 100, "pass"), ("s", "up", 10, "fail"),
+            ("s", "down", 30, "fail"), ("s", "same", 1, "fail"),
+        ],
+        schema,
+    )
+    after = spark.createDataFrame(
+        [
+            ("s", "new", 5, "fail"), ("s", "newpass", 100, "pass"), ("s", "fixed", 90, "pass"), ("s", "broken", 10, "fail"),
+            ("s", "up", 20, "fail"), ("s", "down", 20, "fail"), ("s", "same", 1, "fail"),
+        ],
+        schema,
+    )
     got = {r["name"]: r["bucket"] for r in composite.diff(before, after).collect()}
-    assert got == {"gone": "unchanged", "fixed": "resolved", "broken": "new_issue", "up": "improved", "down": "regressed", "same": "unchanged", "new": "new_issue", "newpass": "unchanged"}
+    assert got == {
+        "gone": "unchanged", "fixed": "resolved", "broken": "new_issue", "up": "improved", "down": "regressed", "same": "unchanged",
+        "new": "new_issue", "newpass": "unchanged",
+    }
 
 
 def test_projected_raises_and_keeps(spark):
-    rows = [("s", 0, "robots.txt", "ai_infrastructure", 0, 100, "fail"), ("s", 1, "Structured Data (JSON-LD)", "content_quality", 90, 100, "pass"), ("s", 2, "Title Tags", "foundational_seo", 10, 100, "fail")]
+    rows = [
+        ("s", 0, "robots.txt", "ai_infrastructure", 0, 100, "fail"),
+        ("s", 1, "Structured Data (JSON-LD)", "content_quality", 90, 100, "pass"),
+        ("s", 2, "Title Tags", "foundational_seo", 10, 100, "fail"),
+    ]
     items = spark.createDataFrame(rows, "site string, seq int, name string, category string, score int, max_score int, status string")
-    assert {r["name"]: (r["score"], r["status"]) for r in composite.projected(items).collect()} == {"robots.txt": (100, "pass"), "Structured Data (JSON-LD)": (90, "pass"), "Title Tags": (10, "fail")}
+    assert {r["name"]: (r["score"], r["status"]) for r in composite.projected(items).collect()} == {
+        "robots.txt": (100, "pass"), "Structured Data (JSON-LD)": (90, "pass"), "Title Tags": (10, "fail"),
+    }
 
 
 def test_engine_of_failures_alone_scores_zero(spark):
-    rows = spark.createDataFrame([("e", "x", ["https://a.example"], "boom")], "engine string, response string, citations array<string>, error string")
+    rows = spark.createDataFrame(
+        [("e", "x", ["https://a.example"], "boom")], "engine string, response string, citations array<string>, error string",
+    )
     got = visibility.engine_scores(visibility.citations(rows, "a.example", "a")).first()
     assert (got["run"], got["score"]) == (0, 0)
 
@@ -100,7 +141,13 @@ def test_tree_closes_what_browsers_close():
     assert [[c.text() for c in r.all("td")] for r in root.all("tr")] == [["1", "2"], ["3"]] and root.text().endswith("g")
 
 
-@pytest.mark.parametrize("html", ["", None, "no markup", "<", "<!doctype html>", "<p" * 50, "</div>" * 3, "<script type='application/ld+json'>[1, null, \"x\"]</script>"])
+@pytest.mark.parametrize(
+    "html",
+    [
+        "", None, "no markup", "<", "<!doctype html>", "<p" * 50, "</div>" * 3,
+        "<script type='application/ld+json'>[1, null, \"x\"]</script>",
+    ],
+)
 def test_records_of_odd_pages(html):
     found = extract.record(html, "https://x.example/")
     assert set(found) == set(extract.FIELDS) and found["headings"] == [] and found["json_ld"] == []

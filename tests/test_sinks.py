@@ -12,8 +12,13 @@ ODD = 'say "hi",\nline two; é\t'
 
 def test_files_twice(spark, tmp_path):
     at = str(tmp_path / "files")
-    files = spark.createDataFrame([("a.com", "robots.txt", "x\ny\n"), ("a.com", "ai.json", '{"a":1}'), ("b.com", "robots.txt", ODD), ("b.com", "empty.txt", None)], "site string, name string, content string")
-    expected = {("a.com", "robots.txt", "x\ny\n"), ("a.com", "ai.json", '{"a":1}'), ("b.com", "robots.txt", ODD), ("b.com", "empty.txt", "")}
+    files = spark.createDataFrame(
+        [("a.com", "robots.txt", "x\ny\n"), ("a.com", "ai.json", '{"a":1}'), ("b.com", "robots.txt", ODD), ("b.com", "empty.txt", None)],
+        "site string, name string, content string",
+    )
+    expected = {
+        ("a.com", "robots.txt", "x\ny\n"), ("a.com", "ai.json", '{"a":1}'), ("b.com", "robots.txt", ODD), ("b.com", "empty.txt", ""),
+    }
     read = lambda: {(r["site"], r["name"], r["content"].rstrip("\x00")) for r in sinks.read_files(spark, at).collect()}
     for _ in range(2):
         sinks.write_files(files, at)
@@ -26,7 +31,9 @@ def test_files_twice(spark, tmp_path):
 
 def test_sections_are_in_order(spark, tmp_path):
     at = str(tmp_path / "sections")
-    rows = spark.createDataFrame([(f"s{k % 3}", "llms-full.txt", k, f"part {k}") for k in range(300)], "site string, name string, place long, content string").repartition(7)
+    rows = spark.createDataFrame(
+        [(f"s{k % 3}", "llms-full.txt", k, f"part {k}") for k in range(300)], "site string, name string, place long, content string",
+    ).repartition(7)
     for _ in range(2):
         sinks.write_sections(rows, at, "place")
         for s in range(3):
@@ -49,11 +56,15 @@ def test_csv_twice(spark, tmp_path):
 def test_summaries_and_log_twice(spark, tmp_path):
     at, log = str(tmp_path / "json"), str(tmp_path / "log")
     rows = spark.createDataFrame([("a", 5, [("x", 1)]), ("b", 6, [])], "site string, score int, items array<struct<name:string,n:int>>")
-    events = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (2, "2024-01-02 05:00:00")], "id int, t string").withColumn("at", F.to_timestamp("t")).drop("t")
+    events = spark.createDataFrame(
+        [(1, "2024-01-01 00:00:00"), (2, "2024-01-02 05:00:00")], "id int, t string",
+    ).withColumn("at", F.to_timestamp("t")).drop("t")
     for _ in range(2):
         sinks.write_summaries(rows, at)
         sinks.append_log(events, log)
-        assert [json.loads(x) for x in next(Path(at, "site=a").glob("part-*")).read_text().splitlines()] == [{"score": 5, "items": [{"name": "x", "n": 1}]}]
+        assert [
+            json.loads(x) for x in next(Path(at, "site=a").glob("part-*")).read_text().splitlines()
+        ] == [{"score": 5, "items": [{"name": "x", "n": 1}]}]
         assert sorted(r["id"] for r in spark.read.parquet(log).collect()) == [1, 2]
     sinks.append_log(events.where("id = 2").withColumn("id", F.lit(3)), log)
     assert sorted(r["id"] for r in spark.read.parquet(log).collect()) == [1, 3]
@@ -64,7 +75,13 @@ def test_upsert(spark, tmp_path):
     schema = "domain string, score int, version int, gone boolean"
     table = lambda: {r["domain"]: r["score"] for r in spark.read.parquet(at).collect()}
     first = spark.createDataFrame([(f"d{k}", k, 1, False) for k in range(50)], schema)
-    more = spark.createDataFrame([("d1", 100, 2, False), ("d2", 200, 0, False), ("d3", 300, 1, False), ("new", 1, 1, None), ("d4", None, 2, True), ("d5", 7, 3, False), ("d5", 8, 2, False)], schema)
+    more = spark.createDataFrame(
+        [
+            ("d1", 100, 2, False), ("d2", 200, 0, False), ("d3", 300, 1, False), ("new", 1, 1, None), ("d4", None, 2, True),
+            ("d5", 7, 3, False), ("d5", 8, 2, False),
+        ],
+        schema,
+    )
     expected = {f"d{k}": k for k in range(50)} | {"d1": 100, "d3": 300, "new": 1, "d5": 7}
     del expected["d4"]
     sinks.upsert_table(spark, at, first, "domain", "version", 4, "gone")
