@@ -156,3 +156,31 @@ def test_records_of_odd_pages(html):
 def test_main_within_main_counts_twice():
     body = extract.record(f"<main><article>{'word ' * 20}</article></main>", "https://x.example/")["body"]
     assert body.count("word") == 40
+
+
+def test_classes_of_letters_have_no_ranges(spark):
+    """Java asks ranges one after the other: whole texts took up to 19 times as long."""
+    from gleaner.llm import divergence
+    from gleaner.plans import rich
+
+    assert "-Z" not in text.bounded("x") and "\\x00-" not in divergence.TERM
+    plan = rich.rich_pages(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "[^A-Za-z0-9.,!?]" not in plan
+    counted = spark.range(1).select(text.syllable_count(F.lit("a").substr(F.col("id"), F.lit(1))))
+    assert "(?<=" not in counted._jdf.queryExecution().analyzed().toString()
+
+
+def test_counts_of_texts_with_odd_blanks_and_letters(spark):
+    odd = [
+        "", " ", "The tree be ee the. Free-lance co-op don't e'er naïve", " one two﻿three.　 Four!?  ", "été à l'école. Über Straße",
+        "été eye queue. ie eie bee's", "x" * 5 + "\x1c1 a1e2b3e \x85 \x0b y.y", "KELVIN Kelvin İe", "“Quoted” — e—e re-e be-e.",
+    ]
+    rows = spark.createDataFrame([(x,) for x in odd], "t string")
+    found = rows.select(
+        "t", text.word_count(F.col("t")).alias("w"), text.syllable_count(F.col("t")).alias("s"), text.tokens_split(F.col("t")).alias("k"),
+        F.aggregate(F.transform(text.words(F.col("t")), text.syllables), F.lit(0), lambda a, x: a + x).alias("of_words"),
+        F.size(text.words(F.col("t"))).alias("words"), F.size(F.split("t", f"{text.SPACE}+")).alias("split"),
+        text.sentence_count(F.col("t")).alias("n"), F.size(text.sentences(F.col("t"))).alias("sentences"),
+    ).collect()
+    for r in found:
+        assert (r.w, r.s, r.k, r.n) == (r.words, r.of_words, r.split, r.sentences), r
