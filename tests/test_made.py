@@ -358,3 +358,26 @@ def test_engines_are_few(spark):
     assert service.asked_everywhere(queries, engines.where("false")).count() == 0
     with pytest.raises(ValueError):
         service.asked_everywhere(queries, engines, 1)
+
+
+def test_given_pages_cut_off_within_a_reference(spark, tmp_path):
+    """Only references that a semicolon ends are read, and addresses in running text are nobody's."""
+    import duckdb
+
+    from gleaner.plans import made
+
+    words = "Plain words that go on for long enough to be the article of a page, and then some more of them. "
+    page = lambda t, more: f'<!doctype html><html lang="en"><head><title>{t}</title></head><body><ul><li><a href="/a?b=1&lt=2">M</a></li></ul><article><h1>{t}</h1><p>{words}{more}</article></body></html>'
+    rows = [
+        (1, "https://a.example/about", page("Salt &amp", "Write to us@a.example for &lt more")),
+        (2, "https://b.example/", page("A &amp; B &copy; C &am", "us@b.example &amp;amp; &middot; &quot")),
+    ]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    for name in ("given_records", "given_bodies", "page_markdown", "llms_full_txt", "given_site_json_ld"):
+        ours = made.QUERIES[name](spark, str(tmp_path))
+        cursor = con.execute(made.ORACLE_SQL[name])
+        names = [d[0] for d in cursor.description]
+        theirs = sorted(tuple(dict(zip(names, r))[c] for c in ours.columns) for r in cursor.fetchall())
+        assert sorted(tuple(r) for r in ours.collect()) == theirs, name
