@@ -366,8 +366,8 @@ def test_given_pages_cut_off_within_a_reference(spark, tmp_path):
 
     from gleaner.plans import made
 
-    words = "Plain words that go on for long enough to be the article of a page, and then some more of them. "
-    page = lambda t, more: f'<!doctype html><html lang="en"><head><title>{t}</title></head><body><ul><li><a href="/a?b=1&lt=2">M</a></li></ul><article><h1>{t}</h1><p>{words}{more}</article></body></html>'
+    words = "Plain words that go on for long enough to be the article of a page and then some more of them "
+    page = lambda t, more: f'<!doctype html><html lang="en"><head><title>{t}</title></head><body><nav><ul><li><a href="/a?b=1&lt=2">M</a></li></ul></nav><article><h1>{t}</h1><p>{words}{more}</article></body></html>'
     rows = [
         (1, "https://a.example/about", page("Salt &amp", "Write to us@a.example for &lt more")),
         (2, "https://b.example/", page("A &amp; B &copy; C &am", "us@b.example &amp;amp; &middot; &quot")),
