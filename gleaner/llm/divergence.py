@@ -26,23 +26,25 @@ from pyspark.sql import functions as F
 
 from ._store import Scratch, saved
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+# [^\x00-\x40\x5B-\x60\x7B-\x7F]+, character by character: Java looks such a class up in a table, but asks ranges one after the other
+TERM = "[^" + "".join(rf"\x{k:02X}" for k in range(0x80) if not chr(k).isalpha()) + "]++"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SCALE = 1_000_000_000
 
 
-def _lowered(term: Column) -> Column:
+def _lowered(text: Column) -> Column:
     """A-Z only; where all is ASCII, ``lower`` does just that."""
-    return F.when(F.length(term) == F.octet_length(term), F.lower(term)).otherwise(F.translate(term, UPPER, LOWER))
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """``lang, source, term, n, d`` of ``(lang, source, text)``: occurrences, and documents that hold the term."""
-    words = docs.select("lang", "source", F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), _lowered).alias("words"))
-    told = lambda n, d: lambda t: F.struct(t.alias("term"), F.lit(n).cast("long").alias("n"), F.lit(d).cast("long").alias("d"))
-    each = F.concat(F.transform("words", told(1, 0)), F.transform(F.array_distinct("words"), told(0, 1)))
-    return words.select("lang", "source", F.inline(each)).groupBy("lang", "source", "term").agg(
-        F.sum("n").alias("n"), F.sum("d").alias("d"),
+    words = docs.select("lang", "source", F.regexp_extract_all(_lowered(F.col("text")), F.lit(TERM), F.lit(0)).alias("words"))
+    # all words, and behind them each different one once
+    each = F.posexplode(F.concat("words", F.array_distinct("words"))).alias("at", "term")
+    found = F.when(F.col("at") < F.col("k"), 1)
+    return words.select("lang", "source", F.size("words").alias("k"), each).groupBy("lang", "source", "term").agg(
+        F.count(found).alias("n"), (F.count("*") - F.count(found)).alias("d"),
     )
 
 
