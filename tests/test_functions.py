@@ -62,6 +62,12 @@ def test_bots_without_robots(spark):
     assert (row["blocked"], row["score"], row["status"], row["strategy_status"]) == (0, 100, "pass", "not_applicable")
 
 
+def test_bots_with_empty_robots(spark):
+    rows = robots.bot_blocking(spark.createDataFrame([("a", "robots.txt", ""), ("a", "ai.txt", "x")], "site string, name string, content string"))
+    row = rows.first()
+    assert (row["blocked"], row["score"], row["status"], row["strategy"], row["strategy_status"]) == (0, 100, "pass", 0, "fail")
+
+
 def test_robots_rules_of_one_group(spark):
     files_ = spark.createDataFrame(
         [("a", "robots.txt", "User-agent: GPTBot\nDisallow: /admin\nDisallow: /\nUser-agent: x\nDisallow:")],
