@@ -1,10 +1,13 @@
 """Values at the edges: rounding, thresholds, words, addresses."""
 
+from functools import reduce
+
 import pytest
 from pyspark.sql import functions as F
 
+from gleaner import catalog
 from gleaner.functions import addresses, dom, scores, text, urls
-from gleaner.operators import composite, extract, files, history, robots, visibility
+from gleaner.operators import composite, extract, files, history, robots, texts, visibility
 
 
 def one(spark, column, **values):
@@ -62,6 +65,17 @@ def test_bots_without_robots(spark):
     assert (row["blocked"], row["score"], row["status"], row["strategy_status"]) == (0, 100, "pass", "not_applicable")
 
 
+def test_personal_patterns_where_their_words_are(spark):
+    """Tried only where its words are, a pattern of a personal text is found as everywhere; texts without them aren't searched by patterns."""
+    said = ["I 'm", "I am", "i'm", "we are", "we 're", "My", "army", "our", "hour", "I think", "I've", "we've", "I found", "In my experience", "x"]
+    docs = spark.createDataFrame([(f"Of {x}{end}",) for x in said for end in ("", " it", "s")], "text string")
+    everywhere = reduce(lambda a, b: a | b, (F.lower("text").rlike(text.bounded(p)) for p in catalog.PERSONAL))
+    found = texts.machine_style(docs, "text")
+    rows = found.select("personal", everywhere.alias("expected")).collect()
+    assert all(r["personal"] == r["expected"] for r in rows) and {r["expected"] for r in rows} == {True, False}
+    assert ", my)" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_bots_with_empty_robots(spark):
     rows = robots.bot_blocking(spark.createDataFrame([("a", "robots.txt", ""), ("a", "ai.txt", "x")], "site string, name string, content string"))
     row = rows.first()
