@@ -51,7 +51,7 @@ def machine_style(docs: DataFrame, *keep: str, separator: str = r"\n\s*\n") -> D
             for n, p in (("transitions", catalog.TRANSITIONS), ("openers", catalog.OPENERS), ("hedges", catalog.HEDGES))
         ),
     )
-    per_1000 = lambda n: (F.col(n) / F.col("words") * 1000).alias(n)
+    per_1000 = lambda n: F.when(F.col("words") > 0, F.col(n) / F.col("words") * 1000).otherwise(0.0).alias(n)
     rows = rows.select(
         *keep, "words", *map(per_1000, ("transitions", "openers", "hedges")), text.uniformity(F.col("parts")).alias("uniformity"),
         "diversity", "personal",
