@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import catalog
 from ..functions import urls
 from ..functions.variants import parsed
+from ..sources.scratch import checkpointed
 from . import extract
 
 #: Fields of page records that a context is made of.
@@ -47,17 +48,18 @@ def _country(code: Column) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for pair in catalog.COUNTRIES.items() for x in pair)), code)
 
 
-def _industry(pages: DataFrame) -> DataFrame:
-    items = pages.select("site", "page_id", F.posexplode("json_ld").alias("place", "item"))
-    kind, told = type_of(F.col("item")), _json(F.col("item"), "$.industry")
-    value = F.when(_there(kind) & ~kind.isin(*catalog.GENERIC_TYPES), kind).when(_there(told) & ~told.isin("false", "0", "null"), told)
-    found = items.select("site", F.struct("page_id", "place").alias("at"), value.alias("value")).where("value IS NOT NULL")
-    return found.groupBy("site").agg(F.min_by("value", "at").alias("told"))
+def _industry() -> Column:
+    """Of a page's JSON-LD the first item that tells an industry: its place and the value."""
+    kind, told = lambda x: type_of(x), lambda x: _json(x, "$.industry")
+    value = lambda x: F.when(_there(kind(x)) & ~kind(x).isin(*catalog.GENERIC_TYPES), kind(x)).when(
+        _there(told(x)) & ~told(x).isin("false", "0", "null"), told(x),
+    )
+    told_by = F.transform("json_ld", lambda x, i: F.struct(i.cast("int").alias("place"), value(x).alias("value")))
+    return F.get(F.filter(told_by, lambda e: e["value"].isNotNull()), F.lit(0))
 
 
-def locations(pages: DataFrame) -> DataFrame:
-    """``site, rank, location``: where a site works, by the first that tells: an address in JSON-LD (1), its domain (2), a region or else the
-    first language of its alternates (3), a language that names one country (4). Sites of which nothing tells are left out."""
+def _located() -> Column:
+    """What tells best where the site of a page works: rank, place and value."""
     parts = lambda item: F.array(*(_json(item, f"$.address.{k}") for k in ("addressLocality", "addressRegion", "addressCountry")))
     address = lambda item: F.array_join(F.filter(parts(item), lambda x: _there(x) & ~x.isin("false", "0", "null")), ", ")
     code = lambda h, k: F.lower(F.get(F.split(h["lang"], "-"), F.lit(k)))
@@ -71,31 +73,34 @@ def locations(pages: DataFrame) -> DataFrame:
         ).otherwise(F.array()),
         F.array(evidence(4, F.lit(0), F.when(spoken.isin(*catalog.TELLING_LANGUAGES), _country(spoken)))),
     )
-    rows = pages.select("site", "page_id", F.inline(F.filter(told, lambda e: e["value"].isNotNull())))
-    label = F.element_at(F.split("site", r"\."), -1)
-    domains = pages.select("site").distinct().where(F.col("site").contains(".")).select(
-        "site", F.when(~label.isin(*catalog.GENERIC_DOMAINS), _country(F.lower(label))).alias("value"),
-    ).where("value IS NOT NULL")
-    rows = rows.unionByName(
-        domains.select("site", F.lit(0).cast("long").alias("page_id"), F.lit(2).alias("rank"), F.lit(0).alias("place"), "value")
+    return F.array_min(F.filter(told, lambda e: e["value"].isNotNull()))
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """``site, best`` from pages with ``located``; the domain is evidence too."""
+    l, label = F.col("located"), F.element_at(F.split("site", r"\."), -1)
+    domain = F.when(F.col("site").contains(".") & ~label.isin(*catalog.GENERIC_DOMAINS), _country(F.lower(label)))
+    best = lambda rank, page, place, value: F.struct(
+        rank.alias("rank"), page.cast("long").alias("page_id"), place.alias("place"), value.alias("value")
     )
-    best = rows.groupBy("site").agg(F.min(F.struct("rank", "page_id", "place", "value")).alias("best"))
+    told = F.when(l.isNotNull(), best(l["rank"], F.col("page_id"), l["place"], l["value"]))
+    sums = rows.groupBy("site").agg(F.min(told).alias("best"))
+    return sums.select("site", F.least("best", F.when(domain.isNotNull(), best(F.lit(2), F.lit(0), F.lit(0), domain))).alias("best"))
+
+
+def locations(pages: DataFrame) -> DataFrame:
+    """``site, rank, location``: where a site works, by the first that tells: an address in JSON-LD (1), its domain (2), a region or else the
+    first language of its alternates (3), a language that names one country (4). Sites of which nothing tells are left out."""
+    best = _placed(pages.select("site", "page_id", _located().alias("located"))).where("best IS NOT NULL")
     return best.select("site", "best.rank", F.col("best.value").alias("location"))
 
 
-def business_context(pages: DataFrame) -> DataFrame:
-    """``site, name, language, description, keywords, industry, location, services, products`` from page records with :data:`FIELDS`."""
-    first = lambda c, when: F.min_by(c, F.when(when, F.col("page_id")))
-    told = pages.groupBy("site").agg(
-        F.coalesce(first(F.col("language"), _there(F.col("language"))), F.lit("en")).alias("language"),
-        F.coalesce(
-            first(F.col("description"), F.length("description") > 20), F.min_by(F.substring("body", 1, 200), "page_id"), F.lit(""),
-        ).alias("description"),
-    )
+def kept_pages(pages: DataFrame) -> DataFrame:
+    """What :func:`context_of` and :func:`important_pages` read of page records with :data:`FIELDS`, written once: pages are read and parsed one
+    time only, and their texts are kept only where they are about the site."""
     heads = F.transform(
         F.filter("headings", lambda h: (h["level"] <= 2) & F.length(h["text"]).between(4, 59)), lambda h: F.lower(h["text"]),
     )
-    words = F.concat(F.transform("keywords", lambda k: F.lower(F.trim(k))), heads)
 
     def offered(kind: str, *parts: str) -> Column:
         marked = F.filter("json_ld", lambda x: (_json(x, "$['@type']") == kind) & _there(_json(x, "$.name")))
@@ -103,12 +108,40 @@ def business_context(pages: DataFrame) -> DataFrame:
         there = F.lower("url").contains(parts[0]) | F.lower("url").contains(parts[1])
         return F.concat(F.transform(marked, lambda x: _json(x, "$.name")), F.when(there, second).otherwise(F.array().cast("array<string>")))
 
-    rows = told.join(firsts(pages, words, 20, "keywords"), "site", "left").join(_industry(pages), "site", "left").join(
-        locations(pages), "site", "left",
+    return checkpointed(
+        pages.select(
+            "site", "page_id", "url", "language", F.when(F.length("description") > 20, F.col("description")).alias("description"),
+            F.substring("body", 1, 200).alias("start"), F.when(extract.about_site(F.col("url")), F.col("body")).alias("body"),
+            F.concat(F.transform("keywords", lambda k: F.lower(F.trim(k))), heads).alias("words_told"),
+            offered("Service", "service", "paslaug").alias("services"), offered("Product", "product", "produ").alias("products"),
+            _industry().alias("industry"), _located().alias("located"), "identity",
+            F.slice(F.filter("headings", lambda h: h["level"] <= 2), 1, 1).alias("headings"),
+            *(x for x in ("title", "words") if x in pages.columns),
+        )
+    )
+
+
+def business_context(pages: DataFrame) -> DataFrame:
+    """``site, name, language, description, keywords, industry, location, services, products`` from page records with :data:`FIELDS`."""
+    return context_of(kept_pages(pages))
+
+
+def context_of(pages: DataFrame) -> DataFrame:
+    """:func:`business_context` from :func:`kept_pages`."""
+    first = lambda c, when: F.min_by(c, F.when(when, F.col("page_id")))
+    i = F.col("industry")
+    told = pages.groupBy("site").agg(
+        F.coalesce(first(F.col("language"), _there(F.col("language"))), F.lit("en")).alias("language"),
+        F.coalesce(
+            first(F.col("description"), F.col("description").isNotNull()), F.min_by("start", "page_id"), F.lit(""),
+        ).alias("description"),
+        F.min_by(i["value"], F.when(i.isNotNull(), F.struct("page_id", i["place"]))).alias("told"),
     )
-    rows = rows.join(firsts(pages, offered("Service", "service", "paslaug"), 10, "services"), "site", "left").join(
-        firsts(pages, offered("Product", "product", "produ"), 10, "products"), "site", "left",
+    rows = told.join(firsts(pages, F.col("words_told"), 20, "keywords"), "site", "left").join(
+        _placed(pages).select("site", F.col("best.value").alias("location")), "site", "left",
     )
+    for name in ("services", "products"):
+        rows = rows.join(firsts(pages, F.col(name), 10, name), "site", "left")
     rows = rows.join(extract.site_identity(pages), "site", "left")
     listed = lambda c: F.coalesce(c, F.array().cast("array<string>")).alias(c)
     name = F.when(_there(F.col("identity.name")), F.col("identity.name")).otherwise(F.col("site"))

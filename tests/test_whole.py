@@ -1,9 +1,42 @@
 """Odd and large inputs: texts without words, sites with many links, records that are read once."""
 
-from gleaner.operators import texts
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from gleaner.operators import context, texts
+from gleaner.plans import rich
+
+SF = "/root/testdata/sf0.001"
+needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
 def test_style_of_texts_without_words(spark):
     rows = spark.createDataFrame([(1, ""), (2, None), (3, " \n\u00a0"), (4, "My word.")], "doc_id int, text string")
     got = texts.machine_style(rows, "doc_id", separator="\n").select("doc_id", "words", "uniformity", "personal", "style_score")
     assert sorted(map(tuple, got.collect())) == [(1, 0, 0, False, 0), (2, 0, 0, False, 0), (3, 0, 0, False, 0), (4, 2, 0, True, 0)]
+
+
+def counted(spark, rows):
+    """The rows, and a counter of how often one of them was made."""
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(url):
+        made.add(1)
+        return url
+
+    return rows.withColumn("url", F.udf(seen, "string").asNondeterministic()("url")), made
+
+
+@needs_tables
+def test_contexts_and_queries_read_records_once(spark):
+    fields = dict.fromkeys((*context.FIELDS, "title", "words"))
+    rows, made = counted(spark, rich.rich_records(spark, SF, *fields))
+    kept = context.kept_pages(rows)
+    names = kept.select("site").distinct().selectExpr("site", "site AS name", "'' AS industry", "'' AS location")
+    found = context.all_queries(context.template_queries(context.context_of(kept)), context.page_queries(kept, names)).count()
+    n = spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert (found > 0, made.value) == (True, n)
+    rows, made = counted(spark, rich.rich_records(spark, SF, *context.FIELDS))
+    assert (context.business_context(rows).count() > 0, made.value) == (True, n)
