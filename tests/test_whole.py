@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.operators import context, texts
+from gleaner.operators import audit, context, texts
 from gleaner.plans import rich
 
 SF = "/root/testdata/sf0.001"
@@ -40,3 +40,24 @@ def test_contexts_and_queries_read_records_once(spark):
     assert (found > 0, made.value) == (True, n)
     rows, made = counted(spark, rich.rich_records(spark, SF, *context.FIELDS))
     assert (context.business_context(rows).count() > 0, made.value) == (True, n)
+
+
+@needs_tables
+def test_all_links_of_a_site_are_probed(spark):
+    rows = rich.rich_records(spark, SF).withColumn("external", F.transform(F.sequence(F.lit(1), F.lit(300)), lambda k: F.concat(F.lit("https://o.example/"), k)))
+    found = spark.range(1, 301).select(F.concat(F.lit("https://o.example/"), "id").alias("url"), F.when(F.col("id") > 250, 404).otherwise(200).alias("status"))
+    counts = lambda **more: {
+        (r["out_checked"], r["out_broken"])
+        for r in audit.site_facts(kept, rich.site_files(spark, SF), statuses=found, **more).select("out_checked", "out_broken").collect()
+    }
+    kept = audit.kept_facts(rows)
+    assert (counts(), counts(most=250)) == ({(300, 50)}, {(250, 0)})
+
+
+@needs_tables
+def test_summary_reads_records_once(spark):
+    rows, made = counted(spark, rich.rich_records(spark, SF))
+    kept = audit.kept_facts(rows)
+    items = audit.items(audit.site_facts(kept, rich.site_files(spark, SF), **rich.probes(spark, SF)))
+    assert audit.summary(items, audit.affected_urls(kept)).count() > 0
+    assert made.value == spark.read.parquet(f"{SF}/documents.parquet").count()
