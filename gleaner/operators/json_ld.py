@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from .. import catalog
 from ..functions import urls
+from ..sources.scratch import checkpointed
+from . import extract
 from .context import type_of
 
 #: Fields of page records that pages' objects are made of.
@@ -75,14 +77,40 @@ def is_product(path: Column) -> Column:
     return path.rlike(catalog.PRODUCT_PATH) | (F.coalesce("og_type", F.lit("")) == "product") | priced
 
 
+def kept_pages(pages: DataFrame) -> DataFrame:
+    """What :func:`page_json_ld` reads of page records with :data:`PAGE_FIELDS` and ``identity``, written once: pages are read and parsed one time for
+    their objects and for their sites' identities, and texts are kept only where they are about the site."""
+    path = urls.path_of(F.col("url"))
+    return checkpointed(
+        _page_told(pages).select(
+            "site", "page_id", "url", "identity", F.when(extract.about_site(F.col("url")), F.col("body")).alias("body"), *_TOLD,
+            F.when(path == "/", F.col("navigation")).alias("navigation"),
+        )
+    )
+
+
+#: What is told of a page besides its site, number and address.
+_TOLD = ("title", "description", "author", "published", "modified", "og_image", "breadcrumbs", "faq", "steps", "own", "article", "product")
+
+
+def _page_told(pages: DataFrame) -> DataFrame:
+    """The rows with ``steps``, ``own`` types of JSON-LD, and whether they are an ``article`` or a ``product``."""
+    low = F.lower(urls.path_of(F.col("url")))
+    return how_to_steps(pages).withColumns(
+        {
+            "own": F.transform("json_ld", lambda x: F.get_json_object(x, "$['@type']")), "article": is_article(low),
+            "product": is_product(low),
+        }
+    )
+
+
 def page_json_ld(pages: DataFrame, identities: DataFrame) -> DataFrame:
     """``site, slug, page_id, kinds, json``: objects that a page should have and hasn't, as a JSON list. Of pages with one slug the last one
-    that has any counts. ``identities(site, identity)``."""
+    that has any counts. ``pages`` are page records or :func:`kept_pages`, ``identities(site, identity)``."""
     path = urls.path_of(F.col("url"))
     low = F.lower(path)
-    rows = how_to_steps(pages.join(identities, "site", "left")).withColumn(
-        "own", F.transform("json_ld", lambda x: F.get_json_object(x, "$['@type']")),
-    )
+    told = pages if set(_TOLD) <= set(pages.columns) else _page_told(pages)
+    rows = told.drop("identity").join(identities, "site", "left")
     home = F.concat(F.lit("https://"), F.col("site"))
     name = F.when(_there(F.col("identity.name")), F.col("identity.name")).otherwise(F.col("site"))
     lacks = lambda kind: ~F.array_contains("own", kind)
@@ -101,7 +129,7 @@ def page_json_ld(pages: DataFrame, identities: DataFrame) -> DataFrame:
     article = lambda kind: F.to_json(
         _object(kind, ("headline", title), ("url", url), ("description", told), ("author", author), ("datePublished", _if_there(F.col("published"))), ("dateModified", _if_there(F.col("modified"))), ("image", image), ("publisher", publisher), ("speakable", spoken))
     )
-    written = is_article(low) & lacks("Article") & lacks("BlogPosting")
+    written = F.col("article") & lacks("Article") & lacks("BlogPosting")
     blog = low.rlike(catalog.BLOG_PATH)
     made = (
         (
@@ -115,7 +143,7 @@ def page_json_ld(pages: DataFrame, identities: DataFrame) -> DataFrame:
             F.to_json(_object("HowTo", ("name", title), ("description", told), ("step", steps))),
         ),
         (
-            "Product", is_product(low) & lacks("Product"),
+            "Product", F.col("product") & lacks("Product"),
             F.to_json(_object("Product", ("name", title), ("url", url), ("description", told), ("image", image))),
         ),
         (

@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.operators import audit, context, texts
+from gleaner.operators import audit, context, extract, json_ld, texts
 from gleaner.plans import rich
 
 SF = "/root/testdata/sf0.001"
@@ -61,3 +61,11 @@ def test_summary_reads_records_once(spark):
     items = audit.items(audit.site_facts(kept, rich.site_files(spark, SF), **rich.probes(spark, SF)))
     assert audit.summary(items, audit.affected_urls(kept)).count() > 0
     assert made.value == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+@needs_tables
+def test_json_ld_reads_records_once(spark):
+    rows, made = counted(spark, rich.rich_records(spark, SF, *json_ld.PAGE_FIELDS, "identity"))
+    kept = json_ld.kept_pages(rows)
+    got = json_ld.page_json_ld(kept, extract.site_identity(kept)).collect()
+    assert (len(got) > 0, made.value) == (True, spark.read.parquet(f"{SF}/documents.parquet").count())
